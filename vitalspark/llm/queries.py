@@ -7,6 +7,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from . import minhash_dedup
+
 
 def vocabulary(name: str) -> str:
     """Place of a vocabulary file: in ``VITALSPARK_TOKENIZERS``, or where the public tokenizers package has it."""
@@ -27,6 +29,12 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def op1_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .minhash_dedup import op1_minhash_dedup
+
+    return op1_minhash_dedup(read(spark, sf_dir, "documents"))
+
+
 def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .token_counts import op2_token_counts
 
@@ -40,9 +48,10 @@ def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_minhash_dedup": op1_minhash_dedup,
     "op2_token_counts": op2_token_counts,
     "op7_secret_scan": op7_secret_scan,
 }
 
 #: DuckDB SQL over the same tables, where SQL can express the operator.
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op1_minhash_dedup": minhash_dedup.ORACLE_SQL}
