@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import minhash_dedup
+from . import decontaminate, minhash_dedup
 
 
 def vocabulary(name: str) -> str:
@@ -47,11 +47,18 @@ def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op7_secret_scan(read(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.tiktoken"), split_pattern())
 
 
+def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .decontaminate import op10_decontaminate
+
+    return op10_decontaminate(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_minhash_dedup": op1_minhash_dedup,
     "op2_token_counts": op2_token_counts,
     "op7_secret_scan": op7_secret_scan,
+    "op10_decontaminate": op10_decontaminate,
 }
 
 #: DuckDB SQL over the same tables, where SQL can express the operator.
-ORACLE_SQL: dict[str, str] = {"op1_minhash_dedup": minhash_dedup.ORACLE_SQL}
+ORACLE_SQL: dict[str, str] = {"op1_minhash_dedup": minhash_dedup.ORACLE_SQL, "op10_decontaminate": decontaminate.ORACLE_SQL}
