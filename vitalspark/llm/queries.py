@@ -41,6 +41,12 @@ def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op2_token_counts(read(spark, sf_dir, "documents"), vocabulary("piece_bpe_32k.model"))
 
 
+def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .language_id import op5_language_id
+
+    return op5_language_id(read(spark, sf_dir, "documents"))
+
+
 def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .secret_scan import op7_secret_scan
 
@@ -56,6 +62,7 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_minhash_dedup": op1_minhash_dedup,
     "op2_token_counts": op2_token_counts,
+    "op5_language_id": op5_language_id,
     "op7_secret_scan": op7_secret_scan,
     "op10_decontaminate": op10_decontaminate,
 }
