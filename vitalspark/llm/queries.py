@@ -41,6 +41,13 @@ def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op2_token_counts(read(spark, sf_dir, "documents"), vocabulary("piece_bpe_32k.model"))
 
 
+def op4_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .sentencepiece_codec import op4_sentencepiece
+
+    with open(vocabulary("piece_bpe_32k.model"), "rb") as f:
+        return op4_sentencepiece(read(spark, sf_dir, "documents"), f.read())
+
+
 def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .language_id import op5_language_id
 
@@ -62,6 +69,7 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_minhash_dedup": op1_minhash_dedup,
     "op2_token_counts": op2_token_counts,
+    "op4_sentencepiece": op4_sentencepiece,
     "op5_language_id": op5_language_id,
     "op7_secret_scan": op7_secret_scan,
     "op10_decontaminate": op10_decontaminate,
