@@ -41,6 +41,12 @@ def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op2_token_counts(read(spark, sf_dir, "documents"), vocabulary("piece_bpe_32k.model"))
 
 
+def op3_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .fingerprints import op3_fingerprints
+
+    return op3_fingerprints(read(spark, sf_dir, "documents"))
+
+
 def op4_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .sentencepiece_codec import op4_sentencepiece
 
@@ -60,6 +66,12 @@ def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op7_secret_scan(read(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.tiktoken"), split_pattern())
 
 
+def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .sharding import op8_sharding
+
+    return op8_sharding(read(spark, sf_dir, "documents"))
+
+
 def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .decontaminate import op10_decontaminate
 
@@ -69,9 +81,11 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_minhash_dedup": op1_minhash_dedup,
     "op2_token_counts": op2_token_counts,
+    "op3_fingerprints": op3_fingerprints,
     "op4_sentencepiece": op4_sentencepiece,
     "op5_language_id": op5_language_id,
     "op7_secret_scan": op7_secret_scan,
+    "op8_sharding": op8_sharding,
     "op10_decontaminate": op10_decontaminate,
 }
 
