@@ -60,6 +60,12 @@ def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op5_language_id(read(spark, sf_dir, "documents"))
 
 
+def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .suffix_dedup import op6_suffix_dedup
+
+    return op6_suffix_dedup(read(spark, sf_dir, "documents"))
+
+
 def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .secret_scan import op7_secret_scan
 
@@ -84,6 +90,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_fingerprints": op3_fingerprints,
     "op4_sentencepiece": op4_sentencepiece,
     "op5_language_id": op5_language_id,
+    "op6_suffix_dedup": op6_suffix_dedup,
     "op7_secret_scan": op7_secret_scan,
     "op8_sharding": op8_sharding,
     "op10_decontaminate": op10_decontaminate,

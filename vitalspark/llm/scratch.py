@@ -21,7 +21,8 @@ class Scratch:
     """Writes intermediate tables under one fresh folder of the shared directory.
 
     A written table survives the loss of executors and is computed once, however often it is read.
-    ``drop`` deletes a table that no later step reads.
+    ``drop`` deletes a table that no later step reads. Once a table is written the shuffles behind it are garbage; a
+    collection in the driver's JVM lets Spark's cleaner delete their files at once.
     """
 
     def __init__(self, spark: SparkSession, name: str):
@@ -33,6 +34,7 @@ class Scratch:
         self._n += 1
         path = f"{self.root}/t{self._n}"
         df.write.parquet(path)
+        self.spark.sparkContext._jvm.System.gc()
         out = self.spark.read.schema(df.schema).parquet(path)
         out._scratch_path = path
         return out
