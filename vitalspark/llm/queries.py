@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, minhash_dedup
+from . import chat_format, decontaminate, minhash_dedup
 
 
 def vocabulary(name: str) -> str:
@@ -78,6 +78,12 @@ def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op8_sharding(read(spark, sf_dir, "documents"))
 
 
+def op9_preference_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .chat_format import op9_preference_format
+
+    return op9_preference_format(read(spark, sf_dir, "conversations"))
+
+
 def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .decontaminate import op10_decontaminate
 
@@ -93,8 +99,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_suffix_dedup": op6_suffix_dedup,
     "op7_secret_scan": op7_secret_scan,
     "op8_sharding": op8_sharding,
+    "op9_preference_format": op9_preference_format,
     "op10_decontaminate": op10_decontaminate,
 }
 
 #: DuckDB SQL over the same tables, where SQL can express the operator.
-ORACLE_SQL: dict[str, str] = {"op1_minhash_dedup": minhash_dedup.ORACLE_SQL, "op10_decontaminate": decontaminate.ORACLE_SQL}
+ORACLE_SQL: dict[str, str] = {"op9_preference_format": chat_format.ORACLE_SQL, "op1_minhash_dedup": minhash_dedup.ORACLE_SQL, "op10_decontaminate": decontaminate.ORACLE_SQL}
