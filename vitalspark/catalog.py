@@ -1,4 +1,9 @@
 """Registered queries of the diagnostics library and their SQL counterparts."""
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+from __future__ import annotations
+
+from . import queries
+from .queries import anomalies
+
+QUERIES, ORACLE_SQL = queries.QUERIES, queries.ORACLE
+MODULES = (anomalies,)
