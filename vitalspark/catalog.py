@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from . import queries
-from .queries import anomalies
+from .queries import anomalies, waits
 
 QUERIES, ORACLE_SQL = queries.QUERIES, queries.ORACLE
-MODULES = (anomalies,)
+MODULES = (anomalies, waits)

@@ -17,7 +17,7 @@ def wait_summary(waits: DataFrame, min_pct: float = 5.0, keys: Sequence[str] = (
     """A4, A5: events above ``min_pct`` with time, blended score F11. Works on foreground and background alike."""
     g = waits.where((F.col("pct") > min_pct) & (F.col("total_wait_time_s") > 0)).groupBy(*keys)
     out = g.agg(F.sum("waits").alias("waits"), F.sum("total_wait_time_s").alias("total_wait_time_s"), F.avg("avg_wait_ms").alias("avg_wait_ms"), F.max("avg_wait_ms").alias("max_wait_ms"), F.min("avg_wait_ms").alias("min_wait_ms"), F.avg("pct").alias("avg_pct"))
-    return out.withColumn("score", S.wait_blend("avg_pct", "total_wait_time_s", "avg_wait_ms", 6))
+    return out.withColumn("score", S.wait_blend("avg_pct", "total_wait_time_s", "avg_wait_ms", 12))
 
 
 def event_dimension(facts: DataFrame, classes: DataFrame, event: str = "event") -> DataFrame:
@@ -36,7 +36,7 @@ def wait_summary_all(foreground: DataFrame, background: DataFrame, classes: Data
     """Both scopes together with the blend F12."""
     both = foreground.withColumn("scope", F.lit("foreground")).unionByName(background.withColumn("scope", F.lit("background")))
     out = wait_event_summary(both, classes, (*SNAP, "scope", "event")).drop("score")
-    return out.withColumn("score", S.wait_summary_blend("avg_pct", "total_wait_time_s", "avg_wait_ms", 6))
+    return out.withColumn("score", S.wait_summary_blend("avg_pct", "total_wait_time_s", "avg_wait_ms", 12))
 
 
 def melt(df: DataFrame, keys: Sequence[str], metrics: Sequence[str]) -> DataFrame:
@@ -64,13 +64,13 @@ def star_by_joins(facts: dict[str, DataFrame], keys: Sequence[str]) -> DataFrame
 def sql_summary(statements: DataFrame, metrics: dict[str, str]) -> DataFrame:
     """Statements by snapshot with the score F13. ``metrics``: score metric -> column."""
     long = melt(statements.select(*SNAP, "sql_id", *[F.col(c).cast("double").alias(m) for m, c in metrics.items()]), (*SNAP, "sql_id"), list(metrics))
-    return star_of_aggregates(long, (*SNAP, "sql_id"), list(metrics), driving="elapsed").withColumn("score", S.sql_score({m: m for m in metrics}, 6))
+    return star_of_aggregates(long, (*SNAP, "sql_id"), list(metrics), driving="elapsed").withColumn("score", S.sql_score({m: m for m in metrics}, 12))
 
 
 def segment_summary(long: DataFrame, metrics: Sequence[str], driving: str) -> DataFrame:
     """A10, entity grain: objects by snapshot with the sum score F15."""
     keys = (*SNAP, "object_name")
-    return star_of_aggregates(long, keys, metrics, driving).withColumn("score", S.segment_score_sum(list(metrics), 6))
+    return star_of_aggregates(long, keys, metrics, driving).withColumn("score", S.segment_score_sum(list(metrics), 12))
 
 
 def segment_summary_coarse(long: DataFrame, metrics: Sequence[str], driving: str) -> DataFrame:
@@ -78,7 +78,7 @@ def segment_summary_coarse(long: DataFrame, metrics: Sequence[str], driving: str
     objects = long.where(F.col("metric") == driving).groupBy(*SNAP, "object_name").agg(F.avg("value").alias(driving))
     others = [m for m in metrics if m != driving]
     snaps = star_of_aggregates(long.where(F.col("metric") != driving), SNAP, others)
-    return objects.join(snaps, list(SNAP), "left").withColumn("score", S.segment_score_weighted(list(metrics), 6))
+    return objects.join(snaps, list(SNAP), "left").withColumn("score", S.segment_score_weighted(list(metrics), 12))
 
 
 def score_by_snap(scored: DataFrame, entity: str) -> DataFrame:
