@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from . import queries
-from .queries import anomalies, waits
+from .queries import anomalies, lookups, scalars, waits
 
 QUERIES, ORACLE_SQL = queries.QUERIES, queries.ORACLE
-MODULES = (anomalies, waits)
+MODULES = (anomalies, lookups, scalars, waits)
