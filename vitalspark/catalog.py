@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from . import queries
-from .queries import anomalies, lookups, scalars, waits
+from .queries import anomalies, comparisons, lookups, scalars, waits
 
 QUERIES, ORACLE_SQL = queries.QUERIES, queries.ORACLE
-MODULES = (anomalies, lookups, scalars, waits)
+MODULES = (anomalies, comparisons, lookups, scalars, waits)
