@@ -53,7 +53,7 @@ def j9_scalar_lookup(spark, d):
     return joins.scalar_lookup(t, fx.stmt(spark, d), ["dbname", "instance", "begin_snap"], "snap_time").select("tag_name", "dbname", "begin_snap", "snap_time")
 
 
-@query(fx.sql("SELECT h.hostname, h.object, h.snap_time, h.value, s.begin_snap::DOUBLE AS begin_snap FROM host h ASOF LEFT JOIN (SELECT hostname, min(snap_time) AS snap_start, (epoch(date_trunc('day', snap_time)) // 259200)::BIGINT AS begin_snap FROM host WHERE object = 'click' GROUP BY hostname, (epoch(date_trunc('day', snap_time)) // 259200)::BIGINT) s ON h.hostname = s.hostname AND h.snap_time >= s.snap_start", "host"))
+@query(fx.sql("SELECT h.hostname, h.object, h.snap_time, h.value, s.begin_snap::DOUBLE AS begin_snap FROM host h ASOF LEFT JOIN (SELECT hostname, min(snap_time) AS snap_start, floor(epoch(date_trunc('day', snap_time)) / 259200)::BIGINT AS begin_snap FROM host WHERE object = 'click' GROUP BY hostname, floor(epoch(date_trunc('day', snap_time)) / 259200)::BIGINT) s ON h.hostname = s.hostname AND h.snap_time >= s.snap_start", "host"))
 def j10_snapshot_to_hostlog(spark, d):
     h = fx.host(spark, d)
     bucket = F.floor(F.unix_date(F.to_date("snap_time")) / 3).alias("begin_snap")
