@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from . import queries
-from .queries import anomalies, comparisons, lookups, raw_texts, scalars, waits
+from .queries import anomalies, comparisons, jobs, lookups, raw_texts, scalars, waits
 
 QUERIES, ORACLE_SQL = queries.QUERIES, queries.ORACLE
-MODULES = (anomalies, comparisons, lookups, raw_texts, scalars, waits)
+MODULES = (anomalies, comparisons, jobs, lookups, raw_texts, scalars, waits)

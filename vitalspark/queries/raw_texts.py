@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from .. import fixture_texts as ft
-from ..sources import hostlog
+from .. import fixtures as fx
+from ..plans import listings
+from ..sources import delimited, hostlog, plan_text, report
 from . import query
 
 E = "(SELECT *, 'host' || (user_id % 5) AS hostname, date_trunc('second', ts) AS snap_time, user_id % 2 = 1 AND user_id % 5 % 2 = 1 AS x, (user_id % 5) % 2 = 1 AS odd, event_id % 6 AS k FROM events) e"
@@ -66,3 +68,113 @@ for _kind in _PLAIN_SQL:
 @query(f"SELECT hostname, snap_time + INTERVAL '5 hours 30 minutes' AS snap_time, value AS usr_pct FROM {E} WHERE event_type = 'click'")
 def src10_hostlog_tz_shift(spark, d):
     return hostlog.cpu(_rows(spark, d, "5 hours 30 minutes")).select("hostname", "snap_time", "usr_pct")
+
+
+# --- reports, listings and delimited files --------------------------------------------------------------------------
+
+R = "(SELECT 'DB' || dbname AS db, 'DB' || dbname || instance AS inst, instance AS no, begin_snap, event, sum(waits)::BIGINT AS waits, sum(total_wait_time_s) AS t, round(avg(pct), 2) AS pct, min(snap_time) AS first FROM wait GROUP BY ALL)"
+
+
+def _files(spark, d, df, kind):
+    """Writes texts as files of the shared folder and reads them back through the source."""
+    import uuid
+
+    from ..storage import shared_dir
+
+    path = f"{shared_dir(spark)}/texts-{kind}-{uuid.uuid4().hex[:12]}"
+    df.write.text(path)
+    return path
+
+
+@query(fx.sql(f"SELECT db AS dbname, inst AS instance, no::INT AS instnum, begin_snap, event, waits::DOUBLE AS waits, round(t, 2) AS total_wait_time_s FROM {R}", "wait"))
+def src1_report_sections(spark, d):
+    f = report.facts(ft.reports(spark, d), "foreground_wait_events")
+    return f.select("dbname", "instance", "instnum", "begin_snap", "event", "waits", "total_wait_time_s")
+
+
+@query(fx.sql(f"SELECT db AS dbname, inst AS instance, no::INT AS instnum, begin_snap, date_trunc('second', min(first)) AS snap_time FROM {R} GROUP BY ALL", "wait"))
+def src2_report_metadata(spark, d):
+    return report.metadata(report.report_rows(ft.reports(spark, d))).drop("path")
+
+
+@query(fx.sql(f"SELECT DISTINCT db AS dbname, db AS folder, inst AS instance, CASE WHEN no % 2 = 0 THEN '11.2' ELSE '19.0' END AS release, false AS rac, begin_snap FROM {R}", "wait"))
+def src3_report_header_probe(spark, d):
+    return report.header_probe(ft.reports(spark, d)).withColumn("begin_snap", F.regexp_extract("path", r"_(\d+)\.html", 1).cast("int")).drop("path")
+
+
+LI = "(SELECT l_orderkey, l_linenumber, min({'p': l_partkey, 'q': l_quantity, 'e': l_extendedprice, 'op': (['TABLE ACCESS FULL', 'INDEX RANGE SCAN', 'NESTED LOOPS', 'INDEX FAST FULL SCAN', 'HASH JOIN'])[(l_partkey % 5 + 1)::INT]}) AS m FROM lineitem GROUP BY ALL)"
+STEP_SQL = f"""st AS (SELECT (l_orderkey // 2)::VARCHAR AS path, 'q' || l_orderkey AS sql_id, l_linenumber::INT AS step_id, m.op AS operation, 'T' || (m.p % 50) AS object_name, CASE WHEN m.e >= 50000 THEN floor(m.e / 1000) * 1000 ELSE floor(m.e) END AS rows, floor(m.q) AS bytes, floor(m.e / 5) AS cost,
+ CASE WHEN l_linenumber % 2 = 0 THEN 'filter("A"=' || m.p || ' AND B>1)' END AS predicate FROM {LI} UNION ALL SELECT (o // 2)::VARCHAR, 'q' || o, 0, 'SELECT STATEMENT', NULL, NULL, NULL, 12, NULL FROM (SELECT DISTINCT l_orderkey AS o FROM lineitem))"""
+
+
+@query(f"WITH {STEP_SQL} SELECT path, sql_id, step_id, operation, object_name, rows, bytes, cost, predicate FROM st")
+def src11_plan_text(spark, d):
+    return plan_text.plan_steps(ft.plan_texts(spark, d)).select("path", "sql_id", "step_id", "operation", "object_name", "rows", "bytes", "cost", "predicate")
+
+
+@query("SELECT 'orders' AS section, count(*) AS n, round(sum(o_totalprice), 2) AS total FROM orders UNION ALL SELECT 'part', count(*), round(sum(p_retailprice), 2) FROM part")
+def src12_sectioned_csv(spark, d):
+    o = fx.table(spark, d, "orders").select(F.lit(" Orders").alias("Section"), F.col("o_orderkey").alias("Key No."), F.col("o_totalprice").alias("Amount (%)"))
+    p = fx.table(spark, d, "part").select(F.lit("part"), "p_partkey", "p_retailprice")
+    other = fx.table(spark, d, "region").select(F.lit("unmapped"), "r_regionkey", F.lit(0.0))
+    lines = o.union(p).union(other).toDF(*o.columns)
+    import uuid
+
+    from ..storage import shared_dir
+
+    path = f"{shared_dir(spark)}/csv-{uuid.uuid4().hex[:12]}"
+    lines.write.csv(path, header=True)
+    tables = delimited.sectioned_csv(spark, path, {"orders": ["id", "amount"], "part": ["id", "amount"]}, {"key_no": "id", "amount_pct": "amount"})
+    one = lambda s: tables[s].agg(F.lit(s).alias("section"), F.count("id").alias("n"), F.round(F.sum(F.col("amount").cast("double")), 2).alias("total"))
+    return one("orders").union(one("part"))
+
+
+@query("SELECT p_brand AS owner, p_partkey AS object_name, CASE WHEN p_size % 2 = 1 THEN p_size END::DOUBLE AS blevel, CASE WHEN p_partkey % 3 = 0 THEN p_name END AS first_column FROM part")
+def src13_metadata_csv(spark, d):
+    index = F.when(F.col("p_partkey") % 3 == 0, F.concat(F.lit('[{"col":"'), F.col("p_name"), F.lit('","pos":1,"desc":"ASC"}]'))).otherwise("")
+    p = fx.table(spark, d, "part").select(F.concat_ws("|", F.concat(F.lit(" "), "p_brand"), F.col("p_partkey").cast("string"), F.when(F.col("p_size") % 2 == 1, F.col("p_size").cast("string")).otherwise("  "), index).alias("value"))
+    path = _files(spark, d, p, "meta")
+    m = delimited.metadata_csv(spark, path, "owner string, object_name bigint, blevel double, index_columns string", header=False)
+    return m.select("owner", "object_name", "blevel", F.col("index_columns")[0]["col"].alias("first_column"))
+
+
+PROBLEM_SQL = """pb AS (SELECT *, operation || ' on ' || coalesce(object_name, '?') AS message FROM (SELECT *, unnest(list_filter([CASE WHEN operation LIKE 'TABLE ACCESS FULL%' THEN 'full scan' END, CASE WHEN operation LIKE 'INDEX FAST FULL SCAN%' AND rows > 10000 THEN 'large fast full scan' END,
+ CASE WHEN operation LIKE 'NESTED LOOPS%' AND rows > 1000 THEN 'large nested loop' END, CASE WHEN cost > 10000 THEN 'high cost' END, CASE WHEN operation LIKE 'TABLE ACCESS FULL%' AND predicate IS NULL THEN 'unbounded full scan' END], lambda x: x IS NOT NULL)) AS pattern FROM st)),
+pr AS (SELECT path, sql_id, pattern, message, min(step_id) AS step_id FROM pb GROUP BY ALL)"""
+
+
+@query(f"WITH {STEP_SQL}, {PROBLEM_SQL} SELECT path, sql_id, pattern, message, step_id FROM pr")
+def x13_plan_problems(spark, d):
+    return listings.plan_problems(plan_text.plan_steps(ft.plan_texts(spark, d)), ["path", "sql_id"]).select("path", "sql_id", "pattern", "message", "step_id")
+
+
+_AFTER = STEP_SQL.replace("st AS", "s2 AS").replace("l_partkey % 5 + 1", "(l_partkey + CASE WHEN l_linenumber = 4 THEN 1 ELSE 0 END) % 5 + 1").replace("FROM lineitem GROUP BY ALL", "FROM lineitem WHERE l_linenumber <> 3 GROUP BY ALL").replace("l_orderkey AS o FROM lineitem", "l_orderkey AS o FROM lineitem WHERE l_linenumber <> 3")
+COMPARE_SQL = """n1 AS (SELECT *, upper(operation) AS op, coalesce(upper(object_name), '') AS ob, row_number() OVER (PARTITION BY path, sql_id, upper(operation), coalesce(upper(object_name), '') ORDER BY step_id) AS n FROM st),
+n2 AS (SELECT *, upper(operation) AS op, coalesce(upper(object_name), '') AS ob, row_number() OVER (PARTITION BY path, sql_id, upper(operation), coalesce(upper(object_name), '') ORDER BY step_id) AS n FROM s2),
+b AS (SELECT coalesce(x.path, y.path) AS path, coalesce(x.sql_id, y.sql_id) AS sql_id, x.step_id AS sb, y.step_id AS sa, x.cost AS cb, y.cost AS ca FROM n1 x FULL JOIN n2 y ON x.path = y.path AND x.sql_id = y.sql_id AND x.op = y.op AND x.ob = y.ob AND x.n = y.n),
+l AS (SELECT *, row_number() OVER (PARTITION BY path, sql_id ORDER BY sb) AS n FROM b WHERE sa IS NULL), r AS (SELECT *, row_number() OVER (PARTITION BY path, sql_id ORDER BY sa) AS n FROM b WHERE sb IS NULL),
+m AS (SELECT path, sql_id, sb, sa, cb, ca, CASE WHEN cb IS DISTINCT FROM ca THEN 'changed' ELSE 'same' END AS status FROM b WHERE sb IS NOT NULL AND sa IS NOT NULL
+ UNION ALL SELECT coalesce(l.path, r.path), coalesce(l.sql_id, r.sql_id), l.sb, r.sa, l.cb, r.ca, CASE WHEN r.sa IS NULL THEN 'removed' WHEN l.sb IS NULL THEN 'added' ELSE 'changed' END FROM l FULL JOIN r ON l.path = r.path AND l.sql_id = r.sql_id AND l.n = r.n)"""
+
+
+@query(f"WITH {STEP_SQL}, {_AFTER}, {COMPARE_SQL} SELECT path, sql_id, status, count(*) AS steps, round(sum(ca - cb), 2) AS cost_delta FROM m GROUP BY ALL")
+def x14_plan_compare(spark, d):
+    steps = lambda v: plan_text.plan_steps(ft.plan_texts(spark, d, v))
+    out = listings.plan_compare(steps(0), steps(1), ["path", "sql_id"])
+    return out.groupBy("path", "sql_id", "status").agg(F.count("*").alias("steps"), F.round(F.sum("cost_delta"), 2).alias("cost_delta"))
+
+
+@query(f"WITH {STEP_SQL}, u AS (SELECT DISTINCT path, sql_id, object_name FROM st WHERE object_name IS NOT NULL), m AS (SELECT 'T' || (p_partkey % 60) AS n, max(p_partkey * 1e5) AS num_rows, max(CASE WHEN p_size % 10 <> 0 THEN p_size END) AS days, max(p_size % 7) AS blevel FROM part WHERE p_partkey % 60 < 45 GROUP BY ALL), j AS (SELECT * FROM u LEFT JOIN m ON object_name = n) SELECT path, sql_id, object_name, 'medium' AS severity, 'no metadata' AS warning FROM j WHERE num_rows IS NULL UNION ALL SELECT path, sql_id, object_name, 'high', 'no statistics' FROM j WHERE num_rows IS NOT NULL AND days IS NULL UNION ALL SELECT path, sql_id, object_name, 'medium', 'stale statistics' FROM j WHERE days > 30 UNION ALL SELECT path, sql_id, object_name, 'medium', 'deep index' FROM j WHERE blevel >= 4 UNION ALL SELECT path, sql_id, object_name, 'info', 'large table' FROM j WHERE num_rows >= 1e7")
+def x15_plan_metadata_warnings(spark, d):
+    p = fx.table(spark, d, "part").where("p_partkey % 60 < 45")
+    meta = p.select(F.concat(F.lit("T"), (F.col("p_partkey") % 60).cast("string")).alias("object_name"), (F.col("p_partkey") * 1e5).alias("num_rows"), F.when(F.col("p_size") % 10 != 0, F.col("p_size")).alias("analysed_days"), (F.col("p_size") % 7).alias("blevel"))
+    return listings.metadata_warnings(plan_text.plan_steps(ft.plan_texts(spark, d)), meta, ["path", "sql_id"])
+
+
+@query(f"WITH {STEP_SQL} SELECT path, sql_id, step_id, last_value(CASE WHEN operation LIKE 'TABLE%' THEN object_name END IGNORE NULLS) OVER (PARTITION BY path, sql_id ORDER BY step_id) AS carried FROM st")
+def w5_header_carry(spark, d):
+    from pyspark.sql import Window as W
+
+    s = plan_text.plan_steps(ft.plan_texts(spark, d))
+    head = F.when(F.col("operation").startswith("TABLE"), F.col("object_name"))
+    return s.select("path", "sql_id", "step_id", F.last(head, ignorenulls=True).over(W.partitionBy("path", "sql_id").orderBy("step_id")).alias("carried"))
