@@ -1,9 +1,9 @@
 """Sharding by balanced label propagation: linked documents move towards their neighbours' shard under capacity quotas.
 
-Documents with equal texts are linked. Every document starts in the shard its id hashes to. In each round a document asks for the shard that holds most
-of its group; the driver sees only the table of wishes by (from, to) - shards squared numbers - and cuts it to quotas
-that keep every shard within ``SLACK`` of its share; wishes are granted largest groups first. At the end the surplus of each shard moves
-to shards with room, unlinked documents first, until the counts are at most one apart (law ``rows``).
+Documents with equal texts are linked. Every document starts in the shard its id hashes to. In each round a linked document asks for the
+shard that holds most of its group, of those not yet full; the driver sees only the table of wishes by (from, to) - shards squared numbers - and cuts it
+to quotas that keep every shard's linked documents within its share; wishes are granted largest groups first. At the end the surplus of
+each shard moves to shards with room, unlinked documents first, until the counts are at most one apart (law ``rows``).
 
 Ranks are never taken in one task: rows are counted in (class, bucket) cells, of which there is a bounded number, and a row's rank is its
 number within its cell plus the sum of the cells before. A group that holds more than a shard's share is split by the
@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from .scratch import Scratch
 
-ROUNDS, SLACK = 3, 0.02
+ROUNDS = 4
 
 
 def ranked(df: DataFrame, by: list[str], order: list[str], rows: int, name: str = "rank") -> DataFrame:
@@ -59,7 +59,7 @@ def _quota(of: dict[tuple[int, int], int], a: str, b: str) -> F.Column:
     return out
 
 
-def shard_documents(docs: DataFrame, shards: int = 8, id_column: str = "doc_id", text_column: str = "text", rounds: int = ROUNDS, slack: float = SLACK) -> DataFrame:
+def shard_documents(docs: DataFrame, shards: int = 8, id_column: str = "doc_id", text_column: str = "text", rounds: int = ROUNDS) -> DataFrame:
     """(id, size, text_crc32, group, shard, slot) of every row."""
     scratch = Scratch(docs.sparkSession, "sharding")
     text = F.coalesce(F.col(text_column), F.lit(""))
@@ -72,26 +72,29 @@ def shard_documents(docs: DataFrame, shards: int = 8, id_column: str = "doc_id",
         found = {r["shard"]: r["count"] for r in df.groupBy("shard").count().collect()}
         return [found.get(s, 0) for s in range(shards)]
 
-    counts = counted(state)
-    total = sum(counts)
+    total = sum(counted(state))
     share = [total // shards + (s < total % shards) for s in range(shards)]
-    most = [int(x * (1 + slack)) + 1 for x in share]
+    groups = scratch.table(state.groupBy("group").agg(F.count("*").alias("members")).where("members > 1").withColumn("heavy", -F.floor(F.log2("members")).cast("int")).drop("members"))
+    cols = ["id", "size", "text_crc32", "group", "shard", "heavy"]
+    state = scratch.table(state.join(groups, "group", "left").select(*cols))
     for _ in range(rounds):
-        held = state.groupBy("group", "shard").agg(F.count("*").alias("n"))
-        want = scratch.table(held.groupBy("group").agg(F.max_by("shard", F.struct("n", -F.col("shard"))).alias("want"), F.sum("n").alias("members"), F.count("*").alias("places")).where("places > 1").select("group", "want", "members"))
-        asked = scratch.table(state.join(want, "group", "left").withColumn("heavy", -F.coalesce(F.floor(F.log2("members")), F.lit(0)).cast("int")).drop("members"))
-        wishes = {(r["shard"], r["want"]): r["count"] for r in asked.where("want <> shard").groupBy("shard", "want").count().collect()}
-        granted = {k: n for k, n in quotas(wishes, counts, most).items() if n}
+        linked = state.where("heavy is not null")
+        filled = counted(linked)
+        open_ = F.col("shard").isin([s for s in range(shards) if filled[s] < share[s]])
+        held = linked.where(open_).groupBy("group", "shard").agg(F.count("*").alias("n"))
+        want = scratch.table(held.groupBy("group").agg(F.max_by("shard", F.struct("n", -F.col("shard"))).alias("want"), F.count("*").alias("places")).where("places > 1").select("group", "want"))
+        asked = scratch.table(state.join(want, "group", "left").withColumn("want", F.when(open_ & (F.col("want") != F.col("shard")), F.col("want"))))
+        wishes = {(r["shard"], r["want"]): r["count"] for r in asked.where("want is not null").groupBy("shard", "want").count().collect()}
+        granted = {k: n for k, n in quotas(wishes, filled, share).items() if n}
         if not granted:
             break
-        moved = ranked(asked.where("want <> shard"), ["shard", "want"], ["heavy"], total)
+        moved = ranked(asked.where("want is not null"), ["shard", "want"], ["heavy"], total)
         moved = moved.withColumn("shard", F.when(F.col("rank") < _quota(granted, "shard", "want"), F.col("want")).otherwise(F.col("shard")))
-        cols = ["id", "size", "text_crc32", "group", "shard"]
-        new = scratch.table(asked.where("want is null or want = shard").select(*cols).union(moved.select(*cols)))
+        new = scratch.table(asked.where("want is null").select(*cols).union(moved.select(*cols)))
         scratch.drop(state, want, asked)
-        state, counts = new, counted(new)
+        state = new
     # Exact counts: what each shard has too much goes, in order of rank, to the shards with room.
-    surplus = [c - x for c, x in zip(counts, share, strict=True)]
+    surplus = [c - x for c, x in zip(counted(state), share, strict=True)]
     room = [max(0, -x) for x in surplus]
     begin, out = 0, F.col("shard")
     pooled, given = F.lit(None).cast("long"), 0
@@ -104,9 +107,8 @@ def shard_documents(docs: DataFrame, shards: int = 8, id_column: str = "doc_id",
             out = F.when((F.col("pool") >= begin) & (F.col("pool") < begin + x), F.lit(s)).otherwise(out)
             begin += x
     if given:
-        members = scratch.table(state.groupBy("group").agg(F.count("*").alias("members")).where("members > 1"))
-        linked = state.join(members, "group", "left").withColumn("linked", F.coalesce(F.floor(F.log2("members")), F.lit(0)).cast("int")).drop("members")
-        state = scratch.table(ranked(linked, ["shard"], ["linked"], total).withColumn("pool", pooled).withColumn("shard", out).select("id", "size", "text_crc32", "group", "shard"))
+        cost = state.withColumn("linked", F.coalesce(-F.col("heavy"), F.lit(0)))
+        state = scratch.table(ranked(cost, ["shard"], ["linked"], total).withColumn("pool", pooled).withColumn("shard", out).select(*cols))
     placed = ranked(state, ["shard"], [], total, "slot")
     return placed.select(F.col("id").alias(id_column), "size", "text_crc32", "group", "shard", F.col("slot").cast("long").alias("slot"))
 
