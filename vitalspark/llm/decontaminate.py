@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 
 from . import bytetext as bt
 from .fm_index import FMIndex
+from .scratch import Scratch
 
 WORDS = 10
 BLOCK = 100_000
@@ -165,8 +166,9 @@ def contamination(docs: DataFrame, items: DataFrame, id_column: str = "doc_id",
         for p in parts[1:]:
             found = found.union(p)
         found = found.groupBy("id").agg(F.max("n_words").alias("n_words"), F.collect_list("spans").alias("spans"), F.flatten(F.collect_list("windows")).alias("windows")).withColumn("spans", _merged(F.col("spans")))
+    found = Scratch(spark, "decontaminate").table(found)  # one narrow row a document: the texts are read once
     hits = found.select("id", F.explode("windows").alias("h")).join(wins.select("h", "item"), "h").select("id", "item").distinct()
-    return found, hits
+    return found.drop("windows"), hits
 
 
 def op10_decontaminate(docs: DataFrame, items: DataFrame) -> DataFrame:
