@@ -130,72 +130,74 @@ def _cut_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([flat.field("h"), flat.field("many"), ids, pa.array(start), pa.array(raw, pa.binary())], ["h", "many", "id", "start", "raw"])
 
 
-def suffix_order(data: np.ndarray, places: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
-    """The order of the suffixes at ``places`` by their first ``depth`` bytes, ties as they come, and a flag for each entry of the order that
-    equals its predecessor to that depth. Every place has ``depth`` bytes; ranks are refined by eight bytes at a time."""
-    order = np.arange(len(places))
-    rank = np.zeros(len(places), np.int64)
-    for k in [*range(0, depth - 7, 8), *([depth - 8] if depth % 8 else [])]:
-        word = np.zeros(len(places), U64)
-        for b in range(8):
-            word = word << U64(8) | data[places + k + b].astype(U64)
-        # Refine the ranks: order by (rank, next eight bytes), stable.
-        by = np.argsort(word, kind="stable")
-        by = by[np.argsort(rank[by], kind="stable")]
-        r, w = rank[by], word[by]
-        new = np.concatenate([[0], np.cumsum((r[1:] != r[:-1]) | (w[1:] != w[:-1]))]) if len(by) else by
-        rank = np.empty(len(places), np.int64)
-        rank[by] = new
-        order = by
-        if len(by) and new[-1] == len(by) - 1:
-            break
-    r = rank[order]
-    same = np.zeros(len(order), bool)
-    same[1:] = r[1:] == r[:-1]
-    return order, same
-
-
-def repeated_windows(raw: list[bytes]) -> list[np.ndarray]:
-    """For strings in text order: which of each one's windows also start earlier (their longest previous factor has LENGTH bytes or more)."""
-    sizes = np.array([len(x) for x in raw], np.int64)
-    count = sizes - LENGTH + 1
-    data = np.frombuffer(b"".join(raw), np.uint8)
-    places = np.repeat(np.cumsum(sizes) - sizes, count) + bt.ranges(count)
-    order, same = suffix_order(data, places, LENGTH)
-    out = np.zeros(len(places), bool)
-    out[order] = same
-    return np.split(out, np.cumsum(count)[:-1])
-
-
-def _runs(flags: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    edge = np.diff(np.concatenate([[0], flags.astype(np.int8), [0]]))
-    return np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
-
+def _dense(key: np.ndarray) -> np.ndarray:
+    """Ranks of values, equal for equal values."""
+    order = np.argsort(key)
+    k = key[order]
+    out = np.empty(len(key), np.int64)
+    out[order] = np.cumsum(np.concatenate([[False], k[1:] != k[:-1]]))
+    return out
 
-def _resolve(batches: Iterator[pa.RecordBatch], together: int = 8 << 20) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by (h, id, start); whole anchors at a time, about ``together`` bytes of them."""
-    held: list[tuple[int, int, int, bytes]] = []
-    size = 0
 
-    def solve(rows: list[tuple[int, int, int, bytes]]) -> Iterator[pa.RecordBatch]:
-        if not rows:
-            return
-        rows = sorted(rows, key=lambda x: x[1:3])
-        out = []
-        for (_, i, start, _), flags in zip(rows, repeated_windows([x[3] for x in rows]), strict=True):
-            for a, b in zip(*_runs(flags), strict=True):
-                out.append((i, start + int(a), int(b - a)))
-        if out:
-            yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.int64()), pa.array([x[1] for x in out], pa.int32()), pa.array([x[2] for x in out], pa.int32())], ["id", "start", "n"])
+def suffix_order(data: np.ndarray, places: np.ndarray, depth: int = LENGTH) -> tuple[np.ndarray, np.ndarray]:
+    """The order of the suffixes at ``places`` by their first ``depth`` bytes (8 or more), ties in the order given, and a flag for each entry of
+    the order that equals its predecessor to that depth. Ranks of 8 bytes are doubled until they cover the depth."""
+    padded = np.concatenate([data, np.zeros(depth + 8, np.uint8)]).astype(U64)
+    word = np.zeros(len(data), U64)
+    for b in range(8):
+        word = word << U64(8) | padded[b : b + len(data)]
+    rank, have = _dense(word), 8
+    while have * 2 < depth:
+        ahead = np.zeros(len(rank), np.int64)
+        ahead[: max(0, len(rank) - have)] = rank[have:]
+        rank, have = _dense(rank * (int(rank.max()) + 1) + ahead), have * 2
+    last = np.minimum(places + depth - have, len(rank) - 1)
+    key = rank[places] * (int(rank.max()) + 1) + rank[last]
+    order = np.argsort(key, kind="stable")
+    k = key[order]
+    return order, np.concatenate([[False], k[1:] == k[:-1]])
+
+
+def repeated_windows(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For strings in text order: a flag for each window that also starts earlier (its longest previous factor has LENGTH bytes or more), and
+    where each string's windows begin."""
+    sizes = np.diff(offsets)
+    count = sizes - LENGTH + 1
+    places = np.repeat(offsets[:-1], count) + bt.ranges(count)
+    out = np.zeros(len(places), bool)
+    if len(places):
+        order, same = suffix_order(data, places)
+        out[order] = same
+    return out, np.concatenate([[0], np.cumsum(count)])
+
+
+def _resolve(batches: Iterator[pa.RecordBatch], together: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+    """Rows sorted by h; whole anchors at a time, about ``together`` bytes of them."""
+    held: list[pa.RecordBatch] = []
+
+    def solve(t: pa.Table) -> Iterator[pa.RecordBatch]:
+        ids, start = t["id"].to_numpy(), t["start"].to_numpy()
+        order = np.lexsort((start, ids))
+        ids, start = ids[order], start[order]
+        data, offsets = bt.utf8(t["raw"].combine_chunks().take(pa.array(order)))
+        flags, first = repeated_windows(data, offsets)
+        a, b, _ = bt.words(flags, first)
+        if len(a):
+            row = np.searchsorted(first, a, "right") - 1
+            yield pa.RecordBatch.from_arrays([pa.array(ids[row]), pa.array((start[row] + a - first[row]).astype(np.int32)), pa.array((b - a).astype(np.int32))], ["id", "start", "n"])
 
     for batch in batches:
-        for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-            if size > together and row[0] != held[-1][0]:
-                yield from solve(held)
-                held, size = [], 0
-            held.append(row)
-            size += len(row[3])
-    yield from solve(held)
+        held.append(batch)
+        if sum(x.column(3).nbytes for x in held) > together:
+            t = pa.Table.from_batches(held)
+            h = t["h"].to_numpy()
+            change = np.flatnonzero(h[1:] != h[:-1])
+            cut = int(change[-1]) + 1 if len(change) else 0  # the last anchor may go on
+            if cut:
+                yield from solve(t.slice(0, cut))
+                held = t.slice(cut).to_batches()
+    if held:
+        yield from solve(pa.Table.from_batches(held))
 
 
 def _window_hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -218,8 +220,10 @@ def repeated_spans(docs: DataFrame, id_column: str = "doc_id", text_column: str
     unsure = scratch.table(first.join(various, "h"))
     # Whole domains: those of a document that are not the first of their content.
     marks = shared.select("id", "start", "n", F.lit(0).alias("is_first")).union(first.select("id", "start", "n", F.lit(1)))
-    lists = marks.groupBy("id").agg(F.collect_list(F.when(F.col("is_first") == 0, F.struct("start", "n"))).alias("own"), F.collect_list(F.when(F.col("is_first") == 1, F.struct("start", "n"))).alias("firsts"))
-    whole = scratch.table(lists.select("id", F.array_except("own", "firsts").alias("windows")).where(F.size("windows") > 0))
+    code = F.shiftleft(F.col("start").cast("long"), 32).bitwiseOR(F.col("n").cast("long"))  # plain numbers, so that the difference of lists is by hashing
+    lists = marks.groupBy("id").agg(F.collect_list(F.when(F.col("is_first") == 0, code)).alias("own"), F.collect_list(F.when(F.col("is_first") == 1, code)).alias("firsts"))
+    apart = F.transform(F.array_except("own", "firsts"), lambda c: F.struct(F.shiftright(c, 32).cast("int").alias("start"), c.bitwiseAND(F.lit(0xFFFFFFFF)).cast("int").alias("n")))
+    whole = scratch.table(lists.select("id", apart.alias("windows")).where(F.size("windows") > 0))
     scratch.drop(shared, first)
     asked = unsure.groupBy("id").agg(F.collect_list(F.struct("h", "many", "start", "n")).alias("open"))
     cut = scratch.table(texts.join(asked, "id").mapInArrow(_cut_out, "h long, many long, id long, start int, raw binary"))
