@@ -89,3 +89,18 @@ def test_range_join_over_block_borders(spark):
 def test_plateau_without_any(spark):
     c = spark.createDataFrame([("a", 1, 10.0), ("a", 2, 5.0), ("b", 1, 10.0), ("b", 2, 9.99), ("b", 3, 1.0), ("c", 1, 0.0), ("c", 2, 0.0)], "k string, size int, cost double")
     assert [(r["k"], r["size"]) for r in compare.plateau(c, ["k"], "size", "cost").collect()] == [("b", 2)]
+
+
+def test_efficiency_pairs_and_plain_text_heading(spark):
+    html = "<p>Instance Efficiency Percentages (Target 100%)</p><table><tr><td>Buffer Nowait %:</td><td>99.9</td><td>Redo NoWait %:</td><td>1,00.0</td></tr><tr><td>Soft Parse %:</td><td></td></tr></table>"
+    rows = report.report_rows(spark.createDataFrame([("p", html)], "path string, content string"))
+    assert sorted((r["metric"], r["value"]) for r in report.efficiency(rows).collect()) == [("Buffer Nowait %", 99.9), ("Redo NoWait %", 100.0)]
+
+
+def test_schemas_cover_the_sources(spark):
+    from vitalspark import schemas
+
+    for s in [*report.SECTIONS, *report.SUMMARIES]:
+        assert s.table in schemas.SNAPSHOT_TABLES and schemas.schema(s.table)
+    for kind in hostlog.PLAIN:
+        assert f"sar_{kind}" in schemas.HOST_TABLES

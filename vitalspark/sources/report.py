@@ -22,14 +22,14 @@ class _Tables(HTMLParser):
 
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
-        self.heading, self.text, self.tables = "", None, []
+        self.heading, self.near, self.text, self.tables = "", "", None, []
         self.table = self.row = None
 
     def handle_starttag(self, tag: str, attrs: list) -> None:
         if tag in ("h1", "h2", "h3", "h4", "th", "td"):
             self.text = []
         if tag == "table":
-            self.table = {"heading": self.heading, "summary": dict(attrs).get("summary") or "", "rows": []}
+            self.table = {"heading": self.heading or self.near, "summary": dict(attrs).get("summary") or "", "rows": []}
         elif tag == "tr":
             self.row = []
 
@@ -47,32 +47,34 @@ class _Tables(HTMLParser):
             self.row = None
         elif tag == "table" and self.table is not None:
             self.tables.append(self.table)
-            self.table, self.heading = None, ""
+            self.table, self.heading, self.near = None, "", ""
 
     def handle_data(self, data: str) -> None:
         if self.text is not None:
             self.text.append(data)
+        elif self.table is None and data.strip():  # some headings are plain text before their table
+            self.near = " ".join(data.split())
 
 
-ROWS = "path string, heading string, summary string, table_no int, row_no int, cells map<string,string>"
+ROWS = "path string, heading string, summary string, table_no int, row_no int, cells map<string,string>, row array<string>"
 
 
 def report_rows(files: DataFrame) -> DataFrame:
-    """Long rows of every table in (path, content). Header names are stripped of repeated blanks; cells beyond the header are dropped, repeated names keep the last."""
+    """Long rows of every table in (path, content). The header row is number -1; ``row`` has the plain cells. Header names are stripped of repeated blanks; cells beyond the header are dropped, repeated names keep the last."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kind = pa.map_(pa.string(), pa.string())
         for batch in batches:
-            out: list[list] = [[] for _ in range(6)]
+            out: list[list] = [[] for _ in range(7)]
             for path, content in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 p = _Tables()
                 p.feed(content or "")
                 for k, t in enumerate(p.tables):
                     head = t["rows"][0] if t["rows"] else []
-                    for n, cells in enumerate(t["rows"][1:]):
-                        for c, v in zip(out, (path, t["heading"], t["summary"], k, n, list(dict(zip(head, cells, strict=False)).items())), strict=True):
+                    for n, cells in enumerate(t["rows"], start=-1):
+                        for c, v in zip(out, (path, t["heading"], t["summary"], k, n, list(dict(zip(head, cells, strict=False)).items()), cells), strict=True):
                             c.append(v)
-            yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.string()), pa.array(out[1], pa.string()), pa.array(out[2], pa.string()), pa.array(out[3], pa.int32()), pa.array(out[4], pa.int32()), pa.array(out[5], kind)], ["path", "heading", "summary", "table_no", "row_no", "cells"])
+            yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.string()), pa.array(out[1], pa.string()), pa.array(out[2], pa.string()), pa.array(out[3], pa.int32()), pa.array(out[4], pa.int32()), pa.array(out[5], kind), pa.array(out[6], pa.list_(pa.string()))], ["path", "heading", "summary", "table_no", "row_no", "cells", "row"])
 
     return files.select("path", "content").mapInArrow(run, ROWS)
 
@@ -119,6 +121,10 @@ SECTIONS = [
     Section("PGA Memory Advisory", "advisory_pga", {"pga_target_est_mb": ("PGA Target Est (MB)", S.clean_number), "size_factor": ("Size Factr", S.clean_number), "w_a_mb_processed": ("W/A MB Processed", S.clean_number), "estd_extra_written_to_disk": ("Estd Extra W/A MB Read/ Written to Disk", S.clean_number), "estd_pga_cache_hit_pct": ("Estd PGA Cache Hit %", S.clean_number), "estd_pga_overalloc_count": ("Estd PGA Overalloc Count", S.clean_number)}),
     Section("IOStat by Function summary", "iostat_function", {"name": ("Function Name", _text), "reads_mb": ("Reads: Data", S.to_mb), "reads_reqs_per_sec": ("Reqs per sec", S.clean_number), "writes_mb": ("Writes: Data", S.to_mb), "waits": ("Waits: Count", S.to_count), "avg_time_ms": ("Avg Time", S.to_ms)}),
     Section("Tablespace IO Stats", "tablespace_io_stats", {"tablespace": ("Tablespace", _text), "reads": ("Reads", S.clean_number), "avg_read_ms": ("Av Rd(ms)", S.clean_number), "writes": ("Writes", S.clean_number), "buffer_waits": ("Buffer Waits", S.clean_number)}),
+    Section("IO Profile", "io_profile", {"metric": ("", _text), "read_per_sec": ("Read per Second", S.clean_number), "write_per_sec": ("Write per Second", S.clean_number)}),
+    Section("IOStat by Filetype summary", "iostat_filetype", {"name": ("Filetype Name", _text), "reads_mb": ("Reads: Data", S.to_mb), "reads_reqs_per_sec": ("Reqs per sec", S.clean_number), "writes_mb": ("Writes: Data", S.to_mb), "small_read_ms": ("Small Read", S.to_ms), "large_read_ms": ("Large Read", S.to_ms)}),
+    Section("IOStat by Function/Filetype summary", "iostat_func_filetype", {"name": ("Function/File Name", _text), "reads_mb": ("Reads: Data", S.to_mb), "reads_reqs_per_sec": ("Reqs per sec", S.clean_number), "writes_mb": ("Writes: Data", S.to_mb), "waits": ("Waits: Count", S.to_count), "avg_time_ms": ("Avg Time", S.to_ms)}),
+    Section("File IO Stats", "file_io_stats", {"tablespace": ("Tablespace", _text), "filename": ("Filename", _text), "reads": ("Reads", S.clean_number), "avg_read_ms": ("Av Rd(ms)", S.clean_number), "writes": ("Writes", S.clean_number), "buffer_waits": ("Buffer Waits", S.clean_number), "avg_buffer_wait_ms": ("Av Buf Wt(ms)", S.clean_number)}),
     Section("Undo Segment Stats", "undo_statistics", {"num_undo_blocks": ("Num Undo Blocks", S.to_count), "number_of_transactions": ("Number of Transactions", S.to_count), "max_qry_len_s": ("Max Qry Len (s)", S.clean_number), "max_tx_concy": ("Max Tx Concy", S.clean_number)}),
     Section("Complete List of SQL Text", "sql_text", {"sql_id": ("SQL Id", _text), "sql_text": ("SQL Text", _text)}),
     _sql("sql_elapsed_time", "SQL ordered by Elapsed Time", elapsed_time_s="Elapsed Time (s)", elapsed_time_per_exec_s="Elapsed Time per Exec (s)", pct_cpu="%CPU", pct_io="%IO"),
@@ -140,7 +146,10 @@ SECTIONS = [
     ],
 ]
 #: Tables known by what their summary says, not by a heading.
-SUMMARIES = [Section("This table displays load profile", "load_profile", {"metric": ("", _text), "per_sec": ("Per Second", S.clean_number), "per_transaction": ("Per Transaction", S.clean_number)})]
+SUMMARIES = [
+    Section("This table displays database instance information", "db_info", {"db_name": ("DB Name", _text), "edition": ("Edition", _text), "release": ("Release", _text), "instance_name": ("Instance", _text), "rac": ("RAC", _text)}),
+    Section("This table displays load profile", "load_profile", {"metric": ("", _text), "per_sec": ("Per Second", S.clean_number), "per_transaction": ("Per Transaction", S.clean_number)}),
+]
 
 
 def _cell(header: str) -> Column:
@@ -155,7 +164,7 @@ def section(rows: DataFrame, s: Section) -> DataFrame:
     value are left out. A file without the section gives no row."""
     want = s.heading.lower()
     h = F.lower(F.col("summary") if s in SUMMARIES else F.col("heading"))
-    d = rows.where(F.contains(h, F.lit(want))).withColumn("__exact", h == want)
+    d = rows.where((F.col("row_no") >= 0) & F.contains(h, F.lit(want))).withColumn("__exact", h == want)
     from pyspark.sql import Window as W
 
     d = d.withColumn("__best", F.max("__exact").over(W.partitionBy("path"))).where("__exact = __best")
@@ -164,12 +173,20 @@ def section(rows: DataFrame, s: Section) -> DataFrame:
     return out.where(F.coalesce(*[F.col(c).cast("string") for c in s.columns]).isNotNull())
 
 
+def efficiency(rows: DataFrame) -> DataFrame:
+    """SRC1, instance efficiency: a table without header whose cells are pairs of metric and value."""
+    r = rows.where(F.contains(F.lower("heading"), F.lit("instance efficiency percentages")))
+    pairs = F.transform(F.sequence(F.lit(0), F.greatest(F.lit(0), F.floor(F.size("row") / 2).cast("int") - 1)), lambda i: F.struct(F.get("row", 2 * i).alias("m"), F.get("row", 2 * i + 1).alias("v")))
+    d = r.select("path", F.explode(pairs).alias("p"))
+    return d.select("path", F.nullif(F.regexp_replace(F.trim("p.m"), r"\s*:$", ""), F.lit("")).alias("metric"), S.clean_number("p.v").alias("value")).where("metric is not null and value is not null")
+
+
 def metadata(rows: DataFrame) -> DataFrame:
     """SRC2: (path, dbname, instance, instnum, begin_snap, snap_time) from the one-table or two-table header and the snapshot table."""
     info = F.contains("summary", F.lit("database instance information"))
     begin = F.contains("summary", F.lit("snapshot information")) & F.try_element_at(F.map_values("cells"), F.lit(1)).rlike("(?i)^begin snap")
     pick = lambda cond, c: F.max(F.when(cond, c))
-    g = rows.where(info | begin).groupBy("path").agg(
+    g = rows.where((F.col("row_no") >= 0) & (info | begin)).groupBy("path").agg(
         pick(info, _cell("DB Name")).alias("dbname"), pick(info, _cell("Instance")).alias("instance"), pick(info, _cell("Inst Num")).alias("instnum"), pick(begin, _cell("Snap Id")).alias("begin_snap"), pick(begin, _cell("Snap Time")).alias("t")
     )
     return g.select("path", "dbname", "instance", F.col("instnum").try_cast("int").alias("instnum"), F.col("begin_snap").try_cast("int").alias("begin_snap"), F.to_timestamp_ntz("t", F.lit("dd-MMM-yy HH:mm:ss")).alias("snap_time"))
