@@ -7,13 +7,15 @@ the corpus together is out of reach, so the suffixes are dealt by content:
    offsets. Consecutive windows with one anchor form a domain, about 35 windows; only domains are shuffled, as two hashes.
 2. Domains whose anchor occurs once hold no repeated window. Of domains with equal content all but the first go whole.
 3. Anchors with several different contents are left: one domain of each content (its first). Their bytes are dealt by anchor; each task puts
-   the suffixes that begin windows in suffix order to a depth of ``LENGTH``, and reads from the longest-previous-factor array which windows
+   the suffixes that begin windows in suffix order to a depth of ``LENGTH`` (over blocks of 32 bytes as symbols), and reads from the longest-previous-factor array which windows
    start earlier: in an order that keeps text order among ties, the nearest smaller position before an entry is its
    predecessor, and there is none behind within the tie.
 4. An anchor with more than ``GROUP`` contents is not gathered in a task: its windows' hashes are aggregated instead.
 
-Nulls count as empty; texts under ``LENGTH`` bytes lose nothing. Rows that repeat an id count as one document, so copies should carry their own id.
-Extra columns are not read. Contents are compared by 128 bits of hash in steps 2 and 4 and byte by byte in step 3.
+Nulls count as empty; texts under ``LENGTH`` bytes lose nothing. Rows that repeat an id count as one document, so copies should carry their own id;
+rows without an id are not searched and lose nothing.
+Extra columns are not read. Contents are compared by 128 bits of hash in steps 2 and 4, by
+64 bits for each of four blocks in step 3.
 """
 
 from __future__ import annotations
@@ -80,18 +82,18 @@ def domains(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarr
     if len(data) < LENGTH:
         return none.astype(U64), none, none, none
     h = gram_hashes(data)
-    low = sliding_minimum((h & ~_PLACE) | np.arange(len(h), dtype=U64), LENGTH - GRAM + 1)
-    sizes = np.diff(offsets)
-    count = np.maximum(sizes - LENGTH + 1, 0)
-    row = np.repeat(np.arange(len(sizes)), count)
-    start = np.repeat(offsets[:-1], count) + bt.ranges(count)
-    if not len(start):
-        return none.astype(U64), none, none, none
-    place = (low[start] & _PLACE).astype(np.int64)
-    new = np.ones(len(start), bool)
-    new[1:] = (place[1:] != place[:-1]) | (row[1:] != row[:-1])
+    low = sliding_minimum((h & ~_PLACE) | np.arange(len(h), dtype=U64), LENGTH - GRAM + 1) & _PLACE
+    inside = np.ones(len(low), bool)  # windows that lie in one row
+    edge = (offsets[1:-1, None] - np.arange(1, LENGTH)).ravel()
+    inside[edge[(edge >= 0) & (edge < len(low))]] = False
+    new = np.ones(len(low), bool)
+    np.not_equal(low[1:], low[:-1], out=new[1:])
+    new[1:] |= ~inside[:-1]
+    new &= inside
     at = np.flatnonzero(new)
-    return h[place[at]], row[at], start[at], np.diff(np.append(at, len(start)))
+    breaks = np.append(np.flatnonzero(new | ~inside), len(low))
+    count = breaks[np.searchsorted(breaks, at) + 1] - at
+    return h[low[at].astype(np.int64)], np.searchsorted(offsets, at, "right") - 1, at, count
 
 
 def _stretches(data: np.ndarray, off: np.ndarray) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, int]]:
@@ -117,6 +119,13 @@ def _anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], ["h", "content", "id", "start", "n"])
 
 
+def _anchor_hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        data, off = bt.utf8(batch.column(0))
+        for _, _, part, o, _ in _stretches(data, off):
+            yield pa.RecordBatch.from_arrays([pa.array(domains(part, o)[0].view(np.int64))], ["h"])
+
+
 def _cut_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Columns id, text, open (anchor, members, start, n): one row for each domain with its bytes."""
     for batch in batches:
@@ -139,20 +148,17 @@ def _dense(key: np.ndarray) -> np.ndarray:
     return out
 
 
-def suffix_order(data: np.ndarray, places: np.ndarray, depth: int = LENGTH) -> tuple[np.ndarray, np.ndarray]:
-    """The order of the suffixes at ``places`` by their first ``depth`` bytes (8 or more), ties in the order given, and a flag for each entry of
-    the order that equals its predecessor to that depth. Ranks of 8 bytes are doubled until they cover the depth."""
-    padded = np.concatenate([data, np.zeros(depth + 8, np.uint8)]).astype(U64)
-    word = np.zeros(len(data), U64)
-    for b in range(8):
-        word = word << U64(8) | padded[b : b + len(data)]
-    rank, have = _dense(word), 8
-    while have * 2 < depth:
-        ahead = np.zeros(len(rank), np.int64)
-        ahead[: max(0, len(rank) - have)] = rank[have:]
-        rank, have = _dense(rank * (int(rank.max()) + 1) + ahead), have * 2
-    last = np.minimum(places + depth - have, len(rank) - 1)
-    key = rank[places] * (int(rank.max()) + 1) + rank[last]
+def suffix_order(data: np.ndarray, places: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The order of the suffixes at ``places`` by their first LENGTH bytes, ties in the order given, and a flag for each entry of the order that
+    equals its predecessor to that depth. The alphabet is that of blocks of GRAM bytes, ordered by their hashes: blocks are ranked once,
+    and a suffix is compared by the blocks at 0, 32, 64 and 68 bytes."""
+    rank = _dense(gram_hashes(data))
+    most = int(rank.max()) + 1
+    key = rank[places]
+    for step in (GRAM, 2 * GRAM, LENGTH - GRAM):
+        if int(key.max()) * most >= 1 << 62:
+            key = _dense(key)
+        key = key * most + rank[places + step]
     order = np.argsort(key, kind="stable")
     k = key[order]
     return order, np.concatenate([[False], k[1:] == k[:-1]])
@@ -171,7 +177,7 @@ def repeated_windows(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray,
     return out, np.concatenate([[0], np.cumsum(count)])
 
 
-def _resolve(batches: Iterator[pa.RecordBatch], together: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+def _resolve(batches: Iterator[pa.RecordBatch], together: int = 1 << 19) -> Iterator[pa.RecordBatch]:
     """Rows sorted by h; whole anchors at a time, about ``together`` bytes of them."""
     held: list[pa.RecordBatch] = []
 
@@ -211,9 +217,9 @@ def _window_hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
 def repeated_spans(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", group: int = GROUP, scratch: Scratch | None = None) -> DataFrame:
     """(id, windows): for every document with repeated windows, their runs as array<struct<start, n>>, offsets in bytes."""
     scratch = scratch or Scratch(docs.sparkSession, "suffix")
-    texts = docs.select(F.col(id_column).cast("long").alias("id"), F.col(text_column).alias("text"))
+    texts = docs.select(F.col(id_column).cast("long").alias("id"), F.col(text_column).alias("text")).where("id is not null")
     anchors = texts.mapInArrow(_anchors, "h long, content long, id long, start int, n int")
-    often = anchors.select("h").groupBy("h").agg(F.count("*").alias("c")).where("c > 1").select("h")
+    often = texts.select("text").mapInArrow(_anchor_hashes, "h long").groupBy("h").agg(F.count("*").alias("c")).where("c > 1").select("h")
     shared = scratch.table(anchors.join(often, "h", "left_semi"))
     first = scratch.table(shared.groupBy("h", "content").agg(F.min(F.struct("id", "start", "n")).alias("f")).select("h", "f.*"))
     various = first.groupBy("h").agg(F.count("*").alias("many")).where("many > 1")
@@ -238,15 +244,17 @@ def repeated_spans(docs: DataFrame, id_column: str = "doc_id", text_column: str
     return scratch.table(whole.union(some).groupBy("id").agg(F.flatten(F.collect_list("windows")).alias("windows")))
 
 
-def covered(windows: list[dict]) -> list[tuple[int, int]]:
-    """Byte runs that the windows cover, joined where they touch."""
-    out: list[tuple[int, int]] = []
-    for a, b in sorted((w["start"], w["start"] + w["n"] + LENGTH - 1) for w in windows):
-        if out and a <= out[-1][1]:
-            out[-1] = (out[-1][0], max(b, out[-1][1]))
-        else:
-            out.append((a, b))
-    return out
+def covered(rows: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The runs (row, start, end) that ranges cover in each row, joined where they touch."""
+    if not len(rows):
+        return rows, start, end
+    wide = int(end.max()) + 2
+    a, b = rows * wide + start, rows * wide + end
+    order = np.argsort(a)
+    a, b = a[order], np.maximum.accumulate(b[order])
+    new = np.concatenate([[True], a[1:] > b[:-1]])
+    a, b = a[new], b[np.append(np.flatnonzero(new)[1:] - 1, len(b) - 1)]
+    return a // wide, a % wide, b - (a // wide) * wide
 
 
 def remove_repeats(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", group: int = GROUP) -> DataFrame:
@@ -255,20 +263,23 @@ def remove_repeats(docs: DataFrame, id_column: str = "doc_id", text_column: str
     texts = docs.select(F.col(id_column).alias("id"), F.col(text_column).alias("text")).join(found, "id", "left")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kind = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
         for batch in batches:
-            sizes, spans, kept = [], [], []
-            for text, windows in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
-                raw = (text or "").encode()
-                runs = covered(windows or [])
-                at, parts = 0, []
-                for a, b in runs:
-                    parts.append(raw[at:a])
-                    at = b
-                sizes.append(len(raw))
-                spans.append([{"start": a, "end": b} for a, b in runs])
-                kept.append(b"".join([*parts, raw[at:]]))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(spans, kind), pa.array(kept, pa.binary())], ["id", "n_bytes", "spans", "kept"])
+            data, off = bt.utf8(batch.column(1))
+            raw = data.tobytes()
+            windows = batch.column(2)
+            own, flat = np.diff(np.concatenate([[0], np.cumsum(windows.value_lengths().fill_null(0).to_numpy(zero_copy_only=False))])), windows.flatten()
+            start = flat.field("start").to_numpy().astype(np.int64)
+            row, a, b = covered(np.repeat(np.arange(batch.num_rows), own), start, start + flat.field("n").to_numpy() + LENGTH - 1)
+            first = np.searchsorted(row, np.arange(batch.num_rows + 1))
+            kept = []
+            for k in range(batch.num_rows):
+                at, parts = int(off[k]), []
+                for x, y in zip(a[first[k] : first[k + 1]], b[first[k] : first[k + 1]], strict=True):
+                    parts.append(raw[at : off[k] + x])
+                    at = off[k] + y
+                kept.append(b"".join([*parts, raw[at : off[k + 1]]]))
+            spans = pa.ListArray.from_arrays(pa.array(first.astype(np.int32)), pa.StructArray.from_arrays([pa.array(a), pa.array(b)], ["start", "end"]))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.diff(off)), spans, pa.array(kept, pa.binary())], ["id", "n_bytes", "spans", "kept"])
 
     kind = texts.schema["id"].dataType.simpleString()
     return texts.mapInArrow(run, f"id {kind}, n_bytes long, spans array<struct<start:long,end:long>>, kept binary").withColumnRenamed("id", id_column)
