@@ -388,3 +388,19 @@ def test_decontaminate(docs_of, spark, odd_texts, block, shard):
         assert clean[len(odd_texts) + 21]["text"] == "pre . go" and clean[6]["text"] == texts[6]
         assert decontaminate.op10_decontaminate(docs_of(["a b"]), bench.where("false")).first()["n_words"] == 2
         assert decontaminate.op10_decontaminate(docs_of(["a b"]).where("false"), bench).count() == 0
+
+
+# --- all -------------------------------------------------------------------------------------------------------------
+
+
+def test_rows_without_ids_or_anything(docs_of):
+    d = docs_of([None, "some words to read here and there " * 5, "text without an id " * 9], [None, None, "en"], ids=[None, 1, None])
+    with open(PIECES, "rb") as f:
+        model = f.read()
+    spark = d.sparkSession
+    bench = spark.createDataFrame([(None, "some words"), (1, None)], "item_id long, text string")
+    for out in (
+        minhash_dedup.op1_minhash_dedup(d), token_counts.op2_token_counts(d, PIECES), fingerprints.op3_fingerprints(d), sentencepiece_codec.op4_sentencepiece(d, model), language_id.op5_language_id(d),
+        suffix_dedup.op6_suffix_dedup(d), secret_scan.op7_secret_scan(d, RANKS, queries.split_pattern()), sharding.op8_sharding(d), decontaminate.op10_decontaminate(d, bench),
+    ):
+        assert len([r for r in out.collect() if r["doc_id"] == 1]) == 1
