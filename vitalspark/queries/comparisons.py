@@ -27,9 +27,9 @@ def j5_interval_tag_join(spark, d):
 TAGGED = "tg AS (SELECT s.*, tag_type FROM stmt s JOIN tags t ON t.dbname = s.dbname AND t.instance = s.instance AND begin_snap BETWEEN snap_start AND snap_end)"
 
 
-@query(fx.sql("SELECT dbname, sql_id, round(b, 6) AS before_value, round(a, 6) AS after_value FROM (SELECT dbname, sql_id, coalesce(x.v, 0) AS b, coalesce(y.v, 0) AS a FROM (SELECT dbname, sql_id, avg(elapsed) AS v FROM tg WHERE tag_type = 'before' AND parses = 7 GROUP BY ALL) x FULL JOIN (SELECT dbname, sql_id, avg(elapsed) AS v FROM tg WHERE tag_type = 'after' AND parses = 7 GROUP BY ALL) y USING (dbname, sql_id))", "stmt", ctes=f"{TAG_SQL}, {TAGGED}"))
+@query(fx.sql("SELECT dbname, sql_id, round(b, 6) AS before_value, round(a, 6) AS after_value FROM (SELECT dbname, sql_id, coalesce(x.v, 0) AS b, coalesce(y.v, 0) AS a FROM (SELECT dbname, sql_id, avg(elapsed) AS v FROM tg WHERE tag_type = 'before' GROUP BY ALL) x FULL JOIN (SELECT dbname, sql_id, avg(elapsed) AS v FROM tg WHERE tag_type = 'after' GROUP BY ALL) y USING (dbname, sql_id))", "stmt", ctes=f"{TAG_SQL}, {TAGGED}"))
 def j6_before_after(spark, d):
-    t = joins.tag_join(fx.stmt(spark, d).where("parses = 7"), _tags(spark))
+    t = joins.tag_join(fx.stmt(spark, d), _tags(spark))
     side = lambda k: t.where(F.col("tag_type") == k).groupBy("dbname", "sql_id").agg(F.avg("elapsed").alias("value"))
     return joins.before_after_join(side("before"), side("after"), ["dbname", "sql_id"]).select("dbname", "sql_id", *r6("before_value", "after_value"))
 
@@ -85,30 +85,32 @@ def j11_text_object_bridge(spark, d):
     return joins.object_bridge(m, _segment_objects(spark, d)).select("sql_id", "owner", "object")
 
 
-CO = "sq AS (SELECT dbname, instance, begin_snap, sql_id, avg(elapsed) / 1000 AS score FROM stmt WHERE sql_id < 10 GROUP BY ALL), sg AS (SELECT dbname, instance, begin_snap, owner, object_name, avg(value) AS score FROM seg WHERE metric = 'logical_reads' AND object_name < 50 GROUP BY ALL), wt AS (SELECT dbname, instance, begin_snap, 'parse ' || parses AS event, avg(executions) AS score FROM stmt GROUP BY ALL)"
+CO = "sq AS (SELECT dbname, instance, begin_snap, sql_id, avg(elapsed) / 1000 AS score FROM stmt GROUP BY ALL), sg AS (SELECT dbname, instance, begin_snap, obj_type AS owner, owner AS object_name, avg(value) AS score FROM seg WHERE metric = 'logical_reads' GROUP BY ALL), sb AS (SELECT dbname, instance, begin_snap, object_name, avg(score) AS score FROM sg GROUP BY ALL), wt AS (SELECT dbname, instance, begin_snap, 'parse ' || parses AS event, avg(executions) AS score FROM stmt GROUP BY ALL)"
 
 
 def _scored(spark, d):
     key = ["dbname", "instance", "begin_snap"]
     s = fx.stmt(spark, d)
-    sq = s.where("sql_id < 10").groupBy(*key, "sql_id").agg((F.avg("elapsed") / 1000).alias("score"))
-    sg = fx.seg(spark, d).where("metric = 'logical_reads' and object_name < 50").groupBy(*key, "owner", "object_name").agg(F.avg("value").alias("score"))
+    sq = s.groupBy(*key, "sql_id").agg((F.avg("elapsed") / 1000).alias("score"))
+    sg = fx.seg(spark, d).where("metric = 'logical_reads'").groupBy(*key, F.col("obj_type").alias("owner"), F.col("owner").alias("object_name")).agg(F.avg("value").alias("score"))
     wt = s.groupBy(*key, F.concat(F.lit("parse "), F.col("parses").cast("string")).alias("event")).agg(F.avg("executions").alias("score"))
     return sq, sg, wt
 
 
-@query(fx.sql("SELECT sql_id, object_name, round(sum(a.score * b.score), 7) AS signal, count(*) AS snaps FROM sq a JOIN sg b USING (dbname, instance, begin_snap) GROUP BY ALL", "stmt", "seg", ctes=CO))
+@query(fx.sql("SELECT sql_id, object_name, round(sum(a.score * b.score), 7) AS signal, count(*) AS snaps FROM sq a JOIN sb b USING (dbname, instance, begin_snap) GROUP BY ALL", "stmt", "seg", ctes=CO))
 def j12_cooccurrence(spark, d):
     sq, sg, _ = _scored(spark, d)
-    return joins.cooccurrence(sq, sg).withColumn("signal", F.round("signal", 7))
+    sb = sg.groupBy("dbname", "instance", "begin_snap", "object_name").agg(F.avg("score").alias("score"))
+    return joins.cooccurrence(sq, sb).withColumn("signal", F.round("signal", 7))
 
 
 @query(fx.sql("""SELECT * FROM (SELECT 'segment_together' AS section, object_name::VARCHAR AS item, round(sum(b.score * w), 4) AS amount FROM sg b JOIN (SELECT dbname, instance, begin_snap, sum(score) AS w FROM sq WHERE sql_id = 4 GROUP BY ALL) USING (dbname, instance, begin_snap) GROUP BY ALL ORDER BY sum(b.score * w) DESC, item LIMIT 10)
 UNION ALL SELECT * FROM (SELECT 'wait_together', event, round(sum(b.score * w), 4) AS amount FROM wt b JOIN (SELECT dbname, instance, begin_snap, sum(score) AS w FROM sq WHERE sql_id = 4 GROUP BY ALL) USING (dbname, instance, begin_snap) GROUP BY ALL ORDER BY sum(b.score * w) DESC, event LIMIT 10)
-UNION ALL SELECT 'segment_text', object_name::VARCHAR, round(max(m), 4) FROM (SELECT owner, object_name, avg(score) AS m FROM sg GROUP BY ALL) WHERE object_name % 7 = 4 GROUP BY object_name""", "stmt", "seg", ctes=CO))
+UNION ALL SELECT * FROM (SELECT 'segment_text', object_name::VARCHAR AS item, round(max(m), 4) FROM (SELECT owner, object_name, avg(score) AS m FROM sg GROUP BY ALL) WHERE object_name IN (SELECT p_brand FROM lineitem JOIN part ON l_partkey = p_partkey WHERE l_suppkey = 4 AND l_linenumber = 7) GROUP BY object_name ORDER BY max(m) DESC, item LIMIT 10)""", "stmt", "seg", ctes=CO))
 def x9_focus_drilldown(spark, d):
     sq, sg, wt = _scored(spark, d)
-    bridge = sg.where("object_name % 7 = 4").select(F.lit(4).alias("sql_id"), F.lit(None).cast("string").alias("owner"), F.col("object_name").cast("string").alias("object")).distinct()
+    li, part = fx.table(spark, d, "lineitem").where("l_linenumber = 7"), fx.table(spark, d, "part")
+    bridge = li.join(part, li["l_partkey"] == part["p_partkey"]).select(F.col("l_suppkey").alias("sql_id"), F.lit(None).cast("string").alias("owner"), F.lower("p_brand").alias("object")).distinct()
     return drilldown.focus_drilldown(sq, sg, wt, bridge, "sql", 4).withColumn("amount", F.round("amount", 4))
 
 
@@ -142,10 +144,10 @@ def j16_cross_params(spark, d):
     return w.groupBy("event").agg(F.count("*").alias("n"), F.count_if((F.col("pct") > F.col("low")) & (F.col("pct") <= F.col("high"))).alias("between_n"))
 
 
-@query("SELECT min(url) AS path, md5(html) AS hash FROM pages WHERE url NOT IN (SELECT url FROM pages WHERE page_id % 3 = 0) AND md5(html) NOT IN (SELECT md5(html) FROM pages WHERE page_id % 3 = 0 AND page_id % 2 = 0) GROUP BY md5(html)")
+@query("SELECT min(url) AS path, md5(html) AS hash FROM pages WHERE url NOT IN (SELECT url FROM pages WHERE url LIKE '%/fr/%' OR url LIKE '%/de/%') AND md5(html) NOT IN (SELECT md5(html) FROM pages WHERE url LIKE '%/fr/%') GROUP BY md5(html)")
 def j17_ledger_anti(spark, d):
     p = fx.table(spark, d, "pages").select("page_id", F.col("url").alias("path"), F.md5("html").alias("hash"))
-    ledger = p.where("page_id % 3 = 0").withColumn("state", F.when(F.col("page_id") % 2 == 0, "done").otherwise("failed"))
+    ledger = p.where("path like '%/fr/%' or path like '%/de/%'").withColumn("state", F.when(F.col("path").like("%/fr/%"), "done").otherwise("failed"))
     return joins.ledger_anti(p.drop("page_id"), ledger).select("path", "hash")
 
 

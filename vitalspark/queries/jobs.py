@@ -96,20 +96,21 @@ def _orders(spark, d):
 
 @query("SELECT o_orderstatus AS dbname, o_orderkey AS id, o_totalprice AS price FROM orders")
 def snk1_insert_if_absent(spark, d):
-    o = _orders(spark, d).drop("note")
     t = _table(spark, "snk1", ["dbname"])
-    t.insert_if_absent(o.where("id % 3 <> 0"), ["dbname", "id"])
+    o = _orders(spark, d)
+    t.insert_if_absent(o.where("note <> '5-LOW'").drop("note"), ["dbname", "id"])
+    o = o.drop("note")
     t.insert_if_absent(o, ["dbname", "id"])
     t.insert_if_absent(o.union(o), ["dbname", "id"])
     return t.read().select("dbname", "id", "price")
 
 
-@query("SELECT o_orderstatus AS dbname, o_orderkey AS id, CASE WHEN o_orderkey % 2 = 0 AND o_orderstatus <> 'P' THEN o_totalprice + 1 ELSE o_totalprice END AS price, o_orderpriority AS note FROM orders")
+@query("SELECT o_orderstatus AS dbname, o_orderkey AS id, CASE WHEN o_totalprice >= 200000 AND o_orderstatus <> 'P' THEN o_totalprice + 1 ELSE o_totalprice END AS price, o_orderpriority AS note FROM orders")
 def snk2_upsert(spark, d):
     o = _orders(spark, d)
     t = _table(spark, "snk2", ["dbname"])
-    t.upsert(o.where("id % 5 <> 0 or dbname = 'P' or id % 2 = 1"), ["dbname", "id"])
-    new = o.where("id % 2 = 0 and dbname <> 'P'").withColumns({"price": F.col("price") + 1, "note": F.when(F.col("id") % 5 == 0, F.col("note")).otherwise("not taken")})
+    t.upsert(o.where("price < 400000 or dbname = 'P'"), ["dbname", "id"])
+    new = o.where("price >= 200000 and dbname <> 'P'").withColumns({"note": F.when(F.col("price") >= 400000, F.col("note")).otherwise("not taken"), "price": F.col("price") + 1})
     for _ in range(2):
         t.upsert(new, ["dbname", "id"], refresh=["price"])
     return t.read().select("dbname", "id", "price", "note")
@@ -120,18 +121,18 @@ def snk3_view_refresh(spark, d):
     s = fx.stmt(spark, d)
     t = _table(spark, "snk3", ["dbname", "begin_snap"])
     roll = lambda df: df.groupBy("dbname", "begin_snap").agg(F.count("*").alias("n"), F.round(F.sum("elapsed"), 2).alias("elapsed"))
-    early = s.where("begin_snap < 40 or sql_id % 2 = 0")
+    early = s.where("begin_snap < 40 or executions > 10")
     t.refresh(early, lambda keys: roll(early.join(keys, ["dbname", "begin_snap"], "left_semi")))
     t.refresh(s.where("begin_snap >= 40"), lambda keys: roll(s.join(keys, ["dbname", "begin_snap"], "left_semi")))
     return t.read().select("dbname", "begin_snap", "n", "elapsed")
 
 
-@query("SELECT o_orderstatus AS dbname, o_orderkey AS id FROM orders WHERE NOT (o_orderkey % 7 = 0 AND o_orderstatus <> 'F') AND o_orderstatus <> 'P'")
+@query("SELECT o_orderstatus AS dbname, o_orderkey AS id FROM orders WHERE NOT (o_totalprice > 300000 AND o_orderstatus <> 'F') AND o_orderstatus <> 'P'")
 def snk4_delete(spark, d):
-    o = _orders(spark, d).select("dbname", "id")
+    o = _orders(spark, d)
     t = _table(spark, "snk4", ["dbname"])
     t.insert_if_absent(o, ["dbname", "id"])
-    t.delete(o.where("(id % 7 = 0 and dbname <> 'F') or dbname = 'P'"), ["dbname", "id"])
+    t.delete(o.where("(price > 300000 and dbname <> 'F') or dbname = 'P'"), ["dbname", "id"])
     return t.read().select("dbname", "id")
 
 

@@ -164,9 +164,9 @@ def x14_plan_compare(spark, d):
     return out.groupBy("path", "sql_id", "status").agg(F.count("*").alias("steps"), F.round(F.sum("cost_delta"), 2).alias("cost_delta"))
 
 
-@query(f"WITH {STEP_SQL}, u AS (SELECT DISTINCT path, sql_id, object_name FROM st WHERE object_name IS NOT NULL), m AS (SELECT 'T' || (p_partkey % 60) AS n, max(p_partkey * 1e5) AS num_rows, max(CASE WHEN p_size % 10 <> 0 THEN p_size END) AS days, max(p_size % 7) AS blevel FROM part WHERE p_partkey % 60 < 45 GROUP BY ALL), j AS (SELECT * FROM u LEFT JOIN m ON object_name = n) SELECT path, sql_id, object_name, 'medium' AS severity, 'no metadata' AS warning FROM j WHERE num_rows IS NULL UNION ALL SELECT path, sql_id, object_name, 'high', 'no statistics' FROM j WHERE num_rows IS NOT NULL AND days IS NULL UNION ALL SELECT path, sql_id, object_name, 'medium', 'stale statistics' FROM j WHERE days > 30 UNION ALL SELECT path, sql_id, object_name, 'medium', 'deep index' FROM j WHERE blevel >= 4 UNION ALL SELECT path, sql_id, object_name, 'info', 'large table' FROM j WHERE num_rows >= 1e7")
+@query(f"WITH {STEP_SQL}, u AS (SELECT DISTINCT path, sql_id, object_name FROM st WHERE object_name IS NOT NULL), m AS (SELECT 'T' || (p_partkey % 60) AS n, max(p_partkey * 1e5) AS num_rows, max(CASE WHEN p_size % 10 <> 0 THEN p_size END) AS days, max(p_size % 7) AS blevel FROM part WHERE p_size <= 2 GROUP BY ALL), j AS (SELECT * FROM u LEFT JOIN m ON object_name = n) SELECT path, sql_id, object_name, 'medium' AS severity, 'no metadata' AS warning FROM j WHERE num_rows IS NULL UNION ALL SELECT path, sql_id, object_name, 'high', 'no statistics' FROM j WHERE num_rows IS NOT NULL AND days IS NULL UNION ALL SELECT path, sql_id, object_name, 'medium', 'stale statistics' FROM j WHERE days > 30 UNION ALL SELECT path, sql_id, object_name, 'medium', 'deep index' FROM j WHERE blevel >= 4 UNION ALL SELECT path, sql_id, object_name, 'info', 'large table' FROM j WHERE num_rows >= 1e7")
 def x15_plan_metadata_warnings(spark, d):
-    p = fx.table(spark, d, "part").where("p_partkey % 60 < 45")
+    p = fx.table(spark, d, "part").where("p_size <= 2")
     meta = p.select(F.concat(F.lit("T"), (F.col("p_partkey") % 60).cast("string")).alias("object_name"), (F.col("p_partkey") * 1e5).alias("num_rows"), F.when(F.col("p_size") % 10 != 0, F.col("p_size")).alias("analysed_days"), (F.col("p_size") % 7).alias("blevel"))
     return listings.metadata_warnings(plan_text.plan_steps(ft.plan_texts(spark, d)), meta, ["path", "sql_id"])
 
