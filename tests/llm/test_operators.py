@@ -59,6 +59,21 @@ def test_minhash_components(docs_of, odd_texts):
     assert all(x["kept"] == (i == x["component_id"]) for i, x in got.items())
 
 
+def test_minhash_links_in_large_families(docs_of):
+    r = random.Random(8)
+    shared = [f"s{k}" for k in range(424)]  # 420 of 495 shingles: similarity 0.74, so no two of the family are linked
+
+    def member(i):
+        return shared + [f"m{i}w{k}" for k in range(75)]
+
+    texts = [" ".join(member(i)) for i in range(300)]
+    partners = {300 + n: i for n, i in enumerate(r.sample(range(300), 30))}
+    for n, i in partners.items():  # 432 of 558 shingles shared with its own member: 0.77
+        texts.append(" ".join(shared + [f"m{i}w{k}" for k in range(12)] + [f"p{n}w{k}" for k in range(63)]))
+    got = by_id(minhash_dedup.op1_minhash_dedup(docs_of(texts)))
+    assert {i: x["component_id"] for i, x in got.items()} == {i: partners.get(i, i) for i in range(330)}
+
+
 def test_minhash_empty(docs_of):
     assert minhash_dedup.op1_minhash_dedup(docs_of(["x"]).where("false")).count() == 0
 

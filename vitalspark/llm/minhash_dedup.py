@@ -8,12 +8,14 @@
    ``BLOCK``, so a hot document's partners spread over many tasks.
 4. Connected components of the verified links.
 5. Buckets whose members still lie in different components are searched again, across components only: all such pairs in buckets of up to
-   ``SMALL`` members; in larger ones a leader drawn anew each turn, with the members of other components. A turn that finds no link is
-   the last.
+   ``SMALL`` members; in larger ones a leader drawn anew each turn, with the members of other components. These turns are cheap and join
+   most of what belongs together; a turn that finds no link is the last.
+6. Large buckets that are mixed even then are compared whole: members are dealt to blocks of about ``BLOCK``, a task takes two blocks and
+   compares all pairs of different components, first by signature, then by full sets. Only links leave a task.
 
 Words are compared as 64-bit hashes. A pair of similarity 0.75 meets in no band with a probability of
-(1 - 0.75**4)**32 = 5e-6. Every reported link is exact. A link inside buckets of more than ``SMALL`` members can only be missed if, in all
-bands and turns, neither end was ever a leader while they were apart, and no chain of other links joins their components.
+(1 - 0.75**4)**32 = 5e-6. Every reported link is exact, and every pair that shares a band is compared or already in one component. The work of
+step 6 grows with the square of the members that stay apart in one bucket, in tasks of bounded size.
 
 Null or wordless texts are linked with nothing; texts of fewer than five words are one shingle. Equal rows and ties resolve to the
 smallest id. Extra columns are not read. An empty table gives an empty result.
@@ -188,6 +190,89 @@ def _cross_pairs(rows: DataFrame, seed: int, scratch: Scratch) -> DataFrame:
     return x.select("a", "b", F.lit(SMALL).cast("long").alias("n")).union(large).groupBy("a", "b").agg(F.max("n").alias("n"))
 
 
+def _block_rows(rows: DataFrame, sketches: DataFrame, scratch: Scratch) -> DataFrame:
+    """Members of mixed buckets of more than SMALL members, once for each pair of blocks (p <= q) that is to be compared. ``rows``: key, id, component.
+
+    Members of the largest component of a bucket are in blocks below 0, the others in blocks from 0; two blocks below 0 hold no pair to compare."""
+    mixed = rows.groupBy("key").agg(F.count("*").alias("n"), F.min("component").alias("lo"), F.max("component").alias("hi")).where((F.col("lo") < F.col("hi")) & (F.col("n") > SMALL)).select(F.col("key").alias("k"))
+    held = scratch.table(rows.join(mixed, F.col("key") == F.col("k")).drop("k"))
+    sizes = held.groupBy("key", "component").agg(F.count("*").alias("n")).groupBy("key").agg(F.max_by("component", F.struct("n", "component")).alias("main"), F.max("n").alias("m"), F.sum("n").alias("n"))
+    blocks = sizes.select("key", "main", F.ceil(F.col("m") / BLOCK).cast("int").alias("mains"), F.ceil((F.col("n") - F.col("m")) / BLOCK).cast("int").alias("others"))
+    dealt = F.xxhash64("id", F.lit(3))
+    d = held.join(blocks, "key").withColumn("is_main", F.col("component") == F.col("main"))
+    d = d.withColumn("block", F.when(F.col("is_main"), -1 - F.pmod(dealt, F.col("mains"))).otherwise(F.pmod(dealt, F.col("others"))).cast("int"))
+    d = d.join(sketches.select("id", "signature", "bands"), "id")
+    d = d.withColumn("facing", F.explode(F.when(F.col("is_main"), F.sequence(F.lit(0), F.col("others") - 1)).otherwise(F.sequence(-F.col("mains"), F.col("others") - 1))))
+    return d.select("key", F.least("block", "facing").alias("p"), F.greatest("block", "facing").alias("q"), "block", "id", "component", "signature", "bands")
+
+
+def _open_pairs(t: pa.Table, least: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Rows of block p, rows of block q, and which of their pairs are of different components, of similar signatures and share no earlier band."""
+    key, p, q = (t.column(c)[0].as_py() for c in ("key", "p", "q"))
+    block, comp = t.column("block").to_numpy(), t.column("component").to_numpy()
+    left, right = np.flatnonzero(block == p), np.flatnonzero(block == q)
+    sig = np.frombuffer(b"".join(t.column("signature").to_pylist()), np.uint8).reshape(t.num_rows, -1)
+    bands = t.column("bands").combine_chunks().flatten().to_numpy().reshape(t.num_rows, -1)
+    ok = comp[left][:, None] != comp[right][None, :]
+    if p == q:
+        ok &= left[:, None] < right[None, :]
+    if ok.any():
+        for k in range(int(np.flatnonzero(bands[0] == key)[0])):
+            ok &= bands[left, k][:, None] != bands[right, k][None, :]
+        same = np.zeros(ok.shape, np.uint16)
+        for k in range(sig.shape[1]):
+            same += sig[left, k][:, None] == sig[right, k][None, :]
+        ok &= (same / sig.shape[1] - 1 / 256) / (1 - 1 / 256) >= least
+    return left, right, ok
+
+
+def _hopeful(least: float):
+    """The members of two blocks that have an open pair."""
+
+    def run(t: pa.Table) -> pa.Table:
+        left, right, ok = _open_pairs(t, least)
+        return t.take(pa.array(np.unique(np.concatenate([left[ok.any(axis=1)], right[ok.any(axis=0)]])), pa.int64()))
+
+    return run
+
+
+def _verify_blocks(threshold: int, least: float):
+    """Links between the components of two blocks; a pair whose components are joined by links found here before is not compared."""
+
+    def run(t: pa.Table) -> pa.Table:
+        left, right, ok = _open_pairs(t, least)
+        data, off = bt.utf8(t.column("text").combine_chunks())
+        sets: list[np.ndarray] = []
+        for i, j in bt.pieces(off):
+            v, first = distinct_rows(*shingle_rows(data[off[i] : off[j]], off[i : j + 1] - off[i]))
+            sets += [v[a:b] for a, b in zip(first[:-1], first[1:], strict=True)]
+        _, comp = np.unique(t.column("component").to_numpy(), return_inverse=True)
+        u, v = [], []
+        for x, row in zip(left, ok, strict=True):
+            for y in right[row]:
+                a, b = sets[x], sets[y]
+                if comp[x] == comp[y] or min(len(a), len(b)) * 100 < threshold * max(len(a), len(b)):
+                    continue
+                both = int((a[np.minimum(np.searchsorted(a, b), len(a) - 1)] == b).sum())
+                if both and 100 * both >= threshold * (len(a) + len(b) - both):
+                    u.append(x)
+                    v.append(y)
+                    comp[comp == comp[y]] = comp[x]
+        ids = t.column("id").to_numpy()
+        return pa.table({"u": pa.array(ids[u], pa.int64()), "v": pa.array(ids[v], pa.int64())})
+
+    return run
+
+
+def _links_of_blocks(rows: DataFrame, sketches: DataFrame, texts: DataFrame, threshold: int, scratch: Scratch) -> DataFrame:
+    """All links (u, v) that large mixed buckets still hold, up to chains within a task. Texts are read only for members with an open pair."""
+    least = threshold / 100 - 0.2
+    kind = "key long, p int, q int, block int, id long, component long, signature binary, bands array<long>"
+    held = scratch.table(_block_rows(rows, sketches, scratch).groupBy("key", "p", "q").applyInArrow(_hopeful(least), kind))
+    full = held.join(texts, "id")
+    return scratch.table(full.groupBy("key", "p", "q").applyInArrow(_verify_blocks(threshold, least), "u long, v long"))
+
+
 def _join_components(found: DataFrame, links: DataFrame, scratch: Scratch) -> DataFrame:
     """(id, component) after new links: only the components that the links join are solved anew."""
     ends = links.select(F.col("u").alias("id")).union(links.select("v")).distinct()
@@ -211,17 +296,20 @@ def near_duplicates(docs: DataFrame, threshold: int = 75, id_column: str = "doc_
     leads = banded.groupBy("key").agg(F.min("id").alias("a"), F.count("*").alias("n")).where("n > 1")
     asked = scratch.table(banded.join(leads, "key").where("id <> a").groupBy("a", F.col("id").alias("b")).agg(F.max("n").alias("n")))
     links = scratch.table(_confirm(asked, alone, texts, threshold, scratch, many=True))
+    in_buckets = lambda: alone.join(found, "id", "left").select(F.explode("bands").alias("key"), "id", F.coalesce("component", "id").alias("component"))
     found, turn, more = scratch.table(components(links, scratch).toDF("id", "component")), 0, None
     while more is None or not more.isEmpty():
         if more is not None:
             found = _join_components(found, more, scratch)
-        rows = alone.join(found, "id", "left").select(F.explode("bands").alias("key"), "id", F.coalesce("component", "id").alias("component"))
-        new = scratch.table(_cross_pairs(rows, turn, scratch).join(asked, ["a", "b"], "left_anti"))
+        new = scratch.table(_cross_pairs(in_buckets(), turn, scratch).join(asked, ["a", "b"], "left_anti"))
         turn += 1
         if new.isEmpty():
             break
         asked = scratch.table(asked.union(new))
         more = scratch.table(_confirm(new, alone, texts, threshold, scratch))
+    rest = _links_of_blocks(in_buckets(), alone, texts, threshold, scratch)
+    if not rest.isEmpty():
+        found = _join_components(found, rest, scratch)
     owner = reps.join(found.toDF("rep", "component"), "rep", "left").select("id", F.coalesce("component", "rep").alias("component"))
     out = sketches.select("id", "n_shingles").join(owner, "id", "left").select("id", "n_shingles", F.coalesce("component", "id").alias("component_id"))
     return out.select(F.col("id").alias(id_column), "n_shingles", "component_id", (F.col("id") == F.col("component_id")).alias("kept"))
