@@ -326,6 +326,17 @@ def test_sharding(docs_of, odd_texts):
     assert len(sharding.op8_sharding(docs_of(["a", "b", None])).collect()) == 3
 
 
+def test_sharding_of_a_third_of_all_rows(docs_of):
+    n = 12_000
+    texts = ["hot" if i % 3 == 0 else f"pair {i // 40}" if i % 40 < 2 else f"unique {i}" for i in range(n)]
+    rows = sharding.op8_sharding(docs_of(texts)).collect()
+    assert len(rows) == n and len({r["shard"] for r in rows if texts[r["doc_id"]] == "hot"}) == 3  # 4,000 rows, 1,500 a shard
+
+
+def test_quotas_fill_a_target():
+    assert sharding.quotas({(a, 7): 5 for a in range(7)}, [100] * 7 + [99], [102] * 8) == {(a, 7): int(a < 3) for a in range(7)}
+
+
 def test_quotas():
     got = sharding.quotas({(0, 1): 50, (2, 1): 50, (1, 2): 10}, [100, 100, 100], [102, 102, 102])
     after = [100 - got[0, 1], 100 + got[0, 1] + got[2, 1] - got[1, 2], 100 - got[2, 1] + got[1, 2]]

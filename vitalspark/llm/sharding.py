@@ -2,7 +2,9 @@
 
 Documents with equal texts are linked. Every document starts in the shard its id hashes to. In each round a linked document asks for the
 shard that holds most of its group, of those not yet full; the driver sees only the table of wishes by (from, to) - shards squared numbers - and cuts it
-to quotas that keep every shard's linked documents within its share; wishes are granted largest groups first. At the end the surplus of
+to quotas that keep every shard's linked documents within its share; wishes are granted largest groups first. A target that cannot take all that is wished
+is filled to its last place, so the rest of a large group wishes for the next open shard; rounds go on until nothing is wished. They end: a move
+only ever goes to a shard that holds at least as many of the group as the one it leaves, so the sum of squares grows. At the end the surplus of
 each shard moves to shards with room, unlinked documents first, until the counts are at most one apart (law ``rows``).
 
 Ranks are never taken in one task: rows are counted in (class, bucket) cells, of which there is a bounded number, and a row's rank is its
@@ -18,8 +20,6 @@ from pyspark.sql import functions as F
 
 from .scratch import Scratch
 
-ROUNDS = 4
-
 
 def ranked(df: DataFrame, by: list[str], order: list[str], rows: int, name: str = "rank") -> DataFrame:
     """Adds the rank (from 0) of each row among those of equal ``by``, ordered by ``order`` (few values), a hash and the id."""
@@ -34,9 +34,10 @@ def ranked(df: DataFrame, by: list[str], order: list[str], rows: int, name: str
 
 
 def quotas(wishes: dict[tuple[int, int], int], counts: list[int], most: list[int]) -> dict[tuple[int, int], int]:
-    """The largest shares of the wishes, cut down per target, that leave no shard above ``most``."""
+    """The largest shares of the wishes, cut down per target, that leave no shard above ``most``. A target whose wishes are cut is filled: what
+    rounding leaves goes to its largest wishes. Every pass but the last cuts something, so the passes end."""
     granted = dict(wishes)
-    for _ in range(4 * len(counts)):
+    while True:
         done = True
         for t in range(len(counts)):
             into = sum(n for (_, b), n in granted.items() if b == t)
@@ -44,12 +45,13 @@ def quotas(wishes: dict[tuple[int, int], int], counts: list[int], most: list[int
             room = max(0, most[t] - counts[t] + out)
             if into > room:
                 done = False
-                for a, b in granted:
-                    if b == t:
-                        granted[a, b] = granted[a, b] * room // into
+                wished = {k: n for k, n in granted.items() if k[1] == t}
+                granted.update({k: n * room // into for k, n in wished.items()})
+                left = room - sum(granted[k] for k in wished)
+                for k in sorted(wished, key=lambda k: (-wished[k], k))[:left]:
+                    granted[k] += 1
         if done:
             return granted
-    return granted if all(counts[t] + sum(n for (_, b), n in granted.items() if b == t) - sum(n for (a, _), n in granted.items() if a == t) <= max(most[t], counts[t]) for t in range(len(counts))) else {}
 
 
 def _quota(of: dict[tuple[int, int], int], a: str, b: str) -> F.Column:
@@ -59,7 +61,7 @@ def _quota(of: dict[tuple[int, int], int], a: str, b: str) -> F.Column:
     return out
 
 
-def shard_documents(docs: DataFrame, shards: int = 8, id_column: str = "doc_id", text_column: str = "text", rounds: int = ROUNDS) -> DataFrame:
+def shard_documents(docs: DataFrame, shards: int = 8, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """(id, size, text_crc32, group, shard, slot) of every row."""
     scratch = Scratch(docs.sparkSession, "sharding")
     text = F.coalesce(F.col(text_column), F.lit(""))
@@ -77,7 +79,7 @@ def shard_documents(docs: DataFrame, shards: int = 8, id_column: str = "doc_id",
     groups = scratch.table(state.groupBy("group").agg(F.count("*").alias("members")).where("members > 1").withColumn("heavy", -F.floor(F.log2("members")).cast("int")).drop("members"))
     cols = ["id", "size", "text_crc32", "group", "shard", "heavy"]
     state = scratch.table(state.join(groups, "group", "left").select(*cols))
-    for _ in range(rounds):
+    while True:
         linked = state.where("heavy is not null")
         filled = counted(linked)
         open_ = F.col("shard").isin([s for s in range(shards) if filled[s] < share[s]])
