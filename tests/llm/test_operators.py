@@ -306,6 +306,16 @@ def test_secret_scan(docs_of, odd_texts):
 # --- 8 ---------------------------------------------------------------------------------------------------------------
 
 
+def test_secrets_of_letters_and_behind_paths(docs_of):
+    keys = ["QhZvKwPjXgTrMdLcBnFyQhZvKwPjXg", "qhzvkwpjxgtrmdlcbnfyqhzvkwpjxgtr"]
+    path = "documents/projects/reports/archive/history/files/" * 2
+    texts = [f"a {k} b" for k in keys] + [f"a {path}Xq7Zp9Lk2Vb8Nm4Rt6Yw1Dc3Hf5Js0 b", f"a {path}{keys[0]} b"]
+    clean = [path, "internationalization_of_communication", "getResponseFromApplicationServer", "Donaudampfschifffahrtsgesellschaft", "-" * 30, "1234-5678-9012-3456-7890", f"{path}123e4567-e89b-12d3-a456-426614174000"]
+    got = by_id(secret_scan.op7_secret_scan(docs_of(texts + clean), RANKS, queries.split_pattern()))
+    assert [got[i]["spans"] for i in range(4)] == ["random:2:32", "random:2:34", f"random:{2 + len(path)}:{32 + len(path)}", f"random:{2 + len(path)}:{32 + len(path)}"]
+    assert all(got[4 + i]["spans"] == "" for i in range(len(clean)))
+
+
 def test_sharding(docs_of, odd_texts):
     texts = list(odd_texts) + [f"unique {i}" for i in range(700)] + ["same group"] * 30 + ["hot"] * 500
     d = docs_of(texts)

@@ -2,9 +2,10 @@
 
 Base kinds, leftmost and without overlap within a kind; a match that fails its length is dropped:
 ``assign`` (a named value), ``access`` (AKIA keys), ``hex`` (24 or more hex digits). The method adds ``random``:
-a run of 20 or more key characters of at least two classes, one of them digits, whose characters per token under
-a tiktoken vocabulary are below ``ratio``. Known digests (hex of the usual lengths), UUIDs, plain numbers and words joined
-by ``_``, ``-``, ``/`` or ``.`` are not taken as random, nor is a run that a base span already covers.
+a run of 20 or more key characters whose characters per token under a tiktoken vocabulary are below ``below``, or below ``LETTERS``
+if it has no digit or is one word. Known digests (hex of the usual lengths), UUIDs, plain numbers and words joined with numbers
+by ``_``, ``-``, ``/``, ``+`` or ``=`` are not taken as random, nor is a run that a base span already covers. In a run that is not random as a
+whole (a key behind a readable path), the stretches between readable words and the single parts of 20 or more characters are tested likewise.
 
 Offsets count code points, ends are exclusive. Null and empty texts have no spans. Extra columns are not read.
 """
@@ -31,6 +32,13 @@ UUID = re.compile(r"[0-9A-Fa-f]{8}-[0-9A-Fa-f]{4}-[0-9A-Fa-f]{4}-[0-9A-Fa-f]{4}-
 HEX_ONLY = re.compile(r"[0-9a-f]+|[0-9A-F]+")
 IDENTIFIER = re.compile(r"(?:(?:[A-Z]?[a-z]+|[A-Z]+|[0-9]{1,4})(?:[_/=+-]+|$))+")
 
+#: A part of a run that reads as a word or a short number, and what joins parts.
+WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|[0-9]{1,4}")
+PART = re.compile(r"[A-Za-z0-9]+")
+LEAST = 20
+#: Characters per token below which a run without digits is random: words are known to the vocabulary, drawn letters are not.
+LETTERS = 1.7
+
 SPANS = "array<struct<kind:string,start:int,end:int>>"
 
 
@@ -65,21 +73,43 @@ _RATIOS: dict[str, Ratio] = {}
 
 
 def is_known(s: str) -> bool:
-    """Digests, UUIDs, plain numbers and joined words: they name something, they open nothing."""
-    if s.isdigit() or UUID.fullmatch(s) or (len(s) in DIGEST_LENGTHS and HEX_ONLY.fullmatch(s)):
+    """Digests, UUIDs, plain numbers and words joined with numbers: they name something, they open nothing."""
+    if not any(c.isalpha() for c in s) or UUID.fullmatch(s) or (len(s) in DIGEST_LENGTHS and HEX_ONLY.fullmatch(s)):
         return True
-    has = (any(c.isdigit() for c in s), any("a" <= c <= "z" for c in s), any("A" <= c <= "Z" for c in s))
-    return not has[0] or sum(has) < 2 or IDENTIFIER.fullmatch(s) is not None
+    return any(c.isdigit() for c in s) and IDENTIFIER.fullmatch(s) is not None
+
+
+def is_random(s: str, ratio: Ratio, below: float) -> bool:
+    return len(s) >= LEAST and not is_known(s) and ratio(s) < (below if any(c.isdigit() for c in s) else min(below, LETTERS))
+
+
+def random_parts(s: str, ratio: Ratio, below: float) -> list[tuple[int, int]]:
+    """Random spans within a run: stretches of parts none of which is a readable word, else the single parts of a stretch."""
+    stretches: list[list[tuple[int, int]]] = [[]]
+    for m in PART.finditer(s):
+        p = m.group()
+        if WORD.fullmatch(p) and (len(p) < 4 or ratio(p) >= 2):
+            stretches.append([])
+        else:
+            stretches[-1].append(m.span())
+    out = []
+    for parts in filter(None, stretches):
+        whole = (parts[0][0], parts[-1][1])
+        if is_random(s[whole[0] : whole[1]], ratio, below):
+            out.append(whole)
+        elif not is_known(s[whole[0] : whole[1]]):
+            out += [(a, b) for a, b in parts if is_random(s[a:b], ratio, below)]
+    return out
 
 
 def random_spans(text: str, ratio: Ratio, below: float, taken: list[tuple[int, int, str]]) -> list[tuple[int, int, str]]:
     out = []
     for m in CANDIDATE.finditer(text):
         s = m.group()
-        if any(a <= m.start() and m.end() <= b for a, b, _ in taken) or is_known(s):
-            continue
-        if ratio(s) < below:
-            out.append((m.start(), m.end(), "random"))
+        spans = [(0, len(s))] if is_random(s, ratio, below) else [] if UUID.fullmatch(s) else random_parts(s, ratio, below)
+        for x, y in spans:
+            if not any(a <= m.start() + x and m.start() + y <= b for a, b, _ in taken):
+                out.append((m.start() + x, m.start() + y, "random"))
     return out
 
 
