@@ -2,6 +2,7 @@
 
 language    documents without an identified language go
 near_dups   of each group of near-duplicates the smallest doc_id stays
+            a document without an id has nothing to be told by and always stays, here and in the other stages
 benchmarks  passages of ``benchmark`` are cut out of the texts; a document of which no word is left goes
 secrets     secrets in the texts are replaced by a mark
 pieces      the texts become SentencePiece numbers; this last stage returns them instead of the texts
@@ -25,8 +26,8 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dups(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    kept = minhash_dedup.near_duplicates(docs).where("kept").select("doc_id")
-    return docs.join(kept, "doc_id", "left_semi")
+    gone = minhash_dedup.near_duplicates(docs).where("not kept").select("doc_id")
+    return docs.join(gone, "doc_id", "left_anti")
 
 
 def benchmarks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -28,6 +28,33 @@ def test_stages(spark, sf_dir):
     assert all((secret_scan.base_spans(before[i]) == []) or "[SECRET]" in after[i] for i in before)
 
 
+def test_documents_without_ids_stay(spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    passage = spark.read.parquet(f"{sf_dir}/benchmark.parquet").orderBy("item_id").first()["text"]
+    texts = docs.where("text is not null and doc_id is not null").orderBy(F.desc("n_chars")).limit(2)
+    loose = texts.withColumn("doc_id", F.lit(None).cast(docs.schema["doc_id"].dataType)).withColumn("text", F.concat(F.lit(passage + " "), F.col("text"), F.lit(" password=hunter22zz")))
+    loose = spark.createDataFrame(loose.collect() * 2, docs.schema)  # each twice
+    both = docs.where("doc_id % 10 = 0").union(loose)
+    for name, stage in corpus_pipeline.STAGES:
+        out = stage(spark, both, sf_dir)
+        mine = [r.asDict() for r in out.where("doc_id is null").collect()]
+        assert len(mine) == 4, name
+        if name == "benchmarks":
+            assert all(passage not in r["text"] for r in mine)
+        if name == "secrets":
+            assert all("hunter22zz" not in r["text"] for r in mine)
+
+
+def test_texts_of_many_languages_stay(spark):
+    from vitalspark.llm import language_id
+
+    words = {"en": "the house and water with people ", "de": "das haus und wasser mit leuten ", "fr": "la maison et cette eau avec nous "}
+    rows = [(i, w * 8, k) for i, (k, w) in enumerate(words.items())]
+    train = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    mixed = spark.createDataFrame([(9, "".join(w * 8 for w in words.values()), None), (10, "12", None)], train.schema)
+    assert [r["doc_id"] for r in language_id.keep_identified(mixed, language_id.learn(train.select("text", "lang"))).collect()] == [9]
+
+
 def test_run(spark, sf_dir):
     out = corpus_pipeline.run(spark, sf_dir).collect()
     assert out and all(r["round_trip"] for r in out) and len({r["doc_id"] for r in out}) == len(out)

@@ -182,10 +182,19 @@ def op10_decontaminate(docs: DataFrame, items: DataFrame) -> DataFrame:
 
 def remove_hits(docs: DataFrame, items: DataFrame) -> DataFrame:
     """The documents with hit passages cut out (from the first byte of the first hit word to the last byte of the last);
-    documents of which no word remains go. Documents without hits stay as they are; the columns stay."""
-    found, _ = contamination(docs, items)
-    spans = found.where(F.size("spans") > 0).select(F.col("id").alias("__id"), F.col("spans").alias("__spans"))
-    joined = docs.join(spans, docs["doc_id"] == spans["__id"], "left").drop("__id")
+    documents of which no word remains go. Documents without hits stay as they are; the columns stay. Documents without an id are
+    found by their text."""
+
+    def with_spans(part: DataFrame, key: F.Column, named: DataFrame) -> DataFrame:
+        found, _ = contamination(named, items)
+        spans = found.where(F.size("spans") > 0).select(F.col("id").alias("__id"), F.col("spans").alias("__spans"))
+        return part.withColumn("__key", key).join(spans, F.col("__key") == F.col("__id"), "left").drop("__key", "__id")
+
+    named, loose = docs.where("doc_id is not null"), docs.where("doc_id is null")
+    joined = with_spans(named, F.col("doc_id"), named)
+    if not loose.isEmpty():
+        digest = F.sha2(F.col("text").cast("binary"), 256)
+        joined = joined.union(with_spans(loose, digest, loose.select(digest.alias("doc_id"), "text").distinct()))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -229,8 +229,8 @@ def op5_language_id(docs: DataFrame) -> DataFrame:
     return identify(docs, learn(train)).select("doc_id", held_out().alias("held_out"), "lang_pred", "score")
 
 
-def keep_identified(docs: DataFrame, model: Model, least: float = 0.5, text_column: str = "text", lang_column: str = "lang", rows: int = 1024) -> DataFrame:
-    """The documents whose language is known: not ``und``, and one language with at least ``least`` of the letters. A null label is
+def keep_identified(docs: DataFrame, model: Model, text_column: str = "text", lang_column: str = "lang", rows: int = 1024) -> DataFrame:
+    """The documents whose language is known: not ``und``. A null label is
     filled with the prediction. All columns stay; the texts are read once and not shuffled."""
     cast = docs.sparkSession.sparkContext.broadcast(model)
 
@@ -240,9 +240,9 @@ def keep_identified(docs: DataFrame, model: Model, least: float = 0.5, text_colu
             at, to = batch.schema.get_field_index(text_column), batch.schema.get_field_index(lang_column)
             for i in range(0, batch.num_rows, rows):
                 part = batch.slice(i, rows)
-                lang, score = labeller.predict(part.column(at).to_pylist())
+                lang, _ = labeller.predict(part.column(at).to_pylist())
                 label = [x if x is not None else y for x, y in zip(part.column(to).to_pylist(), lang, strict=True)]
                 part = part.set_column(to, batch.schema.field(to), pa.array(label, batch.schema.field(to).type))
-                yield part.filter(pa.array([x != UND and s >= least for x, s in zip(lang, score, strict=True)], pa.bool_()))
+                yield part.filter(pa.array([x != UND for x in lang], pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)
