@@ -21,8 +21,7 @@ from vitalspark.llm.scratch import Scratch
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    train = docs.where(~language_id.held_out() & F.col("lang").isNotNull() & F.col("text").isNotNull()).select("text", "lang")
-    return language_id.keep_identified(docs, language_id.learn(train))
+    return language_id.keep_identified(docs, language_id.learn(language_id.training_rows(docs)))
 
 
 def near_dups(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -36,6 +37,15 @@ def pieces(offsets: np.ndarray, most: int = 1 << 20) -> Iterator[tuple[int, int]
         i = j
 
 
+def slices(batches: Iterator[pa.RecordBatch], column: int, most: int = 1 << 20) -> Iterator[pa.RecordBatch]:
+    """The batches cut by rows to about ``most`` bytes of a string column each, or to one longer row. Memory that Arrow holds back goes at the end."""
+    for batch in batches:
+        _, off = utf8(batch.column(column))
+        for i, j in pieces(off, most):
+            yield batch.slice(i, j - i)
+    pa.default_memory_pool().release_unused()
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """A 64-bit finaliser (xor-shift and multiply)."""
     x = x ^ (x >> U64(32))
@@ -45,27 +55,21 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> U64(32))
 
 
-class Powers:
-    """Powers of the hash base and of its inverse modulo 2**64, grown on demand."""
-
-    def __init__(self) -> None:
-        self.up = self.down = np.ones(1, U64)
-
-    def get(self, n: int) -> tuple[np.ndarray, np.ndarray]:
-        if len(self.up) < n:
-            size = max(n, 1 << 16)
-            up, down = np.full(size, U64(_BASE)), np.full(size, U64(_INV))
-            up[0] = down[0] = 1
-            self.up, self.down = np.multiply.accumulate(up), np.multiply.accumulate(down)
-        return self.up, self.down
+def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """The first ``n`` powers of the hash base and of its inverse modulo 2**64."""
+    up, down = np.full(n, U64(_BASE)), np.full(n, U64(_INV))
+    up[0] = down[0] = 1
+    return np.multiply.accumulate(up), np.multiply.accumulate(down)
 
 
-_POWERS = Powers()
+@lru_cache(maxsize=1)
+def _small_powers() -> tuple[np.ndarray, np.ndarray]:
+    return _powers(1 << 17)
 
 
 def span_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
     """64-bit hash of data[start:end] for each span, from one running polynomial sum."""
-    up, down = _POWERS.get(len(data) + 1)
+    up, down = _small_powers() if len(data) < 1 << 17 else _powers(len(data) + 1)
     run = np.zeros(len(data) + 1, U64)
     np.cumsum((data.astype(U64) + U64(1)) * up[: len(data)], out=run[1:])
     return mix((run[end] - run[start]) * down[start] + (end - start).astype(U64))
