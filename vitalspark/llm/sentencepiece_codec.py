@@ -19,7 +19,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 from itertools import chain
 
 import numpy as np
@@ -27,6 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import bytetext as bt
 from .bytetext import ranges
 
 MARK = "▁"
@@ -34,7 +35,8 @@ UNKNOWN_PENALTY = 10.0
 #: Kinds of pieces in a model file; fixed values of the format.
 NORMAL, UNKNOWN, CONTROL, USER_DEFINED, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 UNIGRAM, BPE = 1, 2
-CACHE = 600_000
+#: Parts, and their characters, that a task remembers.
+CACHE, CACHE_CHARACTERS = 150_000, 4 << 20
 
 
 @dataclass
@@ -43,6 +45,9 @@ class Vocabulary:
     scores: list[float]
     kinds: list[int]
     model_type: int = UNIGRAM
+    #: Settings of the model's normaliser: a marker in front of a text, and runs of blanks made one.
+    dummy_prefix: bool = True
+    one_blank: bool = False
 
 
 def _fields(raw: bytes) -> Iterator[tuple[int, int | bytes]]:
@@ -72,7 +77,8 @@ def _fields(raw: bytes) -> Iterator[tuple[int, int | bytes]]:
 
 
 def load(raw: bytes) -> Vocabulary:
-    """Reads a serialised model: field 1 a piece (1 text, 2 score, 3 kind), field 2 the trainer's settings (3 the model type)."""
+    """Reads a serialised model: field 1 a piece (1 text, 2 score, 3 kind), field 2 the trainer's settings (3 the model type), field 3 the normaliser's
+    (2 character map, 3 marker in front, 4 runs of blanks made one, 5 blanks become markers). A model with a character map, or without markers, is refused."""
     v = Vocabulary([], [], [])
     for number, value in _fields(raw):
         if number == 1:
@@ -89,6 +95,11 @@ def load(raw: bytes) -> Vocabulary:
             v.kinds.append(kind)
         elif number == 2:
             v.model_type = next((x for k, x in _fields(value) if k == 3), UNIGRAM)
+        elif number == 3:
+            found = dict(_fields(value))
+            if found.get(2) or not found.get(5, 1):
+                raise ValueError("models with a character map or without whitespace markers are not supported")
+            v.dummy_prefix, v.one_blank = bool(found.get(3, 1)), bool(found.get(4, 1))
     return v
 
 
@@ -98,7 +109,7 @@ def log_scores(v: Vocabulary) -> Vocabulary:
     rank = -np.array(v.scores) + 2
     normal = np.array(v.kinds) == NORMAL
     h = np.log((1 / rank[normal]).sum())
-    return Vocabulary(v.pieces, [float(-np.log(r) - h) if ok else s for r, ok, s in zip(rank, normal, v.scores, strict=True)], v.kinds)
+    return replace(v, scores=[float(-np.log(r) - h) if ok else s for r, ok, s in zip(rank, normal, v.scores, strict=True)], model_type=UNIGRAM)
 
 
 def double_array(keys: list[bytes], values: list[int]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -161,9 +172,10 @@ class Codec:
         self.text = [bytes([int(p[1:-1], 16)]) if k == BYTE else (p.replace(MARK, " ").encode() if k in (NORMAL, USER_DEFINED, UNUSED) else b"") for p, k in zip(v.pieces, v.kinds, strict=True)]
         own = [i for i, k in enumerate(v.kinds) if k in (NORMAL, USER_DEFINED)]
         self.base, self.check, self.value = double_array([v.pieces[i].encode() for i in own], own)
-        self.scores = np.array(v.scores, np.float32)
+        self.scores = np.array(v.scores, np.float64)  # path sums over long texts need all digits
         normal = [v.scores[i] for i, k in enumerate(v.kinds) if k == NORMAL]
-        self.unknown_score = np.float32((min(normal) if normal else 0.0) - UNKNOWN_PENALTY)
+        self.unknown_score = (min(normal) if normal else 0.0) - UNKNOWN_PENALTY
+        self.dummy_prefix, self.one_blank = v.dummy_prefix, v.one_blank
         self.unknown = next((i for i, k in enumerate(v.kinds) if k == UNKNOWN), 0)
         self.bytes = np.full(256, -1, np.int64)
         for i, k in enumerate(v.kinds):
@@ -200,13 +212,13 @@ class Codec:
         start = end - sizes
         data = np.frombuffer(b"".join(parts), np.uint8)
         a, b, piece = self.edges(data, start, end)
-        score = np.where(piece >= 0, self.scores[piece], self.unknown_score).astype(np.float32)
+        score = np.where(piece >= 0, self.scores[piece], self.unknown_score)
         part = np.searchsorted(end, a, "right")
         length = b - a
         # Step by the offset within the part, then by length: places reached in one step are distinct.
         order = np.argsort((a - start[part]) * (int(length.max()) + 1) + length, kind="stable")
         a, b, piece, score, length, offset = a[order], b[order], piece[order], score[order], length[order], (a - start[part])[order]
-        best = np.full(len(data) + len(parts) + 1, -np.inf, np.float32)
+        best = np.full(len(data) + len(parts) + 1, -np.inf)
         via = np.full(len(best), -1, np.int64)
         shift = part[order]  # part k's places are k further, so that its end is no other's start
         a, b = a + shift, b + shift
@@ -250,11 +262,16 @@ class Codec:
 
     def decode(self, ids: list[int] | np.ndarray) -> str:
         raw = b"".join([self.text[i] for i in ids])
-        return (raw[1:] if raw[:1] == b" " else raw).decode(errors="replace")
+        return (raw[1:] if self.dummy_prefix and raw[:1] == b" " else raw).decode(errors="replace")
+
+    def normal(self, text: str) -> str:
+        """The text as it is encoded, with blanks in place of markers and without the marker in front."""
+        text = text.replace(MARK, " ")
+        return re.sub(" +", " ", text).strip(" ") if self.one_blank else text
 
 
 class Encoder:
-    """Encodes texts with a codec, remembering at most ``CACHE`` parts."""
+    """Encodes texts with a codec; parts are remembered until there are ``CACHE`` of them or they hold ``CACHE_CHARACTERS``."""
 
     #: Bytes of parts solved together, and the longest part that is solved among others.
     TOGETHER, LONG = 1 << 20, 512
@@ -265,11 +282,13 @@ class Encoder:
 
     def _reset(self) -> None:
         self.at: dict[str, int] = {}
+        self.held = 0
         self.flat = [np.zeros(0, np.int32)]
         self.sizes = [np.zeros(0, np.int64)]
 
     def _learn(self, fresh: list[str]) -> None:
         fresh = sorted(fresh, key=len)
+        self.held += sum(map(len, fresh))
         group: list[str] = []
         held = 0
         for k, x in enumerate(fresh):
@@ -287,9 +306,12 @@ class Encoder:
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """All piece numbers, and where each text's begin (one more at the end)."""
         cut = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+").findall
-        marked = [MARK + x.replace(" ", MARK) if x else "" for x in texts]
+        if self.codec.one_blank:
+            texts = [self.codec.normal(x) for x in texts]
+        front = MARK if self.codec.dummy_prefix else ""
+        marked = [front + x.replace(" ", MARK) if x else "" for x in texts]
         parts = [cut(x) for x in marked] if self.codec.splits else [[x] if x else [] for x in marked]
-        if len(self.at) > CACHE:
+        if len(self.at) > CACHE or self.held > CACHE_CHARACTERS:
             self._reset()
         at = self.at
         flat = list(chain.from_iterable(parts))
@@ -306,21 +328,20 @@ class Encoder:
         return ids, ends
 
 
-def encode_decode(docs: DataFrame, codec: Codec, id_column: str = "doc_id", text_column: str = "text", rows: int = 512) -> DataFrame:
-    """(id, piece_ids, decoded, round_trip) of every row. ``round_trip``: decoding gives the text back, the marker read as a blank."""
+def encode_decode(docs: DataFrame, codec: Codec, id_column: str = "doc_id", text_column: str = "text", together: int = 1 << 20) -> DataFrame:
+    """(id, piece_ids, decoded, round_trip) of every row. ``round_trip``: decoding gives the text back, the marker read as a blank and, where
+    the model makes runs of blanks one, so made."""
     cast = docs.sparkSession.sparkContext.broadcast(codec)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = Encoder(cast.value)
-        for batch in batches:
-            for i in range(0, batch.num_rows, rows):
-                part = batch.slice(i, rows)
-                texts = [x or "" for x in part.column(1).to_pylist()]
-                ids, first = encoder.encode(texts)
-                back = [encoder.codec.decode(ids[a:b].tolist()) for a, b in zip(first[:-1], first[1:], strict=True)]
-                same = [x == y.replace(MARK, " ") for x, y in zip(back, texts, strict=True)]
-                lists = pa.ListArray.from_arrays(pa.array(first.astype(np.int32)), pa.array(ids.astype(np.int32)))
-                yield pa.RecordBatch.from_arrays([part.column(0), lists, pa.array(back, pa.string()), pa.array(same, pa.bool_())], ["id", "piece_ids", "decoded", "round_trip"])
+        for part in bt.slices(batches, 1, together):
+            texts = [x or "" for x in part.column(1).to_pylist()]
+            ids, first = encoder.encode(texts)
+            back = [encoder.codec.decode(ids[a:b].tolist()) for a, b in zip(first[:-1], first[1:], strict=True)]
+            same = [x == encoder.codec.normal(y) for x, y in zip(back, texts, strict=True)]
+            lists = pa.ListArray.from_arrays(pa.array(first.astype(np.int32)), pa.array(ids.astype(np.int32)))
+            yield pa.RecordBatch.from_arrays([part.column(0), lists, pa.array(back, pa.string()), pa.array(same, pa.bool_())], ["id", "piece_ids", "decoded", "round_trip"])
 
     kind = docs.select(F.col(id_column)).schema[0].dataType.simpleString()
     return docs.select(F.col(id_column).alias("id"), F.col(text_column).alias("text")).mapInArrow(run, f"id {kind}, piece_ids array<int>, decoded string, round_trip boolean").withColumnRenamed("id", id_column)
