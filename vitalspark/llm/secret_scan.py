@@ -19,6 +19,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import bytetext as bt
+
 KINDS = ("assign", "access", "hex", "random")
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.IGNORECASE | re.ASCII)
 ASSIGN_HINT = ("password", "passwd", "secret", "token", "apikey", "api_key")
@@ -69,9 +71,6 @@ class Ratio:
         return len(s) / len(self.encode(s))
 
 
-_RATIOS: dict[str, Ratio] = {}
-
-
 def is_known(s: str) -> bool:
     """Digests, UUIDs, plain numbers and words joined with numbers: they name something, they open nothing."""
     if not any(c.isalpha() for c in s) or UUID.fullmatch(s) or (len(s) in DIGEST_LENGTHS and HEX_ONLY.fullmatch(s)):
@@ -123,11 +122,9 @@ def secret_scan(docs: DataFrame, ranks_file: str, pattern: str, below: float = 2
     """(id, spans) of every row; ``spans`` is sorted by start, then kind."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if ranks_file not in _RATIOS:
-            _RATIOS[ranks_file] = Ratio(ranks_file, pattern)
-        ratio = _RATIOS[ranks_file]
+        ratio = Ratio(ranks_file, pattern)  # made by each task, so that a reused worker holds nothing back
         kind = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32())]))
-        for batch in batches:
+        for batch in bt.slices(batches, 1):
             spans = [[{"kind": k, "start": a, "end": b} for a, b, k in find_secrets(x.as_py() or "", ratio, below)] for x in batch.column(1)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(spans, kind)], ["id", "spans"])
 
@@ -147,20 +144,18 @@ def op7_secret_scan(docs: DataFrame, ranks_file: str, pattern: str) -> DataFrame
     return found.select("doc_id", *map(count, KINDS), F.sha2(_joined(base), 256).alias("base_sha256"), _joined(F.col("spans")).alias("spans"))
 
 
-def redact(docs: DataFrame, ranks_file: str, pattern: str, mark: str = "[SECRET]") -> DataFrame:
+def redact(docs: DataFrame, ranks_file: str, pattern: str, mark: str = "[SECRET]", text_column: str = "text") -> DataFrame:
     """The documents with every span replaced by ``mark``; other columns stay, ``n_chars`` follows the text. A null text stays null."""
+    at = docs.columns.index(text_column)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if ranks_file not in _RATIOS:
-            _RATIOS[ranks_file] = Ratio(ranks_file, pattern)
-        ratio = _RATIOS[ranks_file]
-        for batch in batches:
-            at = batch.schema.get_field_index("text")
+        ratio = Ratio(ranks_file, pattern)  # made by each task, so that a reused worker holds nothing back
+        for batch in bt.slices(batches, at):
             texts = [None if (x := v.as_py()) is None else cut(x, find_secrets(x, ratio, 2.0), mark) for v in batch.column(at)]
             yield batch.set_column(at, batch.schema.field(at), pa.array(texts, batch.schema.field(at).type))
 
     out = docs.mapInArrow(run, docs.schema)
-    return out.withColumn("n_chars", F.when(F.col("text").isNull(), F.col("n_chars")).otherwise(F.char_length("text").cast(docs.schema["n_chars"].dataType))) if "n_chars" in docs.columns else out
+    return out.withColumn("n_chars", F.when(F.col(text_column).isNull(), F.col("n_chars")).otherwise(F.char_length(text_column).cast(docs.schema["n_chars"].dataType))) if "n_chars" in docs.columns else out
 
 
 def cut(text: str, spans: list[tuple[int, int, str]], mark: str) -> str:

@@ -3,7 +3,7 @@
 The text is cut where no vocabulary piece can span: before a whitespace marker that follows another
 character, and around line feeds. Each pre-token is then counted on its own. Which vocabulary strings encode
 alone as one token is proved once, by encoding every one of them; a pre-token in that set counts 1 without any
-merging, and only the others are merged by the library (distinct ones, remembered up to ``CACHE`` entries).
+merging, and only the others are merged by the library (distinct ones, remembered up to ``CACHE`` entries of ``CACHE_CHARACTERS`` together).
 
 Null and empty texts have 0 tokens. Repeated rows are counted each. Extra columns are not read.
 """
@@ -12,14 +12,17 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from . import bytetext as bt
+
 MARK = "▁"
 #: Pre-tokens remembered by a worker; memory only, never a limit on what is counted.
-CACHE = 1 << 20
+CACHE, CACHE_CHARACTERS = 200_000, 4 << 20
 
 
 class Counter:
@@ -42,6 +45,7 @@ class Counter:
                 self.line_feed = 0
         self.base = self.whole_tokens(plain) | {"": 1}  # "": a marker alone, at the end of a text
         self.known = dict(self.base)
+        self.held = 0
 
     def _cut_probe(self) -> list[str]:
         """What the normaliser makes of blanks, read from the pieces of a probe."""
@@ -58,13 +62,14 @@ class Counter:
         return {x: 1 for x, ids in zip(asked, self.model.encode(asked), strict=True) if len(ids) == 1}
 
     def _learn(self, fresh: list[str]) -> None:
-        if len(self.known) > CACHE:
-            self.known = dict(self.base)
+        self.held += sum(map(len, fresh))
         self.known.update(zip(fresh, map(len, self.model.encode(fresh, num_threads=1)), strict=True))
 
     def count(self, texts: list[str]) -> list[int]:
         if not self.splits:
             return [len(x) for x in self.model.encode(texts, num_threads=1)]
+        if len(self.known) > CACHE + len(self.base) or self.held > CACHE_CHARACTERS:
+            self.known, self.held = dict(self.base), 0
         cut, out = re.compile(" *[^ ]+| +").findall, []
         parts, tails = [], []
         for text in texts:
@@ -107,25 +112,19 @@ class Counter:
         return out
 
 
-_MADE: dict[str, Counter] = {}
-
-
+@lru_cache(maxsize=1)
 def counter(model_file: str) -> Counter:
-    if model_file not in _MADE:
-        _MADE[model_file] = Counter(model_file)
-    return _MADE[model_file]
+    return Counter(model_file)
 
 
-def token_counts(docs: DataFrame, model_file: str, id_column: str = "doc_id", text_column: str = "text", rows: int = 1024) -> DataFrame:
+def token_counts(docs: DataFrame, model_file: str, id_column: str = "doc_id", text_column: str = "text", together: int = 1 << 20) -> DataFrame:
     """(id, n_bytes, n_tokens) of every row's whole text. ``model_file`` must be readable on every executor."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = counter(model_file)
-        for batch in batches:
-            for i in range(0, batch.num_rows, rows):
-                part = batch.slice(i, rows)
-                texts = [x or "" for x in part.column(1).to_pylist()]
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), pa.array(c.count(texts), pa.int64())], ["id", "n_bytes", "n_tokens"])
+        for part in bt.slices(batches, 1, together):
+            texts = [x or "" for x in part.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), pa.array(c.count(texts), pa.int64())], ["id", "n_bytes", "n_tokens"])
 
     kind = docs.select(F.col(id_column)).schema[0].dataType.simpleString()
     size: Column = F.coalesce(F.octet_length(text_column), F.lit(0)).cast("long")
