@@ -8,9 +8,12 @@ from pyspark.sql import SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's ``spark.checkpoint.dir``; only where it is unset (tests, local mode) a local folder."""
+    """The cluster's ``spark.checkpoint.dir``. Unset, it is an error on a cluster; in local mode, where driver and executors are one process, a
+    temporary folder is made and set."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not found:
+        if not spark.sparkContext.master.split("[")[0] == "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         found = tempfile.mkdtemp(prefix="vitalspark-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
