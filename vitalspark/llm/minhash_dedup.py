@@ -9,7 +9,7 @@
 4. Connected components of the verified links.
 5. Buckets whose members still lie in different components are searched again, across components only: all such pairs in buckets of up to
    ``SMALL`` members; in larger ones a leader drawn anew each turn, with the members of other components. These turns are cheap and join
-   most of what belongs together; a turn that finds no link is the last.
+   most of what belongs together; a turn that finds hardly any link is the last.
 6. Large buckets that are mixed even then are compared whole: members are dealt to blocks of about ``BLOCK``, a task takes two blocks and
    compares all pairs of different components, first by signature, then by full sets. Only links leave a task.
 
@@ -33,10 +33,13 @@ from pyspark.sql import functions as F
 from . import bytetext as bt
 from .components import components
 from .scratch import Scratch
+from .spread import spread_join
 
 WORDS = 5
 ROWS, BANDS = 4, 32
 SMALL, BLOCK = 16, 256
+#: A turn of step 5 is the last if fewer than one in FEW of its pairs are links.
+FEW = 16
 _SPACE = bt.table_of(bytes([0x20, *range(0x09, 0x0E)]))
 U64 = np.uint64
 
@@ -129,11 +132,19 @@ def _similar_signatures(least: float):
     return run
 
 
+def _alike(a: np.ndarray, b: np.ndarray, threshold: int) -> bool:
+    """Whether two sorted sets have ``threshold`` percent of their union in common."""
+    if not len(a) or not len(b) or min(len(a), len(b)) * 100 < threshold * max(len(a), len(b)):
+        return False
+    both = int((a[np.minimum(np.searchsorted(a, b), len(a) - 1)] == b).sum())
+    return 100 * both >= threshold * (len(a) + len(b) - both)
+
+
 def _verify(threshold: int):
-    """Rows come sorted by (a, block, not the leader): the leader's set is kept while its block passes."""
+    """Rows come sorted by (a, block, not the leader): the leader's set is kept while its block passes (several sets if rows repeat its id)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, lead = None, np.zeros(0, U64)
+        held, lead_sets = None, []
         for batch in batches:
             data, off = bt.utf8(batch.column(4))
             a, block, b, leads = (batch.column(k).to_numpy(zero_copy_only=False) for k in range(4))
@@ -143,14 +154,11 @@ def _verify(threshold: int):
                 for k in range(i, j):
                     own = v[first[k - i] : first[k - i + 1]]
                     if leads[k]:
-                        held, lead = (a[k], block[k]), own
+                        lead_sets = [*lead_sets, own] if held == (a[k], block[k]) else [own]
+                        held = (a[k], block[k])
                         continue
                     assert held == (a[k], block[k])
-                    if min(len(own), len(lead)) * 100 < threshold * max(len(own), len(lead)):
-                        continue
-                    at = np.searchsorted(lead, own)
-                    both = int((lead[np.minimum(at, len(lead) - 1)] == own).sum())
-                    if both and 100 * both >= threshold * (len(own) + len(lead) - both):
+                    if any(_alike(lead, own, threshold) for lead in lead_sets):
                         hit.append(k)
             if hit:
                 yield pa.RecordBatch.from_arrays([pa.array(a[hit], pa.int64()), pa.array(b[hit], pa.int64())], ["u", "v"])
@@ -178,28 +186,31 @@ def _confirm(pairs: DataFrame, sketches: DataFrame, texts: DataFrame, threshold:
     return rows.repartition(parts, "a", "block").sortWithinPartitions("a", "block", F.desc("leads"), "b").mapInArrow(_verify(threshold), "u long, v long")
 
 
-def _cross_pairs(rows: DataFrame, seed: int, scratch: Scratch) -> DataFrame:
+def _cross_pairs(rows: DataFrame, seed: int, total: int, scratch: Scratch) -> DataFrame:
     """Candidate pairs (a < b) of different components that share a key. ``rows``: key, id, component.
 
     Up to SMALL members: all such pairs. Beyond: a leader drawn anew by every seed, with the members of other components."""
     size = rows.groupBy("key").agg(F.count("*").alias("n"), F.min("component").alias("lo"), F.max("component").alias("hi"), F.min_by(F.struct("id", "component"), F.xxhash64("id", "key", F.lit(seed))).alias("lead")).where("lo <> hi")
-    held = scratch.table(rows.join(size.withColumnRenamed("key", "k"), (F.col("key") == F.col("k")) & ((F.col("n") <= SMALL) | (F.col("component") != F.col("lead.component")))).select("key", "id", "component", "n", F.col("lead.id").alias("lead")))
+    size = scratch.table(size.select("key", "n", F.col("lead.id").alias("lead"), F.col("lead.component").alias("lead_component")))
+    met = spread_join(rows, size, ["key"], "n", total).where((F.col("n") <= SMALL) | (F.col("component") != F.col("lead_component")))
+    held = scratch.table(met.select("key", "id", "component", "n", "lead"))
     few = held.where(F.col("n") <= SMALL).groupBy("key").agg(F.collect_list(F.struct("id", "component")).alias("m"))
     x = few.select("m", F.explode("m").alias("x")).select("x", F.explode("m").alias("y")).where("x.id < y.id and x.component <> y.component").select(F.col("x.id").alias("a"), F.col("y.id").alias("b"))
     large = held.where(F.col("n") > SMALL).select(F.least("id", "lead").alias("a"), F.greatest("id", "lead").alias("b"), "n")
     return x.select("a", "b", F.lit(SMALL).cast("long").alias("n")).union(large).groupBy("a", "b").agg(F.max("n").alias("n"))
 
 
-def _block_rows(rows: DataFrame, sketches: DataFrame, scratch: Scratch) -> DataFrame:
+def _block_rows(rows: DataFrame, sketches: DataFrame, total: int, scratch: Scratch) -> DataFrame:
     """Members of mixed buckets of more than SMALL members, once for each pair of blocks (p <= q) that is to be compared. ``rows``: key, id, component.
 
     Members of the largest component of a bucket are in blocks below 0, the others in blocks from 0; two blocks below 0 hold no pair to compare."""
-    mixed = rows.groupBy("key").agg(F.count("*").alias("n"), F.min("component").alias("lo"), F.max("component").alias("hi")).where((F.col("lo") < F.col("hi")) & (F.col("n") > SMALL)).select(F.col("key").alias("k"))
-    held = scratch.table(rows.join(mixed, F.col("key") == F.col("k")).drop("k"))
+    mixed = rows.groupBy("key").agg(F.count("*").alias("members"), F.min("component").alias("lo"), F.max("component").alias("hi"))
+    mixed = scratch.table(mixed.where((F.col("lo") < F.col("hi")) & (F.col("members") > SMALL)).select("key", "members"))
+    held = scratch.table(spread_join(rows, mixed, ["key"], "members", total).drop("members"))
     sizes = held.groupBy("key", "component").agg(F.count("*").alias("n")).groupBy("key").agg(F.max_by("component", F.struct("n", "component")).alias("main"), F.max("n").alias("m"), F.sum("n").alias("n"))
-    blocks = sizes.select("key", "main", F.ceil(F.col("m") / BLOCK).cast("int").alias("mains"), F.ceil((F.col("n") - F.col("m")) / BLOCK).cast("int").alias("others"))
+    blocks = sizes.select("key", "main", F.ceil(F.col("m") / BLOCK).cast("int").alias("mains"), F.ceil((F.col("n") - F.col("m")) / BLOCK).cast("int").alias("others"), "n")
     dealt = F.xxhash64("id", F.lit(3))
-    d = held.join(blocks, "key").withColumn("is_main", F.col("component") == F.col("main"))
+    d = spread_join(held, blocks, ["key"], "n", total).withColumn("is_main", F.col("component") == F.col("main"))
     d = d.withColumn("block", F.when(F.col("is_main"), -1 - F.pmod(dealt, F.col("mains"))).otherwise(F.pmod(dealt, F.col("others"))).cast("int"))
     d = d.join(sketches.select("id", "signature", "bands"), "id")
     d = d.withColumn("facing", F.explode(F.when(F.col("is_main"), F.sequence(F.lit(0), F.col("others") - 1)).otherwise(F.sequence(-F.col("mains"), F.col("others") - 1))))
@@ -250,11 +261,7 @@ def _verify_blocks(threshold: int, least: float):
         u, v = [], []
         for x, row in zip(left, ok, strict=True):
             for y in right[row]:
-                a, b = sets[x], sets[y]
-                if comp[x] == comp[y] or min(len(a), len(b)) * 100 < threshold * max(len(a), len(b)):
-                    continue
-                both = int((a[np.minimum(np.searchsorted(a, b), len(a) - 1)] == b).sum())
-                if both and 100 * both >= threshold * (len(a) + len(b) - both):
+                if comp[x] != comp[y] and _alike(sets[x], sets[y], threshold):
                     u.append(x)
                     v.append(y)
                     comp[comp == comp[y]] = comp[x]
@@ -264,11 +271,11 @@ def _verify_blocks(threshold: int, least: float):
     return run
 
 
-def _links_of_blocks(rows: DataFrame, sketches: DataFrame, texts: DataFrame, threshold: int, scratch: Scratch) -> DataFrame:
+def _links_of_blocks(rows: DataFrame, sketches: DataFrame, texts: DataFrame, threshold: int, total: int, scratch: Scratch) -> DataFrame:
     """All links (u, v) that large mixed buckets still hold, up to chains within a task. Texts are read only for members with an open pair."""
     least = threshold / 100 - 0.2
     kind = "key long, p int, q int, block int, id long, component long, signature binary, bands array<long>"
-    held = scratch.table(_block_rows(rows, sketches, scratch).groupBy("key", "p", "q").applyInArrow(_hopeful(least), kind))
+    held = scratch.table(_block_rows(rows, sketches, total, scratch).groupBy("key", "p", "q").applyInArrow(_hopeful(least), kind))
     full = held.join(texts, "id")
     return scratch.table(full.groupBy("key", "p", "q").applyInArrow(_verify_blocks(threshold, least), "u long, v long"))
 
@@ -283,35 +290,45 @@ def _join_components(found: DataFrame, links: DataFrame, scratch: Scratch) -> Da
 
 
 def near_duplicates(docs: DataFrame, threshold: int = 75, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
-    """(id, n_shingles, component_id, kept) of every row; ids are whole numbers and unique."""
+    """(id, n_shingles, component_id, kept) of every row; ids are whole numbers. Rows that repeat an id are one document: they get the smallest
+    component of any of them."""
     spark: SparkSession = docs.sparkSession
     scratch = Scratch(spark, "minhash")
     texts = docs.select(F.col(id_column).cast("long").alias("id"), F.col(text_column).alias("text"))
     sketches = scratch.table(texts.mapInArrow(_sketch, "id long, n_shingles long, set_a long, set_b long, signature binary, bands array<long>"))
     sets = ["n_shingles", "set_a", "set_b"]
-    classes = sketches.where("n_shingles > 0").groupBy(*sets).agg(F.min("id").alias("rep"), F.count("*").alias("copies"))
-    reps = scratch.table(sketches.where("n_shingles > 0").join(classes, sets).select("id", "rep", "signature", F.when(F.col("id") == F.col("rep"), F.col("bands")).alias("bands")))
+    with_words = sketches.where("n_shingles > 0 and id is not null")
+    classes = scratch.table(with_words.groupBy(*sets).agg(F.min("id").alias("rep"), F.count("*").alias("copies")))
+    rows = sketches.count()
+    members = spread_join(with_words, classes, sets, "copies", rows)
+    reps = scratch.table(members.select("id", "rep", "signature", F.when(F.col("id") == F.col("rep"), F.col("bands")).alias("bands")))
     alone = reps.where("id = rep").select("id", "signature", "bands")
-    banded = alone.select(F.explode("bands").alias("key"), "id")
-    leads = banded.groupBy("key").agg(F.min("id").alias("a"), F.count("*").alias("n")).where("n > 1")
-    asked = scratch.table(banded.join(leads, "key").where("id <> a").groupBy("a", F.col("id").alias("b")).agg(F.max("n").alias("n")))
+    banded, total = alone.select(F.explode("bands").alias("key"), "id"), rows * BANDS
+    leads = scratch.table(banded.groupBy("key").agg(F.min("id").alias("a"), F.count("*").alias("n")).where("n > 1"))
+    asked = scratch.table(spread_join(banded, leads, ["key"], "n", total).where("id <> a").groupBy("a", F.col("id").alias("b")).agg(F.max("n").alias("n")))
     links = scratch.table(_confirm(asked, alone, texts, threshold, scratch, many=True))
     in_buckets = lambda: alone.join(found, "id", "left").select(F.explode("bands").alias("key"), "id", F.coalesce("component", "id").alias("component"))
     found, turn, more = scratch.table(components(links, scratch).toDF("id", "component")), 0, None
     while more is None or not more.isEmpty():
         if more is not None:
             found = _join_components(found, more, scratch)
-        new = scratch.table(_cross_pairs(in_buckets(), turn, scratch).join(asked, ["a", "b"], "left_anti"))
+        new = scratch.table(_cross_pairs(in_buckets(), turn, total, scratch).join(asked, ["a", "b"], "left_anti"))
         turn += 1
         if new.isEmpty():
             break
         asked = scratch.table(asked.union(new))
         more = scratch.table(_confirm(new, alone, texts, threshold, scratch))
-    rest = _links_of_blocks(in_buckets(), alone, texts, threshold, scratch)
+        few = more.count() * FEW < new.count()
+        scratch.drop_all(sketches, reps, found, asked, more)
+        if few:  # hardly any of these pairs are links: what is left is for step 6
+            found = _join_components(found, more, scratch) if not more.isEmpty() else found
+            break
+    rest = _links_of_blocks(in_buckets(), alone, texts, threshold, total, scratch)
     if not rest.isEmpty():
         found = _join_components(found, rest, scratch)
-    owner = reps.join(found.toDF("rep", "component"), "rep", "left").select("id", F.coalesce("component", "rep").alias("component"))
+    owner = reps.join(found.toDF("rep", "component"), "rep", "left").groupBy("id").agg(F.min(F.coalesce("component", "rep")).alias("component"))
     out = sketches.select("id", "n_shingles").join(owner, "id", "left").select("id", "n_shingles", F.coalesce("component", "id").alias("component_id"))
+    scratch.drop_all(sketches, reps, found)
     return out.select(F.col("id").alias(id_column), "n_shingles", "component_id", (F.col("id") == F.col("component_id")).alias("kept"))
 
 
