@@ -399,12 +399,11 @@ def test_decontaminate(docs_of, spark, odd_texts, block, shard):
     items = [(1, " ".join(w(30)), "e"), (2, "Go, STOP; red!", "e"), (3, None, "e"), (4, "...", "e"), (5, " ".join(w(10)), "e"), (6, "word unknown elsewhere", "e")]
     bench = spark.createDataFrame(items, "item_id long, text string, id string")
     texts = list(odd_texts) + [" ".join(w(40)) for _ in range(20)] + [items[0][1].upper() + " tail", "pre " + items[4][1] + ". go", "go stop red go stop red"]
-    found, hits = decontaminate.contamination(docs_of(texts), bench, block=block, shard=shard)
+    found = decontaminate.contamination(docs_of(texts), bench, block=block, shard=shard)
     word = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
     low = lambda t: word.findall(re.sub("[A-Z]", lambda m: m.group().lower(), t or ""))
-    spans, of = by_id(found, "id"), {}
-    for x in hits.collect():
-        of.setdefault(x["id"], set()).add(x["item"])
+    spans = by_id(found, "id")
+    of = {i: set(x["items"]) for i, x in spans.items()}
     for i, t in enumerate(texts):
         ws = low(t)
         hit, items_hit = set(), set()
@@ -420,12 +419,25 @@ def test_decontaminate(docs_of, spark, odd_texts, block, shard):
         assert (spans[i]["n_words"], got, of.get(i, set())) == (len(ws), hit, items_hit)
     if block == decontaminate.BLOCK:
         clean = by_id(decontaminate.remove_hits(docs_of(texts), bench))
-        assert len(odd_texts) + 22 not in clean and clean[0]["text"] is None if 0 in clean else True
+        assert len(odd_texts) + 22 not in clean and clean[0]["text"] is None
+        again = by_id(decontaminate.remove_hits(docs_of(texts), bench, block=7, shard=500))
+        assert again == clean
         assert clean[len(odd_texts) + 21]["text"] == "pre . go" and clean[6]["text"] == texts[6]
         assert decontaminate.op10_decontaminate(docs_of(["a b"]), bench.where("false")).first()["n_words"] == 2
         assert decontaminate.op10_decontaminate(docs_of(["a b"]).where("false"), bench).count() == 0
 
 
+def test_rows_stay_whatever_the_blocks(docs_of, spark):
+    """Repeated and null ids: a row each, with one block and with a block a window."""
+    bench = spark.createDataFrame([(1, "one two three four five six seven eight nine ten eleven twelve"), (2, "go on now"), (None, "no id here")], "item_id long, text string")
+    texts = ["we go on now", "nothing", "no id here and go on now", None]
+    d = docs_of(texts, ids=[1, 1, None, None])
+    for block in (decontaminate.BLOCK, 1):
+        rows = decontaminate.contamination(d, bench, block=block).collect()
+        got = sorted((str(r["id"]), r["n_words"], [(s["word_start"], s["word_end"]) for s in r["spans"]], r["items"]) for r in rows)
+        assert got == [("1", 1, [], []), ("1", 4, [(1, 4)], ["2"]), ("None", 0, [], []), ("None", 7, [(0, 3), (4, 7)], ["2"])]
+
+
 # --- all -------------------------------------------------------------------------------------------------------------
 
 

@@ -1,34 +1,38 @@
 """Benchmark decontamination: an FM-index per shard of training text, searched for every benchmark window.
 
-A window is 10 consecutive words of an item, or all words of a shorter one. Windows are searched in blocks of about
-``BLOCK`` (almost always one block), each sent to the executors; the training table is read once a block and never shuffled whole. A task
+A window is 10 consecutive words of an item, or all words of a shorter one. Windows, with the items that have them, are sent to the executors in
+blocks of about ``BLOCK``: one pass over the training table for each block, almost always one; a pass adds its hits to those of the passes
+before, row by row, so neither repeated nor missing ids matter, and nothing is shuffled. A task
 takes its documents shard by shard (about ``SHARD`` bytes): words become vocabulary numbers, words outside the block's
 vocabulary separate, and runs too short for the shortest window are left out, since no window can occur there. The runs are indexed,
 phrases searched backwards through wavelet-tree ranks, occurrences located by sampled suffix positions, and the hit
 words merged to spans.
 
-Null or wordless texts have no words and no hits; a wordless item has no window. Repeated documents or items
-count each. Extra columns are not read. Empty tables: nothing is hit.
+Null or wordless texts have no words and no hits; a wordless item has no window. Repeated documents count each, repeated items once.
+An item without an id has no name and is left out of the lists of items, but its words are hit. Extra columns are not read. Empty tables: nothing is hit.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from . import bytetext as bt
 from .fm_index import FMIndex
 from .scratch import Scratch
 
 WORDS = 10
-BLOCK = 100_000
-SHARD = 8 << 20
+BLOCK = 500_000
+SHARD = 4 << 20
 _INSIDE = bt.table_of(b"0123456789abcdefghijklmnopqrstuvwxyz" + bytes(range(128, 256)))
-SPAN = "array<struct<word_start:long,word_end:long,byte_start:long,byte_end:long>>"
+SPAN = ("word_start", "word_end", "byte_start", "byte_end")
+SPANS = T.ArrayType(T.StructType([T.StructField(x, T.LongType()) for x in SPAN]))
+_ARROW_SPANS = pa.list_(pa.struct([(x, pa.int64()) for x in SPAN]))
 
 
 def windows_of(items: DataFrame, id_column: str = "item_id", text_column: str = "text", width: int = WORDS) -> DataFrame:
@@ -50,24 +54,26 @@ def windows_of(items: DataFrame, id_column: str = "item_id", text_column: str =
 
 
 class Phrases:
-    """A block of windows as vocabulary numbers, ready to be searched in a shard."""
-
-    def __init__(self, windows: list[str]):
-        cut = [w.encode().split(b" ") for w in windows]
-        vocabulary = sorted({x for w in cut for x in w})
-        data = np.frombuffer(b"".join(vocabulary), np.uint8)
-        ends = np.cumsum([len(x) for x in vocabulary])
-        h = bt.span_hashes(data, np.concatenate([[0], ends[:-1]]), ends)
-        order = np.argsort(h)
-        self.hashes, self.number = h[order], order + 1
-        at = {x: k + 1 for k, x in enumerate(vocabulary)}
-        self.lengths = np.array([len(w) for w in cut], np.int64)
-        self.words = np.zeros((len(cut), int(self.lengths.max())), np.int64)
-        for k, w in enumerate(cut):
-            self.words[k, : len(w)] = [at[x] for x in w]
-        self.symbols = len(vocabulary)
+    """A block of windows as vocabulary numbers, ready to be searched in a shard, and the items of each window."""
+
+    def __init__(self, windows: list[str], items: list[list[str]]):
+        data, off = bt.utf8(pa.array(windows, pa.string()))
+        start, end, first = bt.words(_INSIDE[data], off)
+        self.hashes, number = np.unique(bt.span_hashes(data, start, end), return_inverse=True)
+        self.lengths = np.diff(first)
+        self.words = np.zeros((len(windows), int(self.lengths.max())), np.int32)
+        self.words[np.repeat(np.arange(len(windows)), self.lengths), bt.ranges(self.lengths)] = number + 1
+        self.symbols = len(self.hashes)
         self.seen = np.zeros(1 << 20, bool)
-        self.seen[(h >> np.uint64(44)).astype(np.int64)] = True
+        self.seen[(self.hashes >> np.uint64(44)).astype(np.int64)] = True
+        self.names = sorted({x for own in items for x in own})
+        at = {x: k for k, x in enumerate(self.names)}
+        self.item_of = np.fromiter((at[x] for own in items for x in own), np.int32)
+        self.item_first = np.concatenate([[0], np.cumsum([len(own) for own in items])])
+
+    def items(self, windows: np.ndarray) -> set[str]:
+        found = [self.item_of[self.item_first[w] : self.item_first[w + 1]] for w in windows]
+        return {self.names[k] for k in np.unique(np.concatenate(found))}
 
     def numbers(self, h: np.ndarray) -> np.ndarray:
         """Vocabulary number of each word hash, 0 for others."""
@@ -75,7 +81,7 @@ class Phrases:
         near = np.flatnonzero(self.seen[(h >> np.uint64(44)).astype(np.int64)])
         k = np.minimum(np.searchsorted(self.hashes, h[near]), len(self.hashes) - 1)
         ok = self.hashes[k] == h[near]
-        out[near[ok]] = self.number[k[ok]]
+        out[near[ok]] = k[ok] + 1
         return out
 
     def occurrences(self, words: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -98,13 +104,18 @@ class Phrases:
         return place[index.locate(rows)], window
 
 
-def _scan(phrases_cast, hashes, all_rows: bool, shard: int):
+Finish = Callable[[pa.RecordBatch, np.ndarray, list[list[dict]], list[list[str]]], pa.RecordBatch]
+
+
+def _scan(phrases_cast, text: int, earlier: tuple[int, int] | None, finish: Finish, shard: int):
+    """Searches the text column; ``earlier``: the columns with the spans and items of the passes before."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         phrases = phrases_cast.value
-        kind = pa.list_(pa.struct([(x, pa.int64()) for x in ("word_start", "word_end", "byte_start", "byte_end")]))
         for batch in batches:
-            data, off = bt.utf8(batch.column(1))
+            data, off = bt.utf8(batch.column(text))
             for i, j in bt.pieces(off, shard):
+                part = batch.slice(i, j - i)
                 numbers, starts, ends, firsts, base = [], [], [], [np.zeros(1, np.int64)], 0
                 for p, q in bt.pieces(off[i : j + 1]):  # words in smaller steps, for the cache
                     low = bt.LOWER[data[off[i + p] : off[i + q]]]
@@ -116,107 +127,108 @@ def _scan(phrases_cast, hashes, all_rows: bool, shard: int):
                     base += len(s)
                 words, s, e, first = np.concatenate(numbers), np.concatenate(starts), np.concatenate(ends), np.concatenate(firsts)
                 at, window = phrases.occurrences(words, first)
-                change = np.zeros(len(words) + 1, np.int64)
-                np.add.at(change, at, 1)
-                np.add.at(change, at + phrases.lengths[window], -1)
-                hit = np.cumsum(change[:-1]) > 0
-                a, b, f = bt.words(hit, first)
+                to = at + phrases.lengths[window]
+                items: list[set[str]] = [set() for _ in range(j - i)]
                 row = np.searchsorted(first, at, "right") - 1
                 pairs = np.unique(row * len(phrases.lengths) + window)
-                row, window = pairs // len(phrases.lengths), pairs % len(phrases.lengths)
+                own = np.searchsorted(pairs // len(phrases.lengths), np.arange(j - i + 1))
+                for r in np.flatnonzero(np.diff(own)):
+                    items[r] |= phrases.items(pairs[own[r] : own[r + 1]] % len(phrases.lengths))
+                if earlier:
+                    for r, (spans, named) in enumerate(zip(part.column(earlier[0]).to_pylist(), part.column(earlier[1]).to_pylist(), strict=True)):
+                        items[r].update(named)
+                        if spans:
+                            at = np.concatenate([at, [first[r] + x["word_start"] for x in spans]])
+                            to = np.concatenate([to, [first[r] + x["word_end"] for x in spans]])
+                change = np.zeros(len(words) + 1, np.int64)
+                np.add.at(change, at, 1)
+                np.add.at(change, to, -1)
+                a, b, f = bt.words(np.cumsum(change[:-1]) > 0, first)
                 spans = [[] for _ in range(j - i)]
                 for r in np.flatnonzero(np.diff(f)):
                     o, w = off[i + r], first[r]
-                    spans[r] = [{"word_start": x - w, "word_end": y - w, "byte_start": s[x] - o, "byte_end": e[y - 1] - o} for x, y in zip(a[f[r] : f[r + 1]], b[f[r] : f[r + 1]], strict=True)]
-                bounds = np.searchsorted(row, np.arange(j - i + 1)).astype(np.int32)
-                found = pa.ListArray.from_arrays(pa.array(bounds), pa.array(hashes.value[window], pa.int64()))
-                out = pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.array(np.diff(first)), pa.array(spans, kind), found], ["id", "n_words", "spans", "windows"])
-                yield out if all_rows else out.filter(pa.array(np.diff(bounds) > 0))
+                    bounds = [(x - w, y - w, s[x] - o, e[y - 1] - o) for x, y in zip(a[f[r] : f[r + 1]], b[f[r] : f[r + 1]], strict=True)]
+                    spans[r] = [dict(zip(SPAN, x, strict=True)) for x in bounds]
+                yield finish(part, np.diff(first), spans, [sorted(x) for x in items])
+        pa.default_memory_pool().release_unused()
 
     return run
 
 
-def _merged(spans: F.Column) -> F.Column:
-    """Sorted spans with overlapping or touching ones joined (several blocks may hit the same words)."""
-    return F.expr("""aggregate(array_sort(flatten(spans)), cast(array() as array<struct<word_start:long,word_end:long,byte_start:long,byte_end:long>>),
-      (acc, x) -> CASE WHEN size(acc) > 0 AND element_at(acc, -1).word_end >= x.word_start
-        THEN concat(slice(acc, 1, size(acc) - 1), array(named_struct('word_start', element_at(acc, -1).word_start, 'word_end', greatest(element_at(acc, -1).word_end, x.word_end),
-             'byte_start', element_at(acc, -1).byte_start, 'byte_end', greatest(element_at(acc, -1).byte_end, x.byte_end))))
-        ELSE concat(acc, array(x)) END)""")
+def _search(docs: DataFrame, items: DataFrame, text_column: str, last: Finish, schema: T.StructType, block: int, shard: int) -> DataFrame:
+    """``docs`` after a pass for each block of windows; the last pass ends with ``last`` and gives rows of ``schema``."""
+    spark = docs.sparkSession
+    wins = windows_of(items)
+    blocks = max(1, -(-wins.select("window").distinct().count() // block))
+    names = ["__spans", "__items"]
+    while set(names) & set(docs.columns):
+        names = [f"_{x}" for x in names]
+    columns = len(docs.columns)
+    between = T.StructType([*docs.schema.fields, T.StructField(names[0], SPANS), T.StructField(names[1], T.ArrayType(T.StringType()))])
+    text, scratch, earlier = docs.columns.index(text_column), None, None
+
+    header = between.names
 
+    def add(part: pa.RecordBatch, n_words: np.ndarray, spans: list, named: list) -> pa.RecordBatch:
+        kept = [part.column(k) for k in range(columns)]
+        return pa.RecordBatch.from_arrays([*kept, pa.array(spans, _ARROW_SPANS), pa.array(named, pa.list_(pa.string()))], header)
 
-def contamination(docs: DataFrame, items: DataFrame, id_column: str = "doc_id", text_column: str = "text", block: int = BLOCK, shard: int = SHARD) -> tuple[DataFrame, DataFrame]:
-    """Two tables: (id, n_words, spans) of every row, and (id, item) of every item with a window in it. Ids must be unique."""
-    spark = docs.sparkSession
-    wins = windows_of(items).withColumn("h", F.xxhash64("window"))
-    texts = docs.select(F.col(id_column).alias("id"), F.col(text_column).alias("text"))
-    kind = texts.schema["id"].dataType.simpleString()
-    blocks = -(-wins.select("window").distinct().count() // block)
-    parts = []
     for k in range(blocks):
-        own = wins.where(F.pmod("h", F.lit(blocks)) == k).select("window", "h").distinct().collect()  # about `block` windows
-        if own:
-            phrases, hashes = spark.sparkContext.broadcast(Phrases([x[0] for x in own])), spark.sparkContext.broadcast(np.array([x[1] for x in own], np.int64))
-            parts.append(texts.mapInArrow(_scan(phrases, hashes, not parts, shard), f"id {kind}, n_words long, spans {SPAN}, windows array<long>"))
-    if not parts:  # no item has a word: only the words are counted
-        nothing = spark.sparkContext.broadcast(Phrases([""])), spark.sparkContext.broadcast(np.zeros(1, np.int64))
-        parts = [texts.mapInArrow(_scan(*nothing, True, shard), f"id {kind}, n_words long, spans {SPAN}, windows array<long>")]
-    found = parts[0]
-    if len(parts) > 1:
-        for p in parts[1:]:
-            found = found.union(p)
-        found = found.groupBy("id").agg(F.max("n_words").alias("n_words"), F.collect_list("spans").alias("spans"), F.flatten(F.collect_list("windows")).alias("windows")).withColumn("spans", _merged(F.col("spans")))
-    found = Scratch(spark, "decontaminate").table(found)  # one narrow row a document: the texts are read once
-    hits = found.select("id", F.explode("windows").alias("h")).join(wins.select("h", "item"), "h").select("id", "item").distinct()
-    return found.drop("windows"), hits
+        own = wins.where(F.pmod(F.xxhash64("window"), F.lit(blocks)) == k).groupBy("window").agg(F.collect_set("item").alias("items")).toArrow()
+        # No item has a word: an empty window finds nothing, and the words are counted all the same.
+        phrases = Phrases(own["window"].to_pylist(), own["items"].to_pylist()) if own.num_rows else Phrases([""], [[]])
+        cast = spark.sparkContext.broadcast(phrases)
+        if k + 1 == blocks:
+            return docs.mapInArrow(_scan(cast, text, earlier, last, shard), schema)
+        scratch = scratch or Scratch(spark, "decontaminate")
+        docs = scratch.table(docs.mapInArrow(_scan(cast, text, earlier, add, shard), between))
+        cast.destroy()
+        earlier = (len(between) - 2, len(between) - 1)
+        scratch.drop_all(docs)
+    raise AssertionError
+
+
+def contamination(docs: DataFrame, items: DataFrame, id_column: str = "doc_id", text_column: str = "text", block: int = BLOCK, shard: int = SHARD) -> DataFrame:
+    """(id, n_words, spans, items) of every row; ``items``: the ids of the items with a window in it, as sorted strings."""
+    texts = docs.select(F.col(id_column).alias("id"), F.col(text_column).alias("text"))
+    fields = [T.StructField("n_words", T.LongType()), T.StructField("spans", SPANS), T.StructField("items", T.ArrayType(T.StringType()))]
+
+    def finish(part: pa.RecordBatch, n_words: np.ndarray, spans: list, named: list) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([part.column(0), pa.array(n_words, pa.int64()), pa.array(spans, _ARROW_SPANS), pa.array(named, pa.list_(pa.string()))], ["id", "n_words", "spans", "items"])
+
+    return _search(texts, items, "text", finish, T.StructType([texts.schema["id"], *fields]), block, shard)
 
 
 def op10_decontaminate(docs: DataFrame, items: DataFrame) -> DataFrame:
-    found, hits = contamination(docs, items)
-    of = hits.groupBy("id").agg(F.count("*").alias("n_items"), F.array_join(F.sort_array(F.collect_list("item")), ",").alias("items"))
+    found = contamination(docs, items)
     hit = F.aggregate("spans", F.lit(0).cast("long"), lambda acc, s: acc + s["word_end"] - s["word_start"])
-    return found.select("id", "n_words", hit.alias("n_hit")).join(of, "id", "left").select(
-        F.col("id").alias("doc_id"), "n_words", "n_hit", F.coalesce("n_items", F.lit(0)).cast("long").alias("n_items"), F.sha2(F.coalesce("items", F.lit("")), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated")
-    )
+    out = found.select(F.col("id").alias("doc_id"), "n_words", hit.alias("n_hit"), F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"))
+    return out.withColumn("contaminated", F.col("n_hit") > 0)
 
 
-def remove_hits(docs: DataFrame, items: DataFrame) -> DataFrame:
-    """The documents with hit passages cut out (from the first byte of the first hit word to the last byte of the last);
-    documents of which no word remains go. Documents without hits stay as they are; the columns stay. Documents without an id are
-    found by their text."""
+def _cut(at: int, columns: list[str]) -> Finish:
+    def finish(part: pa.RecordBatch, n_words: np.ndarray, spans: list, named: list) -> pa.RecordBatch:
+        texts, keep = part.column(at).to_pylist(), np.ones(part.num_rows, bool)
+        for r, own in enumerate(spans):
+            if own:
+                raw, out, p = texts[r].encode(), [], 0
+                for s in own:
+                    out.append(raw[p : s["byte_start"]])
+                    p = s["byte_end"]
+                rest = b"".join([*out, raw[p:]])
+                texts[r], keep[r] = rest.decode(), bool(_INSIDE[bt.LOWER[np.frombuffer(rest, np.uint8)]].any())
+        kept = [pa.array(texts, part.schema.field(k).type) if k == at else part.column(k) for k in range(len(columns))]
+        return pa.RecordBatch.from_arrays(kept, columns).filter(pa.array(keep))
 
-    def with_spans(part: DataFrame, key: F.Column, named: DataFrame) -> DataFrame:
-        found, _ = contamination(named, items)
-        spans = found.where(F.size("spans") > 0).select(F.col("id").alias("__id"), F.col("spans").alias("__spans"))
-        return part.withColumn("__key", key).join(spans, F.col("__key") == F.col("__id"), "left").drop("__key", "__id")
+    return finish
 
-    named, loose = docs.where("doc_id is not null"), docs.where("doc_id is null")
-    joined = with_spans(named, F.col("doc_id"), named)
-    if not loose.isEmpty():
-        digest = F.sha2(F.col("text").cast("binary"), 256)
-        joined = joined.union(with_spans(loose, digest, loose.select(digest.alias("doc_id"), "text").distinct()))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            at = batch.schema.get_field_index("text")
-            texts, keep = [], []
-            for text, spans in zip(batch.column(at).to_pylist(), batch.column(batch.num_columns - 1).to_pylist(), strict=True):
-                if spans:
-                    raw, out, p = text.encode(), [], 0
-                    for s in spans:
-                        out.append(raw[p : s["byte_start"]])
-                        p = s["byte_end"]
-                    rest = b"".join([*out, raw[p:]])
-                    text = rest.decode()
-                    keep.append(bool(_INSIDE[bt.LOWER[np.frombuffer(rest, np.uint8)]].any()))
-                else:
-                    keep.append(True)
-                texts.append(text)
-            out = batch.set_column(at, batch.schema.field(at), pa.array(texts, batch.schema.field(at).type))
-            yield out.select(batch.schema.names[:-1]).filter(pa.array(keep, pa.bool_()))
-
-    out = joined.mapInArrow(run, docs.schema)
-    return out.withColumn("n_chars", F.coalesce(F.char_length("text"), F.col("n_chars")).cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else out
+def remove_hits(docs: DataFrame, items: DataFrame, text_column: str = "text", block: int = BLOCK, shard: int = SHARD) -> DataFrame:
+    """The documents with hit passages cut out (from the first byte of the first hit word to the last byte of the last);
+    documents of which no word remains go. Documents without hits stay as they are; the columns stay, ``n_chars`` follows the text."""
+    columns, schema = docs.columns, docs.schema
+    out = _search(docs, items, text_column, _cut(columns.index(text_column), columns), schema, block, shard)
+    return out.withColumn("n_chars", F.coalesce(F.char_length(text_column), F.col("n_chars")).cast(schema["n_chars"].dataType)) if "n_chars" in columns else out
 
 
 #: Exact counterpart in DuckDB SQL: windows as strings, joined with every run of as many words of a document.
