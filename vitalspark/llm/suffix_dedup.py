@@ -5,17 +5,19 @@ the corpus together is out of reach, so the suffixes are dealt by content:
 
 1. Each window has an anchor: the smallest hash among its ``GRAM``-byte strings (leftmost on ties). Equal windows have equal anchors at equal
    offsets. Consecutive windows with one anchor form a domain, about 35 windows; only domains are shuffled, as two hashes.
-2. Domains whose anchor occurs once hold no repeated window. Of domains with equal content all but the first go whole.
-3. Anchors with several different contents are left: one domain of each content (its first). Their bytes are dealt by anchor; each task puts
-   the suffixes that begin windows in suffix order to a depth of ``LENGTH`` (over blocks of 32 bytes as symbols), and reads from the longest-previous-factor array which windows
-   start earlier: in an order that keeps text order among ties, the nearest smaller position before an entry is its
-   predecessor, and there is none behind within the tie.
-4. An anchor with more than ``GROUP`` contents is not gathered in a task: its windows' hashes are aggregated instead.
+2. Domains whose anchor occurs once hold no repeated window. Of domains with equal content all but the first go whole, so copies are
+   aggregated before anything else; anchors on many rows are dealt to several tasks.
+3. Anchors with several different contents are left: one domain of each content (its first). Their bytes are dealt by anchor. Each task puts
+   the suffixes that begin windows in suffix order to a depth of ``LENGTH`` bytes, finds for each the previous and the next entry of the order that
+   start earlier in the corpus, and takes the longer of the common prefixes with these two as its longest previous factor (``longest_previous_factors``).
+   A window goes if its factor has ``LENGTH`` bytes.
+4. An anchor with more than ``GROUP`` contents is dealt anew: a window has 34 bytes before the anchor or 34 behind it, and goes by
+   the anchor with those (``_second_anchors``); then as in 2 and 3. Where even such a group has more than ``GROUP`` contents (all alike in 66
+   of at most 168 bytes), its windows' hashes are aggregated instead.
 
 Nulls count as empty; texts under ``LENGTH`` bytes lose nothing. Rows that repeat an id count as one document, so copies should carry their own id;
 rows without an id are not searched and lose nothing.
-Extra columns are not read. Contents are compared by 128 bits of hash in steps 2 and 4, by
-64 bits for each of four blocks in step 3.
+Extra columns are not read. Contents are compared by 128 bits of hash in step 2 (anchor and content) and at the end of 4, byte by byte in step 3.
 """
 
 from __future__ import annotations
@@ -29,9 +31,12 @@ from pyspark.sql import functions as F
 
 from . import bytetext as bt
 from .scratch import Scratch
+from .spread import spread_join
 
 LENGTH, GRAM = 100, 32
 GROUP = 20_000
+#: Every window has this many bytes before its anchor or behind it.
+SIDE = (LENGTH - GRAM) // 2
 #: Longest stretch handled at once; longer texts are cut into stretches that overlap by LENGTH - 1 bytes.
 STRETCH = 8 << 20
 U64 = np.uint64
@@ -139,7 +144,7 @@ def _cut_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([flat.field("h"), flat.field("many"), ids, pa.array(start), pa.array(raw, pa.binary())], ["h", "many", "id", "start", "raw"])
 
 
-def _dense(key: np.ndarray) -> np.ndarray:
+def _ranks(key: np.ndarray) -> np.ndarray:
     """Ranks of values, equal for equal values."""
     order = np.argsort(key)
     k = key[order]
@@ -148,33 +153,98 @@ def _dense(key: np.ndarray) -> np.ndarray:
     return out
 
 
-def suffix_order(data: np.ndarray, places: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The order of the suffixes at ``places`` by their first LENGTH bytes, ties in the order given, and a flag for each entry of the order that
-    equals its predecessor to that depth. The alphabet is that of blocks of GRAM bytes, ordered by their hashes: blocks are ranked once,
-    and a suffix is compared by the blocks at 0, 32, 64 and 68 bytes."""
-    rank = _dense(gram_hashes(data))
+def _tripled(rank: np.ndarray, width: int) -> np.ndarray:
+    """Ranks of strings three times as long, from the ranks of strings of ``width`` bytes at every place."""
+    n = len(rank) - 2 * width
     most = int(rank.max()) + 1
-    key = rank[places]
-    for step in (GRAM, 2 * GRAM, LENGTH - GRAM):
-        if int(key.max()) * most >= 1 << 62:
-            key = _dense(key)
-        key = key * most + rank[places + step]
-    order = np.argsort(key, kind="stable")
-    k = key[order]
-    return order, np.concatenate([[False], k[1:] == k[:-1]])
+    key = rank[:n] * most + rank[width : width + n]
+    if most**3 >= 1 << 62:
+        key = _ranks(key)
+    return _ranks(key * most + rank[2 * width :])
+
+
+class Suffixes:
+    """The suffixes at ``places`` of ``data``, each of LENGTH bytes at least, by their first LENGTH bytes.
+
+    Strings of 8, 24 and 72 bytes are ranked at every place, each from the one before (prefix tripling); LENGTH bytes are two overlapping strings of 72."""
+
+    WIDTHS = (72, 24, 8)
+
+    def __init__(self, data: np.ndarray, places: np.ndarray):
+        n = len(data) - 7
+        self.word = np.zeros(n, U64)
+        for k in range(8):
+            self.word = (self.word << U64(8)) | data[k : k + n].astype(U64)
+        self.ranks = {8: _ranks(self.word)}
+        self.ranks[24] = _tripled(self.ranks[8], 8)
+        self.ranks[72] = _tripled(self.ranks[24], 24)
+        self.places = places
+
+    def order(self) -> np.ndarray:
+        """The suffix order, as numbers of ``places``; equal ones stay in the order given."""
+        r = self.ranks[72]
+        return np.argsort(r[self.places] * (int(r.max()) + 1) + r[self.places + LENGTH - 72], kind="stable")
+
+    def common(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """Length of the common prefix of suffixes a and b (numbers of ``places``), at most LENGTH."""
+        a, b = self.places[a], self.places[b]
+        have = np.zeros(len(a), np.int64)
+        for width in (72, 24, 24, 24, 8, 8, 8):
+            on = np.flatnonzero(have + width <= LENGTH)
+            r = self.ranks[width]
+            have[on] += width * (r[a[on] + have[on]] == r[b[on] + have[on]])
+        at = np.minimum(have, LENGTH - 8)
+        differ = self.word[a + at] ^ self.word[b + at]
+        same = np.full(len(a), 8)
+        for k in range(8):  # equal leading bytes
+            same -= (differ >> U64(8 * k)) > 0
+        return np.minimum(np.maximum(have, at + same), LENGTH)
+
+
+def previous_smaller(x: np.ndarray, rounds: int = 64) -> np.ndarray:
+    """For each entry of distinct numbers the nearest earlier one that is smaller, or -1: everything between the entry and its candidate is larger
+    than the entry, so a larger candidate may be replaced by its own candidate. What many rounds leave open is walked with a stack."""
+    near = np.arange(len(x)) - 1
+    open_ = np.flatnonzero(x[near] > x) if len(x) else near
+    open_ = open_[open_ > 0]
+    for _ in range(rounds):
+        if not len(open_):
+            return near
+        near[open_] = near[near[open_]]
+        at = near[open_]
+        open_ = open_[(at >= 0) & (x[at] > x[open_])]
+    stack: list[int] = []
+    for i, v in enumerate(x.tolist()):
+        while stack and x[stack[-1]] > v:
+            stack.pop()
+        near[i] = stack[-1] if stack else -1
+        stack.append(i)
+    return near
+
+
+def longest_previous_factors(data: np.ndarray, places: np.ndarray) -> np.ndarray:
+    """For each place, given in text order, the longest prefix (at most LENGTH bytes) of its suffix that an earlier place's suffix begins with too.
+
+    Among the earlier places the nearest ones in suffix order, before and behind, have the longest common prefixes."""
+    if not len(places):
+        return np.zeros(0, np.int64)
+    suffixes = Suffixes(data, places)
+    order = suffixes.order()
+    before = previous_smaller(order)
+    behind = len(order) - 1 - previous_smaller(order[::-1])[::-1]  # len(order) for none
+    out = np.zeros(len(places), np.int64)
+    for near in (before, behind):
+        has = np.flatnonzero((near >= 0) & (near < len(order)))
+        out[order[has]] = np.maximum(out[order[has]], suffixes.common(order[has], order[near[has]]))
+    return out
 
 
 def repeated_windows(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """For strings in text order: a flag for each window that also starts earlier (its longest previous factor has LENGTH bytes or more), and
+    """For strings in text order: a flag for each window that also starts earlier (its longest previous factor has LENGTH bytes), and
     where each string's windows begin."""
-    sizes = np.diff(offsets)
-    count = sizes - LENGTH + 1
+    count = np.diff(offsets) - LENGTH + 1
     places = np.repeat(offsets[:-1], count) + bt.ranges(count)
-    out = np.zeros(len(places), bool)
-    if len(places):
-        order, same = suffix_order(data, places)
-        out[order] = same
-    return out, np.concatenate([[0], np.cumsum(count)])
+    return longest_previous_factors(data, places) >= LENGTH, np.concatenate([[0], np.cumsum(count)])
 
 
 def _resolve(batches: Iterator[pa.RecordBatch], together: int = 1 << 19) -> Iterator[pa.RecordBatch]:
@@ -206,42 +276,84 @@ def _resolve(batches: Iterator[pa.RecordBatch], together: int = 1 << 19) -> Iter
         yield from solve(pa.Table.from_batches(held))
 
 
+def _second_anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Splits domains at their anchor: windows with SIDE bytes of it before the anchor's place, and those with SIDE bytes behind the anchor. The new
+    key is the hash of these bytes and the anchor's; equal windows have equal keys."""
+    for batch in batches:
+        rows: list[tuple] = []
+        for h, i, start, raw in zip(*(batch.column(k).to_pylist() for k in (0, 2, 3, 4)), strict=True):
+            data = np.frombuffer(raw, np.uint8)
+            at = int(np.argmax(gram_hashes(data).view(np.int64) == h))
+            n = len(data) - LENGTH + 1
+            cut = min(n, max(0, at - SIDE + 1))  # windows before it have SIDE bytes before the anchor
+            for a, b, x in ((0, cut, at - SIDE), (cut, n, at)):
+                if b > a:
+                    rows.append((raw[x : x + GRAM + SIDE], raw[a : b + LENGTH - 1], i, start + a, b - a))
+        if rows:
+            keys, raws, ids, starts, sizes = zip(*rows, strict=True)
+            hashed = [pa.array(bt.span_hashes(d, o[:-1], o[1:]).view(np.int64)) for d, o in (bt.utf8(pa.array(x, pa.binary())) for x in (keys, raws))]
+            yield pa.RecordBatch.from_arrays([*hashed, pa.array(ids, pa.int64()), pa.array(starts, pa.int32()), pa.array(sizes, pa.int32()), pa.array(raws, pa.binary())], ["h", "content", "id", "start", "n", "raw"])
+
+
 def _window_hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for i, start, raw in zip(*(batch.column(k).to_pylist() for k in (2, 3, 4)), strict=True):
+        for i, start, raw in zip(*(batch.column(k).to_pylist() for k in (0, 1, 2)), strict=True):
             data = np.frombuffer(raw, np.uint8)
             a, b = gram_hashes(data, LENGTH), gram_hashes(data, LENGTH, _SECOND)
             yield pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), pa.array(b.view(np.int64)), pa.array(np.full(len(a), i)), pa.array((start + np.arange(len(a))).astype(np.int32))], ["a", "b", "id", "start"])
 
 
+WINDOWS = "id long, start int, n int"
+
+
+def _resolved(rows: DataFrame) -> DataFrame:
+    """Repeated windows among rows (h, id, start, raw), of which each h has at most GROUP."""
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return rows.select("h", "id", "start", "raw").repartition(parts, "h").sortWithinPartitions("h", "id", "start").mapInArrow(_resolve, WINDOWS)
+
+
+def _of_frequent_anchors(heavy: DataFrame, group: int, scratch: Scratch) -> DataFrame:
+    """Repeated windows of domains (h, many, id, start, raw) whose anchors have more than ``group`` contents."""
+    halves = scratch.table(heavy.mapInArrow(_second_anchors, "h long, content long, id long, start int, n int, raw binary"))
+    firsts = scratch.table(halves.groupBy("h", "content").agg(F.min(F.struct("id", "start", "raw")).alias("f"), F.count("*").alias("c")).select("h", "content", "c", "f.*"))
+    copies = firsts.where("c > 1").select("h", "content", "c", F.col("id").alias("first_id"), F.col("start").alias("first_start"))
+    again = spread_join(halves.drop("raw"), copies, ["h", "content"], "c", halves.count()).where("id <> first_id or start <> first_start").select("id", "start", "n")
+    sizes = scratch.table(firsts.groupBy("h").agg(F.count("*").alias("many")).where("many > 1"))
+    unsure = scratch.table(spread_join(firsts, sizes, ["h"], "many", firsts.count()))
+    windows = unsure.where(F.col("many") > group).select("id", "start", "raw").mapInArrow(_window_hashes, "a long, b long, id long, start int")
+    kept = windows.groupBy("a", "b").agg(F.min(F.struct("id", "start")).alias("f")).select("f.id", "f.start")
+    rest = windows.select("id", "start").join(kept, ["id", "start"], "left_anti").select("id", "start", F.lit(1).alias("n"))
+    return again.union(_resolved(unsure.where(F.col("many") <= group))).union(rest)
+
+
 def repeated_spans(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", group: int = GROUP, scratch: Scratch | None = None) -> DataFrame:
     """(id, windows): for every document with repeated windows, their runs as array<struct<start, n>>, offsets in bytes."""
     scratch = scratch or Scratch(docs.sparkSession, "suffix")
     texts = docs.select(F.col(id_column).cast("long").alias("id"), F.col(text_column).alias("text")).where("id is not null")
     anchors = texts.mapInArrow(_anchors, "h long, content long, id long, start int, n int")
-    often = texts.select("text").mapInArrow(_anchor_hashes, "h long").groupBy("h").agg(F.count("*").alias("c")).where("c > 1").select("h")
-    shared = scratch.table(anchors.join(often, "h", "left_semi"))
+    often = scratch.table(texts.select("text").mapInArrow(_anchor_hashes, "h long").groupBy("h").agg(F.count("*").alias("c")).where("c > 1"))
+    total = often.agg(F.sum("c")).first()[0] or 0
+    shared = scratch.table(spread_join(anchors, often, ["h"], "c", total).drop("c"))
     first = scratch.table(shared.groupBy("h", "content").agg(F.min(F.struct("id", "start", "n")).alias("f")).select("h", "f.*"))
-    various = first.groupBy("h").agg(F.count("*").alias("many")).where("many > 1")
-    unsure = scratch.table(first.join(various, "h"))
+    various = scratch.table(first.groupBy("h").agg(F.count("*").alias("many")).where("many > 1"))
+    unsure = scratch.table(spread_join(first, various, ["h"], "many", first.count()))
     # Whole domains: those of a document that are not the first of their content.
     marks = shared.select("id", "start", "n", F.lit(0).alias("is_first")).union(first.select("id", "start", "n", F.lit(1)))
     code = F.shiftleft(F.col("start").cast("long"), 32).bitwiseOR(F.col("n").cast("long"))  # plain numbers, so that the difference of lists is by hashing
     lists = marks.groupBy("id").agg(F.collect_list(F.when(F.col("is_first") == 0, code)).alias("own"), F.collect_list(F.when(F.col("is_first") == 1, code)).alias("firsts"))
-    apart = F.transform(F.array_except("own", "firsts"), lambda c: F.struct(F.shiftright(c, 32).cast("int").alias("start"), c.bitwiseAND(F.lit(0xFFFFFFFF)).cast("int").alias("n")))
-    whole = scratch.table(lists.select("id", apart.alias("windows")).where(F.size("windows") > 0))
-    scratch.drop(shared, first)
+    domain = lambda c: F.struct(F.shiftright(c, 32).cast("int").alias("start"), c.bitwiseAND(F.lit(0xFFFFFFFF)).cast("int").alias("n"))
+    whole = scratch.table(lists.select("id", F.transform(F.array_except("own", "firsts"), domain).alias("windows")).where(F.size("windows") > 0))
+    scratch.drop_all(unsure, whole)
     asked = unsure.groupBy("id").agg(F.collect_list(F.struct("h", "many", "start", "n")).alias("open"))
     cut = scratch.table(texts.join(asked, "id").mapInArrow(_cut_out, "h long, many long, id long, start int, raw binary"))
-    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    single = cut.where(F.col("many") <= group).select("h", "id", "start", "raw").repartition(parts, "h").sortWithinPartitions("h", "id", "start").mapInArrow(_resolve, "id long, start int, n int")
+    single = _resolved(cut.where(F.col("many") <= group))
     heavy = cut.where(F.col("many") > group)
     if not heavy.isEmpty():
-        windows = heavy.mapInArrow(_window_hashes, "a long, b long, id long, start int")
-        kept = windows.groupBy("a", "b").agg(F.min(F.struct("id", "start")).alias("f")).select("f.id", "f.start")
-        single = single.union(windows.select("id", "start").join(kept, ["id", "start"], "left_anti").select("id", "start", F.lit(1)))
+        single = single.union(_of_frequent_anchors(heavy, group, scratch))
     some = single.groupBy("id").agg(F.collect_list(F.struct("start", "n")).alias("windows"))
-    return scratch.table(whole.union(some).groupBy("id").agg(F.flatten(F.collect_list("windows")).alias("windows")))
+    out = scratch.table(whole.union(some).groupBy("id").agg(F.flatten(F.collect_list("windows")).alias("windows")))
+    scratch.drop_all(out)
+    return out
 
 
 def covered(rows: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
