@@ -49,7 +49,7 @@ def test_plan_listing(spark):
     got = plan_text.plan_steps(d).orderBy("step_id").collect()
     assert [(r["sql_id"], r["operation"], r["object_name"], r["rows"], r["cost"], r["depth"], r["predicate"]) for r in got] == [("abc", "SELECT STATEMENT", None, None, 12.0, 0, None), ("abc", "TABLE ACCESS FULL", "T1", 26000.0, 129000.0, 1, 'filter("A"=1 AND "B"=2)')]
     assert plan_text.plan_steps(d, compat=True).where("step_id = 1").first()["cost"] is None
-    heads = {r["sql_id"]: r for r in plan_text.plan_headers(plan_text.plan_lines(d)).collect()}
+    heads = {r["sql_id"]: r for r in plan_text.plan_headers(plan_text.plans(d)).collect()}
     assert heads["abc"]["sql_text"] == "select 1 from t" and heads["abc"]["notes"] == "dynamic sampling" and heads["empty"]["plan_hash_value"] is None
 
 
@@ -104,3 +104,67 @@ def test_schemas_cover_the_sources(spark):
         assert s.table in schemas.SNAPSHOT_TABLES and schemas.schema(s.table)
     for kind in hostlog.PLAIN:
         assert f"sar_{kind}" in schemas.HOST_TABLES
+
+
+def _plan(spark, plan):
+    """The operators of a query's optimised and executed plan, as text."""
+    return plan._jdf.queryExecution().optimizedPlan().toString(), plan._jdf.queryExecution().executedPlan().toString()
+
+
+def test_logs_and_listings_are_read_once(spark):
+    """The content goes no further than the line split, so time grows with a file's length; each text is split and each report parsed once."""
+    files = spark.createDataFrame([("f", "x\ny")], "path string, content string")
+    for out in (hostlog.cpu(hostlog.log_lines(files)), plan_text.plan_steps(files)):
+        logical, physical = _plan(spark, out)
+        assert logical.count("posexplode(") == 1 and "content" not in logical.split("posexplode(")[0]
+        assert physical.count("hashpartitioning(path") == 1
+    assert _plan(spark, report.facts(files, "sql_reads"))[1].count("MapInArrow") == 1
+
+
+def test_header_probe_reads_flags_from_their_columns(spark):
+    html = (
+        "<title>AWR Report for DB: ab$1, Inst: ab#2, Snaps: 3</title><table><tr><th>DB Name</th><th>Inst Num</th><th>Release</th><th>RAC</th><th>CDB</th></tr>"
+        "<tr><td>AB$1</td><td>2</td><td>19.0.0.0.0</td><td>NO</td><td>YES</td></tr></table><table><tr><th>Con Name</th></tr><tr><td>pdb_7</td></tr></table>"
+    )
+    rows = report.header_probe(spark.createDataFrame([("r/x/one_12.html", html), ("r/Y/two_3.html", "<p>none</p>")], "path string, content string")).orderBy("path").collect()
+    got = {r["path"]: (r["dbname"], r["instance"], r["instnum"], r["release"], r["rac"], r["cdb"], r["pdb"]) for r in rows}
+    assert got == {"r/x/one_12.html": ("AB$1", "AB#2", 2, "19.0.0.0.0", False, True, "PDB_7"), "r/Y/two_3.html": ("two", None, None, None, False, False, None)}
+
+
+def test_plan_warnings_and_problems(spark):
+    from vitalspark.plans import listings
+
+    meta = spark.createDataFrame(
+        [("d", "ix", "INDEX", 100.0, 91, 5, 81.0, '[{"col":"A"}]', "UNIQUE", None), ("d", "t", "TABLE", 7.0, 31, 0, None, None, None, "RANGE"), ("e", "t", "TABLE", 9.0, None, 0, None, None, None, None)],
+        "dbname string, object_name string, object_type string, num_rows double, analysed_days int, blevel int, clustering_factor double, index_columns string, uniqueness string, partition_type string",
+    )
+    steps = spark.createDataFrame([("p", 1, "d", 0, "FIXED TABLE FULL", "IX", 1.0, 5.0, None), ("p", 1, "d", 1, "PX TABLE ACCESS FULL", "T", 1.0, 20000.0, "f")], "path string, plan_no int, dbname string, step_id int, operation string, object_name string, rows double, cost double, predicate string")
+    got = {(r["object_name"], r["pattern"], r["severity"]) for r in listings.metadata_warnings(steps, meta).collect()}
+    assert got == {
+        ("ix", "Stale Statistics", "HIGH"), ("ix", "High Clustering Factor", "MEDIUM"), ("ix", "Deep B-tree Index", "HIGH"), ("ix", "Index Definition", "INFO"),
+        ("t", "Stale Statistics", "MEDIUM"), ("t", "Table Size", "INFO"),
+    }
+    found = {(r["pattern"], r["step_id"]) for r in listings.plan_problems(steps).collect()}
+    assert found == {("full scan", 0), ("full scan", 1), ("unbounded full scan", 0), ("high cost", 1)}
+
+
+def test_snapshot_baselines_go_back_in_time(spark):
+    """Five snapshots of uneven spacing: the first two lie further back than the baseline reaches from the last."""
+    days = [1, 2, 50, 51, 52]
+    facts = spark.createDataFrame([("d", "i", k, "wait", "e", float(10 + k)) for k in range(5)], "dbname string, instance string, begin_snap int, source string, object string, value double")
+    times = spark.createDataFrame([("d", "i", k, f"2024-01-01 00:00:{k:02d}", n) for k, n in enumerate(days)], "dbname string, instance string, begin_snap int, t string, n int")
+    times = times.select("dbname", "instance", "begin_snap", F.expr("to_timestamp(t) + make_interval(0, 0, 0, n)").alias("snap_time"))
+    got = {r["begin_snap"]: (r["baseline_n"], r["baseline_mean"], r["fallback"]) for r in anomaly.snapshot_anomalies(facts, times, 30, 0.0, min_samples=2).collect()}
+    assert got[4] == (2, 12.5, False) and got[3] == (3, 11.0, True) and got[2] == (2, 10.5, True)
+
+
+def test_sinks_spread_a_partition(spark, tmp_path):
+    from vitalspark.sinks import KeyedTable
+
+    t = KeyedTable(spark, str(tmp_path / "t"), ["p"])
+    d = spark.range(100).select((F.col("id") % 2).alias("p"), "id", F.lit("x").alias("v"))
+    t.insert_if_absent(d, ["p", "id"])
+    t.insert_if_absent(d, ["p", "id"])
+    t.delete(d.where("p = 0 or id < 10"), ["p", "id"])
+    t.delete(d.where("p = 0 or id < 10"), ["p", "id"])
+    assert sorted(r["id"] for r in t.read().collect()) == [i for i in range(11, 100) if i % 2]

@@ -58,8 +58,10 @@ def reports(spark: SparkSession, sf_dir: str) -> DataFrame:
     events = _row(F.col("event"), F.format_number("waits", 0), F.format_number("time", 2), cell, F.lit("&#160;"), _s(F.round("pct", 2)))
     g = g.groupBy("dbname", "instance", "begin_snap").agg(F.min("t").alias("t"), F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("event", events.alias("r")))), lambda x: x["r"]), "").alias("rows"))
     db, inst, snap = F.concat(F.lit("DB"), _s("dbname")), F.concat(F.lit("DB"), _s("dbname"), _s("instance")), _s("begin_snap")
-    one = _table("This table displays database instance information", ["DB Name", "DB Id", "Instance", "Inst num", "Release", "RAC"], _row(db, F.lit("1"), inst, _s("instance"), F.lit("11.2"), F.lit("NO")))
-    two = F.concat(_table("This table displays database instance information", ["DB Name", "DB Id", "Unique Name", "Release", "RAC"], _row(db, F.lit("1"), db, F.lit("19.0"), F.lit("NO"))), _table("This table displays database instance information", ["Instance", "Inst Num", "Startup Time"], _row(inst, _s("instance"), F.lit("x"))))
+    rac = F.when(F.col("begin_snap") % 2 == 0, "YES").otherwise("NO")
+    one = _table("This table displays database instance information", ["DB Name", "DB Id", "Instance", "Inst num", "Release", "RAC"], _row(db, F.lit("1"), inst, _s("instance"), F.lit("11.2"), rac))
+    two = F.concat(_table("This table displays database instance information", ["DB Name", "DB Id", "Unique Name", "Release", "RAC", "CDB"], _row(db, F.lit("1"), db, F.lit("19.0"), rac, F.lit("YES"))), _table("This table displays database instance information", ["Instance", "Inst Num", "Startup Time"], _row(inst, _s("instance"), F.lit("x"))))
+    two = F.concat(two, _table("This table displays container information", ["Con Name"], _row(F.concat(F.lit("pdb$"), snap))))
     snaps = _table("This table displays snapshot information", ["", "Snap Id", "Snap Time", "Sessions"], _row(F.lit("Begin Snap:"), snap, F.date_format("t", "dd-MMM-yy HH:mm:ss"), F.lit("10")))
     waits = F.concat(F.lit('<h3 class="awr">Foreground WAIT Events</h3><p>'), _table("waits", ["Event", "Waits", "Total Wait Time (s)", "Avg wait", "Waits /txn", "% DB  time"], F.col("rows")))
     empty = F.lit('<h3>Foreground Wait Class</h3><table><tr><th>Wait Class</th></tr></table>')
@@ -67,14 +69,14 @@ def reports(spark: SparkSession, sf_dir: str) -> DataFrame:
     return g.select(F.concat_ws("/", F.lit("reports"), db, F.concat(inst, F.lit("_"), snap, F.lit(".html"))).alias("path"), html.alias("content"))
 
 
-OPERATIONS = ("TABLE ACCESS FULL", "INDEX RANGE SCAN", "NESTED LOOPS", "INDEX FAST FULL SCAN", "HASH JOIN")
+OPERATIONS = ("TABLE ACCESS FULL", "INDEX RANGE SCAN", "NESTED LOOPS", "INDEX FAST FULL SCAN", "HASH JOIN", "FIXED TABLE FULL", "PARTITIONED TABLE ACCESS FULL")
 
 
 def plan_texts(spark: SparkSession, sf_dir: str, variant: int = 0) -> DataFrame:
     """(path, content): a listing of two plans for each order number pair: a step for each line item. ``variant`` 1 leaves out line 3 and
     changes the access of line 4."""
     li = fx.table(spark, sf_dir, "lineitem").where("l_linenumber <> 3" if variant else "true")
-    op = F.element_at(F.array(*map(F.lit, OPERATIONS)), ((F.col("l_partkey") + (F.when(F.col("l_linenumber") == 4, variant).otherwise(0))) % 5 + 1).cast("int"))
+    op = F.element_at(F.array(*map(F.lit, OPERATIONS)), ((F.col("l_partkey") + (F.when(F.col("l_linenumber") == 4, variant).otherwise(0))) % len(OPERATIONS) + 1).cast("int"))
     one = li.groupBy("l_orderkey", "l_linenumber").agg(F.min(F.struct("l_partkey", "l_quantity", "l_extendedprice", op.alias("op"))).alias("m")).select("l_orderkey", "l_linenumber", "m.*")
     big = F.col("l_extendedprice") >= 50000
     n = F.when(big, F.concat(_s(F.floor(F.col("l_extendedprice") / 1000)), F.lit("K"))).otherwise(_s(F.floor("l_extendedprice")))

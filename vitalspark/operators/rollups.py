@@ -77,7 +77,9 @@ def segment_summary_coarse(long: DataFrame, metrics: Sequence[str], driving: str
     """The driving metric by object, all others at snapshot grain, with the weighted score F14."""
     objects = long.where(F.col("metric") == driving).groupBy(*SNAP, "object_name").agg(F.avg("value").alias(driving))
     others = [m for m in metrics if m != driving]
-    snaps = star_of_aggregates(long.where(F.col("metric") != driving), SNAP, others)
+    # Means over whole snapshots: sums are exact in the input's first six digits, so their order doesn't show.
+    mean = lambda m: F.sum(F.when(F.col("metric") == m, F.col("value").cast("decimal(28,6)"))).cast("double") / F.nullif(F.count(F.when(F.col("metric") == m, F.col("value"))), F.lit(0))
+    snaps = long.where(F.col("metric") != driving).groupBy(*SNAP).agg(*[mean(m).alias(m) for m in others])
     return objects.join(snaps, list(SNAP), "left").withColumn("score", S.segment_score_weighted(list(metrics), 12))
 
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -80,3 +81,69 @@ def findings_list(findings: DataFrame, k: int = 20, **scope) -> DataFrame:
 def by_severity(findings: DataFrame, *more: Column) -> DataFrame:
     """K3"""
     return findings.orderBy(severity_order("severity"), *more)
+
+
+def id_search(df: DataFrame, key: str, value, newest: str, columns: Sequence[str]) -> DataFrame:
+    """The newest row of one id."""
+    return newest_values(df.where(F.col(key) == value), [key], F.col(newest), list(columns))
+
+
+def text_viewer(texts: DataFrame, key: str, text: str, snap: str, lo: int | None = None, hi: int | None = None) -> DataFrame:
+    """Each id's newest text within a snapshot range, runs of blanks made one."""
+    d = texts if lo is None else texts.where(F.col(snap) >= lo)
+    d = d if hi is None else d.where(F.col(snap) <= hi)
+    return newest_values(d, [key], F.col(snap), [snap, text]).withColumn(text, F.regexp_replace(text, r"[ \t\n\r\f\x0B]+", " "))
+
+
+def tag_list(tags: DataFrame, newest: str, tie: str, k: int = 50, **filters) -> DataFrame:
+    """The newest tags."""
+    return top_k(optional_filter(tags, **filters), k, F.desc(newest), F.col(tie))
+
+
+def plan_get(steps: DataFrame, key: str, value, step: str) -> DataFrame:
+    """The steps of one plan, in order."""
+    return steps.where(F.col(key) == value).orderBy(step)
+
+
+def feedback_history(feedback: DataFrame, status: str, newest: str, tie: str, k: int = 100, among: Sequence[str] | None = None) -> DataFrame:
+    """Recent feedback whose status is among the given ones, the newest first."""
+    d = feedback if among is None else feedback.where(F.col(status).isin(*among))
+    return top_k(d, k, F.desc(newest), F.col(tie))
+
+
+def socket_ratios(sockets: DataFrame) -> DataFrame:
+    """Sockets that are neither TCP nor UDP, and waiting ones in percent of TCP (NULL without any)."""
+    waiting = F.col("tcp_tw") / F.nullif("tcpsck", F.lit(0.0)) * 100
+    return sockets.withColumns({"other_sockets": F.col("totsck") - F.col("tcpsck") - F.col("udpsck"), "tw_pct": waiting})
+
+
+def advisory_curve(advisory: DataFrame, dbname, instance, begin_snap: int, size: str, estimates: Sequence[str]) -> DataFrame:
+    """Size against estimates for one snapshot, in order of size."""
+    own = advisory.where((F.col("dbname") == dbname) & (F.col("instance") == instance) & (F.col("begin_snap") == begin_snap))
+    return own.select(size, *estimates).orderBy(size, *estimates)
+
+
+def topn_semi(df: DataFrame, entity: str, value: str, k: int) -> DataFrame:
+    """The rows of the k entities with the largest mean. The k rows' size is known to Spark, which decides about broadcasting them."""
+    top = top_k(df.groupBy(entity).agg(F.avg(value).alias("__m")), k, F.desc("__m"), F.col(entity))
+    return df.join(top, entity, "left_semi")
+
+
+def header_carry(mark: Column, by: Sequence[str], order: str) -> Column:
+    """The last mark so far (rows whose mark is NULL have none of their own)."""
+    return F.last(mark, ignorenulls=True).over(W.partitionBy(*by).orderBy(order))
+
+
+def occurrence_number(by: Sequence[str], order: str) -> Column:
+    """Which occurrence of equal ``by`` a row is, from 1."""
+    return F.row_number().over(W.partitionBy(*by).orderBy(order))
+
+
+def union_distinct(*parts: DataFrame) -> DataFrame:
+    """The distinct rows of all parts, columns by name."""
+    return reduce(lambda a, b: a.unionByName(b), parts).distinct()
+
+
+def distinct_rows(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """U3"""
+    return df.select(*columns).distinct()

@@ -11,14 +11,17 @@ from pyspark.sql import functions as F
 from ..operators import joins, select
 
 KEYS = ("path", "plan_no")
+FULL_SCAN = "(contains(upper(operation), 'TABLE ACCESS FULL') OR contains(upper(operation), 'FIXED TABLE FULL'))"
 #: pattern -> condition on a step, severity.
 PROBLEMS = {
-    "full scan": ("operation LIKE 'TABLE ACCESS FULL%'", "high"),
-    "large fast full scan": ("operation LIKE 'INDEX FAST FULL SCAN%' AND rows > 10000", "medium"),
-    "large nested loop": ("operation LIKE 'NESTED LOOPS%' AND rows > 1000", "medium"),
+    "full scan": (FULL_SCAN, "high"),
+    "large fast full scan": ("contains(upper(operation), 'INDEX FAST FULL SCAN') AND rows > 10000", "medium"),
+    "large nested loop": ("contains(upper(operation), 'NESTED LOOPS') AND rows > 1000", "medium"),
     "high cost": ("cost > 10000", "high"),
-    "unbounded full scan": ("operation LIKE 'TABLE ACCESS FULL%' AND predicate IS NULL", "critical"),
+    "unbounded full scan": (f"{FULL_SCAN} AND predicate IS NULL", "critical"),
 }
+#: Operations whose coming or going changes the verdict on a plan.
+FULL_OPERATIONS = ("TABLE ACCESS FULL", "FIXED TABLE FULL", "INDEX FAST FULL SCAN")
 
 
 def plan_problems(steps: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
@@ -39,24 +42,70 @@ def plan_compare(before: DataFrame, after: DataFrame, keys: Sequence[str] = KEYS
     return j.withColumns({"cost_delta": F.col("cost_after") - F.col("cost_before"), "cost_pct": (F.col("cost_after") - F.col("cost_before")) / F.nullif("cost_before", F.lit(0.0)) * 100, "status": status})
 
 
-def problem_changes(before: DataFrame, after: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
-    """Problems that are new or fixed, by pattern and message."""
-    on = [*keys, "pattern", "message"]
-    b, a = before.select(*on).distinct(), after.select(*on).distinct()
-    return a.join(b, on, "left_anti").withColumn("change", F.lit("new")).union(b.join(a, on, "left_anti").withColumn("change", F.lit("fixed")))
+def plan_verdict(before: DataFrame, after: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
+    """Total cost (that of the first step) before and after, change, percent, whether it fell, and whether full scans came or went."""
+    full = reduce(lambda a, b: a | b, [F.contains(F.upper("operation"), F.lit(o)) for o in FULL_OPERATIONS])
+    side = lambda df, s: df.groupBy(*keys).agg(F.min_by("cost", "step_id").alias(f"total_{s}"), F.max(full).alias(f"full_{s}"))
+    j = side(before, "before").join(side(after, "after"), list(keys))
+    change = F.col("total_after") - F.col("total_before")
+    scans = F.when(F.col("full_before") & ~F.col("full_after"), "removed").when(~F.col("full_before") & F.col("full_after"), "introduced")
+    pct = F.when(F.col("total_before") > 0, change / F.col("total_before") * 100)
+    return j.withColumns({"cost_change": change, "cost_pct_change": pct, "improved": F.col("total_after") < F.col("total_before"), "full_scans": scans})
 
 
-def metadata_warnings(steps: DataFrame, meta: DataFrame, keys: Sequence[str] = KEYS, stale_days: int = 30, large_rows: float = 1e7) -> DataFrame:
-    """Warnings and INFO rows for the objects a plan uses. ``meta``: object_name, num_rows, analysed_days, blevel, object_type."""
-    own = steps.where("object_name is not null").select(*keys, "object_name").distinct()
-    m = meta.groupBy(F.upper(F.col("object_name").cast("string")).alias("__n")).agg(F.max("num_rows").alias("num_rows"), F.max("analysed_days").alias("analysed_days"), F.max("blevel").alias("blevel"))
-    j = own.join(m, F.upper("object_name") == F.col("__n"), "left").drop("__n")
+def access_changes(before: DataFrame, after: DataFrame, compared: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
+    """Steps whose operation or object changed to an operation that no step of the plan had before. ``compared``: the result of plan_compare."""
+    had = before.groupBy(*keys).agg(F.collect_set(F.upper("operation")).alias("__had"))
+    moved = compared.where("how = 'moved'").join(had, list(keys))
+    new = moved.where(~F.exists("__had", lambda x: F.contains(x, F.upper("operation_after"))))
+    name = lambda s: F.concat(F.col(f"operation_{s}"), F.lit(" ("), F.coalesce(f"object_{s}", F.lit("None")), F.lit(")"))
+    return new.select(*keys, "step_before", "step_after", F.concat(name("before"), F.lit(" -> "), name("after")).alias("change"))
+
+
+def problem_changes(before: DataFrame, after: DataFrame, compared: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
+    """Full scans that are new or fixed, as (keys, change, problem): of the plan as a whole, and step by step where that is not
+    said by the whole already (a step's scan is new only if the plan had none)."""
+    v = plan_verdict(before, after, keys)
+    whole = v.where("full_scans is not null").select(
+        *keys, F.when(F.col("full_scans") == "removed", "fixed").otherwise("new").alias("change"), F.concat(F.lit("Full table scan "), "full_scans").alias("problem")
+    )
+    full = lambda s: F.contains(F.upper(f"operation_{s}"), F.lit("FULL"))
+    obj = lambda s: F.coalesce(f"object_{s}", F.lit("None"))
+    m = compared.where("how = 'moved'").join(v.select(*keys, "full_before", "full_after"), list(keys))
+    gone = m.where(full("before") & ~full("after") & ~(F.col("full_before") & ~F.col("full_after")))
+    gone = gone.select(*keys, F.lit("fixed").alias("change"), F.concat(F.lit("Full scan removed: "), "operation_before", F.lit(" on "), obj("before"), F.lit(" -> "), "operation_after").alias("problem"))
+    come = m.where(~full("before") & full("after") & ~F.col("full_before"))
+    come = come.select(*keys, F.lit("new").alias("change"), F.concat(F.lit("New full scan: "), "operation_after", F.lit(" on "), obj("after")).alias("problem"))
+    return whole.union(gone).union(come)
+
+
+def metadata_warnings(steps: DataFrame, meta: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
+    """Warnings and INFO rows for the objects a plan uses, one row a (plan, object, pattern). Objects without metadata give none.
+
+    ``meta``: object_name, object_type, num_rows, analysed_days, blevel, clustering_factor, index_columns (JSON), uniqueness, partition_type, and
+    dbname, by which plans are matched too where the steps have it. Thresholds: FIXED values of the reference."""
+    on = ["dbname"] if "dbname" in steps.columns and "dbname" in meta.columns else []
+    own = steps.where("object_name is not null").select(*{k: 0 for k in (*keys, *on)}, F.upper("object_name").alias("__n")).distinct()
+    known = meta.withColumn("__n", F.upper(F.col("object_name").cast("string"))).drop(*[k for k in keys if k not in on])
+    j = own.join(known, [*on, "__n"])
+    index, table = F.col("object_type") == "INDEX", F.col("object_type") == "TABLE"
+    ratio = F.col("clustering_factor") / F.nullif(F.col("num_rows").cast("double"), F.lit(0.0))
+    columns = F.array_join(F.transform(F.from_json("index_columns", "array<struct<col:string>>"), lambda x: F.coalesce(x["col"], F.lit(""))), ", ")
+    grade = lambda high: F.when(high, "HIGH").otherwise("MEDIUM")
+    name = F.col("object_name").cast("string")
+    row = lambda severity, pattern, *detail: F.struct(severity.alias("severity"), F.lit(pattern).alias("pattern"), F.concat(name, *detail).alias("detail"))
+    whole = lambda c: F.col(c).cast("long").cast("string")
+    days, level = F.col("analysed_days"), F.col("blevel")
     rules = [
-        (F.col("num_rows").isNull(), "medium", "no metadata"),
-        (F.col("num_rows").isNotNull() & F.col("analysed_days").isNull(), "high", "no statistics"),
-        (F.col("analysed_days") > stale_days, "medium", "stale statistics"),
-        (F.col("blevel") >= 4, "medium", "deep index"),
-        (F.col("num_rows") >= large_rows, "info", "large table"),
+        F.when(days.isNull(), row(F.lit("HIGH"), "Missing Statistics", F.lit(": never analyzed"))),
+        F.when(days > 30, row(grade(days > 90), "Stale Statistics", F.lit(": last analyzed "), whole("analysed_days"), F.lit(" days ago"))),
+        F.when(index & (ratio > 0.8), row(grade(ratio > 1.5), "High Clustering Factor", F.lit(": clustering_factor="), whole("clustering_factor"), F.lit(" / num_rows="), whole("num_rows"))),
+        F.when(index & (level >= 4), row(grade(level >= 5), "Deep B-tree Index", F.lit(": blevel="), whole("blevel"))),
+        F.when(index & columns.isNotNull(), row(F.lit("INFO"), "Index Definition", F.lit(" ["), F.coalesce("uniqueness", F.lit("None")), F.lit("]: ("), columns, F.lit(")"))),
+        F.when(
+            table & (F.col("num_rows") > 0),
+            row(F.lit("INFO"), "Table Size", F.lit(": "), whole("num_rows"), F.lit(" rows, "), F.coalesce(F.concat(F.lit("partitioned ("), "partition_type", F.lit(")")), F.lit("unpartitioned"))),
+        ),
     ]
-    parts = [j.where(c).select(*keys, "object_name", F.lit(s).alias("severity"), F.lit(w).alias("warning")) for c, s, w in rules]
-    return reduce(lambda a, b: a.union(b), parts)
+    out = j.select(*keys, "object_name", F.explode(F.filter(F.array(*rules), lambda x: x.isNotNull())).alias("w"))
+    return out.select(*keys, "object_name", "w.severity", "w.pattern", "w.detail")

@@ -37,27 +37,59 @@ def x2_host_anomalies(spark, d):
     return _host_findings(spark, d).select("hostname", "object", "day", *r6("metric_value"), "baseline_n", *r6("baseline_mean", "baseline_stddev"), "fallback", *r6("z_score"), "severity")
 
 
-SNAP_FINDINGS = HOST_FINDINGS.replace("hostname", "dbname, instance, source").replace("h.dbname, instance, source = c.dbname, instance, source", "h.dbname = c.dbname AND h.instance = c.instance AND h.source = c.source").replace("c.dbname, instance, source", "c.dbname, c.instance, c.source").replace("day", "begin_snap").replace("host ", "facts ").replace("host GROUP", "facts GROUP")
-FACTS = "facts AS (SELECT dbname, instance, begin_snap, 'wait_pct' AS source, event AS object, pct AS value FROM wait UNION ALL SELECT dbname, instance, begin_snap, 'wait_ms', event, avg_wait_ms FROM wait),"
+#: Checks of snapshots: two of waits by event, two of statements, two of segments; the days that a baseline goes back.
+BACK = 40
+FACTS = """facts AS (SELECT dbname::VARCHAR AS dbname, instance::VARCHAR AS instance, begin_snap, 'wait_pct' AS source, event AS object, pct AS value FROM wait
+ UNION ALL SELECT dbname::VARCHAR, instance::VARCHAR, begin_snap, 'wait_ms', event, avg_wait_ms FROM wait UNION ALL SELECT dbname, instance, begin_snap, 'sql_elapsed', sql_id::VARCHAR, floor(elapsed) FROM stmt
+ UNION ALL SELECT dbname, instance, begin_snap, 'sql_cpu', sql_id::VARCHAR, floor(cpu) FROM stmt
+ UNION ALL SELECT dbname, instance, begin_snap, metric, owner, floor(value) FROM seg WHERE metric IN ('logical_reads', 'physical_reads')),
+t AS (SELECT dbname, instance, begin_snap, floor(epoch(min(snap_time)))::BIGINT AS sec FROM (SELECT dbname::VARCHAR AS dbname, instance::VARCHAR AS instance, begin_snap, snap_time::TIMESTAMP AS snap_time FROM wait
+ UNION ALL SELECT dbname, instance, begin_snap, snap_time::TIMESTAMP FROM stmt) GROUP BY ALL),"""
+SNAP_FINDINGS = f"""h AS (SELECT dbname, instance, source, object, sec, value FROM facts JOIN t USING (dbname, instance, begin_snap)),
+c AS (SELECT dbname, instance, source, object, begin_snap, sec, coalesce(avg(value), 0) AS metric_value FROM facts JOIN t USING (dbname, instance, begin_snap) GROUP BY ALL),
+p AS (SELECT c.*, count(h.value) FILTER (WHERE h.sec >= c.sec - {BACK} * 86400) AS n1, avg(h.value) FILTER (WHERE h.sec >= c.sec - {BACK} * 86400) AS m1, stddev_samp(h.value) FILTER (WHERE h.sec >= c.sec - {BACK} * 86400) AS s1,
+  count(h.value) AS n2, avg(h.value) AS m2, stddev_samp(h.value) AS s2 FROM c LEFT JOIN h ON h.dbname = c.dbname AND h.instance = c.instance AND h.source = c.source AND h.object = c.object AND h.sec < c.sec GROUP BY ALL),
+o AS (SELECT *, max((n1 >= 3)::INT) OVER (PARTITION BY dbname, instance, source, sec) = 1 AS prim FROM p),
+m AS (SELECT dbname, instance, source, object, begin_snap, metric_value, NOT prim AS fallback, CASE WHEN prim THEN n1 ELSE n2 END AS baseline_n, CASE WHEN prim THEN m1 ELSE m2 END AS baseline_mean, CASE WHEN prim THEN s1 ELSE s2 END AS baseline_stddev
+  FROM o WHERE CASE WHEN prim THEN n1 >= 3 ELSE n2 >= 2 END),
+z AS (SELECT *, CASE WHEN coalesce(baseline_stddev, 0) = 0 THEN 0 ELSE (metric_value - baseline_mean) / baseline_stddev END AS z_score FROM m),
+f AS (SELECT *, CASE WHEN abs(z_score) >= 4 THEN 'critical' WHEN abs(z_score) >= 3 THEN 'alert' WHEN abs(z_score) >= 1.5 THEN 'warning' END AS severity FROM z),
+findings AS (SELECT * FROM f WHERE severity IS NOT NULL)"""
 
 
-def _snapshot_facts(spark, d):
-    w = fx.wait(spark, d)
+def _snapshot_findings(spark, d) -> DataFrame:
+    """Wait events, statements and segments, melted to one table of (source, object, value)."""
     key = ["dbname", "instance", "begin_snap"]
-    return w.select(*key, F.col("event").alias("object"), F.col("pct").alias("wait_pct"), F.col("avg_wait_ms").alias("wait_ms")).unpivot([*key, "object"], ["wait_pct", "wait_ms"], "source", "value")
+    text = lambda df: df.withColumns({c: F.col(c).cast("string") for c in ("dbname", "instance")})
+    whole = lambda c: F.floor(c).alias(c)  # noqa: E731  whole units, so that means of equal sums don't end on a half of a rounded digit
+    w, s, g = text(fx.wait(spark, d)), text(fx.stmt(spark, d).withColumns({c: whole(c) for c in ("elapsed", "cpu")})), text(fx.seg(spark, d))
+    melt = lambda df, obj, of: df.select(*key, F.col(obj).cast("string").alias("object"), *[F.col(c).cast("double").alias(n) for n, c in of.items()]).unpivot([*key, "object"], list(of), "source", "value")
+    reads = g.where(F.col("metric").isin("logical_reads", "physical_reads")).select(*key, F.col("owner").alias("object"), F.col("metric").alias("source"), F.floor("value").cast("double").alias("value"))
+    facts = melt(w, "event", {"wait_pct": "pct", "wait_ms": "avg_wait_ms"}).unionByName(melt(s, "sql_id", {"sql_elapsed": "elapsed", "sql_cpu": "cpu"})).unionByName(reads)
+    at = lambda df: df.select(*key, F.col("snap_time").cast("timestamp").alias("snap_time"))
+    times = at(w).union(at(s)).groupBy(*key).agg(F.min("snap_time").alias("snap_time"))
+    return anomaly.snapshot_anomalies(facts, times, BACK, 1.5)
+
 
+_SNAP_COLUMNS = "dbname, instance, begin_snap, source, object, round(metric_value, 6) AS metric_value, baseline_n::BIGINT AS baseline_n, round(baseline_mean, 6) AS baseline_mean, round(baseline_stddev, 6) AS baseline_stddev, fallback, round(z_score, 6) AS z_score, severity"
 
-@query(fx.sql(f"SELECT dbname, instance, begin_snap, source, object, {FINDING} FROM findings", "wait", ctes=FACTS + SNAP_FINDINGS))
+
+@query(fx.sql(f"SELECT {_SNAP_COLUMNS} FROM findings", "wait", "stmt", "seg", ctes=FACTS + SNAP_FINDINGS))
 def x1_snapshot_anomalies(spark, d):
-    out = anomaly.snapshot_anomalies(_snapshot_facts(spark, d), 7, Z)
-    return out.select("dbname", "instance", "begin_snap", "source", "object", *r6("metric_value"), "baseline_n", *r6("baseline_mean", "baseline_stddev"), "fallback", *r6("z_score"), "severity")
+    return _snapshot_findings(spark, d).select("dbname", "instance", "begin_snap", "source", "object", *r6("metric_value"), "baseline_n", *r6("baseline_mean", "baseline_stddev"), "fallback", *r6("z_score"), "severity")
+
+
+#: Hosts with closed windows of 25 hours as a day's own value.
+_HOURS = "own AS (SELECT *, day AS wday FROM host UNION ALL SELECT *, day - 1 FROM host WHERE snap_time <= (day + INTERVAL 1 HOUR)), "
+HOST_25 = _HOURS + HOST_FINDINGS.replace("c AS (SELECT hostname, object, day, avg(value) AS metric_value FROM host GROUP BY ALL)", "c AS (SELECT hostname, object, wday AS day, avg(value) AS metric_value FROM own GROUP BY ALL)")
 
 
-@query(fx.sql("""SELECT 'snapshot' AS scope, count(*) AS findings, round(max(abs(z_score)), 6) AS max_abs_z FROM findings UNION ALL SELECT 'host', count(*), round(max(abs(z_score)), 6) FROM hf""", "wait", "host",
-              ctes=FACTS + SNAP_FINDINGS + ", " + "hf AS (WITH " + HOST_FINDINGS + " SELECT * FROM findings)"))
+@query(fx.sql("""SELECT 'snapshot' AS scope, count(*) AS findings, round(max(abs(z_score)), 3) AS max_abs_z FROM findings UNION ALL SELECT 'host', count(*), round(max(abs(z_score)), 3) FROM hf""", "wait", "stmt", "seg", "host",
+              ctes=FACTS + SNAP_FINDINGS + ", " + "hf AS (WITH " + HOST_25 + " SELECT * FROM findings)"))
 def x3_backfill(spark, d):
-    one = lambda f, s: f.agg(F.lit(s).alias("scope"), F.count("*").alias("findings"), F.round(F.max(F.abs("z_score")), 6).alias("max_abs_z"))
-    return one(anomaly.snapshot_anomalies(_snapshot_facts(spark, d), 7, Z), "snapshot").union(one(_host_findings(spark, d), "host"))
+    one = lambda f, s: f.agg(F.lit(s).alias("scope"), F.count("*").alias("findings"), F.round(F.max(F.abs("z_score")), 3).alias("max_abs_z"))
+    hosts = anomaly.host_anomalies(fx.host(spark, d), baseline_days=7, threshold=Z, hours=25)
+    return one(_snapshot_findings(spark, d), "snapshot").union(one(hosts, "host"))
 
 
 @query(fx.sql("""SELECT c.hostname, c.object, c.day, count(*)::BIGINT AS baseline_n, round(avg(h.value), 6) AS baseline_mean, round(stddev_samp(h.value), 6) AS baseline_stddev FROM (SELECT DISTINCT hostname, object, day FROM host) c

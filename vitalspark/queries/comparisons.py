@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from .. import fixtures as fx
-from ..operators import joins, rollups
+from ..operators import joins, rollups, select
 from ..plans import compare, drilldown
 from . import query
 from .anomalies import r6
@@ -174,10 +174,8 @@ def j18_plan_step_match(spark, d):
 
 @query("WITH st AS " + STEPS + " SELECT plan, step_id, op, ob, row_number() OVER (PARTITION BY plan, op, ob ORDER BY step_id)::INT AS n FROM st")
 def w6_occurrence_number(spark, d):
-    from pyspark.sql import Window as W
-
     s = _steps(spark, d).withColumnsRenamed({"operation": "op", "object_name": "ob"})
-    return s.select("plan", "step_id", "op", "ob", F.row_number().over(W.partitionBy("plan", "op", "ob").orderBy("step_id")).alias("n"))
+    return s.select("plan", "step_id", "op", "ob", select.occurrence_number(["plan", "op", "ob"], "step_id").alias("n"))
 
 
 RULES = [("click", "A", "click in A"), ("click", "*", "any click"), ("ERROR", "*", "any error"), ("view", "B", "view in B")]

@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 from .. import fixtures as fx
 from ..operators import select
 from . import query
-from .anomalies import r6
 
 
 @query(fx.sql("SELECT * FROM stmt WHERE dbname = 'A' AND instance = 'F' AND begin_snap BETWEEN 10 AND 20", "stmt"))
@@ -25,12 +24,6 @@ def p3_host_series(spark, d):
     return select.host_series(fx.host(spark, d), [1, 3], "2024-01-05", "2024-01-12", without=["view"]).select("hostname", "snap_time", "object", "value")
 
 
-@query("SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, l_quantity - l_tax - l_discount AS others, round(l_tax / nullif(l_discount, 0) * 100, 6) AS wait_pct FROM lineitem")
-def p4_derived_ratios(spark, d):
-    li = fx.table(spark, d, "lineitem")
-    return li.select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", (F.col("l_quantity") - F.col("l_tax") - F.col("l_discount")).alias("others"), F.round(F.col("l_tax") / F.nullif("l_discount", F.lit(0.0)) * 100, 6).alias("wait_pct"))
-
-
 @query(fx.sql("SELECT sql_id, begin_snap, md5(sql_text) AS text_md5 FROM (SELECT *, row_number() OVER (PARTITION BY sql_id ORDER BY begin_snap DESC) AS n FROM txt WHERE sql_text ILIKE '%license%') WHERE n = 1 ORDER BY sql_id LIMIT 50", "txt"))
 def p5_text_search(spark, d):
     found = select.newest_values(select.text_search(fx.text(spark, d), "sql_text", "LICENSE"), ["sql_id"], F.col("begin_snap"), ["begin_snap", "sql_text"])
@@ -39,8 +32,8 @@ def p5_text_search(spark, d):
 
 @query(fx.sql("SELECT sql_id, begin_snap, dbname, md5(sql_text) AS text_md5 FROM txt WHERE sql_id = 42 ORDER BY begin_snap DESC LIMIT 1", "txt"))
 def p6_id_search(spark, d):
-    t = fx.text(spark, d).where("sql_id = 42")
-    return select.newest_values(t, ["sql_id"], F.col("begin_snap"), ["begin_snap", "dbname", "sql_text"]).select("sql_id", "begin_snap", "dbname", F.md5("sql_text").alias("text_md5"))
+    found = select.id_search(fx.text(spark, d), "sql_id", 42, "begin_snap", ["begin_snap", "dbname", "sql_text"])
+    return found.select("sql_id", "begin_snap", "dbname", F.md5("sql_text").alias("text_md5"))
 
 
 @query(fx.sql("SELECT begin_snap, dbname, instance FROM txt WHERE dbname ILIKE '%c1%' OR instance ILIKE '%E%' ORDER BY begin_snap DESC LIMIT 100", "txt"))
@@ -59,20 +52,29 @@ def p9_picker_values(spark, d):
     return select.picker_values(fx.load(spark, d), "begin_snap")
 
 
-@query(fx.sql("SELECT sql_id, begin_snap, md5(regexp_replace(sql_text, '[ \\t\\n\\r\\f\\x0B]+', ' ', 'g')) AS text_md5 FROM (SELECT *, row_number() OVER (PARTITION BY sql_id ORDER BY begin_snap DESC) AS n FROM txt WHERE begin_snap BETWEEN 100 AND 700) WHERE n = 1", "txt"))
+@query(fx.sql("SELECT sql_id, begin_snap, md5(regexp_replace(sql_text, '[ \\t\\n\\r\\f\\x0B]+', ' ', 'g')) AS text_md5 FROM (SELECT *, row_number() OVER (PARTITION BY sql_id ORDER BY begin_snap DESC) AS n FROM txt) WHERE n = 1", "txt"))
 def p11_text_viewer(spark, d):
-    t = fx.text(spark, d).where("begin_snap between 100 and 700")
-    newest = select.newest_values(t, ["sql_id"], F.col("begin_snap"), ["begin_snap", "sql_text"])
-    return newest.select("sql_id", "begin_snap", F.md5(F.regexp_replace("sql_text", r"[ \t\n\r\f\x0B]+", " ")).alias("text_md5"))
+    newest = select.text_viewer(fx.text(spark, d), "sql_id", "sql_text", "begin_snap")
+    return newest.select("sql_id", "begin_snap", F.md5("sql_text").alias("text_md5"))
 
 
 @query("SELECT o_orderkey, o_orderstatus, o_orderdate FROM orders WHERE o_orderstatus = 'F' ORDER BY o_orderdate DESC, o_orderkey LIMIT 50")
 def p12_tag_list(spark, d):
-    o = select.optional_filter(fx.table(spark, d, "orders"), o_orderstatus="F")
-    return select.top_k(o, 50, F.desc("o_orderdate"), F.col("o_orderkey")).select("o_orderkey", "o_orderstatus", "o_orderdate")
+    return select.tag_list(fx.table(spark, d, "orders"), "o_orderdate", "o_orderkey", o_orderstatus="F").select("o_orderkey", "o_orderstatus", "o_orderdate")
+
+
+@query("SELECT l_orderkey, l_linenumber, l_partkey FROM lineitem WHERE l_orderkey = 7 ORDER BY l_linenumber")
+def p12_plan_get(spark, d):
+    return select.plan_get(fx.table(spark, d, "lineitem"), "l_orderkey", 7, "l_linenumber").select("l_orderkey", "l_linenumber", "l_partkey")
+
+
+@query("SELECT o_orderkey, o_orderstatus, o_orderdate FROM orders WHERE o_orderstatus IN ('O', 'P') ORDER BY o_orderdate DESC, o_orderkey LIMIT 100")
+def p12_feedback_history(spark, d):
+    found = select.feedback_history(fx.table(spark, d, "orders"), "o_orderstatus", "o_orderdate", "o_orderkey", among=["O", "P"])
+    return found.select("o_orderkey", "o_orderstatus", "o_orderdate")
 
 
-@query(fx.sql("SELECT hostname, object, round(avg(value), 6) AS est FROM host WHERE day = '2024-01-10' GROUP BY ALL", "host"))
+@query(fx.sql("SELECT total_wait_time_s AS size, pct AS est_time FROM wait WHERE dbname = 1 AND instance = 2 AND begin_snap = 9 ORDER BY size, est_time", "wait"))
 def p13_advisory_curve(spark, d):
-    h = fx.host(spark, d).where(F.col("day") == F.lit("2024-01-10").cast("date"))
-    return h.groupBy("hostname", "object").agg(F.avg("value").alias("est")).orderBy("hostname", "object").select("hostname", "object", *r6("est"))
+    w = fx.wait(spark, d).withColumnsRenamed({"total_wait_time_s": "size", "pct": "est_time"})
+    return select.advisory_curve(w, 1, 2, 9, "size", ["est_time"])

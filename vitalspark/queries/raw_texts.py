@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from .. import fixture_texts as ft
 from .. import fixtures as fx
+from ..operators.select import header_carry, socket_ratios
 from ..plans import listings
 from ..sources import delimited, hostlog, plan_text, report
 from . import query
@@ -65,6 +66,11 @@ for _kind in _PLAIN_SQL:
     _plain(_kind)
 
 
+@query(f"SELECT hostname, snap_time, event_id::DOUBLE AS totsck, event_id - user_id - value AS other_sockets, CASE WHEN user_id <> 0 THEN 0.0::DOUBLE END AS tw_pct FROM {E} WHERE event_type NOT IN ('click', 'view', 'error', 'purchase') AND k = 5")
+def p4_derived_ratios(spark, d):
+    return socket_ratios(hostlog.plain(_rows(spark, d), "socket")).select("hostname", "snap_time", "totsck", "other_sockets", "tw_pct")
+
+
 @query(f"SELECT hostname, snap_time + INTERVAL '5 hours 30 minutes' AS snap_time, value AS usr_pct FROM {E} WHERE event_type = 'click'")
 def src10_hostlog_tz_shift(spark, d):
     return hostlog.cpu(_rows(spark, d, "5 hours 30 minutes")).select("hostname", "snap_time", "usr_pct")
@@ -97,12 +103,12 @@ def src2_report_metadata(spark, d):
     return report.metadata(report.report_rows(ft.reports(spark, d))).drop("path")
 
 
-@query(fx.sql(f"SELECT DISTINCT db AS dbname, db AS folder, inst AS instance, CASE WHEN no % 2 = 0 THEN '11.2' ELSE '19.0' END AS release, false AS rac, begin_snap FROM {R}", "wait"))
+@query(fx.sql(f"SELECT DISTINCT db AS dbname, db AS folder, inst AS instance, no::INT AS instnum, CASE WHEN no % 2 = 0 THEN '11.2' ELSE '19.0' END AS release, begin_snap % 2 = 0 AS rac, no % 2 = 1 AS cdb, CASE WHEN no % 2 = 1 THEN 'PDB$' || begin_snap END AS pdb, begin_snap FROM {R}", "wait"))
 def src3_report_header_probe(spark, d):
     return report.header_probe(ft.reports(spark, d)).withColumn("begin_snap", F.regexp_extract("path", r"_(\d+)\.html", 1).cast("int")).drop("path")
 
 
-LI = "(SELECT l_orderkey, l_linenumber, min({'p': l_partkey, 'q': l_quantity, 'e': l_extendedprice, 'op': (['TABLE ACCESS FULL', 'INDEX RANGE SCAN', 'NESTED LOOPS', 'INDEX FAST FULL SCAN', 'HASH JOIN'])[(l_partkey % 5 + 1)::INT]}) AS m FROM lineitem GROUP BY ALL)"
+LI = "(SELECT l_orderkey, l_linenumber, min({'p': l_partkey, 'q': l_quantity, 'e': l_extendedprice, 'op': (['TABLE ACCESS FULL', 'INDEX RANGE SCAN', 'NESTED LOOPS', 'INDEX FAST FULL SCAN', 'HASH JOIN', 'FIXED TABLE FULL', 'PARTITIONED TABLE ACCESS FULL'])[(l_partkey % 7 + 1)::INT]}) AS m FROM lineitem GROUP BY ALL)"
 STEP_SQL = f"""st AS (SELECT (l_orderkey // 2)::VARCHAR AS path, 'q' || l_orderkey AS sql_id, l_linenumber::INT AS step_id, m.op AS operation, 'T' || (m.p % 50) AS object_name, CASE WHEN m.e >= 50000 THEN floor(m.e / 1000) * 1000 ELSE floor(m.e) END AS rows, floor(m.q) AS bytes, floor(m.e / 5) AS cost,
  CASE WHEN l_linenumber % 2 = 0 THEN 'filter("A"=' || m.p || ' AND B>1)' END AS predicate FROM {LI} UNION ALL SELECT (o // 2)::VARCHAR, 'q' || o, 0, 'SELECT STATEMENT', NULL, NULL, NULL, 12, NULL FROM (SELECT DISTINCT l_orderkey AS o FROM lineitem))"""
 
@@ -138,8 +144,8 @@ def src13_metadata_csv(spark, d):
     return m.select("owner", "object_name", "blevel", F.col("index_columns")[0]["col"].alias("first_column"))
 
 
-PROBLEM_SQL = """pb AS (SELECT *, operation || ' on ' || coalesce(object_name, '?') AS message FROM (SELECT *, unnest(list_filter([CASE WHEN operation LIKE 'TABLE ACCESS FULL%' THEN 'full scan' END, CASE WHEN operation LIKE 'INDEX FAST FULL SCAN%' AND rows > 10000 THEN 'large fast full scan' END,
- CASE WHEN operation LIKE 'NESTED LOOPS%' AND rows > 1000 THEN 'large nested loop' END, CASE WHEN cost > 10000 THEN 'high cost' END, CASE WHEN operation LIKE 'TABLE ACCESS FULL%' AND predicate IS NULL THEN 'unbounded full scan' END], lambda x: x IS NOT NULL)) AS pattern FROM st)),
+PROBLEM_SQL = """pb AS (SELECT *, operation || ' on ' || coalesce(object_name, '?') AS message FROM (SELECT *, unnest(list_filter([CASE WHEN operation SIMILAR TO '.*(TABLE ACCESS|FIXED TABLE) FULL.*' THEN 'full scan' END, CASE WHEN operation LIKE '%INDEX FAST FULL SCAN%' AND rows > 10000 THEN 'large fast full scan' END,
+ CASE WHEN operation LIKE '%NESTED LOOPS%' AND rows > 1000 THEN 'large nested loop' END, CASE WHEN cost > 10000 THEN 'high cost' END, CASE WHEN operation SIMILAR TO '.*(TABLE ACCESS|FIXED TABLE) FULL.*' AND predicate IS NULL THEN 'unbounded full scan' END], lambda x: x IS NOT NULL)) AS pattern FROM st)),
 pr AS (SELECT path, sql_id, pattern, message, min(step_id) AS step_id FROM pb GROUP BY ALL)"""
 
 
@@ -148,13 +154,13 @@ def x13_plan_problems(spark, d):
     return listings.plan_problems(plan_text.plan_steps(ft.plan_texts(spark, d)), ["path", "sql_id"]).select("path", "sql_id", "pattern", "message", "step_id")
 
 
-_AFTER = STEP_SQL.replace("st AS", "s2 AS").replace("l_partkey % 5 + 1", "(l_partkey + CASE WHEN l_linenumber = 4 THEN 1 ELSE 0 END) % 5 + 1").replace("FROM lineitem GROUP BY ALL", "FROM lineitem WHERE l_linenumber <> 3 GROUP BY ALL").replace("l_orderkey AS o FROM lineitem", "l_orderkey AS o FROM lineitem WHERE l_linenumber <> 3")
+_AFTER = STEP_SQL.replace("st AS", "s2 AS").replace("l_partkey % 7 + 1", "(l_partkey + CASE WHEN l_linenumber = 4 THEN 1 ELSE 0 END) % 7 + 1").replace("FROM lineitem GROUP BY ALL", "FROM lineitem WHERE l_linenumber <> 3 GROUP BY ALL").replace("l_orderkey AS o FROM lineitem", "l_orderkey AS o FROM lineitem WHERE l_linenumber <> 3")
 COMPARE_SQL = """n1 AS (SELECT *, upper(operation) AS op, coalesce(upper(object_name), '') AS ob, row_number() OVER (PARTITION BY path, sql_id, upper(operation), coalesce(upper(object_name), '') ORDER BY step_id) AS n FROM st),
 n2 AS (SELECT *, upper(operation) AS op, coalesce(upper(object_name), '') AS ob, row_number() OVER (PARTITION BY path, sql_id, upper(operation), coalesce(upper(object_name), '') ORDER BY step_id) AS n FROM s2),
-b AS (SELECT coalesce(x.path, y.path) AS path, coalesce(x.sql_id, y.sql_id) AS sql_id, x.step_id AS sb, y.step_id AS sa, x.cost AS cb, y.cost AS ca FROM n1 x FULL JOIN n2 y ON x.path = y.path AND x.sql_id = y.sql_id AND x.op = y.op AND x.ob = y.ob AND x.n = y.n),
+b AS (SELECT coalesce(x.path, y.path) AS path, coalesce(x.sql_id, y.sql_id) AS sql_id, x.step_id AS sb, y.step_id AS sa, x.cost AS cb, y.cost AS ca, x.operation AS ob, y.operation AS oa, x.object_name AS nb, y.object_name AS na FROM n1 x FULL JOIN n2 y ON x.path = y.path AND x.sql_id = y.sql_id AND x.op = y.op AND x.ob = y.ob AND x.n = y.n),
 l AS (SELECT *, row_number() OVER (PARTITION BY path, sql_id ORDER BY sb) AS n FROM b WHERE sa IS NULL), r AS (SELECT *, row_number() OVER (PARTITION BY path, sql_id ORDER BY sa) AS n FROM b WHERE sb IS NULL),
-m AS (SELECT path, sql_id, sb, sa, cb, ca, CASE WHEN cb IS DISTINCT FROM ca THEN 'changed' ELSE 'same' END AS status FROM b WHERE sb IS NOT NULL AND sa IS NOT NULL
- UNION ALL SELECT coalesce(l.path, r.path), coalesce(l.sql_id, r.sql_id), l.sb, r.sa, l.cb, r.ca, CASE WHEN r.sa IS NULL THEN 'removed' WHEN l.sb IS NULL THEN 'added' ELSE 'changed' END FROM l FULL JOIN r ON l.path = r.path AND l.sql_id = r.sql_id AND l.n = r.n)"""
+m AS (SELECT path, sql_id, sb, sa, cb, ca, ob, oa, nb, na, false AS moved, CASE WHEN cb IS DISTINCT FROM ca THEN 'changed' ELSE 'same' END AS status FROM b WHERE sb IS NOT NULL AND sa IS NOT NULL
+ UNION ALL SELECT coalesce(l.path, r.path), coalesce(l.sql_id, r.sql_id), l.sb, r.sa, l.cb, r.ca, l.ob, r.oa, l.nb, r.na, l.sb IS NOT NULL AND r.sa IS NOT NULL, CASE WHEN r.sa IS NULL THEN 'removed' WHEN l.sb IS NULL THEN 'added' ELSE 'changed' END FROM l FULL JOIN r ON l.path = r.path AND l.sql_id = r.sql_id AND l.n = r.n)"""
 
 
 @query(f"WITH {STEP_SQL}, {_AFTER}, {COMPARE_SQL} SELECT path, sql_id, status, count(*) AS steps, round(sum(ca - cb), 2) AS cost_delta FROM m GROUP BY ALL")
@@ -164,17 +170,71 @@ def x14_plan_compare(spark, d):
     return out.groupBy("path", "sql_id", "status").agg(F.count("*").alias("steps"), F.round(F.sum("cost_delta"), 2).alias("cost_delta"))
 
 
-@query(f"WITH {STEP_SQL}, u AS (SELECT DISTINCT path, sql_id, object_name FROM st WHERE object_name IS NOT NULL), m AS (SELECT 'T' || (p_partkey % 60) AS n, max(p_partkey * 1e5) AS num_rows, max(CASE WHEN p_size % 10 <> 0 THEN p_size END) AS days, max(p_size % 7) AS blevel FROM part WHERE p_size <= 2 GROUP BY ALL), j AS (SELECT * FROM u LEFT JOIN m ON object_name = n) SELECT path, sql_id, object_name, 'medium' AS severity, 'no metadata' AS warning FROM j WHERE num_rows IS NULL UNION ALL SELECT path, sql_id, object_name, 'high', 'no statistics' FROM j WHERE num_rows IS NOT NULL AND days IS NULL UNION ALL SELECT path, sql_id, object_name, 'medium', 'stale statistics' FROM j WHERE days > 30 UNION ALL SELECT path, sql_id, object_name, 'medium', 'deep index' FROM j WHERE blevel >= 4 UNION ALL SELECT path, sql_id, object_name, 'info', 'large table' FROM j WHERE num_rows >= 1e7")
+_FULL = "bool_or(operation SIMILAR TO '.*(TABLE ACCESS FULL|FIXED TABLE FULL|INDEX FAST FULL SCAN).*')"
+VERDICT_SQL = f"""v AS (SELECT *, tot_a - tot_b AS cost_change, CASE WHEN tot_b > 0 THEN (tot_a - tot_b) / tot_b * 100 END AS cost_pct_change, tot_a < tot_b AS improved,
+ CASE WHEN fb AND NOT fa THEN 'removed' WHEN NOT fb AND fa THEN 'introduced' END AS full_scans
+ FROM (SELECT path, sql_id, arg_min(cost, step_id) AS tot_b, {_FULL} AS fb FROM st GROUP BY ALL) JOIN (SELECT path, sql_id, arg_min(cost, step_id) AS tot_a, {_FULL} AS fa FROM s2 GROUP BY ALL) USING (path, sql_id))"""
+
+
+def _both(spark, d):
+    """Steps before and after, each parsed once and kept as a table, since comparisons read them several times."""
+    import uuid
+
+    from ..storage import shared_dir
+
+    for v in (0, 1):
+        path = f"{shared_dir(spark)}/steps-{uuid.uuid4().hex[:12]}"
+        plan_text.plan_steps(ft.plan_texts(spark, d, v)).write.parquet(path)
+        yield spark.read.parquet(path)
+
+
+@query(f"WITH {STEP_SQL}, {_AFTER}, {VERDICT_SQL} SELECT path, sql_id, tot_b AS total_before, tot_a AS total_after, cost_change, round(cost_pct_change, 6) AS cost_pct_change, improved, full_scans FROM v")
+def x14_plan_verdict(spark, d):
+    v = listings.plan_verdict(*_both(spark, d), ["path", "sql_id"])
+    return v.select("path", "sql_id", "total_before", "total_after", "cost_change", F.round("cost_pct_change", 6).alias("cost_pct_change"), "improved", "full_scans")
+
+
+@query(
+    f"""WITH {STEP_SQL}, {_AFTER}, {COMPARE_SQL}, {VERDICT_SQL}, had AS (SELECT path, sql_id, list(DISTINCT operation) AS ops FROM st GROUP BY ALL)
+ SELECT path, sql_id, CASE full_scans WHEN 'removed' THEN 'fixed' ELSE 'new' END AS change, 'Full table scan ' || full_scans AS problem FROM v WHERE full_scans IS NOT NULL
+ UNION ALL SELECT path, sql_id, 'fixed', 'Full scan removed: ' || ob || ' on ' || coalesce(nb, 'None') || ' -> ' || oa FROM m JOIN v USING (path, sql_id) WHERE moved AND contains(ob, 'FULL') AND NOT contains(oa, 'FULL') AND NOT (fb AND NOT fa)
+ UNION ALL SELECT path, sql_id, 'new', 'New full scan: ' || oa || ' on ' || coalesce(na, 'None') FROM m JOIN v USING (path, sql_id) WHERE moved AND NOT contains(ob, 'FULL') AND contains(oa, 'FULL') AND NOT fb
+ UNION ALL SELECT path, sql_id, 'access', ob || ' (' || coalesce(nb, 'None') || ') -> ' || oa || ' (' || coalesce(na, 'None') || ')' FROM m JOIN had USING (path, sql_id) WHERE moved AND len(list_filter(ops, lambda x: contains(x, oa))) = 0"""
+)
+def x14_problem_changes(spark, d):
+    keys = ["path", "sql_id"]
+    before, after = _both(spark, d)
+    compared = listings.plan_compare(before, after, keys)
+    access = listings.access_changes(before, after, compared, keys).select(*keys, F.lit("access").alias("change"), F.col("change").alias("problem"))
+    return listings.problem_changes(before, after, compared, keys).union(access)
+
+
+_META = "(SELECT 'T' || object_name AS n, * EXCLUDE (object_name), CASE WHEN object_name % 2 = 0 THEN 'A, B' END AS cols FROM meta)"
+
+
+@query(
+    fx.sql(
+        f"""SELECT path, sql_id, n AS object_name, severity, pattern, n || detail AS detail FROM (SELECT path, sql_id, n, unnest([
+ CASE WHEN analysed_days IS NULL THEN {{'severity': 'HIGH', 'pattern': 'Missing Statistics', 'detail': ': never analyzed'}} END,
+ CASE WHEN analysed_days > 30 THEN {{'severity': CASE WHEN analysed_days > 90 THEN 'HIGH' ELSE 'MEDIUM' END, 'pattern': 'Stale Statistics', 'detail': ': last analyzed ' || analysed_days || ' days ago'}} END,
+ CASE WHEN object_type = 'INDEX' AND clustering_factor / nullif(num_rows, 0) > 0.8 THEN {{'severity': CASE WHEN clustering_factor / num_rows > 1.5 THEN 'HIGH' ELSE 'MEDIUM' END, 'pattern': 'High Clustering Factor',
+  'detail': ': clustering_factor=' || floor(clustering_factor)::BIGINT || ' / num_rows=' || floor(num_rows)::BIGINT}} END,
+ CASE WHEN object_type = 'INDEX' AND blevel >= 4 THEN {{'severity': CASE WHEN blevel >= 5 THEN 'HIGH' ELSE 'MEDIUM' END, 'pattern': 'Deep B-tree Index', 'detail': ': blevel=' || blevel}} END,
+ CASE WHEN object_type = 'INDEX' AND cols IS NOT NULL THEN {{'severity': 'INFO', 'pattern': 'Index Definition', 'detail': ' [None]: (' || cols || ')'}} END,
+ CASE WHEN object_type = 'TABLE' AND num_rows > 0 THEN {{'severity': 'INFO', 'pattern': 'Table Size', 'detail': ': ' || floor(num_rows)::BIGINT || ' rows, ' || coalesce('partitioned (' || partition_type || ')', 'unpartitioned')}} END]) AS w
+ FROM (SELECT DISTINCT path, sql_id, object_name FROM st) JOIN {_META} ON object_name = n), LATERAL (SELECT w.severity AS severity, w.pattern AS pattern, w.detail AS detail) WHERE w IS NOT NULL""",
+        "meta", ctes=STEP_SQL,
+    )
+)
 def x15_plan_metadata_warnings(spark, d):
-    p = fx.table(spark, d, "part").where("p_size <= 2")
-    meta = p.select(F.concat(F.lit("T"), (F.col("p_partkey") % 60).cast("string")).alias("object_name"), (F.col("p_partkey") * 1e5).alias("num_rows"), F.when(F.col("p_size") % 10 != 0, F.col("p_size")).alias("analysed_days"), (F.col("p_size") % 7).alias("blevel"))
+    columns = F.when(F.col("object_name") % 2 == 0, F.lit('[{"col":"A","pos":1},{"col":"B","pos":2}]'))
+    meta = fx.meta(spark, d).withColumns({"index_columns": columns, "uniqueness": F.lit(None).cast("string")})
+    meta = meta.withColumn("object_name", F.concat(F.lit("T"), F.col("object_name").cast("string")))
     return listings.metadata_warnings(plan_text.plan_steps(ft.plan_texts(spark, d)), meta, ["path", "sql_id"])
 
 
 @query(f"WITH {STEP_SQL} SELECT path, sql_id, step_id, last_value(CASE WHEN operation LIKE 'TABLE%' THEN object_name END IGNORE NULLS) OVER (PARTITION BY path, sql_id ORDER BY step_id) AS carried FROM st")
 def w5_header_carry(spark, d):
-    from pyspark.sql import Window as W
-
     s = plan_text.plan_steps(ft.plan_texts(spark, d))
     head = F.when(F.col("operation").startswith("TABLE"), F.col("object_name"))
-    return s.select("path", "sql_id", "step_id", F.last(head, ignorenulls=True).over(W.partitionBy("path", "sql_id").orderBy("step_id")).alias("carried"))
+    return s.select("path", "sql_id", "step_id", header_carry(head, ["path", "sql_id"], "step_id").alias("carried"))

@@ -104,7 +104,7 @@ def a10_segment_summary_entity(spark, d):
 
 
 _others = [m for m in fx.SEGMENT_METRICS if m != "logical_reads"]
-COARSE = f"o AS (SELECT {KEYS}, object_name, avg(value) AS logical_reads FROM seg WHERE metric = 'logical_reads' GROUP BY ALL), s AS (SELECT {KEYS}, " + ", ".join(f"avg(value) FILTER (WHERE metric = '{m}') AS {m}" for m in _others) + " FROM seg WHERE metric <> 'logical_reads' GROUP BY ALL)"
+COARSE = f"o AS (SELECT {KEYS}, object_name, avg(value) AS logical_reads FROM seg WHERE metric = 'logical_reads' GROUP BY ALL), s AS (SELECT {KEYS}, " + ", ".join(f"sum(value::DECIMAL(28,6)) FILTER (WHERE metric = '{m}')::DOUBLE / nullif(count(value) FILTER (WHERE metric = '{m}'), 0) AS {m}" for m in _others) + " FROM seg WHERE metric <> 'logical_reads' GROUP BY ALL)"
 _weighted_sql = " + ".join(f"{S.SEGMENT_WEIGHTS[m]} * coalesce({m}, 0)" for m in fx.SEGMENT_METRICS if m in S.SEGMENT_WEIGHTS)
 
 
@@ -214,9 +214,7 @@ def a30_segment_panel(spark, d):
 
 @query(fx.sql("SELECT hostname, object, snap_time, value FROM host WHERE object IN (SELECT object FROM host GROUP BY object ORDER BY avg(value) DESC, object LIMIT 2)", "host"))
 def j7_topn_semi(spark, d):
-    h = fx.host(spark, d)
-    top = select.top_k(h.groupBy("object").agg(F.avg("value").alias("m")), 2, F.desc("m"), F.col("object"))
-    return h.join(top, "object", "left_semi").select("hostname", "object", "snap_time", "value")
+    return select.topn_semi(fx.host(spark, d), "object", "value", 2).select("hostname", "object", "snap_time", "value")
 
 
 @query(fx.sql("SELECT hostname, object, snap_time, value FROM (SELECT *, row_number() OVER (PARTITION BY hostname, object ORDER BY snap_time DESC, value DESC) AS n FROM host) WHERE n = 1", "host"))
@@ -251,9 +249,9 @@ def u1_union_all(spark, d):
 @query(fx.sql("SELECT sql_id FROM stmt WHERE elapsed > 90000 UNION SELECT sql_id FROM stmt WHERE parses >= 7", "stmt"))
 def u2_union_distinct(spark, d):
     s = fx.stmt(spark, d)
-    return s.where("elapsed > 90000").select("sql_id").union(s.where("parses >= 7").select("sql_id")).distinct()
+    return select.union_distinct(s.where("elapsed > 90000").select("sql_id"), s.where("parses >= 7").select("sql_id"))
 
 
 @query(fx.sql("SELECT DISTINCT owner, obj_type FROM seg", "seg"))
 def u3_distinct(spark, d):
-    return fx.seg(spark, d).select("owner", "obj_type").distinct()
+    return select.distinct_rows(fx.seg(spark, d), ["owner", "obj_type"])

@@ -35,18 +35,24 @@ class KeyedTable:
         keys = df.select(*self.partitions).distinct()
         return self.read().join(F.broadcast(keys) if len(keys.take(10_001)) <= 10_000 else keys, self.partitions, "left_semi")
 
+    def _spread(self, df: DataFrame) -> DataFrame:
+        """Dealt by partition for few files; Spark splits large partitions to several tasks."""
+        return df.hint("rebalance", *self.partitions)
+
     def _overwrite(self, df: DataFrame) -> None:
         stage = f"{shared_dir(self.spark)}/stage-{uuid.uuid4().hex[:12]}"
         df.write.parquet(stage)
-        staged = self.spark.read.schema(df.schema).parquet(stage)
-        staged.repartition(*self.partitions).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*self.partitions).parquet(self.path)
+        self._replace(self.spark.read.schema(df.schema).parquet(stage))
+
+    def _replace(self, staged: DataFrame) -> None:
+        self._spread(staged).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*self.partitions).parquet(self.path)
 
     def insert_if_absent(self, df: DataFrame, keys: Sequence[str]) -> None:
         """SNK1: rows whose key is new are appended, of equal ones in the input any one."""
         new = df.dropDuplicates(list(keys))
         if self.exists():
             new = new.join(self._touched(df).select(*keys), list(keys), "left_anti")
-        new.repartition(*self.partitions).write.mode("append").partitionBy(*self.partitions).parquet(self.path)
+        self._spread(new).write.mode("append").partitionBy(*self.partitions).parquet(self.path)
 
     def upsert(self, df: DataFrame, keys: Sequence[str], refresh: Sequence[str] | None = None, order: str | None = None) -> None:
         """SNK2: new keys are added; of known keys the columns in ``refresh`` (all others by default) take the new value where it is not NULL.
@@ -71,14 +77,20 @@ class KeyedTable:
         self._overwrite(recompute(touched.select(*self.partitions).distinct()))
 
     def delete(self, keys: DataFrame, on: Sequence[str]) -> None:
-        """SNK4: rows with a key in ``keys`` go; partitions without any stay as they are."""
+        """SNK4: rows with a key in ``keys`` go; partitions without any stay as they are.
+
+        Partitions of which nothing is left are deleted first, then the others rewritten from a finished copy, each at once. If the driver is lost
+        between, the same call again deletes what is left to delete."""
         old = self.read()
         hit = old.join(keys.select(*on).distinct(), list(on), "left_semi").select(*self.partitions).distinct()
         rest = old.join(hit, self.partitions, "left_semi").join(keys.select(*on).distinct(), list(on), "left_anti")
         gone = hit.join(rest.select(*self.partitions).distinct(), self.partitions, "left_anti").collect()  # whole partitions of the deleted keys
-        self._overwrite(rest)
         jvm = self.spark.sparkContext._jvm
         conf = self.spark.sparkContext._jsc.hadoopConfiguration()
+        stage = f"{shared_dir(self.spark)}/stage-{uuid.uuid4().hex[:12]}"
+        rest.write.parquet(stage)
+        staged = self.spark.read.schema(rest.schema).parquet(stage)
         for row in gone:
             p = jvm.org.apache.hadoop.fs.Path("/".join([self.path, *[f"{c}={row[c]}" for c in self.partitions]]))
             p.getFileSystem(conf).delete(p, True)
+        self._replace(staged)

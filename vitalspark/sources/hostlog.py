@@ -1,16 +1,18 @@
 """Host activity logs (SRC4-SRC10): a text per host and day to typed rows, in DataFrame expressions only.
 
 A file's lines are numbered within it; blank and ``Average:`` lines end a block, and the last header line of a block names the columns
-of the rows that follow (W5). Everything is a window over one file's lines, so files spread over tasks.
+of the rows that follow (W5). Name and date are read from the file once, below the line split; the rest is one window over one file's
+lines, so the work grows with a file's length and files spread over tasks.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-_TIME = r"^(\d{1,2}:\d{2}:\d{2})(\s+[AP]M)?\s+(.*)$"
+from ..operators.select import header_carry
+
+_TIME = r"^\d{1,2}:\d{2}:\d{2}$"
 
 
 def read_logs(spark: SparkSession, path: str) -> DataFrame:
@@ -31,20 +33,31 @@ def log_lines(files: DataFrame, shift: str | None = None) -> DataFrame:
 
     ``shift`` (SRC10) is an interval text, such as ``5 hours 30 minutes``, added to every time; days roll over. Rows with fewer cells than
     names keep the cells they have; rows before any header of their block are dropped."""
-    first = F.split(F.ltrim(F.col("content")), "\n")[0]
-    d = files.select("path", F.regexp_extract(first, r"\(([^)]*)\)", 1).alias("hostname"), log_date(first).alias("day"), F.posexplode(F.split("content", "\r?\n")).alias("no", "line"))
-    order = W.partitionBy("path").orderBy("no")
-    t = lambda k: F.regexp_extract("line", _TIME, k)
-    d = d.withColumns({"time": t(1), "half": F.trim(t(2)), "cells": F.split(F.trim(t(3)), r"\s+")})
-    d = d.withColumns({"reset": ((F.trim("line") == "") | F.startswith("line", F.lit("Average:"))).cast("int"), "is_header": (F.col("time") != "") & F.forall("cells", lambda x: x.try_cast("double").isNull())})
-    d = d.withColumn("block", F.sum("reset").over(order))
-    d = d.withColumn("names", F.last(F.when(F.col("is_header"), F.col("cells")), ignorenulls=True).over(W.partitionBy("path", "block").orderBy("no")))
-    rows = d.where("time <> '' and not is_header and names is not null")
+    first = F.substring_index(F.ltrim("content"), "\n", 1)
+    heads = files.select("path", F.regexp_extract(first, r"\(([^)]*)\)", 1).alias("hostname"), log_date(first).alias("day"), "content")
+    lines = heads.select("path", "hostname", "day", F.posexplode(F.split("content", "\r?\n")).alias("no", "line"))  # the content stays below
+    words = lines.select("path", "hostname", "day", "no", F.split(F.trim("line"), r"\s+").alias("w"))
+    timed = F.element_at("w", 1).rlike(_TIME)
+    half = F.when(F.get("w", F.lit(1)).isin("AM", "PM"), F.get("w", F.lit(1)))
+    d = words.select("path", "hostname", "day", "no", "w", timed.alias("timed"), F.when(timed, half).alias("half"))
+    skip = F.when(F.col("half").isNull(), 2).otherwise(3)
+    d = d.withColumn("cells", F.when(F.col("timed"), F.slice("w", skip, F.greatest(F.size("w") - skip + 1, F.lit(0)))))
+    d = d.withColumn("is_header", F.col("timed") & F.forall("cells", lambda x: x.try_cast("double").isNull()))
+    # What a header names holds until the next header or the end of its block: one running value over the file's lines.
+    none = F.lit(None).cast("array<string>")
+    ends = (F.element_at("w", 1) == "") | F.startswith(F.element_at("w", 1), F.lit("Average:"))
+    mark = F.when(F.col("is_header"), F.struct(F.col("cells").alias("names"))).when(ends, F.struct(none.alias("names")))
+    d = d.withColumn("names", header_carry(mark, ["path"], "no")["names"])
+    rows = d.where("timed and not is_header and names is not null")
     n = F.least(F.size("names"), F.size("cells"))
-    clock = F.when(F.col("half") == "", F.to_timestamp_ntz(F.concat_ws(" ", "day", "time"), F.lit("yyyy-MM-dd H:mm:ss"))).otherwise(F.to_timestamp_ntz(F.concat_ws(" ", "day", "time", "half"), F.lit("yyyy-MM-dd hh:mm:ss a")))
+    time = F.element_at("w", 1)
+    clock24 = F.to_timestamp_ntz(F.concat_ws(" ", "day", time), F.lit("yyyy-MM-dd H:mm:ss"))
+    clock12 = F.to_timestamp_ntz(F.concat_ws(" ", "day", time, "half"), F.lit("yyyy-MM-dd hh:mm:ss a"))
+    clock = F.when(F.col("half").isNull(), clock24).otherwise(clock12)
     if shift:
         clock = clock + F.expr(f"INTERVAL {shift}")
-    return rows.select("path", "hostname", clock.alias("snap_time"), F.col("names")[0].alias("section"), F.map_from_arrays(F.slice("names", F.lit(1), n), F.slice("cells", F.lit(1), n)).alias("fields"))
+    fields = F.map_from_arrays(F.slice("names", F.lit(1), n), F.slice("cells", F.lit(1), n))
+    return rows.select("path", "hostname", clock.alias("snap_time"), F.col("names")[0].alias("section"), fields.alias("fields"))
 
 
 def field(*names: str, default: float | None = 0.0, scale: float = 1.0, digits: int | None = None) -> Column:

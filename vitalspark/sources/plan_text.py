@@ -1,4 +1,8 @@
-"""Execution-plan listings (SRC11): text to one row a step, in DataFrame expressions only."""
+"""Execution-plan listings (SRC11): text to one row a plan, and to one row a step, in DataFrame expressions only.
+
+The lines of a file are classified by windows over the file (one shuffle, one sort), and one aggregate on the same partitioning gathers each plan: its
+heading, text, notes, steps and predicates. Steps are that row's array, exploded.
+"""
 
 from __future__ import annotations
 
@@ -7,50 +11,71 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.scalars import plan_cost, plan_size
+from ..operators.select import header_carry
 
 _PREDICATE = r"^\s*(\d+)\s+-\s+(.*)$"
 
 
 def plan_lines(files: DataFrame) -> DataFrame:
-    """Lines of (path, content) with plan number (a new one at each ``SQL_ID`` line), section and the table's column names carried on."""
+    """Lines of (path, content) with plan number (a new one at each ``SQL_ID`` line), section, the table's column names and the step of a predicate carried on."""
     d = files.select("path", F.posexplode(F.split("content", "\r?\n")).alias("no", "line"))
+    begins = lambda text: F.startswith(F.ltrim("line"), F.lit(text))
+    mark = F.when(begins("SQL_ID"), "text").when(begins("Plan hash value"), "table").when(begins("Predicate Information"), "predicates").when(F.trim("line") == "Note", "note")
+    raw = F.split(F.regexp_replace(F.trim("line"), r"^\||\|$", ""), r"\|")
+    d = d.select("path", "no", "line", mark.alias("mark"), F.when(begins("|"), raw).alias("raw"))
+    d = d.withColumn("cells", F.transform("raw", lambda x: F.trim(x)))
+    none = F.lit(None).cast("array<string>")
+    names = F.when(F.col("mark") == "text", F.struct(none.alias("names"))).when(F.array_contains("cells", "Operation"), F.struct(F.col("cells").alias("names")))
     file = W.partitionBy("path").orderBy("no")
-    d = d.withColumn("plan_no", F.sum(F.startswith(F.ltrim("line"), F.lit("SQL_ID")).cast("int")).over(file))
-    plan = W.partitionBy("path", "plan_no").orderBy("no")
-    mark = F.when(F.startswith(F.ltrim("line"), F.lit("SQL_ID")), "text").when(F.startswith(F.ltrim("line"), F.lit("Plan hash value")), "table").when(F.startswith(F.ltrim("line"), F.lit("Predicate Information")), "predicates").when(F.trim("line") == "Note", "note")
-    cells = F.transform(F.split(F.regexp_replace(F.trim("line"), r"^\||\|$", ""), r"\|"), lambda x: F.trim(x))
-    d = d.withColumns({"section": F.last(mark, ignorenulls=True).over(plan), "cells": F.when(F.startswith(F.ltrim("line"), F.lit("|")), cells), "starts": mark.isNotNull()})
-    names = F.when(F.array_contains("cells", "Operation"), F.col("cells"))
-    return d.withColumn("names", F.last(names, ignorenulls=True).over(plan))
+    d = d.withColumns({
+        "plan_no": F.sum((F.col("mark") == "text").cast("int")).over(file), "section": header_carry(F.col("mark"), ["path"], "no"),
+        "names": header_carry(names, ["path"], "no")["names"], "starts": F.col("mark").isNotNull(),
+    })
+    # The number before a predicate holds for the lines that continue it; a heading ends it.
+    own = F.when((F.col("section") == "predicates") & ~F.col("starts"), F.regexp_extract("line", _PREDICATE, 1).try_cast("int"))
+    held = F.when(F.col("starts"), F.struct(F.lit(None).cast("int").alias("step"))).when(own.isNotNull(), F.struct(own.alias("step")))
+    return d.withColumn("predicate_of", header_carry(held, ["path"], "no")["step"])
 
 
-def plan_headers(lines: DataFrame) -> DataFrame:
-    """(path, plan_no, sql_id, plan_hash_value, sql_text, notes) of every plan."""
-    body = F.when((F.col("section") == "text") & ~F.col("starts") & ~F.col("line").rlike(r"^\s*-*\s*$"), F.struct("no", F.trim("line").alias("t")))
-    note = F.when((F.col("section") == "note") & F.col("line").rlike(r"^\s+- "), F.struct("no", F.regexp_extract("line", r"^\s+- (.*)$", 1).alias("t")))
-    text = lambda c, sep: F.array_join(F.transform(F.sort_array(F.collect_list(c)), lambda x: x["t"]), sep)
+def plans(files: DataFrame, compat: bool = False) -> DataFrame:
+    """One row a plan: path, plan_no, sql_id, plan_hash_value, sql_text, notes, steps (array) and predicates (array of step_id and text pieces)."""
+    line, section = F.col("line"), F.col("section")
+    text = lambda pieces, sep: F.array_join(F.transform(F.sort_array(F.collect_list(pieces)), lambda x: x["t"]), sep)
     first = lambda p: F.max(F.nullif(F.regexp_extract("line", p, 1), F.lit("")))
-    return lines.where("plan_no > 0").groupBy("path", "plan_no").agg(first(r"^\s*SQL_ID:?\s+(\w+)").alias("sql_id"), first(r"Plan hash value:\s*(\d+)").alias("plan_hash_value"), text(body, " ").alias("sql_text"), text(note, "; ").alias("notes"))
+    body = F.when((section == "text") & ~F.col("starts") & ~line.rlike(r"^\s*-*\s*$"), F.struct("no", F.trim("line").alias("t")))
+    note = F.when((section == "note") & line.rlike(r"^\s+- "), F.struct("no", F.regexp_extract("line", r"^\s+- (.*)$", 1).alias("t")))
+    in_predicates = (section == "predicates") & ~F.col("starts") & (F.trim("line") != "") & ~line.rlike("^-+$") & F.col("predicate_of").isNotNull()
+    piece = F.trim(F.when(line.rlike(_PREDICATE), F.regexp_extract("line", _PREDICATE, 2)).otherwise(line))
+    predicate = F.when(in_predicates, F.struct("no", F.col("predicate_of").alias("step_id"), piece.alias("t")))
+    n = F.least(F.size("names"), F.size("cells"))
+    d = plan_lines(files).where("plan_no > 0")
+    is_step = F.col("cells").isNotNull() & F.col("names").isNotNull() & F.element_at("cells", 1).rlike(r"^\*?\s*\d+$")
+    d = d.withColumns({
+        "m": F.when(is_step, F.map_from_arrays(F.slice("names", F.lit(1), n), F.slice("cells", F.lit(1), n))),
+        "op": F.when(is_step, F.element_at("raw", F.array_position("names", F.lit("Operation")).cast("int"))),
+    })
+    step = F.struct(
+        "no", F.regexp_extract(F.element_at("cells", 1), r"(\d+)", 1).cast("int").alias("step_id"),
+        F.greatest(F.lit(0), F.length(F.rtrim("op")) - F.length(F.trim("op")) - 1).alias("depth"), F.trim("op").alias("operation"),
+        F.nullif(F.col("m")["Name"], F.lit("")).alias("object_name"), plan_size(F.col("m")["Rows"], compat).alias("rows"),
+        plan_size(F.col("m")["Bytes"], compat).alias("bytes"), plan_cost(F.coalesce(F.col("m")["Cost (%CPU)"], F.col("m")["Cost"]), compat).alias("cost"),
+    )
+    return d.groupBy("path", "plan_no").agg(
+        first(r"^\s*SQL_ID:?\s+(\w+)").alias("sql_id"), first(r"Plan hash value:\s*(\d+)").alias("plan_hash_value"), text(body, " ").alias("sql_text"), text(note, "; ").alias("notes"),
+        F.sort_array(F.collect_list(F.when(F.col("m").isNotNull(), step))).alias("steps"), F.sort_array(F.collect_list(predicate)).alias("predicates"),
+    )
 
 
-def predicates(lines: DataFrame) -> DataFrame:
-    """(path, plan_no, step_id, predicate): continued lines are joined with a blank."""
-    p = lines.where("section = 'predicates' and not starts and trim(line) <> '' and not line rlike '^-+$'")
-    own = F.regexp_extract("line", _PREDICATE, 1).try_cast("int")
-    p = p.withColumn("step_id", F.last(own, ignorenulls=True).over(W.partitionBy("path", "plan_no").orderBy("no"))).withColumn("t", F.trim(F.when(own.isNotNull(), F.regexp_extract("line", _PREDICATE, 2)).otherwise(F.col("line"))))
-    return p.where("step_id is not null").groupBy("path", "plan_no", "step_id").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("no", "t"))), lambda x: x["t"]), " ").alias("predicate"))
+def plan_headers(plans: DataFrame) -> DataFrame:
+    """(path, plan_no, sql_id, plan_hash_value, sql_text, notes) of every plan."""
+    return plans.select("path", "plan_no", "sql_id", "plan_hash_value", "sql_text", "notes")
 
 
 def plan_steps(files: DataFrame, compat: bool = False) -> DataFrame:
-    """SRC11: one row a step: path, plan_no, sql_id, plan_hash_value, step_id, depth, operation, object_name, rows, bytes, cost, predicate."""
-    lines = plan_lines(files)
-    raw = F.split(F.regexp_replace(F.trim("line"), r"^\||\|$", ""), r"\|")
-    s = lines.where(F.col("cells").isNotNull() & F.col("names").isNotNull() & F.element_at("cells", 1).rlike(r"^\*?\s*\d+$"))
-    n = F.least(F.size("names"), F.size("cells"))
-    s = s.withColumns({"m": F.map_from_arrays(F.slice("names", F.lit(1), n), F.slice("cells", F.lit(1), n)), "op": F.element_at(raw, F.array_position("names", F.lit("Operation")).cast("int"))})
-    cost = F.coalesce(F.col("m")["Cost (%CPU)"], F.col("m")["Cost"])
-    out = s.select(
-        "path", "plan_no", F.regexp_extract(F.element_at("cells", 1), r"(\d+)", 1).cast("int").alias("step_id"), F.greatest(F.lit(0), F.length(F.rtrim("op")) - F.length(F.trim("op")) - 1).alias("depth"), F.trim("op").alias("operation"),
-        F.nullif(F.col("m")["Name"], F.lit("")).alias("object_name"), plan_size(F.col("m")["Rows"], compat).alias("rows"), plan_size(F.col("m")["Bytes"], compat).alias("bytes"), plan_cost(cost, compat).alias("cost"),
-    )
-    return out.join(plan_headers(lines).select("path", "plan_no", "sql_id", "plan_hash_value"), ["path", "plan_no"]).join(predicates(lines), ["path", "plan_no", "step_id"], "left")
+    """SRC11: one row a step: path, plan_no, sql_id, plan_hash_value, step_id, depth, operation, object_name, rows, bytes, cost, predicate.
+
+    A predicate's continued lines are joined with a blank."""
+    d = plans(files, compat).select("path", "plan_no", "sql_id", "plan_hash_value", "predicates", F.explode("steps").alias("s"))
+    own = F.transform(F.filter("predicates", lambda p: p["step_id"] == F.col("s.step_id")), lambda p: p["t"])
+    columns = ["step_id", "depth", "operation", "object_name", "rows", "bytes", "cost"]
+    return d.select("path", "plan_no", "sql_id", "plan_hash_value", *[f"s.{c}" for c in columns], F.when(F.size(own) > 0, F.array_join(own, " ")).alias("predicate"))

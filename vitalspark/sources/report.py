@@ -56,7 +56,24 @@ class _Tables(HTMLParser):
             self.near = " ".join(data.split())
 
 
-ROWS = "path string, heading string, summary string, table_no int, row_no int, cells map<string,string>, row array<string>"
+ROWS = "path string, heading string, summary string, table_no int, row_no int, cells map<string,string>, row array<string>, header map<string,string>"
+#: What the tables on the instance and on the snapshots say of a report, by header without blanks and case.
+HEADER = ("dbname", "instance", "instnum", "snapid", "snaptime")
+
+
+def _header(tables: list[dict]) -> dict[str, str]:
+    plain = lambda x: "".join(x.split()).lower()
+    found: dict[str, str] = {}
+    for t in tables:
+        head, info = [plain(x) for x in t["rows"][0]] if t["rows"] else [], "database instance information" in t["summary"]
+        if not info and "snapshot information" not in t["summary"]:
+            continue
+        for cells in t["rows"][1:]:
+            if info or (cells and cells[0].lower().startswith("begin snap")):
+                for name, value in zip(head, cells, strict=False):
+                    if name in HEADER and (name[:4] == "snap") != info:
+                        found[name] = max(found.get(name, ""), value.strip())
+    return found
 
 
 def report_rows(files: DataFrame) -> DataFrame:
@@ -65,16 +82,20 @@ def report_rows(files: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kind = pa.map_(pa.string(), pa.string())
         for batch in batches:
-            out: list[list] = [[] for _ in range(7)]
+            out: list[list] = [[] for _ in range(8)]
             for path, content in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 p = _Tables()
                 p.feed(content or "")
+                header = list(_header(p.tables).items())
                 for k, t in enumerate(p.tables):
                     head = t["rows"][0] if t["rows"] else []
                     for n, cells in enumerate(t["rows"], start=-1):
-                        for c, v in zip(out, (path, t["heading"], t["summary"], k, n, list(dict(zip(head, cells, strict=False)).items()), cells), strict=True):
+                        own = (path, t["heading"], t["summary"], k, n, list(dict(zip(head, cells, strict=False)).items()), cells, header)
+                        for c, v in zip(out, own, strict=True):
                             c.append(v)
-            yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.string()), pa.array(out[1], pa.string()), pa.array(out[2], pa.string()), pa.array(out[3], pa.int32()), pa.array(out[4], pa.int32()), pa.array(out[5], kind), pa.array(out[6], pa.list_(pa.string()))], ["path", "heading", "summary", "table_no", "row_no", "cells", "row"])
+            kinds = [pa.string()] * 3 + [pa.int32()] * 2 + [kind, pa.list_(pa.string()), kind]
+            names = ["path", "heading", "summary", "table_no", "row_no", "cells", "row", "header"]
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds, strict=True)], names)
 
     return files.select("path", "content").mapInArrow(run, ROWS)
 
@@ -169,7 +190,7 @@ def section(rows: DataFrame, s: Section) -> DataFrame:
 
     d = d.withColumn("__best", F.max("__exact").over(W.partitionBy("path"))).where("__exact = __best")
     d = d.withColumn("__first", F.min("table_no").over(W.partitionBy("path"))).where("table_no = __first")
-    out = d.select("path", "row_no", *[convert(_cell(header)).alias(c) for c, (header, convert) in s.columns.items()])
+    out = d.select("path", "row_no", "header", *[convert(_cell(header)).alias(c) for c, (header, convert) in s.columns.items()])
     return out.where(F.coalesce(*[F.col(c).cast("string") for c in s.columns]).isNotNull())
 
 
@@ -181,31 +202,55 @@ def efficiency(rows: DataFrame) -> DataFrame:
     return d.select("path", F.nullif(F.regexp_replace(F.trim("p.m"), r"\s*:$", ""), F.lit("")).alias("metric"), S.clean_number("p.v").alias("value")).where("metric is not null and value is not null")
 
 
+def _header_columns() -> dict[str, Column]:
+    at = lambda name: F.nullif(F.col("header")[name], F.lit(""))
+    return {
+        "dbname": at("dbname"), "instance": at("instance"), "instnum": at("instnum").try_cast("int"), "begin_snap": at("snapid").try_cast("int"),
+        "snap_time": F.to_timestamp_ntz(at("snaptime"), F.lit("dd-MMM-yy HH:mm:ss")),
+    }
+
+
 def metadata(rows: DataFrame) -> DataFrame:
     """SRC2: (path, dbname, instance, instnum, begin_snap, snap_time) from the one-table or two-table header and the snapshot table."""
-    info = F.contains("summary", F.lit("database instance information"))
-    begin = F.contains("summary", F.lit("snapshot information")) & F.try_element_at(F.map_values("cells"), F.lit(1)).rlike("(?i)^begin snap")
-    pick = lambda cond, c: F.max(F.when(cond, c))
-    g = rows.where((F.col("row_no") >= 0) & (info | begin)).groupBy("path").agg(
-        pick(info, _cell("DB Name")).alias("dbname"), pick(info, _cell("Instance")).alias("instance"), pick(info, _cell("Inst Num")).alias("instnum"), pick(begin, _cell("Snap Id")).alias("begin_snap"), pick(begin, _cell("Snap Time")).alias("t")
-    )
-    return g.select("path", "dbname", "instance", F.col("instnum").try_cast("int").alias("instnum"), F.col("begin_snap").try_cast("int").alias("begin_snap"), F.to_timestamp_ntz("t", F.lit("dd-MMM-yy HH:mm:ss")).alias("snap_time"))
+    one = rows.groupBy("path").agg(F.first("header").alias("header"))
+    return one.where("map_contains_key(header, 'dbname') or map_contains_key(header, 'snapid')").select("path", *[c.alias(n) for n, c in _header_columns().items()])
 
 
-def facts(files: DataFrame, table: str) -> DataFrame:
-    """SRC1 and SRC2: the rows of one table with their report's metadata and row hash."""
-    rows = report_rows(files)
+def facts_of(rows: DataFrame, table: str) -> DataFrame:
+    """SRC1 and SRC2: the rows of one table with their report's metadata and row hash, from parsed rows (``report_rows``). Parsed
+    rows that are written once serve every table."""
     s = next(x for x in [*SECTIONS, *SUMMARIES] if x.table == table)
-    out = section(rows, s).join(metadata(rows), "path").withColumn("row_hash", S.row_hash(list(s.columns)))
+    out = section(rows, s).withColumns(_header_columns()).withColumn("row_hash", S.row_hash(list(s.columns)))
     return out.select("dbname", "instance", "instnum", "snap_time", "begin_snap", *s.columns, "row_hash")
 
 
+def facts(files: DataFrame, table: str) -> DataFrame:
+    """SRC1 and SRC2 from files; each file is parsed once."""
+    return facts_of(report_rows(files), table)
+
+
 def header_probe(files: DataFrame) -> DataFrame:
-    """SRC3: what the first 8 KB say; the name falls back from title to file name to folder."""
+    """SRC3: what the first 8 KB say: names, instance number, release, whether the database is clustered (RAC) and a container (CDB), and the
+    pluggable database. The name falls back from title to file name to folder; flags are read from their own column, absent ones are false."""
     head = F.substring("content", 1, 8192)
-    title = F.nullif(F.regexp_extract(head, r"(?i)<title>[^<]*DB:\s*(\w+)", 1), F.lit(""))
-    file = F.nullif(F.regexp_extract("path", r"([^/]+?)(?:_\d+)?\.html?$", 1), F.lit(""))
-    folder = F.nullif(F.regexp_extract("path", r"([^/]+)/[^/]*$", 1), F.lit(""))
-    inst = F.nullif(F.regexp_extract(head, r"(?i)Inst:\s*(\w+)", 1), F.lit(""))
-    release = F.nullif(F.regexp_extract(head, r">(\d{1,2}\.\d[\d.]*)<", 1), F.lit(""))
-    return files.select("path", F.coalesce(title, file, folder).alias("dbname"), folder.alias("folder"), inst.alias("instance"), release.alias("release"), F.contains(F.upper(head), F.lit("<TD>YES</TD>")).alias("rac"))
+    cut = lambda tag: rf"(?is)<{tag}\b[^>]*>\s*(.*?)\s*</{tag}>"
+    plain = lambda x: F.upper(F.regexp_replace(F.regexp_replace(x, r"(?s)<[^>]*>|&nbsp;|&#160;", " "), r"\s+", ""))
+    d = files.select("path", head.alias("head"))
+    d = d.withColumn("tables", F.regexp_extract_all("head", F.lit(r"(?is)<table\b.*?</table>"), F.lit(0)))
+    both = lambda t: F.struct(F.transform(F.regexp_extract_all(t, F.lit(cut("th")), F.lit(1)), plain).alias("names"), F.regexp_extract_all(t, F.lit(cut("td")), F.lit(1)).alias("cells"))
+    d = d.withColumn("tables", F.transform("tables", both))
+
+    def value(name: str) -> Column:
+        at = lambda t: F.get(t["cells"], F.array_position(t["names"], F.lit(name)).cast("int") - 1)
+        found = F.filter(F.transform(F.filter("tables", lambda t: F.array_contains(t["names"], name)), at), lambda x: x.isNotNull())
+        return F.nullif(F.upper(F.trim(F.get(found, F.lit(0)))), F.lit(""))
+
+    given = lambda c, p, g=1: F.nullif(F.regexp_extract(c, p, g), F.lit(""))
+    name = r"(?is)DB:\s*([A-Z0-9$#_]+).*?Inst:\s*([A-Z0-9$#_]+)"
+    file, folder = given("path", r"([^/]+?)(?:_\d+)?\.html?$"), given("path", r"([^/]+)/[^/]*$")
+    pdb = value("CONNAME")
+    return d.select(
+        "path", F.coalesce(F.upper(given("head", name)), file, folder).alias("dbname"), folder.alias("folder"), F.upper(given("head", name, 2)).alias("instance"), value("INSTNUM").try_cast("int").alias("instnum"),
+        given("head", r">(\d{1,2}\.\d[\d.]*)<").alias("release"), (F.coalesce(value("RAC"), F.lit("")) == "YES").alias("rac"), (F.coalesce(value("CDB"), F.lit("")) == "YES").alias("cdb"),
+        F.when(pdb != "CDB$ROOT", pdb).alias("pdb"),
+    )

@@ -13,14 +13,14 @@ from ..sinks import KeyedTable
 
 
 def file_stream(spark: SparkSession, path: str, glob: str = "*.html", max_files: int | None = None) -> DataFrame:
-    """(path, content, hash, arrived) of new files; the hash is over the first 64 KB."""
+    """(path, content, hash, arrived) of new files; the hash is over the whole content."""
     r = spark.readStream.format("binaryFile").option("pathGlobFilter", glob)
     r = r.option("maxFilesPerTrigger", max_files) if max_files else r
-    return r.schema("path string, modificationTime timestamp, length long, content binary").load(path).select("path", F.col("content").cast("string").alias("content"), F.md5(F.substring("content", 1, 65536)).alias("hash"), F.col("modificationTime").alias("arrived"))
+    return r.schema("path string, modificationTime timestamp, length long, content binary").load(path).select("path", F.col("content").cast("string").alias("content"), F.sha2("content", 256).alias("hash"), F.col("modificationTime").alias("arrived"))
 
 
-def content_dedup(stream: DataFrame, within: str | None = None) -> DataFrame:
-    """Files of new content. With ``within`` (an interval) state is bounded by the watermark on ``arrived``; else all hashes are kept."""
+def content_dedup(stream: DataFrame, within: str | None = "30 days") -> DataFrame:
+    """Files of new content. State is bounded by the watermark on ``arrived``: a copy is known for ``within`` (an interval). None keeps all hashes for ever."""
     if within is None:
         return stream.dropDuplicates(["hash"])
     return stream.withWatermark("arrived", within).dropDuplicatesWithinWatermark(["hash"])
