@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 LEAF, LEAF_CHARS = 8, 96
 #: Cut points for the order by id that reach the driver, and the rows of a range that a task sorts: ranges between cut points are cut further
 #: by number, as many times as the table's size asks for.
-CUTS, RANGE_ROWS = 1024, 20_000
+CUTS, RANGE_ROWS = 64, 20_000
 _LEAVES = rf"(?:[^\s]{{0,{LEAF_CHARS - 1}}}[^\s.,;:!?][^\S\n]+){{0,{LEAF - 1}}}[^\s]{{1,{LEAF_CHARS}}}[^\S\n]*|[^\S\n]+"
 
 
@@ -136,9 +136,8 @@ def with_next(docs: DataFrame, range_rows: int = RANGE_ROWS) -> DataFrame:
     downwards = W.orderBy(F.desc("bucket"))
     numbers = firsts.select("bucket").withColumn("follow", F.coalesce(F.lead("bucket").over(downwards), F.first("bucket").over(downwards)))
     ahead = numbers.join(firsts.withColumnRenamed("bucket", "follow"), "follow").select("bucket", "first_text")
-    lasts = own.where("at = of").drop("next_text").join(ahead, "bucket").withColumnRenamed("first_text", "next_text")
-    cols = [*docs.columns, "next_text"]
-    return own.where("at < of").select(*cols).union(lasts.select(*cols))
+    joined = own.join(ahead.withColumnRenamed("bucket", "__bucket"), (F.col("bucket") == F.col("__bucket")) & (F.col("at") == F.col("of")), "left")
+    return joined.select(*docs.columns, F.coalesce("next_text", "first_text").alias("next_text"))
 
 
 def op3_fingerprints(docs: DataFrame) -> DataFrame:
