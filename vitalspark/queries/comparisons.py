@@ -71,11 +71,11 @@ def x12_sql_object_map(spark, d):
     return drilldown.sql_object_map(fx.sqltext(spark, d))
 
 
-SEGOBJ = "so AS (SELECT DISTINCT lower(replace(p_brand, '#', '_')) AS owner, 't' || (p_partkey % 97) AS object FROM part WHERE p_size > 25)"
+SEGOBJ = "so AS (SELECT DISTINCT lower(replace(p_brand, '#', '_')) AS owner, 't' || (p_partkey % 97) AS object FROM part)"
 
 
 def _segment_objects(spark, d):
-    p = fx.table(spark, d, "part").where("p_size > 25")
+    p = fx.table(spark, d, "part")
     return p.select(F.lower(F.regexp_replace("p_brand", "#", "_")).alias("owner"), F.concat(F.lit("t"), (F.col("p_partkey") % 97).cast("string")).alias("object")).distinct()
 
 
@@ -106,10 +106,10 @@ def j12_cooccurrence(spark, d):
 
 @query(fx.sql("""SELECT * FROM (SELECT 'segment_together' AS section, object_name::VARCHAR AS item, round(sum(b.score * w), 4) AS amount FROM sg b JOIN (SELECT dbname, instance, begin_snap, sum(score) AS w FROM sq WHERE sql_id = 4 GROUP BY ALL) USING (dbname, instance, begin_snap) GROUP BY ALL ORDER BY sum(b.score * w) DESC, item LIMIT 10)
 UNION ALL SELECT * FROM (SELECT 'wait_together', event, round(sum(b.score * w), 4) AS amount FROM wt b JOIN (SELECT dbname, instance, begin_snap, sum(score) AS w FROM sq WHERE sql_id = 4 GROUP BY ALL) USING (dbname, instance, begin_snap) GROUP BY ALL ORDER BY sum(b.score * w) DESC, event LIMIT 10)
-UNION ALL SELECT * FROM (SELECT 'segment_text', object_name::VARCHAR AS item, round(max(m), 4) FROM (SELECT owner, object_name, avg(score) AS m FROM sg GROUP BY ALL) WHERE object_name IN (SELECT p_brand FROM lineitem JOIN part ON l_partkey = p_partkey WHERE l_suppkey = 4 AND l_linenumber = 7) GROUP BY object_name ORDER BY max(m) DESC, item LIMIT 10)""", "stmt", "seg", ctes=CO))
+UNION ALL SELECT * FROM (SELECT 'segment_text', object_name::VARCHAR AS item, round(max(m), 4) FROM (SELECT owner, object_name, avg(score) AS m FROM sg GROUP BY ALL) WHERE object_name IN (SELECT p_brand FROM lineitem JOIN part ON l_partkey = p_partkey WHERE l_suppkey = 4) GROUP BY object_name ORDER BY max(m) DESC, item LIMIT 10)""", "stmt", "seg", ctes=CO))
 def x9_focus_drilldown(spark, d):
     sq, sg, wt = _scored(spark, d)
-    li, part = fx.table(spark, d, "lineitem").where("l_linenumber = 7"), fx.table(spark, d, "part")
+    li, part = fx.table(spark, d, "lineitem"), fx.table(spark, d, "part")
     bridge = li.join(part, li["l_partkey"] == part["p_partkey"]).select(F.col("l_suppkey").alias("sql_id"), F.lit(None).cast("string").alias("owner"), F.lower("p_brand").alias("object")).distinct()
     return drilldown.focus_drilldown(sq, sg, wt, bridge, "sql", 4).withColumn("amount", F.round("amount", 4))
 

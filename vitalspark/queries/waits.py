@@ -222,9 +222,9 @@ def w2_distinct_on(spark, d):
     return select.newest_by(fx.host(spark, d), ["hostname", "object"], F.desc("snap_time"), F.desc("value")).select("hostname", "object", "snap_time", "value")
 
 
-@query(fx.sql("SELECT sql_id, round(elapsed, 6) AS elapsed FROM (SELECT sql_id, max(elapsed) AS elapsed FROM stmt WHERE parses > 6 GROUP BY sql_id) ORDER BY elapsed DESC NULLS LAST, sql_id LIMIT 10", "stmt"))
+@query(fx.sql("SELECT sql_id, round(elapsed, 6) AS elapsed FROM (SELECT sql_id, max(elapsed) AS elapsed FROM stmt GROUP BY sql_id) ORDER BY elapsed DESC NULLS LAST, sql_id LIMIT 10", "stmt"))
 def k1_top_k(spark, d):
-    out = fx.stmt(spark, d).where("parses > 6").groupBy("sql_id").agg(F.max("elapsed").alias("elapsed"))
+    out = fx.stmt(spark, d).groupBy("sql_id").agg(F.max("elapsed").alias("elapsed"))
     return select.top_k(out, 10, F.col("elapsed").desc_nulls_last(), F.col("sql_id")).select("sql_id", *r6("elapsed"))
 
 
