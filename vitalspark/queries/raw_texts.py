@@ -28,9 +28,9 @@ def src5_hostlog_cpu(spark, d):
     return hostlog.cpu(_rows(spark, d))
 
 
-@query(f"SELECT hostname, snap_time, round(event_id / 1024, 3) AS mem_free_mb, round(user_id / 1024, 3) AS mem_used_mb, value AS mem_used_pct, 2.0::DOUBLE AS buffers_mb, round(event_id / 1024, 3) AS cached_mb FROM {E} WHERE event_type = 'view'")
+@query(f"SELECT hostname, snap_time, round(event_id / 1024, 3) AS mem_free_mb, round(user_id / 1024, 3) AS mem_used_mb, value AS mem_used_pct, 2.0::DOUBLE AS buffers_mb, round(event_id / 1024, 3) AS cached_mb, 0.0::DOUBLE AS commit_mb, 0.0::DOUBLE AS commit_pct FROM {E} WHERE event_type = 'view'")
 def src6_hostlog_memory(spark, d):
-    return hostlog.memory(_rows(spark, d)).drop("commit_mb", "commit_pct")
+    return hostlog.memory(_rows(spark, d))
 
 
 @query(f"SELECT hostname, snap_time, round(event_id / 1024, 3) AS swap_free_mb, round(user_id / 1024, 3) AS swap_used_mb, round(CASE WHEN odd THEN coalesce(user_id / nullif(event_id + user_id, 0) * 100, 0) ELSE value END, 9) AS swap_used_pct FROM {E} WHERE event_type = 'purchase'")
