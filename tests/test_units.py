@@ -168,3 +168,21 @@ def test_sinks_spread_a_partition(spark, tmp_path):
     t.delete(d.where("p = 0 or id < 10"), ["p", "id"])
     t.delete(d.where("p = 0 or id < 10"), ["p", "id"])
     assert sorted(r["id"] for r in t.read().collect()) == [i for i in range(11, 100) if i % 2]
+
+
+def test_confidence_of_a_whole_frame_counts_without_a_window(spark):
+    from vitalspark.plans.compare import confidence
+
+    df = spark.range(3)
+    assert {r.confidence for r in confidence(df).collect()} == {85}
+    assert "Window" not in confidence(df)._jdf.queryExecution().optimizedPlan().toString()
+    assert confidence(df.where("id = 0")).first().confidence == 70
+
+
+def test_drilldown_text_without_rule_or_rows(spark):
+    from vitalspark.plans.drilldown import NO_RULE, drilldown_text
+
+    found = spark.createDataFrame([], "section string, item string, amount double")
+    rules = spark.createDataFrame([("sql", "9", "x")], "category string, rule_key string, rule_text string")
+    got = {r.section: r.value for r in drilldown_text(found, "wait", "lock", rules).collect()}
+    assert got == {"Focus": "wait: lock", "Recommendation": NO_RULE}

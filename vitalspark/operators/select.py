@@ -26,9 +26,10 @@ def metric_series(df: DataFrame, name: str, wanted: Sequence[str] | None, value:
     return out.select("snap_time", *keys, F.col(name).alias("metric"), F.col(value).alias("value")).orderBy("snap_time", "metric")
 
 
-def host_series(df: DataFrame, hosts: Sequence, start: str, end: str, without: Sequence[str] = ()) -> DataFrame:
-    """Samples of hosts in a closed date range, without some objects."""
-    out = df.where(F.col("hostname").isin(*hosts) & F.col("day").between(F.lit(start).cast("date"), F.lit(end).cast("date")))
+def host_series(df: DataFrame, hosts: Sequence | None, start: str, end: str, without: Sequence[str] = ()) -> DataFrame:
+    """Samples of hosts (None: all) in a closed date range, without some objects."""
+    out = df.where(F.col("day").between(F.lit(start).cast("date"), F.lit(end).cast("date")))
+    out = out if hosts is None else out.where(F.col("hostname").isin(*hosts))
     return out.where(~F.col("object").isin(*without)) if without else out
 
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -33,25 +35,62 @@ def rule_text_pick(facts: DataFrame, rules: DataFrame, category: str, key: str)
     return j.select(*facts.columns, F.coalesce("t1", "t2").alias("rule_text"))
 
 
-def focus_drilldown(statements: DataFrame, segments: DataFrame, waits: DataFrame, bridge: DataFrame, focus: str, value, k: int = 10) -> DataFrame:
+def focus_drilldown(
+    statements: DataFrame, segments: DataFrame, waits: DataFrame, bridge: DataFrame, focus: str, value, k: int = 10
+) -> DataFrame:
     """What goes with a focus, as (section, item, amount) rows, best ``k`` of each section.
 
-    focus ``sql``: segments the text names, then segments of its snapshots, and waits of its snapshots; ``segment``: statements of its snapshots and
-    waits; ``wait``: statements and segments of the snapshots where it occurs. Scored inputs: dbname, instance, begin_snap, entity, score."""
+    ``X_together``: entities of the snapshots in which the focus occurs, by the sum of score products. ``segment_text`` (focus ``sql``): segments
+    that the text names. ``sql_text``: statements by mean score that name the focused segment, the segments named by the focused statement, or
+    the best segments that go with the focused wait. Scored inputs: dbname, instance, begin_snap, entity, score; ``bridge``: sql_id, owner, object."""
     keys = ["dbname", "instance", "begin_snap"]
     entity = {"sql": "sql_id", "segment": "object_name", "wait": "event"}
     sides = {"sql": statements, "segment": segments, "wait": waits}
     own = sides[focus].where(F.col(entity[focus]) == value)
     snaps = own.groupBy(*keys).agg(F.sum("score").alias("w"))
-    out = None
+    objects = segments.groupBy("owner", F.col("object_name").cast("string").alias("object")).agg(F.avg("score").alias("amount"))
+    parts = {}
     for name, df in sides.items():
-        if name == focus:
-            continue
-        part = df.join(snaps, keys).groupBy(F.col(entity[name]).cast("string").alias("item")).agg(F.sum(F.col("score") * F.col("w")).alias("amount"))
-        part = select.top_k(part, k, F.desc("amount"), F.col("item")).select(F.lit(f"{name}_together").alias("section"), "item", "amount")
-        out = part if out is None else out.union(part)
+        if name != focus:
+            amount = F.sum(F.col("score") * F.col("w")).alias("amount")
+            parts[f"{name}_together"] = df.join(snaps, keys).groupBy(F.col(entity[name]).cast("string").alias("item")).agg(amount)
     if focus == "sql":
-        seg = segments.groupBy(F.col("owner"), F.col("object_name").cast("string").alias("object")).agg(F.avg("score").alias("amount"))
-        named = joins.object_bridge(bridge.where(F.col("sql_id") == value).select("sql_id", "owner", "object"), seg).groupBy(F.col("object").alias("item")).agg(F.max("amount").alias("amount"))
-        out = select.top_k(named, k, F.desc("amount"), F.col("item")).select(F.lit("segment_text").alias("section"), "item", "amount").union(out)
-    return out
+        objects = joins.object_bridge(bridge.where(F.col("sql_id") == value), objects)
+        parts["segment_text"] = objects.groupBy(F.col("object").alias("item")).agg(F.max("amount").alias("amount"))
+    elif focus == "segment":
+        objects = objects.where(F.col("object") == F.lit(value).cast("string"))
+    else:
+        best = select.top_k(parts["segment_together"], k, F.desc("amount"), F.col("item"))
+        objects = objects.join(best.select(F.col("item").alias("object")), "object", "left_semi")
+    named = joins.object_bridge(bridge, objects.select("owner", "object").distinct()).select("sql_id").distinct()
+    named = named.where(F.col("sql_id") != value) if focus == "sql" else named
+    scores = statements.join(named, "sql_id", "left_semi").groupBy(F.col("sql_id").cast("string").alias("item"))
+    parts["sql_text"] = scores.agg(F.avg("score").alias("amount"))
+    best = [select.top_k(d, k, F.desc("amount"), F.col("item")).select(F.lit(n).alias("section"), "item", "amount") for n, d in parts.items()]
+    return reduce(DataFrame.union, best)
+
+
+#: FIXED titles and places of the sections.
+TITLES = {
+    "segment_together": (3, "Top Segments"),
+    "segment_text": (3, "Segments referenced by SQL"),
+    "sql_together": (4, "SQLs of the same snapshots"),
+    "sql_text": (4, "Top SQLs referencing segments"),
+    "wait_together": (5, "Top Waits (window)"),
+}
+NO_RULE = "No recommendation found for this selection."
+
+
+def drilldown_text(found: DataFrame, focus: str, value, rules: DataFrame) -> DataFrame:
+    """X9 as a drawer shows it: (ord, section, value) with the focus first, each section's items as bullets by amount, and the rule's text
+    last. ``found``: the result of focus_drilldown, whose sections hold at most ``k`` items each."""
+    items = F.array_sort(F.collect_list(F.struct((-F.col("amount")).alias("down"), "item")))
+    bullets = F.transform(items, lambda x: F.format_string("• %s [%.2f]", x["item"], -x["down"]))
+    titles = F.create_map(*[x for n, (at, t) in TITLES.items() for x in (F.lit(n), F.struct(F.lit(at).alias("ord"), F.lit(t).alias("title")))])
+    body = found.groupBy("section").agg(F.array_join(bullets, "\n").alias("value")).withColumn("t", titles[F.col("section")])
+    body = body.select("t.ord", F.col("t.title").alias("section"), "value")
+    one = found.sparkSession.range(1).select(F.lit(focus).alias("category"), F.lit(str(value)).alias("key"))
+    head = one.select(F.lit(1).alias("ord"), F.lit("Focus").alias("section"), F.concat("category", F.lit(": "), "key").alias("value"))
+    rule = F.coalesce("rule_text", F.lit(NO_RULE)).alias("value")
+    last = rule_text_pick(one, rules, "category", "key").select(F.lit(9).alias("ord"), F.lit("Recommendation").alias("section"), rule)
+    return head.union(body).union(last)

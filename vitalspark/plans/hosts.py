@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..operators import select
@@ -19,6 +20,21 @@ def host_overview(samples: DataFrame, start: str, end: str, busiest: int = 2) ->
     return ranked.withColumn("busy", F.col("rank_in_group") <= busiest).drop("rank_in_group")
 
 
+def host_timeline(samples: DataFrame, start: str, end: str, busiest: int = 2, unit: str = "hour") -> DataFrame:
+    """X11, the panels over time: the busiest objects of every host, one row a (host, object, time), with samples, mean, peak, the change of the
+    mean since the row before, and the share of the object's own highest mean. One aggregate of the samples; ranks are of its rows."""
+    d = select.host_series(samples, None, start, end)
+    g = d.groupBy("hostname", "object", F.date_trunc(unit, "snap_time").alias("at"))
+    g = g.agg(F.count("*").alias("samples"), F.sum("value").alias("total"), F.max("value").alias("peak")).withColumn("mean", F.col("total") / F.col("samples"))
+    means = g.groupBy("hostname", "object").agg((F.sum("total") / F.sum("samples")).alias("whole"))
+    busy = select.top_k_per_group(means, ["hostname"], busiest, F.desc("whole"), F.col("object"))
+    series = W.partitionBy("hostname", "object")
+    out = g.join(busy.select("hostname", "object"), ["hostname", "object"], "left_semi")
+    change = F.col("mean") - F.lag("mean").over(series.orderBy("at"))
+    share = F.col("mean") / F.nullif(F.max("mean").over(series), F.lit(0.0)) * 100
+    return out.select("hostname", "object", "at", "samples", "mean", "peak", change.alias("change"), share.alias("share_pct"))
+
+
 def feedback_learnings(feedback: DataFrame, known: DataFrame | None = None) -> DataFrame:
     """Accepted recommendations by trigger pattern: times accepted and the newest resolution. ``feedback``: trigger_pattern, accepted,
     resolution, at; ``known``: earlier learnings (trigger_pattern, times_accepted, resolution, at), merged in."""

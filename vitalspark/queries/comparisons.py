@@ -104,14 +104,69 @@ def j12_cooccurrence(spark, d):
     return joins.cooccurrence(sq, sb).withColumn("signal", F.round("signal", 7))
 
 
-@query(fx.sql("""SELECT * FROM (SELECT 'segment_together' AS section, object_name::VARCHAR AS item, round(sum(b.score * w), 4) AS amount FROM sg b JOIN (SELECT dbname, instance, begin_snap, sum(score) AS w FROM sq WHERE sql_id = 4 GROUP BY ALL) USING (dbname, instance, begin_snap) GROUP BY ALL ORDER BY sum(b.score * w) DESC, item LIMIT 10)
-UNION ALL SELECT * FROM (SELECT 'wait_together', event, round(sum(b.score * w), 4) AS amount FROM wt b JOIN (SELECT dbname, instance, begin_snap, sum(score) AS w FROM sq WHERE sql_id = 4 GROUP BY ALL) USING (dbname, instance, begin_snap) GROUP BY ALL ORDER BY sum(b.score * w) DESC, event LIMIT 10)
-UNION ALL SELECT * FROM (SELECT 'segment_text', object_name::VARCHAR AS item, round(max(m), 4) FROM (SELECT owner, object_name, avg(score) AS m FROM sg GROUP BY ALL) WHERE object_name IN (SELECT p_brand FROM lineitem JOIN part ON l_partkey = p_partkey WHERE l_suppkey = 4) GROUP BY object_name ORDER BY max(m) DESC, item LIMIT 10)""", "stmt", "seg", ctes=CO))
-def x9_focus_drilldown(spark, d):
+#: What goes with a focus, and the statements that name an object, as DuckDB text.
+TOGETHER = """SELECT * FROM (SELECT '{section}' AS section, {item}::VARCHAR AS item, round(sum(b.score * w), 4) AS amount
+  FROM {side} b JOIN (SELECT dbname, instance, begin_snap, sum(score) AS w FROM {own} WHERE {focus} GROUP BY ALL) USING (dbname, instance, begin_snap)
+  GROUP BY ALL ORDER BY sum(b.score * w) DESC, item LIMIT 10)"""
+NAMED_BY = """SELECT * FROM (SELECT 'segment_text' AS section, object_name::VARCHAR AS item, round(max(m), 4) AS amount
+  FROM (SELECT owner, object_name, avg(score) AS m FROM sg GROUP BY ALL) WHERE object_name IN (SELECT brand FROM br WHERE sql_id = 4)
+  GROUP BY object_name ORDER BY max(m) DESC, item LIMIT 10)"""
+NAMING = """SELECT * FROM (SELECT 'sql_text' AS section, sql_id::VARCHAR AS item, round(avg(score), 4) AS amount FROM sq
+  WHERE sql_id IN (SELECT sql_id FROM br WHERE {brand}) {more} GROUP BY sql_id ORDER BY avg(score) DESC, item LIMIT 10)"""
+BRIDGE = "br AS (SELECT DISTINCT l_suppkey AS sql_id, p_brand AS brand FROM lineitem JOIN part ON l_partkey = p_partkey)"
+
+
+def _together(name: str, own: str, focus: str) -> str:
+    side, item = {"sql": ("sq", "sql_id"), "segment": ("sg", "object_name"), "wait": ("wt", "event")}[name]
+    return TOGETHER.format(section=f"{name}_together", item=item, side=side, own=own, focus=focus)
+
+
+def _drawer(*parts: str) -> str:
+    return fx.sql(" UNION ALL ".join(parts), "stmt", "seg", ctes=f"{CO}, {BRIDGE}")
+
+
+FOCUS_SQL = [
+    _together("segment", "sq", "sql_id = 4"),
+    _together("wait", "sq", "sql_id = 4"),
+    NAMED_BY,
+    NAMING.format(brand="brand IN (SELECT brand FROM br WHERE sql_id = 4)", more="AND sql_id <> 4"),
+]
+WITH_WAIT = _together("segment", "wt", "event = 'parse 4'")
+
+
+def _focus(spark, d, focus, value):
     sq, sg, wt = _scored(spark, d)
     li, part = fx.table(spark, d, "lineitem"), fx.table(spark, d, "part")
-    bridge = li.join(part, li["l_partkey"] == part["p_partkey"]).select(F.col("l_suppkey").alias("sql_id"), F.lit(None).cast("string").alias("owner"), F.lower("p_brand").alias("object")).distinct()
-    return drilldown.focus_drilldown(sq, sg, wt, bridge, "sql", 4).withColumn("amount", F.round("amount", 4))
+    names = li.join(part, li["l_partkey"] == part["p_partkey"])
+    names = names.select(F.col("l_suppkey").alias("sql_id"), F.lit(None).cast("string").alias("owner"), F.lower("p_brand").alias("object"))
+    return drilldown.focus_drilldown(sq, sg, wt, names.distinct(), focus, value)
+
+
+@query(_drawer(*FOCUS_SQL))
+def x9_focus_drilldown(spark, d):
+    return _focus(spark, d, "sql", 4).withColumn("amount", F.round("amount", 4))
+
+
+@query(_drawer(_together("sql", "sg", "object_name = 'Brand#12'"), _together("wait", "sg", "object_name = 'Brand#12'"), NAMING.format(brand="brand = 'Brand#12'", more="")))
+def x9_focus_segment(spark, d):
+    return _focus(spark, d, "segment", "Brand#12").withColumn("amount", F.round("amount", 4))
+
+
+@query(_drawer(_together("sql", "wt", "event = 'parse 4'"), WITH_WAIT, NAMING.format(brand=f"brand IN (SELECT item FROM ({WITH_WAIT}))", more="")))
+def x9_focus_wait(spark, d):
+    return _focus(spark, d, "wait", "parse 4").withColumn("amount", F.round("amount", 4))
+
+
+DRAWER_RULES = [("sql", "*", "look at the plan"), ("sql", "4", "use bind variables"), ("wait", "*", "look at the event")]
+DRAWER_TEXT = """SELECT 1 AS ord, 'Focus' AS section, 'sql: 4' AS value UNION ALL SELECT 9, 'Recommendation', 'use bind variables' UNION ALL
+SELECT ord, title, string_agg('• ' || item || ' [' || printf('%.2f', round(amount, 2)) || ']', chr(10) ORDER BY amount DESC, item)
+FROM ({found}) f JOIN (VALUES {titles}) t(name, ord, title) ON t.name = f.section GROUP BY ord, title"""
+
+
+@query(_drawer(DRAWER_TEXT.format(found=" UNION ALL ".join(FOCUS_SQL), titles=", ".join(f"('{n}', {at}, '{t}')" for n, (at, t) in drilldown.TITLES.items()))))
+def x9_drilldown_text(spark, d):
+    rules = spark.createDataFrame(DRAWER_RULES, "category string, rule_key string, rule_text string")
+    return drilldown.drilldown_text(_focus(spark, d, "sql", 4).withColumn("amount", F.round("amount", 4)), "sql", 4, rules)
 
 
 @query(fx.sql("SELECT s.object_name, s.owner, s.n, coalesce(m.blevel, a.blevel) AS m_blevel FROM (SELECT object_name, CASE WHEN object_name % 2 = 0 THEN owner ELSE 'nobody' END AS owner, count(*) AS n FROM seg GROUP BY ALL) s LEFT JOIN meta m ON upper(m.owner) = upper(s.owner) AND m.object_name = s.object_name LEFT JOIN meta a ON a.object_name = s.object_name", "seg", "meta"))

@@ -51,6 +51,21 @@ def x11_host_overview(spark, d):
     return hosts.host_overview(fx.host(spark, d), "2024-01-03", "2024-01-20").select("hostname", "object", "samples", *r6("avg_value"), "peak", *r6("p95"), "hours", "busy")
 
 
+TIMELINE = """WITH host AS ({host}), g AS (SELECT hostname, object, date_trunc('hour', snap_time) AS at_, count(*) AS samples, avg(value) AS mean, max(value) AS peak
+  FROM host WHERE day BETWEEN '2024-01-03' AND '2024-01-20' GROUP BY ALL),
+b AS (SELECT hostname, object FROM (SELECT hostname, object, row_number() OVER (PARTITION BY hostname ORDER BY avg(value) DESC, object) AS n
+  FROM host WHERE day BETWEEN '2024-01-03' AND '2024-01-20' GROUP BY hostname, object) WHERE n <= 2)
+SELECT hostname, object, at_ AS at, samples, round(mean, 6) AS mean, peak, round(mean - lag(mean) OVER (PARTITION BY hostname, object ORDER BY at_), 6) AS change,
+  round(mean / nullif(max(mean) OVER (PARTITION BY hostname, object), 0) * 100, 6) AS share_pct
+FROM g JOIN b USING (hostname, object)""".format(host=fx.SQL["host"])
+
+
+@query(TIMELINE)
+def x11_host_timeline(spark, d):
+    out = hosts.host_timeline(fx.host(spark, d), "2024-01-03", "2024-01-20")
+    return out.select("hostname", "object", "at", "samples", *r6("mean"), "peak", *r6("change", "share_pct"))
+
+
 FEEDBACK = "fb AS (SELECT event_type || ':' || (user_id % 20) AS trigger_pattern, value > 50 AS accepted, 'r' || event_id AS resolution, ts AS at FROM events)"
 
 
