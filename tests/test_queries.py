@@ -22,5 +22,8 @@ def test_library_does_not_import_the_training_data_package():
     import subprocess
     import sys
 
-    code = "import sys; sys.modules['vitalspark.llm'] = None; import vitalspark.catalog; assert not any(m.startswith('vitalspark.llm.') for m in sys.modules)"
+    code = (
+        "import sys; sys.modules['vitalspark.llm'] = None; import vitalspark.catalog; assert not any(m.startswith('vitalspark.llm.') "
+        "for m in sys.modules)"
+    )
     subprocess.run([sys.executable, "-c", code], check=True)

@@ -20,9 +20,21 @@ def host_logs(spark: SparkSession, sf_dir: str) -> DataFrame:
     pick = lambda a, b: F.when(odd, F.lit(b)).otherwise(F.lit(a))
     v, i, u, zero = _s("value"), _s("event_id"), _s("user_id"), F.lit("0.00")
     k = F.col("event_id") % 6
-    plain = {0: "IFACE rxpck/s txpck/s rxkB/s txkB/s", 1: "pgpgin/s pgpgout/s fault/s majflt/s", 2: "proc/s cswch/s", 3: "runq-sz plist-sz ldavg-1 ldavg-5 ldavg-15", 4: "kbhugfree kbhugused %hugused", 5: "totsck tcpsck udpsck"}
-    head = F.when(F.col("event_type") == "click", pick("CPU %usr %nice %sys %iowait %steal %idle", "CPU %user %nice %system %iowait %steal %idle"))
-    head = head.when(F.col("event_type") == "view", pick("kbavail kbmemused %memused kbbuffers kbdirty", "kbmemfree kbmemused %memused kbbuffers kbcached"))
+    plain = {
+        0: "IFACE rxpck/s txpck/s rxkB/s txkB/s",
+        1: "pgpgin/s pgpgout/s fault/s majflt/s",
+        2: "proc/s cswch/s",
+        3: "runq-sz plist-sz ldavg-1 ldavg-5 ldavg-15",
+        4: "kbhugfree kbhugused %hugused",
+        5: "totsck tcpsck udpsck",
+    }
+    head = F.when(
+        F.col("event_type") == "click", pick("CPU %usr %nice %sys %iowait %steal %idle", "CPU %user %nice %system %iowait %steal %idle")
+    )
+    head = head.when(
+        F.col("event_type") == "view",
+        pick("kbavail kbmemused %memused kbbuffers kbdirty", "kbmemfree kbmemused %memused kbbuffers kbcached"),
+    )
     head = head.when(F.col("event_type") == "error", pick("DEV tps rkB/s wkB/s await %util", "DEV tps rd_sec/s wr_sec/s await svctm %util"))
     head = head.when(F.col("event_type") == "purchase", pick("kbswpfree kbswpused %swpused", "kbswpfree kbswpused"))
     other = F.lit("")
@@ -31,17 +43,37 @@ def host_logs(spark: SparkSession, sf_dir: str) -> DataFrame:
     head = head.otherwise(other)
     row = F.when(F.col("event_type") == "click", F.concat_ws(" ", F.lit("all"), v, zero, u, i, zero, v))
     row = row.when(F.col("event_type") == "view", F.concat_ws(" ", i, u, v, F.lit("2048"), i))
-    row = row.when(F.col("event_type") == "error", F.when(odd, F.concat_ws(" ", F.lit("sda"), v, i, u, v, zero, v)).otherwise(F.concat_ws(" ", F.lit("sda"), v, i, u, v, v)))
+    row = row.when(
+        F.col("event_type") == "error",
+        F.when(odd, F.concat_ws(" ", F.lit("sda"), v, i, u, v, zero, v)).otherwise(F.concat_ws(" ", F.lit("sda"), v, i, u, v, v)),
+    )
     row = row.when(F.col("event_type") == "purchase", F.when(odd, F.concat_ws(" ", i, u)).otherwise(F.concat_ws(" ", i, u, v)))
-    row = row.otherwise(F.when(k == 0, F.concat_ws(" ", F.lit("eth0"), v, i, u, v)).when(k == 1, F.concat_ws(" ", v, i, u, v)).when(k == 2, F.concat_ws(" ", v, i)).when(k == 3, F.concat_ws(" ", i, u, v, v, v)).otherwise(F.concat_ws(" ", i, u, v)))
+    row = row.otherwise(
+        F.when(
+            k == 0, F.concat_ws(" ", F.lit("eth0"), v, i, u, v)
+        ).when(k == 1, F.concat_ws(" ", v, i, u, v)).when(k == 2, F.concat_ws(" ", v, i)).when(
+            k == 3, F.concat_ws(" ", i, u, v, v, v)
+        ).otherwise(F.concat_ws(" ", i, u, v))
+    )
     block = F.concat(F.lit("\n"), clock, F.lit("     "), head, F.lit("\n"), clock, F.lit("     "), row, F.lit("\nAverage:     "), row)
-    g = e.select("h", F.to_date("ts").alias("day"), "event_id", block.alias("b")).groupBy("h", "day").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("event_id", "b"))), lambda x: x["b"]), "\n").alias("body"))
-    date = F.when(F.col("h") % 3 == 0, F.date_format("day", "MM/dd/yyyy")).when(F.col("h") % 3 == 1, F.date_format("day", "yyyy-MM-dd")).otherwise(F.date_format("day", "MM/dd/yy"))
-    return g.select(F.concat(F.lit("host"), _s("h"), F.lit("-"), _s("day")).alias("path"), F.concat(F.lit("Linux 5.4.0 (host"), _s("h"), F.lit(") \t"), date, F.lit(" \t_x86_64_\t(8 CPU)\n"), "body", F.lit("\n")).alias("content"))
+    g = e.select("h", F.to_date("ts").alias("day"), "event_id", block.alias("b")).groupBy("h", "day").agg(
+        F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("event_id", "b"))), lambda x: x["b"]), "\n").alias("body")
+    )
+    date = F.when(
+        F.col("h") % 3 == 0, F.date_format("day", "MM/dd/yyyy")
+    ).when(F.col("h") % 3 == 1, F.date_format("day", "yyyy-MM-dd")).otherwise(F.date_format("day", "MM/dd/yy"))
+    return g.select(
+        F.concat(F.lit("host"), _s("h"), F.lit("-"), _s("day")).alias("path"),
+        F.concat(
+            F.lit("Linux 5.4.0 (host"), _s("h"), F.lit(") \t"), date, F.lit(" \t_x86_64_\t(8 CPU)\n"), "body", F.lit("\n")
+        ).alias("content"),
+    )
 
 
 def _table(summary: str, head: list[str], rows: Column) -> Column:
-    return F.concat(F.lit(f'<table border="1" summary="{summary}"><tr>' + "".join(f"<th>{h}</th>" for h in head) + "</tr>"), rows, F.lit("</table>"))
+    return F.concat(
+        F.lit(f'<table border="1" summary="{summary}"><tr>' + "".join(f"<th>{h}</th>" for h in head) + "</tr>"), rows, F.lit("</table>")
+    )
 
 
 def _row(*cells: Column) -> Column:
@@ -51,43 +83,134 @@ def _row(*cells: Column) -> Column:
 def reports(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(path, content): a snapshot report for each database, instance and snapshot of the wait view, in both header layouts."""
     w = fx.wait(spark, sf_dir)
-    g = w.groupBy("dbname", "instance", "begin_snap", "event").agg(F.sum("waits").alias("waits"), F.sum("total_wait_time_s").alias("time"), F.avg("pct").alias("pct"), F.min("snap_time").alias("t"))
+    g = w.groupBy("dbname", "instance", "begin_snap", "event").agg(
+        F.sum("waits").alias("waits"), F.sum("total_wait_time_s").alias("time"), F.avg("pct").alias("pct"), F.min("snap_time").alias("t")
+    )
     unit = F.col("waits") % 3
     ms = F.round("pct", 2)
-    cell = F.when(unit == 0, F.concat(_s(ms * 1000), F.lit("us"))).when(unit == 1, F.concat(_s(ms), F.lit("ms"))).otherwise(F.concat(_s(ms), F.lit("s")))
+    cell = F.when(
+        unit == 0, F.concat(_s(ms * 1000), F.lit("us"))
+    ).when(unit == 1, F.concat(_s(ms), F.lit("ms"))).otherwise(F.concat(_s(ms), F.lit("s")))
     events = _row(F.col("event"), F.format_number("waits", 0), F.format_number("time", 2), cell, F.lit("&#160;"), _s(F.round("pct", 2)))
-    g = g.groupBy("dbname", "instance", "begin_snap").agg(F.min("t").alias("t"), F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("event", events.alias("r")))), lambda x: x["r"]), "").alias("rows"))
+    g = g.groupBy("dbname", "instance", "begin_snap").agg(
+        F.min("t").alias("t"),
+        F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("event", events.alias("r")))), lambda x: x["r"]), "").alias("rows"),
+    )
     db, inst, snap = F.concat(F.lit("DB"), _s("dbname")), F.concat(F.lit("DB"), _s("dbname"), _s("instance")), _s("begin_snap")
     rac = F.when(F.col("begin_snap") % 2 == 0, "YES").otherwise("NO")
-    one = _table("This table displays database instance information", ["DB Name", "DB Id", "Instance", "Inst num", "Release", "RAC"], _row(db, F.lit("1"), inst, _s("instance"), F.lit("11.2"), rac))
-    two = F.concat(_table("This table displays database instance information", ["DB Name", "DB Id", "Unique Name", "Release", "RAC", "CDB"], _row(db, F.lit("1"), db, F.lit("19.0"), rac, F.lit("YES"))), _table("This table displays database instance information", ["Instance", "Inst Num", "Startup Time"], _row(inst, _s("instance"), F.lit("x"))))
+    one = _table(
+        "This table displays database instance information",
+        ["DB Name", "DB Id", "Instance", "Inst num", "Release", "RAC"],
+        _row(db, F.lit("1"), inst, _s("instance"), F.lit("11.2"), rac),
+    )
+    two = F.concat(
+        _table(
+            "This table displays database instance information",
+            ["DB Name", "DB Id", "Unique Name", "Release", "RAC", "CDB"],
+            _row(db, F.lit("1"), db, F.lit("19.0"), rac, F.lit("YES")),
+        ),
+        _table(
+            "This table displays database instance information",
+            ["Instance", "Inst Num", "Startup Time"],
+            _row(inst, _s("instance"), F.lit("x")),
+        ),
+    )
     two = F.concat(two, _table("This table displays container information", ["Con Name"], _row(F.concat(F.lit("pdb$"), snap))))
-    snaps = _table("This table displays snapshot information", ["", "Snap Id", "Snap Time", "Sessions"], _row(F.lit("Begin Snap:"), snap, F.date_format("t", "dd-MMM-yy HH:mm:ss"), F.lit("10")))
-    waits = F.concat(F.lit('<h3 class="awr">Foreground WAIT Events</h3><p>'), _table("waits", ["Event", "Waits", "Total Wait Time (s)", "Avg wait", "Waits /txn", "% DB  time"], F.col("rows")))
+    snaps = _table(
+        "This table displays snapshot information",
+        ["", "Snap Id", "Snap Time", "Sessions"],
+        _row(F.lit("Begin Snap:"), snap, F.date_format("t", "dd-MMM-yy HH:mm:ss"), F.lit("10")),
+    )
+    waits = F.concat(
+        F.lit('<h3 class="awr">Foreground WAIT Events</h3><p>'),
+        _table("waits", ["Event", "Waits", "Total Wait Time (s)", "Avg wait", "Waits /txn", "% DB  time"], F.col("rows")),
+    )
     empty = F.lit('<h3>Foreground Wait Class</h3><table><tr><th>Wait Class</th></tr></table>')
-    html = F.concat(F.lit("<html><head><title>AWR Report for DB: "), db, F.lit(", Inst: "), inst, F.lit(", Snaps: "), snap, F.lit("</title></head><body>"), F.when(F.col("instance") % 2 == 0, one).otherwise(two), snaps, empty, waits, F.lit("</body></html>"))
-    return g.select(F.concat_ws("/", F.lit("reports"), db, F.concat(inst, F.lit("_"), snap, F.lit(".html"))).alias("path"), html.alias("content"))
-
-
-OPERATIONS = ("TABLE ACCESS FULL", "INDEX RANGE SCAN", "NESTED LOOPS", "INDEX FAST FULL SCAN", "HASH JOIN", "FIXED TABLE FULL", "PARTITIONED TABLE ACCESS FULL")
+    html = F.concat(
+        F.lit("<html><head><title>AWR Report for DB: "),
+        db,
+        F.lit(", Inst: "),
+        inst,
+        F.lit(", Snaps: "),
+        snap,
+        F.lit("</title></head><body>"),
+        F.when(F.col("instance") % 2 == 0, one).otherwise(two),
+        snaps,
+        empty,
+        waits,
+        F.lit("</body></html>"),
+    )
+    return g.select(
+        F.concat_ws("/", F.lit("reports"), db, F.concat(inst, F.lit("_"), snap, F.lit(".html"))).alias("path"), html.alias("content")
+    )
+
+
+OPERATIONS = (
+    "TABLE ACCESS FULL",
+    "INDEX RANGE SCAN",
+    "NESTED LOOPS",
+    "INDEX FAST FULL SCAN",
+    "HASH JOIN",
+    "FIXED TABLE FULL",
+    "PARTITIONED TABLE ACCESS FULL",
+)
 
 
 def plan_texts(spark: SparkSession, sf_dir: str, variant: int = 0) -> DataFrame:
     """(path, content): a listing of two plans for each order number pair: a step for each line item. ``variant`` 1 leaves out line 3 and
     changes the access of line 4."""
     li = fx.table(spark, sf_dir, "lineitem").where("l_linenumber <> 3" if variant else "true")
-    op = F.element_at(F.array(*map(F.lit, OPERATIONS)), ((F.col("l_partkey") + (F.when(F.col("l_linenumber") == 4, variant).otherwise(0))) % len(OPERATIONS) + 1).cast("int"))
-    one = li.groupBy("l_orderkey", "l_linenumber").agg(F.min(F.struct("l_partkey", "l_quantity", "l_extendedprice", op.alias("op"))).alias("m")).select("l_orderkey", "l_linenumber", "m.*")
+    op = F.element_at(
+        F.array(*map(F.lit, OPERATIONS)),
+        ((F.col("l_partkey") + (F.when(F.col("l_linenumber") == 4, variant).otherwise(0))) % len(OPERATIONS) + 1).cast("int"),
+    )
+    one = li.groupBy("l_orderkey", "l_linenumber").agg(
+        F.min(F.struct("l_partkey", "l_quantity", "l_extendedprice", op.alias("op"))).alias("m")
+    ).select("l_orderkey", "l_linenumber", "m.*")
     big = F.col("l_extendedprice") >= 50000
     n = F.when(big, F.concat(_s(F.floor(F.col("l_extendedprice") / 1000)), F.lit("K"))).otherwise(_s(F.floor("l_extendedprice")))
     star = F.col("l_linenumber") % 2 == 0
-    line = F.concat(F.lit("|"), F.when(star, "*").otherwise(" "), F.lpad(_s("l_linenumber"), 3, " "), F.lit(" |"), F.lit("  "), "op", F.lit(" | T"), _s(F.col("l_partkey") % 50), F.lit(" | "), n, F.lit(" | "), _s(F.col("l_quantity").cast("int")), F.lit(" | "), _s(F.floor(F.col("l_extendedprice") / 5)), F.lit(" (3)| 00:00:01 |"))
+    line = F.concat(
+        F.lit("|"),
+        F.when(star, "*").otherwise(" "),
+        F.lpad(_s("l_linenumber"), 3, " "),
+        F.lit(" |"),
+        F.lit("  "),
+        "op",
+        F.lit(" | T"),
+        _s(F.col("l_partkey") % 50),
+        F.lit(" | "),
+        n,
+        F.lit(" | "),
+        _s(F.col("l_quantity").cast("int")),
+        F.lit(" | "),
+        _s(F.floor(F.col("l_extendedprice") / 5)),
+        F.lit(" (3)| 00:00:01 |"),
+    )
     pred = F.when(star, F.concat(F.lpad(_s("l_linenumber"), 4, " "), F.lit(' - filter("A"='), _s("l_partkey"), F.lit("\n       AND B>1)")))
-    gather = lambda c: F.array_join(F.transform(F.sort_array(F.collect_list(F.when(c.isNotNull(), F.struct("l_linenumber", c.alias("t"))))), lambda x: x["t"]), "\n")
-    g = one.withColumns({"row": line, "pred": pred}).groupBy("l_orderkey").agg(gather(F.col("row")).alias("rows"), gather(F.col("pred")).alias("preds"))
+    gather = lambda c: F.array_join(
+        F.transform(F.sort_array(F.collect_list(F.when(c.isNotNull(), F.struct("l_linenumber", c.alias("t"))))), lambda x: x["t"]), "\n"
+    )
+    g = one.withColumns({"row": line, "pred": pred}).groupBy("l_orderkey").agg(
+        gather(F.col("row")).alias("rows"), gather(F.col("pred")).alias("preds")
+    )
     head = "-" * 40
     text = F.concat(
-        F.lit("SQL_ID  q"), _s("l_orderkey"), F.lit(f", child number 0\n{head}\nSELECT *\n  FROM t\n\nPlan hash value: "), _s(F.col("l_orderkey") * 31 + variant), F.lit(f"\n\n{head}\n| Id  | Operation | Name | Rows | Bytes | Cost (%CPU)| Time |\n{head}\n|   0 | SELECT STATEMENT |  |  |  | 12 (100)|  |\n"), "rows",
-        F.lit(f"\n{head}\n\nPredicate Information (identified by operation id):\n{head}\n\n"), "preds", F.lit("\n\nNote\n-----\n   - dynamic sampling used\n"),
-    )
-    return g.groupBy(F.floor(F.col("l_orderkey") / 2).alias("file")).agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("l_orderkey", text.alias("t")))), lambda x: x["t"]), "\n").alias("content")).select(_s("file").alias("path"), "content")
+        F.lit("SQL_ID  q"),
+        _s("l_orderkey"),
+        F.lit(f", child number 0\n{head}\nSELECT *\n  FROM t\n\nPlan hash value: "),
+        _s(F.col("l_orderkey") * 31 + variant),
+        F.lit(
+            f"\n\n{head}\n| Id  | Operation | Name | Rows | Bytes | Cost (%CPU)| Time |\n{head}\n|   0 | "
+            "SELECT STATEMENT |  |  |  | 12 (100)|  |\n"
+        ),
+        "rows",
+        F.lit(f"\n{head}\n\nPredicate Information (identified by operation id):\n{head}\n\n"),
+        "preds",
+        F.lit("\n\nNote\n-----\n   - dynamic sampling used\n"),
+    )
+    return g.groupBy(F.floor(F.col("l_orderkey") / 2).alias("file")).agg(
+        F.array_join(
+            F.transform(F.sort_array(F.collect_list(F.struct("l_orderkey", text.alias("t")))), lambda x: x["t"]), "\n"
+        ).alias("content")
+    ).select(_s("file").alias("path"), "content")

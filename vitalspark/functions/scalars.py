@@ -68,7 +68,9 @@ def plan_size(c: Column | str, compat: bool = False) -> Column:
     """a row or byte count of a plan listing; ``26K`` is 26,000. ``compat`` drops the suffix instead."""
     s = F.upper(F.trim(col(c)))
     digits = F.regexp_extract(s, r"^(\d+)", 1).try_cast("double")
-    factor = F.lit(1.0) if compat else F.when(F.endswith(s, F.lit("K")), 1e3).when(F.endswith(s, F.lit("M")), 1e6).when(F.endswith(s, F.lit("G")), 1e9).otherwise(1.0)
+    factor = F.lit(1.0) if compat else F.when(
+        F.endswith(s, F.lit("K")), 1e3
+    ).when(F.endswith(s, F.lit("M")), 1e6).when(F.endswith(s, F.lit("G")), 1e9).otherwise(1.0)
     return digits * factor
 
 
@@ -109,12 +111,35 @@ def wait_summary_blend(pct: Column | str, time_s: Column | str, avg_ms: Column |
 
 
 #: Weight and divisor of each statement metric (fixed values of the score).
-SQL_WEIGHTS = {"elapsed": (0.25, 1.0), "cpu": (0.25, 1.0), "gets": (0.15, 1e4), "reads": (0.10, 1e3), "uio": (0.10, 1.0), "unopt": (0.05, 1e3), "parses": (0.05, 1e3), "cluster": (0.05, 1.0)}
+SQL_WEIGHTS = {
+    "elapsed": (0.25, 1.0),
+    "cpu": (0.25, 1.0),
+    "gets": (0.15, 1e4),
+    "reads": (0.10, 1e3),
+    "uio": (0.10, 1.0),
+    "unopt": (0.05, 1e3),
+    "parses": (0.05, 1e3),
+    "cluster": (0.05, 1.0),
+}
 #: Weight of each segment metric (fixed values of the score).
 SEGMENT_WEIGHTS = {
-    "physical_reads": 0.15, "direct_reads": 0.10, "direct_writes": 0.10, "logical_reads": 0.10, "cr_blocks": 0.10, "cur_blocks": 0.10, "table_scans": 0.05, "unopt_reads": 0.05,
-    "read_requests": 0.03, "write_requests": 0.03, "opt_reads": 0.02, "block_changes": 0.10, "row_lock_waits": 0.10, "itl_waits": 0.05, "buffer_busy": 0.10, "gc_buffer_busy": 0.05,
-}
+    "physical_reads": 0.15,
+    "direct_reads": 0.10,
+    "direct_writes": 0.10,
+    "logical_reads": 0.10,
+    "cr_blocks": 0.10,
+    "cur_blocks": 0.10,
+    "table_scans": 0.05,
+    "unopt_reads": 0.05,
+    "read_requests": 0.03,
+    "write_requests": 0.03,
+    "opt_reads": 0.02,
+    "block_changes": 0.10,
+    "row_lock_waits": 0.10,
+    "itl_waits": 0.05,
+    "buffer_busy": 0.10,
+    "gc_buffer_busy": 0.05,
+}
 #: Segment metrics that count double in the plain sum.
 SEGMENT_DOUBLE = ("physical_reads", "physical_writes", "direct_reads", "direct_writes")
 

@@ -56,8 +56,16 @@ def asof_snapshot(samples: DataFrame, snaps: DataFrame, keys: Sequence[str], ts:
     """Each sample with the snapshot that is open at its time (the last that begins at or before it), over all keys at once.
 
     A union in time order and a running last value do it in one shuffle; no range condition. ``snaps``: keys, snap_start, begin_snap."""
-    s = snaps.select(*keys, F.col("snap_start").alias("__t"), F.lit(0).alias("__kind"), F.col("begin_snap").alias("__snap"), F.lit(None).alias("__row"))
-    p = samples.select(*keys, F.col(ts).alias("__t"), F.lit(1).alias("__kind"), F.lit(None).cast(s.schema["__snap"].dataType).alias("__snap"), F.struct(*[c for c in samples.columns if c not in keys]).alias("__row"))
+    s = snaps.select(
+        *keys, F.col("snap_start").alias("__t"), F.lit(0).alias("__kind"), F.col("begin_snap").alias("__snap"), F.lit(None).alias("__row")
+    )
+    p = samples.select(
+        *keys,
+        F.col(ts).alias("__t"),
+        F.lit(1).alias("__kind"),
+        F.lit(None).cast(s.schema["__snap"].dataType).alias("__snap"),
+        F.struct(*[c for c in samples.columns if c not in keys]).alias("__row"),
+    )
     u = p.unionByName(s.withColumn("__row", F.lit(None).cast(p.schema["__row"].dataType)))
     order = W.partitionBy(*keys).orderBy("__t", "__kind").rowsBetween(W.unboundedPreceding, W.currentRow)
     out = u.withColumn("begin_snap", F.last("__snap", ignorenulls=True).over(order)).where("__kind = 1")
@@ -82,10 +90,14 @@ def cooccurrence(statements: DataFrame, segments: DataFrame, keys: Sequence[str]
 def metadata_enrich(segments: DataFrame, meta: DataFrame, columns: Sequence[str]) -> DataFrame:
     """Metadata by owner and object, else by the object alone; of several the first in order of owner. Columns get the prefix ``m_``."""
     up = lambda c: F.upper(F.col(c).cast("string"))
-    m = meta.select(up("owner").alias("__o"), up("object_name").alias("__n"), F.struct(*[F.col(c).alias(f"m_{c}") for c in columns]).alias("__m"))
+    m = meta.select(
+        up("owner").alias("__o"), up("object_name").alias("__n"), F.struct(*[F.col(c).alias(f"m_{c}") for c in columns]).alias("__m")
+    )
     exact = m.groupBy("__o", "__n").agg(F.min("__m").alias("m1"))
     alone = m.groupBy(F.col("__n").alias("__n2")).agg(F.min_by("__m", "__o").alias("m2"))
-    j = segments.join(exact, (up("owner") == F.col("__o")) & (up("object_name") == F.col("__n")), "left").join(alone, up("object_name") == F.col("__n2"), "left")
+    j = segments.join(
+        exact, (up("owner") == F.col("__o")) & (up("object_name") == F.col("__n")), "left"
+    ).join(alone, up("object_name") == F.col("__n2"), "left")
     return j.withColumn("__m", F.coalesce("m1", "m2")).select(*segments.columns, "__m.*")
 
 
@@ -105,8 +117,12 @@ def with_params(df: DataFrame, **params) -> DataFrame:
 def ledger_anti(candidates: DataFrame, ledger: DataFrame) -> DataFrame:
     """Files that are new: no entry of the same path, and none of the same content that has not failed. Of new files of equal
     content the first path stays. ``candidates``: path, hash; ``ledger``: path, hash, state."""
-    new = candidates.join(ledger.select("path").distinct(), "path", "left_anti").join(ledger.where("state <> 'failed'").select("hash").distinct(), "hash", "left_anti")
-    return new.groupBy("hash").agg(F.min_by(F.struct(*[F.col(c) for c in candidates.columns if c != "hash"]), "path").alias("__r")).select("hash", "__r.*")
+    new = candidates.join(ledger.select("path").distinct(), "path", "left_anti").join(
+        ledger.where("state <> 'failed'").select("hash").distinct(), "hash", "left_anti"
+    )
+    return new.groupBy("hash").agg(
+        F.min_by(F.struct(*[F.col(c) for c in candidates.columns if c != "hash"]), "path").alias("__r")
+    ).select("hash", "__r.*")
 
 
 def step_match(before: DataFrame, after: DataFrame, keys: Sequence[str] = ("plan",)) -> DataFrame:
@@ -115,12 +131,21 @@ def step_match(before: DataFrame, after: DataFrame, keys: Sequence[str] = ("plan
     Both sides: keys, step_id, operation, object_name. Result: keys, step_before, step_after, how (same, moved, removed, added)."""
 
     def numbered(df: DataFrame, side: str) -> DataFrame:
-        d = df.select(*keys, F.col("step_id").alias(f"step_{side}"), F.upper("operation").alias("op"), F.coalesce(F.upper("object_name"), F.lit("")).alias("ob"))
+        d = df.select(
+            *keys,
+            F.col("step_id").alias(f"step_{side}"),
+            F.upper("operation").alias("op"),
+            F.coalesce(F.upper("object_name"), F.lit("")).alias("ob"),
+        )
         return d.withColumn("n", F.row_number().over(W.partitionBy(*keys, "op", "ob").orderBy(f"step_{side}")))
 
     both = numbered(before, "before").join(numbered(after, "after"), [*keys, "op", "ob", "n"], "full")
-    same = both.where("step_before is not null and step_after is not null").select(*keys, "step_before", "step_after", F.lit("same").alias("how"))
-    rest = lambda side: both.where(f"step_{'after' if side == 'before' else 'before'} is null").select(*keys, f"step_{side}", F.row_number().over(W.partitionBy(*keys).orderBy(f"step_{side}")).alias("n"))
+    same = both.where("step_before is not null and step_after is not null").select(
+        *keys, "step_before", "step_after", F.lit("same").alias("how")
+    )
+    rest = lambda side: both.where(f"step_{'after' if side == 'before' else 'before'} is null").select(
+        *keys, f"step_{side}", F.row_number().over(W.partitionBy(*keys).orderBy(f"step_{side}")).alias("n")
+    )
     left = rest("before").join(rest("after"), [*keys, "n"], "full")
     how = F.when(F.col("step_after").isNull(), "removed").when(F.col("step_before").isNull(), "added").otherwise("moved")
     return same.unionByName(left.select(*keys, "step_before", "step_after", how.alias("how")))

@@ -16,19 +16,34 @@ SNAP = ("dbname", "instance", "begin_snap")
 def wait_summary(waits: DataFrame, min_pct: float = 5.0, keys: Sequence[str] = (*SNAP, "event")) -> DataFrame:
     """A4, A5: events above ``min_pct`` with time, blended score F11. Works on foreground and background alike."""
     g = waits.where((F.col("pct") > min_pct) & (F.col("total_wait_time_s") > 0)).groupBy(*keys)
-    out = g.agg(F.sum("waits").alias("waits"), F.sum("total_wait_time_s").alias("total_wait_time_s"), F.avg("avg_wait_ms").alias("avg_wait_ms"), F.max("avg_wait_ms").alias("max_wait_ms"), F.min("avg_wait_ms").alias("min_wait_ms"), F.avg("pct").alias("avg_pct"))
+    out = g.agg(
+        F.sum("waits").alias("waits"),
+        F.sum("total_wait_time_s").alias("total_wait_time_s"),
+        F.avg("avg_wait_ms").alias("avg_wait_ms"),
+        F.max("avg_wait_ms").alias("max_wait_ms"),
+        F.min("avg_wait_ms").alias("min_wait_ms"),
+        F.avg("pct").alias("avg_pct"),
+    )
     return out.withColumn("score", S.wait_blend("avg_pct", "total_wait_time_s", "avg_wait_ms", 12))
 
 
 def event_dimension(facts: DataFrame, classes: DataFrame, event: str = "event") -> DataFrame:
-    """Left join on the trimmed lower-case name; unknown events are of class Other. ``classes`` is a small dimension: Spark's size check decides on a broadcast."""
+    """Left join on the trimmed lower-case name; unknown events are of class Other. ``classes`` is a small dimension: Spark's size
+    check decides on a broadcast."""
     dim = classes.select(F.trim(F.lower("event")).alias("__e"), "wait_class").groupBy("__e").agg(F.min("wait_class").alias("wait_class"))
-    return facts.join(dim, F.trim(F.lower(F.col(event))) == F.col("__e"), "left").drop("__e").withColumn("wait_class", F.coalesce("wait_class", F.lit("Other")))
+    return facts.join(
+        dim, F.trim(F.lower(F.col(event))) == F.col("__e"), "left"
+    ).drop("__e").withColumn("wait_class", F.coalesce("wait_class", F.lit("Other")))
 
 
 def wait_event_summary(waits: DataFrame, classes: DataFrame, keys: Sequence[str] = (*SNAP, "event")) -> DataFrame:
     """Every event with its class and the 1-5 score F10."""
-    out = waits.groupBy(*keys).agg(F.sum("waits").alias("waits"), F.sum("total_wait_time_s").alias("total_wait_time_s"), F.avg("avg_wait_ms").alias("avg_wait_ms"), F.avg("pct").alias("avg_pct"))
+    out = waits.groupBy(*keys).agg(
+        F.sum("waits").alias("waits"),
+        F.sum("total_wait_time_s").alias("total_wait_time_s"),
+        F.avg("avg_wait_ms").alias("avg_wait_ms"),
+        F.avg("pct").alias("avg_pct"),
+    )
     return event_dimension(out, classes).withColumn("score", S.wait_score("avg_pct"))
 
 
@@ -44,11 +59,16 @@ def melt(df: DataFrame, keys: Sequence[str], metrics: Sequence[str]) -> DataFram
     return df.unpivot(list(keys), list(metrics), "metric", "value").where("value is not null")
 
 
-def star_of_aggregates(long: DataFrame, keys: Sequence[str], metrics: Sequence[str], driving: str | None = None, how: str = "avg") -> DataFrame:
+def star_of_aggregates(
+    long: DataFrame, keys: Sequence[str], metrics: Sequence[str], driving: str | None = None, how: str = "avg"
+) -> DataFrame:
     """Facts aggregated to one key and put side by side: one union and one pivot in place of a chain of joins, so one shuffle.
     Keys without a row of the ``driving`` metric go, as they would in left joins from it."""
     agg = {"avg": F.avg, "sum": F.sum, "max": F.max}[how]
-    out = long.groupBy(*keys).agg(*[agg(F.when(F.col("metric") == m, F.col("value"))).alias(m) for m in metrics], *([F.count_if(F.col("metric") == driving).alias("__driving")] if driving else []))
+    out = long.groupBy(*keys).agg(
+        *[agg(F.when(F.col("metric") == m, F.col("value"))).alias(m) for m in metrics],
+        *([F.count_if(F.col("metric") == driving).alias("__driving")] if driving else []),
+    )
     return out.where("__driving > 0").drop("__driving") if driving else out
 
 
@@ -63,8 +83,14 @@ def star_by_joins(facts: dict[str, DataFrame], keys: Sequence[str]) -> DataFrame
 
 def sql_summary(statements: DataFrame, metrics: dict[str, str]) -> DataFrame:
     """Statements by snapshot with the score F13. ``metrics``: score metric -> column."""
-    long = melt(statements.select(*SNAP, "sql_id", *[F.col(c).cast("double").alias(m) for m, c in metrics.items()]), (*SNAP, "sql_id"), list(metrics))
-    return star_of_aggregates(long, (*SNAP, "sql_id"), list(metrics), driving="elapsed").withColumn("score", S.sql_score({m: m for m in metrics}, 12))
+    long = melt(
+        statements.select(*SNAP, "sql_id", *[F.col(c).cast("double").alias(m) for m, c in metrics.items()]),
+        (*SNAP, "sql_id"),
+        list(metrics),
+    )
+    return star_of_aggregates(
+        long, (*SNAP, "sql_id"), list(metrics), driving="elapsed"
+    ).withColumn("score", S.sql_score({m: m for m in metrics}, 12))
 
 
 def segment_summary(long: DataFrame, metrics: Sequence[str], driving: str) -> DataFrame:
@@ -78,21 +104,27 @@ def segment_summary_coarse(long: DataFrame, metrics: Sequence[str], driving: str
     objects = long.where(F.col("metric") == driving).groupBy(*SNAP, "object_name").agg(F.avg("value").alias(driving))
     others = [m for m in metrics if m != driving]
     # Means over whole snapshots: sums are exact in the input's first six digits, so their order doesn't show.
-    mean = lambda m: F.sum(F.when(F.col("metric") == m, F.col("value").cast("decimal(28,6)"))).cast("double") / F.nullif(F.count(F.when(F.col("metric") == m, F.col("value"))), F.lit(0))
+    mean = lambda m: F.sum(
+        F.when(F.col("metric") == m, F.col("value").cast("decimal(28,6)"))
+    ).cast("double") / F.nullif(F.count(F.when(F.col("metric") == m, F.col("value"))), F.lit(0))
     snaps = long.where(F.col("metric") != driving).groupBy(*SNAP).agg(*[mean(m).alias(m) for m in others])
     return objects.join(snaps, list(SNAP), "left").withColumn("score", S.segment_score_weighted(list(metrics), 12))
 
 
 def score_by_snap(scored: DataFrame, entity: str) -> DataFrame:
     """Mean score of each entity in each snapshot, keys in lower case."""
-    return scored.groupBy("begin_snap", F.lower(F.col("dbname").cast("string")).alias("dbname"), F.lower(F.col(entity).cast("string")).alias("entity")).agg(F.avg("score").alias("score"))
+    return scored.groupBy(
+        "begin_snap", F.lower(F.col("dbname").cast("string")).alias("dbname"), F.lower(F.col(entity).cast("string")).alias("entity")
+    ).agg(F.avg("score").alias("score"))
 
 
 def share_of_total(waits: DataFrame, keys: Sequence[str] = ("dbname", "instance")) -> DataFrame:
     """An event's part of all pct in the snapshots where it occurs."""
     per = waits.groupBy(*keys, "begin_snap", "event").agg(F.sum("pct").alias("pct"))
     total = waits.groupBy(*keys, "begin_snap").agg(F.sum("pct").alias("all_pct"))
-    return per.join(total, [*keys, "begin_snap"]).groupBy(*keys, "event").agg((100 * F.sum("pct") / F.nullif(F.sum("all_pct"), F.lit(0))).alias("share"))
+    return per.join(total, [*keys, "begin_snap"]).groupBy(*keys, "event").agg(
+        (100 * F.sum("pct") / F.nullif(F.sum("all_pct"), F.lit(0))).alias("share")
+    )
 
 
 def severity_counts(findings: DataFrame, *by: str) -> DataFrame:
@@ -108,19 +140,34 @@ def distinct_counts(findings: DataFrame, by: Sequence[str], columns: Sequence[st
 
 def repeat_offenders(findings: DataFrame, by: Sequence[str], k: int = 20) -> DataFrame:
     """A15"""
-    out = findings.groupBy(*by).agg(F.count("*").alias("times"), F.max(F.abs("z_score")).alias("max_abs_z"), F.avg("metric_value").alias("avg_value"), F.avg("baseline_mean").alias("avg_baseline"))
+    out = findings.groupBy(*by).agg(
+        F.count("*").alias("times"),
+        F.max(F.abs("z_score")).alias("max_abs_z"),
+        F.avg("metric_value").alias("avg_value"),
+        F.avg("baseline_mean").alias("avg_baseline"),
+    )
     return top_k(out, k, F.desc("times"), F.desc("max_abs_z"), *[F.col(c) for c in by])
 
 
 def top_waits(waits: DataFrame, k: int = 10) -> DataFrame:
     """Events by mean share, NULLs last."""
-    out = waits.groupBy("event").agg(F.avg("pct").alias("avg_pct"), F.avg("avg_wait_ms").alias("avg_ms"), F.sum("waits").alias("waits"), F.sum("total_wait_time_s").alias("time_s"))
+    out = waits.groupBy("event").agg(
+        F.avg("pct").alias("avg_pct"),
+        F.avg("avg_wait_ms").alias("avg_ms"),
+        F.sum("waits").alias("waits"),
+        F.sum("total_wait_time_s").alias("time_s"),
+    )
     return top_k(out, k, F.col("avg_pct").desc_nulls_last(), F.col("event"))
 
 
 def top_sql(statements: DataFrame, k: int = 20) -> DataFrame:
     """Each side is aggregated before anything is joined, so nothing multiplies."""
-    out = statements.groupBy("sql_id").agg(F.sum("elapsed").alias("elapsed"), F.avg("elapsed").alias("avg_elapsed"), F.sum("executions").alias("executions"), F.sum("cpu").alias("cpu"))
+    out = statements.groupBy("sql_id").agg(
+        F.sum("elapsed").alias("elapsed"),
+        F.avg("elapsed").alias("avg_elapsed"),
+        F.sum("executions").alias("executions"),
+        F.sum("cpu").alias("cpu"),
+    )
     return top_k(out, k, F.col("elapsed").desc_nulls_last(), F.col("sql_id"))
 
 
@@ -141,12 +188,16 @@ def average_by(df: DataFrame, key: str, value: str, like: str | None = None) ->
 def percentile_thresholds(scored: DataFrame, entity: str, by: Sequence[str] = (), at: Sequence[float] = (0.1, 0.4, 0.7, 0.9)) -> DataFrame:
     """Exact percentiles of the entities' mean scores."""
     means = scored.groupBy(*by, entity).agg(F.avg("score").alias("mean_score"))
-    return means.groupBy(*by).agg(*[F.expr(f"percentile_cont({p}) WITHIN GROUP (ORDER BY mean_score)").alias(f"p{round(p * 100)}") for p in at])
+    return means.groupBy(*by).agg(
+        *[F.expr(f"percentile_cont({p}) WITHIN GROUP (ORDER BY mean_score)").alias(f"p{round(p * 100)}") for p in at]
+    )
 
 
 def device_scorecard(disks: DataFrame) -> DataFrame:
     """Mean and peak of each metric, and the status F19. Needs object, util, await_ms, tps."""
-    g = disks.groupBy("hostname", "object").agg(*[f(c).alias(f"{n}_{c}") for c in ("util", "await_ms", "tps") for n, f in (("avg", F.avg), ("peak", F.max))])
+    g = disks.groupBy("hostname", "object").agg(
+        *[f(c).alias(f"{n}_{c}") for c in ("util", "await_ms", "tps") for n, f in (("avg", F.avg), ("peak", F.max))]
+    )
     return g.withColumn("status", S.disk_status("avg_util", "avg_await_ms"))
 
 
@@ -186,13 +237,17 @@ def usage_counts(df: DataFrame, columns: Sequence[str]) -> DataFrame:
 
 def class_rollup(waits: DataFrame, classes: DataFrame, k: int = 10) -> DataFrame:
     """Waits and time by class."""
-    out = event_dimension(waits, classes).groupBy("wait_class").agg(F.sum("waits").alias("waits"), F.sum("total_wait_time_s").alias("time_s"), F.avg("avg_wait_ms").alias("avg_ms"))
+    out = event_dimension(waits, classes).groupBy("wait_class").agg(
+        F.sum("waits").alias("waits"), F.sum("total_wait_time_s").alias("time_s"), F.avg("avg_wait_ms").alias("avg_ms")
+    )
     return top_k(out, k, F.desc("time_s"), F.col("wait_class"))
 
 
 def segment_panel(long: DataFrame, metric: str, at_least: float, k: int) -> DataFrame:
     """Objects with a large enough value, ranked by the maximum where there is one snapshot, else by the mean."""
     d = long.where((F.col("metric") == metric) & (F.col("value") >= at_least))
-    out = d.groupBy("owner", "object_name").agg(F.countDistinct("begin_snap").alias("snaps"), F.max("value").alias("top"), F.avg("value").alias("mean"))
+    out = d.groupBy("owner", "object_name").agg(
+        F.countDistinct("begin_snap").alias("snaps"), F.max("value").alias("top"), F.avg("value").alias("mean")
+    )
     out = out.withColumn("rank_value", F.when(F.col("snaps") == 1, F.col("top")).otherwise(F.col("mean")))
     return top_k(out, k, F.desc("rank_value"), F.col("owner"), F.col("object_name"))

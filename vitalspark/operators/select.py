@@ -19,7 +19,9 @@ def snap_range_filter(df: DataFrame, dbname, instance, first: int | None, last:
     return df.where((F.col("dbname") == dbname) & (F.col("instance") == instance) & F.col("begin_snap").between(first, last))
 
 
-def metric_series(df: DataFrame, name: str, wanted: Sequence[str] | None, value: str, above: float | None = None, keys: Sequence[str] = ()) -> DataFrame:
+def metric_series(
+    df: DataFrame, name: str, wanted: Sequence[str] | None, value: str, above: float | None = None, keys: Sequence[str] = ()
+) -> DataFrame:
     """Long time series of the named metrics, optionally above a value."""
     out = df if wanted is None else df.where(F.col(name).isin(*wanted))
     out = out if above is None else out.where(F.col(value) > above)
@@ -106,7 +108,9 @@ def plan_get(steps: DataFrame, key: str, value, step: str) -> DataFrame:
     return steps.where(F.col(key) == value).orderBy(step)
 
 
-def feedback_history(feedback: DataFrame, status: str, newest: str, tie: str, k: int = 100, among: Sequence[str] | None = None) -> DataFrame:
+def feedback_history(
+    feedback: DataFrame, status: str, newest: str, tie: str, k: int = 100, among: Sequence[str] | None = None
+) -> DataFrame:
     """Recent feedback whose status is among the given ones, the newest first."""
     d = feedback if among is None else feedback.where(F.col(status).isin(*among))
     return top_k(d, k, F.desc(newest), F.col(tie))

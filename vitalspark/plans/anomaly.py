@@ -18,7 +18,12 @@ from ..functions.scalars import z_score, z_severity
 
 def point_stats(facts: DataFrame, series: Sequence[str], point: str, value: str = "value") -> DataFrame:
     """A3 and the partial sums of A1: one row a (series, point); NULL values count as 0 in ``metric_value`` only where nothing else is there."""
-    return facts.groupBy(*series, point).agg(F.count(value).alias("n"), F.avg(value).alias("mean"), (F.var_pop(value) * F.count(value)).alias("m2"), F.coalesce(F.avg(value), F.lit(0.0)).alias("metric_value"))
+    return facts.groupBy(*series, point).agg(
+        F.count(value).alias("n"),
+        F.avg(value).alias("mean"),
+        (F.var_pop(value) * F.count(value)).alias("m2"),
+        F.coalesce(F.avg(value), F.lit(0.0)).alias("metric_value"),
+    )
 
 
 def _merged(window: W) -> tuple[F.Column, F.Column, F.Column]:
@@ -30,7 +35,16 @@ def _merged(window: W) -> tuple[F.Column, F.Column, F.Column]:
     return n, F.col("center") + off / size, F.when(n > 1, F.sqrt(F.greatest(F.lit(0.0), (square - off * off / size) / (n - 1))))
 
 
-def rolling_baseline(stats: DataFrame, series: Sequence[str], axis: str, span: int, min_samples: int = 3, fallback_by: Sequence[str] | None = None, fallback_samples: int = 2, keep: Sequence[str] = ()) -> DataFrame:
+def rolling_baseline(
+    stats: DataFrame,
+    series: Sequence[str],
+    axis: str,
+    span: int,
+    min_samples: int = 3,
+    fallback_by: Sequence[str] | None = None,
+    fallback_samples: int = 2,
+    keep: Sequence[str] = (),
+) -> DataFrame:
     """Each point with the baseline of the points in ``[axis - span, axis - 1]`` of its series.
 
     ``axis`` is a whole number (day, snapshot or second); a NULL axis has no primary baseline. With ``fallback_by`` the rule of A2 holds: where
@@ -47,10 +61,29 @@ def rolling_baseline(stats: DataFrame, series: Sequence[str], axis: str, span: i
         primary = F.max((F.col("b_n") >= min_samples).cast("int")).over(W.partitionBy(*fallback_by, axis)) == 1
         pick = lambda c: F.when(primary, F.col(f"b_{c}")).otherwise(F.col(f"f_{c}"))
         least = F.when(primary, min_samples).otherwise(fallback_samples)
-        d = d.withColumns({"n_": pick("n"), "mean_": pick("mean"), "sd_": pick("sd"), "least_": least, "fallback": ~primary}).where("n_ >= least_")
-        out = d.select(*series, axis, *keep, "metric_value", F.col("n_").alias("baseline_n"), F.col("mean_").alias("baseline_mean"), F.col("sd_").alias("baseline_stddev"), "fallback")
+        d = d.withColumns(
+            {"n_": pick("n"), "mean_": pick("mean"), "sd_": pick("sd"), "least_": least, "fallback": ~primary}
+        ).where("n_ >= least_")
+        out = d.select(
+            *series,
+            axis,
+            *keep,
+            "metric_value",
+            F.col("n_").alias("baseline_n"),
+            F.col("mean_").alias("baseline_mean"),
+            F.col("sd_").alias("baseline_stddev"),
+            "fallback",
+        )
     else:
-        out = d.where(F.col("b_n") >= min_samples).select(*series, axis, *keep, "metric_value", F.col("b_n").alias("baseline_n"), F.col("b_mean").alias("baseline_mean"), F.col("b_sd").alias("baseline_stddev"))
+        out = d.where(F.col("b_n") >= min_samples).select(
+            *series,
+            axis,
+            *keep,
+            "metric_value",
+            F.col("b_n").alias("baseline_n"),
+            F.col("b_mean").alias("baseline_mean"),
+            F.col("b_sd").alias("baseline_stddev"),
+        )
     return out
 
 
@@ -60,20 +93,26 @@ def detect(baselines: DataFrame, threshold: float = 1.5) -> DataFrame:
     return scored.withColumn("severity", z_severity("z_score", threshold)).where("severity is not null")
 
 
-def host_anomalies(samples: DataFrame, baseline_days: int = 90, threshold: float = 1.5, min_samples: int = 3, hours: int | None = None) -> DataFrame:
+def host_anomalies(
+    samples: DataFrame, baseline_days: int = 90, threshold: float = 1.5, min_samples: int = 3, hours: int | None = None
+) -> DataFrame:
     """Every host, day and check. ``samples``: hostname, day, object, value (melted; ``object`` names check and device).
 
     ``hours`` (with snap_time): a day's own value is the mean of the closed window of so many hours from its midnight; baselines are of whole days."""
     series = ["hostname", "object"]
     stats = point_stats(samples.withColumn("day_no", F.unix_date("day")), series, "day_no")
     if hours:
-        w = hour_windows(samples, hours).groupBy(*series, F.unix_date("day").alias("day_no")).agg(F.coalesce(F.avg("value"), F.lit(0.0)).alias("metric_value"))
+        w = hour_windows(samples, hours).groupBy(*series, F.unix_date("day").alias("day_no")).agg(
+            F.coalesce(F.avg("value"), F.lit(0.0)).alias("metric_value")
+        )
         stats = w.join(stats.drop("metric_value"), [*series, "day_no"], "left").fillna(0, ["n", "mean", "m2"])
     found = detect(rolling_baseline(stats, series, "day_no", baseline_days, min_samples, fallback_by=["hostname"]), threshold)
     return found.withColumn("day", F.date_from_unix_date("day_no")).drop("day_no")
 
 
-def snapshot_anomalies(facts: DataFrame, times: DataFrame, baseline_days: int = 30, threshold: float = 1.5, min_samples: int = 3) -> DataFrame:
+def snapshot_anomalies(
+    facts: DataFrame, times: DataFrame, baseline_days: int = 30, threshold: float = 1.5, min_samples: int = 3
+) -> DataFrame:
     """Every database, instance, snapshot and check. ``facts``: dbname, instance, begin_snap, source, object, value (melted);
     ``times``: dbname, instance, begin_snap, snap_time, one row a snapshot.
 
@@ -82,14 +121,18 @@ def snapshot_anomalies(facts: DataFrame, times: DataFrame, baseline_days: int =
     snap, series = ["dbname", "instance", "begin_snap"], ["dbname", "instance", "source", "object"]
     at = times.select(*snap, F.unix_seconds(F.col("snap_time").cast("timestamp")).alias("second"))
     stats = point_stats(facts, series, "begin_snap").join(at, snap)
-    found = rolling_baseline(stats, series, "second", baseline_days * 86_400, min_samples, fallback_by=["dbname", "instance", "source"], keep=["begin_snap"])
+    found = rolling_baseline(
+        stats, series, "second", baseline_days * 86_400, min_samples, fallback_by=["dbname", "instance", "source"], keep=["begin_snap"]
+    )
     return detect(found, threshold).drop("second")
 
 
 def eligible_snapshots(snaps: DataFrame, min_prior: int) -> DataFrame:
     """Snapshots with at least ``min_prior`` earlier ones of their instance (snapshots are counted, not rows)."""
     d = snaps.select("dbname", "instance", "begin_snap").distinct()
-    return d.withColumn("prior", F.dense_rank().over(W.partitionBy("dbname", "instance").orderBy("begin_snap")) - 1).where(F.col("prior") >= min_prior)
+    return d.withColumn(
+        "prior", F.dense_rank().over(W.partitionBy("dbname", "instance").orderBy("begin_snap")) - 1
+    ).where(F.col("prior") >= min_prior)
 
 
 def hour_windows(samples: DataFrame, hours: int = 25) -> DataFrame:

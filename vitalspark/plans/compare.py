@@ -12,7 +12,9 @@ from ..functions.scalars import pct_change
 from ..operators import joins, rollups
 
 
-def compare_periods(facts: DataFrame, tags: DataFrame, key: Sequence[str], value: Column, at_least: float = 0.0, digits: int = 1) -> DataFrame:
+def compare_periods(
+    facts: DataFrame, tags: DataFrame, key: Sequence[str], value: Column, at_least: float = 0.0, digits: int = 1
+) -> DataFrame:
     """Values of the ``before`` and ``after`` tags with difference and change in percent."""
     out = joins.before_after(joins.tag_join(facts, tags), key, value, at_least)
     return out.withColumn("change_pct", pct_change("before_value", "after_value", digits))
@@ -48,11 +50,25 @@ def memory_advice(curve: DataFrame, os_memory: DataFrame, keys: Sequence[str], g
     """Plateau against the current size (factor 1) with savings, headroom and a verdict.
 
     ``curve``: keys, size_mb, factor, db_time, reads; ``os_memory``: keys, free_mb, total_mb."""
-    current = curve.where("factor = 1").groupBy(*keys).agg(F.min("size_mb").alias("current_mb"), F.min("db_time").alias("current_time"), F.min("reads").alias("current_reads"))
-    best = plateau(curve, keys, "size_mb", "db_time", gain_below).select(*keys, F.col("size_mb").alias("plateau_mb"), F.col("db_time").alias("plateau_time"), F.col("reads").alias("plateau_reads"))
+    current = curve.where("factor = 1").groupBy(*keys).agg(
+        F.min("size_mb").alias("current_mb"), F.min("db_time").alias("current_time"), F.min("reads").alias("current_reads")
+    )
+    best = plateau(curve, keys, "size_mb", "db_time", gain_below).select(
+        *keys, F.col("size_mb").alias("plateau_mb"), F.col("db_time").alias("plateau_time"), F.col("reads").alias("plateau_reads")
+    )
     j = current.join(best, list(keys), "left").join(os_memory, list(keys), "left")
     need = F.greatest(F.lit(0.0), F.col("plateau_mb") - F.col("current_mb"))
-    out = j.withColumns({"need_mb": need, "gain_pct": (F.col("current_time") - F.col("plateau_time")) / F.nullif("current_time", F.lit(0.0)) * 100, "reads_saved": F.col("current_reads") - F.col("plateau_reads")})
-    risk = F.when(F.col("free_mb").isNull(), "unknown").when(F.col("need_mb") <= F.col("free_mb") * 0.5, "low").when(F.col("need_mb") <= F.col("free_mb"), "medium").otherwise("high")
-    verdict = F.when(F.col("plateau_mb").isNull(), "still rising").when(F.col("need_mb") == 0, "sufficient").when(F.col("need_mb") > F.coalesce("free_mb", F.lit(0.0)), "no room").otherwise("increase")
+    out = j.withColumns(
+        {
+            "need_mb": need,
+            "gain_pct": (F.col("current_time") - F.col("plateau_time")) / F.nullif("current_time", F.lit(0.0)) * 100,
+            "reads_saved": F.col("current_reads") - F.col("plateau_reads"),
+        }
+    )
+    risk = F.when(F.col("free_mb").isNull(), "unknown").when(
+        F.col("need_mb") <= F.col("free_mb") * 0.5, "low"
+    ).when(F.col("need_mb") <= F.col("free_mb"), "medium").otherwise("high")
+    verdict = F.when(F.col("plateau_mb").isNull(), "still rising").when(F.col("need_mb") == 0, "sufficient").when(
+        F.col("need_mb") > F.coalesce("free_mb", F.lit(0.0)), "no room"
+    ).otherwise("increase")
     return out.withColumns({"risk": risk, "headroom_mb": F.col("free_mb") - F.col("need_mb"), "verdict": verdict})

@@ -12,7 +12,13 @@ from ..operators import joins, select
 
 _NAME = r"(?:([a-z][a-z0-9_$#]*)\.)?([a-z][a-z0-9_$#]*)"
 #: What stands before an object's name.
-_PLACES = {"from": r"\b(?:from|join)\s+", "into": r"\binsert\s+into\s+", "update": r"\bupdate\s+", "delete": r"\bdelete\s+from\s+", "merge": r"\bmerge\s+into\s+"}
+_PLACES = {
+    "from": r"\b(?:from|join)\s+",
+    "into": r"\binsert\s+into\s+",
+    "update": r"\bupdate\s+",
+    "delete": r"\bdelete\s+from\s+",
+    "merge": r"\bmerge\s+into\s+",
+}
 _ANY = r"\b(?:from|join|insert\s+into|update|delete\s+from|merge\s+into)\s+" + _NAME
 #: Words that may follow a place but are no object.
 NOT_OBJECTS = ("select", "set", "dual", "table", "lateral", "only")
@@ -21,8 +27,12 @@ NOT_OBJECTS = ("select", "set", "dual", "table", "lateral", "only")
 def sql_object_map(texts: DataFrame) -> DataFrame:
     """Distinct (sql_id, owner, object, has_owner) of the objects that statements name; owner is NULL where the text has none."""
     s = sql_normalise("sql_text")
-    pairs = F.arrays_zip(F.regexp_extract_all(s, F.lit(_ANY), F.lit(1)).alias("o"), F.regexp_extract_all(s, F.lit(_ANY), F.lit(2)).alias("n"))
-    d = texts.select("sql_id", F.explode(pairs).alias("p")).select("sql_id", F.nullif("p.o", F.lit("")).alias("owner"), F.col("p.n").alias("object"))
+    pairs = F.arrays_zip(
+        F.regexp_extract_all(s, F.lit(_ANY), F.lit(1)).alias("o"), F.regexp_extract_all(s, F.lit(_ANY), F.lit(2)).alias("n")
+    )
+    d = texts.select("sql_id", F.explode(pairs).alias("p")).select(
+        "sql_id", F.nullif("p.o", F.lit("")).alias("owner"), F.col("p.n").alias("object")
+    )
     return d.where(~F.col("object").isin(*NOT_OBJECTS)).distinct().withColumn("has_owner", F.col("owner").isNotNull())
 
 
@@ -31,7 +41,9 @@ def rule_text_pick(facts: DataFrame, rules: DataFrame, category: str, key: str)
     r = rules.groupBy(F.lower("category").alias("__c"), F.lower("rule_key").alias("__k")).agg(F.min("rule_text").alias("t"))
     exact = r.select("__c", "__k", F.col("t").alias("t1"))
     wild = r.where("__k = '*'").select(F.col("__c").alias("__c2"), F.col("t").alias("t2"))
-    j = facts.join(exact, (F.lower(F.col(category)) == F.col("__c")) & (F.lower(F.col(key).cast("string")) == F.col("__k")), "left").join(wild, F.lower(F.col(category)) == F.col("__c2"), "left")
+    j = facts.join(
+        exact, (F.lower(F.col(category)) == F.col("__c")) & (F.lower(F.col(key).cast("string")) == F.col("__k")), "left"
+    ).join(wild, F.lower(F.col(category)) == F.col("__c2"), "left")
     return j.select(*facts.columns, F.coalesce("t1", "t2").alias("rule_text"))
 
 
@@ -66,7 +78,9 @@ def focus_drilldown(
     named = named.where(F.col("sql_id") != value) if focus == "sql" else named
     scores = statements.join(named, "sql_id", "left_semi").groupBy(F.col("sql_id").cast("string").alias("item"))
     parts["sql_text"] = scores.agg(F.avg("score").alias("amount"))
-    best = [select.top_k(d, k, F.desc("amount"), F.col("item")).select(F.lit(n).alias("section"), "item", "amount") for n, d in parts.items()]
+    best = [
+        select.top_k(d, k, F.desc("amount"), F.col("item")).select(F.lit(n).alias("section"), "item", "amount") for n, d in parts.items()
+    ]
     return reduce(DataFrame.union, best)
 
 
@@ -86,7 +100,9 @@ def drilldown_text(found: DataFrame, focus: str, value, rules: DataFrame) -> Dat
     last. ``found``: the result of focus_drilldown, whose sections hold at most ``k`` items each."""
     items = F.array_sort(F.collect_list(F.struct((-F.col("amount")).alias("down"), "item")))
     bullets = F.transform(items, lambda x: F.format_string("• %s [%.2f]", x["item"], -x["down"]))
-    titles = F.create_map(*[x for n, (at, t) in TITLES.items() for x in (F.lit(n), F.struct(F.lit(at).alias("ord"), F.lit(t).alias("title")))])
+    titles = F.create_map(
+        *[x for n, (at, t) in TITLES.items() for x in (F.lit(n), F.struct(F.lit(at).alias("ord"), F.lit(t).alias("title")))]
+    )
     body = found.groupBy("section").agg(F.array_join(bullets, "\n").alias("value")).withColumn("t", titles[F.col("section")])
     body = body.select("t.ord", F.col("t.title").alias("section"), "value")
     one = found.sparkSession.range(1).select(F.lit(focus).alias("category"), F.lit(str(value)).alias("key"))

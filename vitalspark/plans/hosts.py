@@ -15,7 +15,13 @@ def host_overview(samples: DataFrame, start: str, end: str, busiest: int = 2) ->
     """X11: all panels of every host in one aggregate: (hostname, object, samples, avg, peak, p95, hot_hours) and whether the object is among the
     host's busiest. ``samples``: hostname, snap_time, day, object, value."""
     d = samples.where(F.col("day").between(F.lit(start).cast("date"), F.lit(end).cast("date")))
-    g = d.groupBy("hostname", "object").agg(F.count("*").alias("samples"), F.avg("value").alias("avg_value"), F.max("value").alias("peak"), F.expr("percentile_cont(0.95) WITHIN GROUP (ORDER BY value)").alias("p95"), F.countDistinct(F.date_trunc("hour", "snap_time")).alias("hours"))
+    g = d.groupBy("hostname", "object").agg(
+        F.count("*").alias("samples"),
+        F.avg("value").alias("avg_value"),
+        F.max("value").alias("peak"),
+        F.expr("percentile_cont(0.95) WITHIN GROUP (ORDER BY value)").alias("p95"),
+        F.countDistinct(F.date_trunc("hour", "snap_time")).alias("hours"),
+    )
     ranked = select.top_k_per_group(g, ["hostname"], 1 << 30, F.desc("avg_value"), F.col("object"))
     return ranked.withColumn("busy", F.col("rank_in_group") <= busiest).drop("rank_in_group")
 
@@ -25,7 +31,9 @@ def host_timeline(samples: DataFrame, start: str, end: str, busiest: int = 2, un
     mean since the row before, and the share of the object's own highest mean. One aggregate of the samples; ranks are of its rows."""
     d = select.host_series(samples, None, start, end)
     g = d.groupBy("hostname", "object", F.date_trunc(unit, "snap_time").alias("at"))
-    g = g.agg(F.count("*").alias("samples"), F.sum("value").alias("total"), F.max("value").alias("peak")).withColumn("mean", F.col("total") / F.col("samples"))
+    g = g.agg(
+        F.count("*").alias("samples"), F.sum("value").alias("total"), F.max("value").alias("peak")
+    ).withColumn("mean", F.col("total") / F.col("samples"))
     means = g.groupBy("hostname", "object").agg((F.sum("total") / F.sum("samples")).alias("whole"))
     busy = select.top_k_per_group(means, ["hostname"], busiest, F.desc("whole"), F.col("object"))
     series = W.partitionBy("hostname", "object")
@@ -38,10 +46,18 @@ def host_timeline(samples: DataFrame, start: str, end: str, busiest: int = 2, un
 def feedback_learnings(feedback: DataFrame, known: DataFrame | None = None) -> DataFrame:
     """Accepted recommendations by trigger pattern: times accepted and the newest resolution. ``feedback``: trigger_pattern, accepted,
     resolution, at; ``known``: earlier learnings (trigger_pattern, times_accepted, resolution, at), merged in."""
-    new = feedback.where("accepted").groupBy("trigger_pattern").agg(F.count("*").alias("times_accepted"), F.max_by("resolution", F.struct("at", "resolution")).alias("resolution"), F.max("at").alias("at"))
+    new = feedback.where("accepted").groupBy("trigger_pattern").agg(
+        F.count("*").alias("times_accepted"),
+        F.max_by("resolution", F.struct("at", "resolution")).alias("resolution"),
+        F.max("at").alias("at"),
+    )
     if known is None:
         return new
-    return new.unionByName(known).groupBy("trigger_pattern").agg(F.sum("times_accepted").alias("times_accepted"), F.max_by("resolution", F.struct("at", "resolution")).alias("resolution"), F.max("at").alias("at"))
+    return new.unionByName(known).groupBy("trigger_pattern").agg(
+        F.sum("times_accepted").alias("times_accepted"),
+        F.max_by("resolution", F.struct("at", "resolution")).alias("resolution"),
+        F.max("at").alias("at"),
+    )
 
 
 def best_learnings(learnings: DataFrame, pattern: str, k: int = 3) -> DataFrame:
@@ -53,7 +69,9 @@ def best_learnings(learnings: DataFrame, pattern: str, k: int = 3) -> DataFrame:
 
 def parse_hotspots(parses: DataFrame, texts: DataFrame, more_than: float = 1000, k: int = 10) -> DataFrame:
     """Statements with many parse calls, by executions, with their newest text. The texts are cut to the winners before they are reduced."""
-    top = parses.groupBy("sql_id").agg(F.sum("parses").alias("parse_calls"), F.sum("executions").alias("executions")).where(F.col("parse_calls") > more_than)
+    top = parses.groupBy("sql_id").agg(
+        F.sum("parses").alias("parse_calls"), F.sum("executions").alias("executions")
+    ).where(F.col("parse_calls") > more_than)
     top = select.top_k(top, k, F.desc("executions"), F.col("sql_id"))
     own = texts.join(top.select("sql_id"), "sql_id", "left_semi")
     return top.join(select.newest_values(own, ["sql_id"], F.col("begin_snap"), ["begin_snap", "sql_text"]), "sql_id", "left")
@@ -61,5 +79,9 @@ def parse_hotspots(parses: DataFrame, texts: DataFrame, more_than: float = 1000,
 
 def sql_scorecard(scored: DataFrame, metrics: Sequence[str], k: int = 10) -> DataFrame:
     """Statements by their largest score, with the components of that snapshot."""
-    best = scored.groupBy("sql_id").agg(F.max_by(F.struct("score", *metrics, "dbname", "instance", "begin_snap"), F.struct("score", "dbname", "instance", "begin_snap")).alias("r")).select("sql_id", "r.*")
+    best = scored.groupBy("sql_id").agg(
+        F.max_by(
+            F.struct("score", *metrics, "dbname", "instance", "begin_snap"), F.struct("score", "dbname", "instance", "begin_snap")
+        ).alias("r")
+    ).select("sql_id", "r.*")
     return select.top_k(best, k, F.desc("score"), F.col("sql_id"))

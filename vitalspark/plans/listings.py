@@ -26,20 +26,39 @@ FULL_OPERATIONS = ("TABLE ACCESS FULL", "FIXED TABLE FULL", "INDEX FAST FULL SCA
 
 def plan_problems(steps: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
     """One row a (plan, pattern, step), of equal messages (first 40 characters) the first step. One pass: the patterns a step matches are an array."""
-    hits = F.filter(F.array(*[F.when(F.expr(c), F.struct(F.lit(p).alias("pattern"), F.lit(s).alias("severity"))) for p, (c, s) in PROBLEMS.items()]), lambda x: x.isNotNull())
-    d = steps.select(*keys, "step_id", "operation", "object_name", "rows", "cost", F.explode(hits).alias("p")).select("*", "p.pattern", "p.severity").drop("p")
+    hits = F.filter(
+        F.array(*[F.when(F.expr(c), F.struct(F.lit(p).alias("pattern"), F.lit(s).alias("severity"))) for p, (c, s) in PROBLEMS.items()]),
+        lambda x: x.isNotNull(),
+    )
+    d = steps.select(
+        *keys, "step_id", "operation", "object_name", "rows", "cost", F.explode(hits).alias("p")
+    ).select("*", "p.pattern", "p.severity").drop("p")
     d = d.withColumn("message", F.concat_ws(" ", "operation", F.lit("on"), F.coalesce("object_name", F.lit("?"))))
-    return select.newest_by(d.withColumn("short", F.left("message", F.lit(40))), [*keys, "pattern", "short"], F.col("step_id")).drop("short")
+    return select.newest_by(
+        d.withColumn("short", F.left("message", F.lit(40))), [*keys, "pattern", "short"], F.col("step_id")
+    ).drop("short")
 
 
 def plan_compare(before: DataFrame, after: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
     """Matched steps with costs, change in percent and status (same, changed, removed, added)."""
     m = joins.step_match(before, after, keys)
-    side = lambda df, s: df.select(*keys, F.col("step_id").alias(f"step_{s}"), F.col("operation").alias(f"operation_{s}"), F.col("object_name").alias(f"object_{s}"), F.col("cost").alias(f"cost_{s}"))
+    side = lambda df, s: df.select(
+        *keys,
+        F.col("step_id").alias(f"step_{s}"),
+        F.col("operation").alias(f"operation_{s}"),
+        F.col("object_name").alias(f"object_{s}"),
+        F.col("cost").alias(f"cost_{s}"),
+    )
     j = m.join(side(before, "before"), [*keys, "step_before"], "left").join(side(after, "after"), [*keys, "step_after"], "left")
     changed = (F.col("how") == "moved") | ~F.col("cost_before").eqNullSafe(F.col("cost_after"))
     status = F.when(F.col("how").isin("removed", "added"), F.col("how")).when(changed, "changed").otherwise("same")
-    return j.withColumns({"cost_delta": F.col("cost_after") - F.col("cost_before"), "cost_pct": (F.col("cost_after") - F.col("cost_before")) / F.nullif("cost_before", F.lit(0.0)) * 100, "status": status})
+    return j.withColumns(
+        {
+            "cost_delta": F.col("cost_after") - F.col("cost_before"),
+            "cost_pct": (F.col("cost_after") - F.col("cost_before")) / F.nullif("cost_before", F.lit(0.0)) * 100,
+            "status": status,
+        }
+    )
 
 
 def plan_verdict(before: DataFrame, after: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
@@ -50,7 +69,9 @@ def plan_verdict(before: DataFrame, after: DataFrame, keys: Sequence[str] = KEYS
     change = F.col("total_after") - F.col("total_before")
     scans = F.when(F.col("full_before") & ~F.col("full_after"), "removed").when(~F.col("full_before") & F.col("full_after"), "introduced")
     pct = F.when(F.col("total_before") > 0, change / F.col("total_before") * 100)
-    return j.withColumns({"cost_change": change, "cost_pct_change": pct, "improved": F.col("total_after") < F.col("total_before"), "full_scans": scans})
+    return j.withColumns(
+        {"cost_change": change, "cost_pct_change": pct, "improved": F.col("total_after") < F.col("total_before"), "full_scans": scans}
+    )
 
 
 def access_changes(before: DataFrame, after: DataFrame, compared: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
@@ -67,15 +88,27 @@ def problem_changes(before: DataFrame, after: DataFrame, compared: DataFrame, ke
     said by the whole already (a step's scan is new only if the plan had none)."""
     v = plan_verdict(before, after, keys)
     whole = v.where("full_scans is not null").select(
-        *keys, F.when(F.col("full_scans") == "removed", "fixed").otherwise("new").alias("change"), F.concat(F.lit("Full table scan "), "full_scans").alias("problem")
+        *keys,
+        F.when(F.col("full_scans") == "removed", "fixed").otherwise("new").alias("change"),
+        F.concat(F.lit("Full table scan "), "full_scans").alias("problem"),
     )
     full = lambda s: F.contains(F.upper(f"operation_{s}"), F.lit("FULL"))
     obj = lambda s: F.coalesce(f"object_{s}", F.lit("None"))
     m = compared.where("how = 'moved'").join(v.select(*keys, "full_before", "full_after"), list(keys))
     gone = m.where(full("before") & ~full("after") & ~(F.col("full_before") & ~F.col("full_after")))
-    gone = gone.select(*keys, F.lit("fixed").alias("change"), F.concat(F.lit("Full scan removed: "), "operation_before", F.lit(" on "), obj("before"), F.lit(" -> "), "operation_after").alias("problem"))
+    gone = gone.select(
+        *keys,
+        F.lit("fixed").alias("change"),
+        F.concat(
+            F.lit("Full scan removed: "), "operation_before", F.lit(" on "), obj("before"), F.lit(" -> "), "operation_after"
+        ).alias("problem"),
+    )
     come = m.where(~full("before") & full("after") & ~F.col("full_before"))
-    come = come.select(*keys, F.lit("new").alias("change"), F.concat(F.lit("New full scan: "), "operation_after", F.lit(" on "), obj("after")).alias("problem"))
+    come = come.select(
+        *keys,
+        F.lit("new").alias("change"),
+        F.concat(F.lit("New full scan: "), "operation_after", F.lit(" on "), obj("after")).alias("problem"),
+    )
     return whole.union(gone).union(come)
 
 
@@ -90,21 +123,55 @@ def metadata_warnings(steps: DataFrame, meta: DataFrame, keys: Sequence[str] = K
     j = own.join(known, [*on, "__n"])
     index, table = F.col("object_type") == "INDEX", F.col("object_type") == "TABLE"
     ratio = F.col("clustering_factor") / F.nullif(F.col("num_rows").cast("double"), F.lit(0.0))
-    columns = F.array_join(F.transform(F.from_json("index_columns", "array<struct<col:string>>"), lambda x: F.coalesce(x["col"], F.lit(""))), ", ")
+    columns = F.array_join(
+        F.transform(F.from_json("index_columns", "array<struct<col:string>>"), lambda x: F.coalesce(x["col"], F.lit(""))), ", "
+    )
     grade = lambda high: F.when(high, "HIGH").otherwise("MEDIUM")
     name = F.col("object_name").cast("string")
-    row = lambda severity, pattern, *detail: F.struct(severity.alias("severity"), F.lit(pattern).alias("pattern"), F.concat(name, *detail).alias("detail"))
+    row = lambda severity, pattern, *detail: F.struct(
+        severity.alias("severity"), F.lit(pattern).alias("pattern"), F.concat(name, *detail).alias("detail")
+    )
     whole = lambda c: F.col(c).cast("long").cast("string")
     days, level = F.col("analysed_days"), F.col("blevel")
     rules = [
         F.when(days.isNull(), row(F.lit("HIGH"), "Missing Statistics", F.lit(": never analyzed"))),
-        F.when(days > 30, row(grade(days > 90), "Stale Statistics", F.lit(": last analyzed "), whole("analysed_days"), F.lit(" days ago"))),
-        F.when(index & (ratio > 0.8), row(grade(ratio > 1.5), "High Clustering Factor", F.lit(": clustering_factor="), whole("clustering_factor"), F.lit(" / num_rows="), whole("num_rows"))),
+        F.when(
+            days > 30, row(grade(days > 90), "Stale Statistics", F.lit(": last analyzed "), whole("analysed_days"), F.lit(" days ago"))
+        ),
+        F.when(
+            index & (ratio > 0.8),
+            row(
+                grade(ratio > 1.5),
+                "High Clustering Factor",
+                F.lit(": clustering_factor="),
+                whole("clustering_factor"),
+                F.lit(" / num_rows="),
+                whole("num_rows"),
+            ),
+        ),
         F.when(index & (level >= 4), row(grade(level >= 5), "Deep B-tree Index", F.lit(": blevel="), whole("blevel"))),
-        F.when(index & columns.isNotNull(), row(F.lit("INFO"), "Index Definition", F.lit(" ["), F.coalesce("uniqueness", F.lit("None")), F.lit("]: ("), columns, F.lit(")"))),
+        F.when(
+            index & columns.isNotNull(),
+            row(
+                F.lit("INFO"),
+                "Index Definition",
+                F.lit(" ["),
+                F.coalesce("uniqueness", F.lit("None")),
+                F.lit("]: ("),
+                columns,
+                F.lit(")"),
+            ),
+        ),
         F.when(
             table & (F.col("num_rows") > 0),
-            row(F.lit("INFO"), "Table Size", F.lit(": "), whole("num_rows"), F.lit(" rows, "), F.coalesce(F.concat(F.lit("partitioned ("), "partition_type", F.lit(")")), F.lit("unpartitioned"))),
+            row(
+                F.lit("INFO"),
+                "Table Size",
+                F.lit(": "),
+                whole("num_rows"),
+                F.lit(" rows, "),
+                F.coalesce(F.concat(F.lit("partitioned ("), "partition_type", F.lit(")")), F.lit("unpartitioned")),
+            ),
         ),
     ]
     out = j.select(*keys, "object_name", F.explode(F.filter(F.array(*rules), lambda x: x.isNotNull())).alias("w"))

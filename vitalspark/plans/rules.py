@@ -60,13 +60,30 @@ def apply_rules(facts: DataFrame, rules: Sequence[Rule], category: str, entity:
     """X4, one category: the first matching rule of each row, in order of the rules. One pass over the facts, however many rules."""
     own = [r for r in rules if r.category == category]
     if not own:
-        return facts.where(F.lit(False)).select(*keys, F.lit("").alias("rule_id"), F.lit("").alias("severity"), F.lit("").alias("title"), F.col(entity).cast("string").alias("entity"))
-    hit = lambda r: wildcard_match(F.col(entity).cast("string"), F.lit(r.pattern)) & F.coalesce(compile_condition(r.condition, CONTEXT[category]), F.lit(False))
-    first = F.coalesce(*[F.when(hit(r), F.struct(F.lit(r.rule_id).alias("rule_id"), F.lit(r.severity).alias("severity"), F.lit(r.title).alias("title"))) for r in own])
+        return facts.where(F.lit(False)).select(
+            *keys,
+            F.lit("").alias("rule_id"),
+            F.lit("").alias("severity"),
+            F.lit("").alias("title"),
+            F.col(entity).cast("string").alias("entity"),
+        )
+    hit = lambda r: wildcard_match(F.col(entity).cast("string"), F.lit(r.pattern)) & F.coalesce(
+        compile_condition(r.condition, CONTEXT[category]), F.lit(False)
+    )
+    first = F.coalesce(
+        *[
+            F.when(
+                hit(r), F.struct(F.lit(r.rule_id).alias("rule_id"), F.lit(r.severity).alias("severity"), F.lit(r.title).alias("title"))
+            )
+            for r in own
+        ]
+    )
     return facts.withColumn("__r", first).where("__r is not null").select(*keys, "__r.*", F.col(entity).cast("string").alias("entity"))
 
 
-def recommendations(parts: dict[str, tuple[DataFrame, str]], rules: Sequence[Rule], keys: Sequence[str], min_severity: str = "medium", dedup: bool = True) -> DataFrame:
+def recommendations(
+    parts: dict[str, tuple[DataFrame, str]], rules: Sequence[Rule], keys: Sequence[str], min_severity: str = "medium", dedup: bool = True
+) -> DataFrame:
     """Findings of all categories, at least ``min_severity``, by severity; with ``dedup`` one row a (keys, rule_id): the smallest entity.
     ``parts``: category -> (facts, entity column)."""
     found = [apply_rules(df, rules, c, entity, keys).withColumn("category", F.lit(c)) for c, (df, entity) in parts.items()]
@@ -74,7 +91,9 @@ def recommendations(parts: dict[str, tuple[DataFrame, str]], rules: Sequence[Rul
     least = {"critical": 1, "high": 2, "medium": 3}.get(min_severity, 4)
     out = out.where(severity_order("severity") <= least)
     if dedup:
-        out = out.groupBy(*keys, "rule_id").agg(F.min(F.struct("entity", "severity", "title", "category")).alias("r"), F.count("*").alias("hits")).select(*keys, "rule_id", "r.*", "hits")
+        out = out.groupBy(*keys, "rule_id").agg(
+            F.min(F.struct("entity", "severity", "title", "category")).alias("r"), F.count("*").alias("hits")
+        ).select(*keys, "rule_id", "r.*", "hits")
     return out.orderBy(severity_order("severity"), "rule_id", *keys)
 
 
@@ -83,14 +102,20 @@ def metadata_rules(meta: DataFrame, keys: Sequence[str] = ("owner", "object_name
     ``meta``: object_type, num_rows, analysed_days, clustering_factor, blevel, partition_type, compression. One pass: an array of the matches."""
     table, rows = F.col("object_type") == "TABLE", F.col("num_rows")
     ratio = F.col("clustering_factor") / F.nullif(rows, F.lit(0.0))
-    graded = lambda rule, high, medium: F.when(high, F.struct(F.lit(rule).alias("rule"), F.lit("high").alias("severity"))).when(medium, F.struct(F.lit(rule).alias("rule"), F.lit("medium").alias("severity")))
+    graded = lambda rule, high, medium: F.when(high, F.struct(F.lit(rule).alias("rule"), F.lit("high").alias("severity"))).when(
+        medium, F.struct(F.lit(rule).alias("rule"), F.lit("medium").alias("severity"))
+    )
     never = F.lit(False)
     rules = F.array(
         graded("missing statistics", F.col("analysed_days").isNull(), never),
         graded("stale statistics", F.col("analysed_days") > 90, F.col("analysed_days") > 30),
         graded("clustering", ~table & (ratio > 1.5), ~table & (ratio > 0.8)),
         graded("index depth", ~table & (F.col("blevel") >= 5), ~table & (F.col("blevel") >= 4)),
-        graded("not partitioned", table & F.col("partition_type").isNull() & (rows > 1e8), table & F.col("partition_type").isNull() & (rows > 1e7)),
+        graded(
+            "not partitioned",
+            table & F.col("partition_type").isNull() & (rows > 1e8),
+            table & F.col("partition_type").isNull() & (rows > 1e7),
+        ),
         graded("not compressed", never, table & F.col("compression").isNull() & (rows > 5e7)),
     )
     return meta.select(*keys, F.explode(F.filter(rules, lambda x: x.isNotNull())).alias("r")).select(*keys, "r.*")

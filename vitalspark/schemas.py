@@ -8,7 +8,10 @@ SNAPSHOT = "dbname string, instance string, instnum int, snap_time timestamp_ntz
 HOST = "hostname string, snap_time timestamp_ntz"
 _SQL = "sql_id string, sql_module string, executions double, pct_total double"
 _WAIT = "waits bigint, total_wait_time_s double, avg_wait_ms double"
-_IO = "name string, reads_mb double, reads_reqs_per_sec double, reads_data_per_sec_mb double, writes_mb double, writes_reqs_per_sec double, writes_data_per_sec_mb double"
+_IO = (
+    "name string, reads_mb double, reads_reqs_per_sec double, reads_data_per_sec_mb double, writes_mb double, writes_reqs_per_sec "
+    "double, writes_data_per_sec_mb double"
+)
 _SEGMENT = "owner string, tablespace_name string, object_name string, subobject_name string, obj_type string"
 
 
@@ -39,21 +42,49 @@ SNAPSHOT_TABLES = {
     "iostat_function": f"{_IO}, waits double, avg_time_ms double",
     "iostat_func_filetype": f"{_IO}, waits double, avg_time_ms double",
     "iostat_filetype": f"{_IO}, small_read_ms double, large_read_ms double",
-    "tablespace_io_stats": "tablespace string, " + _doubles("reads", "avg_read_sec", "avg_read_ms", "writes", "write_avg_sec", "buffer_waits", "avg_buffer_wait_ms"),
-    "file_io_stats": "tablespace string, filename string, " + _doubles("reads", "avg_read_sec", "avg_read_ms", "writes", "write_avg_sec", "buffer_waits", "avg_buffer_wait_ms"),
+    "tablespace_io_stats": "tablespace string, "
+    + _doubles("reads", "avg_read_sec", "avg_read_ms", "writes", "write_avg_sec", "buffer_waits", "avg_buffer_wait_ms"),
+    "file_io_stats": "tablespace string, filename string, "
+    + _doubles("reads", "avg_read_sec", "avg_read_ms", "writes", "write_avg_sec", "buffer_waits", "avg_buffer_wait_ms"),
     "advisory_sga": _doubles("sga_target_size_m", "sga_size_factor", "est_db_time_s", "est_physical_reads"),
-    "advisory_pga": _doubles("pga_target_est_mb", "size_factor", "w_a_mb_processed", "estd_extra_written_to_disk", "estd_pga_cache_hit_pct", "estd_pga_overalloc_count", "estd_time"),
+    "advisory_pga": _doubles(
+        "pga_target_est_mb",
+        "size_factor",
+        "w_a_mb_processed",
+        "estd_extra_written_to_disk",
+        "estd_pga_cache_hit_pct",
+        "estd_pga_overalloc_count",
+        "estd_time",
+    ),
     "buffer_wait_statistics": "class string, " + _doubles("waits", "total_wait_time_s", "avg_time_ms"),
-    "enqueue_statistics": "enqueue_type_request_reason string, " + _doubles("requests", "succ_gets", "failed_gets", "waits", "wt_time_s", "av_wt_time_ms"),
+    "enqueue_statistics": "enqueue_type_request_reason string, "
+    + _doubles("requests", "succ_gets", "failed_gets", "waits", "wt_time_s", "av_wt_time_ms"),
     "undo_statistics": _doubles("num_undo_blocks", "number_of_transactions", "max_qry_len_s", "max_tx_concy"),
     "instance_activity_stats": "name string, statistic string, " + _doubles("total", "per_second", "per_trans"),
-    "db_info": "db_name string, edition string, release string, rac string, host_name string, platform string, cpus int, cores int, sockets int, memory_gb double",
+    "db_info": "db_name string, edition string, release string, rac string, host_name string, platform string, cpus "
+    "int, cores int, sockets int, memory_gb double",
 }
 #: Segment metrics: one table each, ``seg_<metric>``.
 SEGMENT_METRICS = (
-    "logical_reads", "phy_reads", "phy_read_req", "unopt_reads", "opt_reads", "direct_phy_reads", "phy_writes", "phy_write_req", "direct_phy_writes", "table_scan",
-    "db_blk_chg", "row_lck_waits", "itl_waits", "buff_busy_waits", "gbl_cache_buff_busy", "cr_blk_rec", "cur_blk_rec", "gc_cr_blk_rec",
-)
+    "logical_reads",
+    "phy_reads",
+    "phy_read_req",
+    "unopt_reads",
+    "opt_reads",
+    "direct_phy_reads",
+    "phy_writes",
+    "phy_write_req",
+    "direct_phy_writes",
+    "table_scan",
+    "db_blk_chg",
+    "row_lck_waits",
+    "itl_waits",
+    "buff_busy_waits",
+    "gbl_cache_buff_busy",
+    "cr_blk_rec",
+    "cur_blk_rec",
+    "gc_cr_blk_rec",
+)
 SNAPSHOT_TABLES |= {f"seg_{m}": f"{_SEGMENT}, {m} double, pcttotal double" for m in SEGMENT_METRICS}
 #: Columns after the prefix of host tables.
 HOST_TABLES = {
@@ -61,8 +92,21 @@ HOST_TABLES = {
     "sar_memory": _doubles("mem_free_mb", "mem_used_mb", "mem_used_pct", "buffers_mb", "cached_mb", "commit_mb", "commit_pct"),
     "sar_swap": _doubles("swap_free_mb", "swap_used_mb", "swap_used_pct"),
     "sar_disk": "device string, " + _doubles("tps", "read_mb_per_sec", "write_mb_per_sec", "await_ms", "svctm_ms", "util_pct"),
-    "sar_network": "iface string, " + _doubles("rxpck_per_sec", "txpck_per_sec", "rxkb_per_sec", "txkb_per_sec", "rxcmp_per_sec", "txcmp_per_sec", "rxmcst_per_sec", "ifutil_pct"),
-    "sar_paging": _doubles("pgpgin_per_sec", "pgpgout_per_sec", "fault_per_sec", "majflt_per_sec", "pgfree_per_sec", "pgscank_per_sec", "pgscand_per_sec", "pgsteal_per_sec", "vmeff_pct"),
+    "sar_network": "iface string, "
+    + _doubles(
+        "rxpck_per_sec", "txpck_per_sec", "rxkb_per_sec", "txkb_per_sec", "rxcmp_per_sec", "txcmp_per_sec", "rxmcst_per_sec", "ifutil_pct"
+    ),
+    "sar_paging": _doubles(
+        "pgpgin_per_sec",
+        "pgpgout_per_sec",
+        "fault_per_sec",
+        "majflt_per_sec",
+        "pgfree_per_sec",
+        "pgscank_per_sec",
+        "pgscand_per_sec",
+        "pgsteal_per_sec",
+        "vmeff_pct",
+    ),
     "sar_loadavg": _doubles("runq_sz", "plist_sz", "ldavg_1", "ldavg_5", "ldavg_15", "blocked"),
     "sar_ctxswitch": _doubles("proc_per_sec", "cswch_per_sec"),
     "sar_hugepage": _doubles("kbhugfree", "kbhugused", "hugused_pct", "kbhugrsvd", "kbhugsurp"),

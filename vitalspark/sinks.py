@@ -45,7 +45,9 @@ class KeyedTable:
         self._replace(self.spark.read.schema(df.schema).parquet(stage))
 
     def _replace(self, staged: DataFrame) -> None:
-        self._spread(staged).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*self.partitions).parquet(self.path)
+        self._spread(staged).write.mode("overwrite").option(
+            "partitionOverwriteMode", "dynamic"
+        ).partitionBy(*self.partitions).parquet(self.path)
 
     def insert_if_absent(self, df: DataFrame, keys: Sequence[str]) -> None:
         """SNK1: rows whose key is new are appended, of equal ones in the input any one."""
@@ -69,7 +71,12 @@ class KeyedTable:
         old = old.select(*keys, *[F.col(c) if c in old.columns else F.lit(None).cast(df.schema[c].dataType).alias(c) for c in columns])
         both = old.withColumn("__new", F.lit(0)).unionByName(new.select(*keys, *columns).withColumn("__new", F.lit(1)))
         side = lambda c, n: F.max(F.when(F.col("__new") == n, F.struct(F.col(c).alias("v"))))["v"]
-        merged = [F.coalesce(side(c, 1), side(c, 0)).alias(c) if c in fresh else F.when(F.max("__new") == F.min("__new"), F.coalesce(side(c, 0), side(c, 1))).otherwise(side(c, 0)).alias(c) for c in columns]
+        merged = [
+            F.coalesce(side(c, 1), side(c, 0)).alias(c) if c in fresh else F.when(
+                F.max("__new") == F.min("__new"), F.coalesce(side(c, 0), side(c, 1))
+            ).otherwise(side(c, 0)).alias(c)
+            for c in columns
+        ]
         self._overwrite(both.groupBy(*keys).agg(*merged).select(*df.columns))
 
     def refresh(self, touched: DataFrame, recompute) -> None:

@@ -13,12 +13,19 @@ def column_name(name: str) -> str:
     return re.sub(r"_+", "_", re.sub(r"[^0-9a-z]+", "_", name.strip().lower().replace("%", "pct "))).strip("_")
 
 
-def sectioned_csv(spark: SparkSession, path: str, tables: dict[str, list[str]], aliases: dict[str, str] | None = None) -> dict[str, DataFrame]:
+def sectioned_csv(
+    spark: SparkSession, path: str, tables: dict[str, list[str]], aliases: dict[str, str] | None = None
+) -> dict[str, DataFrame]:
     """SRC12: a frame for each mapped section with its columns; names are normalised, then looked up in ``aliases``. Other sections are left out."""
     raw = spark.read.csv(path, header=True)
     named = raw.toDF(*[(aliases or {}).get(column_name(c), column_name(c)) for c in raw.columns])
     have = set(named.columns)
-    return {s: named.where(F.lower(F.trim("section")) == s.lower()).select(*[F.col(c) if c in have else F.lit(None).cast("string").alias(c) for c in columns]) for s, columns in tables.items()}
+    return {
+        s: named.where(F.lower(F.trim("section")) == s.lower()).select(
+            *[F.col(c) if c in have else F.lit(None).cast("string").alias(c) for c in columns]
+        )
+        for s, columns in tables.items()
+    }
 
 
 def metadata_csv(spark: SparkSession, path: str, schema: str, header: bool = True) -> DataFrame:

@@ -70,15 +70,34 @@ def field(*names: str, default: float | None = 0.0, scale: float = 1.0, digits:
 
 def cpu(rows: DataFrame) -> DataFrame:
     """SRC5"""
-    f = {"usr_pct": ("%user", "%usr"), "nice_pct": ("%nice",), "system_pct": ("%system", "%sys"), "iowait_pct": ("%iowait",), "steal_pct": ("%steal",), "idle_pct": ("%idle",)}
-    return rows.where("section = 'CPU'").select("hostname", "snap_time", F.col("fields")["CPU"].alias("cpu"), *[field(*v).alias(k) for k, v in f.items()])
+    f = {
+        "usr_pct": ("%user", "%usr"),
+        "nice_pct": ("%nice",),
+        "system_pct": ("%system", "%sys"),
+        "iowait_pct": ("%iowait",),
+        "steal_pct": ("%steal",),
+        "idle_pct": ("%idle",),
+    }
+    return rows.where("section = 'CPU'").select(
+        "hostname", "snap_time", F.col("fields")["CPU"].alias("cpu"), *[field(*v).alias(k) for k, v in f.items()]
+    )
 
 
 def memory(rows: DataFrame) -> DataFrame:
     """SRC6: kilobytes to megabytes; older and newer names."""
     r = rows.where("map_contains_key(fields, 'kbmemfree') or map_contains_key(fields, 'kbavail')")
     mb = lambda *n: field(*n, scale=1024.0, digits=3)
-    return r.select("hostname", "snap_time", mb("kbmemfree", "kbavail").alias("mem_free_mb"), mb("kbmemused").alias("mem_used_mb"), field("%memused").alias("mem_used_pct"), mb("kbbuffers").alias("buffers_mb"), mb("kbcached", "kbdirty").alias("cached_mb"), mb("kbcommit").alias("commit_mb"), field("%commit").alias("commit_pct"))
+    return r.select(
+        "hostname",
+        "snap_time",
+        mb("kbmemfree", "kbavail").alias("mem_free_mb"),
+        mb("kbmemused").alias("mem_used_mb"),
+        field("%memused").alias("mem_used_pct"),
+        mb("kbbuffers").alias("buffers_mb"),
+        mb("kbcached", "kbdirty").alias("cached_mb"),
+        mb("kbcommit").alias("commit_mb"),
+        field("%commit").alias("commit_pct"),
+    )
 
 
 def swap(rows: DataFrame) -> DataFrame:
@@ -86,25 +105,93 @@ def swap(rows: DataFrame) -> DataFrame:
     r = rows.where("map_contains_key(fields, 'kbswpfree')")
     free, used = field("kbswpfree"), field("kbswpused")
     pct = F.coalesce(field("%swpused", default=None), F.coalesce(used / F.nullif(free + used, F.lit(0.0)) * 100, F.lit(0.0)))
-    return r.select("hostname", "snap_time", F.round(free / 1024, 3).alias("swap_free_mb"), F.round(used / 1024, 3).alias("swap_used_mb"), pct.alias("swap_used_pct"))
+    return r.select(
+        "hostname",
+        "snap_time",
+        F.round(free / 1024, 3).alias("swap_free_mb"),
+        F.round(used / 1024, 3).alias("swap_used_mb"),
+        pct.alias("swap_used_pct"),
+    )
 
 
 def disk(rows: DataFrame) -> DataFrame:
     """SRC8: kilobytes or 512-byte sectors a second to megabytes; the service time may be missing."""
     r = rows.where("section = 'DEV'")
     rate = lambda kb, sec: F.round(F.coalesce(field(kb, default=None) / 1024, field(sec, default=None) / 2048, F.lit(0.0)), 4)
-    return r.select("hostname", "snap_time", F.col("fields")["DEV"].alias("device"), field("tps").alias("tps"), rate("rkB/s", "rd_sec/s").alias("read_mb_per_sec"), rate("wkB/s", "wr_sec/s").alias("write_mb_per_sec"), field("await").alias("await_ms"), field("svctm", default=None).alias("svctm_ms"), field("%util").alias("util_pct"))
+    return r.select(
+        "hostname",
+        "snap_time",
+        F.col("fields")["DEV"].alias("device"),
+        field("tps").alias("tps"),
+        rate("rkB/s", "rd_sec/s").alias("read_mb_per_sec"),
+        rate("wkB/s", "wr_sec/s").alias("write_mb_per_sec"),
+        field("await").alias("await_ms"),
+        field("svctm", default=None).alias("svctm_ms"),
+        field("%util").alias("util_pct"),
+    )
 
 
 #: SRC9: section's telling field -> (entity field or None, output columns).
 PLAIN = {
-    "network": ("rxpck/s", "IFACE", {"rxpck_per_sec": "rxpck/s", "txpck_per_sec": "txpck/s", "rxkb_per_sec": "rxkB/s", "txkb_per_sec": "txkB/s", "rxcmp_per_sec": "rxcmp/s", "txcmp_per_sec": "txcmp/s", "rxmcst_per_sec": "rxmcst/s", "ifutil_pct": "%ifutil"}),
-    "paging": ("pgpgin/s", None, {"pgpgin_per_sec": "pgpgin/s", "pgpgout_per_sec": "pgpgout/s", "fault_per_sec": "fault/s", "majflt_per_sec": "majflt/s", "pgfree_per_sec": "pgfree/s", "pgscank_per_sec": "pgscank/s", "pgscand_per_sec": "pgscand/s", "pgsteal_per_sec": "pgsteal/s", "vmeff_pct": "%vmeff"}),
+    "network": (
+        "rxpck/s",
+        "IFACE",
+        {
+            "rxpck_per_sec": "rxpck/s",
+            "txpck_per_sec": "txpck/s",
+            "rxkb_per_sec": "rxkB/s",
+            "txkb_per_sec": "txkB/s",
+            "rxcmp_per_sec": "rxcmp/s",
+            "txcmp_per_sec": "txcmp/s",
+            "rxmcst_per_sec": "rxmcst/s",
+            "ifutil_pct": "%ifutil",
+        },
+    ),
+    "paging": (
+        "pgpgin/s",
+        None,
+        {
+            "pgpgin_per_sec": "pgpgin/s",
+            "pgpgout_per_sec": "pgpgout/s",
+            "fault_per_sec": "fault/s",
+            "majflt_per_sec": "majflt/s",
+            "pgfree_per_sec": "pgfree/s",
+            "pgscank_per_sec": "pgscank/s",
+            "pgscand_per_sec": "pgscand/s",
+            "pgsteal_per_sec": "pgsteal/s",
+            "vmeff_pct": "%vmeff",
+        },
+    ),
     "ctxswitch": ("cswch/s", None, {"proc_per_sec": "proc/s", "cswch_per_sec": "cswch/s"}),
-    "loadavg": ("runq-sz", None, {"runq_sz": "runq-sz", "plist_sz": "plist-sz", "ldavg_1": "ldavg-1", "ldavg_5": "ldavg-5", "ldavg_15": "ldavg-15", "blocked": "blocked"}),
-    "hugepage": ("kbhugfree", None, {"kbhugfree": "kbhugfree", "kbhugused": "kbhugused", "hugused_pct": "%hugused", "kbhugrsvd": "kbhugrsvd", "kbhugsurp": "kbhugsurp"}),
-    "socket": ("totsck", None, {"totsck": "totsck", "tcpsck": "tcpsck", "udpsck": "udpsck", "rawsck": "rawsck", "ip_frag": "ip-frag", "tcp_tw": "tcp-tw"}),
-}
+    "loadavg": (
+        "runq-sz",
+        None,
+        {
+            "runq_sz": "runq-sz",
+            "plist_sz": "plist-sz",
+            "ldavg_1": "ldavg-1",
+            "ldavg_5": "ldavg-5",
+            "ldavg_15": "ldavg-15",
+            "blocked": "blocked",
+        },
+    ),
+    "hugepage": (
+        "kbhugfree",
+        None,
+        {
+            "kbhugfree": "kbhugfree",
+            "kbhugused": "kbhugused",
+            "hugused_pct": "%hugused",
+            "kbhugrsvd": "kbhugrsvd",
+            "kbhugsurp": "kbhugsurp",
+        },
+    ),
+    "socket": (
+        "totsck",
+        None,
+        {"totsck": "totsck", "tcpsck": "tcpsck", "udpsck": "udpsck", "rawsck": "rawsck", "ip_frag": "ip-frag", "tcp_tw": "tcp-tw"},
+    ),
+}
 
 
 def plain(rows: DataFrame, kind: str) -> DataFrame:

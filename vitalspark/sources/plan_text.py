@@ -20,12 +20,16 @@ def plan_lines(files: DataFrame) -> DataFrame:
     """Lines of (path, content) with plan number (a new one at each ``SQL_ID`` line), section, the table's column names and the step of a predicate carried on."""
     d = files.select("path", F.posexplode(F.split("content", "\r?\n")).alias("no", "line"))
     begins = lambda text: F.startswith(F.ltrim("line"), F.lit(text))
-    mark = F.when(begins("SQL_ID"), "text").when(begins("Plan hash value"), "table").when(begins("Predicate Information"), "predicates").when(F.trim("line") == "Note", "note")
+    mark = F.when(begins("SQL_ID"), "text").when(begins("Plan hash value"), "table").when(
+        begins("Predicate Information"), "predicates"
+    ).when(F.trim("line") == "Note", "note")
     raw = F.split(F.regexp_replace(F.trim("line"), r"^\||\|$", ""), r"\|")
     d = d.select("path", "no", "line", mark.alias("mark"), F.when(begins("|"), raw).alias("raw"))
     d = d.withColumn("cells", F.transform("raw", lambda x: F.trim(x)))
     none = F.lit(None).cast("array<string>")
-    names = F.when(F.col("mark") == "text", F.struct(none.alias("names"))).when(F.array_contains("cells", "Operation"), F.struct(F.col("cells").alias("names")))
+    names = F.when(F.col("mark") == "text", F.struct(none.alias("names"))).when(
+        F.array_contains("cells", "Operation"), F.struct(F.col("cells").alias("names"))
+    )
     file = W.partitionBy("path").orderBy("no")
     d = d.withColumns({
         "plan_no": F.sum((F.col("mark") == "text").cast("int")).over(file), "section": header_carry(F.col("mark"), ["path"], "no"),
@@ -44,7 +48,9 @@ def plans(files: DataFrame, compat: bool = False) -> DataFrame:
     first = lambda p: F.max(F.nullif(F.regexp_extract("line", p, 1), F.lit("")))
     body = F.when((section == "text") & ~F.col("starts") & ~line.rlike(r"^\s*-*\s*$"), F.struct("no", F.trim("line").alias("t")))
     note = F.when((section == "note") & line.rlike(r"^\s+- "), F.struct("no", F.regexp_extract("line", r"^\s+- (.*)$", 1).alias("t")))
-    in_predicates = (section == "predicates") & ~F.col("starts") & (F.trim("line") != "") & ~line.rlike("^-+$") & F.col("predicate_of").isNotNull()
+    in_predicates = (
+        section == "predicates"
+    ) & ~F.col("starts") & (F.trim("line") != "") & ~line.rlike("^-+$") & F.col("predicate_of").isNotNull()
     piece = F.trim(F.when(line.rlike(_PREDICATE), F.regexp_extract("line", _PREDICATE, 2)).otherwise(line))
     predicate = F.when(in_predicates, F.struct("no", F.col("predicate_of").alias("step_id"), piece.alias("t")))
     n = F.least(F.size("names"), F.size("cells"))
@@ -55,15 +61,23 @@ def plans(files: DataFrame, compat: bool = False) -> DataFrame:
         "op": F.when(is_step, F.element_at("raw", F.array_position("names", F.lit("Operation")).cast("int"))),
     })
     step = F.struct(
-        "no", F.regexp_extract(F.element_at("cells", 1), r"(\d+)", 1).cast("int").alias("step_id"),
-        F.greatest(F.lit(0), F.length(F.rtrim("op")) - F.length(F.trim("op")) - 1).alias("depth"), F.trim("op").alias("operation"),
-        F.nullif(F.col("m")["Name"], F.lit("")).alias("object_name"), plan_size(F.col("m")["Rows"], compat).alias("rows"),
-        plan_size(F.col("m")["Bytes"], compat).alias("bytes"), plan_cost(F.coalesce(F.col("m")["Cost (%CPU)"], F.col("m")["Cost"]), compat).alias("cost"),
-    )
+        "no",
+        F.regexp_extract(F.element_at("cells", 1), r"(\d+)", 1).cast("int").alias("step_id"),
+        F.greatest(F.lit(0), F.length(F.rtrim("op")) - F.length(F.trim("op")) - 1).alias("depth"),
+        F.trim("op").alias("operation"),
+        F.nullif(F.col("m")["Name"], F.lit("")).alias("object_name"),
+        plan_size(F.col("m")["Rows"], compat).alias("rows"),
+        plan_size(F.col("m")["Bytes"], compat).alias("bytes"),
+        plan_cost(F.coalesce(F.col("m")["Cost (%CPU)"], F.col("m")["Cost"]), compat).alias("cost"),
+    )
     return d.groupBy("path", "plan_no").agg(
-        first(r"^\s*SQL_ID:?\s+(\w+)").alias("sql_id"), first(r"Plan hash value:\s*(\d+)").alias("plan_hash_value"), text(body, " ").alias("sql_text"), text(note, "; ").alias("notes"),
-        F.sort_array(F.collect_list(F.when(F.col("m").isNotNull(), step))).alias("steps"), F.sort_array(F.collect_list(predicate)).alias("predicates"),
-    )
+        first(r"^\s*SQL_ID:?\s+(\w+)").alias("sql_id"),
+        first(r"Plan hash value:\s*(\d+)").alias("plan_hash_value"),
+        text(body, " ").alias("sql_text"),
+        text(note, "; ").alias("notes"),
+        F.sort_array(F.collect_list(F.when(F.col("m").isNotNull(), step))).alias("steps"),
+        F.sort_array(F.collect_list(predicate)).alias("predicates"),
+    )
 
 
 def plan_headers(plans: DataFrame) -> DataFrame:
@@ -78,4 +92,11 @@ def plan_steps(files: DataFrame, compat: bool = False) -> DataFrame:
     d = plans(files, compat).select("path", "plan_no", "sql_id", "plan_hash_value", "predicates", F.explode("steps").alias("s"))
     own = F.transform(F.filter("predicates", lambda p: p["step_id"] == F.col("s.step_id")), lambda p: p["t"])
     columns = ["step_id", "depth", "operation", "object_name", "rows", "bytes", "cost"]
-    return d.select("path", "plan_no", "sql_id", "plan_hash_value", *[f"s.{c}" for c in columns], F.when(F.size(own) > 0, F.array_join(own, " ")).alias("predicate"))
+    return d.select(
+        "path",
+        "plan_no",
+        "sql_id",
+        "plan_hash_value",
+        *[f"s.{c}" for c in columns],
+        F.when(F.size(own) > 0, F.array_join(own, " ")).alias("predicate"),
+    )

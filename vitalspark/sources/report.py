@@ -56,7 +56,10 @@ class _Tables(HTMLParser):
             self.near = " ".join(data.split())
 
 
-ROWS = "path string, heading string, summary string, table_no int, row_no int, cells map<string,string>, row array<string>, header map<string,string>"
+ROWS = (
+    "path string, heading string, summary string, table_no int, row_no int, cells map<string,string>, row array<string>, header "
+    "map<string,string>"
+)
 #: What the tables on the instance and on the snapshots say of a report, by header without blanks and case.
 HEADER = ("dbname", "instance", "instnum", "snapid", "snaptime")
 
@@ -77,7 +80,8 @@ def _header(tables: list[dict]) -> dict[str, str]:
 
 
 def report_rows(files: DataFrame) -> DataFrame:
-    """Long rows of every table in (path, content). The header row is number -1; ``row`` has the plain cells. Header names are stripped of repeated blanks; cells beyond the header are dropped, repeated names keep the last."""
+    """Long rows of every table in (path, content). The header row is number -1; ``row`` has the plain cells. Header names are stripped
+    of repeated blanks; cells beyond the header are dropped, repeated names keep the last."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kind = pa.map_(pa.string(), pa.string())
@@ -102,7 +106,9 @@ def report_rows(files: DataFrame) -> DataFrame:
 
 def read_reports(spark: SparkSession, path: str, glob: str = "*.html") -> DataFrame:
     """(path, content) of report files."""
-    return spark.read.format("binaryFile").option("pathGlobFilter", glob).load(path).select("path", F.col("content").cast("string").alias("content"))
+    return spark.read.format("binaryFile").option("pathGlobFilter", glob).load(path).select(
+        "path", F.col("content").cast("string").alias("content")
+    )
 
 
 @dataclass(frozen=True)
@@ -115,13 +121,31 @@ class Section:
 
 
 _text = lambda c: S.sanitize(F.trim(c))
-_SQL = {"sql_id": ("SQL Id", _text), "sql_module": ("SQL Module", _text), "executions": ("Executions", S.clean_number), "pct_total": ("%Total", S.clean_number)}
-_WAITS = {"event": ("Event", _text), "waits": ("Waits", S.to_count), "total_wait_time_s": ("Total Wait Time (s)", S.clean_number), "avg_wait_ms": ("Avg wait", S.to_ms)}
+_SQL = {
+    "sql_id": ("SQL Id", _text),
+    "sql_module": ("SQL Module", _text),
+    "executions": ("Executions", S.clean_number),
+    "pct_total": ("%Total", S.clean_number),
+}
+_WAITS = {
+    "event": ("Event", _text),
+    "waits": ("Waits", S.to_count),
+    "total_wait_time_s": ("Total Wait Time (s)", S.clean_number),
+    "avg_wait_ms": ("Avg wait", S.to_ms),
+}
 
 
 def _segment(table: str, heading: str, metric: str, header: str) -> Section:
-    own = {"owner": "Owner", "tablespace_name": "Tablespace Name", "object_name": "Object Name", "subobject_name": "Subobject Name", "obj_type": "Obj. Type"}
-    return Section(heading, table, {k: (h, _text) for k, h in own.items()} | {metric: (header, S.to_count), "pcttotal": ("%Total", S.clean_number)})
+    own = {
+        "owner": "Owner",
+        "tablespace_name": "Tablespace Name",
+        "object_name": "Object Name",
+        "subobject_name": "Subobject Name",
+        "obj_type": "Obj. Type",
+    }
+    return Section(
+        heading, table, {k: (h, _text) for k, h in own.items()} | {metric: (header, S.to_count), "pcttotal": ("%Total", S.clean_number)}
+    )
 
 
 def _sql(table: str, heading: str, **columns: str) -> Section:
@@ -132,44 +156,233 @@ def _sql(table: str, heading: str, **columns: str) -> Section:
 SECTIONS = [
     Section("Foreground Wait Events", "foreground_wait_events", _WAITS | {"pct_db_time": ("% DB time", S.clean_number)}),
     Section("Background Wait Events", "background_wait_events", _WAITS | {"pct_bg_time": ("% bg time", S.clean_number)}),
-    Section("Foreground Wait Class", "foreground_wait_class", {"wait_class": ("Wait Class", _text), "waits": ("Waits", S.to_count), "total_wait_time_s": ("Total Wait Time (s)", S.clean_number), "avg_wait_ms": ("Avg wait", S.to_ms), "pct_db_time": ("%DB time", S.clean_number)}),
-    Section("Buffer Wait Statistics", "buffer_wait_statistics", {"class": ("Class", _text), "waits": ("Waits", S.to_count), "total_wait_time_s": ("Total Wait Time (s)", S.clean_number), "avg_time_ms": ("Avg Time (ms)", S.clean_number)}),
-    Section("Enqueue Activity", "enqueue_statistics", {"enqueue_type_request_reason": ("Enqueue Type (Request Reason)", _text), "requests": ("Requests", S.clean_number), "succ_gets": ("Succ Gets", S.clean_number), "failed_gets": ("Failed Gets", S.clean_number), "waits": ("Waits", S.clean_number), "wt_time_s": ("Wt Time (s)", S.clean_number), "av_wt_time_ms": ("Av Wt Time(ms)", S.clean_number)}),
-    Section("Time Model Statistics", "time_model_stats", {"statistic_name": ("Statistic Name", _text), "time_s": ("Time (s)", S.clean_number), "pct_of_db_time": ("% of DB Time", S.clean_number)}),
+    Section(
+        "Foreground Wait Class",
+        "foreground_wait_class",
+        {
+            "wait_class": ("Wait Class", _text),
+            "waits": ("Waits", S.to_count),
+            "total_wait_time_s": ("Total Wait Time (s)", S.clean_number),
+            "avg_wait_ms": ("Avg wait", S.to_ms),
+            "pct_db_time": ("%DB time", S.clean_number),
+        },
+    ),
+    Section(
+        "Buffer Wait Statistics",
+        "buffer_wait_statistics",
+        {
+            "class": ("Class", _text),
+            "waits": ("Waits", S.to_count),
+            "total_wait_time_s": ("Total Wait Time (s)", S.clean_number),
+            "avg_time_ms": ("Avg Time (ms)", S.clean_number),
+        },
+    ),
+    Section(
+        "Enqueue Activity",
+        "enqueue_statistics",
+        {
+            "enqueue_type_request_reason": ("Enqueue Type (Request Reason)", _text),
+            "requests": ("Requests", S.clean_number),
+            "succ_gets": ("Succ Gets", S.clean_number),
+            "failed_gets": ("Failed Gets", S.clean_number),
+            "waits": ("Waits", S.clean_number),
+            "wt_time_s": ("Wt Time (s)", S.clean_number),
+            "av_wt_time_ms": ("Av Wt Time(ms)", S.clean_number),
+        },
+    ),
+    Section(
+        "Time Model Statistics",
+        "time_model_stats",
+        {
+            "statistic_name": ("Statistic Name", _text),
+            "time_s": ("Time (s)", S.clean_number),
+            "pct_of_db_time": ("% of DB Time", S.clean_number),
+        },
+    ),
     Section("Operating System Statistics", "os_statistics", {"statistic": ("Statistic", _text), "value": ("Value", S.clean_number)}),
-    Section("Key Instance Activity Stats", "instance_activity_stats", {"statistic": ("Statistic", _text), "total": ("Total", S.clean_number), "per_second": ("per Second", S.clean_number), "per_trans": ("per Trans", S.clean_number)}),
-    Section("SGA Target Advisory", "advisory_sga", {"sga_target_size_m": ("SGA Target Size (M)", S.clean_number), "sga_size_factor": ("SGA Size Factor", S.clean_number), "est_db_time_s": ("Est DB Time (s)", S.clean_number), "est_physical_reads": ("Est Physical Reads", S.clean_number)}),
-    Section("PGA Memory Advisory", "advisory_pga", {"pga_target_est_mb": ("PGA Target Est (MB)", S.clean_number), "size_factor": ("Size Factr", S.clean_number), "w_a_mb_processed": ("W/A MB Processed", S.clean_number), "estd_extra_written_to_disk": ("Estd Extra W/A MB Read/ Written to Disk", S.clean_number), "estd_pga_cache_hit_pct": ("Estd PGA Cache Hit %", S.clean_number), "estd_pga_overalloc_count": ("Estd PGA Overalloc Count", S.clean_number)}),
-    Section("IOStat by Function summary", "iostat_function", {"name": ("Function Name", _text), "reads_mb": ("Reads: Data", S.to_mb), "reads_reqs_per_sec": ("Reqs per sec", S.clean_number), "writes_mb": ("Writes: Data", S.to_mb), "waits": ("Waits: Count", S.to_count), "avg_time_ms": ("Avg Time", S.to_ms)}),
-    Section("Tablespace IO Stats", "tablespace_io_stats", {"tablespace": ("Tablespace", _text), "reads": ("Reads", S.clean_number), "avg_read_ms": ("Av Rd(ms)", S.clean_number), "writes": ("Writes", S.clean_number), "buffer_waits": ("Buffer Waits", S.clean_number)}),
-    Section("IO Profile", "io_profile", {"metric": ("", _text), "read_per_sec": ("Read per Second", S.clean_number), "write_per_sec": ("Write per Second", S.clean_number)}),
-    Section("IOStat by Filetype summary", "iostat_filetype", {"name": ("Filetype Name", _text), "reads_mb": ("Reads: Data", S.to_mb), "reads_reqs_per_sec": ("Reqs per sec", S.clean_number), "writes_mb": ("Writes: Data", S.to_mb), "small_read_ms": ("Small Read", S.to_ms), "large_read_ms": ("Large Read", S.to_ms)}),
-    Section("IOStat by Function/Filetype summary", "iostat_func_filetype", {"name": ("Function/File Name", _text), "reads_mb": ("Reads: Data", S.to_mb), "reads_reqs_per_sec": ("Reqs per sec", S.clean_number), "writes_mb": ("Writes: Data", S.to_mb), "waits": ("Waits: Count", S.to_count), "avg_time_ms": ("Avg Time", S.to_ms)}),
-    Section("File IO Stats", "file_io_stats", {"tablespace": ("Tablespace", _text), "filename": ("Filename", _text), "reads": ("Reads", S.clean_number), "avg_read_ms": ("Av Rd(ms)", S.clean_number), "writes": ("Writes", S.clean_number), "buffer_waits": ("Buffer Waits", S.clean_number), "avg_buffer_wait_ms": ("Av Buf Wt(ms)", S.clean_number)}),
-    Section("Undo Segment Stats", "undo_statistics", {"num_undo_blocks": ("Num Undo Blocks", S.to_count), "number_of_transactions": ("Number of Transactions", S.to_count), "max_qry_len_s": ("Max Qry Len (s)", S.clean_number), "max_tx_concy": ("Max Tx Concy", S.clean_number)}),
+    Section(
+        "Key Instance Activity Stats",
+        "instance_activity_stats",
+        {
+            "statistic": ("Statistic", _text),
+            "total": ("Total", S.clean_number),
+            "per_second": ("per Second", S.clean_number),
+            "per_trans": ("per Trans", S.clean_number),
+        },
+    ),
+    Section(
+        "SGA Target Advisory",
+        "advisory_sga",
+        {
+            "sga_target_size_m": ("SGA Target Size (M)", S.clean_number),
+            "sga_size_factor": ("SGA Size Factor", S.clean_number),
+            "est_db_time_s": ("Est DB Time (s)", S.clean_number),
+            "est_physical_reads": ("Est Physical Reads", S.clean_number),
+        },
+    ),
+    Section(
+        "PGA Memory Advisory",
+        "advisory_pga",
+        {
+            "pga_target_est_mb": ("PGA Target Est (MB)", S.clean_number),
+            "size_factor": ("Size Factr", S.clean_number),
+            "w_a_mb_processed": ("W/A MB Processed", S.clean_number),
+            "estd_extra_written_to_disk": ("Estd Extra W/A MB Read/ Written to Disk", S.clean_number),
+            "estd_pga_cache_hit_pct": ("Estd PGA Cache Hit %", S.clean_number),
+            "estd_pga_overalloc_count": ("Estd PGA Overalloc Count", S.clean_number),
+        },
+    ),
+    Section(
+        "IOStat by Function summary",
+        "iostat_function",
+        {
+            "name": ("Function Name", _text),
+            "reads_mb": ("Reads: Data", S.to_mb),
+            "reads_reqs_per_sec": ("Reqs per sec", S.clean_number),
+            "writes_mb": ("Writes: Data", S.to_mb),
+            "waits": ("Waits: Count", S.to_count),
+            "avg_time_ms": ("Avg Time", S.to_ms),
+        },
+    ),
+    Section(
+        "Tablespace IO Stats",
+        "tablespace_io_stats",
+        {
+            "tablespace": ("Tablespace", _text),
+            "reads": ("Reads", S.clean_number),
+            "avg_read_ms": ("Av Rd(ms)", S.clean_number),
+            "writes": ("Writes", S.clean_number),
+            "buffer_waits": ("Buffer Waits", S.clean_number),
+        },
+    ),
+    Section(
+        "IO Profile",
+        "io_profile",
+        {
+            "metric": ("", _text),
+            "read_per_sec": ("Read per Second", S.clean_number),
+            "write_per_sec": ("Write per Second", S.clean_number),
+        },
+    ),
+    Section(
+        "IOStat by Filetype summary",
+        "iostat_filetype",
+        {
+            "name": ("Filetype Name", _text),
+            "reads_mb": ("Reads: Data", S.to_mb),
+            "reads_reqs_per_sec": ("Reqs per sec", S.clean_number),
+            "writes_mb": ("Writes: Data", S.to_mb),
+            "small_read_ms": ("Small Read", S.to_ms),
+            "large_read_ms": ("Large Read", S.to_ms),
+        },
+    ),
+    Section(
+        "IOStat by Function/Filetype summary",
+        "iostat_func_filetype",
+        {
+            "name": ("Function/File Name", _text),
+            "reads_mb": ("Reads: Data", S.to_mb),
+            "reads_reqs_per_sec": ("Reqs per sec", S.clean_number),
+            "writes_mb": ("Writes: Data", S.to_mb),
+            "waits": ("Waits: Count", S.to_count),
+            "avg_time_ms": ("Avg Time", S.to_ms),
+        },
+    ),
+    Section(
+        "File IO Stats",
+        "file_io_stats",
+        {
+            "tablespace": ("Tablespace", _text),
+            "filename": ("Filename", _text),
+            "reads": ("Reads", S.clean_number),
+            "avg_read_ms": ("Av Rd(ms)", S.clean_number),
+            "writes": ("Writes", S.clean_number),
+            "buffer_waits": ("Buffer Waits", S.clean_number),
+            "avg_buffer_wait_ms": ("Av Buf Wt(ms)", S.clean_number),
+        },
+    ),
+    Section(
+        "Undo Segment Stats",
+        "undo_statistics",
+        {
+            "num_undo_blocks": ("Num Undo Blocks", S.to_count),
+            "number_of_transactions": ("Number of Transactions", S.to_count),
+            "max_qry_len_s": ("Max Qry Len (s)", S.clean_number),
+            "max_tx_concy": ("Max Tx Concy", S.clean_number),
+        },
+    ),
     Section("Complete List of SQL Text", "sql_text", {"sql_id": ("SQL Id", _text), "sql_text": ("SQL Text", _text)}),
-    _sql("sql_elapsed_time", "SQL ordered by Elapsed Time", elapsed_time_s="Elapsed Time (s)", elapsed_time_per_exec_s="Elapsed Time per Exec (s)", pct_cpu="%CPU", pct_io="%IO"),
-    _sql("sql_cpu_time", "SQL ordered by CPU Time", cpu_time_s="CPU Time (s)", cpu_per_exec_s="CPU per Exec (s)", elapsed_time_s="Elapsed Time (s)"),
+    _sql(
+        "sql_elapsed_time",
+        "SQL ordered by Elapsed Time",
+        elapsed_time_s="Elapsed Time (s)",
+        elapsed_time_per_exec_s="Elapsed Time per Exec (s)",
+        pct_cpu="%CPU",
+        pct_io="%IO",
+    ),
+    _sql(
+        "sql_cpu_time",
+        "SQL ordered by CPU Time",
+        cpu_time_s="CPU Time (s)",
+        cpu_per_exec_s="CPU per Exec (s)",
+        elapsed_time_s="Elapsed Time (s)",
+    ),
     _sql("sql_user_io_time", "SQL ordered by User I/O Wait Time", user_io_time_s="User I/O Time (s)", uio_per_exec_s="UIO per Exec (s)"),
     _sql("sql_gets", "SQL ordered by Gets", buffer_gets="Buffer Gets", gets_per_exec="Gets per Exec"),
     _sql("sql_reads", "SQL ordered by Reads", physical_reads="Physical Reads", reads_per_exec="Reads per Exec"),
-    _sql("sql_phy_reads_unopt", "SQL ordered by Physical Reads (UnOptimized)", unoptimized_read_reqs="UnOptimized Read Reqs", physical_read_reqs="Physical Read Reqs", unoptimized_reqs_per_exec="UnOptimized Reqs per Exec", pctopt="%Opt"),
+    _sql(
+        "sql_phy_reads_unopt",
+        "SQL ordered by Physical Reads (UnOptimized)",
+        unoptimized_read_reqs="UnOptimized Read Reqs",
+        physical_read_reqs="Physical Read Reqs",
+        unoptimized_reqs_per_exec="UnOptimized Reqs per Exec",
+        pctopt="%Opt",
+    ),
     _sql("sql_executions", "SQL ordered by Executions", rows_processed="Rows Processed", rows_per_exec="Rows per Exec"),
     _sql("sql_parsed_calls", "SQL ordered by Parse Calls", parse_calls="Parse Calls", pct_total_parses="% Total Parses"),
     _sql("sql_cluster_wait_time", "SQL ordered by Cluster Wait Time", cluster_wait_time_s="Cluster Wait Time (s)", pct_clu="%Clu"),
     *[
         _segment(f"seg_{metric}", f"Segments by {words}", metric, words if header is None else header)
         for metric, words, header in (
-            ("logical_reads", "Logical Reads", None), ("phy_reads", "Physical Reads", None), ("phy_read_req", "Physical Read Requests", "Phys Read Requests"), ("unopt_reads", "UnOptimized Reads", None), ("opt_reads", "Optimized Reads", None), ("direct_phy_reads", "Direct Physical Reads", "Direct Reads"),
-            ("phy_writes", "Physical Writes", None), ("phy_write_req", "Physical Write Requests", "Phys Write Requests"), ("direct_phy_writes", "Direct Physical Writes", "Direct Writes"), ("table_scan", "Table Scans", None), ("db_blk_chg", "DB Blocks Changes", "DB Block Changes"), ("row_lck_waits", "Row Lock Waits", None),
-            ("itl_waits", "ITL Waits", None), ("buff_busy_waits", "Buffer Busy Waits", None), ("gbl_cache_buff_busy", "Global Cache Buffer Busy", "GC Buffer Busy"), ("cr_blk_rec", "CR Blocks Received", None), ("cur_blk_rec", "Current Blocks Received", None), ("gc_cr_blk_rec", "Global Cache CR Blocks Received", None),
+            ("logical_reads", "Logical Reads", None),
+            ("phy_reads", "Physical Reads", None),
+            ("phy_read_req", "Physical Read Requests", "Phys Read Requests"),
+            ("unopt_reads", "UnOptimized Reads", None),
+            ("opt_reads", "Optimized Reads", None),
+            ("direct_phy_reads", "Direct Physical Reads", "Direct Reads"),
+            ("phy_writes", "Physical Writes", None),
+            ("phy_write_req", "Physical Write Requests", "Phys Write Requests"),
+            ("direct_phy_writes", "Direct Physical Writes", "Direct Writes"),
+            ("table_scan", "Table Scans", None),
+            ("db_blk_chg", "DB Blocks Changes", "DB Block Changes"),
+            ("row_lck_waits", "Row Lock Waits", None),
+            ("itl_waits", "ITL Waits", None),
+            ("buff_busy_waits", "Buffer Busy Waits", None),
+            ("gbl_cache_buff_busy", "Global Cache Buffer Busy", "GC Buffer Busy"),
+            ("cr_blk_rec", "CR Blocks Received", None),
+            ("cur_blk_rec", "Current Blocks Received", None),
+            ("gc_cr_blk_rec", "Global Cache CR Blocks Received", None),
         )
     ],
-]
+]
 #: Tables known by what their summary says, not by a heading.
 SUMMARIES = [
-    Section("This table displays database instance information", "db_info", {"db_name": ("DB Name", _text), "edition": ("Edition", _text), "release": ("Release", _text), "instance_name": ("Instance", _text), "rac": ("RAC", _text)}),
-    Section("This table displays load profile", "load_profile", {"metric": ("", _text), "per_sec": ("Per Second", S.clean_number), "per_transaction": ("Per Transaction", S.clean_number)}),
+    Section(
+        "This table displays database instance information",
+        "db_info",
+        {
+            "db_name": ("DB Name", _text),
+            "edition": ("Edition", _text),
+            "release": ("Release", _text),
+            "instance_name": ("Instance", _text),
+            "rac": ("RAC", _text),
+        },
+    ),
+    Section(
+        "This table displays load profile",
+        "load_profile",
+        {"metric": ("", _text), "per_sec": ("Per Second", S.clean_number), "per_transaction": ("Per Transaction", S.clean_number)},
+    ),
 ]
 
 
@@ -197,23 +410,33 @@ def section(rows: DataFrame, s: Section) -> DataFrame:
 def efficiency(rows: DataFrame) -> DataFrame:
     """SRC1, instance efficiency: a table without header whose cells are pairs of metric and value."""
     r = rows.where(F.contains(F.lower("heading"), F.lit("instance efficiency percentages")))
-    pairs = F.transform(F.sequence(F.lit(0), F.greatest(F.lit(0), F.floor(F.size("row") / 2).cast("int") - 1)), lambda i: F.struct(F.get("row", 2 * i).alias("m"), F.get("row", 2 * i + 1).alias("v")))
+    pairs = F.transform(
+        F.sequence(F.lit(0), F.greatest(F.lit(0), F.floor(F.size("row") / 2).cast("int") - 1)),
+        lambda i: F.struct(F.get("row", 2 * i).alias("m"), F.get("row", 2 * i + 1).alias("v")),
+    )
     d = r.select("path", F.explode(pairs).alias("p"))
-    return d.select("path", F.nullif(F.regexp_replace(F.trim("p.m"), r"\s*:$", ""), F.lit("")).alias("metric"), S.clean_number("p.v").alias("value")).where("metric is not null and value is not null")
+    return d.select(
+        "path", F.nullif(F.regexp_replace(F.trim("p.m"), r"\s*:$", ""), F.lit("")).alias("metric"), S.clean_number("p.v").alias("value")
+    ).where("metric is not null and value is not null")
 
 
 def _header_columns() -> dict[str, Column]:
     at = lambda name: F.nullif(F.col("header")[name], F.lit(""))
     return {
-        "dbname": at("dbname"), "instance": at("instance"), "instnum": at("instnum").try_cast("int"), "begin_snap": at("snapid").try_cast("int"),
+        "dbname": at("dbname"),
+        "instance": at("instance"),
+        "instnum": at("instnum").try_cast("int"),
+        "begin_snap": at("snapid").try_cast("int"),
         "snap_time": F.to_timestamp_ntz(at("snaptime"), F.lit("dd-MMM-yy HH:mm:ss")),
-    }
+    }
 
 
 def metadata(rows: DataFrame) -> DataFrame:
     """SRC2: (path, dbname, instance, instnum, begin_snap, snap_time) from the one-table or two-table header and the snapshot table."""
     one = rows.groupBy("path").agg(F.first("header").alias("header"))
-    return one.where("map_contains_key(header, 'dbname') or map_contains_key(header, 'snapid')").select("path", *[c.alias(n) for n, c in _header_columns().items()])
+    return one.where(
+        "map_contains_key(header, 'dbname') or map_contains_key(header, 'snapid')"
+    ).select("path", *[c.alias(n) for n, c in _header_columns().items()])
 
 
 def facts_of(rows: DataFrame, table: str) -> DataFrame:
@@ -237,7 +460,10 @@ def header_probe(files: DataFrame) -> DataFrame:
     plain = lambda x: F.upper(F.regexp_replace(F.regexp_replace(x, r"(?s)<[^>]*>|&nbsp;|&#160;", " "), r"\s+", ""))
     d = files.select("path", head.alias("head"))
     d = d.withColumn("tables", F.regexp_extract_all("head", F.lit(r"(?is)<table\b.*?</table>"), F.lit(0)))
-    both = lambda t: F.struct(F.transform(F.regexp_extract_all(t, F.lit(cut("th")), F.lit(1)), plain).alias("names"), F.regexp_extract_all(t, F.lit(cut("td")), F.lit(1)).alias("cells"))
+    both = lambda t: F.struct(
+        F.transform(F.regexp_extract_all(t, F.lit(cut("th")), F.lit(1)), plain).alias("names"),
+        F.regexp_extract_all(t, F.lit(cut("td")), F.lit(1)).alias("cells"),
+    )
     d = d.withColumn("tables", F.transform("tables", both))
 
     def value(name: str) -> Column:
@@ -250,7 +476,13 @@ def header_probe(files: DataFrame) -> DataFrame:
     file, folder = given("path", r"([^/]+?)(?:_\d+)?\.html?$"), given("path", r"([^/]+)/[^/]*$")
     pdb = value("CONNAME")
     return d.select(
-        "path", F.coalesce(F.upper(given("head", name)), file, folder).alias("dbname"), folder.alias("folder"), F.upper(given("head", name, 2)).alias("instance"), value("INSTNUM").try_cast("int").alias("instnum"),
-        given("head", r">(\d{1,2}\.\d[\d.]*)<").alias("release"), (F.coalesce(value("RAC"), F.lit("")) == "YES").alias("rac"), (F.coalesce(value("CDB"), F.lit("")) == "YES").alias("cdb"),
+        "path",
+        F.coalesce(F.upper(given("head", name)), file, folder).alias("dbname"),
+        folder.alias("folder"),
+        F.upper(given("head", name, 2)).alias("instance"),
+        value("INSTNUM").try_cast("int").alias("instnum"),
+        given("head", r">(\d{1,2}\.\d[\d.]*)<").alias("release"),
+        (F.coalesce(value("RAC"), F.lit("")) == "YES").alias("rac"),
+        (F.coalesce(value("CDB"), F.lit("")) == "YES").alias("cdb"),
         F.when(pdb != "CDB$ROOT", pdb).alias("pdb"),
-    )
+    )

@@ -16,7 +16,12 @@ def file_stream(spark: SparkSession, path: str, glob: str = "*.html", max_files:
     """(path, content, hash, arrived) of new files; the hash is over the whole content."""
     r = spark.readStream.format("binaryFile").option("pathGlobFilter", glob)
     r = r.option("maxFilesPerTrigger", max_files) if max_files else r
-    return r.schema("path string, modificationTime timestamp, length long, content binary").load(path).select("path", F.col("content").cast("string").alias("content"), F.sha2("content", 256).alias("hash"), F.col("modificationTime").alias("arrived"))
+    return r.schema("path string, modificationTime timestamp, length long, content binary").load(path).select(
+        "path",
+        F.col("content").cast("string").alias("content"),
+        F.sha2("content", 256).alias("hash"),
+        F.col("modificationTime").alias("arrived"),
+    )
 
 
 def content_dedup(stream: DataFrame, within: str | None = "30 days") -> DataFrame:
@@ -26,7 +31,15 @@ def content_dedup(stream: DataFrame, within: str | None = "30 days") -> DataFram
     return stream.withWatermark("arrived", within).dropDuplicatesWithinWatermark(["hash"])
 
 
-def upsert_stream(stream: DataFrame, load: Callable[[DataFrame], DataFrame], table: KeyedTable, keys: Sequence[str], checkpoint: str, after: Callable[[DataFrame], None] | None = None, once: bool = False) -> StreamingQuery:
+def upsert_stream(
+    stream: DataFrame,
+    load: Callable[[DataFrame], DataFrame],
+    table: KeyedTable,
+    keys: Sequence[str],
+    checkpoint: str,
+    after: Callable[[DataFrame], None] | None = None,
+    once: bool = False,
+) -> StreamingQuery:
     """S3: each micro-batch is parsed by ``load``, inserted where absent, and handed to ``after`` (rollups, detection). A repeated batch changes
     nothing, since inserts are by key."""
 
@@ -44,10 +57,16 @@ def upsert_stream(stream: DataFrame, load: Callable[[DataFrame], DataFrame], tab
     return (w.trigger(availableNow=True) if once else w.trigger(processingTime="15 seconds")).start()
 
 
-def host_anomaly_stream(stream: DataFrame, baselines: DataFrame, threshold: float = 1.5, window: str = "1 hour", late: str = "10 minutes") -> DataFrame:
+def host_anomaly_stream(
+    stream: DataFrame, baselines: DataFrame, threshold: float = 1.5, window: str = "1 hour", late: str = "10 minutes"
+) -> DataFrame:
     """Windowed means of a sample stream scored against a static baseline table (hostname, object, baseline_mean, baseline_stddev).
 
     ``stream``: hostname, snap_time, object, value. A window comes out once, when the watermark has passed it."""
-    w = stream.withColumn("snap_time", F.col("snap_time").cast("timestamp")).withWatermark("snap_time", late).groupBy("hostname", "object", F.window("snap_time", window).alias("w")).agg(F.avg("value").alias("metric_value"))
+    w = stream.withColumn("snap_time", F.col("snap_time").cast("timestamp")).withWatermark("snap_time", late).groupBy(
+        "hostname", "object", F.window("snap_time", window).alias("w")
+    ).agg(F.avg("value").alias("metric_value"))
     j = w.join(baselines, ["hostname", "object"]).withColumn("z_score", z_score("metric_value", "baseline_mean", "baseline_stddev"))
-    return j.withColumn("severity", z_severity("z_score", threshold)).where("severity is not null").select("hostname", "object", F.col("w.start").alias("window_start"), "metric_value", "z_score", "severity")
+    return j.withColumn("severity", z_severity("z_score", threshold)).where("severity is not null").select(
+        "hostname", "object", F.col("w.start").alias("window_start"), "metric_value", "z_score", "severity"
+    )
