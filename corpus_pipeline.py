@@ -41,10 +41,18 @@ def pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     with open(vocabulary("piece_bpe_32k.model"), "rb") as f:
         codec = sentencepiece_codec.Codec(sentencepiece_codec.load(f.read()))
     out = sentencepiece_codec.encode_decode(docs, codec)
-    return out.select("doc_id", F.size("piece_ids").cast("long").alias("n_pieces"), "piece_ids", F.sha2("decoded", 256).alias("decoded_sha256"), "round_trip")
-
-
-STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [("language", language), ("near_dups", near_dups), ("benchmarks", benchmarks), ("secrets", secrets), ("pieces", pieces)]
+    return out.select(
+        "doc_id",
+        F.size("piece_ids").cast("long").alias("n_pieces"),
+        "piece_ids",
+        F.sha2("decoded", 256).alias("decoded_sha256"),
+        "round_trip",
+    )
+
+
+STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
+    ("language", language), ("near_dups", near_dups), ("benchmarks", benchmarks), ("secrets", secrets), ("pieces", pieces)
+]
 
 #: No SQL: language models, MinHash components and piece segmentations are beyond it. tests/llm compares with plain Python.
 ORACLE_SQL = None

@@ -19,4 +19,20 @@ def docs_of(spark):
 @pytest.fixture(scope="session")
 def odd_texts():
     long = " ".join(f"w{i}" for i in range(30_000))
-    return [None, "", " ", "one", "one", "\n\n", "é ß 日本語 😀", "a  b\tc ", long, long + " end", "x" * 5000, "▁mark ▁", "!!! ???", "\x00\x01", "The the THE"]
+    return [
+        None,
+        "",
+        " ",
+        "one",
+        "one",
+        "\n\n",
+        "é ß 日本語 😀",
+        "a  b\tc ",
+        long,
+        long + " end",
+        "x" * 5000,
+        "▁mark ▁",
+        "!!! ???",
+        "\x00\x01",
+        "The the THE",
+    ]

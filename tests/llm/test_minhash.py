@@ -22,7 +22,10 @@ def test_rows_that_repeat_an_id_are_one_document(docs_of):
 
 
 def test_copies_of_one_text_on_a_third_of_all_rows(docs_of):
-    texts = ["the same page of twelve words is here again and again today" if i % 3 == 0 else f"a{i} b{i} c{i} d{i} e{i} f{i}" for i in range(3000)]
+    texts = [
+        "the same page of twelve words is here again and again today" if i % 3 == 0 else f"a{i} b{i} c{i} d{i} e{i} f{i}"
+        for i in range(3000)
+    ]
     got = {r["doc_id"]: r["component_id"] for r in minhash_dedup.op1_minhash_dedup(docs_of(texts)).collect()}
     assert got == {i: 0 if i % 3 == 0 else i for i in range(3000)}
 

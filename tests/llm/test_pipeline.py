@@ -20,7 +20,10 @@ def test_stages(spark, sf_dir):
     kept = {r["doc_id"] for r in minhash_dedup.op1_minhash_dedup(docs).where("kept").collect()}
     assert {r["doc_id"] for r in second.collect()} == kept and second.columns == docs.columns
     third = corpus_pipeline.benchmarks(spark, docs, sf_dir)
-    hit = {r["doc_id"] for r in decontaminate.op10_decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet")).where("contaminated").collect()}
+    hit = {
+        r["doc_id"]
+        for r in decontaminate.op10_decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet")).where("contaminated").collect()
+    }
     before, after = ({r["doc_id"]: r["text"] for r in d.collect()} for d in (docs, third))
     assert all((before[i] != after.get(i)) == (i in hit) for i in before)
     fourth = corpus_pipeline.secrets(spark, docs, sf_dir)
@@ -32,7 +35,9 @@ def test_documents_without_ids_stay(spark, sf_dir):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     passage = spark.read.parquet(f"{sf_dir}/benchmark.parquet").orderBy("item_id").first()["text"]
     texts = docs.where("text is not null and doc_id is not null").orderBy(F.desc("n_chars")).limit(2)
-    loose = texts.withColumn("doc_id", F.lit(None).cast(docs.schema["doc_id"].dataType)).withColumn("text", F.concat(F.lit(passage + " "), F.col("text"), F.lit(" password=hunter22zz")))
+    loose = texts.withColumn("doc_id", F.lit(None).cast(docs.schema["doc_id"].dataType)).withColumn(
+        "text", F.concat(F.lit(passage + " "), F.col("text"), F.lit(" password=hunter22zz"))
+    )
     loose = spark.createDataFrame(loose.collect() * 2, docs.schema)  # each twice
     both = docs.where("doc_id % 10 = 0").union(loose)
     for name, stage in corpus_pipeline.STAGES:
@@ -58,5 +63,7 @@ def test_texts_of_many_languages_stay(spark):
 def test_run(spark, sf_dir):
     out = corpus_pipeline.run(spark, sf_dir).collect()
     assert out and all(r["round_trip"] for r in out) and len({r["doc_id"] for r in out}) == len(out)
-    assert corpus_pipeline.ORACLE_SQL is None and [n for n, _ in corpus_pipeline.STAGES] == ["language", "near_dups", "benchmarks", "secrets", "pieces"]
+    assert corpus_pipeline.ORACLE_SQL is None and [n for n, _ in corpus_pipeline.STAGES] == [
+        "language", "near_dups", "benchmarks", "secrets", "pieces"
+    ]
     assert hashlib.sha256(b"").hexdigest() != out[0]["decoded_sha256"]

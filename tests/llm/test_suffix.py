@@ -59,7 +59,9 @@ def test_frequent_anchors_are_dealt_anew(docs_of):
     r = np.random.default_rng(5)
     word = lambda n: "".join(map(chr, r.integers(97, 123, n)))
     core, side = word(80), [word(40) for _ in range(3)]
-    texts = [word(60) + core + word(60) for _ in range(12)] + [word(50) + side[k % 3] + core + side[k % 2] + word(50) for k in range(12)] + ["z" * 400, "z" * 250 + core]
+    texts = [word(60) + core + word(60) for _ in range(12)] + [
+        word(50) + side[k % 3] + core + side[k % 2] + word(50) for k in range(12)
+    ] + ["z" * 400, "z" * 250 + core]
     for group in (1, 3):
         out = suffix_dedup.remove_repeats(docs_of(texts), group=group).collect()
         got = {x["doc_id"]: (x["n_bytes"], sum(s["end"] - s["start"] for s in x["spans"]), len(x["spans"])) for x in out}

@@ -25,7 +25,9 @@ BLOCK = 1024
 
 def turns_of(conversations: DataFrame) -> DataFrame:
     """(pair, at, role, text), one row a turn; ``at`` counts a conversation's turns from 1."""
-    t = conversations.where("conv_id is not null and turn is not null").select(F.col("conv_id").alias("pair"), "turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
+    t = conversations.where("conv_id is not null and turn is not null").select(
+        F.col("conv_id").alias("pair"), "turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text")
+    )
     once = t.groupBy("pair", "turn").agg(F.min(F.struct("role", "text")).alias("m"))
     return once.select("pair", F.row_number().over(W.partitionBy("pair").orderBy("turn")).alias("at"), "m.role", "m.text")
 
@@ -65,14 +67,30 @@ def format_preferences(chosen: DataFrame, rejected: DataFrame) -> DataFrame:
     """One row a pair: n_prefix, prompt, and completion and mask of both sides. Both inputs: pair, at, role, text."""
     rows = chosen.withColumn("side", F.lit("c")).unionByName(rejected.withColumn("side", F.lit("r")))
     # A turn is common if both sides have it alike; the prefix ends before the first that is not.
-    turn = rows.groupBy("pair", "at").agg(F.count("*").alias("n"), F.min(F.struct("role", "text")).alias("lo"), F.max(F.struct("role", "text")).alias("hi"))
-    prefix = turn.groupBy("pair").agg(F.coalesce(F.min(F.when((F.col("n") < 2) | (F.col("lo") != F.col("hi")), F.col("at"))) - 1, F.max("at")).alias("n_prefix"))
+    turn = rows.groupBy("pair", "at").agg(
+        F.count("*").alias("n"), F.min(F.struct("role", "text")).alias("lo"), F.max(F.struct("role", "text")).alias("hi")
+    )
+    prefix = turn.groupBy("pair").agg(
+        F.coalesce(F.min(F.when((F.col("n") < 2) | (F.col("lo") != F.col("hi")), F.col("at"))) - 1, F.max("at")).alias("n_prefix")
+    )
     head = F.char_length("role") + len(START) + len(MIDDLE)
     piece = F.struct("at", rendered().alias("whole"), head.alias("head"), (F.col("role") == "assistant").alias("learn"))
     after = F.col("at") > F.col("n_prefix")
     gather = lambda keep: F.sort_array(F.collect_list(F.when(keep, piece)))
-    parts = rows.join(prefix, "pair").groupBy("pair", "n_prefix").agg(gather(~after & (F.col("side") == "c")).alias("p"), gather(after & (F.col("side") == "c")).alias("c"), gather(after & (F.col("side") == "r")).alias("r"))
-    return parts.select("pair", F.col("n_prefix").cast("long").alias("n_prefix"), _joined(F.col("p")).alias("prompt"), _joined(F.col("c")).alias("chosen_completion"), _mask(F.col("c")).alias("chosen_mask"), _joined(F.col("r")).alias("rejected_completion"), _mask(F.col("r")).alias("rejected_mask"))
+    parts = rows.join(prefix, "pair").groupBy("pair", "n_prefix").agg(
+        gather(~after & (F.col("side") == "c")).alias("p"),
+        gather(after & (F.col("side") == "c")).alias("c"),
+        gather(after & (F.col("side") == "r")).alias("r"),
+    )
+    return parts.select(
+        "pair",
+        F.col("n_prefix").cast("long").alias("n_prefix"),
+        _joined(F.col("p")).alias("prompt"),
+        _joined(F.col("c")).alias("chosen_completion"),
+        _mask(F.col("c")).alias("chosen_mask"),
+        _joined(F.col("r")).alias("rejected_completion"),
+        _mask(F.col("r")).alias("rejected_mask"),
+    )
 
 
 def op9_preference_format(conversations: DataFrame) -> DataFrame:
@@ -80,18 +98,26 @@ def op9_preference_format(conversations: DataFrame) -> DataFrame:
 
 
 ORACLE_SQL = r"""
-WITH m AS (SELECT conv_id, turn, min({'role': coalesce(role, ''), 'text': coalesce(text, '')}) AS m FROM conversations WHERE conv_id IS NOT NULL AND turn IS NOT NULL GROUP BY ALL),
+WITH m AS (SELECT conv_id, turn, min({'role': coalesce(role, ''), 'text': coalesce(text, '')}) AS m FROM conversations
+  WHERE conv_id IS NOT NULL AND turn IS NOT NULL GROUP BY ALL),
 t AS (SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS pos, m.role AS role, m.text AS text FROM m),
 l AS (SELECT conv_id, max(pos) AS last, arg_max(text, pos) AS answer FROM t WHERE role = 'assistant' GROUP BY conv_id),
-o AS (SELECT conv_id, last, coalesce(lead(answer) OVER w, first_value(answer) OVER w) AS other FROM l WINDOW w AS (PARTITION BY conv_id // 1024 ORDER BY conv_id)),
-s AS (SELECT t.conv_id, pos, role, text, CASE WHEN pos = last THEN other ELSE text END AS text2 FROM t JOIN o USING (conv_id) WHERE pos <= last),
+o AS (SELECT conv_id, last, coalesce(lead(answer) OVER w, first_value(answer) OVER w) AS other
+  FROM l WINDOW w AS (PARTITION BY conv_id // 1024 ORDER BY conv_id)),
+s AS (SELECT t.conv_id, pos, role, text, CASE WHEN pos = last THEN other ELSE text END AS text2 FROM t JOIN o USING (conv_id)
+  WHERE pos <= last),
 n AS (SELECT conv_id, coalesce(min(pos) FILTER (WHERE text <> text2) - 1, max(pos)) AS n_prefix FROM s GROUP BY conv_id),
-w AS (SELECT conv_id, pos, n_prefix, role, length('<|' || role || '|>' || chr(10)) AS h, '<|' || role || '|>' || chr(10) || text || '<|end|>' || chr(10) AS a, '<|' || role || '|>' || chr(10) || text2 || '<|end|>' || chr(10) AS b FROM s JOIN n USING (conv_id)),
+w AS (SELECT conv_id, pos, n_prefix, role, length('<|' || role || '|>' || chr(10)) AS h, '<|' || role || '|>' || chr(10) || text ||
+  '<|end|>' || chr(10) AS a, '<|' || role || '|>' || chr(10) || text2 || '<|end|>' || chr(10) AS b FROM s JOIN n USING (conv_id)),
 q AS (SELECT conv_id, n_prefix, string_agg(a, '' ORDER BY pos) AS prompt FROM w WHERE pos <= n_prefix GROUP BY ALL),
-c AS (SELECT *, coalesce(sum(length(a)) OVER v, 0) AS x, coalesce(sum(length(b)) OVER v, 0) AS y FROM w WHERE pos > n_prefix WINDOW v AS (PARTITION BY conv_id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+c AS (SELECT *, coalesce(sum(length(a)) OVER v, 0) AS x, coalesce(sum(length(b)) OVER v, 0) AS y FROM w
+  WHERE pos > n_prefix WINDOW v AS (PARTITION BY conv_id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
 g AS (SELECT conv_id, string_agg(a, '' ORDER BY pos) AS ca, string_agg(b, '' ORDER BY pos) AS cb,
-  string_agg((x + h)::BIGINT::VARCHAR || ':' || (x + length(a) - 1)::BIGINT::VARCHAR, ',' ORDER BY pos) FILTER (WHERE role = 'assistant') AS ma,
-  string_agg((y + h)::BIGINT::VARCHAR || ':' || (y + length(b) - 1)::BIGINT::VARCHAR, ',' ORDER BY pos) FILTER (WHERE role = 'assistant') AS mb FROM c GROUP BY conv_id)
-SELECT n.conv_id, n.n_prefix::BIGINT AS n_prefix, coalesce(prompt, '') AS prompt, coalesce(ca, '') AS chosen_completion, coalesce(ma, '') AS chosen_mask, coalesce(cb, '') AS rejected_completion, coalesce(mb, '') AS rejected_mask
+  string_agg((x + h)::BIGINT::VARCHAR || ':' || (x + length(a) - 1)::BIGINT::VARCHAR, ','
+  ORDER BY pos) FILTER (WHERE role = 'assistant') AS ma,
+  string_agg((y + h)::BIGINT::VARCHAR || ':' || (y + length(b) - 1)::BIGINT::VARCHAR, ','
+  ORDER BY pos) FILTER (WHERE role = 'assistant') AS mb FROM c GROUP BY conv_id)
+SELECT n.conv_id, n.n_prefix::BIGINT AS n_prefix, coalesce(prompt, '') AS prompt, coalesce(ca, '') AS chosen_completion, coalesce(ma, '')
+  AS chosen_mask, coalesce(cb, '') AS rejected_completion, coalesce(mb, '') AS rejected_mask
 FROM n LEFT JOIN q USING (conv_id) LEFT JOIN g USING (conv_id)
 """

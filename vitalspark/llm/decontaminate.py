@@ -48,9 +48,13 @@ def windows_of(items: DataFrame, id_column: str = "item_id", text_column: str =
                 w = [raw[a:b].decode() for a, b in zip(start[first[r] : first[r + 1]], end[first[r] : first[r + 1]], strict=True)]
                 if w:
                     made = sorted({" ".join(w[k : k + width]) for k in range(max(1, len(w) - width + 1))})
-                    yield pa.RecordBatch.from_arrays([pa.array([item] * len(made), pa.string()), pa.array(made, pa.string())], ["item", "window"])
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array([item] * len(made), pa.string()), pa.array(made, pa.string())], ["item", "window"]
+                    )
 
-    return items.select(F.col(id_column).cast("string").alias("id"), F.col(text_column).alias("text")).mapInArrow(run, "item string, window string").distinct()
+    return items.select(
+        F.col(id_column).cast("string").alias("id"), F.col(text_column).alias("text")
+    ).mapInArrow(run, "item string, window string").distinct()
 
 
 class Phrases:
@@ -135,7 +139,9 @@ def _scan(phrases_cast, text: int, earlier: tuple[int, int] | None, finish: Fini
                 for r in np.flatnonzero(np.diff(own)):
                     items[r] |= phrases.items(pairs[own[r] : own[r + 1]] % len(phrases.lengths))
                 if earlier:
-                    for r, (spans, named) in enumerate(zip(part.column(earlier[0]).to_pylist(), part.column(earlier[1]).to_pylist(), strict=True)):
+                    for r, (spans, named) in enumerate(
+                        zip(part.column(earlier[0]).to_pylist(), part.column(earlier[1]).to_pylist(), strict=True)
+                    ):
                         items[r].update(named)
                         if spans:
                             at = np.concatenate([at, [first[r] + x["word_start"] for x in spans]])
@@ -174,7 +180,9 @@ def _search(docs: DataFrame, items: DataFrame, text_column: str, last: Finish, s
         return pa.RecordBatch.from_arrays([*kept, pa.array(spans, _ARROW_SPANS), pa.array(named, pa.list_(pa.string()))], header)
 
     for k in range(blocks):
-        own = wins.where(F.pmod(F.xxhash64("window"), F.lit(blocks)) == k).groupBy("window").agg(F.collect_set("item").alias("items")).toArrow()
+        own = wins.where(
+            F.pmod(F.xxhash64("window"), F.lit(blocks)) == k
+        ).groupBy("window").agg(F.collect_set("item").alias("items")).toArrow()
         # No item has a word: an empty window finds nothing, and the words are counted all the same.
         phrases = Phrases(own["window"].to_pylist(), own["items"].to_pylist()) if own.num_rows else Phrases([""], [[]])
         cast = spark.sparkContext.broadcast(phrases)
@@ -188,13 +196,18 @@ def _search(docs: DataFrame, items: DataFrame, text_column: str, last: Finish, s
     raise AssertionError
 
 
-def contamination(docs: DataFrame, items: DataFrame, id_column: str = "doc_id", text_column: str = "text", block: int = BLOCK, shard: int = SHARD) -> DataFrame:
+def contamination(
+    docs: DataFrame, items: DataFrame, id_column: str = "doc_id", text_column: str = "text", block: int = BLOCK, shard: int = SHARD
+) -> DataFrame:
     """(id, n_words, spans, items) of every row; ``items``: the ids of the items with a window in it, as sorted strings."""
     texts = docs.select(F.col(id_column).alias("id"), F.col(text_column).alias("text"))
     fields = [T.StructField("n_words", T.LongType()), T.StructField("spans", SPANS), T.StructField("items", T.ArrayType(T.StringType()))]
 
     def finish(part: pa.RecordBatch, n_words: np.ndarray, spans: list, named: list) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([part.column(0), pa.array(n_words, pa.int64()), pa.array(spans, _ARROW_SPANS), pa.array(named, pa.list_(pa.string()))], ["id", "n_words", "spans", "items"])
+        return pa.RecordBatch.from_arrays(
+            [part.column(0), pa.array(n_words, pa.int64()), pa.array(spans, _ARROW_SPANS), pa.array(named, pa.list_(pa.string()))],
+            ["id", "n_words", "spans", "items"],
+        )
 
     return _search(texts, items, "text", finish, T.StructType([texts.schema["id"], *fields]), block, shard)
 
@@ -202,7 +215,13 @@ def contamination(docs: DataFrame, items: DataFrame, id_column: str = "doc_id",
 def op10_decontaminate(docs: DataFrame, items: DataFrame) -> DataFrame:
     found = contamination(docs, items)
     hit = F.aggregate("spans", F.lit(0).cast("long"), lambda acc, s: acc + s["word_end"] - s["word_start"])
-    out = found.select(F.col("id").alias("doc_id"), "n_words", hit.alias("n_hit"), F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"))
+    out = found.select(
+        F.col("id").alias("doc_id"),
+        "n_words",
+        hit.alias("n_hit"),
+        F.size("items").cast("long").alias("n_items"),
+        F.sha2(F.array_join("items", ","), 256).alias("items_sha256"),
+    )
     return out.withColumn("contaminated", F.col("n_hit") > 0)
 
 
@@ -228,19 +247,26 @@ def remove_hits(docs: DataFrame, items: DataFrame, text_column: str = "text", bl
     documents of which no word remains go. Documents without hits stay as they are; the columns stay, ``n_chars`` follows the text."""
     columns, schema = docs.columns, docs.schema
     out = _search(docs, items, text_column, _cut(columns.index(text_column), columns), schema, block, shard)
-    return out.withColumn("n_chars", F.coalesce(F.char_length(text_column), F.col("n_chars")).cast(schema["n_chars"].dataType)) if "n_chars" in columns else out
+    return out.withColumn(
+        "n_chars", F.coalesce(F.char_length(text_column), F.col("n_chars")).cast(schema["n_chars"].dataType)
+    ) if "n_chars" in columns else out
 
 
 #: Exact counterpart in DuckDB SQL: windows as strings, joined with every run of as many words of a document.
 ORACLE_SQL = r"""
-WITH d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws FROM documents),
-b AS (SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws FROM benchmark),
-w AS (SELECT DISTINCT item_id, least(10, len(ws)) AS n, unnest(list_transform(range(1, greatest(1, len(ws) - 9) + 1), lambda i: array_to_string(ws[i:i + 9], ' '))) AS win FROM b WHERE len(ws) > 0),
+WITH d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+  '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws FROM documents),
+b AS (SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+  '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws FROM benchmark),
+w AS (SELECT DISTINCT item_id, least(10, len(ws)) AS n, unnest(list_transform(range(1, greatest(1, len(ws) - 9) + 1), lambda i:
+  array_to_string(ws[i:i + 9], ' '))) AS win FROM b WHERE len(ws) > 0),
 k AS (SELECT DISTINCT n FROM w),
 g AS (SELECT doc_id, n, unnest(range(1, len(ws) - n + 2)) AS i, ws FROM d, k WHERE len(ws) >= n),
 o AS (SELECT g.doc_id, g.i, g.n, w.item_id FROM g JOIN w ON w.n = g.n AND array_to_string(g.ws[g.i:g.i + g.n - 1], ' ') = w.win),
 h AS (SELECT doc_id, count(DISTINCT p) AS n_hit FROM (SELECT doc_id, unnest(range(i, i + n)) AS p FROM o) GROUP BY doc_id),
-t AS (SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items FROM (SELECT DISTINCT doc_id, item_id::VARCHAR AS item FROM o) GROUP BY doc_id)
-SELECT d.doc_id, len(d.ws)::BIGINT AS n_words, coalesce(h.n_hit, 0)::BIGINT AS n_hit, coalesce(t.n_items, 0)::BIGINT AS n_items, sha256(coalesce(t.items, '')) AS items_sha256, coalesce(h.n_hit, 0) > 0 AS contaminated
+t AS (SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items
+  FROM (SELECT DISTINCT doc_id, item_id::VARCHAR AS item FROM o) GROUP BY doc_id)
+SELECT d.doc_id, len(d.ws)::BIGINT AS n_words, coalesce(h.n_hit, 0)::BIGINT AS n_hit, coalesce(t.n_items, 0)::BIGINT AS n_items,
+  sha256(coalesce(t.items, '')) AS items_sha256, coalesce(h.n_hit, 0) > 0 AS contaminated
 FROM d LEFT JOIN h USING (doc_id) LEFT JOIN t USING (doc_id)
 """

@@ -71,7 +71,9 @@ def compare(df: DataFrame, a: str, b: str, prefix: str = "") -> DataFrame:
     for level in ("sections", "paragraphs", "leaves"):
         x, y, skip = f"{a}{level}", f"{b}{level}", [f"__{level}_{k}" for k in ("front", "back", "x", "y", "p", "s")]
         df = df.withColumns({skip[0]: front, skip[1]: back})
-        df = df.withColumns({skip[2]: _rest(F.col(x), F.col(skip[0]), F.col(skip[1])), skip[3]: _rest(F.col(y), F.col(skip[0]), F.col(skip[1]))})
+        df = df.withColumns(
+            {skip[2]: _rest(F.col(x), F.col(skip[0]), F.col(skip[1])), skip[3]: _rest(F.col(y), F.col(skip[0]), F.col(skip[1]))}
+        )
         df = df.withColumn(skip[4], _alike(F.col(skip[2]), F.col(skip[3])))
         zero = F.lit(0)
         df = df.withColumns({skip[2]: _rest(F.col(skip[2]), F.col(skip[4]), zero), skip[3]: _rest(F.col(skip[3]), F.col(skip[4]), zero)})
@@ -82,7 +84,16 @@ def compare(df: DataFrame, a: str, b: str, prefix: str = "") -> DataFrame:
         back = _total(F.slice(x, F.size(x) - behind + 1, behind), of)
         temporary += skip
     rest = lambda k: _rest(F.col(f"__leaves_{k}"), F.lit(0), F.col("__leaves_s"))
-    df = df.withColumns({f"{prefix}differ_a": rest("x"), f"{prefix}differ_b": rest("y"), f"{prefix}edit_start": front, "__back": back, "__all": _total(F.col(f"{a}leaves"), "n"), "__other": _total(F.col(f"{b}leaves"), "n")})
+    df = df.withColumns(
+        {
+            f"{prefix}differ_a": rest("x"),
+            f"{prefix}differ_b": rest("y"),
+            f"{prefix}edit_start": front,
+            "__back": back,
+            "__all": _total(F.col(f"{a}leaves"), "n"),
+            "__other": _total(F.col(f"{b}leaves"), "n"),
+        }
+    )
     end = F.greatest(F.col("__all") - F.col("__back"), F.col(f"{prefix}edit_start"))
     near = likeness(F.col(f"{prefix}differ_a"), F.col(f"{prefix}differ_b"), (F.col("__all") + F.col("__other")).cast("long"))
     return df.withColumns({f"{prefix}edit_end": end, f"{prefix}near": near}).drop(*temporary, "__back", "__all", "__other")
@@ -98,7 +109,12 @@ def likeness(a: F.Column, b: F.Column, total: F.Column) -> F.Column:
     def step(acc: F.Column, x: F.Column) -> F.Column:
         same = acc["h"] == x["h"]
         differ = acc["differ"] + F.when(same, F.lit(0)).otherwise(acc["n"] * F.abs(acc["open"]))
-        return F.struct(x["h"].alias("h"), x["n"].alias("n"), F.when(same, acc["open"] + x["s"]).otherwise(x["s"]).alias("open"), differ.cast("long").alias("differ"))
+        return F.struct(
+            x["h"].alias("h"),
+            x["n"].alias("n"),
+            F.when(same, acc["open"] + x["s"]).otherwise(x["s"]).alias("open"),
+            differ.cast("long").alias("differ"),
+        )
 
     differ = F.aggregate(both, zero, step, lambda acc: acc["differ"] + acc["n"] * F.abs(acc["open"]))
     # |A and B| = (total - differ) / 2, |A or B| = (total + differ) / 2
@@ -111,7 +127,12 @@ def with_next(docs: DataFrame, range_rows: int = RANGE_ROWS) -> DataFrame:
     Rows are dealt to ranges of ids: between cut points (percentiles, at most CUTS), and within these by number, so that a range has about
     ``range_rows`` rows; within a range the next row is one ahead; a range's last row gets the first row of the next range that has any,
     through a table of one row a range. Rows without an id are dealt by their text's hash."""
-    found = docs.agg(F.percentile_approx("id", [k / CUTS for k in range(1, CUTS)], 10 * CUTS).alias("c"), F.min("id").alias("lo"), F.max("id").alias("hi"), F.count("*").alias("n")).first()
+    found = docs.agg(
+        F.percentile_approx("id", [k / CUTS for k in range(1, CUTS)], 10 * CUTS).alias("c"),
+        F.min("id").alias("lo"),
+        F.max("id").alias("hi"),
+        F.count("*").alias("n"),
+    ).first()
     cuts = sorted({*(found["c"] or []), *([found["hi"]] if found["hi"] is not None else [])})
     finer = -(-found["n"] // (CUTS * range_rows))
 
@@ -127,16 +148,22 @@ def with_next(docs: DataFrame, range_rows: int = RANGE_ROWS) -> DataFrame:
         at = (F.col("bucket") + 1).cast("int")
         share = (F.col("id") - F.element_at(lows, at) - 1) / (F.element_at(highs, at) - F.element_at(lows, at))
         held = held.withColumn("bucket", F.col("bucket") * finer + F.least(F.floor(share * finer), F.lit(finer - 1)))
-    held = held.withColumn("bucket", F.when(F.col("id").isNull(), -1 - F.pmod(F.xxhash64("text"), F.lit(CUTS * finer))).otherwise(F.col("bucket")))
+    held = held.withColumn(
+        "bucket", F.when(F.col("id").isNull(), -1 - F.pmod(F.xxhash64("text"), F.lit(CUTS * finer))).otherwise(F.col("bucket"))
+    )
     order = W.partitionBy("bucket").orderBy(F.desc("id"), F.desc("text"))
-    own = held.withColumns({"next_text": F.lead("text").over(order), "at": F.row_number().over(order), "of": F.count("*").over(W.partitionBy("bucket"))})
+    own = held.withColumns(
+        {"next_text": F.lead("text").over(order), "at": F.row_number().over(order), "of": F.count("*").over(W.partitionBy("bucket"))}
+    )
     first = F.struct(F.coalesce(F.col("id"), F.lit(0)), F.col("text"))  # a bucket has rows with ids or rows without
     firsts = held.groupBy("bucket").agg(F.max_by("text", first).alias("first_text"))
     # The range before in descending order: the largest bucket number below, or the largest of all.
     downwards = W.orderBy(F.desc("bucket"))
     numbers = firsts.select("bucket").withColumn("follow", F.coalesce(F.lead("bucket").over(downwards), F.first("bucket").over(downwards)))
     ahead = numbers.join(firsts.withColumnRenamed("bucket", "follow"), "follow").select("bucket", "first_text")
-    joined = own.join(ahead.withColumnRenamed("bucket", "__bucket"), (F.col("bucket") == F.col("__bucket")) & (F.col("at") == F.col("of")), "left")
+    joined = own.join(
+        ahead.withColumnRenamed("bucket", "__bucket"), (F.col("bucket") == F.col("__bucket")) & (F.col("at") == F.col("of")), "left"
+    )
     return joined.select(*docs.columns, F.coalesce("next_text", "first_text").alias("next_text"))
 
 

@@ -8,7 +8,8 @@ Prediction: the script of a word narrows the languages; each word has a log-prob
 price for each switch labels the words, and runs of equal labels are the spans. The language with the most letters wins; its share of the
 letters is the score. Texts in which no switch can pay are labelled at once (``one_language``), which gives the labels of Viterbi.
 
-A letter is a character of Unicode category L. A text that is null or has no letter is ``und`` with score 0. Ties go to the first language by name. Languages are learnt only from rows with text and label.
+A letter is a character of Unicode category L. A text that is null or has no letter is ``und`` with score 0. Ties go to the first
+language by name. Languages are learnt only from rows with text and label.
 With nothing to learn from, every text is ``und``. Extra columns are not read.
 """
 
@@ -35,11 +36,41 @@ UND = "und"
 _RUN = re.compile(r"[^\W\d_]+")
 #: First code points of the script ranges told apart; a fixed table of Unicode blocks.
 SCRIPTS = (
-    (0x0000, "latin"), (0x0370, "greek"), (0x0400, "cyrillic"), (0x0530, "armenian"), (0x0590, "hebrew"), (0x0600, "arabic"), (0x0900, "indic"),
-    (0x0E00, "thai"), (0x0E80, "lao"), (0x0F00, "tibetan"), (0x1000, "myanmar"), (0x10A0, "georgian"), (0x1100, "hangul"), (0x1200, "ethiopic"), (0x13A0, "other"),
-    (0x1780, "khmer"), (0x1800, "mongolian"), (0x1E00, "latin"), (0x1F00, "greek"), (0x2000, "other"), (0x2E80, "han"), (0x3040, "kana"), (0x3100, "han"),
-    (0x3130, "hangul"), (0x3190, "han"), (0xA000, "other"), (0xAC00, "hangul"), (0xD7B0, "other"), (0xF900, "han"), (0xFB00, "latin"), (0xFB1D, "hebrew"), (0xFB50, "arabic"), (0xFE00, "other"), (0x20000, "han"),
-)
+    (0x0000, "latin"),
+    (0x0370, "greek"),
+    (0x0400, "cyrillic"),
+    (0x0530, "armenian"),
+    (0x0590, "hebrew"),
+    (0x0600, "arabic"),
+    (0x0900, "indic"),
+    (0x0E00, "thai"),
+    (0x0E80, "lao"),
+    (0x0F00, "tibetan"),
+    (0x1000, "myanmar"),
+    (0x10A0, "georgian"),
+    (0x1100, "hangul"),
+    (0x1200, "ethiopic"),
+    (0x13A0, "other"),
+    (0x1780, "khmer"),
+    (0x1800, "mongolian"),
+    (0x1E00, "latin"),
+    (0x1F00, "greek"),
+    (0x2000, "other"),
+    (0x2E80, "han"),
+    (0x3040, "kana"),
+    (0x3100, "han"),
+    (0x3130, "hangul"),
+    (0x3190, "han"),
+    (0xA000, "other"),
+    (0xAC00, "hangul"),
+    (0xD7B0, "other"),
+    (0xF900, "han"),
+    (0xFB00, "latin"),
+    (0xFB1D, "hebrew"),
+    (0xFB50, "arabic"),
+    (0xFE00, "other"),
+    (0x20000, "han"),
+)
 _FIRST = np.array([a for a, _ in SCRIPTS])
 _NAMES = [b for _, b in SCRIPTS]
 
@@ -79,7 +110,10 @@ def learn(labelled: DataFrame, sample: int = SAMPLE, top_words: int = TOP_WORDS,
                     for g in grams(w):
                         found[lang, "g", g] += n
             rows = list(found.items())
-            yield pa.RecordBatch.from_arrays([pa.array([k[x] for k, _ in rows], pa.string()) for x in range(3)] + [pa.array([n for _, n in rows], pa.int64())], ["lang", "kind", "feature", "n"])
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([k[x] for k, _ in rows], pa.string()) for x in range(3)] + [pa.array([n for _, n in rows], pa.int64())],
+                ["lang", "kind", "feature", "n"],
+            )
 
     def number(of: dict) -> F.Column:
         return F.create_map(*[F.lit(x) for pair in of.items() for x in pair])
@@ -89,7 +123,9 @@ def learn(labelled: DataFrame, sample: int = SAMPLE, top_words: int = TOP_WORDS,
         return Model({}, {}, {}, {})
     share = number({lang: min(1.0, sample / n) * (1 << 20) for lang, n in sizes.items()})
     bounded = labelled.where(F.pmod(F.xxhash64(*labelled.columns, F.lit(7)), F.lit(1 << 20)) < share[F.col("lang")])
-    counts = bounded.select("text", "lang").mapInArrow(count, "lang string, kind string, feature string, n long").groupBy("lang", "kind", "feature").agg(F.sum("n").alias("n")).persist()
+    counts = bounded.select("text", "lang").mapInArrow(
+        count, "lang string, kind string, feature string, n long"
+    ).groupBy("lang", "kind", "feature").agg(F.sum("n").alias("n")).persist()
     totals = {(r["lang"], r["kind"]): r["n"] for r in counts.groupBy("lang", "kind").agg(F.sum("n").alias("n")).collect()}
 
     def top(kind: str, most: int) -> dict[str, dict[str, int]]:
@@ -97,7 +133,9 @@ def learn(labelled: DataFrame, sample: int = SAMPLE, top_words: int = TOP_WORDS,
         if not of:
             return {}
         share = F.col("n") / number(of)[F.col("lang")]
-        by = counts.where(F.col("kind") == kind).groupBy("feature").agg(F.max(share).alias("share"), F.map_from_entries(F.collect_list(F.struct("lang", "n"))).alias("by"))
+        by = counts.where(F.col("kind") == kind).groupBy("feature").agg(
+            F.max(share).alias("share"), F.map_from_entries(F.collect_list(F.struct("lang", "n"))).alias("by")
+        )
         return {r["feature"]: r["by"] for r in by.orderBy(F.desc("share"), "feature").limit(most).collect()}
 
     model = Model(totals, top("w", top_words), top("g", top_grams), top("s", 64))
@@ -117,7 +155,9 @@ class Model:
         self.grams = codes[order]
         unseen = [-np.log(totals.get((x, "g"), 0) + 0.5 * (len(trigrams) + 1)) + np.log(0.5) for x in self.langs]
         #: The last row is that of a trigram not seen.
-        self.gram_scores = np.concatenate([self._scores(totals, trigrams, "g", 0.5)[order], np.array([unseen], np.float32)]) if self.langs else np.zeros((1, 0), np.float32)
+        self.gram_scores = np.concatenate(
+            [self._scores(totals, trigrams, "g", 0.5)[order], np.array([unseen], np.float32)]
+        ) if self.langs else np.zeros((1, 0), np.float32)
         #: A language is a candidate for a script that makes up at least a thousandth of its words; a script that no language has narrows nothing.
         self.allowed = np.ones((len(SCRIPTS), len(self.langs)), bool)
         for k, s in enumerate(_NAMES):
@@ -251,7 +291,9 @@ class Labeller:
         by = np.bincount(row * len(langs) + labels, letters, len(texts) * len(langs)).reshape(len(texts), -1)
         total, best = by.sum(axis=1), by.argmax(axis=1)
         top = by[np.arange(len(texts)), best]
-        return [langs[b] if t else UND for b, t in zip(best, total, strict=True)], [float(x / t) if t else 0.0 for x, t in zip(top, total, strict=True)]
+        return [langs[b] if t else UND for b, t in zip(best, total, strict=True)], [
+            float(x / t) if t else 0.0 for x, t in zip(top, total, strict=True)
+        ]
 
 
 def identify(docs: DataFrame, model: Model, id_column: str = "doc_id", text_column: str = "text", together: int = TOGETHER) -> DataFrame:
@@ -262,13 +304,19 @@ def identify(docs: DataFrame, model: Model, id_column: str = "doc_id", text_colu
         labeller = Labeller(cast.value)
         for part in bt.slices(batches, 1, together):
             lang, score = labeller.predict(part.column(1).to_pylist())
-            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(lang, pa.string()), pa.array(score, pa.float64())], ["id", "lang_pred", "score"])
+            yield pa.RecordBatch.from_arrays(
+                [part.column(0), pa.array(lang, pa.string()), pa.array(score, pa.float64())], ["id", "lang_pred", "score"]
+            )
 
     kind = docs.select(F.col(id_column)).schema[0].dataType.simpleString()
-    return docs.select(F.col(id_column).alias("id"), F.col(text_column).alias("text")).mapInArrow(run, f"id {kind}, lang_pred string, score double").withColumnRenamed("id", id_column)
+    return docs.select(
+        F.col(id_column).alias("id"), F.col(text_column).alias("text")
+    ).mapInArrow(run, f"id {kind}, lang_pred string, score double").withColumnRenamed("id", id_column)
 
 
-def language_spans(docs: DataFrame, model: Model, id_column: str = "doc_id", text_column: str = "text", together: int = TOGETHER) -> DataFrame:
+def language_spans(
+    docs: DataFrame, model: Model, id_column: str = "doc_id", text_column: str = "text", together: int = TOGETHER
+) -> DataFrame:
     """(id, spans): runs of words of one language, as (lang, first word, words) of the letters-only words."""
     cast = docs.sparkSession.sparkContext.broadcast(model)
 
@@ -281,12 +329,19 @@ def language_spans(docs: DataFrame, model: Model, id_column: str = "doc_id", tex
             spans = []
             for a, b in zip(first[:-1], first[1:], strict=True):
                 cuts = np.concatenate([[a], a + 1 + np.flatnonzero(labels[a + 1 : b] != labels[a : b - 1]), [b]]) if b > a else []
-                spans.append([{"lang": labeller.model.langs[labels[x]], "first": int(x - a), "words": int(y - x)} for x, y in zip(cuts[:-1], cuts[1:], strict=True)])
+                spans.append(
+                    [
+                        {"lang": labeller.model.langs[labels[x]], "first": int(x - a), "words": int(y - x)}
+                        for x, y in zip(cuts[:-1], cuts[1:], strict=True)
+                    ]
+                )
             yield pa.RecordBatch.from_arrays([part.column(0), pa.array(spans, kind)], ["id", "spans"])
 
     kind = docs.select(F.col(id_column)).schema[0].dataType.simpleString()
     spans = "array<struct<lang:string,first:long,words:long>>"
-    return docs.select(F.col(id_column).alias("id"), F.col(text_column).alias("text")).mapInArrow(run, f"id {kind}, spans {spans}").withColumnRenamed("id", id_column)
+    return docs.select(
+        F.col(id_column).alias("id"), F.col(text_column).alias("text")
+    ).mapInArrow(run, f"id {kind}, spans {spans}").withColumnRenamed("id", id_column)
 
 
 def held_out(id_column: str = "doc_id") -> F.Column:
@@ -302,7 +357,9 @@ def op5_language_id(docs: DataFrame) -> DataFrame:
     return identify(docs, learn(training_rows(docs))).select("doc_id", held_out().alias("held_out"), "lang_pred", "score")
 
 
-def keep_identified(docs: DataFrame, model: Model, text_column: str = "text", lang_column: str = "lang", together: int = TOGETHER) -> DataFrame:
+def keep_identified(
+    docs: DataFrame, model: Model, text_column: str = "text", lang_column: str = "lang", together: int = TOGETHER
+) -> DataFrame:
     """The documents whose language is known: not ``und``. A null label is
     filled with the prediction. All columns stay; the texts are read once and not shuffled."""
     cast = docs.sparkSession.sparkContext.broadcast(model)

@@ -115,8 +115,20 @@ def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     for r in range(ROWS):
                         key = bt.mix(key * U64(0xD1342543DE82EF95) + m[:, k * ROWS + r])
                     bands[:, k] = key
-            lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum((size > 0) * BANDS)]).astype(np.int32)), pa.array(bands.ravel().view(np.int64)))
-            yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.array(size), pa.array(sums[0].view(np.int64)), pa.array(sums[1].view(np.int64)), pa.array(sig, pa.binary()), lists], names)
+            lists = pa.ListArray.from_arrays(
+                pa.array(np.concatenate([[0], np.cumsum((size > 0) * BANDS)]).astype(np.int32)), pa.array(bands.ravel().view(np.int64))
+            )
+            yield pa.RecordBatch.from_arrays(
+                [
+                    batch.column(0).slice(i, j - i),
+                    pa.array(size),
+                    pa.array(sums[0].view(np.int64)),
+                    pa.array(sums[1].view(np.int64)),
+                    pa.array(sig, pa.binary()),
+                    lists,
+                ],
+                names,
+            )
 
 
 def _similar_signatures(least: float):
@@ -183,19 +195,30 @@ def _confirm(pairs: DataFrame, sketches: DataFrame, texts: DataFrame, threshold:
     wanted = scratch.table(members.union(leaders))
     rows = (wanted.hint("merge") if many else wanted).join(texts.toDF("b", "text"), "b").select("a", "block", "b", "leads", "text")
     parts = max(int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1)
-    return rows.repartition(parts, "a", "block").sortWithinPartitions("a", "block", F.desc("leads"), "b").mapInArrow(_verify(threshold), "u long, v long")
+    return rows.repartition(parts, "a", "block").sortWithinPartitions("a", "block", F.desc("leads"), "b").mapInArrow(
+        _verify(threshold), "u long, v long"
+    )
 
 
 def _cross_pairs(rows: DataFrame, seed: int, total: int, scratch: Scratch) -> DataFrame:
     """Candidate pairs (a < b) of different components that share a key. ``rows``: key, id, component.
 
     Up to SMALL members: all such pairs. Beyond: a leader drawn anew by every seed, with the members of other components."""
-    size = rows.groupBy("key").agg(F.count("*").alias("n"), F.min("component").alias("lo"), F.max("component").alias("hi"), F.min_by(F.struct("id", "component"), F.xxhash64("id", "key", F.lit(seed))).alias("lead")).where("lo <> hi")
+    size = rows.groupBy("key").agg(
+        F.count("*").alias("n"),
+        F.min("component").alias("lo"),
+        F.max("component").alias("hi"),
+        F.min_by(F.struct("id", "component"), F.xxhash64("id", "key", F.lit(seed))).alias("lead"),
+    ).where("lo <> hi")
     size = scratch.table(size.select("key", "n", F.col("lead.id").alias("lead"), F.col("lead.component").alias("lead_component")))
     met = spread_join(rows, size, ["key"], "n", total).where((F.col("n") <= SMALL) | (F.col("component") != F.col("lead_component")))
     held = scratch.table(met.select("key", "id", "component", "n", "lead"))
     few = held.where(F.col("n") <= SMALL).groupBy("key").agg(F.collect_list(F.struct("id", "component")).alias("m"))
-    x = few.select("m", F.explode("m").alias("x")).select("x", F.explode("m").alias("y")).where("x.id < y.id and x.component <> y.component").select(F.col("x.id").alias("a"), F.col("y.id").alias("b"))
+    x = few.select("m", F.explode("m").alias("x")).select("x", F.explode("m").alias("y")).where(
+        "x.id < y.id and x.component <> y.component"
+    ).select(
+        F.col("x.id").alias("a"), F.col("y.id").alias("b")
+    )
     large = held.where(F.col("n") > SMALL).select(F.least("id", "lead").alias("a"), F.greatest("id", "lead").alias("b"), "n")
     return x.select("a", "b", F.lit(SMALL).cast("long").alias("n")).union(large).groupBy("a", "b").agg(F.max("n").alias("n"))
 
@@ -207,14 +230,40 @@ def _block_rows(rows: DataFrame, sketches: DataFrame, total: int, scratch: Scrat
     mixed = rows.groupBy("key").agg(F.count("*").alias("members"), F.min("component").alias("lo"), F.max("component").alias("hi"))
     mixed = scratch.table(mixed.where((F.col("lo") < F.col("hi")) & (F.col("members") > SMALL)).select("key", "members"))
     held = scratch.table(spread_join(rows, mixed, ["key"], "members", total).drop("members"))
-    sizes = held.groupBy("key", "component").agg(F.count("*").alias("n")).groupBy("key").agg(F.max_by("component", F.struct("n", "component")).alias("main"), F.max("n").alias("m"), F.sum("n").alias("n"))
-    blocks = sizes.select("key", "main", F.ceil(F.col("m") / BLOCK).cast("int").alias("mains"), F.ceil((F.col("n") - F.col("m")) / BLOCK).cast("int").alias("others"), "n")
+    sizes = held.groupBy("key", "component").agg(F.count("*").alias("n")).groupBy("key").agg(
+        F.max_by("component", F.struct("n", "component")).alias("main"), F.max("n").alias("m"), F.sum("n").alias("n")
+    )
+    blocks = sizes.select(
+        "key",
+        "main",
+        F.ceil(F.col("m") / BLOCK).cast("int").alias("mains"),
+        F.ceil((F.col("n") - F.col("m")) / BLOCK).cast("int").alias("others"),
+        "n",
+    )
     dealt = F.xxhash64("id", F.lit(3))
     d = spread_join(held, blocks, ["key"], "n", total).withColumn("is_main", F.col("component") == F.col("main"))
-    d = d.withColumn("block", F.when(F.col("is_main"), -1 - F.pmod(dealt, F.col("mains"))).otherwise(F.pmod(dealt, F.col("others"))).cast("int"))
+    d = d.withColumn(
+        "block", F.when(F.col("is_main"), -1 - F.pmod(dealt, F.col("mains"))).otherwise(F.pmod(dealt, F.col("others"))).cast("int")
+    )
     d = d.join(sketches.select("id", "signature", "bands"), "id")
-    d = d.withColumn("facing", F.explode(F.when(F.col("is_main"), F.sequence(F.lit(0), F.col("others") - 1)).otherwise(F.sequence(-F.col("mains"), F.col("others") - 1))))
-    return d.select("key", F.least("block", "facing").alias("p"), F.greatest("block", "facing").alias("q"), "block", "id", "component", "signature", "bands")
+    d = d.withColumn(
+        "facing",
+        F.explode(
+            F.when(
+                F.col("is_main"), F.sequence(F.lit(0), F.col("others") - 1)
+            ).otherwise(F.sequence(-F.col("mains"), F.col("others") - 1))
+        ),
+    )
+    return d.select(
+        "key",
+        F.least("block", "facing").alias("p"),
+        F.greatest("block", "facing").alias("q"),
+        "block",
+        "id",
+        "component",
+        "signature",
+        "bands",
+    )
 
 
 def _open_pairs(t: pa.Table, least: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -285,8 +334,12 @@ def _join_components(found: DataFrame, links: DataFrame, scratch: Scratch) -> Da
     ends = links.select(F.col("u").alias("id")).union(links.select("v")).distinct()
     known = scratch.table(found.union(ends.join(found, "id", "left_anti").select("id", "id")))
     of = lambda c: known.select(F.col("id").alias(c), F.col("component").alias(f"c{c}"))
-    joined = components(links.join(of("u"), "u").join(of("v"), "v").select(F.col("cu").alias("u"), F.col("cv").alias("v")).distinct(), scratch)
-    return scratch.table(known.join(joined.toDF("component", "new"), "component", "left").select("id", F.coalesce("new", "component").alias("component")))
+    joined = components(
+        links.join(of("u"), "u").join(of("v"), "v").select(F.col("cu").alias("u"), F.col("cv").alias("v")).distinct(), scratch
+    )
+    return scratch.table(
+        known.join(joined.toDF("component", "new"), "component", "left").select("id", F.coalesce("new", "component").alias("component"))
+    )
 
 
 def near_duplicates(docs: DataFrame, threshold: int = 75, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
@@ -295,7 +348,9 @@ def near_duplicates(docs: DataFrame, threshold: int = 75, id_column: str = "doc_
     spark: SparkSession = docs.sparkSession
     scratch = Scratch(spark, "minhash")
     texts = docs.select(F.col(id_column).cast("long").alias("id"), F.col(text_column).alias("text"))
-    sketches = scratch.table(texts.mapInArrow(_sketch, "id long, n_shingles long, set_a long, set_b long, signature binary, bands array<long>"))
+    sketches = scratch.table(
+        texts.mapInArrow(_sketch, "id long, n_shingles long, set_a long, set_b long, signature binary, bands array<long>")
+    )
     sets = ["n_shingles", "set_a", "set_b"]
     with_words = sketches.where("n_shingles > 0 and id is not null")
     classes = scratch.table(with_words.groupBy(*sets).agg(F.min("id").alias("rep"), F.count("*").alias("copies")))
@@ -305,9 +360,13 @@ def near_duplicates(docs: DataFrame, threshold: int = 75, id_column: str = "doc_
     alone = reps.where("id = rep").select("id", "signature", "bands")
     banded, total = alone.select(F.explode("bands").alias("key"), "id"), rows * BANDS
     leads = scratch.table(banded.groupBy("key").agg(F.min("id").alias("a"), F.count("*").alias("n")).where("n > 1"))
-    asked = scratch.table(spread_join(banded, leads, ["key"], "n", total).where("id <> a").groupBy("a", F.col("id").alias("b")).agg(F.max("n").alias("n")))
+    asked = scratch.table(
+        spread_join(banded, leads, ["key"], "n", total).where("id <> a").groupBy("a", F.col("id").alias("b")).agg(F.max("n").alias("n"))
+    )
     links = scratch.table(_confirm(asked, alone, texts, threshold, scratch, many=True))
-    in_buckets = lambda: alone.join(found, "id", "left").select(F.explode("bands").alias("key"), "id", F.coalesce("component", "id").alias("component"))
+    in_buckets = lambda: alone.join(found, "id", "left").select(
+        F.explode("bands").alias("key"), "id", F.coalesce("component", "id").alias("component")
+    )
     found, turn, more = scratch.table(components(links, scratch).toDF("id", "component")), 0, None
     while more is None or not more.isEmpty():
         if more is not None:
@@ -326,8 +385,12 @@ def near_duplicates(docs: DataFrame, threshold: int = 75, id_column: str = "doc_
     rest = _links_of_blocks(in_buckets(), alone, texts, threshold, total, scratch)
     if not rest.isEmpty():
         found = _join_components(found, rest, scratch)
-    owner = reps.join(found.toDF("rep", "component"), "rep", "left").groupBy("id").agg(F.min(F.coalesce("component", "rep")).alias("component"))
-    out = sketches.select("id", "n_shingles").join(owner, "id", "left").select("id", "n_shingles", F.coalesce("component", "id").alias("component_id"))
+    owner = reps.join(found.toDF("rep", "component"), "rep", "left").groupBy("id").agg(
+        F.min(F.coalesce("component", "rep")).alias("component")
+    )
+    out = sketches.select("id", "n_shingles").join(owner, "id", "left").select(
+        "id", "n_shingles", F.coalesce("component", "id").alias("component_id")
+    )
     scratch.drop_all(sketches, reps, found)
     return out.select(F.col("id").alias(id_column), "n_shingles", "component_id", (F.col("id") == F.col("component_id")).alias("kept"))
 
@@ -339,14 +402,17 @@ def op1_minhash_dedup(docs: DataFrame) -> DataFrame:
 #: Exact counterpart for small tables: all pairs that share a shingle, and reachability.
 ORACLE_SQL = r"""
 WITH RECURSIVE w AS (
-  SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws FROM documents),
+  SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+  'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws FROM documents),
 s AS (
-  SELECT DISTINCT doc_id, unnest(CASE WHEN len(ws) >= 5 THEN list_transform(range(1, len(ws) - 3), lambda i: array_to_string(ws[i:i + 4], ' ')) WHEN len(ws) > 0 THEN [array_to_string(ws, ' ')] ELSE [] END) AS g FROM w),
+  SELECT DISTINCT doc_id, unnest(CASE WHEN len(ws) >= 5 THEN list_transform(range(1, len(ws) - 3), lambda i: array_to_string(ws[i:i + 4],
+  ' ')) WHEN len(ws) > 0 THEN [array_to_string(ws, ' ')] ELSE [] END) AS g FROM w),
 n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
 p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM s a JOIN s b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY ALL),
 e AS (SELECT a, b FROM p JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * c >= 75 * (x.n + y.n - c)),
 l AS (SELECT a, b FROM e UNION SELECT b, a FROM e),
 r(doc_id, c) AS (SELECT doc_id, doc_id FROM documents UNION SELECT l.b, r.c FROM r JOIN l ON l.a = r.doc_id),
 m AS (SELECT doc_id, min(c) AS component_id FROM r GROUP BY doc_id)
-SELECT m.doc_id, coalesce(n.n, 0) AS n_shingles, m.component_id, m.doc_id = m.component_id AS kept FROM m LEFT JOIN n ON n.doc_id = m.doc_id
+SELECT m.doc_id, coalesce(n.n, 0) AS n_shingles, m.component_id, m.doc_id = m.component_id AS kept FROM m
+  LEFT JOIN n ON n.doc_id = m.doc_id
 """

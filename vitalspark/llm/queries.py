@@ -104,4 +104,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 #: DuckDB SQL over the same tables, where SQL can express the operator.
-ORACLE_SQL: dict[str, str] = {"op9_preference_format": chat_format.ORACLE_SQL, "op1_minhash_dedup": minhash_dedup.ORACLE_SQL, "op10_decontaminate": decontaminate.ORACLE_SQL}
+ORACLE_SQL: dict[str, str] = {
+    "op9_preference_format": chat_format.ORACLE_SQL,
+    "op1_minhash_dedup": minhash_dedup.ORACLE_SQL,
+    "op10_decontaminate": decontaminate.ORACLE_SQL,
+}

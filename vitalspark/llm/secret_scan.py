@@ -118,18 +118,24 @@ def find_secrets(text: str, ratio: Ratio, below: float) -> list[tuple[int, int,
     return sorted(found, key=lambda x: (x[0], KINDS.index(x[2])))
 
 
-def secret_scan(docs: DataFrame, ranks_file: str, pattern: str, below: float = 2.0, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
+def secret_scan(
+    docs: DataFrame, ranks_file: str, pattern: str, below: float = 2.0, id_column: str = "doc_id", text_column: str = "text"
+) -> DataFrame:
     """(id, spans) of every row; ``spans`` is sorted by start, then kind."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ratio = Ratio(ranks_file, pattern)  # made by each task, so that a reused worker holds nothing back
         kind = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32())]))
         for batch in bt.slices(batches, 1):
-            spans = [[{"kind": k, "start": a, "end": b} for a, b, k in find_secrets(x.as_py() or "", ratio, below)] for x in batch.column(1)]
+            spans = [
+                [{"kind": k, "start": a, "end": b} for a, b, k in find_secrets(x.as_py() or "", ratio, below)] for x in batch.column(1)
+            ]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(spans, kind)], ["id", "spans"])
 
     kind = docs.select(F.col(id_column)).schema[0].dataType.simpleString()
-    return docs.select(F.col(id_column).alias("id"), F.col(text_column).alias("text")).mapInArrow(run, f"id {kind}, spans {SPANS}").withColumnRenamed("id", id_column)
+    return docs.select(
+        F.col(id_column).alias("id"), F.col(text_column).alias("text")
+    ).mapInArrow(run, f"id {kind}, spans {SPANS}").withColumnRenamed("id", id_column)
 
 
 def _joined(spans: F.Column) -> F.Column:
@@ -141,7 +147,9 @@ def op7_secret_scan(docs: DataFrame, ranks_file: str, pattern: str) -> DataFrame
     found = secret_scan(docs, ranks_file, pattern)
     count = lambda k: F.size(F.filter("spans", lambda s: s["kind"] == k)).cast("long").alias(f"n_{k}")
     base = F.filter("spans", lambda s: s["kind"] != "random")
-    return found.select("doc_id", *map(count, KINDS), F.sha2(_joined(base), 256).alias("base_sha256"), _joined(F.col("spans")).alias("spans"))
+    return found.select(
+        "doc_id", *map(count, KINDS), F.sha2(_joined(base), 256).alias("base_sha256"), _joined(F.col("spans")).alias("spans")
+    )
 
 
 def redact(docs: DataFrame, ranks_file: str, pattern: str, mark: str = "[SECRET]", text_column: str = "text") -> DataFrame:
@@ -155,7 +163,10 @@ def redact(docs: DataFrame, ranks_file: str, pattern: str, mark: str = "[SECRET]
             yield batch.set_column(at, batch.schema.field(at), pa.array(texts, batch.schema.field(at).type))
 
     out = docs.mapInArrow(run, docs.schema)
-    return out.withColumn("n_chars", F.when(F.col(text_column).isNull(), F.col("n_chars")).otherwise(F.char_length(text_column).cast(docs.schema["n_chars"].dataType))) if "n_chars" in docs.columns else out
+    return out.withColumn(
+        "n_chars",
+        F.when(F.col(text_column).isNull(), F.col("n_chars")).otherwise(F.char_length(text_column).cast(docs.schema["n_chars"].dataType)),
+    ) if "n_chars" in docs.columns else out
 
 
 def cut(text: str, spans: list[tuple[int, int, str]], mark: str) -> str:

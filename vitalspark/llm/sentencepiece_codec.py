@@ -109,7 +109,9 @@ def log_scores(v: Vocabulary) -> Vocabulary:
     rank = -np.array(v.scores) + 2
     normal = np.array(v.kinds) == NORMAL
     h = np.log((1 / rank[normal]).sum())
-    return replace(v, scores=[float(-np.log(r) - h) if ok else s for r, ok, s in zip(rank, normal, v.scores, strict=True)], model_type=UNIGRAM)
+    return replace(
+        v, scores=[float(-np.log(r) - h) if ok else s for r, ok, s in zip(rank, normal, v.scores, strict=True)], model_type=UNIGRAM
+    )
 
 
 def double_array(keys: list[bytes], values: list[int]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -169,7 +171,10 @@ class Codec:
 
     def __init__(self, v: Vocabulary):
         v = log_scores(v)
-        self.text = [bytes([int(p[1:-1], 16)]) if k == BYTE else (p.replace(MARK, " ").encode() if k in (NORMAL, USER_DEFINED, UNUSED) else b"") for p, k in zip(v.pieces, v.kinds, strict=True)]
+        self.text = [
+            bytes([int(p[1:-1], 16)]) if k == BYTE else (p.replace(MARK, " ").encode() if k in (NORMAL, USER_DEFINED, UNUSED) else b"")
+            for p, k in zip(v.pieces, v.kinds, strict=True)
+        ]
         own = [i for i, k in enumerate(v.kinds) if k in (NORMAL, USER_DEFINED)]
         self.base, self.check, self.value = double_array([v.pieces[i].encode() for i in own], own)
         self.scores = np.array(v.scores, np.float64)  # path sums over long texts need all digits
@@ -223,7 +228,9 @@ class Codec:
         shift = part[order]  # part k's places are k further, so that its end is no other's start
         a, b = a + shift, b + shift
         best[start + np.arange(len(parts))] = 0
-        cut = np.concatenate([[0], 1 + np.flatnonzero((offset[1:] != offset[:-1]) | (length[1:] != length[:-1])), [len(a)]]) if len(a) else [0]
+        cut = np.concatenate(
+            [[0], 1 + np.flatnonzero((offset[1:] != offset[:-1]) | (length[1:] != length[:-1])), [len(a)]]
+        ) if len(a) else [0]
         for x, y in zip(cut[:-1], cut[1:], strict=True):
             t = b[x:y]
             s = best[a[x:y]] + score[x:y]
@@ -328,7 +335,9 @@ class Encoder:
         return ids, ends
 
 
-def encode_decode(docs: DataFrame, codec: Codec, id_column: str = "doc_id", text_column: str = "text", together: int = 1 << 20) -> DataFrame:
+def encode_decode(
+    docs: DataFrame, codec: Codec, id_column: str = "doc_id", text_column: str = "text", together: int = 1 << 20
+) -> DataFrame:
     """(id, piece_ids, decoded, round_trip) of every row. ``round_trip``: decoding gives the text back, the marker read as a blank and, where
     the model makes runs of blanks one, so made."""
     cast = docs.sparkSession.sparkContext.broadcast(codec)
@@ -341,13 +350,24 @@ def encode_decode(docs: DataFrame, codec: Codec, id_column: str = "doc_id", text
             back = [encoder.codec.decode(ids[a:b].tolist()) for a, b in zip(first[:-1], first[1:], strict=True)]
             same = [x == encoder.codec.normal(y) for x, y in zip(back, texts, strict=True)]
             lists = pa.ListArray.from_arrays(pa.array(first.astype(np.int32)), pa.array(ids.astype(np.int32)))
-            yield pa.RecordBatch.from_arrays([part.column(0), lists, pa.array(back, pa.string()), pa.array(same, pa.bool_())], ["id", "piece_ids", "decoded", "round_trip"])
+            yield pa.RecordBatch.from_arrays(
+                [part.column(0), lists, pa.array(back, pa.string()), pa.array(same, pa.bool_())],
+                ["id", "piece_ids", "decoded", "round_trip"],
+            )
 
     kind = docs.select(F.col(id_column)).schema[0].dataType.simpleString()
-    return docs.select(F.col(id_column).alias("id"), F.col(text_column).alias("text")).mapInArrow(run, f"id {kind}, piece_ids array<int>, decoded string, round_trip boolean").withColumnRenamed("id", id_column)
+    return docs.select(F.col(id_column).alias("id"), F.col(text_column).alias("text")).mapInArrow(
+        run, f"id {kind}, piece_ids array<int>, decoded string, round_trip boolean"
+    ).withColumnRenamed("id", id_column)
 
 
 def op4_sentencepiece(docs: DataFrame, model: bytes) -> DataFrame:
     """doc_id, n_pieces, piece_ids, decoded_sha256, round_trip of every document."""
     out = encode_decode(docs, Codec(load(model)))
-    return out.select("doc_id", F.size("piece_ids").cast("long").alias("n_pieces"), "piece_ids", F.sha2("decoded", 256).alias("decoded_sha256"), "round_trip")
+    return out.select(
+        "doc_id",
+        F.size("piece_ids").cast("long").alias("n_pieces"),
+        "piece_ids",
+        F.sha2("decoded", 256).alias("decoded_sha256"),
+        "round_trip",
+    )

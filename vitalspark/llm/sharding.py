@@ -9,7 +9,8 @@ each shard moves to shards with room, unlinked documents first, until the counts
 
 Ranks are never taken in one task: rows are counted in (class, bucket) cells, of which there is a bounded number, and a row's rank is its
 number within its cell plus the sum of the cells before. A group that holds more than a shard's share is split by the
-quotas. Frequent texts are dealt to several tasks in every join. ``cut_links`` counts the links between shards, for the start and the end. Null texts count as empty ones. Ids must be unique. Extra columns are not read.
+quotas. Frequent texts are dealt to several tasks in every join. ``cut_links`` counts the links between shards, for the start and the
+end. Null texts count as empty ones. Ids must be unique. Extra columns are not read.
 """
 
 from __future__ import annotations
@@ -64,9 +65,17 @@ def _quota(of: dict[tuple[int, int], int], a: str, b: str) -> F.Column:
 
 def cut_links(placed: DataFrame) -> DataFrame:
     """One row (links, cut): pairs of documents with equal texts, and those of them in different shards, from counts by (group, shard). ``placed``: group, shard."""
-    own = placed.groupBy("group", "shard").agg(F.count("*").cast("decimal(19,0)").alias("n")).groupBy("group").agg(F.sum("n").alias("all"), F.sum(F.col("n") * F.col("n")).alias("square"))
-    pairs = own.select(((F.col("all") * F.col("all") - F.col("all")) / 2).alias("links"), ((F.col("all") * F.col("all") - F.col("square")) / 2).alias("cut"))
-    return pairs.agg(F.coalesce(F.sum("links"), F.lit(0)).cast("decimal(38,0)").alias("links"), F.coalesce(F.sum("cut"), F.lit(0)).cast("decimal(38,0)").alias("cut"))
+    own = placed.groupBy("group", "shard").agg(F.count("*").cast("decimal(19,0)").alias("n")).groupBy("group").agg(
+        F.sum("n").alias("all"), F.sum(F.col("n") * F.col("n")).alias("square")
+    )
+    pairs = own.select(
+        ((F.col("all") * F.col("all") - F.col("all")) / 2).alias("links"),
+        ((F.col("all") * F.col("all") - F.col("square")) / 2).alias("cut"),
+    )
+    return pairs.agg(
+        F.coalesce(F.sum("links"), F.lit(0)).cast("decimal(38,0)").alias("links"),
+        F.coalesce(F.sum("cut"), F.lit(0)).cast("decimal(38,0)").alias("cut"),
+    )
 
 
 def start_shard(shards: int, id_column: str = "id") -> F.Column:
@@ -79,7 +88,11 @@ def shard_documents(docs: DataFrame, shards: int = 8, id_column: str = "doc_id",
     scratch = Scratch(docs.sparkSession, "sharding")
     text = F.coalesce(F.col(text_column), F.lit(""))
     nodes = docs.select(
-        F.col(id_column).alias("id"), (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"), F.xxhash64(text, F.octet_length(text)).alias("group"), start_shard(shards, id_column).alias("shard")
+        F.col(id_column).alias("id"),
+        (F.octet_length(text) + 1).cast("long").alias("size"),
+        F.crc32(text.cast("binary")).alias("text_crc32"),
+        F.xxhash64(text, F.octet_length(text)).alias("group"),
+        start_shard(shards, id_column).alias("shard"),
     )
     state = scratch.table(nodes)
 
@@ -89,7 +102,11 @@ def shard_documents(docs: DataFrame, shards: int = 8, id_column: str = "doc_id",
 
     total = sum(counted(state))
     share = [total // shards + (s < total % shards) for s in range(shards)]
-    groups = scratch.table(state.groupBy("group").agg(F.count("*").alias("members")).where("members > 1").withColumn("heavy", -F.floor(F.log2("members")).cast("int")))
+    groups = scratch.table(
+        state.groupBy("group").agg(F.count("*").alias("members")).where("members > 1").withColumn(
+            "heavy", -F.floor(F.log2("members")).cast("int")
+        )
+    )
     cols = ["id", "size", "text_crc32", "group", "shard", "heavy"]
     first = state
     state = scratch.table(spread_join(state, groups, ["group"], "members", total, "left").select(*cols))
@@ -99,8 +116,16 @@ def shard_documents(docs: DataFrame, shards: int = 8, id_column: str = "doc_id",
         filled = counted(linked)
         open_ = F.col("shard").isin([s for s in range(shards) if filled[s] < share[s]])
         held = linked.where(open_).groupBy("group", "shard").agg(F.count("*").alias("n"))
-        want = scratch.table(held.groupBy("group").agg(F.max_by("shard", F.struct("n", -F.col("shard"))).alias("want"), F.count("*").alias("places"), F.sum("n").alias("members")).where("places > 1").select("group", "want", "members"))
-        asked = scratch.table(spread_join(state, want, ["group"], "members", total, "left").drop("members").withColumn("want", F.when(open_ & (F.col("want") != F.col("shard")), F.col("want"))))
+        want = scratch.table(
+            held.groupBy("group").agg(
+                F.max_by("shard", F.struct("n", -F.col("shard"))).alias("want"), F.count("*").alias("places"), F.sum("n").alias("members")
+            ).where("places > 1").select("group", "want", "members")
+        )
+        asked = scratch.table(
+            spread_join(state, want, ["group"], "members", total, "left").drop("members").withColumn(
+                "want", F.when(open_ & (F.col("want") != F.col("shard")), F.col("want"))
+            )
+        )
         wishes = {(r["shard"], r["want"]): r["count"] for r in asked.where("want is not null").groupBy("shard", "want").count().collect()}
         granted = {k: n for k, n in quotas(wishes, filled, share).items() if n}
         if not granted:
@@ -132,4 +157,6 @@ def shard_documents(docs: DataFrame, shards: int = 8, id_column: str = "doc_id",
 
 
 def op8_sharding(docs: DataFrame) -> DataFrame:
-    return shard_documents(docs).select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+    return shard_documents(docs).select(
+        "doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard")
+    )

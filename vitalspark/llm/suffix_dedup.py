@@ -120,7 +120,9 @@ def _anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             h, row, start, n = domains(part, o)
             if len(h):
                 content = bt.span_hashes(part, start, start + n + LENGTH - 1)
-                cols = [h.view(np.int64), content.view(np.int64), ids[i + row], (start - o[row] + shift).astype(np.int32), n.astype(np.int32)]
+                cols = [
+                    h.view(np.int64), content.view(np.int64), ids[i + row], (start - o[row] + shift).astype(np.int32), n.astype(np.int32)
+                ]
                 yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], ["h", "content", "id", "start", "n"])
 
 
@@ -141,7 +143,9 @@ def _cut_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         start, n = flat.field("start").to_numpy(), flat.field("n").to_numpy()
         raw = [data[a : a + k + LENGTH - 1].tobytes() for a, k in zip(off[row] + start, n, strict=True)]
         ids = batch.column(0).take(pa.array(row))
-        yield pa.RecordBatch.from_arrays([flat.field("h"), flat.field("many"), ids, pa.array(start), pa.array(raw, pa.binary())], ["h", "many", "id", "start", "raw"])
+        yield pa.RecordBatch.from_arrays(
+            [flat.field("h"), flat.field("many"), ids, pa.array(start), pa.array(raw, pa.binary())], ["h", "many", "id", "start", "raw"]
+        )
 
 
 def _ranks(key: np.ndarray) -> np.ndarray:
@@ -260,7 +264,10 @@ def _resolve(batches: Iterator[pa.RecordBatch], together: int = 1 << 19) -> Iter
         a, b, _ = bt.words(flags, first)
         if len(a):
             row = np.searchsorted(first, a, "right") - 1
-            yield pa.RecordBatch.from_arrays([pa.array(ids[row]), pa.array((start[row] + a - first[row]).astype(np.int32)), pa.array((b - a).astype(np.int32))], ["id", "start", "n"])
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(ids[row]), pa.array((start[row] + a - first[row]).astype(np.int32)), pa.array((b - a).astype(np.int32))],
+                ["id", "start", "n"],
+            )
 
     for batch in batches:
         held.append(batch)
@@ -291,8 +298,20 @@ def _second_anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
                     rows.append((raw[x : x + GRAM + SIDE], raw[a : b + LENGTH - 1], i, start + a, b - a))
         if rows:
             keys, raws, ids, starts, sizes = zip(*rows, strict=True)
-            hashed = [pa.array(bt.span_hashes(d, o[:-1], o[1:]).view(np.int64)) for d, o in (bt.utf8(pa.array(x, pa.binary())) for x in (keys, raws))]
-            yield pa.RecordBatch.from_arrays([*hashed, pa.array(ids, pa.int64()), pa.array(starts, pa.int32()), pa.array(sizes, pa.int32()), pa.array(raws, pa.binary())], ["h", "content", "id", "start", "n", "raw"])
+            hashed = [
+                pa.array(bt.span_hashes(d, o[:-1], o[1:]).view(np.int64))
+                for d, o in (bt.utf8(pa.array(x, pa.binary())) for x in (keys, raws))
+            ]
+            yield pa.RecordBatch.from_arrays(
+                [
+                    *hashed,
+                    pa.array(ids, pa.int64()),
+                    pa.array(starts, pa.int32()),
+                    pa.array(sizes, pa.int32()),
+                    pa.array(raws, pa.binary()),
+                ],
+                ["h", "content", "id", "start", "n", "raw"],
+            )
 
 
 def _window_hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -300,7 +319,15 @@ def _window_hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
         for i, start, raw in zip(*(batch.column(k).to_pylist() for k in (0, 1, 2)), strict=True):
             data = np.frombuffer(raw, np.uint8)
             a, b = gram_hashes(data, LENGTH), gram_hashes(data, LENGTH, _SECOND)
-            yield pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), pa.array(b.view(np.int64)), pa.array(np.full(len(a), i)), pa.array((start + np.arange(len(a))).astype(np.int32))], ["a", "b", "id", "start"])
+            yield pa.RecordBatch.from_arrays(
+                [
+                    pa.array(a.view(np.int64)),
+                    pa.array(b.view(np.int64)),
+                    pa.array(np.full(len(a), i)),
+                    pa.array((start + np.arange(len(a))).astype(np.int32)),
+                ],
+                ["a", "b", "id", "start"],
+            )
 
 
 WINDOWS = "id long, start int, n int"
@@ -309,29 +336,43 @@ WINDOWS = "id long, start int, n int"
 def _resolved(rows: DataFrame) -> DataFrame:
     """Repeated windows among rows (h, id, start, raw), of which each h has at most GROUP."""
     parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return rows.select("h", "id", "start", "raw").repartition(parts, "h").sortWithinPartitions("h", "id", "start").mapInArrow(_resolve, WINDOWS)
+    return rows.select(
+        "h", "id", "start", "raw"
+    ).repartition(parts, "h").sortWithinPartitions("h", "id", "start").mapInArrow(_resolve, WINDOWS)
 
 
 def _of_frequent_anchors(heavy: DataFrame, group: int, scratch: Scratch) -> DataFrame:
     """Repeated windows of domains (h, many, id, start, raw) whose anchors have more than ``group`` contents."""
     halves = scratch.table(heavy.mapInArrow(_second_anchors, "h long, content long, id long, start int, n int, raw binary"))
-    firsts = scratch.table(halves.groupBy("h", "content").agg(F.min(F.struct("id", "start", "raw")).alias("f"), F.count("*").alias("c")).select("h", "content", "c", "f.*"))
+    firsts = scratch.table(
+        halves.groupBy("h", "content").agg(
+            F.min(F.struct("id", "start", "raw")).alias("f"), F.count("*").alias("c")
+        ).select("h", "content", "c", "f.*")
+    )
     copies = firsts.where("c > 1").select("h", "content", "c", F.col("id").alias("first_id"), F.col("start").alias("first_start"))
-    again = spread_join(halves.drop("raw"), copies, ["h", "content"], "c", halves.count()).where("id <> first_id or start <> first_start").select("id", "start", "n")
+    again = spread_join(
+        halves.drop("raw"), copies, ["h", "content"], "c", halves.count()
+    ).where("id <> first_id or start <> first_start").select("id", "start", "n")
     sizes = scratch.table(firsts.groupBy("h").agg(F.count("*").alias("many")).where("many > 1"))
     unsure = scratch.table(spread_join(firsts, sizes, ["h"], "many", firsts.count()))
-    windows = unsure.where(F.col("many") > group).select("id", "start", "raw").mapInArrow(_window_hashes, "a long, b long, id long, start int")
+    windows = unsure.where(F.col("many") > group).select("id", "start", "raw").mapInArrow(
+        _window_hashes, "a long, b long, id long, start int"
+    )
     kept = windows.groupBy("a", "b").agg(F.min(F.struct("id", "start")).alias("f")).select("f.id", "f.start")
     rest = windows.select("id", "start").join(kept, ["id", "start"], "left_anti").select("id", "start", F.lit(1).alias("n"))
     return again.union(_resolved(unsure.where(F.col("many") <= group))).union(rest)
 
 
-def repeated_spans(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", group: int = GROUP, scratch: Scratch | None = None) -> DataFrame:
+def repeated_spans(
+    docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", group: int = GROUP, scratch: Scratch | None = None
+) -> DataFrame:
     """(id, windows): for every document with repeated windows, their runs as array<struct<start, n>>, offsets in bytes."""
     scratch = scratch or Scratch(docs.sparkSession, "suffix")
     texts = docs.select(F.col(id_column).cast("long").alias("id"), F.col(text_column).alias("text")).where("id is not null")
     anchors = texts.mapInArrow(_anchors, "h long, content long, id long, start int, n int")
-    often = scratch.table(texts.select("text").mapInArrow(_anchor_hashes, "h long").groupBy("h").agg(F.count("*").alias("c")).where("c > 1"))
+    often = scratch.table(
+        texts.select("text").mapInArrow(_anchor_hashes, "h long").groupBy("h").agg(F.count("*").alias("c")).where("c > 1")
+    )
     total = often.agg(F.sum("c")).first()[0] or 0
     shared = scratch.table(spread_join(anchors, often, ["h"], "c", total).drop("c"))
     first = scratch.table(shared.groupBy("h", "content").agg(F.min(F.struct("id", "start", "n")).alias("f")).select("h", "f.*"))
@@ -340,9 +381,14 @@ def repeated_spans(docs: DataFrame, id_column: str = "doc_id", text_column: str
     # Whole domains: those of a document that are not the first of their content.
     marks = shared.select("id", "start", "n", F.lit(0).alias("is_first")).union(first.select("id", "start", "n", F.lit(1)))
     code = F.shiftleft(F.col("start").cast("long"), 32).bitwiseOR(F.col("n").cast("long"))  # plain numbers, so that the difference of lists is by hashing
-    lists = marks.groupBy("id").agg(F.collect_list(F.when(F.col("is_first") == 0, code)).alias("own"), F.collect_list(F.when(F.col("is_first") == 1, code)).alias("firsts"))
+    lists = marks.groupBy("id").agg(
+        F.collect_list(F.when(F.col("is_first") == 0, code)).alias("own"),
+        F.collect_list(F.when(F.col("is_first") == 1, code)).alias("firsts"),
+    )
     domain = lambda c: F.struct(F.shiftright(c, 32).cast("int").alias("start"), c.bitwiseAND(F.lit(0xFFFFFFFF)).cast("int").alias("n"))
-    whole = scratch.table(lists.select("id", F.transform(F.array_except("own", "firsts"), domain).alias("windows")).where(F.size("windows") > 0))
+    whole = scratch.table(
+        lists.select("id", F.transform(F.array_except("own", "firsts"), domain).alias("windows")).where(F.size("windows") > 0)
+    )
     scratch.drop_all(unsure, whole)
     asked = unsure.groupBy("id").agg(F.collect_list(F.struct("h", "many", "start", "n")).alias("open"))
     cut = scratch.table(texts.join(asked, "id").mapInArrow(_cut_out, "h long, many long, id long, start int, raw binary"))
@@ -379,7 +425,9 @@ def remove_repeats(docs: DataFrame, id_column: str = "doc_id", text_column: str
             data, off = bt.utf8(batch.column(1))
             raw = data.tobytes()
             windows = batch.column(2)
-            own, flat = np.diff(np.concatenate([[0], np.cumsum(windows.value_lengths().fill_null(0).to_numpy(zero_copy_only=False))])), windows.flatten()
+            own, flat = np.diff(
+                np.concatenate([[0], np.cumsum(windows.value_lengths().fill_null(0).to_numpy(zero_copy_only=False))])
+            ), windows.flatten()
             start = flat.field("start").to_numpy().astype(np.int64)
             row, a, b = covered(np.repeat(np.arange(batch.num_rows), own), start, start + flat.field("n").to_numpy() + LENGTH - 1)
             first = np.searchsorted(row, np.arange(batch.num_rows + 1))
@@ -390,13 +438,25 @@ def remove_repeats(docs: DataFrame, id_column: str = "doc_id", text_column: str
                     parts.append(raw[at : off[k] + x])
                     at = off[k] + y
                 kept.append(b"".join([*parts, raw[at : off[k + 1]]]))
-            spans = pa.ListArray.from_arrays(pa.array(first.astype(np.int32)), pa.StructArray.from_arrays([pa.array(a), pa.array(b)], ["start", "end"]))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.diff(off)), spans, pa.array(kept, pa.binary())], ["id", "n_bytes", "spans", "kept"])
+            spans = pa.ListArray.from_arrays(
+                pa.array(first.astype(np.int32)), pa.StructArray.from_arrays([pa.array(a), pa.array(b)], ["start", "end"])
+            )
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), pa.array(np.diff(off)), spans, pa.array(kept, pa.binary())], ["id", "n_bytes", "spans", "kept"]
+            )
 
     kind = texts.schema["id"].dataType.simpleString()
-    return texts.mapInArrow(run, f"id {kind}, n_bytes long, spans array<struct<start:long,end:long>>, kept binary").withColumnRenamed("id", id_column)
+    return texts.mapInArrow(
+        run, f"id {kind}, n_bytes long, spans array<struct<start:long,end:long>>, kept binary"
+    ).withColumnRenamed("id", id_column)
 
 
 def op6_suffix_dedup(docs: DataFrame) -> DataFrame:
     gone = F.aggregate("spans", F.lit(0).cast("long"), lambda acc, s: acc + s["end"] - s["start"])
-    return remove_repeats(docs).select("doc_id", "n_bytes", gone.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+    return remove_repeats(docs).select(
+        "doc_id",
+        "n_bytes",
+        gone.alias("n_removed"),
+        F.size("spans").cast("long").alias("n_spans"),
+        F.sha2("kept", 256).alias("kept_sha256"),
+    )

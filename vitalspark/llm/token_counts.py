@@ -117,18 +117,24 @@ def counter(model_file: str) -> Counter:
     return Counter(model_file)
 
 
-def token_counts(docs: DataFrame, model_file: str, id_column: str = "doc_id", text_column: str = "text", together: int = 1 << 20) -> DataFrame:
+def token_counts(
+    docs: DataFrame, model_file: str, id_column: str = "doc_id", text_column: str = "text", together: int = 1 << 20
+) -> DataFrame:
     """(id, n_bytes, n_tokens) of every row's whole text. ``model_file`` must be readable on every executor."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = counter(model_file)
         for part in bt.slices(batches, 1, together):
             texts = [x or "" for x in part.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), pa.array(c.count(texts), pa.int64())], ["id", "n_bytes", "n_tokens"])
+            yield pa.RecordBatch.from_arrays(
+                [part.column(0), part.column(2), pa.array(c.count(texts), pa.int64())], ["id", "n_bytes", "n_tokens"]
+            )
 
     kind = docs.select(F.col(id_column)).schema[0].dataType.simpleString()
     size: Column = F.coalesce(F.octet_length(text_column), F.lit(0)).cast("long")
-    out = docs.select(F.col(id_column).alias("id"), F.col(text_column).alias("text"), size.alias("n_bytes")).mapInArrow(run, f"id {kind}, n_bytes long, n_tokens long")
+    out = docs.select(
+        F.col(id_column).alias("id"), F.col(text_column).alias("text"), size.alias("n_bytes")
+    ).mapInArrow(run, f"id {kind}, n_bytes long, n_tokens long")
     return out.withColumnRenamed("id", id_column)
 
 
