@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat_format, decontaminate, minhash_dedup
+from . import chat_format, collocations, decontaminate, minhash_dedup, vector_codes
 
 
 def vocabulary(name: str) -> str:
@@ -90,6 +90,24 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op10_decontaminate(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
 
 
+def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .vector_codes import op11_vector_codes
+
+    return op11_vector_codes(read(spark, sf_dir, "embeddings"))
+
+
+def op12_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .url_filter import op12_url_filter
+
+    return op12_url_filter(read(spark, sf_dir, "pages"))
+
+
+def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .collocations import op13_collocations
+
+    return op13_collocations(read(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_minhash_dedup": op1_minhash_dedup,
     "op2_token_counts": op2_token_counts,
@@ -101,6 +119,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_sharding": op8_sharding,
     "op9_preference_format": op9_preference_format,
     "op10_decontaminate": op10_decontaminate,
+    "op11_vector_codes": op11_vector_codes,
+    "op12_url_filter": op12_url_filter,
+    "op13_collocations": op13_collocations,
 }
 
 #: DuckDB SQL over the same tables, where SQL can express the operator.
@@ -108,4 +129,6 @@ ORACLE_SQL: dict[str, str] = {
     "op9_preference_format": chat_format.ORACLE_SQL,
     "op1_minhash_dedup": minhash_dedup.ORACLE_SQL,
     "op10_decontaminate": decontaminate.ORACLE_SQL,
+    "op11_vector_codes": vector_codes.ORACLE_SQL,
+    "op13_collocations": collocations.ORACLE_SQL,
 }

@@ -36,11 +36,12 @@ class Scratch:
         self._paths: dict[int, tuple[DataFrame, str]] = {}
         self._n = 0
 
-    def table(self, df: DataFrame) -> DataFrame:
+    def table(self, df: DataFrame, by: str | None = None) -> DataFrame:
+        """``df`` written and read again. ``by``: a column of few values by which the files are laid out."""
         self._n += 1
         path = f"{self.root}/t{self._n}"
         with shuffles_end_with_the_query(self.spark):
-            df.write.parquet(path)
+            (df.write.partitionBy(by) if by else df.write).parquet(path)
         out = self.spark.read.schema(df.schema).parquet(path)
         self._paths[id(out)] = (out, path)
         return out
