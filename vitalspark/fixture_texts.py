@@ -70,6 +70,41 @@ def host_logs(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def flawed_logs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(path, content): a log for each host and day with all that may go wrong. By event_id % 8 a row's block is: 1 torn, 2 at 25:61:61, 3 without header,
+    4 under a header that repeats a name, 5 cut off from its header by noise, 6 after a restart note. By host: 0 header in the first line, 1 after a
+    blank line, 2 after a banner, 3 without any date, 4 in line 9."""
+    e = fx.table(spark, sf_dir, "events").withColumns({"h": F.col("user_id") % 5, "k": F.col("event_id") % 8})
+    k, clock = F.col("k"), F.date_format("ts", "HH:mm:ss")
+    line = lambda t, x: F.concat(t, F.lit("     "), x, F.lit("\n"))
+    head = F.when(k == 3, "").otherwise(line(clock, F.when(k == 4, "CPU %user %user %idle").otherwise("CPU %user %nice %idle")))
+    noise = F.when(k == 5, "*** buffer lost\n").when(k == 6, line(clock, F.lit("LINUX RESTART (8 CPU)"))).otherwise("")
+    cells = F.concat_ws(" ", F.lit("all"), _s("event_id"), _s("user_id"), F.when(k != 1, _s("value")))
+    block = F.concat(F.lit("\n"), head, noise, line(F.when(k == 2, "25:61:61").otherwise(clock), cells), F.lit("Average:     0"))
+    g = e.select("h", F.to_date("ts").alias("day"), "event_id", block.alias("b")).groupBy("h", "day").agg(
+        F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("event_id", "b"))), lambda x: x["b"]), "\n").alias("body")
+    )
+    h = F.col("h")
+    before = F.when(h == 1, "\n").when(h == 2, "sysstat 12\n").when(h == 4, "\n# x\n" * 4).otherwise("")
+    first = F.concat(F.lit("Linux 5.4.0 (host"), _s("h"), F.lit(") \t"), F.when(h != 3, F.date_format("day", "yyyy-MM-dd")).otherwise("today"), F.lit(" \t_x86_64_"))
+    return g.select(F.concat(F.lit("host"), _s("h"), F.lit("-"), _s("day")).alias("path"), F.concat(before, first, F.lit("\n"), "body", F.lit("\n")).alias("content"))
+
+
+def flawed_csv(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(file, lines): two CSV texts of parts with columns in another order, and one that has no sections. Parts that 10 divides stand in torn lines."""
+    p = fx.table(spark, sf_dir, "part").select("p_partkey", _s("p_partkey").alias("k"), _s("p_retailprice").alias("v"))
+    torn = F.col("p_partkey") % 10 == 0
+    one = F.when(torn, F.concat(F.lit("part,"), "k")).otherwise(F.concat_ws(",", F.lit("part"), "k", "v"))
+    two = F.when(torn, F.concat_ws(",", "v", F.lit("Part"), "k", F.lit("more"))).otherwise(F.concat_ws(",", "v", F.lit("Part"), "k"))
+    file = (F.col("p_partkey") % 3).cast("int")
+    row = F.when(file == 0, one).when(file == 1, two).otherwise("nothing,here")
+    g = p.select(file.alias("file"), F.struct("p_partkey", row.alias("x")).alias("x")).groupBy("file").agg(
+        F.array_join(F.transform(F.sort_array(F.collect_list("x")), lambda x: x["x"]), "\n").alias("body")
+    )
+    head = F.when(F.col("file") == 0, "Section,Key No.,Amount (%)").when(F.col("file") == 1, "Amount (%),section,Key No.").otherwise("a,b")
+    return g.select("file", F.concat(head, F.lit("\n"), "body").alias("lines"))
+
+
 def _table(summary: str, head: list[str], rows: Column) -> Column:
     return F.concat(
         F.lit(f'<table border="1" summary="{summary}"><tr>' + "".join(f"<th>{h}</th>" for h in head) + "</tr>"), rows, F.lit("</table>")

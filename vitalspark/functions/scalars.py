@@ -258,3 +258,47 @@ def steps_text(c: Column | str) -> Column:
 def in_zone(ts: Column | str, zone: str) -> Column:
     """local time of a zone read as UTC."""
     return F.to_utc_timestamp(col(ts).cast("timestamp"), zone).cast("timestamp_ntz")
+
+
+def last_named(names: str, cells: str) -> Column:
+    """The map of names to cells; a repeated name keeps its last cell, cells or names beyond the shorter list are dropped."""
+    n = F.least(F.size(names), F.size(cells))
+    given = F.slice(names, F.lit(1), n)
+    pairs = F.transform(given, lambda x, i: F.struct(x.alias("n"), F.get(cells, i).alias("c")))
+    last = F.filter(pairs, lambda x, i: ~F.array_contains(F.slice(given, i + 2, F.greatest(n, F.lit(1))), x["n"]))
+    whole = F.map_from_arrays(given, F.slice(cells, F.lit(1), n))
+    once = F.map_from_entries(F.filter(last, lambda x: x["n"].isNotNull()))
+    return F.when(F.size(F.array_distinct(given)) == n, whole).otherwise(once)
+
+
+def try_clock(day: Column, time: Column, half: Column) -> Column:
+    """The timestamp of a day (struct y, m, d), a time ``h:mm:ss`` and AM, PM or null; null if there is no such time."""
+    part = lambda i: F.get(F.split(time, ":"), F.lit(i)).try_cast("int")
+    hour = F.when(half.isNull(), part(0)).when(part(0).between(1, 12), part(0) % 12 + F.when(half == "PM", 12).otherwise(0))
+    second = F.when(part(2) < 60, part(2))
+    return F.try_make_timestamp_ntz(day["y"], day["m"], day["d"], hour, part(1), second)
+
+
+MONTHS = ["jan", "feb", "mar", "apr", "may", "jun", "jul", "aug", "sep", "oct", "nov", "dec"]
+
+
+def day_first_time(text: Column) -> Column:
+    """A timestamp of a text that may have its day first (``03-May-24 10:00:05``, ``3/5/2024 10:00``, ``03.05.2024 1:00 PM``) or its year
+    (``2024-05-03T10:00:05``). Where the second of three numbers can't be a month, the first is. Two-digit years lie in 1969 to 2068. Else null."""
+    c = F.trim(text)
+    number = lambda p, g: F.regexp_extract(c, p, g).try_cast("int")
+    word = r"^(\d{1,2})[-/. ]+([A-Za-z]{3})[A-Za-z]*[-/., ]+(\d{4}|\d{2})(?!\d)"
+    digits, year_first = r"^(\d{1,2})[-/.](\d{1,2})[-/.](\d{4}|\d{2})(?!\d)", r"^(\d{4})[-/.](\d{1,2})[-/.](\d{1,2})(?!\d)"
+    named = F.nullif(F.array_position(F.array(*map(F.lit, MONTHS)), F.lower(F.regexp_extract(c, word, 2))).cast("int"), F.lit(0))
+    a, b = number(digits, 1), number(digits, 2)
+    swapped = (b > 12) & (a <= 12)
+    year = F.coalesce(number(word, 3), number(digits, 3), number(year_first, 1))
+    year = F.when(year < 69, year + 2000).when(year < 100, year + 1900).otherwise(year)
+    month = F.coalesce(named, F.when(swapped, a).otherwise(b), number(year_first, 2))
+    day = F.coalesce(F.when(named.isNotNull(), number(word, 1)), F.when(swapped, b).otherwise(a), number(year_first, 3))
+    clock = r"(?:[T ]+)(\d{1,2}:\d{2}(?::\d{2})?)(?:\.\d+)?\s*(?i:([AP]M))?\s*$"
+    time = F.nullif(F.regexp_extract(c, clock, 1), F.lit(""))
+    rest = F.regexp_replace(c, f"{word}|{digits}|{year_first}", "")
+    time = F.when(F.trim(rest) == "", F.lit("0:00:00")).when(time.rlike("^\\d+:\\d+$"), F.concat(time, F.lit(":00"))).otherwise(time)
+    half = F.upper(F.nullif(F.regexp_extract(c, clock, 2), F.lit("")))
+    return try_clock(F.struct(year.alias("y"), month.alias("m"), day.alias("d")), time, half)

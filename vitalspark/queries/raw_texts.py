@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from .. import fixture_texts as ft
@@ -9,6 +11,7 @@ from .. import fixtures as fx
 from ..operators.select import header_carry, socket_ratios
 from ..plans import listings
 from ..sources import delimited, hostlog, plan_text, report
+from ..storage import shared_dir
 from . import query
 
 E = (
@@ -31,6 +34,35 @@ def src4_hostlog_lines(spark, d):
     return _rows(spark, d).groupBy("hostname", "snap_time", "section").agg(F.count("*").alias("n"))
 
 
+FLAWED = (
+    "(SELECT event_id, value, 'host' || h || '-' || CAST(ts AS DATE) AS path, CASE WHEN h = 3 THEN 'UNKNOWN_HOST' ELSE 'host' || h END AS hostname, "
+    "date_trunc('second', ts) AS snap_time, user_id, k, CASE WHEN h = 3 THEN 'no date' WHEN k = 2 THEN 'bad time' WHEN k IN (3, 5) THEN 'no header' "
+    "WHEN k = 1 THEN 'few cells' END AS reason FROM (SELECT *, user_id % 5 AS h, event_id % 8 AS k FROM events)) f"
+)
+
+
+@query(
+    f"SELECT path, hostname, reason, count(*) AS n FROM {FLAWED} WHERE reason IS NOT NULL GROUP BY ALL UNION ALL "
+    "SELECT 'host' || (user_id % 5) || '-' || CAST(ts AS DATE), CASE WHEN user_id % 5 = 3 THEN 'UNKNOWN_HOST' ELSE 'host' || (user_id % 5) END, "
+    # noise is told from a banner by its place: what stands in the first ten lines is passed over
+    "'unreadable', count(*) FILTER (WHERE line > 10) FROM (SELECT *, CASE user_id % 5 WHEN 0 THEN 1 WHEN 1 THEN 2 WHEN 2 THEN 2 WHEN 3 THEN 1 ELSE 9 END "
+    "+ sum(CASE event_id % 8 WHEN 3 THEN 3 WHEN 5 THEN 5 WHEN 6 THEN 5 ELSE 4 END) OVER (PARTITION BY user_id % 5, CAST(ts AS DATE) ORDER BY event_id) "
+    "- 2 AS line FROM events) WHERE event_id % 8 = 5 GROUP BY ALL HAVING count(*) FILTER (WHERE line > 10) > 0"
+)
+def src4_hostlog_rejects(spark, d):
+    return hostlog.rejected_lines(ft.flawed_logs(spark, d)).groupBy("path", "hostname", "reason").agg(F.count("*").alias("n"))
+
+
+@query(
+    "SELECT path, hostname, snap_time, CASE WHEN k = 4 THEN user_id ELSE event_id END::DOUBLE AS usr_pct, value AS idle_pct "
+    f"FROM {FLAWED} WHERE reason IS NULL"
+)
+def src5_hostlog_cpu_flawed(spark, d):
+    """What is left of logs with torn rows, bad clocks, lost and repeated headers, noise and banners."""
+    rows = hostlog.log_lines(ft.flawed_logs(spark, d)).where("section = 'CPU'")
+    return rows.select("path", "hostname", "snap_time", hostlog.field("%user").alias("usr_pct"), hostlog.field("%idle").alias("idle_pct"))
+
+
 @query(
     "SELECT hostname, snap_time, 'all' AS cpu, value AS usr_pct, 0.0::DOUBLE AS nice_pct, user_id::DOUBLE AS system_pct, "
     f"event_id::DOUBLE AS iowait_pct, 0.0::DOUBLE AS steal_pct, value AS idle_pct FROM {E} WHERE event_type = 'click'"
@@ -137,10 +169,6 @@ R = (
 
 def _files(spark, d, df, kind):
     """Writes texts as files of the shared folder and reads them back through the source."""
-    import uuid
-
-    from ..storage import shared_dir
-
     path = f"{shared_dir(spark)}/texts-{kind}-{uuid.uuid4().hex[:12]}"
     df.write.text(path)
     return path
@@ -169,6 +197,22 @@ def src2_report_metadata(spark, d):
     return report.metadata(report.report_rows(ft.reports(spark, d))).drop("path")
 
 
+@query(
+    "SELECT event_id, CASE event_id % 6 WHEN 1 THEN date_trunc('minute', ts) WHEN 5 THEN NULL ELSE date_trunc('second', ts) END AS snap_time, CASE "
+    "WHEN event_id % 6 = 5 THEN 'bad snap time' END AS reason FROM events"
+)
+def src2_report_times(spark, d):
+    """Reports whose snapshot times come in six formats, the last of them unreadable."""
+    e = fx.table(spark, d, "events")
+    formats = ["dd-MMM-yy HH:mm:ss", "dd/MM/yyyy HH:mm", "yyyy-MM-dd HH:mm:ss", "dd.MM.yyyy hh:mm:ss a", "d MMMM yyyy HH:mm:ss", "'garbage' dd"]
+    time = F.element_at(F.array(*[F.date_format("ts", f) for f in formats]), (F.col("event_id") % 6 + 1).cast("int"))
+    info = '<table summary="This table displays database instance information"><tr><th>DB Name</th><th>Instance</th></tr><tr><td>D</td><td>I</td></tr></table>'
+    snaps = '<table summary="This table displays snapshot information"><tr><th></th><th>Snap Id</th><th>Snap Time</th></tr><tr><td>Begin Snap:</td><td>7</td><td>'
+    rows = report.report_rows(e.select(F.col("event_id").cast("string").alias("path"), F.concat(F.lit(info + snaps), time, F.lit("</td></tr></table>")).alias("content")))
+    times = report.metadata(rows).select("path", "snap_time")
+    return times.join(report.metadata_rejects(rows), "path", "left").select(F.col("path").cast("long").alias("event_id"), "snap_time", "reason")
+
+
 @query(
     fx.sql(
         "SELECT DISTINCT db AS dbname, db AS folder, inst AS instance, no::INT AS instnum, CASE "
@@ -214,10 +258,6 @@ def src12_sectioned_csv(spark, d):
     p = fx.table(spark, d, "part").select(F.lit("part"), "p_partkey", "p_retailprice")
     other = fx.table(spark, d, "region").select(F.lit("unmapped"), "r_regionkey", F.lit(0.0))
     lines = o.union(p).union(other).toDF(*o.columns)
-    import uuid
-
-    from ..storage import shared_dir
-
     path = f"{shared_dir(spark)}/csv-{uuid.uuid4().hex[:12]}"
     lines.write.csv(path, header=True)
     tables = delimited.sectioned_csv(
@@ -229,6 +269,22 @@ def src12_sectioned_csv(spark, d):
     return one("orders").union(one("part"))
 
 
+@query(
+    "SELECT p_partkey::VARCHAR AS id, p_retailprice AS amount, 'row' AS kind FROM part WHERE p_partkey % 3 < 2 AND p_partkey % 10 <> 0 UNION ALL "
+    "SELECT p_partkey::VARCHAR, NULL, 'reject' FROM part WHERE p_partkey % 3 < 2 AND p_partkey % 10 = 0"
+)
+def src12_sectioned_csv_headers(spark, d):
+    """Files with columns in another order, each read by its own header; torn lines set aside."""
+    path = f"{shared_dir(spark)}/csv-{uuid.uuid4().hex[:12]}"
+    ft.flawed_csv(spark, d).repartition(3, "file").write.partitionBy("file").text(path)
+    got = delimited.sectioned_csv(spark, path, {"part": ["id", "amount"]}, {"key_no": "id", "amount_pct": "amount"})["part"]
+    lost = delimited.csv_rejects(spark, path).select(
+        F.coalesce(F.nullif(F.regexp_extract("line", r"^part,(\d+)$", 1), F.lit("")), F.regexp_extract("line", r",Part,(\d+),more$", 1)).alias("id"),
+        F.lit(None).cast("double").alias("amount"), F.lit("reject").alias("kind")
+    )
+    return got.select("id", F.col("amount").cast("double").alias("amount"), F.lit("row").alias("kind")).union(lost)
+
+
 @query(
     "SELECT p_brand AS owner, p_partkey AS object_name, CASE WHEN p_size % 2 = 1 THEN p_size END::DOUBLE AS blevel, CASE "
     "WHEN p_partkey % 3 = 0 THEN p_name END AS first_column FROM part"

@@ -1,8 +1,10 @@
 """Host activity logs (SRC4-SRC10): a text per host and day to typed rows, in DataFrame expressions only.
 
-A file's lines are numbered within it; blank and ``Average:`` lines end a block, and the last header line of a block names the columns
-of the rows that follow (W5). Name and date are read from the file once, below the line split; the rest is one window over one file's
+A file's lines are numbered within it; lines without a time end a block, and the last header line of a block names the columns
+of the rows that follow (W5). Name and date are sought in the first ten lines, below the line split; the rest is one window over one file's
 lines, so the work grows with a file's length and files spread over tasks.
+
+No line ends a job: a line that can't be read comes out of the same pass with the reason (``classified_lines``).
 """
 
 from __future__ import annotations
@@ -10,9 +12,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.scalars import last_named, try_clock
 from ..operators.select import header_carry
 
 _TIME = r"^\d{1,2}:\d{2}:\d{2}$"
+_DATE = r"\d{4}-\d{2}-\d{2}|\d{2}/\d{2}/\d{4}|\d{2}/\d{2}/\d{2}(?!\d)"
+#: The name of hosts whose log gives none.
+UNKNOWN = "UNKNOWN_HOST"
 
 
 def read_logs(spark: SparkSession, path: str) -> DataFrame:
@@ -20,44 +26,72 @@ def read_logs(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("content"))
 
 
-def log_date(header: Column) -> Column:
-    """The date of a first line: ``yyyy-mm-dd``, ``mm/dd/yyyy`` or ``mm/dd/yy``."""
-    iso = F.regexp_extract(header, r"(\d{4}-\d{2}-\d{2})", 1)
-    us4 = F.regexp_extract(header, r"(\d{2}/\d{2}/\d{4})", 1)
-    us2 = F.regexp_extract(header, r"(\d{2}/\d{2}/\d{2})(?!\d)", 1)
-    return F.when(iso != "", F.to_date(iso)).when(us4 != "", F.to_date(us4, "MM/dd/yyyy")).when(us2 != "", F.to_date(us2, "MM/dd/yy"))
+def log_day(header: Column) -> Column:
+    """Year, month and day of a line with ``yyyy-mm-dd``, ``mm/dd/yyyy`` or ``mm/dd/yy``; nulls without one."""
+    number = lambda p, g: F.regexp_extract(header, p, g).try_cast("int")
+    iso, us = r"(\d{4})-(\d{2})-(\d{2})", r"(\d{2})/(\d{2})/(\d{4}|\d{2}(?!\d))"
+    year = number(us, 3)
+    year = F.when(year < 100, year + 2000).otherwise(year)
+    dated = F.struct(number(us, 1).alias("m"), number(us, 2).alias("d"))
+    return F.struct(
+        F.coalesce(number(iso, 1), year).alias("y"), F.coalesce(number(iso, 2), dated["m"]).alias("m"), F.coalesce(number(iso, 3), dated["d"]).alias("d")
+    )
 
 
-def log_lines(files: DataFrame, shift: str | None = None) -> DataFrame:
-    """SRC4: (path, hostname, snap_time, section, fields) of every data row; ``section`` is the header's first name, ``fields`` a map.
+def classified_lines(files: DataFrame, shift: str | None = None) -> DataFrame:
+    """Every line that is data or can't be read: path, line_no (from 1), hostname, snap_time, section, fields, reason, line.
 
-    ``shift`` (SRC10) is an interval text, such as ``5 hours 30 minutes``, added to every time; days roll over. Rows with fewer cells than
-    names keep the cells they have; rows before any header of their block are dropped."""
-    first = F.substring_index(F.ltrim("content"), "\n", 1)
-    heads = files.select("path", F.regexp_extract(first, r"\(([^)]*)\)", 1).alias("hostname"), log_date(first).alias("day"), "content")
+    ``reason`` is null for a row as SRC4 gives it; ``line`` is there where a reason is. Reasons, the first that holds:
+    ``no date`` (none in the first ten lines), ``bad time``, ``no header`` (none in the row's block), ``few cells`` (fewer than names: a torn line),
+    ``unreadable`` (neither timed, blank, a sum line nor within the first ten). Restart notes are passed over. A name that a header repeats
+    stands for its last cell; cells beyond the names are dropped."""
+    top = F.slice(F.split("content", "\r?\n", 11), 1, 10)
+    head = F.coalesce(F.get(F.filter(top, lambda x: x.rlike(_DATE)), F.lit(0)), F.lit(""))
+    name = F.coalesce(F.nullif(F.trim(F.regexp_extract(head, r"\(([^)]*)\)", 1)), F.lit("")), F.lit(UNKNOWN))
+    heads = files.select("path", name.alias("hostname"), log_day(head).alias("day"), "content")
     lines = heads.select("path", "hostname", "day", F.posexplode(F.split("content", "\r?\n")).alias("no", "line"))  # the content stays below
-    words = lines.select("path", "hostname", "day", "no", F.split(F.trim("line"), r"\s+").alias("w"))
+    words = lines.select("path", "hostname", "day", "no", "line", F.split(F.trim(F.translate("line", "\t", " ")), " +").alias("w"))
     timed = F.element_at("w", 1).rlike(_TIME)
-    half = F.when(F.get("w", F.lit(1)).isin("AM", "PM"), F.get("w", F.lit(1)))
-    d = words.select("path", "hostname", "day", "no", "w", timed.alias("timed"), F.when(timed, half).alias("half"))
+    half = F.when(F.upper(F.get("w", F.lit(1))).isin("AM", "PM"), F.upper(F.get("w", F.lit(1))))
+    d = words.select("path", "hostname", "day", "no", "line", "w", timed.alias("timed"), F.when(timed, half).alias("half"))
     skip = F.when(F.col("half").isNull(), 2).otherwise(3)
     d = d.withColumn("cells", F.when(F.col("timed"), F.slice("w", skip, F.greatest(F.size("w") - skip + 1, F.lit(0)))))
-    d = d.withColumn("is_header", F.col("timed") & F.forall("cells", lambda x: x.try_cast("double").isNull()))
+    restart = F.coalesce(F.array_contains("cells", "RESTART"), F.lit(False))
+    d = d.where(~restart).withColumn("is_header", F.col("timed") & (F.size("cells") > 0) & F.forall("cells", lambda x: x.try_cast("double").isNull()))
     # What a header names holds until the next header or the end of its block: one running value over the file's lines.
     none = F.lit(None).cast("array<string>")
-    ends = (F.element_at("w", 1) == "") | F.startswith(F.element_at("w", 1), F.lit("Average:"))
-    mark = F.when(F.col("is_header"), F.struct(F.col("cells").alias("names"))).when(ends, F.struct(none.alias("names")))
+    mark = F.when(F.col("is_header"), F.struct(F.col("cells").alias("names"))).when(~F.col("timed"), F.struct(none.alias("names")))
     d = d.withColumn("names", header_carry(mark, ["path"], "no")["names"])
-    rows = d.where("timed and not is_header and names is not null")
-    n = F.least(F.size("names"), F.size("cells"))
-    time = F.element_at("w", 1)
-    clock24 = F.to_timestamp_ntz(F.concat_ws(" ", "day", time), F.lit("yyyy-MM-dd H:mm:ss"))
-    clock12 = F.to_timestamp_ntz(F.concat_ws(" ", "day", time, "half"), F.lit("yyyy-MM-dd hh:mm:ss a"))
-    clock = F.when(F.col("half").isNull(), clock24).otherwise(clock12)
+    average = F.startswith(F.lower(F.element_at("w", 1)), F.lit("average:"))
+    odd = ~F.col("timed") & (F.element_at("w", 1) != "") & ~average & (F.col("no") >= 10)
+    rows = d.where((F.col("timed") & ~F.col("is_header")) | odd)
+    clock = try_clock(F.col("day"), F.element_at("w", 1), F.col("half"))
     if shift:
         clock = clock + F.expr(f"INTERVAL {shift}")
-    fields = F.map_from_arrays(F.slice("names", F.lit(1), n), F.slice("cells", F.lit(1), n))
-    return rows.select("path", "hostname", clock.alias("snap_time"), F.col("names")[0].alias("section"), fields.alias("fields"))
+    rows = rows.withColumn("snap_time", F.when(F.col("timed"), clock))
+    reason = F.when(
+        ~F.col("timed"), "unreadable"
+    ).when(F.col("day.y").isNull(), "no date").when(F.col("snap_time").isNull(), "bad time").when(
+        F.col("names").isNull(), "no header"
+    ).when(F.size("cells") < F.size("names"), "few cells")
+    rows = rows.withColumn("reason", reason)
+    good = F.col("reason").isNull()
+    return rows.select(
+        "path", (F.col("no") + 1).alias("line_no"), "hostname", "snap_time", F.when(good, F.col("names")[0]).alias("section"),
+        F.when(good, last_named("names", "cells")).alias("fields"), "reason", F.when(~good, F.col("line")).alias("line")
+    )
+
+
+def log_lines(files: DataFrame, shift: str | None = None) -> DataFrame:
+    """SRC4: (path, hostname, snap_time, section, fields) of every row that can be read; ``section`` is the header's first name, ``fields`` a map.
+
+    ``shift`` (SRC10) is an interval text, such as ``5 hours 30 minutes``, added to every time; days roll over."""
+    return classified_lines(files, shift).where("reason is null").select("path", "hostname", "snap_time", "section", "fields")
+
+
+def rejected_lines(files: DataFrame) -> DataFrame:
+    """(path, hostname, line_no, reason, line) of the lines that SRC4 leaves out. To have both from one pass, write ``classified_lines``."""
+    return classified_lines(files).where("reason is not null").select("path", "hostname", "line_no", "reason", "line")
 
 
 def field(*names: str, default: float | None = 0.0, scale: float = 1.0, digits: int | None = None) -> Column:

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions.scalars import plan_cost, plan_size
+from ..functions.scalars import last_named, plan_cost, plan_size
 from ..operators.select import header_carry
 
 _PREDICATE = r"^\s*(\d+)\s+-\s+(.*)$"
@@ -53,12 +53,11 @@ def plans(files: DataFrame, compat: bool = False) -> DataFrame:
     ) & ~F.col("starts") & (F.trim("line") != "") & ~line.rlike("^-+$") & F.col("predicate_of").isNotNull()
     piece = F.trim(F.when(line.rlike(_PREDICATE), F.regexp_extract("line", _PREDICATE, 2)).otherwise(line))
     predicate = F.when(in_predicates, F.struct("no", F.col("predicate_of").alias("step_id"), piece.alias("t")))
-    n = F.least(F.size("names"), F.size("cells"))
     d = plan_lines(files).where("plan_no > 0")
     is_step = F.col("cells").isNotNull() & F.col("names").isNotNull() & F.element_at("cells", 1).rlike(r"^\*?\s*\d+$")
     d = d.withColumns({
-        "m": F.when(is_step, F.map_from_arrays(F.slice("names", F.lit(1), n), F.slice("cells", F.lit(1), n))),
-        "op": F.when(is_step, F.element_at("raw", F.array_position("names", F.lit("Operation")).cast("int"))),
+        "m": F.when(is_step, last_named("names", "cells")),
+        "op": F.when(is_step, F.get("raw", F.array_position("names", F.lit("Operation")).cast("int") - 1)),
     })
     step = F.struct(
         "no",

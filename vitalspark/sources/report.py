@@ -6,9 +6,10 @@ parsed once whatever the number of sections. A section config says which heading
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass, field
 from html.parser import HTMLParser
+from itertools import islice
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -56,6 +57,23 @@ class _Tables(HTMLParser):
             self.near = " ".join(data.split())
 
 
+#: Rows that leave the parser together.
+ROWS_AT_ONCE = 512
+#: Characters that are given to the parser together.
+FED_AT_ONCE = 1 << 16
+
+
+def _tables(content: str) -> Iterator[dict]:
+    """The tables of a report one after the other, while it is parsed."""
+    p = _Tables()
+    for i in range(0, len(content), FED_AT_ONCE):
+        p.feed(content[i : i + FED_AT_ONCE])
+        done, p.tables = p.tables, []
+        yield from done
+
+
+#: Summaries of the tables that tell of the instance and of the snapshots.
+INFO = ("database instance information", "snapshot information")
 ROWS = (
     "path string, heading string, summary string, table_no int, row_no int, cells map<string,string>, row array<string>, header "
     "map<string,string>"
@@ -64,13 +82,17 @@ ROWS = (
 HEADER = ("dbname", "instance", "instnum", "snapid", "snaptime")
 
 
-def _header(tables: list[dict]) -> dict[str, str]:
+def _header(tables: Iterable[dict]) -> dict[str, str]:
     plain = lambda x: "".join(x.split()).lower()
     found: dict[str, str] = {}
+    seen = set()
     for t in tables:
-        head, info = [plain(x) for x in t["rows"][0]] if t["rows"] else [], "database instance information" in t["summary"]
-        if not info and "snapshot information" not in t["summary"]:
+        head, info = [plain(x) for x in t["rows"][0]] if t["rows"] else [], INFO[0] in t["summary"]
+        if not info and INFO[1] not in t["summary"]:
+            if len(seen) == 2:  # both kinds stand at the top of a report: the rest needn't be parsed for this
+                return found
             continue
+        seen.add(info)
         for cells in t["rows"][1:]:
             if info or (cells and cells[0].lower().startswith("begin snap")):
                 for name, value in zip(head, cells, strict=False):
@@ -83,23 +105,24 @@ def report_rows(files: DataFrame) -> DataFrame:
     """Long rows of every table in (path, content). The header row is number -1; ``row`` has the plain cells. Header names are stripped
     of repeated blanks; cells beyond the header are dropped, repeated names keep the last."""
 
+    kind = pa.map_(pa.string(), pa.string())
+    kinds = [pa.string()] * 3 + [pa.int32()] * 2 + [kind, pa.list_(pa.string()), kind]
+    names = ["path", "heading", "summary", "table_no", "row_no", "cells", "row", "header"]
+
+    def rows_of(path: str, content: str) -> Iterator[tuple]:
+        header = list(_header(_tables(content)).items())
+        for k, t in enumerate(_tables(content)):
+            head = t["rows"][0] if t["rows"] else []
+            for n, cells in enumerate(t["rows"], start=-1):
+                yield path, t["heading"], t["summary"], k, n, list(dict(zip(head, cells, strict=False)).items()), cells, header
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kind = pa.map_(pa.string(), pa.string())
         for batch in batches:
-            out: list[list] = [[] for _ in range(8)]
-            for path, content in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                p = _Tables()
-                p.feed(content or "")
-                header = list(_header(p.tables).items())
-                for k, t in enumerate(p.tables):
-                    head = t["rows"][0] if t["rows"] else []
-                    for n, cells in enumerate(t["rows"], start=-1):
-                        own = (path, t["heading"], t["summary"], k, n, list(dict(zip(head, cells, strict=False)).items()), cells, header)
-                        for c, v in zip(out, own, strict=True):
-                            c.append(v)
-            kinds = [pa.string()] * 3 + [pa.int32()] * 2 + [kind, pa.list_(pa.string()), kind]
-            names = ["path", "heading", "summary", "table_no", "row_no", "cells", "row", "header"]
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds, strict=True)], names)
+            for i in range(batch.num_rows):  # one report at a time, whatever the number of reports in a batch
+                path, content = (batch.column(c)[i].as_py() for c in (0, 1))
+                rows = rows_of(path, content or "")
+                while some := list(islice(rows, ROWS_AT_ONCE)):
+                    yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*some, strict=True), kinds, strict=True)], names)
 
     return files.select("path", "content").mapInArrow(run, ROWS)
 
@@ -427,7 +450,7 @@ def _header_columns() -> dict[str, Column]:
         "instance": at("instance"),
         "instnum": at("instnum").try_cast("int"),
         "begin_snap": at("snapid").try_cast("int"),
-        "snap_time": F.to_timestamp_ntz(at("snaptime"), F.lit("dd-MMM-yy HH:mm:ss")),
+        "snap_time": S.day_first_time(at("snaptime")),
     }
 
 
@@ -439,6 +462,20 @@ def metadata(rows: DataFrame) -> DataFrame:
     ).select("path", *[c.alias(n) for n, c in _header_columns().items()])
 
 
+def metadata_rejects(rows: DataFrame) -> DataFrame:
+    """(path, reason, text) of reports whose metadata is not whole: ``no instance``, ``no snapshot`` or ``bad snap time``, one row for each."""
+    at = lambda name: F.nullif(F.col("header")[name], F.lit(""))
+    one = rows.groupBy("path").agg(F.first("header").alias("header"))
+    found = lambda bad, reason, text: F.when(bad, F.struct(F.lit(reason).alias("reason"), text.alias("text")))
+    time = at("snaptime")
+    each = F.array_compact(F.array(
+        found(at("dbname").isNull() | at("instance").isNull(), "no instance", at("dbname")),
+        found(at("snapid").try_cast("int").isNull(), "no snapshot", at("snapid")),
+        found(time.isNotNull() & S.day_first_time(time).isNull(), "bad snap time", time),
+    ))
+    return one.select("path", F.explode(each).alias("r")).select("path", "r.*")
+
+
 def facts_of(rows: DataFrame, table: str) -> DataFrame:
     """SRC1 and SRC2: the rows of one table with their report's metadata and row hash, from parsed rows (``report_rows``). Parsed
     rows that are written once serve every table."""
