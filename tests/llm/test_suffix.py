@@ -66,3 +66,22 @@ def test_frequent_anchors_are_dealt_anew(docs_of):
         out = suffix_dedup.remove_repeats(docs_of(texts), group=group).collect()
         got = {x["doc_id"]: (x["n_bytes"], sum(s["end"] - s["start"] for s in x["spans"]), len(x["spans"])) for x in out}
         assert got == {i: x[:3] for i, x in test_operators.plain_repeats(dict(enumerate(texts))).items()}
+
+
+@pytest.mark.parametrize("order", [[0, 1, 2, 3, 4, 5, 6], [0, 2, 1, 3, 6, 5, 4]])
+@pytest.mark.parametrize("partitions", [1, 3])
+def test_repeated_ids(docs_of, order, partitions):
+    """Rows of one id with other texts are documents by the SHA-256 of their texts; rows equal in id and text are one document."""
+    import hashlib
+
+    import test_operators
+
+    r = np.random.default_rng(9)
+    a, y = ("".join(map(chr, r.integers(97, 123, n))) for n in (300, 40))
+    rows = [(0, a), (1, "x" + a + y), (1, "short"), (2, a[100:] + y), (1, "x" + a + y), (3, None), (None, a)]
+    documents = sorted({(i, t or "") for i, t in rows if i is not None}, key=lambda d: (d[0], hashlib.sha256(d[1].encode()).hexdigest()))
+    want = test_operators.plain_repeats({k: t for k, (_, t) in enumerate(documents)})
+    given = [rows[k] for k in order]
+    out = suffix_dedup.op6_suffix_dedup(docs_of([t for _, t in given], ids=[i for i, _ in given]).repartition(partitions)).collect()
+    expected = [(i, *want[documents.index((i, t or ""))][:3]) if i is not None else (None, len(t), 0, 0) for i, t in rows]
+    assert sorted(((x["doc_id"], x["n_bytes"], x["n_removed"], x["n_spans"]) for x in out), key=repr) == sorted(expected, key=repr)

@@ -46,6 +46,10 @@ class Scratch:
         self._paths[id(out)] = (out, path)
         return out
 
+    def tables(self) -> list[DataFrame]:
+        """The tables that have not been dropped."""
+        return [t for t, _ in self._paths.values()]
+
     def drop(self, *tables: DataFrame) -> None:
         jvm = self.spark.sparkContext._jvm
         conf = self.spark.sparkContext._jsc.hadoopConfiguration()

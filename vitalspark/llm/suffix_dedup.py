@@ -15,8 +15,9 @@ the corpus together is out of reach, so the suffixes are dealt by content:
    the anchor with those (``_second_anchors``); then as in 2 and 3. Where even such a group has more than ``GROUP`` contents (all alike in 66
    of at most 168 bytes), its windows' hashes are aggregated instead.
 
-Nulls count as empty; texts under ``LENGTH`` bytes lose nothing. Rows that repeat an id count as one document, so copies should carry their own id;
-rows without an id are not searched and lose nothing.
+Nulls count as empty; texts under ``LENGTH`` bytes lose nothing. Rows that repeat an id with other texts are documents of their own, which follow each
+other by the SHA-256 of their texts; rows that repeat id and text are one document and fare alike (``numbered``). Rows without an id are not
+searched and lose nothing.
 Extra columns are not read. Contents are compared by 128 bits of hash in step 2 (anchor and content) and at the end of 4, byte by byte in step 3.
 """
 
@@ -363,12 +364,25 @@ def _of_frequent_anchors(heavy: DataFrame, group: int, scratch: Scratch) -> Data
     return again.union(_resolved(unsure.where(F.col("many") <= group))).union(rest)
 
 
-def repeated_spans(
-    docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", group: int = GROUP, scratch: Scratch | None = None
-) -> DataFrame:
-    """(id, windows): for every document with repeated windows, their runs as array<struct<start, n>>, offsets in bytes."""
-    scratch = scratch or Scratch(docs.sparkSession, "suffix")
-    texts = docs.select(F.col(id_column).cast("long").alias("id"), F.col(text_column).alias("text")).where("id is not null")
+def numbered(docs: DataFrame, scratch: Scratch) -> DataFrame:
+    """``docs`` (id, text) with ``no``, a number for each document, in order of ids and, where an id repeats, of the texts' SHA-256; null without an id.
+
+    Where no id repeats, which one aggregate of ids tells, the id is the number. Else documents are sorted by range as (id, SHA-256) and numbered in place."""
+    own = docs.withColumn("no", F.col("id").cast("long"))
+    if own.where("id is not null").groupBy("id").agg(F.count("*").alias("c")).where("c > 1").isEmpty():
+        return own
+    summed = docs.withColumn("sum", F.sha2(F.coalesce("text", F.lit("")), 256))
+    keys = summed.where("id is not null").groupBy("id", "sum").agg(F.count("*").alias("c"))
+    in_order = keys.repartitionByRange("id", "sum").sortWithinPartitions("id", "sum").withColumn("no", F.monotonically_increasing_id())
+    found = spread_join(summed, scratch.table(in_order), ["id", "sum"], "c", docs.count(), "left")
+    return found.select("id", "text", "no")
+
+
+def repeated_spans(texts: DataFrame, group: int = GROUP, scratch: Scratch | None = None) -> DataFrame:
+    """(id, windows): for every document with repeated windows, their runs as array<struct<start, n>>, offsets in bytes. ``texts``: id (long, no repeats
+    and no nulls), text."""
+    scratch = scratch or Scratch(texts.sparkSession, "suffix")
+    kept = list(scratch.tables())
     anchors = texts.mapInArrow(_anchors, "h long, content long, id long, start int, n int")
     often = scratch.table(
         texts.select("text").mapInArrow(_anchor_hashes, "h long").groupBy("h").agg(F.count("*").alias("c")).where("c > 1")
@@ -389,7 +403,7 @@ def repeated_spans(
     whole = scratch.table(
         lists.select("id", F.transform(F.array_except("own", "firsts"), domain).alias("windows")).where(F.size("windows") > 0)
     )
-    scratch.drop_all(unsure, whole)
+    scratch.drop_all(unsure, whole, *kept)
     asked = unsure.groupBy("id").agg(F.collect_list(F.struct("h", "many", "start", "n")).alias("open"))
     cut = scratch.table(texts.join(asked, "id").mapInArrow(_cut_out, "h long, many long, id long, start int, raw binary"))
     single = _resolved(cut.where(F.col("many") <= group))
@@ -398,7 +412,7 @@ def repeated_spans(
         single = single.union(_of_frequent_anchors(heavy, group, scratch))
     some = single.groupBy("id").agg(F.collect_list(F.struct("start", "n")).alias("windows"))
     out = scratch.table(whole.union(some).groupBy("id").agg(F.flatten(F.collect_list("windows")).alias("windows")))
-    scratch.drop_all(out)
+    scratch.drop_all(out, *kept)
     return out
 
 
@@ -417,8 +431,15 @@ def covered(rows: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.nd
 
 def remove_repeats(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", group: int = GROUP) -> DataFrame:
     """(id, n_bytes, spans, kept) of every row: removed byte runs, and the remaining bytes."""
-    found = repeated_spans(docs, id_column, text_column, group)
-    texts = docs.select(F.col(id_column).alias("id"), F.col(text_column).alias("text")).join(found, "id", "left")
+    scratch = Scratch(docs.sparkSession, "suffix")
+    plain = docs.select(F.col(id_column).alias("id"), F.col(text_column).alias("text"))
+    each = numbered(plain, scratch)
+    searched = each.where("no is not null").select(F.col("no").alias("id"), "text")
+    if scratch.tables():  # some id repeats: rows of one number are one document
+        each = scratch.table(each)
+        searched = scratch.table(each.where("no is not null").groupBy(F.col("no").alias("id")).agg(F.any_value("text").alias("text")))
+    found = repeated_spans(searched, group, scratch).withColumnRenamed("id", "no")
+    texts = each.join(found, "no", "left").select("id", "text", "windows")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
