@@ -5,10 +5,12 @@ are active from the first shard; a longer phrase becomes active as soon as both
 threshold, in the midst of a cycle, and is counted until every shard has been seen once since it was first counted. So lengths overlap and a
 corpus is scanned less than once for each length, and phrases with a rare part are never counted.
 
-Which phrases have reached the threshold is told to the tasks by two bit maps of fixed size for each length (all, and those of the last cycle). A map may
-take a phrase for active that isn't: that costs work, not correctness, since any phrase that is counted over one whole cycle has its exact count.
-Bits are never taken back and the second map holds a phrase for one whole cycle, so no counting ends early. Tasks group phrases by their
-words, not by hashes; counts are added up by lang and phrase in one shuffle with the counts so far, and written as a table.
+While shards are scanned, a phrase is a 64-bit hash of its lang and words: tasks sort hashes and count them, and rows of two numbers are added to the
+counts so far in one shuffle and written as a table. Which phrases have reached the threshold is told to the tasks by two bit maps of fixed size for each
+length (all, and those of the last cycle). A map may take a phrase for active that isn't: that costs work, not correctness, since any phrase that
+is counted over one whole cycle has its full count. Bits are never taken back and the second map holds a phrase for one whole cycle, so no
+counting ends early. Phrases that share a hash are counted as one, which can only raise a count; so the phrases found are all frequent ones and
+perhaps, by such chance, others. A last scan reads the words of the phrases found and counts these exactly, by lang and words.
 
 Defined cases. Null texts are empty; null langs are ``und``, together with a lang of that name. Ids are not looked at: repeated rows count as often as
 they stand. Empty tables and texts without words give no rows. Columns besides text and lang are not looked at.
@@ -33,13 +35,16 @@ SHARDS = 3
 #: Bits of one map; a power of two.
 BITS = 1 << 23
 #: Bytes of text that a task works on at once.
-SLICE = 1 << 23
+SLICE = 1 << 22
+#: Phrases whose words are written out at once.
+WRITTEN = 1 << 16
 
 BREAKS = ".,;:!?\x0a\x0b\x0c\x0d"
 _INSIDE = table_of(" \t" + BREAKS, False)
 _BREAK = table_of(BREAKS)
 
-_COUNTS = "lang string, k int, phrase string, h long, n long"
+_COUNTS = "k int, h long, n long"
+_WORDS = "lang string, k int, phrase string, h long, n long"
 _ARROW = pa.schema([("lang", pa.string()), ("k", pa.int32()), ("phrase", pa.string()), ("h", pa.int64()), ("n", pa.int64())])
 
 
@@ -73,71 +78,78 @@ SELECT lang, CAST(rank AS BIGINT) AS rank, phrase, a, best.l AS l, best.r AS r,
 
 
 class Slice:
-    """The words of some texts: bytes of every word followed by a blank, which words stand in one piece, and running hashes."""
+    """The words of some texts: which ones stand together in one piece, and running hashes of phrases."""
 
     def __init__(self, texts: pa.Array, langs: pa.Array):
         data, offsets = utf8(texts)
-        data = LOWER[data]
-        inside = _INSIDE[data]
-        start, end, first = words(inside, offsets)
-        self.n = n = len(start)
-        doc = np.repeat(np.arange(len(offsets) - 1), np.diff(first))
+        self.data = data = LOWER[data]
+        self.start, self.end, first = words(_INSIDE[data], offsets)
+        self.n = n = len(self.start)
+        doc = np.repeat(np.arange(len(offsets) - 1, dtype=np.int32), np.diff(first))
         coded = langs.dictionary_encode()
         self.langs = coded.dictionary.to_pylist()
-        self.lang = coded.indices.to_numpy().astype(np.int64)[doc] if n else np.zeros(0, np.int64)
-        breaks = np.concatenate([[0], np.cumsum(_BREAK[data])])
-        piece = breaks[start]
-        #: Words from each word to the end of its piece, itself included: up to LONGEST are told apart.
-        joined = np.zeros(n, bool)
-        joined[:-1] = (doc[1:] == doc[:-1]) & (piece[1:] == piece[:-1]) if n else False
-        self.joined = joined
-        length = end - start
-        self.offset = np.concatenate([[0], np.cumsum(length + 1)])
-        self.bytes = np.full(int(self.offset[-1]), 32, np.uint8)
-        self.bytes[np.repeat(self.offset[:-1], length) + ranges(length)] = data[inside]
-        plain = pa.Array.from_buffers(
-            pa.large_binary(), n, [None, pa.py_buffer(np.concatenate([[0], np.cumsum(length)]).astype(np.int64)), pa.py_buffer(np.ascontiguousarray(data[inside]))]
-        ).dictionary_encode()
-        self.word, self.vocabulary = plain.indices.to_numpy().astype(np.int64), len(plain.dictionary)
-        self.hash = span_hashes(data, start, end) if n else np.zeros(0, U64)
         raw, off = utf8(coded.dictionary)
-        self.lang_hash = span_hashes(raw, off[:-1], off[1:]) if len(raw) else np.zeros(len(self.langs), U64)
+        lang_hash = span_hashes(raw, off[:-1], off[1:]) if len(raw) else np.zeros(len(self.langs), U64)
+        #: Whether a word and the next one stand in the same piece.
+        self.joined = np.zeros(n, bool)
+        if n:
+            self.lang = coded.indices.to_numpy()[doc]
+            breaks = np.flatnonzero(_BREAK[data])
+            piece = np.searchsorted(breaks, self.start)
+            self.joined[:-1] = (doc[1:] == doc[:-1]) & (piece[1:] == piece[:-1])
+            self.word = span_hashes(data, self.start, self.end)
+            self.first = mix(self.word + mix(lang_hash + U64(1))[self.lang])
 
     def grams(self, longest: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-        """For k = 1, 2, ...: k, the words at which a phrase of k words begins, and the hashes of these phrases with their lang."""
-        at = np.arange(self.n)
-        h = mix(self.hash + mix(self.lang_hash[self.lang] + U64(1))) if self.n else self.hash
+        """For k = 1, 2, ...: k, for each word whether k words from there stand in one piece, and the hash of that phrase with its lang."""
+        whole, h = np.ones(self.n, bool), self.first
         for k in range(1, longest + 1):
-            yield k, at, h
-            more = self.joined[at + k - 1]
-            at, h = at[more], h[more]
-            h = mix(h * U64(0x9E3779B97F4A7C15) + self.hash[at + k])
-
-    def counted(self, k: int, at: np.ndarray, h: np.ndarray) -> pa.RecordBatch:
-        """One row for each lang and phrase of k words that begins at one of ``at``."""
-        key, bound = self.lang[at], len(self.langs)
+            yield k, whole, h
+            if k < longest and self.n > k:
+                whole = whole.copy()
+                whole[:-k] &= self.joined[k - 1 : -1]
+                whole[-k:] = False
+                h = h.copy()
+                h[:-k] = mix(h[:-k] * U64(0x9E3779B97F4A7C15) + self.word[k:])
+            elif k < longest:
+                return
+
+    def written(self, k: int, at: np.ndarray, h: np.ndarray) -> Iterator[pa.RecordBatch]:
+        """Rows of lang, words and number for the phrases of k words that begin at ``at``: words with one blank between them."""
+        order = np.argsort(h, kind="stable")
+        at, h = at[order], h[order]
+        first = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]]))
+        run = np.diff(np.append(first, len(h)))
+        same = np.ones(len(at), bool)
+        head = np.repeat(at[first], run)
         for j in range(k):
-            if bound * self.vocabulary >= 1 << 62:
-                seen, key = np.unique(key, return_inverse=True)
-                bound = len(seen)
-            key = key * self.vocabulary + self.word[at + j]
-            bound *= self.vocabulary
-        _, one, n = np.unique(key, return_index=True, return_counts=True)
-        at, h = at[one], h[one]
-        length = self.offset[at + k] - 1 - self.offset[at]
-        raw = self.bytes[np.repeat(self.offset[at], length) + ranges(length)]
-        phrase = pa.Array.from_buffers(
-            pa.large_string(), len(at), [None, pa.py_buffer(np.concatenate([[0], np.cumsum(length)]).astype(np.int64)), pa.py_buffer(raw)]
-        ).cast(pa.string())
-        return pa.RecordBatch.from_arrays(
-            [pa.array(self.langs, pa.string()).take(pa.array(self.lang[at])), pa.array(np.full(len(at), k, np.int32)), phrase, pa.array(h.view(np.int64)), pa.array(n)],
-            schema=_ARROW,
-        )
+            same &= self.word[at + j] == self.word[head + j]
+        same &= self.lang[at] == self.lang[head]  # equal hashes of unequal phrases: the odd ones get rows of their own
+        one = np.concatenate([at[first], at[~same]])
+        n = np.concatenate([run - np.add.reduceat((~same).astype(np.int64), first), np.ones(int((~same).sum()), np.int64)])
+        keys = np.concatenate([h[first], h[~same]])
+        for i in range(0, len(one), WRITTEN):
+            some = one[i : i + WRITTEN]
+            begin = (some[:, None] + np.arange(k)).reshape(-1)
+            size = self.end[begin] - self.start[begin]
+            room = size + np.tile(np.arange(k) < k - 1, len(some))  # a blank after each word but the last
+            out = np.full(int(room.sum()), 32, np.uint8)
+            to = np.cumsum(room) - room
+            out[np.repeat(to, size) + ranges(size)] = self.data[np.repeat(self.start[begin], size) + ranges(size)]
+            ends = (to + room)[k - 1 :: k]
+            phrase = pa.Array.from_buffers(pa.large_string(), len(some), [None, pa.py_buffer(np.concatenate([[0], ends]).astype(np.int64)), pa.py_buffer(out)])
+            yield pa.RecordBatch.from_arrays(
+                [
+                    pa.array(self.langs, pa.string()).take(pa.array(self.lang[some])), pa.array(np.full(len(some), k, np.int32)), phrase.cast(pa.string()),
+                    pa.array(keys[i : i + WRITTEN].view(np.int64)), pa.array(n[i : i + WRITTEN])
+                ],
+                schema=_ARROW,
+            )
 
     def totals(self) -> pa.RecordBatch:
         """Words by lang, as phrases of no words."""
-        n = np.bincount(self.lang, minlength=len(self.langs))
         size = len(self.langs)
+        n = np.bincount(self.lang, minlength=size)
         return pa.RecordBatch.from_arrays(
             [pa.array(self.langs, pa.string()), pa.array(np.zeros(size, np.int32)), pa.array([""] * size, pa.string()), pa.array(np.zeros(size, np.int64)), pa.array(n)],
             schema=_ARROW,
@@ -146,11 +158,15 @@ class Slice:
 
 def _holds(bits: np.ndarray, h: np.ndarray) -> np.ndarray:
     at = h & U64(len(bits) * 64 - 1)
-    return (bits[(at >> U64(6)).astype(np.int64)] >> (at & U64(63))) & U64(1) == 1
+    return (bits[at >> U64(6)] >> (at & U64(63))) & U64(1) == 1
 
 
 def _scan(singles: bool, maps) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """Counts one shard's active phrases. ``maps``: a broadcast of {length: (reached, reached in the last cycle)}."""
+    """Counts one shard's active phrases by hash. ``maps``: a broadcast of {length: (reached, reached in the last cycle)}."""
+
+    def counted(k: int, h: np.ndarray) -> pa.RecordBatch:
+        found, n = np.unique(h, return_counts=True)
+        return pa.RecordBatch.from_arrays([pa.array(np.full(len(found), k, np.int32)), pa.array(found.view(np.int64)), pa.array(n)], ["k", "h", "n"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = maps.value
@@ -159,20 +175,35 @@ def _scan(singles: bool, maps) -> Callable[[Iterator[pa.RecordBatch]], Iterator[
             some = Slice(batch.column(1), batch.column(0))
             if not some.n:
                 continue
-            shorter = None
-            for k, at, h in some.grams(longest):
+            before = None
+            for k, whole, h in some.grams(longest):
                 if k == 1 and singles:
-                    yield some.totals()
-                    yield some.counted(1, at, h)
-                if k > 1 and k - 1 in known and len(at):
-                    every, recent = known[k - 1]
-                    before, begins = shorter
-                    left, right = before[np.searchsorted(begins, at)], before[np.searchsorted(begins, at + 1)]
-                    active = _holds(every, left) & _holds(every, right)
-                    active &= _holds(recent, left) | _holds(recent, right)
+                    yield counted(1, h)
+                if k > 1 and k - 1 in known:
+                    every, recent = (_holds(bits, before) for bits in known[k - 1])
+                    active = whole[:-1] & every[:-1] & every[1:] & (recent[:-1] | recent[1:])
                     if active.any():
-                        yield some.counted(k, at[active], h[active])
-                shorter = h, at
+                        yield counted(k, h[:-1][active])
+                before = h
+
+    return run
+
+
+def _read(maps) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Rows of the phrases that the maps hold, and of all words by lang."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = maps.value
+        for batch in slices(batches, 1, SLICE):
+            some = Slice(batch.column(1), batch.column(0))
+            if not some.n:
+                continue
+            yield some.totals()
+            for k, whole, h in some.grams(max([1, *known])):
+                if k in known:
+                    at = np.flatnonzero(whole & _holds(known[k][0], h))
+                    if len(at):
+                        yield from some.written(k, at, h[at])
 
     return run
 
@@ -205,10 +236,8 @@ def phrase_counts(
     state = spark.createDataFrame([], f"{_COUNTS}, start int, reach int")
     reached: dict[int, int] = {}  # the last step at which a phrase of so many words reached the threshold
     step = 0
-    while True:
+    while step < shards or any(reached.get(k, -1 - shards) >= step - shards for k in range(1, longest)):
         lengths = [k for k in range(1, longest) if reached.get(k, -1 - shards) >= step - shards]
-        if step >= shards and not lengths:
-            return state.where("k = 0 or reach is not null")
         maps = spark.sparkContext.broadcast(_maps(state, lengths, step, shards, bits) if lengths else {})
         counts = corpus.where(F.col("shard") == step % shards).select("lang", "text").mapInArrow(_scan(step < shards, maps), _COUNTS)
         new = scratch.table(_added(state, counts, step, shards, least))
@@ -216,8 +245,18 @@ def phrase_counts(
         if step:
             scratch.drop(state)
         state = new
-        reached = {r["k"]: r["r"] for r in state.where("k > 0").groupBy("k").agg(F.max("reach").alias("r")).collect() if r["r"] is not None}
+        reached = {r["k"]: r["r"] for r in state.groupBy("k").agg(F.max("reach").alias("r")).collect() if r["r"] is not None}
         step += 1
+    found = state.where("reach is not null")
+    maps = spark.sparkContext.broadcast(_maps(state, list(range(1, longest + 1)), step, shards, bits))
+    rows = corpus.select("lang", "text").mapInArrow(_read(maps), _WORDS).groupBy("lang", "k", "phrase", "h").agg(F.sum("n").alias("n"))
+    counts = rows.join(found.select("k", "h", F.lit(True).alias("found")), ["k", "h"], "left").where("k = 0 or found").groupBy("lang", "k", "phrase").agg(
+        F.sum("n").alias("n")
+    ).where((F.col("k") == 0) | (F.col("n") >= least))
+    out = scratch.table(counts)
+    maps.destroy()
+    scratch.drop(state, corpus)
+    return out
 
 
 def _added(state: DataFrame, counts: DataFrame, step: int, shards: int, least: int) -> DataFrame:
@@ -226,16 +265,11 @@ def _added(state: DataFrame, counts: DataFrame, step: int, shards: int, least: i
     both = state.withColumn("new", F.lit(0).cast("long")).unionByName(
         counts.withColumns({"new": F.col("n"), "n": F.lit(0).cast("long"), "start": none, "reach": none})
     )
-    start = F.coalesce("start", F.lit(step))
-    summed = both.groupBy("lang", "k", "phrase").agg(
-        F.max("h").alias("h"), F.sum("n").alias("n"), F.sum("new").alias("new"), F.max("start").alias("start"), F.max("reach").alias("reach")
-    ).withColumn("start", start)
+    summed = both.groupBy("k", "h").agg(F.sum("n").alias("n"), F.sum("new").alias("new"), F.max("start").alias("start"), F.max("reach").alias("reach"))
+    summed = summed.withColumn("start", F.coalesce("start", F.lit(step)))
     added = summed.withColumn("n", F.col("n") + F.when(F.col("start") + shards > step, F.col("new")).otherwise(0))
     ends = F.col("start") + shards <= step + 1
-    return added.where((F.col("k") == 0) | ~ends | (F.col("n") >= least)).select(
-        "lang", "k", "phrase", "h", "n", "start",
-        F.coalesce("reach", F.when((F.col("k") > 0) & (F.col("n") >= least), F.lit(step))).alias("reach")
-    )
+    return added.where(~ends | (F.col("n") >= least)).select("k", "h", "n", "start", F.coalesce("reach", F.when(F.col("n") >= least, F.lit(step))).alias("reach"))
 
 
 def _part(first: Column, n: Column) -> Column:
