@@ -9,8 +9,12 @@ While shards are scanned, a phrase is a 64-bit hash of its lang and words: tasks
 counts so far in one shuffle and written as a table. Which phrases have reached the threshold is told to the tasks by two bit maps of fixed size for each
 length (all, and those of the last cycle). A map may take a phrase for active that isn't: that costs work, not correctness, since any phrase that
 is counted over one whole cycle has its full count. Bits are never taken back and the second map holds a phrase for one whole cycle, so no
-counting ends early. Phrases that share a hash are counted as one, which can only raise a count; so the phrases found are all frequent ones and
-perhaps, by such chance, others. A last scan reads the words of the phrases found and counts these exactly, by lang and words.
+counting ends early.
+
+A phrase that stands ``least`` times stands more than ``(least - 1) // shards`` times in some shard. So a phrase is held from the first shard in which it
+passes that number, with a bound for what earlier shards of its cycle may have had; the many rare phrases of a shard are never held. A phrase reaches
+the threshold as soon as its count and that bound do. Phrases that share a hash are counted as one. All this can only raise counts: the phrases
+found are all frequent ones and some others. A last scan reads the words of the phrases found and counts these exactly, by lang and words.
 
 Defined cases. Null texts are empty; null langs are ``und``, together with a lang of that name. Ids are not looked at: repeated rows count as often as
 they stand. Empty tables and texts without words give no rows. Columns besides text and lang are not looked at.
@@ -44,8 +48,8 @@ _INSIDE = table_of(" \t" + BREAKS, False)
 _BREAK = table_of(BREAKS)
 
 _COUNTS = "k int, h long, n long"
-_WORDS = "lang string, k int, phrase string, h long, n long"
-_ARROW = pa.schema([("lang", pa.string()), ("k", pa.int32()), ("phrase", pa.string()), ("h", pa.int64()), ("n", pa.int64())])
+_WORDS = "lang string, k int, phrase string, n long"
+_ARROW = pa.schema([("lang", pa.string()), ("k", pa.int32()), ("phrase", pa.string()), ("n", pa.int64())])
 
 
 def _sql_phrases(words: str, k: str) -> str:
@@ -127,7 +131,6 @@ class Slice:
         same &= self.lang[at] == self.lang[head]  # equal hashes of unequal phrases: the odd ones get rows of their own
         one = np.concatenate([at[first], at[~same]])
         n = np.concatenate([run - np.add.reduceat((~same).astype(np.int64), first), np.ones(int((~same).sum()), np.int64)])
-        keys = np.concatenate([h[first], h[~same]])
         for i in range(0, len(one), WRITTEN):
             some = one[i : i + WRITTEN]
             begin = (some[:, None] + np.arange(k)).reshape(-1)
@@ -141,7 +144,7 @@ class Slice:
             yield pa.RecordBatch.from_arrays(
                 [
                     pa.array(self.langs, pa.string()).take(pa.array(self.lang[some])), pa.array(np.full(len(some), k, np.int32)), phrase.cast(pa.string()),
-                    pa.array(keys[i : i + WRITTEN].view(np.int64)), pa.array(n[i : i + WRITTEN])
+                    pa.array(n[i : i + WRITTEN])
                 ],
                 schema=_ARROW,
             )
@@ -151,7 +154,7 @@ class Slice:
         size = len(self.langs)
         n = np.bincount(self.lang, minlength=size)
         return pa.RecordBatch.from_arrays(
-            [pa.array(self.langs, pa.string()), pa.array(np.zeros(size, np.int32)), pa.array([""] * size, pa.string()), pa.array(np.zeros(size, np.int64)), pa.array(n)],
+            [pa.array(self.langs, pa.string()), pa.array(np.zeros(size, np.int32)), pa.array([""] * size, pa.string()), pa.array(n)],
             schema=_ARROW,
         )
 
@@ -247,29 +250,30 @@ def phrase_counts(
         state = new
         reached = {r["k"]: r["r"] for r in state.groupBy("k").agg(F.max("reach").alias("r")).collect() if r["r"] is not None}
         step += 1
-    found = state.where("reach is not null")
     maps = spark.sparkContext.broadcast(_maps(state, list(range(1, longest + 1)), step, shards, bits))
-    rows = corpus.select("lang", "text").mapInArrow(_read(maps), _WORDS).groupBy("lang", "k", "phrase", "h").agg(F.sum("n").alias("n"))
-    counts = rows.join(found.select("k", "h", F.lit(True).alias("found")), ["k", "h"], "left").where("k = 0 or found").groupBy("lang", "k", "phrase").agg(
-        F.sum("n").alias("n")
-    ).where((F.col("k") == 0) | (F.col("n") >= least))
-    out = scratch.table(counts)
+    scratch.drop(state)
+    counts = corpus.select("lang", "text").mapInArrow(_read(maps), _WORDS).groupBy("lang", "k", "phrase").agg(F.sum("n").alias("n"))
+    out = scratch.table(counts.where((F.col("k") == 0) | (F.col("n") >= least)))
     maps.destroy()
-    scratch.drop(state, corpus)
+    scratch.drop(corpus)
     return out
 
 
 def _added(state: DataFrame, counts: DataFrame, step: int, shards: int, least: int) -> DataFrame:
-    """The counts so far with those of one more shard. Phrases that ended their cycle are not added to; the rare ones among them go."""
+    """The counts so far with those of one more shard. Phrases that ended their cycle are not added to; those among them that didn't reach the
+    threshold go, and so do phrases that are not held yet and are rare in this shard."""
     none = F.lit(None).cast("int")
+    rare = (least - 1) // shards
     both = state.withColumn("new", F.lit(0).cast("long")).unionByName(
         counts.withColumns({"new": F.col("n"), "n": F.lit(0).cast("long"), "start": none, "reach": none})
     )
     summed = both.groupBy("k", "h").agg(F.sum("n").alias("n"), F.sum("new").alias("new"), F.max("start").alias("start"), F.max("reach").alias("reach"))
-    summed = summed.withColumn("start", F.coalesce("start", F.lit(step)))
+    summed = summed.where(F.col("start").isNotNull() | (F.col("new") > rare)).withColumn("start", F.coalesce("start", F.lit(step)))
     added = summed.withColumn("n", F.col("n") + F.when(F.col("start") + shards > step, F.col("new")).otherwise(0))
+    missed = F.greatest(F.lit(0), F.least(F.lit(shards - 1), F.col("start") - F.col("k") + 1))  # shards of the cycle before the phrase was held
+    reach = F.coalesce("reach", F.when(F.col("n") + rare * missed >= least, F.lit(step)))
     ends = F.col("start") + shards <= step + 1
-    return added.where(~ends | (F.col("n") >= least)).select("k", "h", "n", "start", F.coalesce("reach", F.when(F.col("n") >= least, F.lit(step))).alias("reach"))
+    return added.select("k", "h", "n", "start", reach.alias("reach")).where(~ends | F.col("reach").isNotNull())
 
 
 def _part(first: Column, n: Column) -> Column:
