@@ -87,6 +87,51 @@ def cooccurrence(statements: DataFrame, segments: DataFrame, keys: Sequence[str]
     return j.groupBy("sql_id", "object_name").agg(F.sum(F.col("s1") * F.col("s2")).alias("signal"), F.count("*").alias("snaps"))
 
 
+def _signals(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> DataFrame:
+    pairs = left.join(right, list(keys)).groupBy("sql_id", "object_name")
+    return pairs.agg(F.sum(F.col("s1") * F.col("s2")).alias("signal"), F.count("*").alias("snaps"))
+
+
+def _bounds(df: DataFrame, entity: str, score: str, other: DataFrame, other_score: str, keys: Sequence[str]) -> DataFrame:
+    """What an entity's signal with any entity of the other side can be at most."""
+    ends = other.groupBy(*keys).agg(F.min(other_score).alias("low"), F.max(other_score).alias("high"))
+    most = F.greatest(F.lit(0.0), F.col(score) * F.col("low"), F.col(score) * F.col("high"))
+    return df.join(ends, list(keys)).groupBy(entity).agg(F.sum(most).alias("bound"))
+
+
+def bounded_sides(
+    statements: DataFrame, segments: DataFrame, k: int, keys: Sequence[str] = ("dbname", "instance", "begin_snap"), probes: int = 32, rounds: int = 2
+) -> tuple[DataFrame, DataFrame]:
+    """The rows of both sides whose entities can be in one of the ``k`` pairs of the greatest signal; scores as s1 and s2.
+
+    In a snapshot a statement's product with any segment is at most its product with the snapshot's extreme segment scores; the sum of these over snapshots
+    bounds all of the statement's signals, and likewise a segment's. The signals of the ``probes`` statements and segments of the greatest bounds give a
+    k-th best signal to pass; only statements and segments whose bounds reach it stay, then bounds are taken anew among those that stay. The driver
+    gets one number a round."""
+    left, right = statements.select(*keys, "sql_id", F.col("score").alias("s1")), segments.select(*keys, "object_name", F.col("score").alias("s2"))
+    probe = lambda df, u, entity: df.join(u.orderBy(F.desc("bound"), entity).limit(probes).select(entity), entity, "left_semi")
+    for _ in range(rounds):
+        u1, u2 = _bounds(left, "sql_id", "s1", right, "s2", keys), _bounds(right, "object_name", "s2", left, "s1", keys)
+        best = _signals(probe(left, u1, "sql_id"), probe(right, u2, "object_name"), keys).orderBy(F.desc("signal")).limit(k)
+        found = best.agg(F.count("*").alias("n"), F.min("signal").alias("least")).first()
+        if found["n"] < k:
+            break
+        least = F.lit(float(found["least"]))
+        reach = F.col("bound") >= least - F.abs(least) * 1e-9  # room for the order of sums
+        left = left.join(u1.where(reach).select("sql_id"), "sql_id", "left_semi").select(left.columns)
+        right = right.join(u2.where(reach).select("object_name"), "object_name", "left_semi").select(right.columns)
+    return left, right
+
+
+def cooccurrence_top(
+    statements: DataFrame, segments: DataFrame, k: int, keys: Sequence[str] = ("dbname", "instance", "begin_snap"), probes: int = 32, rounds: int = 2
+) -> DataFrame:
+    """J12, the ``k`` pairs of the greatest signal (by signal, sql_id, object_name), without summing all pairs: only those of ``bounded_sides``. Exact:
+    a pair that is left out lies below k others. Both sides: keys, entity and ``score``, one row each."""
+    left, right = bounded_sides(statements, segments, k, keys, probes, rounds)
+    return _signals(left, right, keys).orderBy(F.desc("signal"), "sql_id", "object_name").limit(k)
+
+
 def metadata_enrich(segments: DataFrame, meta: DataFrame, columns: Sequence[str]) -> DataFrame:
     """Metadata by owner and object, else by the object alone; of several the first in order of owner. Columns get the prefix ``m_``."""
     up = lambda c: F.upper(F.col(c).cast("string"))
@@ -128,24 +173,24 @@ def ledger_anti(candidates: DataFrame, ledger: DataFrame) -> DataFrame:
 def step_match(before: DataFrame, after: DataFrame, keys: Sequence[str] = ("plan",)) -> DataFrame:
     """Steps of two plans paired by (operation, object), the n-th with the n-th, then what is left by position.
 
-    Both sides: keys, step_id, operation, object_name. Result: keys, step_before, step_after, how (same, moved, removed, added)."""
-
-    def numbered(df: DataFrame, side: str) -> DataFrame:
-        d = df.select(
-            *keys,
-            F.col("step_id").alias(f"step_{side}"),
-            F.upper("operation").alias("op"),
-            F.coalesce(F.upper("object_name"), F.lit("")).alias("ob"),
-        )
-        return d.withColumn("n", F.row_number().over(W.partitionBy(*keys, "op", "ob").orderBy(f"step_{side}")))
-
-    both = numbered(before, "before").join(numbered(after, "after"), [*keys, "op", "ob", "n"], "full")
-    same = both.where("step_before is not null and step_after is not null").select(
-        *keys, "step_before", "step_after", F.lit("same").alias("how")
+    Both sides: keys, step_id, operation, object_name. Result: keys, step_before, step_after, how (same, moved, removed, added). The steps of a plan
+    are dealt once, by plan; the lists of equal steps and then the lists of what is left are zipped in place."""
+    key = [F.col(c) for c in keys]
+    what = [F.upper("operation").alias("op"), F.coalesce(F.upper("object_name"), F.lit("")).alias("ob"), F.col("step_id").alias("step")]
+    none = F.lit(None).cast(before.schema["step_id"].dataType)
+    both = before.select(*key, *what, F.lit(0).alias("side")).union(after.select(*key, *what, F.lit(1))).repartition(*keys)
+    steps = lambda side: F.sort_array(F.collect_list(F.when(F.col("side") == side, F.col("step"))))
+    each = both.groupBy(*keys, "op", "ob").agg(steps(0).alias("b"), steps(1).alias("a"))
+    n = F.least(F.size("b"), F.size("a"))
+    beyond = lambda c: F.slice(c, n + 1, F.size(c))
+    pair = lambda b, a, how: F.struct(b.alias("step_before"), a.alias("step_after"), how.alias("how"))
+    same = F.transform(F.slice("b", F.lit(1), n), lambda x, i: pair(x, F.get("a", i), F.lit("same")))
+    plan = each.select(*key, same.alias("same"), beyond("b").alias("b"), beyond("a").alias("a")).groupBy(*keys).agg(
+        F.flatten(F.collect_list("same")).alias("same"), F.sort_array(F.flatten(F.collect_list("b"))).alias("b"), F.sort_array(F.flatten(F.collect_list("a"))).alias("a")
     )
-    rest = lambda side: both.where(f"step_{'after' if side == 'before' else 'before'} is null").select(
-        *keys, f"step_{side}", F.row_number().over(W.partitionBy(*keys).orderBy(f"step_{side}")).alias("n")
-    )
-    left = rest("before").join(rest("after"), [*keys, "n"], "full")
-    how = F.when(F.col("step_after").isNull(), "removed").when(F.col("step_before").isNull(), "added").otherwise("moved")
-    return same.unionByName(left.select(*keys, "step_before", "step_after", how.alias("how")))
+    longest = F.greatest(F.size("b"), F.size("a"))
+    at = F.when(longest > 0, F.sequence(F.lit(0), F.greatest(longest, F.lit(1)) - 1)).otherwise(F.array().cast("array<int>"))
+    ends = F.least(F.size("b"), F.size("a"))
+    how = lambda i: F.when(i < ends, "moved").when(i < F.size("b"), "removed").otherwise("added")
+    rest = F.transform(at, lambda i: pair(F.coalesce(F.get("b", i), none), F.coalesce(F.get("a", i), none), how(i)))
+    return plan.select(*key, F.explode(F.concat("same", rest)).alias("p")).select(*key, "p.*")

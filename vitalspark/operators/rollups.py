@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
+from .ranks import exact_percentiles
 from .select import top_k
 
 SNAP = ("dbname", "instance", "begin_snap")
@@ -186,11 +187,9 @@ def average_by(df: DataFrame, key: str, value: str, like: str | None = None) ->
 
 
 def percentile_thresholds(scored: DataFrame, entity: str, by: Sequence[str] = (), at: Sequence[float] = (0.1, 0.4, 0.7, 0.9)) -> DataFrame:
-    """Exact percentiles of the entities' mean scores."""
+    """Exact percentiles of the entities' mean scores, by rank selection."""
     means = scored.groupBy(*by, entity).agg(F.avg("score").alias("mean_score"))
-    return means.groupBy(*by).agg(
-        *[F.expr(f"percentile_cont({p}) WITHIN GROUP (ORDER BY mean_score)").alias(f"p{round(p * 100)}") for p in at]
-    )
+    return exact_percentiles(means, by, "mean_score", at)
 
 
 def device_scorecard(disks: DataFrame) -> DataFrame:

@@ -111,7 +111,7 @@ def host_anomalies(
 
 
 def snapshot_anomalies(
-    facts: DataFrame, times: DataFrame, baseline_days: int = 30, threshold: float = 1.5, min_samples: int = 3
+    facts: DataFrame, times: DataFrame, baseline_days: int = 90, threshold: float = 1.5, min_samples: int = 3
 ) -> DataFrame:
     """Every database, instance, snapshot and check. ``facts``: dbname, instance, begin_snap, source, object, value (melted);
     ``times``: dbname, instance, begin_snap, snap_time, one row a snapshot.

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -24,7 +25,8 @@ def rag_ranking(scored: DataFrame, entity: str, by: Sequence[str] = ("dbname",))
     """Entities by mean score, coloured by the group's percentiles, with a score normalised between p10 and p90."""
     p = rollups.percentile_thresholds(scored, entity, by)
     means = scored.groupBy(*by, entity).agg(F.avg("score").alias("mean_score"))
-    j = means.join(p, list(by))
+    same = reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(f"__{c}")) for c in by], F.lit(True))
+    j = means.join(p.withColumnsRenamed({c: f"__{c}" for c in by}), same)
     m = F.col("mean_score")
     span = F.nullif(F.col("p90") - F.col("p10"), F.lit(0.0))
     norm = F.least(F.lit(100.0), F.greatest(F.lit(0.0), 100 * (m - F.col("p10")) / span))

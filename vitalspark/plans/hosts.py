@@ -9,19 +9,22 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..operators import select
+from ..operators.ranks import exact_percentiles
 
 
 def host_overview(samples: DataFrame, start: str, end: str, busiest: int = 2) -> DataFrame:
-    """X11: all panels of every host in one aggregate: (hostname, object, samples, avg, peak, p95, hot_hours) and whether the object is among the
+    """X11: all panels of every host in one aggregate, percentiles by rank selection: (hostname, object, samples, avg, peak, p95, hot_hours) and whether the object is among the
     host's busiest. ``samples``: hostname, snap_time, day, object, value."""
     d = samples.where(F.col("day").between(F.lit(start).cast("date"), F.lit(end).cast("date")))
     g = d.groupBy("hostname", "object").agg(
         F.count("*").alias("samples"),
         F.avg("value").alias("avg_value"),
         F.max("value").alias("peak"),
-        F.expr("percentile_cont(0.95) WITHIN GROUP (ORDER BY value)").alias("p95"),
         F.countDistinct(F.date_trunc("hour", "snap_time")).alias("hours"),
     )
+    p95 = exact_percentiles(d, ["hostname", "object"], "value", [0.95])
+    same = F.col("hostname").eqNullSafe(F.col("h")) & F.col("object").eqNullSafe(F.col("o"))
+    g = g.join(p95.withColumnsRenamed({"hostname": "h", "object": "o"}), same, "left").drop("h", "o")
     ranked = select.top_k_per_group(g, ["hostname"], 1 << 30, F.desc("avg_value"), F.col("object"))
     return ranked.withColumn("busy", F.col("rank_in_group") <= busiest).drop("rank_in_group")
 

@@ -196,6 +196,27 @@ def j12_cooccurrence(spark, d):
     return joins.cooccurrence(sq, sb).withColumn("signal", F.round("signal", 7))
 
 
+CO_PARTS = CO + (
+    ", sp AS (SELECT dbname, instance, begin_snap, object_name, avg(value) AS score FROM seg WHERE metric = 'logical_reads' GROUP BY ALL)"
+)
+
+
+@query(
+    fx.sql(
+        "SELECT sql_id, object_name, round(sum(a.score * b.score), 7) AS signal, count(*) AS snaps FROM sq a "
+        "JOIN sp b USING (dbname, instance, begin_snap) GROUP BY ALL ORDER BY sum(a.score * b.score) DESC, sql_id, object_name LIMIT 100",
+        "stmt",
+        "seg",
+        ctes=CO_PARTS,
+    )
+)
+def j12_cooccurrence_top(spark, d):
+    """The best pairs of statements and single parts; all pairs of these would be too many."""
+    sq, _, _ = _scored(spark, d)
+    sp = fx.seg(spark, d).where("metric = 'logical_reads'").groupBy("dbname", "instance", "begin_snap", "object_name").agg(F.avg("value").alias("score"))
+    return joins.cooccurrence_top(sq, sp, 100).withColumn("signal", F.round("signal", 7))
+
+
 #: What goes with a focus, and the statements that name an object, as DuckDB text.
 TOGETHER = """SELECT * FROM (SELECT '{section}' AS section, {item}::VARCHAR AS item, round(sum(b.score * w), 4) AS amount
   FROM {side} b JOIN (SELECT dbname, instance, begin_snap, sum(score) AS w FROM {own} WHERE {focus}

@@ -54,6 +54,65 @@ def x4_recommendations(spark, d):
     ).select("dbname", "rule_id", "entity", "hits")
 
 
+_R = rules.Rule
+FULL_RULES = [
+    _R("fw1", "wait", "cl*", "pct_db_time > 9.9", "high", "click waits", "hot pages", ("look", "act"), ("select 1",), ("fw2",)),
+    _R("fw2", "wait", "*", "total_waits > 10", "medium", "many waits", "load", ("scale",)),
+    _R("fs1", "sql", "high_elapsed_time", "elapsed_time_s / executions > 1000 and cpu_time_s = 0", "critical", "slow", "plan", ("tune",), (), ("fs2", "fs3")),
+    _R("fs2", "sql", "high_parse_calls", "parse_calls_pct > 15", "medium", "parsing", "", (), ("select 2", "select 3")),
+    _R("fs3", "sql", "high_parse_calls", "parse_calls > 0", "critical", "never: not the first of its pattern"),
+    _R("fe1", "instance_efficiency", "buffer_cache_hit_ratio", "value < 90", "high", "cache", "small cache", ("grow",)),
+    _R("fe2", "instance_efficiency", "Own metric", "value > 1", "low", "below the least severity"),
+    _R("fg1", "segment", "high_logical_reads", "logical_reads > 10 and pcttotal > 0", "medium", "hot segment", "scans", ("index",)),
+    _R("fg2", "segment", "high_physical_reads", "physical_reads > 10", "high", "cold segment"),
+]
+#: Findings before their texts: the reference's cuts (five statements, three segments) by window, rules by hand.
+FULL_SQL = """w AS (SELECT dbname, event, avg(pct) AS p, sum(waits) AS n FROM wait GROUP BY ALL),
+t AS (SELECT dbname, sql_id, sum(elapsed) AS e, sum(parses) AS c, sum(executions) AS x FROM stmt GROUP BY ALL),
+te AS (SELECT * FROM t QUALIFY row_number() OVER (PARTITION BY dbname ORDER BY e DESC, sql_id) <= 5),
+tp AS (SELECT * FROM t QUALIFY row_number() OVER (PARTITION BY dbname ORDER BY c DESC, sql_id) <= 5),
+g AS (SELECT dbname, owner, object_name, metric, sum(value) AS v FROM seg WHERE metric IN ('logical_reads', 'physical_reads') GROUP BY dbname, owner, object_name, metric
+  QUALIFY row_number() OVER (PARTITION BY dbname, metric ORDER BY coalesce(sum(value), 0) DESC, owner, object_name) <= 3),
+f AS (SELECT dbname::VARCHAR AS dbname, event AS entity, p AS value, CASE WHEN event LIKE 'cl%' AND p > 9.9 THEN 'fw1' WHEN n > 10 THEN 'fw2' END AS rule_id FROM w
+  UNION ALL SELECT dbname::VARCHAR, sql_id::VARCHAR, e, CASE WHEN e / x > 1000 THEN 'fs1' END FROM te
+  UNION ALL SELECT dbname::VARCHAR, sql_id::VARCHAR, c, CASE WHEN c / greatest(x, 1) * 100 > 15 THEN 'fs2' END FROM tp
+  UNION ALL SELECT dbname::VARCHAR, 'buffer_cache_hit_ratio', p, CASE WHEN p < 90 THEN 'fe1' END FROM w WHERE event = 'view'
+  UNION ALL SELECT dbname::VARCHAR, owner || '.' || object_name, v, CASE WHEN metric = 'logical_reads' AND v > 10 THEN 'fg1'
+    WHEN metric = 'physical_reads' AND v > 10 THEN 'fg2' END FROM g),
+b AS (SELECT dbname, rule_id, count(*) AS hits, arg_min(entity, {'d': -round(value, 6), 'e': entity}) AS entity, max(value) AS value
+  FROM f WHERE rule_id IS NOT NULL GROUP BY ALL)"""
+_TEXTS = ", ".join(
+    "(" + ", ".join("'" + x + "'" for x in (r.rule_id, r.category, r.severity, r.title, r.root_cause, "|".join(r.resolution), "|".join(r.diagnostic_sql), "|".join(r.related))) + ")"
+    for r in FULL_RULES
+)
+
+
+@query(
+    fx.sql(
+        f"SELECT dbname, rule_id, category, entity, round(value, 4) AS value, severity, title, root_cause, resolution, diagnostic_sql, related_rules, hits "
+        f"FROM b JOIN (VALUES {_TEXTS}) r(rule_id, category, severity, title, root_cause, resolution, diagnostic_sql, related_rules) USING (rule_id)",
+        "wait", "stmt", "seg", ctes=FULL_SQL
+    )
+)
+def x4_all_findings(spark, d):
+    """Recommendations whole: leading statements and segments, ratios by their names, causes, steps, diagnostic SQL and related rules."""
+    key = ["dbname"]
+    as_text = lambda df: df.withColumn("dbname", F.col("dbname").cast("string"))
+    w = fx.wait(spark, d)
+    waits = w.groupBy(*key, "event").agg(F.avg("pct").alias("pct_db_time"), F.avg("avg_wait_ms").alias("avg_wait_ms"), F.sum("waits").alias("total_waits"))
+    s = fx.stmt(spark, d).groupBy(*key, "sql_id").agg(
+        F.sum("elapsed").alias("elapsed_time_s"), F.sum("cpu").alias("cpu_time_s"), F.sum("parses").alias("parse_calls"), F.sum("executions").alias("executions")
+    )
+    # the first name of the ratio is missing, so its second name counts
+    e = w.where("event in ('view', 'click')").select(*key, F.when(F.col("event") == "view", "Buffer Nowait %").otherwise("Own metric").alias("metric"), F.col("pct").alias("value"))
+    g = fx.seg(spark, d).groupBy(*key, "owner", "object_name", "metric").agg(F.sum("value").alias("value")).withColumn("pct", F.lit(1.0))
+    found = rules.all_findings(as_text(waits), as_text(s), as_text(e), as_text(g), FULL_RULES, key)
+    lists = {c: F.array_join(c, "|") for c in ("resolution", "diagnostic_sql", "related_rules")}
+    return found.withColumns({**lists, "value": F.round("value", 4)}).select(
+        "dbname", "rule_id", "category", "entity", "value", "severity", "title", "root_cause", "resolution", "diagnostic_sql", "related_rules", "hits"
+    )
+
+
 @query(fx.sql("""SELECT owner, object_name, u.r[1] AS rule, u.r[2] AS severity FROM (SELECT owner, object_name, unnest([CASE
   WHEN analysed_days IS NULL THEN ['missing statistics', 'high'] END, CASE WHEN analysed_days > 90 THEN ['stale statistics', 'high']
   WHEN analysed_days > 30 THEN ['stale statistics', 'medium'] END,
