@@ -74,10 +74,11 @@ def test_log_with_am_pm_and_midnight(spark):
         "1.00\n\nAverage:     all      9.00\n12:00:01 AM orphan 1\n"
     )
     d = spark.createDataFrame([("f", text), ("empty", ""), ("none", None)], "path string, content string")
-    got = hostlog.cpu(hostlog.log_lines(d, "5 hours 30 minutes")).orderBy("cpu").collect()
-    assert [(r["cpu"], r["usr_pct"], r["idle_pct"], str(r["snap_time"])) for r in got] == [
-        ("0", 1.0, 0.0, "2024-02-01 05:25:01"), ("all", 1.5, 93.5, "2024-02-01 05:20:01")
-    ]
+    got = hostlog.cpu(hostlog.log_lines(d, "5 hours 30 minutes")).collect()
+    assert [(r["cpu"], r["usr_pct"], r["idle_pct"], str(r["snap_time"])) for r in got] == [("all", 1.5, 93.5, "2024-02-01 05:20:01")]
+    # a torn row is no idle host
+    torn = {(r["line_no"], r["reason"]) for r in hostlog.rejected_lines(d).collect()}
+    assert torn == {(5, "few cells"), (8, "no header")}
 
 
 def test_plan_listing(spark):

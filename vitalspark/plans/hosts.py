@@ -16,9 +16,12 @@ def host_overview(samples: DataFrame, start: str, end: str, busiest: int = 2) ->
     """X11: all panels of every host in one aggregate, percentiles by rank selection: (hostname, object, samples, avg, peak, p95, hot_hours) and whether the object is among the
     host's busiest. ``samples``: hostname, snap_time, day, object, value."""
     d = samples.where(F.col("day").between(F.lit(start).cast("date"), F.lit(end).cast("date")))
+    # Means are of exact sums where all values fit: they don't hang on the order of rows.
+    exact = F.col("value").try_cast("decimal(28,9)")
+    mean = F.when(F.count(exact) == F.count("value"), F.try_sum(exact).cast("double") / F.count(exact))
     g = d.groupBy("hostname", "object").agg(
         F.count("*").alias("samples"),
-        F.avg("value").alias("avg_value"),
+        F.coalesce(mean, F.avg("value")).alias("avg_value"),
         F.max("value").alias("peak"),
         F.countDistinct(F.date_trunc("hour", "snap_time")).alias("hours"),
     )
