@@ -26,6 +26,17 @@ def point_stats(facts: DataFrame, series: Sequence[str], point: str, value: str
     )
 
 
+def merge_points(parts: DataFrame, series: Sequence[str], point: str) -> DataFrame:
+    """Partial statistics (``point_stats``) of one point, from several loads, as one row; the same as of all its values at once."""
+    key = [*series, point]
+    whole = W.partitionBy(*key)
+    center = F.sum(F.col("n") * F.col("mean")).over(whole) / F.nullif(F.sum("n").over(whole), F.lit(0))
+    off = F.col("mean") - F.col("center")
+    return parts.withColumn("center", center).groupBy(*key).agg(
+        F.sum("n").alias("n"), F.max("center").alias("mean"), F.sum(F.col("m2") + F.col("n") * off * off).alias("m2")
+    )
+
+
 def _merged(window: W) -> tuple[F.Column, F.Column, F.Column]:
     """(count, mean, stddev_samp) of the points in a window. ``center`` is the series' mean."""
     n = F.coalesce(F.sum("n").over(window), F.lit(0))

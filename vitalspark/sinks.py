@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .operators.select import newest_by
-from .storage import shared_dir
+from .storage import delete, exists, shared_dir
 
 
 class KeyedTable:
@@ -23,13 +23,15 @@ class KeyedTable:
         self.spark, self.path, self.partitions = spark, path, list(partitions)
 
     def exists(self) -> bool:
-        jvm = self.spark.sparkContext._jvm
-        p = jvm.org.apache.hadoop.fs.Path(self.path)
-        return p.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
+        return exists(self.spark, self.path)
 
     def read(self) -> DataFrame:
         return self.spark.read.option("mergeSchema", "true").parquet(self.path)
 
+    def _folder(self, row) -> str:
+        name = self.spark.sparkContext._jvm.org.apache.spark.sql.catalyst.catalog.ExternalCatalogUtils.getPartitionPathString
+        return "/".join([self.path, *[name(c, None if row[c] is None else str(row[c])) for c in self.partitions]])
+
     def _touched(self, df: DataFrame) -> DataFrame:
         """The table's rows in the partitions of ``df``; the join prunes partitions at run time."""
         keys = df.select(*self.partitions).distinct()
@@ -80,8 +82,21 @@ class KeyedTable:
         self._overwrite(both.groupBy(*keys).agg(*merged).select(*df.columns))
 
     def refresh(self, touched: DataFrame, recompute) -> None:
-        """SNK3: ``recompute(keys)`` gives the rollup rows of the touched partitions; only those are rewritten."""
-        self._overwrite(recompute(touched.select(*self.partitions).distinct()))
+        """SNK3: ``recompute(keys)`` gives the rollup rows of the touched partitions; only those are rewritten, and those of which no row
+        comes out are emptied."""
+        keys = touched.select(*self.partitions).distinct()
+        new = recompute(keys)
+        if not self.exists():
+            self._overwrite(new)
+            return
+        stage = f"{shared_dir(self.spark)}/stage-{uuid.uuid4().hex[:12]}"
+        new.write.parquet(stage)
+        staged = self.spark.read.schema(new.schema).parquet(stage)
+        there = self.read().select(*self.partitions).distinct().join(keys, self.partitions, "left_semi")
+        gone = there.join(staged.select(*self.partitions).distinct(), self.partitions, "left_anti").collect()  # partitions, not rows
+        self._replace(staged)
+        for row in gone:
+            delete(self.spark, self._folder(row))
 
     def delete(self, keys: DataFrame, on: Sequence[str]) -> None:
         """SNK4: rows with a key in ``keys`` go; partitions without any stay as they are.
@@ -92,12 +107,9 @@ class KeyedTable:
         hit = old.join(keys.select(*on).distinct(), list(on), "left_semi").select(*self.partitions).distinct()
         rest = old.join(hit, self.partitions, "left_semi").join(keys.select(*on).distinct(), list(on), "left_anti")
         gone = hit.join(rest.select(*self.partitions).distinct(), self.partitions, "left_anti").collect()  # whole partitions of the deleted keys
-        jvm = self.spark.sparkContext._jvm
-        conf = self.spark.sparkContext._jsc.hadoopConfiguration()
         stage = f"{shared_dir(self.spark)}/stage-{uuid.uuid4().hex[:12]}"
         rest.write.parquet(stage)
         staged = self.spark.read.schema(rest.schema).parquet(stage)
         for row in gone:
-            p = jvm.org.apache.hadoop.fs.Path("/".join([self.path, *[f"{c}={row[c]}" for c in self.partitions]]))
-            p.getFileSystem(conf).delete(p, True)
+            delete(self.spark, self._folder(row))
         self._replace(staged)

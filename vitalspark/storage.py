@@ -17,3 +17,31 @@ def shared_dir(spark: SparkSession) -> str:
         found = tempfile.mkdtemp(prefix="vitalspark-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
+
+
+def filesystem(spark: SparkSession, path: str):
+    """The Hadoop file system of a path and the path itself."""
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), p
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    fs, p = filesystem(spark, path)
+    return fs.exists(p)
+
+
+def folders(spark: SparkSession, path: str) -> list[str]:
+    """Names of what lies directly in a folder; none if there is no such folder."""
+    fs, p = filesystem(spark, path)
+    return sorted(f.getPath().getName() for f in fs.listStatus(p)) if fs.exists(p) else []
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    fs, p = filesystem(spark, path)
+    fs.delete(p, True)
+
+
+def touch(spark: SparkSession, path: str) -> None:
+    """An empty file, with the folders above it."""
+    fs, p = filesystem(spark, path)
+    fs.create(p, True).close()
