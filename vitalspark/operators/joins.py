@@ -8,22 +8,36 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-#: A range join explodes the ranges into blocks of this many units and joins on the block.
-BLOCK = 16
 
 
-def range_join(points: DataFrame, ranges: DataFrame, keys: Sequence[str], at: str, first: str, last: str, block: int = BLOCK) -> DataFrame:
-    """Points with every range that holds them (closed), as an equality join on keys and block number plus a filter.
+def range_blocks(ranges: DataFrame, first: str, last: str) -> DataFrame:
+    """Each closed range of whole numbers with the aligned blocks that it touches, as ``__shift`` and ``__block`` (number >> shift).
 
-    ``at``, ``first`` and ``last`` are whole numbers. Works for many ranges; a range costs a row for each block it touches."""
-    r = ranges.withColumn("__block", F.explode(F.sequence(F.floor(F.col(first) / block), F.floor(F.col(last) / block))))
-    p = points.withColumn("__block", F.floor(F.col(at) / block))
-    return p.join(r, [*keys, "__block"]).where(F.col(at).between(F.col(first), F.col(last))).drop("__block")
+    A range's block is the smallest power of 4 beyond its length, so it touches at most two, however long it is; the longest (over 2^60) at most
+    eight. Empty ranges and such without an end go."""
+    d = ranges.where(F.col(first) <= F.col(last)).withColumns({"__a": F.col(first).cast("long"), "__z": F.col(last).cast("long")})
+    bits = F.length(F.bin(F.try_subtract("__z", "__a")))
+    d = d.withColumn("__shift", F.coalesce(F.least(F.lit(60), F.ceil(bits / 2).cast("int") * 2), F.lit(60)))
+    block = F.explode(F.sequence(F.expr("shiftright(__a, __shift)"), F.expr("shiftright(__z, __shift)")))
+    return d.withColumn("__block", block).drop("__a", "__z")
 
 
-def tag_join(facts: DataFrame, tags: DataFrame, block: int = BLOCK) -> DataFrame:
+def range_join(points: DataFrame, ranges: DataFrame, keys: Sequence[str], at: str, first: str, last: str) -> DataFrame:
+    """Points with every range that holds them (closed), as an equality join on keys and block plus a filter.
+
+    ``at``, ``first`` and ``last`` are whole numbers. A range costs two rows at most (``range_blocks``), a point one for each size of block in use:
+    ranges of like lengths share one. The sizes, 31 at most, are looked up first."""
+    r = range_blocks(ranges, first, last)
+    shifts = [x[0] for x in r.select("__shift").distinct().collect()]
+    sizes = F.array(*map(F.lit, sorted(shifts))).cast("array<int>")
+    p = points.withColumn("__shift", F.explode(sizes)).withColumn("__at", F.col(at).cast("long"))
+    p = p.withColumn("__block", F.expr("shiftright(__at, __shift)")).drop("__at")
+    return p.join(r, [*keys, "__shift", "__block"]).where(F.col(at).between(F.col(first), F.col(last))).drop("__shift", "__block")
+
+
+def tag_join(facts: DataFrame, tags: DataFrame) -> DataFrame:
     """Facts in the snapshot intervals of tags (tag_name, tag_type, dbname, instance, snap_start, snap_end)."""
-    return range_join(facts, tags, ["dbname", "instance"], "begin_snap", "snap_start", "snap_end", block)
+    return range_join(facts, tags, ["dbname", "instance"], "begin_snap", "snap_start", "snap_end")
 
 
 def before_after(tagged: DataFrame, key: Sequence[str], value: Column, at_least: float = 0.0) -> DataFrame:
@@ -55,8 +69,10 @@ def scalar_lookup(df: DataFrame, dimension: DataFrame, keys: Sequence[str], valu
 def asof_snapshot(samples: DataFrame, snaps: DataFrame, keys: Sequence[str], ts: str = "snap_time", unit: str = "day") -> DataFrame:
     """Each sample with the snapshot that is open at its time (the last that begins at or before it), over all keys at once.
 
-    A union in time order and a running last value do it in one shuffle; no range condition. ``snaps``: keys, snap_start, begin_snap."""
-    s = snaps.select(
+    Two levels: within a ``unit`` of time a union in time order and a running last value; from unit to unit a carry over one row a unit. So a key's
+    series lies in as many tasks as it has units, and no range condition is needed. ``snaps``: keys, snap_start, begin_snap; of snapshots that begin
+    together the one with the greatest number counts. Samples without a time get none."""
+    s = snaps.where("snap_start is not null and begin_snap is not null").select(
         *keys, F.col("snap_start").alias("__t"), F.lit(0).alias("__kind"), F.col("begin_snap").alias("__snap"), F.lit(None).alias("__row")
     )
     p = samples.select(
@@ -66,10 +82,17 @@ def asof_snapshot(samples: DataFrame, snaps: DataFrame, keys: Sequence[str], ts:
         F.lit(None).cast(s.schema["__snap"].dataType).alias("__snap"),
         F.struct(*[c for c in samples.columns if c not in keys]).alias("__row"),
     )
-    u = p.unionByName(s.withColumn("__row", F.lit(None).cast(p.schema["__row"].dataType)))
-    order = W.partitionBy(*keys).orderBy("__t", "__kind").rowsBetween(W.unboundedPreceding, W.currentRow)
-    out = u.withColumn("begin_snap", F.last("__snap", ignorenulls=True).over(order)).where("__kind = 1")
-    return out.select(*keys, "__row.*", "begin_snap")
+    u = p.unionByName(s.withColumn("__row", F.lit(None).cast(p.schema["__row"].dataType))).withColumn("__unit", F.date_trunc(unit, "__t"))
+    running = W.rowsBetween(W.unboundedPreceding, W.currentRow)
+    within = running.partitionBy(*keys, "__unit").orderBy("__t", "__kind", "__snap")
+    newest = F.max_by("__snap", F.when(F.col("__kind") == 0, F.struct("__t", "__snap")))
+    before = W.partitionBy(*keys).orderBy("__unit").rowsBetween(W.unboundedPreceding, -1)
+    carry = u.groupBy(*keys, "__unit").agg(newest.alias("__last")).select(
+        *[F.col(c).alias(f"__c{i}") for i, c in enumerate([*keys, "__unit"])], F.last("__last", ignorenulls=True).over(before).alias("__carry")
+    )
+    out = u.withColumn("__own", F.last("__snap", ignorenulls=True).over(within)).where("__kind = 1")
+    same = [F.col(c).eqNullSafe(F.col(f"__c{i}")) for i, c in enumerate([*keys, "__unit"])]
+    return out.join(carry, same, "left").select(*keys, "__row.*", F.coalesce("__own", "__carry").alias("begin_snap"))
 
 
 def object_bridge(texts: DataFrame, segments: DataFrame) -> DataFrame:

@@ -15,7 +15,7 @@ from ..sources import report
 from ..storage import shared_dir
 from ..streaming import jobs as streams
 from . import query
-from .anomalies import r6
+from .anomalies import BACK, FINDING, HOST_FINDINGS, SNAP_FINDINGS, Z, r6
 from .waits import SQL_METRICS, SQL_SUMMARY
 
 RULES = [
@@ -365,6 +365,63 @@ def s3_foreachbatch_upsert(spark, d):
     return t.read().groupBy("dbname", "begin_snap", "event").agg(F.sum("waits").alias("waits"))
 
 
+_CHAIN_RULES = [
+    rules.Rule("c1", "wait", "cl*", "total_waits > 3", "high", "click waits"), rules.Rule("c2", "wait", "*", "total_waits > 2", "medium", "many waits")
+]
+_CHAIN = """r AS (SELECT 'DB' || dbname AS dbname, 'DB' || dbname || instance AS instance, begin_snap, event, count(*) AS n, min(snap_time) AS since
+  FROM wait GROUP BY ALL),
+facts AS (SELECT dbname, instance, begin_snap, 'waits' AS source, event AS object, n AS value FROM r),
+t AS (SELECT dbname, instance, begin_snap, floor(epoch(min(since)))::BIGINT AS sec FROM r GROUP BY ALL),"""
+
+
+@query(
+    fx.sql(
+        "SELECT 'anomaly' AS kind, dbname, instance, begin_snap, object, round(z_score, 6) AS value, severity AS label FROM findings "
+        "UNION ALL SELECT 'sum', dbname, instance, begin_snap, event, n, NULL FROM r "
+        "UNION ALL SELECT 'finding', dbname, NULL, NULL, min(event), count(*), CASE WHEN event = 'click' AND n > 3 THEN 'c1' ELSE 'c2' END "
+        "FROM r WHERE n > 2 GROUP BY dbname, CASE WHEN event = 'click' AND n > 3 THEN 'c1' ELSE 'c2' END",
+        "wait",
+        ctes=_CHAIN + SNAP_FINDINGS,
+    )
+)
+def s3_load_chain(spark, d):
+    """The whole chain in several micro-batches: insert, sums, anomalies, findings."""
+    waits, sums, found, advice = (_table(spark, f"s3-{n}", ["dbname"]) for n in ("waits", "sums", "anomalies", "findings"))
+    q = streams.chain_stream(
+        streams.file_stream(spark, _report_files(spark, d) + "/*", "*.txt", 150),
+        lambda b: report.facts(b, "foreground_wait_events"),
+        waits,
+        ["dbname", "instance", "begin_snap", "row_hash"],
+        streams.diagnosis_steps(waits, sums, found, advice, _CHAIN_RULES, {"waits": "waits"}, BACK),
+        f"{shared_dir(spark)}/log-{uuid.uuid4().hex[:12]}",
+        once=True,
+    )
+    q.awaitTermination()
+    snap, none = ["dbname", "instance", "begin_snap"], F.lit(None)
+    rows = lambda t, kind, *cols: t.read().select(F.lit(kind).alias("kind"), *cols)
+    out = rows(found, "anomaly", *snap, "object", F.round("z_score", 6).alias("value"), F.col("severity").alias("label"))
+    out = out.unionByName(
+        rows(sums, "sum", *snap, F.col("event").alias("object"), F.col("total_waits").alias("value"), none.cast("string").alias("label"))
+    )
+    nothing = [none.cast(out.schema[c].dataType).alias(c) for c in snap[1:]]
+    return out.unionByName(
+        rows(advice, "finding", "dbname", *nothing, F.col("entity").alias("object"), F.col("hits").cast("double").alias("value"), F.col("rule_id").alias("label"))
+    )
+
+
+@query(fx.sql(f"SELECT hostname, object, day, {FINDING} FROM findings", "host", ctes=HOST_FINDINGS))
+def s4_learning_hosts(spark, d):
+    """The samples in three loads without any order of time; after the last, the stream's anomalies are those of the backfill."""
+    path, log = (f"{shared_dir(spark)}/s4-{n}-{uuid.uuid4().hex[:12]}" for n in ("in", "log"))
+    fx.host(spark, d).drop("day").repartition(3).write.parquet(path)
+    stream = spark.readStream.schema(spark.read.parquet(path).schema).option("maxFilesPerTrigger", 1).parquet(path)
+    streams.learning_host_stream(stream, log, 7, Z, once=True).awaitTermination()
+    found = streams.LearnedHosts(spark, log, stream.schema["hostname"].dataType.simpleString()).anomalies()
+    return found.select(
+        "hostname", "object", "day", *r6("metric_value"), "baseline_n", *r6("baseline_mean", "baseline_stddev"), "fallback", *r6("z_score"), "severity"
+    )
+
+
 @query(fx.sql("""SELECT hostname, object, w AS window_start, round(v, 6) AS metric_value, round(z, 6) AS z_score, CASE
   WHEN abs(z) >= 4 THEN 'critical' WHEN abs(z) >= 3 THEN 'alert' ELSE 'warning' END AS severity FROM (SELECT a.*, CASE
   WHEN coalesce(s, 0) = 0 THEN 0 ELSE (v - m) / s END AS z

@@ -10,7 +10,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from ..functions.scalars import z_score, z_severity
 from ..operators.select import newest_by
-from ..plans import anomaly
+from ..plans import anomaly, rules as rulebook
 from ..sinks import KeyedTable
 from .logs import BatchLog, StepLedger
 
@@ -102,6 +102,51 @@ def chain_stream(
     return _start(stream, step, checkpoint, once)
 
 
+def diagnosis_steps(
+    waits: KeyedTable,
+    summary: KeyedTable,
+    anomalies: KeyedTable,
+    findings: KeyedTable,
+    rules: Sequence[rulebook.Rule],
+    checks: dict[str, str] | None = None,
+    baseline_days: int = 90,
+    threshold: float = 1.5,
+) -> list[tuple[str, Callable[[DataFrame], None]]]:
+    """S3's steps after the insert into ``waits`` (wait event facts): sums by snapshot and event, anomalies (X1) and findings (X4) of the touched
+    databases. ``checks``: name of a check -> its column.
+
+    All four tables are partitioned by dbname (or dbname and instance; findings by dbname), so a step reads and rewrites what the touched partitions
+    hold and nothing else, and leaves the same rows when repeated."""
+    snap = ["dbname", "instance", "begin_snap"]
+    own = lambda table, keys: table.read().join(keys, table.partitions, "left_semi")
+
+    def sums(keys: DataFrame) -> DataFrame:
+        return own(waits, keys).groupBy(*snap, "event").agg(
+            F.sum("waits").alias("total_waits"),
+            F.sum("total_wait_time_s").alias("total_wait_time_s"),
+            F.avg("avg_wait_ms").alias("avg_wait_ms"),
+            F.avg("pct_db_time").alias("pct_db_time"),
+        )
+
+    def judged(keys: DataFrame) -> DataFrame:
+        d = own(waits, keys)
+        named = checks or {"wait_pct": "pct_db_time", "wait_ms": "avg_wait_ms"}
+        facts = d.select(*snap, F.col("event").alias("object"), *[F.col(c).cast("double").alias(n) for n, c in named.items()])
+        times = d.groupBy(*snap).agg(F.min("snap_time").alias("snap_time"))
+        return anomaly.snapshot_anomalies(
+            facts.unpivot([*snap, "object"], list(named), "source", "value"), times, baseline_days, threshold
+        )
+
+    def advised(keys: DataFrame) -> DataFrame:
+        return rulebook.recommendations({"wait": (own(summary, keys), "event")}, rules, ["dbname"])
+
+    return [
+        ("refresh", lambda touched: summary.refresh(touched, sums)),
+        ("detect", lambda touched: anomalies.refresh(touched, judged)),
+        ("recommend", lambda touched: findings.refresh(touched, advised)),
+    ]
+
+
 _POINTS = "hostname {host}, object string, day_no int, n bigint, mean double, m2 double"
 _FOUND = "metric_value double, baseline_n bigint, baseline_mean double, baseline_stddev double, fallback boolean, z_score double, severity string"
 _SERIES = ["hostname", "object"]
