@@ -278,3 +278,14 @@ def test_drilldown_text_without_rule_or_rows(spark):
     rules = spark.createDataFrame([("sql", "9", "x")], "category string, rule_key string, rule_text string")
     got = {r.section: r.value for r in drilldown_text(found, "wait", "lock", rules).collect()}
     assert got == {"Focus": "wait: lock", "Recommendation": NO_RULE}
+
+
+def test_a_metric_that_never_moved_has_no_spread(spark):
+    """Also where the rounded sums around the series' mean would leave one; a true spread far below the mean stays."""
+    flat = [("a", d, v) for d in range(1, 8) for v in (0.1, 0.1, 0.1)] + [("a", d, 7.3 + d) for d in range(8, 12)]
+    fine = [("b", d, 1e6 + (d % 2) * 1e-3) for d in range(1, 8)] + [("b", 8, 1e6 + 1.0)]
+    facts = spark.createDataFrame(flat + fine, "k string, d int, value double")
+    got = anomaly.rolling_baseline(anomaly.point_stats(facts, ["k"], "d"), ["k"], "d", 90).collect()
+    sd = {(r["k"], r["d"]): r["baseline_stddev"] for r in got}
+    assert [sd["a", d] for d in range(2, 9)] == [0.0] * 7 and sd["a", 9] > 1
+    assert abs(sd["b", 8] - 0.000534522) < 1e-7

@@ -37,13 +37,23 @@ def merge_points(parts: DataFrame, series: Sequence[str], point: str) -> DataFra
     )
 
 
+#: The relative error of a rounded sum, for each of its terms.
+ROUNDING = 4.5e-16
+
+
 def _merged(window: W) -> tuple[F.Column, F.Column, F.Column]:
-    """(count, mean, stddev_samp) of the points in a window. ``center`` is the series' mean."""
+    """(count, mean, stddev_samp) of the points in a window. ``center`` is the series' mean.
+
+    A spread within the rounding error of these sums is 0: else a metric that never moved would have a baseline of 1e-8 or so, and every first
+    move would be critical."""
     n = F.coalesce(F.sum("n").over(window), F.lit(0))
     off = F.sum(F.col("n") * (F.col("mean") - F.col("center"))).over(window)
     square = F.sum(F.col("m2") + F.col("n") * (F.col("mean") - F.col("center")) * (F.col("mean") - F.col("center"))).over(window)
     size = F.when(n > 0, n)
-    return n, F.col("center") + off / size, F.when(n > 1, F.sqrt(F.greatest(F.lit(0.0), (square - off * off / size) / (n - 1))))
+    mean, spread = F.col("center") + off / size, square - off * off / size
+    ulp = 4 * ROUNDING * F.abs(mean)
+    noise = square * F.count("mean").over(window) * ROUNDING + n * ulp * ulp
+    return n, mean, F.when(n > 1, F.when(spread > noise, F.sqrt(spread / (n - 1))).otherwise(0.0))
 
 
 def rolling_baseline(
