@@ -9,10 +9,10 @@ from pyspark.sql import functions as F
 from .. import fixture_texts as ft
 from .. import fixtures as fx
 from ..operators.select import header_carry, socket_ratios
-from ..plans import listings
+from ..plans import listings, panels
 from ..sources import delimited, hostlog, plan_text, report
 from ..storage import shared_dir
-from . import query
+from . import ORACLE, query
 
 E = (
     "(SELECT *, 'host' || (user_id % 5) AS hostname, date_trunc('second', ts) AS snap_time, user_id % 2 = 1 AND user_id % 5 % 2 = 1 AS "
@@ -159,6 +159,94 @@ def src10_hostlog_tz_shift(spark, d):
     return hostlog.cpu(_rows(spark, d, "5 hours 30 minutes")).select("hostname", "snap_time", "usr_pct")
 
 
+# --- host panels ---------------------------------------------------------------------------------------------------------
+
+
+def _panel(name, table, at, entity, tail="", status="NULL", **measures):
+    """A panel's own SQL; ``tail`` follows FROM."""
+    pairs = ", ".join(f"{{'m': '{m.strip('_')}', 'v': ({v})::DOUBLE}}" for m, v in measures.items())
+    return (
+        f"SELECT hostname, '{name}' AS panel, \"at\", entity, u.m AS measure, round(u.v, 6) AS value, status FROM (SELECT hostname, {at} AS \"at\", "
+        f"{entity} AS entity, {status}::VARCHAR AS status, unnest([{pairs}]) AS u FROM {table} {tail})"
+    )
+
+
+def _by_device(name, column):
+    lead = f"SELECT hostname, device FROM disk GROUP BY hostname, device QUALIFY row_number() OVER (PARTITION BY hostname ORDER BY avg({column}) DESC, device) <= 5"
+    return _panel(name, "disk", "snap_time", "device", f"WHERE (hostname, device) IN ({lead})", **{column: column})
+
+
+_T, _N = "snap_time", "NULL::TIMESTAMP"
+_PER_HOST = "GROUP BY hostname"
+PANEL_SQL = [
+    _panel("cpu_shares", "cpu", _T, "NULL", user="usr_pct", system="system_pct", iowait="iowait_pct", idle="idle_pct"),
+    _panel("cpu_iowait", "cpu", _N, "NULL", _PER_HOST, iowait="avg(iowait_pct)"),
+    _panel("cpu_idle", "cpu", _N, "NULL", _PER_HOST, idle="avg(idle_pct)"),
+    _panel("memory_mb", "memory", _T, "NULL", used="mem_used_mb", free="mem_free_mb", cached="cached_mb", buffers="buffers_mb"),
+    _panel("memory_shares", "memory", _T, "NULL", used="mem_used_pct", commit="commit_pct"),
+    _panel("swap_used_mb", "swap", _T, "NULL", used="swap_used_mb"),
+    _panel("swap_used_share", "swap", _N, "NULL", _PER_HOST, used="avg(swap_used_pct)"),
+    _panel("swap_free_mb", "swap", _T, "NULL", free="swap_free_mb"),
+    _panel("disk_throughput", "disk", _T, "NULL", "GROUP BY hostname, snap_time", read="sum(read_mb_per_sec)", write="sum(write_mb_per_sec)"),
+    _panel("disk_util_max", "disk", _T, "NULL", "GROUP BY hostname, snap_time", util="max(util_pct)"),
+    _panel("network_rates", "network", _T, "iface", received="rxkb_per_sec", sent="txkb_per_sec"),
+    _panel("network_util", "network", _T, "iface", util="ifutil_pct"),
+    _panel("run_queue", "loadavg", _T, "NULL", queue="runq_sz", blocked="blocked"),
+    _panel("load_average", "loadavg", _T, "NULL", _1="ldavg_1", _5="ldavg_5", _15="ldavg_15"),
+    _panel("context_switches", "ctxswitch", _T, "NULL", switches="cswch_per_sec"),
+    _panel("page_faults", "paging", _T, "NULL", minor="fault_per_sec", major="majflt_per_sec"),
+    _panel("vm_efficiency", "paging", _N, "NULL", _PER_HOST, efficiency="avg(vmeff_pct)"),
+    _by_device("device_read", "read_mb_per_sec"),
+    _by_device("device_write", "write_mb_per_sec"),
+    _by_device("device_await", "await_ms"),
+    _by_device("device_util", "util_pct"),
+    _by_device("device_tps", "tps"),
+    _panel(
+        "device_summary", "disk", _N, "device", "GROUP BY hostname, device",
+        "CASE WHEN avg(util_pct) >= 85 THEN 'saturated' WHEN avg(util_pct) >= 60 THEN 'high' WHEN avg(await_ms) >= 50 THEN 'slow' ELSE 'ok' END",
+        tps="avg(tps)", read="avg(read_mb_per_sec)", write="avg(write_mb_per_sec)", service="avg(svctm_ms)", util="avg(util_pct)",
+        peak_util="max(util_pct)", peak_await="max(await_ms)", await_="avg(await_ms)",
+    ),
+    _panel("hugepages_used_share", "hugepage", _N, "NULL", _PER_HOST, used="avg(hugused_pct)"),
+    _panel("hugepages_free_mb", "hugepage", _N, "NULL", _PER_HOST, free="avg(kbhugfree) / 1024"),
+    _panel("hugepages_used_gb", "hugepage", _N, "NULL", _PER_HOST, used="avg(kbhugused) / 1024 / 1024"),
+    _panel(
+        "hugepages_now", "(SELECT * FROM hugepage QUALIFY row_number() OVER (PARTITION BY hostname ORDER BY snap_time DESC) = 1)", _T, "NULL",
+        free_kb="kbhugfree", used_mb="kbhugused / 1024",
+    ),
+    _panel("hugepages_trend", "hugepage", _T, "NULL", used_mb="kbhugused / 1024", free_mb="kbhugfree / 1024"),
+    _panel("hugepages_share", "hugepage", _T, "NULL", used="hugused_pct"),
+    _panel("sockets", "socket", _T, "NULL", total="totsck", tcp="tcpsck", udp="udpsck"),
+    _panel("time_wait", "socket", _T, "NULL", time_wait="tcp_tw"),
+    _panel(
+        "connection_health", "socket", _T, "NULL", total="totsck", time_wait="tcp_tw", other="totsck - tcpsck - udpsck",
+        time_wait_share="tcp_tw / nullif(tcpsck, 0) * 100",
+    ),
+]
+_LOG_TABLES = ["cpu", "memory", "swap", "disk", *_PLAIN_SQL]
+_LOG_SQL = {
+    t: ORACLE[next(n for n in ORACLE if n in (f"src{i}_hostlog_{t}" for i in range(5, 10)))] for t in _LOG_TABLES
+}
+_PANEL_RANGE = "2024-01-03", "2024-01-20"
+
+
+@query(
+    "WITH "
+    + ", ".join(
+        f"{t} AS (SELECT * FROM ({q}) x WHERE snap_time::DATE BETWEEN '{_PANEL_RANGE[0]}' AND '{_PANEL_RANGE[1]}')" for t, q in _LOG_SQL.items()
+    )
+    + " "
+    + " UNION ALL ".join(PANEL_SQL)
+)
+def x11_host_panels(spark, d):
+    """The named panels of all hosts from their logs; the logs are parsed once."""
+    path = f"{shared_dir(spark)}/panels-{uuid.uuid4().hex[:12]}"
+    _rows(spark, d).write.parquet(path)
+    rows = spark.read.parquet(path)
+    tables = {t: getattr(hostlog, t)(rows) for t in ("cpu", "memory", "swap", "disk")} | {t: hostlog.plain(rows, t) for t in hostlog.PLAIN}
+    return panels.host_panels(tables, *_PANEL_RANGE).withColumn("value", F.round("value", 6))
+
+
 # --- reports, listings and delimited files --------------------------------------------------------------------------
 
 R = (
