@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from .. import fixtures as fx
 from ..operators import select
+from ..operators.textindex import TextIndex
+from ..storage import shared_dir
 from . import query
 
 
@@ -46,6 +50,42 @@ def p5_text_search(spark, d):
     return select.top_k(found, 50, F.col("sql_id")).select("sql_id", "begin_snap", F.md5("sql_text").alias("text_md5"))
 
 
+def _index(spark, d, loads, columns):
+    """Statement texts indexed in several loads, by snapshot."""
+    index = TextIndex(spark, f"{shared_dir(spark)}/text-index-{uuid.uuid4().hex[:12]}", ["sql_id", "begin_snap"], columns, slots=16, parts=16)
+    for k in range(loads):
+        index.load(str(k), fx.text(spark, d).where(F.col("begin_snap") % loads == k))
+    return index
+
+
+@query(
+    fx.sql(
+        "SELECT sql_id, begin_snap, md5(sql_text) AS text_md5 FROM (SELECT *, row_number() OVER (PARTITION BY sql_id "
+        "ORDER BY begin_snap DESC) AS n FROM txt WHERE sql_text ILIKE '%under the apache%' OR sql_text ILIKE '%license%') WHERE n = 1",
+        "txt",
+    )
+)
+def p5_indexed_search(spark, d):
+    """P5 by the trigram index: two queries against texts that came in two loads, the newest text of each statement."""
+    index = _index(spark, d, 2, ["sql_text"])
+    found = index.search("Under the Apache").union(index.search("LICENSE"))
+    return select.newest_values(found, ["sql_id"], F.col("begin_snap"), ["begin_snap", "sql_text"]).select(
+        "sql_id", "begin_snap", F.md5("sql_text").alias("text_md5")
+    )
+
+
+@query(
+    fx.sql(
+        "SELECT begin_snap, sql_id, dbname FROM txt WHERE dbname ILIKE '%src1%' OR sql_text ILIKE '%src1%' ORDER BY begin_snap DESC LIMIT 100",
+        "txt",
+    )
+)
+def p7_indexed_search(spark, d):
+    """P7 by the trigram index: one query against several columns, the newest 100."""
+    found = _index(spark, d, 1, ["dbname", "sql_text"]).search("SRC1")
+    return select.top_k(found, 100, F.desc("begin_snap")).select("begin_snap", "sql_id", "dbname")
+
+
 @query(
     fx.sql(
         "SELECT sql_id, begin_snap, dbname, md5(sql_text) AS text_md5 FROM txt WHERE sql_id = 42 ORDER BY begin_snap DESC LIMIT 1", "txt"
