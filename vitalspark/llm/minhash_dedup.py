@@ -10,12 +10,14 @@
 5. Buckets whose members still lie in different components are searched again, across components only: all such pairs in buckets of up to
    ``SMALL`` members; in larger ones a leader drawn anew each turn, with the members of other components. These turns are cheap and join
    most of what belongs together; a turn that finds hardly any link is the last.
-6. Large buckets that are mixed even then are compared whole: members are dealt to blocks of about ``BLOCK``, a task takes two blocks and
-   compares all pairs of different components, first by signature, then by full sets. Only links leave a task.
+6. Members of large buckets that are mixed even then are searched by exact prefixes. Shingles are ordered from rare to frequent; two sets of which
+   3/4 of the union is common share one of the first n/4 + 1 of the larger and n/7 + 1 of the smaller set. So an equality join on these finds every
+   pair; sizes and places in the order drop most others before the full sets are compared. Any fixed order is right, so counts by slot of a
+   hash, of fixed size, will do. A template that all pages share stands last in the order and makes no pairs.
 
 Words are compared as 64-bit hashes. A pair of similarity 0.75 meets in no band with a probability of
-(1 - 0.75**4)**32 = 5e-6. Every reported link is exact, and every pair that shares a band is compared or already in one component. The work of
-step 6 grows with the square of the members that stay apart in one bucket, in tasks of bounded size.
+(1 - 0.75**4)**32 = 5e-6. Every reported link is exact, and every pair that shares a band is compared, already in one component or shown to be
+less alike by step 6.
 
 Null or wordless texts are linked with nothing; texts of fewer than five words are one shingle. Equal rows and ties resolve to the
 smallest id. Extra columns are not read. An empty table gives an empty result.
@@ -38,6 +40,8 @@ from .spread import spread_join
 WORDS = 5
 ROWS, BANDS = 4, 32
 SMALL, BLOCK = 16, 256
+#: Step 6 counts shingles in 2 ** SLOT_BITS slots (2 MB to every executor, whatever the input) and deals a shingle's rows to pieces of about PIECE.
+SLOT_BITS, PIECE = 18, 4096
 #: A turn of step 5 is the last if fewer than one in FEW of its pairs are links.
 FEW = 16
 _SPACE = bt.table_of(bytes([0x20, *range(0x09, 0x0E)]))
@@ -223,110 +227,106 @@ def _cross_pairs(rows: DataFrame, seed: int, total: int, scratch: Scratch) -> Da
     return x.select("a", "b", F.lit(SMALL).cast("long").alias("n")).union(large).groupBy("a", "b").agg(F.max("n").alias("n"))
 
 
-def _block_rows(rows: DataFrame, sketches: DataFrame, total: int, scratch: Scratch) -> DataFrame:
-    """Members of mixed buckets of more than SMALL members, once for each pair of blocks (p <= q) that is to be compared. ``rows``: key, id, component.
+def _ceil(a: int, b: int) -> int:
+    return -(-a // b)
 
-    Members of the largest component of a bucket are in blocks below 0, the others in blocks from 0; two blocks below 0 hold no pair to compare."""
-    mixed = rows.groupBy("key").agg(F.count("*").alias("members"), F.min("component").alias("lo"), F.max("component").alias("hi"))
-    mixed = scratch.table(mixed.where((F.col("lo") < F.col("hi")) & (F.col("members") > SMALL)).select("key", "members"))
-    held = scratch.table(spread_join(rows, mixed, ["key"], "members", total).drop("members"))
-    sizes = held.groupBy("key", "component").agg(F.count("*").alias("n")).groupBy("key").agg(
-        F.max_by("component", F.struct("n", "component")).alias("main"), F.max("n").alias("m"), F.sum("n").alias("n")
-    )
-    blocks = sizes.select(
-        "key",
-        "main",
-        F.ceil(F.col("m") / BLOCK).cast("int").alias("mains"),
-        F.ceil((F.col("n") - F.col("m")) / BLOCK).cast("int").alias("others"),
-        "n",
-    )
-    dealt = F.xxhash64("id", F.lit(3))
-    d = spread_join(held, blocks, ["key"], "n", total).withColumn("is_main", F.col("component") == F.col("main"))
-    d = d.withColumn(
-        "block", F.when(F.col("is_main"), -1 - F.pmod(dealt, F.col("mains"))).otherwise(F.pmod(dealt, F.col("others"))).cast("int")
-    )
-    d = d.join(sketches.select("id", "signature", "bands"), "id")
-    d = d.withColumn(
-        "facing",
-        F.explode(
-            F.when(
-                F.col("is_main"), F.sequence(F.lit(0), F.col("others") - 1)
-            ).otherwise(F.sequence(-F.col("mains"), F.col("others") - 1))
-        ),
-    )
-    return d.select(
-        "key",
-        F.least("block", "facing").alias("p"),
-        F.greatest("block", "facing").alias("q"),
-        "block",
-        "id",
-        "component",
-        "signature",
-        "bands",
-    )
 
+def _slots(values: np.ndarray) -> np.ndarray:
+    return (values >> U64(64 - SLOT_BITS)).astype(np.int64)
 
-def _open_pairs(t: pa.Table, least: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Rows of block p, rows of block q, and which of their pairs are of different components, of similar signatures and share no earlier band."""
-    key, p, q = (t.column(c)[0].as_py() for c in ("key", "p", "q"))
-    block, comp = t.column("block").to_numpy(), t.column("component").to_numpy()
-    left, right = np.flatnonzero(block == p), np.flatnonzero(block == q)
-    sig = np.frombuffer(b"".join(t.column("signature").to_pylist()), np.uint8).reshape(t.num_rows, -1)
-    bands = t.column("bands").combine_chunks().flatten().to_numpy().reshape(t.num_rows, -1)
-    ok = comp[left][:, None] != comp[right][None, :]
-    if p == q:
-        ok &= left[:, None] < right[None, :]
-    if ok.any():
-        for k in range(int(np.flatnonzero(bands[0] == key)[0])):
-            ok &= bands[left, k][:, None] != bands[right, k][None, :]
-        same = np.zeros(ok.shape, np.uint16)
-        for k in range(sig.shape[1]):
-            same += sig[left, k][:, None] == sig[right, k][None, :]
-        ok &= (same / sig.shape[1] - 1 / 256) / (1 - 1 / 256) >= least
-    return left, right, ok
-
-
-def _hopeful(least: float):
-    """The members of two blocks that have an open pair."""
-
-    def run(t: pa.Table) -> pa.Table:
-        left, right, ok = _open_pairs(t, least)
-        return t.take(pa.array(np.unique(np.concatenate([left[ok.any(axis=1)], right[ok.any(axis=0)]])), pa.int64()))
 
-    return run
+def _slot_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """How many documents' shingles fall in each of 2 ** SLOT_BITS slots."""
+    total = np.zeros(1 << SLOT_BITS, np.int64)
+    for batch in batches:
+        data, off = bt.utf8(batch.column(0))
+        for i, j in bt.pieces(off):
+            v, _ = distinct_rows(*shingle_rows(data[off[i] : off[j]], off[i : j + 1] - off[i]))
+            total += np.bincount(_slots(v), minlength=len(total))
+    at = np.flatnonzero(total)
+    yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], ["slot", "n"])
 
 
-def _verify_blocks(threshold: int, least: float):
-    """Links between the components of two blocks; a pair whose components are joined by links found here before is not compared."""
+def _prefixes(counts_cast, threshold: int):
+    """The rarest shingles of each document, by (count of the slot, hash): as many as a pair with a smaller or equal set can leave unshared,
+    and one more. ``indexed``: those that a pair with a larger or equal set needs."""
 
-    def run(t: pa.Table) -> pa.Table:
-        left, right, ok = _open_pairs(t, least)
-        data, off = bt.utf8(t.column("text").combine_chunks())
-        sets: list[np.ndarray] = []
-        for i, j in bt.pieces(off):
-            v, first = distinct_rows(*shingle_rows(data[off[i] : off[j]], off[i : j + 1] - off[i]))
-            sets += [v[a:b] for a, b in zip(first[:-1], first[1:], strict=True)]
-        _, comp = np.unique(t.column("component").to_numpy(), return_inverse=True)
-        u, v = [], []
-        for x, row in zip(left, ok, strict=True):
-            for y in right[row]:
-                if comp[x] != comp[y] and _alike(sets[x], sets[y], threshold):
-                    u.append(x)
-                    v.append(y)
-                    comp[comp == comp[y]] = comp[x]
-        ids = t.column("id").to_numpy()
-        return pa.table({"u": pa.array(ids[u], pa.int64()), "v": pa.array(ids[v], pa.int64())})
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts = counts_cast.value
+        for batch in batches:
+            data, off = bt.utf8(batch.column(2))
+            for i, j in bt.pieces(off):
+                v, first = distinct_rows(*shingle_rows(data[off[i] : off[j]], off[i : j + 1] - off[i]))
+                tokens, sizes = [v[:0]], np.zeros(j - i, np.int64)
+                place, indexed = [np.zeros(0, np.int64)], [np.zeros(0, bool)]
+                for k in range(j - i):
+                    own = v[first[k] : first[k + 1]]
+                    n = len(own)
+                    if n:
+                        sizes[k] = n - _ceil(threshold * n, 100) + 1
+                        at = np.arange(sizes[k])
+                        tokens.append(own[np.lexsort((own, counts[_slots(own)]))[: sizes[k]]])
+                        place.append(at)
+                        indexed.append(at <= n - _ceil(2 * threshold * n, 100 + threshold))
+                rows = np.repeat(np.arange(i, j), sizes)
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        pa.array(np.concatenate(tokens).view(np.int64)),
+                        batch.column(0).take(pa.array(rows)),
+                        batch.column(1).take(pa.array(rows)),
+                        pa.array(np.repeat(np.diff(first), sizes)),
+                        pa.array(np.concatenate(place)),
+                        pa.array(np.concatenate(indexed)),
+                    ],
+                    ["token", "id", "component", "n", "place", "indexed"],
+                )
 
     return run
 
 
-def _links_of_blocks(rows: DataFrame, sketches: DataFrame, texts: DataFrame, threshold: int, total: int, scratch: Scratch) -> DataFrame:
-    """All links (u, v) that large mixed buckets still hold, up to chains within a task. Texts are read only for members with an open pair."""
-    least = threshold / 100 - 0.2
-    kind = "key long, p int, q int, block int, id long, component long, signature binary, bands array<long>"
-    held = scratch.table(_block_rows(rows, sketches, total, scratch).groupBy("key", "p", "q").applyInArrow(_hopeful(least), kind))
-    full = held.join(texts, "id")
-    return scratch.table(full.groupBy("key", "p", "q").applyInArrow(_verify_blocks(threshold, least), "u long, v long"))
+def _prefix_pairs(rows: DataFrame, threshold: int, scratch: Scratch) -> DataFrame:
+    """Candidate pairs (a < b) of different components from ``rows`` of ``_prefixes``.
+
+    Of a pair that is similar enough, the first common shingle is among x's prefix and among the indexed ones of y, y being the smaller set;
+    what is left behind it in both bounds what they share. A shingle's rows are dealt to pieces of about PIECE."""
+    tokens = rows.groupBy("token").agg(
+        F.count("*").alias("members"), F.max("indexed").alias("any_indexed"), F.min("component").alias("lo"), F.max("component").alias("hi")
+    )
+    tokens = scratch.table(tokens.where("any_indexed and lo < hi").select("token", "members"))
+    held = scratch.table(spread_join(rows, tokens, ["token"], "members", rows.count()))
+    pieces = F.ceil(F.col("members") / PIECE).cast("int")
+    x = held.select("token", F.pmod(F.xxhash64("id"), pieces).cast("int").alias("piece"), "members", F.struct("id", "component", "n", "place").alias("x"))
+    y = held.where("indexed").select(
+        "token", F.explode(F.sequence(F.lit(0), pieces - 1)).alias("piece"), F.struct("id", "component", "n", "place").alias("y")
+    )
+    smaller = (F.col("y.n") < F.col("x.n")) | ((F.col("y.n") == F.col("x.n")) & (F.col("y.id") < F.col("x.id")))
+    most = 1 + F.least(F.col("x.n") - 1 - F.col("x.place"), F.col("y.n") - 1 - F.col("y.place"))
+    hopeful = (
+        (F.col("x.component") != F.col("y.component"))
+        & smaller
+        & (F.col("y.n") * 100 >= F.col("x.n") * threshold)
+        & (most * (100 + threshold) >= (F.col("x.n") + F.col("y.n")) * threshold)
+    )
+    return x.join(y, ["token", "piece"]).where(hopeful).groupBy(
+        F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b")
+    ).agg(F.max("members").alias("n"))
+
+
+def _links_of_mixed(rows: DataFrame, sketches: DataFrame, texts: DataFrame, threshold: int, total: int, scratch: Scratch) -> DataFrame:
+    """All links (u, v) between components among the members of large mixed buckets. ``rows``: key, id, component."""
+    mixed = rows.groupBy("key").agg(F.count("*").alias("members"), F.min("component").alias("lo"), F.max("component").alias("hi"))
+    mixed = scratch.table(mixed.where((F.col("lo") < F.col("hi")) & (F.col("members") > SMALL)).select("key", "members"))
+    held = scratch.table(spread_join(rows, mixed, ["key"], "members", total).select("id", "component").distinct())
+    full = held.join(texts, "id").select("id", "component", "text")
+    spark = texts.sparkSession
+    found = full.select("text").mapInArrow(_slot_counts, "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n")).toArrow()  # one row a slot at most
+    counts = np.zeros(1 << SLOT_BITS, np.int64)
+    counts[found["slot"].to_numpy()] = found["n"].to_numpy()
+    cast = spark.sparkContext.broadcast(counts)
+    kind = "token long, id long, component long, n long, place long, indexed boolean"
+    pairs = scratch.table(_prefix_pairs(scratch.table(full.select("id", "component", "text").mapInArrow(_prefixes(cast, threshold), kind)), threshold, scratch))
+    cast.destroy()
+    return scratch.table(_confirm(pairs, sketches, texts, threshold, scratch))
 
 
 def _join_components(found: DataFrame, links: DataFrame, scratch: Scratch) -> DataFrame:
@@ -382,7 +382,7 @@ def near_duplicates(docs: DataFrame, threshold: int = 75, id_column: str = "doc_
         if few:  # hardly any of these pairs are links: what is left is for step 6
             found = _join_components(found, more, scratch) if not more.isEmpty() else found
             break
-    rest = _links_of_blocks(in_buckets(), alone, texts, threshold, total, scratch)
+    rest = _links_of_mixed(in_buckets(), alone, texts, threshold, total, scratch)
     if not rest.isEmpty():
         found = _join_components(found, rest, scratch)
     owner = reps.join(found.toDF("rep", "component"), "rep", "left").groupBy("id").agg(
