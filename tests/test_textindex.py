@@ -64,7 +64,7 @@ def test_what_is_read(built):
 
 
 def test_texts_without_grams(spark, tmp_path):
-    index = TextIndex(spark, str(tmp_path), ["id"], ["sql_text"])
+    index = TextIndex(spark, str(tmp_path), ["id"], ["sql_text"], slots=4, parts=4)
     index.load("a", spark.createDataFrame([(1, "ab"), (2, None)], "id long, sql_text string"))
     assert [r["id"] for r in index.search("B").collect()] == [1]
     assert index.search("abc").count() == 0
@@ -72,7 +72,7 @@ def test_texts_without_grams(spark, tmp_path):
 
 def test_step_of_the_chain(spark, tmp_path):
     table = KeyedTable(spark, str(tmp_path / "t"), ["db"])
-    index = TextIndex(spark, str(tmp_path / "i"), ["db", "snap", "id"], ["sql_text"], parts=4)
+    index = TextIndex(spark, str(tmp_path / "i"), ["db", "snap", "id"], ["sql_text"], slots=4, parts=4)
     step = index_step(index, table, ["db", "snap"])
     rows = lambda snap: spark.createDataFrame([("a", snap, i, f"Text {snap}-{i} of statement") for i in range(3)], "db string, snap int, id int, sql_text string")
     for snap in (1, 2):
