@@ -199,9 +199,11 @@ def plan_texts(spark: SparkSession, sf_dir: str, variant: int = 0) -> DataFrame:
         F.array(*map(F.lit, OPERATIONS)),
         ((F.col("l_partkey") + (F.when(F.col("l_linenumber") == 4, variant).otherwise(0))) % len(OPERATIONS) + 1).cast("int"),
     )
-    one = li.groupBy("l_orderkey", "l_linenumber").agg(
+    # Dealt once, by file: the groups of lines, plans and files all lie within a file.
+    dealt = li.select(F.floor(F.col("l_orderkey") / 2).alias("file"), "l_orderkey", "l_linenumber", "l_partkey", "l_quantity", "l_extendedprice").repartition("file")
+    one = dealt.groupBy("file", "l_orderkey", "l_linenumber").agg(
         F.min(F.struct("l_partkey", "l_quantity", "l_extendedprice", op.alias("op"))).alias("m")
-    ).select("l_orderkey", "l_linenumber", "m.*")
+    ).select("file", "l_orderkey", "l_linenumber", "m.*")
     big = F.col("l_extendedprice") >= 50000
     n = F.when(big, F.concat(_s(F.floor(F.col("l_extendedprice") / 1000)), F.lit("K"))).otherwise(_s(F.floor("l_extendedprice")))
     star = F.col("l_linenumber") % 2 == 0
@@ -226,7 +228,7 @@ def plan_texts(spark: SparkSession, sf_dir: str, variant: int = 0) -> DataFrame:
     gather = lambda c: F.array_join(
         F.transform(F.sort_array(F.collect_list(F.when(c.isNotNull(), F.struct("l_linenumber", c.alias("t"))))), lambda x: x["t"]), "\n"
     )
-    g = one.withColumns({"row": line, "pred": pred}).groupBy("l_orderkey").agg(
+    g = one.withColumns({"row": line, "pred": pred}).groupBy("file", "l_orderkey").agg(
         gather(F.col("row")).alias("rows"), gather(F.col("pred")).alias("preds")
     )
     head = "-" * 40
@@ -244,7 +246,7 @@ def plan_texts(spark: SparkSession, sf_dir: str, variant: int = 0) -> DataFrame:
         "preds",
         F.lit("\n\nNote\n-----\n   - dynamic sampling used\n"),
     )
-    return g.groupBy(F.floor(F.col("l_orderkey") / 2).alias("file")).agg(
+    return g.groupBy("file").agg(
         F.array_join(
             F.transform(F.sort_array(F.collect_list(F.struct("l_orderkey", text.alias("t")))), lambda x: x["t"]), "\n"
         ).alias("content")

@@ -1,82 +1,127 @@
-"""Execution-plan listings (SRC11): text to one row a plan, and to one row a step, in DataFrame expressions only.
+"""Execution-plan listings (SRC11): text to one row a plan, and to one row a step.
 
-The lines of a file are classified by windows over the file (one shuffle, one sort), and one aggregate on the same partitioning gathers each plan: its
-heading, text, notes, steps and predicates. Steps are that row's array, exploded.
+A file is cut at its ``SQL_ID`` lines into plans within its own row, one Arrow pass reads a plan's lines in order (what a heading says holds for the
+lines behind it), and column expressions make numbers of the cells. Lines are never shuffled: only finished steps are, dealt once, by file.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
+import re
+from collections.abc import Callable, Iterable, Iterator
+
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.scalars import last_named, plan_cost, plan_size
-from ..operators.select import header_carry
-
-_PREDICATE = r"^\s*(\d+)\s+-\s+(.*)$"
-
-
-def plan_lines(files: DataFrame) -> DataFrame:
-    """Lines of (path, content) with plan number (a new one at each ``SQL_ID`` line), section, the table's column names and the step of a predicate carried on."""
-    d = files.select("path", F.posexplode(F.split("content", "\r?\n")).alias("no", "line"))
-    begins = lambda text: F.startswith(F.ltrim("line"), F.lit(text))
-    mark = F.when(begins("SQL_ID"), "text").when(begins("Plan hash value"), "table").when(
-        begins("Predicate Information"), "predicates"
-    ).when(F.trim("line") == "Note", "note")
-    raw = F.split(F.regexp_replace(F.trim("line"), r"^\||\|$", ""), r"\|")
-    d = d.select("path", "no", "line", mark.alias("mark"), F.when(begins("|"), raw).alias("raw"))
-    d = d.withColumn("cells", F.transform("raw", lambda x: F.trim(x)))
-    none = F.lit(None).cast("array<string>")
-    names = F.when(F.col("mark") == "text", F.struct(none.alias("names"))).when(
-        F.array_contains("cells", "Operation"), F.struct(F.col("cells").alias("names"))
-    )
-    file = W.partitionBy("path").orderBy("no")
-    d = d.withColumns({
-        "plan_no": F.sum((F.col("mark") == "text").cast("int")).over(file), "section": header_carry(F.col("mark"), ["path"], "no"),
-        "names": header_carry(names, ["path"], "no")["names"], "starts": F.col("mark").isNotNull(),
-    })
-    # The number before a predicate holds for the lines that continue it; a heading ends it.
-    own = F.when((F.col("section") == "predicates") & ~F.col("starts"), F.regexp_extract("line", _PREDICATE, 1).try_cast("int"))
-    held = F.when(F.col("starts"), F.struct(F.lit(None).cast("int").alias("step"))).when(own.isNotNull(), F.struct(own.alias("step")))
-    return d.withColumn("predicate_of", header_carry(held, ["path"], "no")["step"])
+from ..functions.scalars import plan_cost, plan_size
+
+#: The rest of a line as ``.*$`` takes it in Java: none of its other line ends but a last one.
+_REST = "([^\n\r\x85  ]*)[\r\x85  ]?\\Z"
+_SQL_ID, _HASH = re.compile(r"\s*SQL_ID:?\s+(\w+)", re.A), re.compile(r"Plan hash value:\s*(\d+)", re.A)
+_PREDICATE, _NOTE = re.compile(r"\s*(\d+)\s+-\s+" + _REST, re.A), re.compile(r"\s+- ", re.A)
+_NOTED, _STEP = re.compile(r"\s+- " + _REST, re.A), re.compile(r"\*?\s*\d+\s?\Z", re.A)
+_BLANK, _FIRST = " \t\n\x0b\f\r\x85\u2028\u2029", tuple("SPN")
+_COLUMNS = ("Name", "Rows", "Bytes", "Cost (%CPU)", "Cost")
+_MARKS = {"SQL_ID": "text", "Plan hash value": "table", "Predicate Information": "predicates"}
+#: Rows that leave the parser together.
+ROWS_AT_ONCE = 8192
+_CELLS = ("id", "op", "name", "rows", "bytes", "cost")
+
+
+def _first(found: list[str]) -> str | None:
+    return max(found, key=lambda x: x.encode(), default=None)
+
+
+def _places(names: list[str]) -> list[int | None]:
+    """Where the wanted columns stand; of a repeated name the last."""
+    at = dict(zip(names, range(len(names))))
+    return [at.get(n) for n in _COLUMNS]
+
+
+def _parse(plan: str) -> tuple:
+    """(sql_id, plan_hash_value, sql_text, notes, steps as tuples of ``_CELLS``, predicates as tuples of step and text) of one plan's lines."""
+    ids, hashes, body, notes, steps, predicates = [], [], [], [], [], []
+    section, names, of, op, places = "", [], None, 0, []
+    for line in plan.split("\n"):
+        bare = line.lstrip(" ")
+        first = bare[:1]
+        if first == "|":
+            raw = bare.split("|")  # begins with what is before the first bar, in header and rows alike
+            if "Operation" in bare and "Operation" in (cells := [x.strip(" ") for x in raw]):
+                names, places, op = cells, _places(cells), cells.index("Operation")
+            elif names and _STEP.match(cell := raw[1].strip(" ")):
+                name, rows, size, cpu, cost = [
+                    None if i is None else raw[i].strip(" ") for i in (places if len(raw) >= len(names) else _places(names[: len(raw)]))
+                ]
+                steps.append((cell, raw[op] if op < len(raw) else None, name, rows, size, cost if cpu is None else cpu))
+        elif "SQL_ID" in line and (m := _SQL_ID.match(line)):
+            ids.append(m[1])
+        if "Plan hash value" in line and (m := _HASH.search(line)):
+            hashes.append(m[1])
+        if first in _FIRST and (mark := "note" if bare.rstrip(" ") == "Note" else next((k for t, k in _MARKS.items() if bare.startswith(t)), None)):
+            section, of = mark, None
+        elif section == "text":
+            if line.strip(_BLANK).strip("-"):
+                body.append(line.strip(" "))
+        elif section == "note":
+            if _NOTE.match(line):
+                notes.append(m[1] if (m := _NOTED.match(line)) else "")
+        elif section == "predicates" and bare and line.strip("-"):
+            m = _PREDICATE.match(line)
+            if m and int(m[1]) < 1 << 31:
+                of = int(m[1])
+            if of is not None:
+                predicates.append((of, (m[2] if m else line).strip(" ")))
+    return _first(ids), _first(hashes), " ".join(body), "; ".join(notes), steps, predicates
+
+
+def _read(files: DataFrame, rows_of: Callable[[tuple], Iterable[tuple]], kinds: dict[str, pa.DataType], schema: str) -> DataFrame:
+    """Rows made of each parsed plan, with path and plan number in front."""
+    cut = F.filter(F.split(F.replace("content", F.lit("\r\n"), F.lit("\n")), r"(?dm)^(?= *SQL_ID)"), lambda x: F.startswith(F.ltrim(x), F.lit("SQL_ID")))
+    texts = files.select("path", F.posexplode(cut).alias("no", "plan"))
+    names, types = ["path", "plan_no", *kinds], [pa.string(), pa.int64(), *kinds.values()]
+
+    def batch_of(rows: list[tuple]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), types, strict=True)], names)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows: list[tuple] = []
+        for batch in batches:
+            for path, no, plan in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                rows.extend((path, no + 1, *r) for r in rows_of(_parse(plan)))
+                if len(rows) >= ROWS_AT_ONCE:
+                    yield batch_of(rows)
+                    rows = []
+        if rows:
+            yield batch_of(rows)
+
+    return texts.mapInArrow(run, f"path string, plan_no long, {schema}")
+
+
+def _typed(cell: Callable[[str], Column], compat: bool) -> list[Column]:
+    op = cell("op")
+    return [
+        F.regexp_extract(cell("id"), r"(\d+)", 1).try_cast("int").alias("step_id"),
+        F.greatest(F.lit(0), F.length(F.rtrim(op)) - F.length(F.trim(op)) - 1).alias("depth"),
+        F.trim(op).alias("operation"),
+        F.nullif(cell("name"), F.lit("")).alias("object_name"),
+        plan_size(cell("rows"), compat).alias("rows"),
+        plan_size(cell("bytes"), compat).alias("bytes"),
+        plan_cost(cell("cost"), compat).alias("cost"),
+    ]
 
 
 def plans(files: DataFrame, compat: bool = False) -> DataFrame:
     """One row a plan: path, plan_no, sql_id, plan_hash_value, sql_text, notes, steps (array) and predicates (array of step_id and text pieces)."""
-    line, section = F.col("line"), F.col("section")
-    text = lambda pieces, sep: F.array_join(F.transform(F.sort_array(F.collect_list(pieces)), lambda x: x["t"]), sep)
-    first = lambda p: F.max(F.nullif(F.regexp_extract("line", p, 1), F.lit("")))
-    body = F.when((section == "text") & ~F.col("starts") & ~line.rlike(r"^\s*-*\s*$"), F.struct("no", F.trim("line").alias("t")))
-    note = F.when((section == "note") & line.rlike(r"^\s+- "), F.struct("no", F.regexp_extract("line", r"^\s+- (.*)$", 1).alias("t")))
-    in_predicates = (
-        section == "predicates"
-    ) & ~F.col("starts") & (F.trim("line") != "") & ~line.rlike("^-+$") & F.col("predicate_of").isNotNull()
-    piece = F.trim(F.when(line.rlike(_PREDICATE), F.regexp_extract("line", _PREDICATE, 2)).otherwise(line))
-    predicate = F.when(in_predicates, F.struct("no", F.col("predicate_of").alias("step_id"), piece.alias("t")))
-    d = plan_lines(files).where("plan_no > 0")
-    is_step = F.col("cells").isNotNull() & F.col("names").isNotNull() & F.element_at("cells", 1).rlike(r"^\*?\s*\d+$")
-    d = d.withColumns({
-        "m": F.when(is_step, last_named("names", "cells")),
-        "op": F.when(is_step, F.get("raw", F.array_position("names", F.lit("Operation")).cast("int") - 1)),
-    })
-    step = F.struct(
-        "no",
-        F.regexp_extract(F.element_at("cells", 1), r"(\d+)", 1).cast("int").alias("step_id"),
-        F.greatest(F.lit(0), F.length(F.rtrim("op")) - F.length(F.trim("op")) - 1).alias("depth"),
-        F.trim("op").alias("operation"),
-        F.nullif(F.col("m")["Name"], F.lit("")).alias("object_name"),
-        plan_size(F.col("m")["Rows"], compat).alias("rows"),
-        plan_size(F.col("m")["Bytes"], compat).alias("bytes"),
-        plan_cost(F.coalesce(F.col("m")["Cost (%CPU)"], F.col("m")["Cost"]), compat).alias("cost"),
-    )
-    return d.groupBy("path", "plan_no").agg(
-        first(r"^\s*SQL_ID:?\s+(\w+)").alias("sql_id"),
-        first(r"Plan hash value:\s*(\d+)").alias("plan_hash_value"),
-        text(body, " ").alias("sql_text"),
-        text(note, "; ").alias("notes"),
-        F.sort_array(F.collect_list(F.when(F.col("m").isNotNull(), step))).alias("steps"),
-        F.sort_array(F.collect_list(predicate)).alias("predicates"),
-    )
+    text = dict.fromkeys(("sql_id", "plan_hash_value", "sql_text", "notes"), pa.string())
+    kinds = text | {
+        "steps": pa.list_(pa.struct([(c, pa.string()) for c in _CELLS])), "predicates": pa.list_(pa.struct([("step_id", pa.int32()), ("t", pa.string())])),
+    }
+    cells = ",".join(f"{c}:string" for c in _CELLS)
+    schema = ", ".join(f"{c} string" for c in text) + f", steps array<struct<{cells}>>, predicates array<struct<step_id:int,t:string>>"
+    named = lambda p: (*p[:4], [dict(zip(_CELLS, s)) for s in p[4]], [{"step_id": n, "t": t} for n, t in p[5]])
+    d = _read(files, lambda p: [named(p)], kinds, schema)
+    return d.withColumn("steps", F.transform("steps", lambda s: F.struct(*_typed(lambda c: s[c], compat))))
 
 
 def plan_headers(plans: DataFrame) -> DataFrame:
@@ -87,15 +132,17 @@ def plan_headers(plans: DataFrame) -> DataFrame:
 def plan_steps(files: DataFrame, compat: bool = False) -> DataFrame:
     """SRC11: one row a step: path, plan_no, sql_id, plan_hash_value, step_id, depth, operation, object_name, rows, bytes, cost, predicate.
 
-    A predicate's continued lines are joined with a blank."""
-    d = plans(files, compat).select("path", "plan_no", "sql_id", "plan_hash_value", "predicates", F.explode("steps").alias("s"))
-    own = F.transform(F.filter("predicates", lambda p: p["step_id"] == F.col("s.step_id")), lambda p: p["t"])
-    columns = ["step_id", "depth", "operation", "object_name", "rows", "bytes", "cost"]
-    return d.select(
-        "path",
-        "plan_no",
-        "sql_id",
-        "plan_hash_value",
-        *[f"s.{c}" for c in columns],
-        F.when(F.size(own) > 0, F.array_join(own, " ")).alias("predicate"),
-    )
+    A predicate's continued lines are joined with a blank. Steps come dealt by path, so what groups them by file or plan needn't deal them again."""
+
+    def rows_of(parsed: tuple) -> Iterator[tuple]:
+        sql_id, plan_hash, _, _, steps, predicates = parsed
+        said: dict[int, list[str]] = {}
+        for n, t in predicates:
+            said.setdefault(n, []).append(t)
+        for s in steps:
+            own = said and said.get(int(s[0].lstrip("*")))
+            yield sql_id, plan_hash, *s, " ".join(own) if own else None
+
+    names = ("sql_id", "plan_hash_value", *_CELLS, "predicate")
+    d = _read(files, rows_of, dict.fromkeys(names, pa.string()), ", ".join(f"{c} string" for c in names)).repartition("path")
+    return d.select("path", "plan_no", "sql_id", "plan_hash_value", *_typed(F.col, compat), "predicate")
