@@ -1,6 +1,7 @@
 """Plan listings at size: lines stay in their file's row, and comparisons read each side once."""
 
 from vitalspark import fixture_texts as ft
+from vitalspark.plans import listings
 from vitalspark.sources import plan_text
 
 HEAD = "| Id | Operation | Name | Rows | Bytes | Cost |\n"
@@ -38,3 +39,21 @@ def test_what_headings_hold(spark):
         assert (b["plan_no"], b["sql_id"], b["plan_hash_value"], b["steps"], b["predicates"]) == (2, "b", None, [], [])
         steps = {r["step_id"]: r["predicate"] for r in plan_text.plan_steps(files).collect()}
         assert steps == {1: "x y z w | Operation | Name | Id | | 5 | U |", 5: None}
+
+
+def test_comparisons_read_each_side_once(spark):
+    side = lambda n: spark.createDataFrame([("p", 1, "SCAN", "T", 1.0)], "path string, step_id int, operation string, object_name string, cost double").where(f"step_id < {n}")
+    for out in (listings.plan_compare(side(7), side(8), ["path"]), listings.problem_changes(side(7), side(8), ["path"])):
+        plan = physical(out)
+        assert plan.count("Scan ") == 2 and "Join" not in plan and plan.count("Exchange") == 1
+
+
+def test_equal_step_numbers_of_a_plan_multiply_nothing(spark):
+    """Two rows of one step number, and a plan without a key, keep their own columns."""
+    schema = "path string, step_id int, operation string, object_name string, cost double"
+    before = spark.createDataFrame([("p", 1, "SCAN", "T", 1.0), ("p", 1, "SORT", None, 2.0), (None, 1, "SCAN", "T", 5.0)], schema)
+    after = spark.createDataFrame([("p", 1, "SCAN", "T", 4.0), (None, 1, "SCAN", "T", 6.0)], schema)
+    got = listings.plan_compare(before, after, ["path"]).collect()
+    assert sorted((str(r["path"]), r["operation_before"], r["cost_before"], r["cost_after"], r["status"]) for r in got) == [
+        ("None", "SCAN", 5.0, 6.0, "changed"), ("p", "SCAN", 1.0, 4.0, "changed"), ("p", "SORT", 2.0, None, "removed"),
+    ]

@@ -193,20 +193,25 @@ def ledger_anti(candidates: DataFrame, ledger: DataFrame) -> DataFrame:
     ).select("hash", "__r.*")
 
 
-def step_match(before: DataFrame, after: DataFrame, keys: Sequence[str] = ("plan",)) -> DataFrame:
-    """Steps of two plans paired by (operation, object), the n-th with the n-th, then what is left by position.
+def paired_steps(before: DataFrame, after: DataFrame, keys: Sequence[str], columns: Sequence[str] = ()) -> DataFrame:
+    """One row a plan: keys and ``pairs``, an array of before, after (structs of step_id and ``columns``, or null) and how (same, moved, removed,
+    added). Steps of equal (operation, object) are paired, the n-th with the n-th, then what is left by position.
 
-    Both sides: keys, step_id, operation, object_name. Result: keys, step_before, step_after, how (same, moved, removed, added). The steps of a plan
-    are dealt once, by plan; the lists of equal steps and then the lists of what is left are zipped in place."""
+    Both sides: keys, step_id, operation, object_name and ``columns``. The steps of a plan are dealt once, by plan; the lists of equal steps and then the
+    lists of what is left are zipped in place, so no side is read again to look up its columns."""
     key = [F.col(c) for c in keys]
-    what = [F.upper("operation").alias("op"), F.coalesce(F.upper("object_name"), F.lit("")).alias("ob"), F.col("step_id").alias("step")]
-    none = F.lit(None).cast(before.schema["step_id"].dataType)
-    both = before.select(*key, *what, F.lit(0).alias("side")).union(after.select(*key, *what, F.lit(1))).repartition(*keys)
+    what = [
+        F.upper("operation").alias("op"), F.coalesce(F.upper("object_name"), F.lit("")).alias("ob"),
+        F.struct(F.col("step_id"), *[F.col(c) for c in columns]).alias("step"),
+    ]
+    sides = before.select(*key, *what, F.lit(0).alias("side")), after.select(*key, *what, F.lit(1).alias("side"))
+    both = sides[0].union(sides[1]).repartition(*keys)
+    none = F.lit(None).cast(both.schema["step"].dataType)
     steps = lambda side: F.sort_array(F.collect_list(F.when(F.col("side") == side, F.col("step"))))
     each = both.groupBy(*keys, "op", "ob").agg(steps(0).alias("b"), steps(1).alias("a"))
     n = F.least(F.size("b"), F.size("a"))
     beyond = lambda c: F.slice(c, n + 1, F.size(c))
-    pair = lambda b, a, how: F.struct(b.alias("step_before"), a.alias("step_after"), how.alias("how"))
+    pair = lambda b, a, how: F.struct(b.alias("before"), a.alias("after"), how.alias("how"))
     same = F.transform(F.slice("b", F.lit(1), n), lambda x, i: pair(x, F.get("a", i), F.lit("same")))
     plan = each.select(*key, same.alias("same"), beyond("b").alias("b"), beyond("a").alias("a")).groupBy(*keys).agg(
         F.flatten(F.collect_list("same")).alias("same"), F.sort_array(F.flatten(F.collect_list("b"))).alias("b"), F.sort_array(F.flatten(F.collect_list("a"))).alias("a")
@@ -216,4 +221,10 @@ def step_match(before: DataFrame, after: DataFrame, keys: Sequence[str] = ("plan
     ends = F.least(F.size("b"), F.size("a"))
     how = lambda i: F.when(i < ends, "moved").when(i < F.size("b"), "removed").otherwise("added")
     rest = F.transform(at, lambda i: pair(F.coalesce(F.get("b", i), none), F.coalesce(F.get("a", i), none), how(i)))
-    return plan.select(*key, F.explode(F.concat("same", rest)).alias("p")).select(*key, "p.*")
+    return plan.select(*key, F.concat("same", rest).alias("pairs"))
+
+
+def step_match(before: DataFrame, after: DataFrame, keys: Sequence[str] = ("plan",)) -> DataFrame:
+    """J18, one row a pair (``paired_steps``): keys, step_before, step_after, how (same, moved, removed, added)."""
+    d = paired_steps(before, after, keys).select(*keys, F.explode("pairs").alias("p"))
+    return d.select(*keys, F.col("p.before.step_id").alias("step_before"), F.col("p.after.step_id").alias("step_after"), "p.how")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..operators import joins, select
@@ -39,17 +39,19 @@ def plan_problems(steps: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
     ).drop("short")
 
 
+#: What comparisons read of a step.
+COMPARED = ("operation", "object_name", "cost")
+
+
+def _each(plans: DataFrame, keys: Sequence[str], *more: str) -> DataFrame:
+    """One row a pair of ``paired_steps``, and columns of the plan."""
+    side = lambda s: [F.col(f"p.{s}.{c}").alias(f"{n}_{s}") for c, n in zip(("step_id", *COMPARED), ("step", "operation", "object", "cost"))]
+    return plans.select(*keys, *more, F.explode("pairs").alias("p")).select(*keys, *more, *side("before"), *side("after"), "p.how")
+
+
 def plan_compare(before: DataFrame, after: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
-    """Matched steps with costs, change in percent and status (same, changed, removed, added)."""
-    m = joins.step_match(before, after, keys)
-    side = lambda df, s: df.select(
-        *keys,
-        F.col("step_id").alias(f"step_{s}"),
-        F.col("operation").alias(f"operation_{s}"),
-        F.col("object_name").alias(f"object_{s}"),
-        F.col("cost").alias(f"cost_{s}"),
-    )
-    j = m.join(side(before, "before"), [*keys, "step_before"], "left").join(side(after, "after"), [*keys, "step_after"], "left")
+    """Matched steps with costs, change in percent and status (same, changed, removed, added). Each side is read once."""
+    j = _each(joins.paired_steps(before, after, keys, COMPARED), keys)
     changed = (F.col("how") == "moved") | ~F.col("cost_before").eqNullSafe(F.col("cost_after"))
     status = F.when(F.col("how").isin("removed", "added"), F.col("how")).when(changed, "changed").otherwise("same")
     return j.withColumns(
@@ -61,55 +63,60 @@ def plan_compare(before: DataFrame, after: DataFrame, keys: Sequence[str] = KEYS
     )
 
 
+def _is_full(operation: Column) -> Column:
+    return reduce(lambda a, b: a | b, [F.contains(F.upper(operation), F.lit(o)) for o in FULL_OPERATIONS])
+
+
+def _full_scans() -> Column:
+    return F.when(F.col("full_before") & ~F.col("full_after"), "removed").when(~F.col("full_before") & F.col("full_after"), "introduced")
+
+
 def plan_verdict(before: DataFrame, after: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
-    """Total cost (that of the first step) before and after, change, percent, whether it fell, and whether full scans came or went."""
-    full = reduce(lambda a, b: a | b, [F.contains(F.upper("operation"), F.lit(o)) for o in FULL_OPERATIONS])
+    """Total cost (that of the first step) before and after, change, percent, whether it fell, and whether full scans came or went. Each side is
+    reduced to a row a plan as it is read."""
+    full = _is_full(F.col("operation"))
     side = lambda df, s: df.groupBy(*keys).agg(F.min_by("cost", "step_id").alias(f"total_{s}"), F.max(full).alias(f"full_{s}"))
     j = side(before, "before").join(side(after, "after"), list(keys))
     change = F.col("total_after") - F.col("total_before")
-    scans = F.when(F.col("full_before") & ~F.col("full_after"), "removed").when(~F.col("full_before") & F.col("full_after"), "introduced")
     pct = F.when(F.col("total_before") > 0, change / F.col("total_before") * 100)
     return j.withColumns(
-        {"cost_change": change, "cost_pct_change": pct, "improved": F.col("total_after") < F.col("total_before"), "full_scans": scans}
+        {"cost_change": change, "cost_pct_change": pct, "improved": F.col("total_after") < F.col("total_before"), "full_scans": _full_scans()}
     )
 
 
-def access_changes(before: DataFrame, after: DataFrame, compared: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
-    """Steps whose operation or object changed to an operation that no step of the plan had before. ``compared``: the result of plan_compare."""
-    had = before.groupBy(*keys).agg(F.collect_set(F.upper("operation")).alias("__had"))
-    moved = compared.where("how = 'moved'").join(had, list(keys))
-    new = moved.where(~F.exists("__had", lambda x: F.contains(x, F.upper("operation_after"))))
-    name = lambda s: F.concat(F.col(f"operation_{s}"), F.lit(" ("), F.coalesce(f"object_{s}", F.lit("None")), F.lit(")"))
-    return new.select(*keys, "step_before", "step_after", F.concat(name("before"), F.lit(" -> "), name("after")).alias("change"))
-
-
-def problem_changes(before: DataFrame, after: DataFrame, compared: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
-    """Full scans that are new or fixed, as (keys, change, problem): of the plan as a whole, and step by step where that is not
-    said by the whole already (a step's scan is new only if the plan had none)."""
-    v = plan_verdict(before, after, keys)
-    whole = v.where("full_scans is not null").select(
-        *keys,
-        F.when(F.col("full_scans") == "removed", "fixed").otherwise("new").alias("change"),
-        F.concat(F.lit("Full table scan "), "full_scans").alias("problem"),
-    )
-    full = lambda s: F.contains(F.upper(f"operation_{s}"), F.lit("FULL"))
-    obj = lambda s: F.coalesce(f"object_{s}", F.lit("None"))
-    m = compared.where("how = 'moved'").join(v.select(*keys, "full_before", "full_after"), list(keys))
-    gone = m.where(full("before") & ~full("after") & ~(F.col("full_before") & ~F.col("full_after")))
-    gone = gone.select(
-        *keys,
-        F.lit("fixed").alias("change"),
-        F.concat(
-            F.lit("Full scan removed: "), "operation_before", F.lit(" on "), obj("before"), F.lit(" -> "), "operation_after"
-        ).alias("problem"),
-    )
-    come = m.where(~full("before") & full("after") & ~F.col("full_before"))
-    come = come.select(
-        *keys,
-        F.lit("new").alias("change"),
-        F.concat(F.lit("New full scan: "), "operation_after", F.lit(" on "), obj("after")).alias("problem"),
-    )
-    return whole.union(gone).union(come)
+def problem_changes(before: DataFrame, after: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
+    """X14, (keys, change, problem): full scans that are ``new`` or ``fixed``, of the plan as a whole, and step by step where that is not said by the
+    whole already (a step's scan is new only if the plan had none); and ``access``: steps whose operation or object changed to an operation that no step
+    of the plan had before. All of it comes from one row a plan that holds both sides' pairs of steps, so each side is read once."""
+    of = lambda s: F.filter(F.col("pairs")[s], lambda x: x.isNotNull())
+    p = joins.paired_steps(before, after, keys, COMPARED).withColumns({"had": of("before"), "has": of("after")})
+    # None of a step's operations may be known: as a maximum over them, null is passed over.
+    any_full = lambda c: F.array_max(F.transform(c, lambda x: _is_full(x["operation"])))
+    both = (F.size("had") > 0) & (F.size("has") > 0)
+    p = p.withColumns({"full_before": F.when(both, any_full("had")), "full_after": F.when(both, any_full("has"))})
+    p = p.withColumn("ops", F.filter(F.transform("had", lambda x: F.upper(x["operation"])), lambda x: x.isNotNull()))
+    row = lambda when, change, *problem: F.when(when, F.struct(F.lit(change).alias("change"), F.concat(*problem).alias("problem")))
+    title = lambda s: F.lit(f"Full table scan {s}")
+    scans = _full_scans()
+    whole = [row(scans == "removed", "fixed", title("removed")), row(scans == "introduced", "new", title("introduced"))]
+    obj = lambda x: F.coalesce(x["object_name"], F.lit("None"))
+    name = lambda x: F.concat(x["operation"], F.lit(" ("), obj(x), F.lit(")"))
+
+    def steps(x: Column) -> Column:
+        b, a = x["before"], x["after"]
+        full = lambda s: F.contains(F.upper(s["operation"]), F.lit("FULL"))
+        gone = full(b) & ~full(a) & ~(F.col("full_before") & ~F.col("full_after"))
+        come = ~full(b) & full(a) & ~F.col("full_before")
+        unknown = both & ~F.exists("ops", lambda o: F.contains(o, F.upper(a["operation"])))
+        return F.array(
+            row(gone, "fixed", F.lit("Full scan removed: "), b["operation"], F.lit(" on "), obj(b), F.lit(" -> "), a["operation"]),
+            row(come, "new", F.lit("New full scan: "), a["operation"], F.lit(" on "), obj(a)),
+            row(unknown, "access", name(b), F.lit(" -> "), name(a)),
+        )
+
+    moved = F.flatten(F.transform(F.filter("pairs", lambda x: x["how"] == "moved"), steps))
+    found = p.select(*keys, F.explode(F.filter(F.concat(F.array(*whole), moved), lambda x: x.isNotNull())).alias("c"))
+    return found.select(*keys, "c.change", "c.problem")
 
 
 def metadata_warnings(steps: DataFrame, meta: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
