@@ -9,7 +9,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass, field
 from html.parser import HTMLParser
-from itertools import islice
+from itertools import chain, islice
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -127,6 +127,29 @@ def report_rows(files: DataFrame) -> DataFrame:
     return files.select("path", "content").mapInArrow(run, ROWS)
 
 
+def report_headers(files: DataFrame) -> DataFrame:
+    """(path, header) of every report that has a table: one row a report, parsed once and no further than the tables on instance and snapshots, where
+    both stand at the top. For what needs the metadata only; no rows leave the parser and nothing is shuffled."""
+    kinds = [pa.string(), pa.map_(pa.string(), pa.string())]
+
+    def header_of(content: str) -> list | None:
+        tables = _tables(content)
+        first = next((t for t in tables if t["rows"]), None)
+        return None if first is None else list(_header(chain([first], tables)).items())
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = []
+            for i in range(batch.num_rows):  # one report at a time, whatever the number of reports in a batch
+                path, content = (batch.column(c)[i].as_py() for c in (0, 1))
+                if (header := header_of(content or "")) is not None:
+                    found.append((path, header))
+            if found:
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*found, strict=True), kinds, strict=True)], ["path", "header"])
+
+    return files.select("path", "content").mapInArrow(run, "path string, header map<string,string>")
+
+
 def read_reports(spark: SparkSession, path: str, glob: str = "*.html") -> DataFrame:
     """(path, content) of report files."""
     return spark.read.format("binaryFile").option("pathGlobFilter", glob).load(path).select(
@@ -454,26 +477,37 @@ def _header_columns() -> dict[str, Column]:
     }
 
 
+_KNOWN = "map_contains_key(header, 'dbname') or map_contains_key(header, 'snapid')"
+
+
 def metadata(rows: DataFrame) -> DataFrame:
     """SRC2: (path, dbname, instance, instnum, begin_snap, snap_time) from the one-table or two-table header and the snapshot table."""
     one = rows.groupBy("path").agg(F.first("header").alias("header"))
-    return one.where(
-        "map_contains_key(header, 'dbname') or map_contains_key(header, 'snapid')"
-    ).select("path", *[c.alias(n) for n, c in _header_columns().items()])
+    return one.where(_KNOWN).select("path", *[c.alias(n) for n, c in _header_columns().items()])
 
 
-def metadata_rejects(rows: DataFrame) -> DataFrame:
-    """(path, reason, text) of reports whose metadata is not whole: ``no instance``, ``no snapshot`` or ``bad snap time``, one row for each."""
+def _flaws() -> Column:
     at = lambda name: F.nullif(F.col("header")[name], F.lit(""))
-    one = rows.groupBy("path").agg(F.first("header").alias("header"))
     found = lambda bad, reason, text: F.when(bad, F.struct(F.lit(reason).alias("reason"), text.alias("text")))
     time = at("snaptime")
-    each = F.array_compact(F.array(
+    return F.array_compact(F.array(
         found(at("dbname").isNull() | at("instance").isNull(), "no instance", at("dbname")),
         found(at("snapid").try_cast("int").isNull(), "no snapshot", at("snapid")),
         found(time.isNotNull() & S.day_first_time(time).isNull(), "bad snap time", time),
     ))
-    return one.select("path", F.explode(each).alias("r")).select("path", "r.*")
+
+
+def metadata_rejects(rows: DataFrame) -> DataFrame:
+    """(path, reason, text) of reports whose metadata is not whole: ``no instance``, ``no snapshot`` or ``bad snap time``, one row for each."""
+    one = rows.groupBy("path").agg(F.first("header").alias("header"))
+    return one.select("path", F.explode(_flaws()).alias("r")).select("path", "r.*")
+
+
+def checked_metadata(files: DataFrame) -> DataFrame:
+    """SRC2 with its flaws, from files: ``metadata`` and for each of a report's ``metadata_rejects`` a row with reason and text, or one row with nulls.
+    One pass that parses each report once; paths are taken to be distinct."""
+    d = report_headers(files).where(_KNOWN).select("path", *[c.alias(n) for n, c in _header_columns().items()], F.explode_outer(_flaws()).alias("r"))
+    return d.select(*[c for c in d.columns if c != "r"], "r.reason", "r.text")
 
 
 def facts_of(rows: DataFrame, table: str) -> DataFrame:
