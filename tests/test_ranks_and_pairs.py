@@ -42,6 +42,22 @@ def test_percentiles_of_everything_and_of_nothing(spark):
     assert exact_percentiles(df.where("false"), [], "v", [0.5]).collect() == []
 
 
+def test_percentiles_of_means_that_are_summed_anew(spark):
+    """Each reading brings the values off in their last digits, as sums of another order are; no value leaves the bounds of an earlier pass."""
+    noisy = F.udf(lambda x: x * (1 + random.uniform(-1e-13, 1e-13)), "double").asNondeterministic()
+    df = spark.range(5000, numPartitions=3).select((F.col("id") % 2).alias("k"), noisy((F.col("id") * 7919 % 5003 + 1).cast("double")).alias("v"))
+    want = {k: pd.Series([float(i * 7919 % 5003 + 1) for i in range(k, 5000, 2)]) for k in (0, 1)}
+    spark.conf.set("spark.sql.exchange.reuse", "false")
+    try:
+        got = exact_percentiles(df, ["k"], "v", [0.0, 0.1, 0.4, 0.9, 1.0]).collect()
+    finally:
+        spark.conf.unset("spark.sql.exchange.reuse")
+    assert len(got) == 2
+    for r in got:
+        for p in (0.0, 0.1, 0.4, 0.9, 1.0):
+            assert r[f"p{round(p * 100)}"] == pytest.approx(want[r["k"]].quantile(p), rel=1e-9)
+
+
 def test_percentiles_gather_nothing(spark):
     """No aggregate collects values: buckets, sums and extremes only."""
     df = spark.createDataFrame(values(1), "k string, v double")

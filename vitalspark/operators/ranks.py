@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..storage import written
+
 #: Buckets of one histogram.
 BUCKETS = 4096
 
@@ -17,11 +19,13 @@ def exact_percentiles(rows: DataFrame, by: Sequence[str], value: str, at: Sequen
 
     Equal values of a group are counted together. Between a group's least and greatest value they are counted in buckets; a bucket is opened only if it
     holds a rank that a percentile needs, at most two for each, and counted anew between its own bounds. What ``levels`` histograms leave open is
-    ranked by value. Null values are left out, groups without any other give no row; with an empty ``by`` all rows are one group."""
+    ranked by value. The counted values are written once and read by every pass: means that are summed anew may differ in their last digit, and a
+    value just outside the bounds of an earlier pass would shift all ranks. Null values are left out, groups without any other give no row; with an empty ``by`` all rows are one group."""
     ranks = sorted(at)
     weights = rows.where(F.col(value).isNotNull()).groupBy(
         F.struct(*[F.col(c) for c in by]).alias("g") if by else F.lit(0).alias("g"), F.col(value).cast("double").alias("v")
     ).agg(F.count("*").alias("c"))
+    weights = written(weights, "ranks")
     whole = weights.groupBy("g").agg(F.min("v").alias("lo"), F.max("v").alias("hi"), F.sum("c").alias("n"))
     opened = whole.select("g", "n", F.array(F.struct("lo", "hi", F.lit(0).cast("long").alias("start"))).alias("open"))
 

@@ -186,7 +186,11 @@ def average_by(df: DataFrame, key: str, value: str, like: str | None = None) ->
     return d.groupBy(F.col(key).alias("metric")).agg(F.avg(value).alias("avg_value"))
 
 
-def percentile_thresholds(scored: DataFrame, entity: str, by: Sequence[str] = (), at: Sequence[float] = (0.1, 0.4, 0.7, 0.9)) -> DataFrame:
+#: The percentiles that divide scores into traffic lights.
+THRESHOLDS = (0.1, 0.4, 0.7, 0.9)
+
+
+def percentile_thresholds(scored: DataFrame, entity: str, by: Sequence[str] = (), at: Sequence[float] = THRESHOLDS) -> DataFrame:
     """Exact percentiles of the entities' mean scores, by rank selection."""
     means = scored.groupBy(*by, entity).agg(F.avg("score").alias("mean_score"))
     return exact_percentiles(means, by, "mean_score", at)

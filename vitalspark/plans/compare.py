@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 
 from ..functions.scalars import pct_change
 from ..operators import joins, rollups
+from ..operators.ranks import exact_percentiles
+from ..storage import written
 
 
 def compare_periods(
@@ -23,8 +25,9 @@ def compare_periods(
 
 def rag_ranking(scored: DataFrame, entity: str, by: Sequence[str] = ("dbname",)) -> DataFrame:
     """Entities by mean score, coloured by the group's percentiles, with a score normalised between p10 and p90."""
-    p = rollups.percentile_thresholds(scored, entity, by)
-    means = scored.groupBy(*by, entity).agg(F.avg("score").alias("mean_score"))
+    # Written once: a mean that is itself a percentile must not be compared with one summed in another order.
+    means = written(scored.groupBy(*by, entity).agg(F.avg("score").alias("mean_score")), "means")
+    p = exact_percentiles(means, by, "mean_score", rollups.THRESHOLDS)
     same = reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(f"__{c}")) for c in by], F.lit(True))
     j = means.join(p.withColumnsRenamed({c: f"__{c}" for c in by}), same)
     m = F.col("mean_score")

@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -19,6 +20,13 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+def written(df: DataFrame, name: str) -> DataFrame:
+    """``df`` written to a fresh folder of the shared directory and read again: computed once, however often and wherever it is read."""
+    path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex[:12]}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def filesystem(spark: SparkSession, path: str):
     """The Hadoop file system of a path and the path itself."""
     p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
