@@ -98,6 +98,29 @@ def test_cooccurrence_top_sums_few_pairs(spark):
     assert pairs == 40_000
 
 
+@pytest.mark.parametrize("least", [0.0, -5.0])
+def test_cooccurrence_top_by_blocks(spark, least, monkeypatch):
+    """Blocks that are multiplied give the pairs of the joins, ties and copies included; no row of a pair is joined but those of the best."""
+    rng = random.Random(7)
+    score = lambda: round(rng.uniform(least, 10) ** 3, 2)
+    a = [(s, f"q{e}", score()) for s in range(12) for e in rng.sample(range(60), 40)]
+    b = [(s, e, score()) for s in range(12) for e in rng.sample(range(80), 50)]
+    a += [(s, f"{e}-copy", x) for s, e, x in a]
+    left, right = spark.createDataFrame(a, "snap int, sql_id string, score double"), spark.createDataFrame(b, "snap int, object_name int, score double")
+    calls, whole = [], joins._best_by_blocks
+    monkeypatch.setattr(joins, "_best_by_blocks", lambda *x: calls.append(x) or whole(*x))
+    for k in (1, 60):
+        by_blocks = joins.cooccurrence_top(left, right, k, ["snap"], probes=8, joined=0, block_rows=300)
+        want = joins._signals(left.withColumnRenamed("score", "s1"), right.withColumnRenamed("score", "s2"), ["snap"])
+        want = want.orderBy(F.desc(F.round("signal", 6)), "sql_id", "object_name").limit(k)
+        order = lambda df: [(round(r["signal"], 6), r["sql_id"], r["object_name"], r["snaps"]) for r in df.collect()]
+        got = order(by_blocks)
+        assert [g[0] for g in got] == [w[0] for w in order(want)] and len(set(got)) == k
+        every = {(r["sql_id"], r["object_name"]): (round(r["signal"], 6), r["snaps"]) for r in want.collect()}
+        assert all(every.get((g[1], g[2]), (g[0], g[3])) == (g[0], g[3]) for g in got)
+    assert len(calls) == 2
+
+
 def paired(before, after):
     """Greedy: each step takes the first unused equal one; what is left is paired by position."""
     used, out, rest = set(), [], []

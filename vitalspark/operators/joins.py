@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import math
+from collections.abc import Callable, Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
+from ..storage import written
 
 
 def range_blocks(ranges: DataFrame, first: str, last: str) -> DataFrame:
@@ -122,37 +127,128 @@ def _bounds(df: DataFrame, entity: str, score: str, other: DataFrame, other_scor
     return df.join(ends, list(keys)).groupBy(entity).agg(F.sum(most).alias("bound"))
 
 
+def _bounded(left: DataFrame, right: DataFrame, k: int, keys: Sequence[str], probes: int, rounds: int) -> tuple[DataFrame, DataFrame, float | None]:
+    """``bounded_sides`` of sides with s1 and s2, and the k-th best signal that was found; None if there are fewer pairs or scores that aren't finite."""
+    found = None
+    for _ in range(rounds):
+        u1, u2 = _bounds(left, "sql_id", "s1", right, "s2", keys), _bounds(right, "object_name", "s2", left, "s1", keys)
+        n1, n2 = (u.agg(F.count("*"), F.max("bound")).first() for u in (u1, u2))
+        if not all(n[1] is not None and math.isfinite(n[1]) for n in (n1, n2)):
+            return left, right, None
+        # The side of more entities has fewer rows an entity and so the closer bounds: its best are met with all of the other side.
+        u, entity, side = (u1, "sql_id", left) if n1[0] > n2[0] else (u2, "object_name", right)
+        few = side.join(u.orderBy(F.desc("bound"), entity).limit(probes).select(entity), entity, "left_semi")
+        best = _signals(few if side is left else left, few if side is right else right, keys).orderBy(F.desc("signal")).limit(k)
+        kth = best.agg(F.count("*").alias("n"), F.min("signal").alias("least")).first()
+        if kth["n"] < k:
+            break
+        found = float(kth["least"])
+        reach = F.col("bound") >= found - abs(found) * ROOM
+        left = left.join(u1.where(reach).select("sql_id"), "sql_id", "left_semi").select(left.columns)
+        right = right.join(u2.where(reach).select("object_name"), "object_name", "left_semi").select(right.columns)
+        probes *= 8
+    return left, right, found
+
+
 def bounded_sides(
     statements: DataFrame, segments: DataFrame, k: int, keys: Sequence[str] = ("dbname", "instance", "begin_snap"), probes: int = 32, rounds: int = 2
 ) -> tuple[DataFrame, DataFrame]:
     """The rows of both sides whose entities can be in one of the ``k`` pairs of the greatest signal; scores as s1 and s2.
 
     In a snapshot a statement's product with any segment is at most its product with the snapshot's extreme segment scores; the sum of these over snapshots
-    bounds all of the statement's signals, and likewise a segment's. The signals of the ``probes`` statements and segments of the greatest bounds give a
-    k-th best signal to pass; only statements and segments whose bounds reach it stay, then bounds are taken anew among those that stay. The driver
-    gets one number a round."""
+    bounds all of the statement's signals, and likewise a segment's. The signals of the ``probes`` entities of the greatest bounds, on the side that has more
+    entities, with all of the other side give a k-th best signal to pass; only statements and segments whose bounds reach it stay. Then bounds are taken anew
+    among those that stay, with 8 times the probes. The driver gets a few numbers a round."""
     left, right = statements.select(*keys, "sql_id", F.col("score").alias("s1")), segments.select(*keys, "object_name", F.col("score").alias("s2"))
-    probe = lambda df, u, entity: df.join(u.orderBy(F.desc("bound"), entity).limit(probes).select(entity), entity, "left_semi")
-    for _ in range(rounds):
-        u1, u2 = _bounds(left, "sql_id", "s1", right, "s2", keys), _bounds(right, "object_name", "s2", left, "s1", keys)
-        best = _signals(probe(left, u1, "sql_id"), probe(right, u2, "object_name"), keys).orderBy(F.desc("signal")).limit(k)
-        found = best.agg(F.count("*").alias("n"), F.min("signal").alias("least")).first()
-        if found["n"] < k:
-            break
-        least = F.lit(float(found["least"]))
-        reach = F.col("bound") >= least - F.abs(least) * 1e-9  # room for the order of sums
-        left = left.join(u1.where(reach).select("sql_id"), "sql_id", "left_semi").select(left.columns)
-        right = right.join(u2.where(reach).select("object_name"), "object_name", "left_semi").select(right.columns)
-    return left, right
+    return _bounded(left, right, k, keys, probes, rounds)[:2]
+
+
+#: Share of a signal left as room for sums in another order.
+ROOM = 1e-9
+#: Rows of one side in a block, and cells of one matrix within a block's task.
+BLOCK_ROWS, CELLS = 2_000_000, 4_000_000
+
+
+def _best_of_block(k: int, least: float) -> Callable[[pd.DataFrame, pd.DataFrame], pd.DataFrame]:
+    """Of two blocks of entities the pairs whose signal reaches ``least`` (above 0) and the k-th best of the blocks: products of matrices of entities by snapshots."""
+
+    def matrix(codes: np.ndarray, at: np.ndarray, score: np.ndarray, first: int, last: int, width: int) -> np.ndarray:
+        own = slice(np.searchsorted(codes, first), np.searchsorted(codes, last))
+        flat = (codes[own] - first) * width + at[own]
+        return np.bincount(flat, score[own], (last - first) * width).reshape(last - first, width)
+
+    def side(df: pd.DataFrame, entity: str, score: str, snaps: np.ndarray):
+        df = df[df["__s"].isin(snaps)]
+        codes, names = pd.factorize(df[entity])
+        order = np.argsort(codes, kind="stable")
+        return codes[order], np.searchsorted(snaps, df["__s"].to_numpy()[order]), df[score].to_numpy()[order], names
+
+    def best(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+        snaps = np.intersect1d(a["__s"], b["__s"])
+        width = len(snaps)
+        ca, sa, xa, na = side(a, "sql_id", "s1", snaps)
+        cb, sb, xb, nb = side(b, "object_name", "s2", snaps)
+        step, bar = max(1, min(2000, CELLS // max(1, width))), least
+        v, i, j = np.empty(0), np.empty(0, "int64"), np.empty(0, "int64")
+        for p in range(0, len(na), step):
+            x = matrix(ca, sa, xa, p, min(p + step, len(na)), width)
+            for q in range(0, len(nb), step):
+                s = x @ matrix(cb, sb, xb, q, min(q + step, len(nb)), width).T
+                hi, hj = np.nonzero(s >= bar)
+                v, i, j = np.append(v, s[hi, hj]), np.append(i, hi + p), np.append(j, hj + q)
+                if len(v) > k:
+                    top = np.partition(v, -k)[-k]
+                    bar = max(bar, top - top * ROOM)
+                    keep = v >= bar
+                    v, i, j = v[keep], i[keep], j[keep]
+        return pd.DataFrame({"sql_id": na.take(i), "object_name": nb.take(j), "v": v})
+
+    return best
+
+
+def _best_by_blocks(left: DataFrame, right: DataFrame, k: int, keys: Sequence[str], least: float, block_rows: int) -> DataFrame:
+    """The signals of the pairs among which the ``k`` best are. Entities are dealt to blocks of about ``block_rows`` rows a side, a task multiplies two
+    blocks; no pair is shuffled but those that reach the best of their blocks, and these are summed again from their rows."""
+    snaps = left.select(*keys).distinct().join(right.select(*keys).distinct(), list(keys))
+    snaps = written(snaps.withColumn("__s", F.monotonically_increasing_id()), "snapshots")
+    n1, n2 = (-(-df.count() // block_rows) for df in (left, right))
+
+    def dealt(df: DataFrame, entity: str, score: str, own: int, others: int, mine: str, other: str) -> DataFrame:
+        d = df.where(F.col(score).isNotNull() & F.col(entity).isNotNull()).join(snaps, list(keys)).select(entity, F.col("__s").alias("__s"), F.col(score).cast("double").alias(score))
+        d = d.withColumn(mine, F.pmod(F.xxhash64(entity), F.lit(own)).cast("int"))
+        return d.withColumn(other, F.explode(F.sequence(F.lit(0), F.lit(others - 1))))
+
+    a, b = dealt(left, "sql_id", "s1", n1, n2, "__a", "__b"), dealt(right, "object_name", "s2", n2, n1, "__b", "__a")
+    schema = StructType([left.schema["sql_id"], right.schema["object_name"], StructField("v", DoubleType())])
+    pairs = a.groupBy("__a", "__b").cogroup(b.groupBy("__a", "__b")).applyInPandas(_best_of_block(k, least - least * ROOM), schema)
+    pairs = written(pairs, "pairs")
+    kth = pairs.orderBy(F.desc("v")).limit(k).agg(F.min("v")).first()[0]
+    pairs = pairs.where(F.col("v") >= kth - kth * ROOM).drop("v")
+    own = lambda df, entity: df.join(pairs.select(entity).distinct(), entity, "left_semi")
+    return _signals(own(left, "sql_id").join(pairs, "sql_id"), own(right, "object_name"), [*keys, "object_name"])
 
 
 def cooccurrence_top(
-    statements: DataFrame, segments: DataFrame, k: int, keys: Sequence[str] = ("dbname", "instance", "begin_snap"), probes: int = 32, rounds: int = 2
+    statements: DataFrame, segments: DataFrame, k: int, keys: Sequence[str] = ("dbname", "instance", "begin_snap"), probes: int = 32, rounds: int = 2,
+    joined: int = 10_000_000, block_rows: int = BLOCK_ROWS
 ) -> DataFrame:
-    """J12, the ``k`` pairs of the greatest signal (by signal, sql_id, object_name), without summing all pairs: only those of ``bounded_sides``. Exact:
-    a pair that is left out lies below k others. Both sides: keys, entity and ``score``, one row each."""
-    left, right = bounded_sides(statements, segments, k, keys, probes, rounds)
-    return _signals(left, right, keys).orderBy(F.desc("signal"), "sql_id", "object_name").limit(k)
+    """J12, the ``k`` pairs of the greatest signal (by signal, sql_id, object_name), without shuffling all pairs: only those of ``bounded_sides``. Exact:
+    a pair that is left out lies below k others. Both sides: keys, entity and ``score``, one row each.
+
+    If the sides that stay meet in at most ``joined`` rows these are joined, else they are multiplied in blocks (``_best_by_blocks``), which needs a
+    positive k-th best signal; without one all pairs are joined."""
+    left = written(statements.select(*keys, "sql_id", F.col("score").alias("s1")), "statements")
+    right = written(segments.select(*keys, "object_name", F.col("score").alias("s2")), "segments")
+    left, right, least = _bounded(left, right, k, keys, probes, rounds)
+    out = None
+    if least is not None and least > 0:
+        left, right = written(left, "statements"), written(right, "segments")
+        met = left.groupBy(*keys).count().join(right.groupBy(*keys).agg(F.count("*").alias("others")), list(keys))
+        if met.agg(F.sum(F.col("count").cast("double") * F.col("others"))).first()[0] > joined:
+            out = _best_by_blocks(left, right, k, keys, least, block_rows)
+    if out is None:
+        out = _signals(left, right, keys)
+    return out.orderBy(F.desc("signal"), "sql_id", "object_name").limit(k)
 
 
 def metadata_enrich(segments: DataFrame, meta: DataFrame, columns: Sequence[str]) -> DataFrame:
