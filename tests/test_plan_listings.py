@@ -57,3 +57,37 @@ def test_equal_step_numbers_of_a_plan_multiply_nothing(spark):
     assert sorted((str(r["path"]), r["operation_before"], r["cost_before"], r["cost_after"], r["status"]) for r in got) == [
         ("None", "SCAN", 5.0, 6.0, "changed"), ("p", "SCAN", 1.0, 4.0, "changed"), ("p", "SORT", 2.0, None, "removed"),
     ]
+
+
+def test_steps_read_as_arrays_are_those_read_line_by_line(spark):
+    """``plan_steps`` and ``plans`` agree on headers in any order, repeated, cut and reopened, odd blanks, predicates of several sections, and files without plans."""
+    texts = [
+        "x\n| 1 | LOST |\n" + "SQL_ID a\n\t SQL_ID: zz\n| Id | Operation | Name |\n| 1 | A | T |\n|*  2 |  B \n| 3 |\n| x | C |\n  |4\t|   D | U | extra |\n"
+        "| Name | Operation | Name | Cost | Cost (%CPU) |\n|7|E|n|5|6 (1)|\n|8|F|n|5|\n| Operations | no |\n Plan hash value: 3 Plan hash value: 9\n"
+        "Predicate Information\n----\n 2 - p\n\n  | 5 | q |\n 7 - r\n Note \n 2 - no\nPredicate Information\n lost\n 2 - s\n  SQL_ID b\n| 1 | NO HEADER |\n 2 - t\n",
+        None, "", "nothing", "SQL_ID", "SQL_ID c\r\n| Id | Operation | Rows |\r\n| 1 | \u00e9 | 2K |\r\nSQL_ID c\r\n| 1 | Z |\r\nfoo SQL_ID d\r\n",
+    ]
+    files = spark.createDataFrame([(str(i), t) for i, t in enumerate(texts)], "path string, content string")
+    each = "path", "plan_no", "sql_id", "plan_hash_value"
+    want = []
+    for r in plan_text.plans(files).collect():
+        said = {}
+        for x in r["predicates"]:
+            said.setdefault(x["step_id"], []).append(x["t"])
+        want += [(*(r[c] for c in each), *s, " ".join(said[s["step_id"]]) if s["step_id"] in said else None) for s in r["steps"]]
+    got = [tuple(r) for r in plan_text.plan_steps(files).collect()]
+    assert len(want) == 8 and sorted(got, key=repr) == sorted(want, key=repr)
+    few = plan_text.plan_steps(files, columns=("cost", "sql_id"), dealt=False)
+    assert few.columns == ["path", "sql_id", "cost"] and "Exchange" not in physical(few)
+    assert sorted(map(tuple, few.collect()), key=repr) == sorted(((w[0], w[2], w[10]) for w in want), key=repr)
+
+
+def test_pairs_are_made_within_a_row(spark):
+    """A plan's steps are gathered by one aggregate; unknown operations and repeated steps are paired in order."""
+    schema = "path string, step_id int, operation string, object_name string, cost double"
+    before = spark.createDataFrame([("p", 1, "a", None, 1.0), ("p", 2, "A", "", 2.0), ("p", 3, None, "t", 3.0), ("p", 4, "b", "t", 4.0)], schema)
+    after = spark.createDataFrame([("p", 5, "A", None, 5.0), ("p", 6, None, "T", 6.0), ("p", 7, "c", "t", 7.0)], schema)
+    out = listings.plan_compare(before, after, ["path"])
+    got = sorted((r["step_before"] or 0, r["step_after"] or 0, r["how"]) for r in out.collect())
+    assert got == [(1, 5, "same"), (2, 7, "moved"), (3, 6, "same"), (4, 0, "removed")]
+    assert physical(listings.plan_compare(before, after, ["path"])).count("ObjectHashAggregate") <= 2

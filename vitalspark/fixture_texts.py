@@ -195,59 +195,63 @@ def plan_texts(spark: SparkSession, sf_dir: str, variant: int = 0) -> DataFrame:
     """(path, content): a listing of two plans for each order number pair: a step for each line item. ``variant`` 1 leaves out line 3 and
     changes the access of line 4."""
     li = fx.table(spark, sf_dir, "lineitem").where("l_linenumber <> 3" if variant else "true")
-    op = F.element_at(
-        F.array(*map(F.lit, OPERATIONS)),
-        ((F.col("l_partkey") + (F.when(F.col("l_linenumber") == 4, variant).otherwise(0))) % len(OPERATIONS) + 1).cast("int"),
-    )
-    # Dealt once, by file: the groups of lines, plans and files all lie within a file.
-    dealt = li.select(F.floor(F.col("l_orderkey") / 2).alias("file"), "l_orderkey", "l_linenumber", "l_partkey", "l_quantity", "l_extendedprice").repartition("file")
-    one = dealt.groupBy("file", "l_orderkey", "l_linenumber").agg(
-        F.min(F.struct("l_partkey", "l_quantity", "l_extendedprice", op.alias("op"))).alias("m")
-    ).select("file", "l_orderkey", "l_linenumber", "m.*")
-    big = F.col("l_extendedprice") >= 50000
-    n = F.when(big, F.concat(_s(F.floor(F.col("l_extendedprice") / 1000)), F.lit("K"))).otherwise(_s(F.floor("l_extendedprice")))
-    star = F.col("l_linenumber") % 2 == 0
-    line = F.concat(
-        F.lit("|"),
-        F.when(star, "*").otherwise(" "),
-        F.lpad(_s("l_linenumber"), 3, " "),
-        F.lit(" |"),
-        F.lit("  "),
-        "op",
-        F.lit(" | T"),
-        _s(F.col("l_partkey") % 50),
-        F.lit(" | "),
-        n,
-        F.lit(" | "),
-        _s(F.col("l_quantity").cast("int")),
-        F.lit(" | "),
-        _s(F.floor(F.col("l_extendedprice") / 5)),
-        F.lit(" (3)| 00:00:01 |"),
-    )
-    pred = F.when(star, F.concat(F.lpad(_s("l_linenumber"), 4, " "), F.lit(' - filter("A"='), _s("l_partkey"), F.lit("\n       AND B>1)")))
-    gather = lambda c: F.array_join(
-        F.transform(F.sort_array(F.collect_list(F.when(c.isNotNull(), F.struct("l_linenumber", c.alias("t"))))), lambda x: x["t"]), "\n"
-    )
-    g = one.withColumns({"row": line, "pred": pred}).groupBy("file", "l_orderkey").agg(
-        gather(F.col("row")).alias("rows"), gather(F.col("pred")).alias("preds")
+    # Dealt once, by file, and gathered once: the groups of lines and plans are told apart within a file's sorted array.
+    each = F.struct("l_orderkey", "l_linenumber", "l_partkey", "l_quantity", "l_extendedprice")
+    lines = li.select(F.floor(F.col("l_orderkey") / 2).alias("file"), each.alias("x")).repartition("file").groupBy("file").agg(
+        F.sort_array(F.collect_list("x")).alias("all")
     )
     head = "-" * 40
-    text = F.concat(
-        F.lit("SQL_ID  q"),
-        _s("l_orderkey"),
-        F.lit(f", child number 0\n{head}\nSELECT *\n  FROM t\n\nPlan hash value: "),
-        _s(F.col("l_orderkey") * 31 + variant),
-        F.lit(
-            f"\n\n{head}\n| Id  | Operation | Name | Rows | Bytes | Cost (%CPU)| Time |\n{head}\n|   0 | "
-            "SELECT STATEMENT |  |  |  | 12 (100)|  |\n"
-        ),
-        "rows",
-        F.lit(f"\n{head}\n\nPredicate Information (identified by operation id):\n{head}\n\n"),
-        "preds",
-        F.lit("\n\nNote\n-----\n   - dynamic sampling used\n"),
-    )
-    return g.groupBy("file").agg(
-        F.array_join(
-            F.transform(F.sort_array(F.collect_list(F.struct("l_orderkey", text.alias("t")))), lambda x: x["t"]), "\n"
-        ).alias("content")
-    ).select(_s("file").alias("path"), "content")
+
+    def first_of_line(x: Column, i: Column) -> Column:
+        before = F.get("all", i - 1)
+        return (i == 0) | ~(before["l_orderkey"].eqNullSafe(x["l_orderkey"]) & before["l_linenumber"].eqNullSafe(x["l_linenumber"]))
+
+    star = lambda x: x["l_linenumber"] % 2 == 0
+
+    def row(x: Column) -> Column:
+        op = F.get(
+            F.array(*map(F.lit, OPERATIONS)), ((x["l_partkey"] + F.when(x["l_linenumber"] == 4, variant).otherwise(0)) % len(OPERATIONS)).cast("int")
+        )
+        price = x["l_extendedprice"]
+        n = F.when(price >= 50000, F.concat(_s(F.floor(price / 1000)), F.lit("K"))).otherwise(_s(F.floor(price)))
+        return F.concat(
+            F.when(star(x), "|*").otherwise("| "),
+            F.lpad(_s(x["l_linenumber"]), 3, " "),
+            F.lit(" |  "),
+            op,
+            F.lit(" | T"),
+            _s(x["l_partkey"] % 50),
+            F.lit(" | "),
+            n,
+            F.lit(" | "),
+            _s(x["l_quantity"].cast("int")),
+            F.lit(" | "),
+            _s(F.floor(price / 5)),
+            F.lit(" (3)| 00:00:01 |"),
+        )
+
+    pred = lambda x: F.concat(F.lpad(_s(x["l_linenumber"]), 4, " "), F.lit(' - filter("A"='), _s(x["l_partkey"]), F.lit("\n       AND B>1)"))
+
+    def text(own: Column) -> Column:
+        order = F.get(own, F.lit(0))["l_orderkey"]
+        return F.concat(
+            F.lit("SQL_ID  q"),
+            _s(order),
+            F.lit(f", child number 0\n{head}\nSELECT *\n  FROM t\n\nPlan hash value: "),
+            _s(order * 31 + variant),
+            F.lit(
+                f"\n\n{head}\n| Id  | Operation | Name | Rows | Bytes | Cost (%CPU)| Time |\n{head}\n|   0 | "
+                "SELECT STATEMENT |  |  |  | 12 (100)|  |\n"
+            ),
+            F.array_join(F.transform(own, row), "\n"),
+            F.lit(f"\n{head}\n\nPredicate Information (identified by operation id):\n{head}\n\n"),
+            F.array_join(F.transform(F.filter(own, star), pred), "\n"),
+            F.lit("\n\nNote\n-----\n   - dynamic sampling used\n"),
+        )
+
+    # A file's lines are those of two orders, of an even and an odd number.
+    own = lines.select("file", F.filter("all", first_of_line).alias("own"))
+    odd = lambda x: F.pmod(x["l_orderkey"], F.lit(2)) == 1
+    own = own.select("file", F.filter("own", lambda x: ~odd(x)).alias("own0"), F.filter("own", odd).alias("own1"))
+    plans = [F.when(F.size(c) > 0, text(F.col(c))) for c in ("own0", "own1")]
+    return own.select(_s("file").alias("path"), F.concat_ws("\n", *plans).alias("content"))

@@ -293,31 +293,36 @@ def paired_steps(before: DataFrame, after: DataFrame, keys: Sequence[str], colum
     """One row a plan: keys and ``pairs``, an array of before, after (structs of step_id and ``columns``, or null) and how (same, moved, removed,
     added). Steps of equal (operation, object) are paired, the n-th with the n-th, then what is left by position.
 
-    Both sides: keys, step_id, operation, object_name and ``columns``. The steps of a plan are dealt once, by plan; the lists of equal steps and then the
-    lists of what is left are zipped in place, so no side is read again to look up its columns."""
+    Both sides: keys, step_id, operation, object_name and ``columns``. The steps of a plan are dealt and gathered once, by plan. Within the row both lists are
+    sorted by (operation, object) and step: a step's place behind the first of its kind is its number, and its partner lies as far behind the other
+    side's first of that kind, so no list is searched but for these first places."""
     key = [F.col(c) for c in keys]
-    what = [
-        F.upper("operation").alias("op"), F.coalesce(F.upper("object_name"), F.lit("")).alias("ob"),
-        F.struct(F.col("step_id"), *[F.col(c) for c in columns]).alias("step"),
-    ]
-    sides = before.select(*key, *what, F.lit(0).alias("side")), after.select(*key, *what, F.lit(1).alias("side"))
+    own = [F.col(c) for c in dict.fromkeys(("step_id", *columns, "operation", "object_name"))]
+    sides = before.select(*key, F.struct(*own).alias("x"), F.lit(0).alias("side")), after.select(*key, F.struct(*own).alias("x"), F.lit(1).alias("side"))
     both = sides[0].union(sides[1]).repartition(*keys)
-    none = F.lit(None).cast(both.schema["step"].dataType)
-    steps = lambda side: F.sort_array(F.collect_list(F.when(F.col("side") == side, F.col("step"))))
-    each = both.groupBy(*keys, "op", "ob").agg(steps(0).alias("b"), steps(1).alias("a"))
-    n = F.least(F.size("b"), F.size("a"))
-    beyond = lambda c: F.slice(c, n + 1, F.size(c))
+    step = lambda x: F.struct(x["step_id"], *[x[c] for c in columns])
+    sort = lambda x: F.struct(F.upper(x["operation"]).alias("op"), F.coalesce(F.upper(x["object_name"]), F.lit("")).alias("ob"))
+    steps = lambda side: F.sort_array(F.transform(F.collect_list(F.when(F.col("side") == side, F.col("x"))), lambda x: F.struct(sort(x).alias("sort"), step(x).alias("step"))))
+    sort_of = lambda c: F.transform(c, lambda x: x["sort"]).alias(f"{c}s")
+    d = both.groupBy(*keys).agg(steps(0).alias("b"), steps(1).alias("a")).select(*key, "b", "a", sort_of("b"), sort_of("a"))
+
+    def partner(mine: str, other: str) -> Column:
+        """For each step where its partner lies on the other side, from 0, or beyond that side or at a step of another kind."""
+        at = F.transform(mine, lambda x, i: i - F.array_position(F.col(f"{mine}s"), x["sort"]) + F.array_position(F.col(f"{other}s"), x["sort"]))
+        return F.transform(at, lambda j, i: F.when(F.get(f"{other}s", j.cast("int")) == F.get(f"{mine}s", i), j.cast("int")))
+
+    d = d.select(*key, "b", "a", partner("b", "a").alias("pb"), partner("a", "b").alias("pa"))
     pair = lambda b, a, how: F.struct(b.alias("before"), a.alias("after"), how.alias("how"))
-    same = F.transform(F.slice("b", F.lit(1), n), lambda x, i: pair(x, F.get("a", i), F.lit("same")))
-    plan = each.select(*key, same.alias("same"), beyond("b").alias("b"), beyond("a").alias("a")).groupBy(*keys).agg(
-        F.flatten(F.collect_list("same")).alias("same"), F.sort_array(F.flatten(F.collect_list("b"))).alias("b"), F.sort_array(F.flatten(F.collect_list("a"))).alias("a")
-    )
+    met = F.filter(F.transform("b", lambda x, i: F.struct(x["step"].alias("b"), F.get("pb", i).alias("j"))), lambda y: y["j"].isNotNull())
+    left = lambda c: F.sort_array(F.transform(F.filter(c, lambda x, i: F.get(f"p{c}", i).isNull()), lambda x: x["step"]))
+    d = d.select(*key, F.transform(met, lambda y: pair(y["b"], F.get("a", y["j"])["step"], F.lit("same"))).alias("same"), left("b").alias("b"), left("a").alias("a"))
+    none = F.lit(None).cast(d.schema["b"].dataType.elementType)
     longest = F.greatest(F.size("b"), F.size("a"))
     at = F.when(longest > 0, F.sequence(F.lit(0), F.greatest(longest, F.lit(1)) - 1)).otherwise(F.array().cast("array<int>"))
     ends = F.least(F.size("b"), F.size("a"))
     how = lambda i: F.when(i < ends, "moved").when(i < F.size("b"), "removed").otherwise("added")
     rest = F.transform(at, lambda i: pair(F.coalesce(F.get("b", i), none), F.coalesce(F.get("a", i), none), how(i)))
-    return plan.select(*key, F.concat("same", rest).alias("pairs"))
+    return d.select(*key, F.concat("same", rest).alias("pairs"))
 
 
 def step_match(before: DataFrame, after: DataFrame, keys: Sequence[str] = ("plan",)) -> DataFrame:

@@ -1,15 +1,18 @@
 """Execution-plan listings (SRC11): text to one row a plan, and to one row a step.
 
-A file is cut at its ``SQL_ID`` lines into plans within its own row, one Arrow pass reads a plan's lines in order (what a heading says holds for the
-lines behind it), and column expressions make numbers of the cells. Lines are never shuffled: only finished steps are, dealt once, by file.
+A file is cut at its ``SQL_ID`` lines into plans, and what a heading or header says holds for the lines behind it. ``plan_steps`` reads the lines of many
+files at once as Arrow arrays; column expressions make numbers of the cells. Lines are never shuffled: only finished steps are, dealt once, by file, or as their reader needs them.
 """
 
 from __future__ import annotations
 
 import re
-from collections.abc import Callable, Iterable, Iterator
+from collections.abc import Callable, Iterator, Sequence
+from functools import lru_cache
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -22,16 +25,24 @@ _PREDICATE, _NOTE = re.compile(r"\s*(\d+)\s+-\s+" + _REST, re.A), re.compile(r"\
 _NOTED, _STEP = re.compile(r"\s+- " + _REST, re.A), re.compile(r"\*?\s*\d+\s?\Z", re.A)
 _BLANK, _FIRST = " \t\n\x0b\f\r\x85\u2028\u2029", tuple("SPN")
 _COLUMNS = ("Name", "Rows", "Bytes", "Cost (%CPU)", "Cost")
-_MARKS = {"SQL_ID": "text", "Plan hash value": "table", "Predicate Information": "predicates"}
-#: Rows that leave the parser together.
-ROWS_AT_ONCE = 8192
+#: Bytes of files that are parsed together; a file is never cut.
+BYTES_AT_ONCE = 4 << 20
 _CELLS = ("id", "op", "name", "rows", "bytes", "cost")
+#: A step's columns and the cell each is made of.
+_OF = {"step_id": "id", "depth": "op", "operation": "op", "object_name": "name", "rows": "rows", "bytes": "bytes", "cost": "cost"}
 
 
 def _first(found: list[str]) -> str | None:
     return max(found, key=lambda x: x.encode(), default=None)
 
 
+@lru_cache(maxsize=256)
+def _header(line: str) -> tuple[list[str], list[int | None], int] | None:
+    """Names of a header line, where the wanted columns stand and where the operation; None if it names no operation. Listings repeat a few headers."""
+    cells = [x.strip(" ") for x in line.split("|")]
+    return (cells, _places(cells), cells.index("Operation")) if "Operation" in cells else None
+
+
 def _places(names: list[str]) -> list[int | None]:
     """Where the wanted columns stand; of a repeated name the last."""
     at = dict(zip(names, range(len(names))))
@@ -40,25 +51,28 @@ def _places(names: list[str]) -> list[int | None]:
 
 def _parse(plan: str) -> tuple:
     """(sql_id, plan_hash_value, sql_text, notes, steps as tuples of ``_CELLS``, predicates as tuples of step and text) of one plan's lines."""
-    ids, hashes, body, notes, steps, predicates = [], [], [], [], [], []
-    section, names, of, op, places = "", [], None, 0, []
+    ids, hashes, body, notes, steps, said = [], [], [], [], [], []
+    section, names, of, op, places, width = "", [], None, 0, [], 0
     for line in plan.split("\n"):
-        bare = line.lstrip(" ")
+        if not line:
+            continue
+        bare = line.lstrip(" ") if line[0] == " " else line
         first = bare[:1]
         if first == "|":
             raw = bare.split("|")  # begins with what is before the first bar, in header and rows alike
-            if "Operation" in bare and "Operation" in (cells := [x.strip(" ") for x in raw]):
-                names, places, op = cells, _places(cells), cells.index("Operation")
-            elif names and _STEP.match(cell := raw[1].strip(" ")):
-                name, rows, size, cpu, cost = [
-                    None if i is None else raw[i].strip(" ") for i in (places if len(raw) >= len(names) else _places(names[: len(raw)]))
-                ]
-                steps.append((cell, raw[op] if op < len(raw) else None, name, rows, size, cost if cpu is None else cpu))
+            if "Operation" in bare and (head := _header(bare)):
+                names, places, op = head
+                width = len(names)
+            elif names and ((cell := raw[1].strip(" ")).isdecimal() and cell.isascii() or _STEP.match(cell)):
+                n = len(raw)
+                at = places if n >= width else _places(names[:n])
+                name, rows, size, cpu, cost = [None if i is None else raw[i].strip(" ") for i in at]
+                steps.append((cell, raw[op] if op < n else None, name, rows, size, cost if cpu is None else cpu))
         elif "SQL_ID" in line and (m := _SQL_ID.match(line)):
             ids.append(m[1])
         if "Plan hash value" in line and (m := _HASH.search(line)):
             hashes.append(m[1])
-        if first in _FIRST and (mark := "note" if bare.rstrip(" ") == "Note" else next((k for t, k in _MARKS.items() if bare.startswith(t)), None)):
+        if first in _FIRST and (mark := _mark(bare)):
             section, of = mark, None
         elif section == "text":
             if line.strip(_BLANK).strip("-"):
@@ -66,49 +80,167 @@ def _parse(plan: str) -> tuple:
         elif section == "note":
             if _NOTE.match(line):
                 notes.append(m[1] if (m := _NOTED.match(line)) else "")
-        elif section == "predicates" and bare and line.strip("-"):
+        elif section == "predicates" and bare and (first != "-" or line.strip("-")):
             m = _PREDICATE.match(line)
             if m and int(m[1]) < 1 << 31:
                 of = int(m[1])
             if of is not None:
-                predicates.append((of, (m[2] if m else line).strip(" ")))
-    return _first(ids), _first(hashes), " ".join(body), "; ".join(notes), steps, predicates
+                said.append((of, (m[2] if m else line).strip(" ")))
+    return _first(ids), _first(hashes), " ".join(body), "; ".join(notes), steps, said
 
 
-def _read(files: DataFrame, rows_of: Callable[[tuple], Iterable[tuple]], kinds: dict[str, pa.DataType], schema: str) -> DataFrame:
-    """Rows made of each parsed plan, with path and plan number in front."""
-    cut = F.filter(F.split(F.replace("content", F.lit("\r\n"), F.lit("\n")), r"(?dm)^(?= *SQL_ID)"), lambda x: F.startswith(F.ltrim(x), F.lit("SQL_ID")))
-    texts = files.select("path", F.posexplode(cut).alias("no", "plan"))
-    names, types = ["path", "plan_no", *kinds], [pa.string(), pa.int64(), *kinds.values()]
+def _mark(bare: str) -> str | None:
+    """The section that a line without leading blanks opens."""
+    if bare.startswith("SQL_ID"):
+        return "text"
+    if bare.startswith("Plan hash value"):
+        return "table"
+    if bare.startswith("Predicate Information"):
+        return "predicates"
+    return "note" if bare.rstrip(" ") == "Note" else None
 
-    def batch_of(rows: list[tuple]) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), types, strict=True)], names)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows: list[tuple] = []
-        for batch in batches:
-            for path, no, plan in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                rows.extend((path, no + 1, *r) for r in rows_of(_parse(plan)))
-                if len(rows) >= ROWS_AT_ONCE:
-                    yield batch_of(rows)
-                    rows = []
-        if rows:
-            yield batch_of(rows)
+def _cut(content: str) -> list[str]:
+    """The plans of a file: pieces from one line that begins with ``SQL_ID`` to the next; what stands before the first is none."""
+    content = content.replace("\r\n", "\n")
+    starts, at = [], content.find("SQL_ID")
+    while at >= 0:
+        line = content.rfind("\n", 0, at) + 1
+        if not content[line:at].strip(" "):
+            starts.append(line)
+        at = content.find("SQL_ID", at + 6)
+    return [content[a:b] for a, b in zip(starts, [*starts[1:], None])]
+
+
+class _Lines:
+    """The lines of a batch of files as one array, with numbers beside: the file of a line, the line that begins its plan (-1 before the first) and the
+    heading above it. What holds for the lines behind is carried by a running maximum of line numbers."""
+
+    def __init__(self, content: pa.Array):
+        split = pc.split_pattern(pc.replace_substring(pc.fill_null(content, ""), "\r\n", "\n"), "\n")
+        self.lines = split.flatten()
+        self.bare = pc.ascii_ltrim(self.lines, " ")
+        ends = np.asarray(split.offsets)
+        self.file = np.repeat(np.arange(len(split)), np.diff(ends))
+        begins = self.starting("SQL_ID")
+        self.plan = self.last(begins)
+        self.plan[self.plan < ends[self.file] - ends[0]] = -1
+        count = np.cumsum(begins)
+        self.plan_no = count - (count - begins)[ends[self.file] - ends[0]]
+
+    def starting(self, text: str) -> np.ndarray:
+        return np.asarray(pc.starts_with(self.bare, text))
+
+    def last(self, mark: np.ndarray) -> np.ndarray:
+        """For each line the last marked line so far, -1 without one."""
+        return np.maximum.accumulate(np.where(mark, np.arange(len(mark)), -1)) if len(mark) else np.empty(0, "int64")
+
+    def found(self, mark: np.ndarray, text: str, pattern: re.Pattern, match: Callable) -> dict[int, str]:
+        """By plan the greatest of what the pattern finds in marked lines that hold the text."""
+        at = np.flatnonzero(mark & (self.plan >= 0) & np.asarray(pc.match_substring(self.lines, text)))
+        out: dict[int, list[str]] = {}
+        for plan, line in zip(self.plan[at].tolist(), self.lines.take(at).to_pylist(), strict=True):
+            if m := match(pattern, line):
+                out.setdefault(plan, []).append(m[1])
+        return {k: v[0] if len(v) == 1 else _first(v) for k, v in out.items()}
+
+    def predicates(self) -> dict[int, dict[int, list[str]]]:
+        """By plan and step the pieces of text in its predicate sections."""
+        here = self.starting("Predicate Information")
+        headings = here | self.starting("SQL_ID") | self.starting("Plan hash value") | np.asarray(pc.equal(pc.ascii_rtrim(self.bare, " "), "Note"))
+        above = self.last(headings)
+        inside = (above >= 0) & here[above] & ~headings & (self.plan >= 0) & np.asarray(pc.not_equal(pc.ascii_trim(self.lines, "-"), ""))
+        at = np.flatnonzero(inside & np.asarray(pc.not_equal(self.bare, "")))
+        out: dict[int, dict[int, list[str]]] = {}
+        of = heading = None
+        for plan, under, line in zip(self.plan[at].tolist(), above[at].tolist(), self.lines.take(at).to_pylist(), strict=True):
+            if under != heading:
+                of, heading = None, under
+            m = _PREDICATE.match(line)
+            if m and int(m[1]) < 1 << 31:
+                of = int(m[1])
+            if of is not None:
+                out.setdefault(plan, {}).setdefault(of, []).append((m[2] if m else line).strip(" "))
+        return out
 
-    return texts.mapInArrow(run, f"path string, plan_no long, {schema}")
+    def steps(self) -> tuple[np.ndarray, dict[str, Callable[[], pa.Array]]]:
+        """The line numbers of all steps, and by name (``_CELLS``) how to get their cells."""
+        table = self.starting("|") & (self.plan >= 0)
+        named = np.flatnonzero(table & np.asarray(pc.match_substring(self.bare, "Operation")))
+        texts = self.bare.take(named).dictionary_encode()
+        heads = [_header(x) for x in texts.dictionary.to_pylist()]
+        kind = np.full(len(table), -1)
+        kind[named] = np.array([-1 if h is None else i for i, h in enumerate(heads)], "int64")[np.asarray(texts.indices)] if len(named) else -1
+        head = self.last(kind >= 0)
+        at = np.flatnonzero(table & (kind < 0) & (head >= self.plan) & (head >= 0))
+        raw = pc.split_pattern(self.bare.take(at), "|")  # begins with what is before the first bar, in header and rows alike
+        first = pc.ascii_trim(raw.flatten().take(np.asarray(raw.offsets)[:-1] + 1), " ")
+        numbered = np.asarray(pc.match_substring_regex(first, r"^\*?[\t\n\x0b\f\r ]*[0-9]+[\t\n\x0b\f\r ]?\z"))
+        at, cells, starts, n = at[numbered], raw.flatten(), np.asarray(raw.offsets)[:-1][numbered], np.diff(np.asarray(raw.offsets))[numbered]
+        kinds = kind[head[at]]
+        places = np.full((len(_COLUMNS) + 1, len(at)), -1)
+        for k in np.unique(kinds):
+            names, _, op = heads[k]
+            width = np.minimum(n, len(names))
+            for w in np.unique(width[kinds == k]):
+                own = (kinds == k) & (width == w)
+                for c, i in enumerate([*_places(names[:w]), op if op < w else None]):
+                    places[c, own] = -1 if i is None else i
 
+        def cell(c: int) -> pa.Array:
+            return cells.take(pa.array(starts + places[c], mask=places[c] < 0))
 
-def _typed(cell: Callable[[str], Column], compat: bool) -> list[Column]:
+        trimmed = lambda c: pc.ascii_trim(cell(c), " ")
+        of = {"id": lambda: first.filter(numbered), "op": lambda: cell(5), "name": lambda: trimmed(0), "rows": lambda: trimmed(1), "bytes": lambda: trimmed(2)}
+        return at, of | {"cost": lambda: pc.coalesce(trimmed(3), trimmed(4))}
+
+
+def _steps_of(path: pa.Array, content: pa.Array, heads: Sequence[str], names: Sequence[str]) -> pa.RecordBatch:
+    """The plans of a few files that have steps: path, plan_no, the wanted of sql_id and plan_hash_value, and steps as a list of the named cells."""
+    x = _Lines(content)
+    at, cells = x.steps()
+    plans, begins = np.unique(x.plan[at], return_index=True)
+    of_plan = lambda d: pa.array([d.get(p) for p in plans.tolist()], pa.string())
+    made = {
+        "sql_id": lambda: of_plan(x.found(~x.starting("|"), "SQL_ID", _SQL_ID, re.Pattern.match)),
+        "plan_hash_value": lambda: of_plan(x.found(True, "Plan hash value", _HASH, re.Pattern.search)),
+    }
+
+    def predicate() -> pa.Array:
+        said = x.predicates()
+        own = zip(x.plan[at].tolist(), cells["id"]().to_pylist(), strict=True)
+        return pa.array([" ".join(t) if (s := said.get(p)) and (t := s.get(int(c.lstrip("*")))) else None for p, c in own], pa.string())
+
+    cells["predicate"] = predicate
+    steps = pa.StructArray.from_arrays([cells[n]() for n in names], list(names))
+    steps = pa.ListArray.from_arrays(pa.array([*begins.tolist(), len(at)], pa.int32()), steps)
+    return pa.RecordBatch.from_arrays(
+        [path.take(pa.array(x.file[plans])), pa.array(x.plan_no[plans], pa.int64()), *[made[n]() for n in heads], steps], ["path", "plan_no", *heads, "steps"]
+    )
+
+
+def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Pieces of about ``BYTES_AT_ONCE`` of content."""
+    for b in batches:
+        share = np.cumsum(np.asarray(pc.fill_null(pc.binary_length(b.column(1)), 0), "int64")) // BYTES_AT_ONCE
+        cuts = [0, *(np.flatnonzero(np.diff(share)) + 1).tolist(), b.num_rows]
+        for i, j in zip(cuts, cuts[1:]):
+            if j > i:
+                yield b.slice(i, j - i)
+
+
+def _typed(cell: Callable[[str], Column], compat: bool, wanted: Sequence[str]) -> list[Column]:
     op = cell("op")
-    return [
-        F.regexp_extract(cell("id"), r"(\d+)", 1).try_cast("int").alias("step_id"),
-        F.greatest(F.lit(0), F.length(F.rtrim(op)) - F.length(F.trim(op)) - 1).alias("depth"),
-        F.trim(op).alias("operation"),
-        F.nullif(cell("name"), F.lit("")).alias("object_name"),
-        plan_size(cell("rows"), compat).alias("rows"),
-        plan_size(cell("bytes"), compat).alias("bytes"),
-        plan_cost(cell("cost"), compat).alias("cost"),
-    ]
+    made = {
+        "step_id": lambda: F.translate(cell("id"), "*", "").try_cast("int"),
+        "depth": lambda: F.greatest(F.lit(0), F.length(F.rtrim(op)) - F.length(F.trim(op)) - 1),
+        "operation": lambda: F.trim(op),
+        "object_name": lambda: F.nullif(cell("name"), F.lit("")),
+        "rows": lambda: plan_size(cell("rows"), compat),
+        "bytes": lambda: plan_size(cell("bytes"), compat),
+        "cost": lambda: plan_cost(cell("cost"), compat),
+    }
+    return [made[c]().alias(c) for c in made if c in wanted]
 
 
 def plans(files: DataFrame, compat: bool = False) -> DataFrame:
@@ -120,8 +252,15 @@ def plans(files: DataFrame, compat: bool = False) -> DataFrame:
     cells = ",".join(f"{c}:string" for c in _CELLS)
     schema = ", ".join(f"{c} string" for c in text) + f", steps array<struct<{cells}>>, predicates array<struct<step_id:int,t:string>>"
     named = lambda p: (*p[:4], [dict(zip(_CELLS, s)) for s in p[4]], [{"step_id": n, "t": t} for n, t in p[5]])
-    d = _read(files, lambda p: [named(p)], kinds, schema)
-    return d.withColumn("steps", F.transform("steps", lambda s: F.struct(*_typed(lambda c: s[c], compat))))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in _slices(batches):
+            rows = [(path, no, *named(_parse(p))) for path, c in zip(*(c.to_pylist() for c in batch.columns), strict=True) for no, p in enumerate(_cut(c or ""), 1)]
+            columns = zip(*rows) if rows else [[]] * (2 + len(kinds))
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, (pa.string(), pa.int64(), *kinds.values()), strict=True)], ["path", "plan_no", *kinds])
+
+    d = files.select("path", "content").mapInArrow(run, f"path string, plan_no long, {schema}")
+    return d.withColumn("steps", F.transform("steps", lambda s: F.struct(*_typed(lambda c: s[c], compat, tuple(_OF)))))
 
 
 def plan_headers(plans: DataFrame) -> DataFrame:
@@ -129,20 +268,28 @@ def plan_headers(plans: DataFrame) -> DataFrame:
     return plans.select("path", "plan_no", "sql_id", "plan_hash_value", "sql_text", "notes")
 
 
-def plan_steps(files: DataFrame, compat: bool = False) -> DataFrame:
+STEP_COLUMNS = ("plan_no", "sql_id", "plan_hash_value", *_OF, "predicate")
+
+
+def plan_steps(files: DataFrame, compat: bool = False, columns: Sequence[str] = STEP_COLUMNS, dealt: bool = True) -> DataFrame:
     """SRC11: one row a step: path, plan_no, sql_id, plan_hash_value, step_id, depth, operation, object_name, rows, bytes, cost, predicate.
 
-    A predicate's continued lines are joined with a blank. Steps come dealt by path, so what groups them by file or plan needn't deal them again."""
+    A predicate's continued lines are joined with a blank. ``columns``: those wanted besides the path; only their cells leave the parser. Steps come dealt
+    by path, so what groups them by file or plan needn't deal them again; without ``dealt`` they stay where they were read, for readers that make
+    them fewer first."""
+    wanted = [c for c in STEP_COLUMNS if c in columns]
+    heads = [c for c in wanted if c in ("sql_id", "plan_hash_value")]
+    # A step is known by its number's cell, wanted or not, so that the list has a field.
+    names = [c for c in _CELLS if c == "id" or any(_OF.get(w) == c for w in wanted)] + [c for c in wanted if c == "predicate"]
 
-    def rows_of(parsed: tuple) -> Iterator[tuple]:
-        sql_id, plan_hash, _, _, steps, predicates = parsed
-        said: dict[int, list[str]] = {}
-        for n, t in predicates:
-            said.setdefault(n, []).append(t)
-        for s in steps:
-            own = said and said.get(int(s[0].lstrip("*")))
-            yield sql_id, plan_hash, *s, " ".join(own) if own else None
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in _slices(batches):
+            yield _steps_of(b.column(0), b.column(1), heads, names)
 
-    names = ("sql_id", "plan_hash_value", *_CELLS, "predicate")
-    d = _read(files, rows_of, dict.fromkeys(names, pa.string()), ", ".join(f"{c} string" for c in names)).repartition("path")
-    return d.select("path", "plan_no", "sql_id", "plan_hash_value", *_typed(F.col, compat), "predicate")
+    strings = lambda cs, mark: ", ".join(f"{c}{mark}string" for c in cs)
+    schema = ", ".join(["path string, plan_no long", *[strings([c], " ") for c in heads], f"steps array<struct<{strings(names, ':')}>>"])
+    d = files.select("path", "content").mapInArrow(run, schema)
+    d = d.select("path", "plan_no", *heads, F.posexplode("steps").alias("no", "s")).select("path", "plan_no", *heads, *[F.col("s")[c].alias(c) for c in names])
+    d = d.repartition("path") if dealt else d
+    typed = dict(zip([c for c in _OF if c in wanted], _typed(F.col, compat, wanted), strict=True))
+    return d.select("path", *[typed.get(c, F.col(c)) for c in wanted])
