@@ -406,9 +406,9 @@ pr AS (SELECT path, sql_id, pattern, message, min(step_id) AS step_id FROM pb GR
 
 @query(f"WITH {STEP_SQL}, {PROBLEM_SQL} SELECT path, sql_id, pattern, message, step_id FROM pr")
 def x13_plan_problems(spark, d):
-    return listings.plan_problems(
-        plan_text.plan_steps(ft.plan_texts(spark, d)), ["path", "sql_id"]
-    ).select("path", "sql_id", "pattern", "message", "step_id")
+    columns = ("sql_id", "step_id", "operation", "object_name", "rows", "cost", "predicate")
+    steps = plan_text.plan_steps(ft.plan_texts(spark, d), columns=columns, dealt=False)  # what is dealt are the problems
+    return listings.plan_problems(steps, ["path", "sql_id"]).select("path", "sql_id", "pattern", "message", "step_id")
 
 
 _AFTER = STEP_SQL.replace("st AS", "s2 AS").replace(
@@ -519,7 +519,8 @@ def x15_plan_metadata_warnings(spark, d):
     columns = F.when(F.col("object_name") % 2 == 0, F.lit('[{"col":"A","pos":1},{"col":"B","pos":2}]'))
     meta = fx.meta(spark, d).withColumns({"index_columns": columns, "uniqueness": F.lit(None).cast("string")})
     meta = meta.withColumn("object_name", F.concat(F.lit("T"), F.col("object_name").cast("string")))
-    return listings.metadata_warnings(plan_text.plan_steps(ft.plan_texts(spark, d)), meta, ["path", "sql_id"])
+    steps = plan_text.plan_steps(ft.plan_texts(spark, d), columns=("sql_id", "object_name"), dealt=False)
+    return listings.metadata_warnings(steps, meta, ["path", "sql_id"])
 
 
 @query(
@@ -528,6 +529,6 @@ def x15_plan_metadata_warnings(spark, d):
     "FROM st"
 )
 def w5_header_carry(spark, d):
-    s = plan_text.plan_steps(ft.plan_texts(spark, d))
+    s = plan_text.plan_steps(ft.plan_texts(spark, d), columns=("sql_id", "step_id", "operation", "object_name"), dealt=False)
     head = F.when(F.col("operation").startswith("TABLE"), F.col("object_name"))
     return s.select("path", "sql_id", "step_id", header_carry(head, ["path", "sql_id"], "step_id").alias("carried"))
