@@ -123,3 +123,13 @@ def test_last_named(spark):
     rows = [(["a", "b", "a"], ["1", "2", "3"]), (["a", "a"], ["1"]), ([], ["1"]), (["a"], []), (None, ["1"])]
     got = spark.createDataFrame(rows, "n array<string>, c array<string>").select(last_named("n", "c").alias("m")).collect()
     assert [r["m"] for r in got] == [{"b": "2", "a": "3"}, {"a": "1"}, {}, {}, None]
+
+
+def test_header_cells_are_not_cast_to_numbers(spark):
+    """What a header's cells are is told as a cast would, but words that begin like no number are not cast."""
+    words = ["%user", "CPU", "kbmemfree", "IFACE", "intr/s", "none", "1", "-1.5e3", "+.5", ".", "-", "", "NaN", "nano", "-inf", "Infinity", "+Infinity", "0x1p3", "1d", "1x", "\x01 7", "e5", "\u0660"]
+    d = spark.createDataFrame([(w,) for w in words], "w string")
+    assert d.where(~hostlog.no_number(F.col("w")).eqNullSafe(F.col("w").try_cast("double").isNull())).collect() == []
+    files = spark.createDataFrame([("f", "x")], "path string, content string")
+    plan = hostlog.classified_lines(files)._jdf.queryExecution().optimizedPlan().toString()
+    assert "(?i:nan|inf)" in plan

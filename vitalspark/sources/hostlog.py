@@ -17,6 +17,8 @@ from ..operators.select import header_carry
 
 _TIME = r"^\d{1,2}:\d{2}:\d{2}$"
 _DATE = r"\d{4}-\d{2}-\d{2}|\d{2}/\d{2}/\d{4}|\d{2}/\d{2}/\d{2}(?!\d)"
+#: What every text that casts to a number begins with.
+_NUMBER_LIKE = r"^[\s\x00-\x20\x7f-\x9f]*[-+]?(?:[.0-9]|(?i:nan|inf))"
 #: The name of hosts whose log gives none.
 UNKNOWN = "UNKNOWN_HOST"
 
@@ -38,6 +40,11 @@ def log_day(header: Column) -> Column:
     )
 
 
+def no_number(cell: Column) -> Column:
+    """Whether a cell can't be cast to a number. A cast that fails costs an exception, so it is left to cells that begin like a number."""
+    return ~cell.rlike(_NUMBER_LIKE) | cell.try_cast("double").isNull()
+
+
 def classified_lines(files: DataFrame, shift: str | None = None) -> DataFrame:
     """Every line that is data or can't be read: path, line_no (from 1), hostname, snap_time, section, fields, reason, line.
 
@@ -57,7 +64,7 @@ def classified_lines(files: DataFrame, shift: str | None = None) -> DataFrame:
     skip = F.when(F.col("half").isNull(), 2).otherwise(3)
     d = d.withColumn("cells", F.when(F.col("timed"), F.slice("w", skip, F.greatest(F.size("w") - skip + 1, F.lit(0)))))
     restart = F.coalesce(F.array_contains("cells", "RESTART"), F.lit(False))
-    d = d.where(~restart).withColumn("is_header", F.col("timed") & (F.size("cells") > 0) & F.forall("cells", lambda x: x.try_cast("double").isNull()))
+    d = d.where(~restart).withColumn("is_header", F.col("timed") & (F.size("cells") > 0) & F.forall("cells", no_number))
     # What a header names holds until the next header or the end of its block: one running value over the file's lines.
     none = F.lit(None).cast("array<string>")
     mark = F.when(F.col("is_header"), F.struct(F.col("cells").alias("names"))).when(~F.col("timed"), F.struct(none.alias("names")))
