@@ -81,3 +81,26 @@ def test_step_of_the_chain(spark, tmp_path):
             step(rows(snap).select("db", "snap").distinct())
     assert sorted(r["sql_text"] for r in index.search("TEXT 2-").collect()) == [f"Text 2-{i} of statement" for i in range(3)]
     assert index.search("statement").count() == 6
+
+
+def test_a_gram_is_a_row_for_many_texts(spark, tmp_path, monkeypatch):
+    """Postings are rows of grams, not of grams and texts, and those of texts taken in pieces are the same."""
+    index = TextIndex(spark, str(tmp_path), ["id"], ["sql_text"], slots=4, parts=2)
+    index.load("a", spark.createDataFrame([(i, f"the same words and {i}") for i in range(400)], "id long, sql_text string").coalesce(1))
+    rows = index._table("postings").where("gram = 'wor'").collect()
+    assert sum(r["n"] for r in rows) == 400 and len(rows) <= 8
+    assert len({(r["part"], t) for r in rows for t in r["texts"]}) == 400
+    assert index.search("AND 17").count() == 11
+
+
+@pytest.mark.parametrize("texts", [["aXbaXb", "", "aXb", "\x00\x00\x00a"], ["😀x😀y", "ab", "x😀y\n"], ["".join(map(chr, range(0x10000 + 40000 * k, 0x10000 + 40000 * k + 9000))) for k in range(26)] + ["abc"] * 1500])
+def test_postings_against_plain_python(texts):
+    import numpy as np
+
+    from vitalspark.operators.textindex import postings
+
+    n = len(texts)
+    got = [r for b in postings(texts, np.arange(n) // 2, np.arange(n) + 100, 0) for r in b.to_pylist()]
+    want = {(t[k : k + 3], i // 2, i + 100) for i, t in enumerate(texts) for k in range(len(t) - 2)}
+    assert sorted((r["gram"], r["part"], t) for r in got for t in r["texts"]) == sorted(want)
+    assert all(r["n"] == len(r["texts"]) for r in got)
