@@ -289,3 +289,22 @@ def test_a_metric_that_never_moved_has_no_spread(spark):
     sd = {(r["k"], r["d"]): r["baseline_stddev"] for r in got}
     assert [sd["a", d] for d in range(2, 9)] == [0.0] * 7 and sd["a", 9] > 1
     assert abs(sd["b", 8] - 0.000534522) < 1e-7
+
+
+def test_baseline_windows_are_evaluated_once(spark):
+    """Each sum of a window is one expression of the plan, not one for each place where its value is used; points that can't come out go before the last shuffle."""
+    facts = spark.createDataFrame([("a", "b", d, float(d)) for d in range(9)], "h string, k string, d int, value double")
+    out = anomaly.rolling_baseline(anomaly.point_stats(facts, ["h", "k"], "d"), ["h", "k"], "d", 3, fallback_by=["h"])
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("windowspecdefinition") == 2 + 4 + 4 + 1
+    assert sorted((r["d"], r["baseline_n"], r["fallback"]) for r in out.collect()) == [(2, 2, True)] + [(d, 3, False) for d in range(3, 9)]
+
+
+def test_points_of_several_columns_equal_those_of_melted_rows(spark):
+    rows = [("a", 1, 1.0, 2), ("a", 1, 4.0, None), ("a", 2, None, None), (None, 1, 5.0, 7), ("a", None, 2.5, 1)]
+    facts = spark.createDataFrame(rows, "k string, d int, x double, y int")
+    got = anomaly.point_stats_of_columns(facts, ["k"], "d", {"first": "x", "second": "y"})
+    melted = facts.selectExpr("k", "d", "x", "double(y) AS y").unpivot(["k", "d"], ["x", "y"], "c", "value").selectExpr("k", "d", "if(c = 'x', 'first', 'second') AS source", "value")
+    want = anomaly.point_stats(melted, ["k", "source"], "d")
+    columns = ["k", "source", "d", "n", "mean", "m2", "metric_value"]
+    assert sorted(map(str, got.select(columns).collect())) == sorted(map(str, want.select(columns).collect()))

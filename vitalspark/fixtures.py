@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -70,13 +72,14 @@ SEGMENT_METRICS = {
 }
 
 
-def seg(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Segment metrics in long form: dbname, instance, begin_snap, owner, object_name, obj_type, metric, value."""
+def seg(spark: SparkSession, sf_dir: str, metrics: Sequence[str] = tuple(SEGMENT_METRICS)) -> DataFrame:
+    """Segment metrics in long form: dbname, instance, begin_snap, owner, object_name, obj_type, metric, value. ``metrics``: the only ones wanted."""
     li, part = table(spark, sf_dir, "lineitem"), table(spark, sf_dir, "part")
     rows = F.array(
         *[
             F.struct(F.lit(m).alias("metric"), F.when(F.col("l_linenumber").isin(*on), F.col(c)).alias("value"))
             for m, (c, on) in SEGMENT_METRICS.items()
+            if m in metrics
         ]
     )
     j = li.join(part, li["l_partkey"] == part["p_partkey"]).select(

@@ -26,6 +26,18 @@ def point_stats(facts: DataFrame, series: Sequence[str], point: str, value: str
     )
 
 
+def point_stats_of_columns(facts: DataFrame, series: Sequence[str], point: str, columns: dict[str, str]) -> DataFrame:
+    """``point_stats`` of several columns (name of the check -> column) with the name as ``source``: the facts are aggregated as they are, one row a key, and
+    only that row is taken apart by column."""
+    key = [*series, point]
+    each = lambda c: F.struct(
+        F.count(c).alias("n"), F.avg(c).alias("mean"), (F.var_pop(c) * F.count(c)).alias("m2"), F.coalesce(F.avg(c), F.lit(0.0)).alias("metric_value")
+    )
+    wide = facts.groupBy(*key).agg(*[each(F.col(c).cast("double")).alias(f"__{i}") for i, c in enumerate(columns.values())])
+    rows = F.array(*[F.struct(F.lit(name).alias("source"), f"__{i}.*") for i, name in enumerate(columns)])
+    return wide.select(*key, F.inline(rows))
+
+
 def merge_points(parts: DataFrame, series: Sequence[str], point: str) -> DataFrame:
     """Partial statistics (``point_stats``) of one point, from several loads, as one row; the same as of all its values at once."""
     key = [*series, point]
@@ -41,19 +53,28 @@ def merge_points(parts: DataFrame, series: Sequence[str], point: str) -> DataFra
 ROUNDING = 4.5e-16
 
 
-def _merged(window: W) -> tuple[F.Column, F.Column, F.Column]:
-    """(count, mean, stddev_samp) of the points in a window. ``center`` is the series' mean.
-
-    A spread within the rounding error of these sums is 0: else a metric that never moved would have a baseline of 1e-8 or so, and every first
-    move would be critical."""
-    n = F.coalesce(F.sum("n").over(window), F.lit(0))
-    off = F.sum(F.col("n") * (F.col("mean") - F.col("center"))).over(window)
-    square = F.sum(F.col("m2") + F.col("n") * (F.col("mean") - F.col("center")) * (F.col("mean") - F.col("center"))).over(window)
-    size = F.when(n > 0, n)
-    mean, spread = F.col("center") + off / size, square - off * off / size
-    ulp = 4 * ROUNDING * F.abs(mean)
-    noise = square * F.count("mean").over(window) * ROUNDING + n * ulp * ulp
-    return n, mean, F.when(n > 1, F.when(spread > noise, F.sqrt(spread / (n - 1))).otherwise(0.0))
+def _with_merged(d: DataFrame, windows: dict[str, W]) -> DataFrame:
+    """Adds (count, mean, stddev_samp) of the points in each window as its prefix + n, mean, sd. ``center`` is the series' mean.
+
+    The windows' sums are columns of their own first, all from one pass: Spark evaluates a window expression once for each place where it stands. A
+    spread within the rounding error of these sums is 0: else a metric that never moved would have a baseline of 1e-8 or so, and every first move would
+    be critical."""
+    gap = F.col("mean") - F.col("center")
+    sums, out = {}, {}
+    for p, window in windows.items():
+        sums |= {
+            f"{p}n": F.coalesce(F.sum("n").over(window), F.lit(0)),
+            f"{p}off": F.sum(F.col("n") * gap).over(window),
+            f"{p}square": F.sum(F.col("m2") + F.col("n") * gap * gap).over(window),
+            f"{p}points": F.count("mean").over(window),
+        }
+        n, off, square, points = (F.col(f"{p}{c}") for c in ("n", "off", "square", "points"))
+        size = F.when(n > 0, n)
+        mean, spread = F.col("center") + off / size, square - off * off / size
+        ulp = 4 * ROUNDING * F.abs(mean)
+        noise = square * points * ROUNDING + n * ulp * ulp
+        out |= {f"{p}mean": mean, f"{p}sd": F.when(n > 1, F.when(spread > noise, F.sqrt(spread / (n - 1))).otherwise(0.0))}
+    return d.withColumns(sums).withColumns(out)
 
 
 def rolling_baseline(
@@ -74,17 +95,17 @@ def rolling_baseline(
     whole = W.partitionBy(*series)
     d = stats.withColumn("center", F.sum(F.col("n") * F.col("mean")).over(whole) / F.nullif(F.sum("n").over(whole), F.lit(0)))
     order = whole.orderBy(axis)
-    near = _merged(order.rangeBetween(-span, -1))
-    d = d.withColumns({"b_n": near[0], "b_mean": near[1], "b_sd": near[2]})
+    windows = {"b_": order.rangeBetween(-span, -1)}
+    if fallback_by is not None:
+        windows["f_"] = order.rangeBetween(W.unboundedPreceding, -1)
+    d = _with_merged(d, windows)
     if fallback_by is not None:
-        every = _merged(order.rangeBetween(W.unboundedPreceding, -1))
-        d = d.withColumns({"f_n": every[0], "f_mean": every[1], "f_sd": every[2]})
-        primary = F.max((F.col("b_n") >= min_samples).cast("int")).over(W.partitionBy(*fallback_by, axis)) == 1
-        pick = lambda c: F.when(primary, F.col(f"b_{c}")).otherwise(F.col(f"f_{c}"))
-        least = F.when(primary, min_samples).otherwise(fallback_samples)
-        d = d.withColumns(
-            {"n_": pick("n"), "mean_": pick("mean"), "sd_": pick("sd"), "least_": least, "fallback": ~primary}
-        ).where("n_ >= least_")
+        # A point with a primary baseline makes its group primary; one without needs the fallback or nothing. So each takes one baseline along.
+        own = F.col("b_n") >= min_samples
+        d = d.withColumns({"own_": own} | {f"{c}_": F.when(own, F.col(f"b_{c}")).otherwise(F.col(f"f_{c}")) for c in ("n", "mean", "sd")})
+        d = d.where(F.col("own_") | (F.col("n_") >= fallback_samples)).select(*series, axis, *keep, "metric_value", "own_", "n_", "mean_", "sd_")
+        d = d.withColumn("primary_", F.max("own_").over(W.partitionBy(*fallback_by, axis))).where(F.col("own_") | ~F.col("primary_"))
+        d = d.withColumn("fallback", ~F.col("primary_"))
         out = d.select(
             *series,
             axis,
@@ -131,6 +152,9 @@ def host_anomalies(
     return found.withColumn("day", F.date_from_unix_date("day_no")).drop("day_no")
 
 
+SNAP, SNAP_SERIES = ["dbname", "instance", "begin_snap"], ["dbname", "instance", "source", "object"]
+
+
 def snapshot_anomalies(
     facts: DataFrame, times: DataFrame, baseline_days: int = 90, threshold: float = 1.5, min_samples: int = 3
 ) -> DataFrame:
@@ -139,11 +163,16 @@ def snapshot_anomalies(
 
     A baseline goes back ``baseline_days`` in time from the snapshot, whatever the spacing of the snapshots; snapshots of one second don't count
     for each other."""
-    snap, series = ["dbname", "instance", "begin_snap"], ["dbname", "instance", "source", "object"]
-    at = times.select(*snap, F.unix_seconds(F.col("snap_time").cast("timestamp")).alias("second"))
-    stats = point_stats(facts, series, "begin_snap").join(at, snap)
+    return snapshot_point_anomalies(point_stats(facts, SNAP_SERIES, "begin_snap"), times, baseline_days, threshold, min_samples)
+
+
+def snapshot_point_anomalies(
+    stats: DataFrame, times: DataFrame, baseline_days: int = 90, threshold: float = 1.5, min_samples: int = 3
+) -> DataFrame:
+    """``snapshot_anomalies`` from facts that are reduced to points already: ``point_stats`` of dbname, instance, source, object by begin_snap."""
+    at = times.select(*SNAP, F.unix_seconds(F.col("snap_time").cast("timestamp")).alias("second"))
     found = rolling_baseline(
-        stats, series, "second", baseline_days * 86_400, min_samples, fallback_by=["dbname", "instance", "source"], keep=["begin_snap"]
+        stats.join(at, SNAP), SNAP_SERIES, "second", baseline_days * 86_400, min_samples, fallback_by=["dbname", "instance", "source"], keep=["begin_snap"]
     )
     return detect(found, threshold).drop("second")
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -88,25 +90,27 @@ findings AS (SELECT * FROM f WHERE severity IS NOT NULL)"""
 
 
 def _snapshot_findings(spark, d) -> DataFrame:
-    """Wait events, statements and segments, melted to one table of (source, object, value)."""
+    """Wait events, statements and segments, each reduced to its points as it is and then put together as (source, object)."""
     key = ["dbname", "instance", "begin_snap"]
-    text = lambda df: df.withColumns({c: F.col(c).cast("string") for c in ("dbname", "instance")})
     whole = lambda c: F.floor(c).alias(c)  # noqa: E731  whole units, so that means of equal sums don't end on a half of a rounded digit
-    w, s, g = text(fx.wait(spark, d)), text(
-        fx.stmt(spark, d).withColumns({c: whole(c) for c in ("elapsed", "cpu")})
-    ), text(fx.seg(spark, d))
-    melt = lambda df, obj, of: df.select(
-        *key, F.col(obj).cast("string").alias("object"), *[F.col(c).cast("double").alias(n) for n, c in of.items()]
-    ).unpivot([*key, "object"], list(of), "source", "value")
-    reads = g.where(F.col("metric").isin("logical_reads", "physical_reads")).select(
+    reads = ("logical_reads", "physical_reads")
+    w, s, g = fx.wait(spark, d), fx.stmt(spark, d).withColumns({c: whole(c) for c in ("elapsed", "cpu")}), fx.seg(spark, d, reads)
+    checks = lambda df, obj, of: anomaly.point_stats_of_columns(
+        df, ["dbname", "instance", obj], "begin_snap", {n: c for c, n in of.items()}
+    ).withColumnRenamed(obj, "object")
+    segments = g.where(F.col("metric").isin(*reads)).select(
         *key, F.col("owner").alias("object"), F.col("metric").alias("source"), F.floor("value").cast("double").alias("value")
     )
-    facts = melt(w, "event", {"wait_pct": "pct", "wait_ms": "avg_wait_ms"}).unionByName(
-        melt(s, "sql_id", {"sql_elapsed": "elapsed", "sql_cpu": "cpu"})
-    ).unionByName(reads)
-    at = lambda df: df.select(*key, F.col("snap_time").cast("timestamp").alias("snap_time"))
-    times = at(w).union(at(s)).groupBy(*key).agg(F.min("snap_time").alias("snap_time"))
-    return anomaly.snapshot_anomalies(facts, times, BACK, 1.5)
+    points = [
+        checks(w, "event", {"pct": "wait_pct", "avg_wait_ms": "wait_ms"}),
+        checks(s, "sql_id", {"elapsed": "sql_elapsed", "cpu": "sql_cpu"}),
+        anomaly.point_stats(segments, anomaly.SNAP_SERIES, "begin_snap"),
+    ]
+    text = lambda df, *cols: df.withColumns({c: F.col(c).cast("string") for c in cols})  # noqa: E731  keys are text only once they are few
+    stats = reduce(lambda a, b: a.unionByName(b), [text(p, "dbname", "instance", "object") for p in points])
+    first = lambda df: text(df.groupBy(*key).agg(F.min(F.col("snap_time").cast("timestamp")).alias("snap_time")), "dbname", "instance")
+    times = first(w).union(first(s)).groupBy(*key).agg(F.min("snap_time").alias("snap_time"))
+    return anomaly.snapshot_point_anomalies(stats, times, BACK, 1.5)
 
 
 _SNAP_COLUMNS = (
