@@ -162,3 +162,18 @@ def test_all_findings_have_their_texts(spark):
     got = rules.all_findings(waits, sqls, e, segments, [r], ["db"]).collect()
     assert [(x["db"], x["value"], x["root_cause"], x["resolution"], x["diagnostic_sql"], x["related_rules"]) for x in got] == [("d", 85.0, "cause", ["one", "two"], ["select 1"], ["x"])]
     assert rules.all_findings(waits, sqls, e, segments, [], ["db"]).collect() == []
+
+
+def test_top_segments_hold_an_object_once(spark):
+    """Aggregated by object, not by object and metric; NULL values, names of NULL and objects without a metric come out as they would by metric."""
+    import re
+
+    from vitalspark.operators import rollups
+
+    rows = [("o", 1, "T", "a", 5.0), ("o", 1, "T", "a", None), ("o", 1, "T", "b", 1.0), ("o", 2, "T", "a", 5.0), (None, 3, None, "b", 9.0), ("p", 4, "I", "a", None), ("p", 5, "I", "c", 3.0)]
+    long = spark.createDataFrame(rows, "owner string, object_name int, obj_type string, metric string, value double")
+    out = rollups.top_segments(long, ["a", "b"], 3)
+    got = sorted((r["metric"], r["rank_in_group"], r["object_name"], r["total"], r["avg_value"]) for r in out.collect())
+    assert got == [("a", 1, 1, 5.0, 5.0), ("a", 2, 2, 5.0, 5.0), ("a", 3, 4, None, None), ("b", 1, 3, 9.0, 9.0), ("b", 2, 1, 1.0, 1.0)]
+    grouped = re.findall(r"Aggregate \[([^\]]*)\]", out._jdf.queryExecution().optimizedPlan().toString())
+    assert len(grouped) == 1 and "metric" not in grouped[0] and "object_name" in grouped[0]

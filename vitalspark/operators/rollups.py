@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -172,11 +173,26 @@ def top_sql(statements: DataFrame, k: int = 20) -> DataFrame:
     return top_k(out, k, F.col("elapsed").desc_nulls_last(), F.col("sql_id"))
 
 
-def top_segments(long: DataFrame, k: int = 5) -> DataFrame:
-    """The largest objects of every metric at once."""
+def top_segments(long: DataFrame, metrics: Sequence[str], k: int = 5) -> DataFrame:
+    """The largest objects of every metric at once. An object is one row with the sums of all metrics while it is aggregated, so that a task holds its
+    names once and not once a metric."""
     from .select import top_k_per_group
 
-    out = long.groupBy("metric", "owner", "object_name", "obj_type").agg(F.sum("value").alias("total"), F.avg("value").alias("avg_value"))
+    own = lambda m: F.when(F.col("metric") == m, F.col("value"))
+    sums = [F.struct(F.sum(own(m)).alias("total"), F.count(own(m)).alias("n")).alias(f"__{i}") for i, m in enumerate(metrics)]
+    bit = reduce(lambda e, i: e.when(F.col("metric") == metrics[i], F.lit(1 << i)), range(1, len(metrics)), F.when(F.col("metric") == metrics[0], F.lit(1)))
+    object_ = ["owner", "object_name", "obj_type"]
+    wide = long.where(F.col("metric").isin(*metrics)).groupBy(*object_).agg(F.bit_or(bit.cast("bigint")).alias("__has"), *sums)
+    rows = F.array(
+        *[
+            F.when(
+                F.col("__has").bitwiseAND(F.lit(1 << i)) != 0,
+                F.struct(F.lit(m).alias("metric"), F.col(f"__{i}.total"), (F.col(f"__{i}.total") / F.nullif(F.col(f"__{i}.n"), F.lit(0))).alias("avg_value")),
+            )
+            for i, m in enumerate(metrics)
+        ]
+    )
+    out = wide.select(*object_, F.explode(F.array_compact(rows)).alias("__m")).select("__m.metric", *object_, "__m.total", "__m.avg_value")
     return top_k_per_group(out, ["metric"], k, F.desc("total"), F.col("owner"), F.col("object_name"))
 
 

@@ -263,7 +263,7 @@ def a17_top_sql(spark, d):
 )
 def a18_top_segments(spark, d):
     seg = fx.seg(spark, d)
-    return rollups.top_segments(seg).select(
+    return rollups.top_segments(seg, list(fx.SEGMENT_METRICS)).select(
         "metric", "owner", "object_name", "obj_type", F.round("total", 4).alias("total"), *r6("avg_value"), "rank_in_group"
     )
 
