@@ -128,3 +128,17 @@ def test_refresh_empties_what_has_no_rows(spark, tmp_path):
     t.refresh(rows, lambda _: rows)
     t.refresh(keys, lambda ks: rows.where("v = 2").join(ks, "k", "left_semi").select("v", "k"))
     assert sorted((r["v"], r["k"]) for r in t.read().collect()) == [(2, "c"), (3, "d")]
+
+
+def test_report_files_are_written_by_several_tasks(spark, sf_dir):
+    """Small reports, however many, are not left to one task; each content lies in two files."""
+    import glob
+    import re
+
+    from vitalspark.queries.jobs import _report_files
+
+    found = glob.glob(_report_files(spark, sf_dir) + "/name=*/part-*.txt")
+    writers = {re.search(r"part-(\d+)", f).group(1) for f in found}
+    contents = [open(f).read() for f in found]
+    assert len(writers) == spark.sparkContext.defaultParallelism
+    assert len(found) == len({f.split("/")[-2] for f in found}) == 2 * len(set(contents))

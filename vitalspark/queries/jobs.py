@@ -303,13 +303,14 @@ def snk4_delete(spark, d):
 
 
 def _report_files(spark, d):
-    """Reports as text files of the shared folder, one file for each report, each content twice."""
+    """Reports as text files of the shared folder, one file for each report, each content twice; dealt over all tasks by name."""
     path = f"{shared_dir(spark)}/arrivals-{uuid.uuid4().hex[:12]}"
     f = ft.reports(spark, d)
     twice = f.union(f.select(F.concat("path", F.lit(".copy")), "content"))
+    tasks = spark.sparkContext.defaultParallelism  # a fixed number: by size Spark would leave small reports, however many, to one task
     twice.select(
         F.regexp_replace("path", "[^A-Za-z0-9]+", "_").alias("name"), F.col("content").alias("value")
-    ).repartition("name").write.partitionBy("name").option("maxRecordsPerFile", 1).text(path)
+    ).repartition(tasks, "name").write.partitionBy("name").option("maxRecordsPerFile", 1).text(path)
     return path
 
 
