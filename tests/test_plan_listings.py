@@ -91,3 +91,39 @@ def test_pairs_are_made_within_a_row(spark):
     got = sorted((r["step_before"] or 0, r["step_after"] or 0, r["how"]) for r in out.collect())
     assert got == [(1, 5, "same"), (2, 7, "moved"), (3, 6, "same"), (4, 0, "removed")]
     assert physical(listings.plan_compare(before, after, ["path"])).count("ObjectHashAggregate") <= 2
+
+
+def test_pairs_are_finished_before_they_are_exploded(spark):
+    """No expression of the pairing stands in the plan behind the shuffle: in the filter that Spark infers from ``explode``, partners were searched anew for each step."""
+    from vitalspark.operators import joins
+
+    side = lambda n: spark.createDataFrame([("p", 1, "SCAN", "T", 1.0)], "path string, step_id int, operation string, object_name string, cost double").where(f"step_id < {n}")
+    for out in (listings.plan_compare(side(7), side(8), ["path"]), joins.step_match(side(7), side(8), ["path"])):
+        assert "lambdafunction" not in physical(out)
+
+
+def test_plans_cut_by_arrow_batches_are_paired_whole(spark):
+    """Batches of 1 to 8 rows, plans of up to 40 steps, keys with NULL, equal and unknown steps: the pairs are those of a search plan by plan."""
+    from vitalspark.operators import joins
+
+    schema = "a string, b long, step_id int, operation string, object_name string"
+    plans = {(a, b): ([f"{'xyZ'[i * n % 3]}" for i in range(n % 41)], [f"{'Xyz'[i * 7 % 3]}" for i in range(n * 3 % 17)]) for n, (a, b) in enumerate((a, b) for a in ("p", None, "q") for b in (*range(9), None))}
+    rows = [[(a, b, i, op, op if i % 2 else None) for (a, b), p in plans.items() for i, op in enumerate(p[side])] for side in (0, 1)]
+    want = []
+    for (a, b), p in plans.items():
+        kinds = [[(op.upper(), op.upper() if i % 2 else "") for i, op in enumerate(s)] for s in p]
+        free = list(range(len(kinds[1])))
+        mates = [next((free.pop(free.index(j)) for j in list(free) if kinds[1][j] == k), None) for k in kinds[0]]
+        left = [i for i, j in enumerate(mates) if j is None]
+        want += [(a, b, i, j, "same") for i, j in enumerate(mates) if j is not None]
+        for n in range(max(len(left), len(free))):
+            i, j = left[n] if n < len(left) else None, free[n] if n < len(free) else None
+            want.append((a, b, i, j, "added" if i is None else "removed" if j is None else "moved"))
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    try:
+        for size in ("1", "2", "8", before):
+            spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", size)
+            got = joins.step_match(*[spark.createDataFrame(r, schema) for r in rows], ["a", "b"]).collect()
+            assert sorted(map(tuple, got), key=repr) == sorted(want, key=repr)
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)

@@ -3,14 +3,16 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType, StructField, StructType
+from pyspark.sql.types import ArrayType, DoubleType, StringType, StructField, StructType
 
 from ..storage import written
 
@@ -289,40 +291,99 @@ def ledger_anti(candidates: DataFrame, ledger: DataFrame) -> DataFrame:
     ).select("hash", "__r.*")
 
 
+#: What became of a step: its kind is on both sides, or it is paired by position, or it stands alone.
+HOW = ("same", "moved", "removed", "added")
+
+
+def _codes(column: pa.Array) -> np.ndarray:
+    """A number for each value, the same for equal ones."""
+    return np.asarray(pc.fill_null(column.dictionary_encode().indices, -1)).astype("int64") + 1
+
+
+def _begins(x: pa.RecordBatch, keys: int) -> np.ndarray:
+    """Whether a row's first columns differ from those of the row before it."""
+    return np.logical_or.reduce([np.diff(_codes(x.column(i)), prepend=-1) != 0 for i in range(keys)])
+
+
+def _whole_plans(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[pa.RecordBatch]:
+    """Sorted batches cut anew, so that the rows of equal keys come in one."""
+    held: list[pa.RecordBatch] = []
+    for b in batches:
+        if held and b.num_rows:
+            cut = np.flatnonzero(_begins(pa.concat_batches([held[-1].slice(held[-1].num_rows - 1), b]), keys)[1:])
+        else:
+            cut = np.flatnonzero(_begins(b, keys))[1:]
+        if len(cut):
+            yield pa.concat_batches([*held, b.slice(0, cut[-1])])
+            held, b = [], b.slice(cut[-1])
+        if b.num_rows:
+            held.append(b)
+    if held:
+        yield pa.concat_batches(held)
+
+
+def _counterparts(group: np.ndarray, after: np.ndarray) -> np.ndarray:
+    """For each row the n-th of its group on the other side, if it is the n-th of its own; else -1."""
+    run = group * 2 + after
+    order = np.argsort(run, kind="stable")
+    run = run[order]
+    first = np.flatnonzero(np.diff(run, prepend=-1))
+    size = np.diff(first, append=len(run))
+    facing = np.searchsorted(run, run[first] ^ 1)
+    there = np.searchsorted(run, run[first] ^ 1, side="right") - facing
+    n = np.arange(len(run)) - np.repeat(first, size)
+    met = n < np.repeat(there, size)
+    out = np.full(len(run), -1)
+    out[order[met]] = order[(np.repeat(facing, size) + n)[met]]
+    return out
+
+
+def _pair_lists(x: pa.RecordBatch, keys: int) -> pa.RecordBatch:
+    """Whole plans' steps in order (keys, side, step, operation, object): a row a plan with its list of pairs."""
+    begins = _begins(x, keys)
+    plan, after = np.cumsum(begins) - 1, np.asarray(x.column(keys)).astype("int64")
+    step, op, ob = x.column(keys + 1), _codes(x.column(keys + 2)), _codes(x.column(keys + 3))
+    kind = _codes(pa.array(op * (ob.max() + 1) + ob))
+    mate = _counterparts(plan * (kind.max() + 1) + kind, after)
+    how = np.zeros(len(plan), "int64")
+    left = np.flatnonzero(mate < 0)
+    rest = _counterparts(plan[left], after[left])
+    how[left] = np.where(rest >= 0, 1, 2 + after[left])
+    mate[left] = np.where(rest >= 0, left[rest], -1)
+    at = np.flatnonzero((after == 0) | (mate < 0))  # a pair stands at its step before
+    own = after[at] == 0
+    taken = lambda i: step.take(pa.array(i, mask=i < 0))
+    sides = taken(np.where(own, at, -1)), taken(np.where(own, mate[at], at))
+    pairs = pa.StructArray.from_arrays([*sides, pa.array(HOW).take(pa.array(how[at]))], ["before", "after", "how"])
+    ends = np.cumsum(np.bincount(plan[at], minlength=plan[-1] + 1))
+    lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]), pa.int32()), pairs)
+    firsts = pa.array(np.flatnonzero(begins))
+    return pa.RecordBatch.from_arrays([*[x.column(i).take(firsts) for i in range(keys)], lists], [*x.schema.names[:keys], "pairs"])
+
+
 def paired_steps(before: DataFrame, after: DataFrame, keys: Sequence[str], columns: Sequence[str] = ()) -> DataFrame:
     """One row a plan: keys and ``pairs``, an array of before, after (structs of step_id and ``columns``, or null) and how (same, moved, removed,
     added). Steps of equal (operation, object) are paired, the n-th with the n-th, then what is left by position.
 
-    Both sides: keys, step_id, operation, object_name and ``columns``. The steps of a plan are dealt and gathered once, by plan. Within the row both lists are
-    sorted by (operation, object) and step: a step's place behind the first of its kind is its number, and its partner lies as far behind the other
-    side's first of that kind, so no list is searched but for these first places."""
+    Both sides: keys (plain columns, no structs), step_id, operation, object_name and ``columns``. The steps of a plan are dealt once, by plan, and sorted by step; the plans
+    of an Arrow batch are paired at once by places in sorted arrays. Pairs come out finished: made by column expressions, they would be copied into
+    the filter that Spark infers from ``explode``, and into each other's lambdas."""
     key = [F.col(c) for c in keys]
     own = [F.col(c) for c in dict.fromkeys(("step_id", *columns, "operation", "object_name"))]
-    sides = before.select(*key, F.struct(*own).alias("x"), F.lit(0).alias("side")), after.select(*key, F.struct(*own).alias("x"), F.lit(1).alias("side"))
-    both = sides[0].union(sides[1]).repartition(*keys)
-    step = lambda x: F.struct(x["step_id"], *[x[c] for c in columns])
-    sort = lambda x: F.struct(F.upper(x["operation"]).alias("op"), F.coalesce(F.upper(x["object_name"]), F.lit("")).alias("ob"))
-    steps = lambda side: F.sort_array(F.transform(F.collect_list(F.when(F.col("side") == side, F.col("x"))), lambda x: F.struct(sort(x).alias("sort"), step(x).alias("step"))))
-    sort_of = lambda c: F.transform(c, lambda x: x["sort"]).alias(f"{c}s")
-    d = both.groupBy(*keys).agg(steps(0).alias("b"), steps(1).alias("a")).select(*key, "b", "a", sort_of("b"), sort_of("a"))
-
-    def partner(mine: str, other: str) -> Column:
-        """For each step where its partner lies on the other side, from 0, or beyond that side or at a step of another kind."""
-        at = F.transform(mine, lambda x, i: i - F.array_position(F.col(f"{mine}s"), x["sort"]) + F.array_position(F.col(f"{other}s"), x["sort"]))
-        return F.transform(at, lambda j, i: F.when(F.get(f"{other}s", j.cast("int")) == F.get(f"{mine}s", i), j.cast("int")))
-
-    d = d.select(*key, "b", "a", partner("b", "a").alias("pb"), partner("a", "b").alias("pa"))
-    pair = lambda b, a, how: F.struct(b.alias("before"), a.alias("after"), how.alias("how"))
-    met = F.filter(F.transform("b", lambda x, i: F.struct(x["step"].alias("b"), F.get("pb", i).alias("j"))), lambda y: y["j"].isNotNull())
-    left = lambda c: F.sort_array(F.transform(F.filter(c, lambda x, i: F.get(f"p{c}", i).isNull()), lambda x: x["step"]))
-    d = d.select(*key, F.transform(met, lambda y: pair(y["b"], F.get("a", y["j"])["step"], F.lit("same"))).alias("same"), left("b").alias("b"), left("a").alias("a"))
-    none = F.lit(None).cast(d.schema["b"].dataType.elementType)
-    longest = F.greatest(F.size("b"), F.size("a"))
-    at = F.when(longest > 0, F.sequence(F.lit(0), F.greatest(longest, F.lit(1)) - 1)).otherwise(F.array().cast("array<int>"))
-    ends = F.least(F.size("b"), F.size("a"))
-    how = lambda i: F.when(i < ends, "moved").when(i < F.size("b"), "removed").otherwise("added")
-    rest = F.transform(at, lambda i: pair(F.coalesce(F.get("b", i), none), F.coalesce(F.get("a", i), none), how(i)))
-    return d.select(*key, F.concat("same", rest).alias("pairs"))
+    sides = [df.select(*key, F.lit(i).alias("__after"), F.struct(*own).alias("__x")) for i, df in enumerate((before, after))]
+    x = F.col("__x")
+    step = F.struct(*[x[c].alias(c) for c in dict.fromkeys(("step_id", *columns))]).alias("__step")
+    what = F.upper(x["operation"]).alias("__op"), F.coalesce(F.upper(x["object_name"]), F.lit("")).alias("__ob")
+    both = sides[0].union(sides[1]).repartition(*keys).select(*key, "__after", step, *what).sortWithinPartitions(*keys, "__step")
+    n = len(keys)
+    one = both.schema["__step"].dataType
+    pair = StructType([StructField("before", one), StructField("after", one), StructField("how", StringType())])
+    schema = StructType([*both.schema.fields[:n], StructField("pairs", ArrayType(pair))])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return (_pair_lists(b, n) for b in _whole_plans(batches, n))
+
+    return both.mapInArrow(run, schema)
 
 
 def step_match(before: DataFrame, after: DataFrame, keys: Sequence[str] = ("plan",)) -> DataFrame:
