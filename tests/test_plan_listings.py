@@ -127,3 +127,50 @@ def test_plans_cut_by_arrow_batches_are_paired_whole(spark):
             assert sorted(map(tuple, got), key=repr) == sorted(want, key=repr)
     finally:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+
+
+def test_steps_stay_in_their_plans_row_until_they_are_paired(spark, sf_dir):
+    """Comparisons shuffle, sort and send plans: steps become rows once, as pairs."""
+    from vitalspark import catalog
+
+    for name in ("x14_plan_compare", "x14_problem_changes"):
+        assert physical(catalog.QUERIES[name](spark, sf_dir)).count("Generate ") == 1
+
+
+def test_lists_of_steps_are_paired_as_rows_of_steps(spark):
+    """A plan's steps in one row, in two with and without steps, in no order, of equal numbers, NULL cells and on one side only, give the pairs of their rows."""
+    schema = "path string, step_id int, operation string, object_name string, cost double"
+    rows = [[(p, (i * 5 + side) % 4, ("a", "Full", "TABLE ACCESS FULL", "new")[i * (n + side) % (3 + side)] if i % 5 else None, "xY"[i % 2] if i % 3 else None, float(i * n % 3)) for n, p in enumerate(("p", None, "q", "r")) for i in range(9) if (n, side) != (2, 1)] for side in (0, 1)]
+    steps = [spark.createDataFrame(r, schema) for r in rows]
+    lists = []
+    for r in rows:
+        two = [(p, [x[1:] for x in r if x[0] == p][i::2]) for p in {x[0] for x in r} for i in (0, 1)]
+        lists.append(spark.createDataFrame([*two, ("p", []), ("q", None), ("none", [])], "path string, steps array<struct<step_id int, operation string, object_name string, cost double>>"))
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    try:
+        for size in ("1", before):
+            spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", size)
+            for f in (listings.plan_compare, listings.problem_changes):
+                want, got = (sorted((tuple(x) for x in f(*side, ["path"]).collect()), key=repr) for side in (steps, lists))
+                assert got == want and got
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+
+
+def test_cells_typed_in_arrow_are_those_typed_by_spark(spark):
+    import pyarrow as pa
+    from pyspark.sql import functions as F
+
+    ids = ["1", "*2", "*  3", "4\t", "007", "2147483647", "2147483648", "00000000000000000012", "99999999999999999999", "*\x0b6", "0", "000"]
+    sizes = ["", "1", "12K", "12k", "3M", "5g", "x", "K", "9" * 30, "9" * 310, "9" * 400, "1.5K", "12 K", "-3", "\u0663", "5\u00e9", "12\u017f", None, "1e3", "8T", "1KM"]
+    costs = [*sizes, "12 (3)", "12K (100)", "(3) 12", "12 ( 3 )", "1(2)3(4)", "( )", "12 (\x0b3)", "12 (3", "12 (3))", "12K(1)(2)", "12 (\u0663)", "5 (\n2)", "NaN", "1e3 (2)"]
+    ops, names = ["A", " A", "  B ", "", "   ", None, "    \u00e9", "\tA", " \tB  "], ["", "T", None]
+    rows = [(ids[i % 12], ops[i % 9], names[i % 3], sizes[i % 21], sizes[i * 5 % 21], costs[i % len(costs)]) for i in range(36 * 35)]
+    cells = dict(zip(plan_text._CELLS, (pa.array(c, pa.string()) for c in zip(*rows))))
+    for compat in (False, True):
+        made = plan_text._step_values({k: lambda a=a: a for k, a in cells.items()}, compat)
+        got = spark.createDataFrame(list(zip(*[made[c]().to_pylist() for c in plan_text._OF])), "step_id int, depth int, operation string, object_name string, rows double, bytes double, cost " + ("string" if compat else "double"))
+        if compat:
+            got = got.withColumn("cost", F.col("cost").try_cast("double"))
+        want = spark.createDataFrame(rows, ", ".join(f"{c} string" for c in plan_text._CELLS)).select(*plan_text._typed(F.col, compat, tuple(plan_text._OF)))
+        assert sorted(map(repr, got.collect())) == sorted(map(repr, want.collect()))

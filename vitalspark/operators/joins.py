@@ -338,12 +338,37 @@ def _counterparts(group: np.ndarray, after: np.ndarray) -> np.ndarray:
     return out
 
 
-def _pair_lists(x: pa.RecordBatch, keys: int) -> pa.RecordBatch:
-    """Whole plans' steps in order (keys, side, step, operation, object): a row a plan with its list of pairs."""
+def _kinds(operation: pa.Array, object_name: pa.Array) -> np.ndarray:
+    """A number for each (operation, object), upper-cased, an object of NULL as one of no name."""
+
+    def upper(column: pa.Array, null: str | None) -> np.ndarray:
+        d = column.dictionary_encode()
+        values = pa.array([*[v.upper() for v in d.dictionary.to_pylist()], null], pa.string())
+        return _codes(values)[np.asarray(pc.fill_null(d.indices, len(values) - 1))]
+
+    op, ob = upper(operation, None), upper(object_name, "")
+    return _codes(pa.array(op * (ob.max() + 1) + ob))
+
+
+def _flat(x: pa.RecordBatch, keys: int) -> pa.RecordBatch:
+    """Plans as rows with lists of steps (keys, side, steps): a row a step, a plan's in order of their columns."""
+    steps = x.column(keys + 1)
+    plan = np.repeat(np.cumsum(_begins(x, keys)) - 1, np.asarray(pc.fill_null(pc.list_value_length(steps), 0)))
+    row = pa.array(np.repeat(np.arange(x.num_rows), np.asarray(pc.fill_null(pc.list_value_length(steps), 0))))
+    columns = steps.flatten().flatten()
+    names = [str(i) for i in range(len(columns))]
+    order = pc.sort_indices(pa.table([pa.array(plan), *columns], ["plan", *names]), [(c, "ascending") for c in ("plan", *names)], null_placement="at_start")
+    taken = [x.column(i).take(row.take(order)) for i in range(keys + 1)]
+    return pa.RecordBatch.from_arrays([*taken, *[c.take(order) for c in columns]], [*x.schema.names[: keys + 1], *names])
+
+
+def _pair_lists(x: pa.RecordBatch, keys: int, columns: Sequence[str], shown: Sequence[str]) -> pa.RecordBatch:
+    """Whole plans' steps in order (keys, side, columns): a row a plan with its list of pairs of the shown columns."""
     begins = _begins(x, keys)
     plan, after = np.cumsum(begins) - 1, np.asarray(x.column(keys)).astype("int64")
-    step, op, ob = x.column(keys + 1), _codes(x.column(keys + 2)), _codes(x.column(keys + 3))
-    kind = _codes(pa.array(op * (ob.max() + 1) + ob))
+    column = dict(zip(columns, x.columns[keys + 1 :], strict=True))
+    step = pa.StructArray.from_arrays([column[c] for c in shown], list(shown))
+    kind = _kinds(column["operation"], column["object_name"])
     mate = _counterparts(plan * (kind.max() + 1) + kind, after)
     how = np.zeros(len(plan), "int64")
     left = np.flatnonzero(mate < 0)
@@ -365,25 +390,35 @@ def paired_steps(before: DataFrame, after: DataFrame, keys: Sequence[str], colum
     """One row a plan: keys and ``pairs``, an array of before, after (structs of step_id and ``columns``, or null) and how (same, moved, removed,
     added). Steps of equal (operation, object) are paired, the n-th with the n-th, then what is left by position.
 
-    Both sides: keys (plain columns, no structs), step_id, operation, object_name and ``columns``. The steps of a plan are dealt once, by plan, and sorted by step; the plans
-    of an Arrow batch are paired at once by places in sorted arrays. Pairs come out finished: made by column expressions, they would be copied into
-    the filter that Spark infers from ``explode``, and into each other's lambdas."""
-    key = [F.col(c) for c in keys]
-    own = [F.col(c) for c in dict.fromkeys(("step_id", *columns, "operation", "object_name"))]
-    sides = [df.select(*key, F.lit(i).alias("__after"), F.struct(*own).alias("__x")) for i, df in enumerate((before, after))]
-    x = F.col("__x")
-    step = F.struct(*[x[c].alias(c) for c in dict.fromkeys(("step_id", *columns))]).alias("__step")
-    what = F.upper(x["operation"]).alias("__op"), F.coalesce(F.upper(x["object_name"]), F.lit("")).alias("__ob")
-    both = sides[0].union(sides[1]).repartition(*keys).select(*key, "__after", step, *what).sortWithinPartitions(*keys, "__step")
-    n = len(keys)
-    one = both.schema["__step"].dataType
+    Both sides: keys (plain columns, no structs), step_id, operation, object_name and ``columns``; or keys and ``steps``, an array of structs of these
+    (``plan_step_lists``). The steps of a plan are dealt once, by plan, and sorted by step, then ``columns``; the plans of an Arrow batch are
+    paired at once by places in sorted arrays. Pairs come out finished: made by column expressions, they would be copied into the filter that Spark infers from
+    ``explode``, and into each other's lambdas. Spark measures an Arrow batch at each of its rows, so lists of steps take far less time."""
+    shown = list(dict.fromkeys(("step_id", *columns)))
+    used = list(dict.fromkeys((*shown, "operation", "object_name")))
+    n, listed = len(keys), "steps" in before.columns
+
+    def side(df: DataFrame, after: int) -> DataFrame:
+        key = [F.col(c).alias(f"__k{i}") for i, c in enumerate(keys)]
+        own = [F.transform("steps", lambda s: F.struct(*[s[c].alias(c) for c in used])).alias("__steps")] if listed else [F.col(c) for c in used]
+        kept = df.schema["steps"].dataType.elementType.names == used if listed else False
+        return df.select(*key, F.lit(after).alias("__after"), *([F.col("steps").alias("__steps")] if kept else own))
+
+    both = side(before, 0).union(side(after, 1)).repartition(*[f"__k{i}" for i in range(n)])
+    both = both.sortWithinPartitions(*[c for c in both.columns if c.startswith("__k")], *([] if listed else used))
+    fields = both.schema.fields
+    kind = {f.name: f.dataType for f in (fields[-1].dataType.elementType if listed else fields[n + 1 :])}
+    one = StructType([StructField(c, kind[c]) for c in shown])
     pair = StructType([StructField("before", one), StructField("after", one), StructField("how", StringType())])
-    schema = StructType([*both.schema.fields[:n], StructField("pairs", ArrayType(pair))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        return (_pair_lists(b, n) for b in _whole_plans(batches, n))
+        for b in _whole_plans(batches, n):
+            flat = _flat(b, n) if listed else b
+            if flat.num_rows:
+                yield _pair_lists(flat.rename_columns([*keys, *flat.schema.names[n:]]), n, used, shown)
 
-    return both.mapInArrow(run, schema)
+    key_fields = [StructField(c, f.dataType) for c, f in zip(keys, fields)]
+    return both.mapInArrow(run, StructType([*key_fields, StructField("pairs", ArrayType(pair))]))
 
 
 def step_match(before: DataFrame, after: DataFrame, keys: Sequence[str] = ("plan",)) -> DataFrame:
