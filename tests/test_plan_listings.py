@@ -174,3 +174,22 @@ def test_cells_typed_in_arrow_are_those_typed_by_spark(spark):
             got = got.withColumn("cost", F.col("cost").try_cast("double"))
         want = spark.createDataFrame(rows, ", ".join(f"{c} string" for c in plan_text._CELLS)).select(*plan_text._typed(F.col, compat, tuple(plan_text._OF)))
         assert sorted(map(repr, got.collect())) == sorted(map(repr, want.collect()))
+
+
+def test_heads_read_as_arrays_are_those_read_line_by_line():
+    """Many SQL_IDs and hashes in a plan, in any place of a line, with and without blanks: the greatest counts, as by ``plans``."""
+    import random
+
+    import pyarrow as pa
+
+    r = random.Random(5)
+    pieces = ["SQL_ID", " ", "\t", "\x0b", "\r", ":", "a", "b1_", "\u00e9", "|", "Plan hash value:", "12", "9", "\u0663", "\n", "\n", "\n| Id | Operation |\n| 1 | A |\n", "\n  SQL_ID ", "\nSQL_ID zz\n", "\x85", "SQL_ID:  q"]
+    met = 0
+    for _ in range(300):
+        texts = ["SQL_ID a\n" + "".join(r.choices(pieces, k=r.randrange(40))) for _ in range(3)]
+        got = plan_text._steps_of(pa.array(["0", "1", "2"]), pa.array(texts), ["sql_id", "plan_hash_value"], ["step_id"], False).to_pylist()
+        want = {(str(i), no): plan_text._parse(p) for i, t in enumerate(texts) for no, p in enumerate(plan_text._cut(t), 1)}
+        want = {k: p[:2] for k, p in want.items() if p[4]}
+        assert {(x["path"], x["plan_no"]): (x["sql_id"], x["plan_hash_value"]) for x in got} == want
+        met += len(want)
+    assert met > 100

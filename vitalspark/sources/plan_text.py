@@ -21,6 +21,8 @@ from ..functions.scalars import plan_cost, plan_size
 #: The rest of a line as ``.*$`` takes it in Java: none of its other line ends but a last one.
 _REST = "([^\n\r\x85  ]*)[\r\x85  ]?\\Z"
 _SQL_ID, _HASH = re.compile(r"\s*SQL_ID:?\s+(\w+)", re.A), re.compile(r"Plan hash value:\s*(\d+)", re.A)
+#: The same for RE2.
+_SQL_ID_OF, _HASH_OF = r"^[\s\v]*SQL_ID:?[\s\v]+(?P<x>\w+)", r"Plan hash value:[\s\v]*(?P<x>[0-9]+)"
 _PREDICATE, _NOTE = re.compile(r"\s*(\d+)\s+-\s+" + _REST, re.A), re.compile(r"\s+- ", re.A)
 _NOTED, _STEP = re.compile(r"\s+- " + _REST, re.A), re.compile(r"\*?\s*\d+\s?\Z", re.A)
 _BLANK, _FIRST = " \t\n\x0b\f\r\x85\u2028\u2029", tuple("SPN")
@@ -135,14 +137,18 @@ class _Lines:
         """For each line the last marked line so far, -1 without one."""
         return np.maximum.accumulate(np.where(mark, np.arange(len(mark)), -1)) if len(mark) else np.empty(0, "int64")
 
-    def found(self, mark: np.ndarray, text: str, pattern: re.Pattern, match: Callable) -> dict[int, str]:
-        """By plan the greatest of what the pattern finds in marked lines that hold the text."""
+    def found(self, plans: np.ndarray, mark: np.ndarray | bool, text: str, pattern: str) -> pa.Array:
+        """For each plan the greatest of what the pattern (RE2, its group ``x``) finds in marked lines that hold the text."""
         at = np.flatnonzero(mark & (self.plan >= 0) & np.asarray(pc.match_substring(self.lines, text)))
-        out: dict[int, list[str]] = {}
-        for plan, line in zip(self.plan[at].tolist(), self.lines.take(at).to_pylist(), strict=True):
-            if m := match(pattern, line):
-                out.setdefault(plan, []).append(m[1])
-        return {k: v[0] if len(v) == 1 else _first(v) for k, v in out.items()}
+        got = pc.struct_field(pc.extract_regex(self.lines.take(pa.array(at)), pattern), "x")
+        of = self.plan[at][np.asarray(pc.is_valid(got))]
+        got = got.drop_null()
+        if (np.diff(of) <= 0).any():
+            order = np.asarray(pc.sort_indices(pa.table([pa.array(of), got], ["plan", "x"]), [("plan", "ascending"), ("x", "ascending")]))
+            order = order[np.diff(of[order], append=-1) != 0]
+            of, got = of[order], got.take(pa.array(order))
+        i = np.searchsorted(of, plans)
+        return got.take(pa.array(i, mask=np.append(of, -1)[i] != plans))
 
     def predicates(self) -> dict[int, dict[int, list[str]]]:
         """By plan and step the pieces of text in its predicate sections."""
@@ -215,8 +221,8 @@ def _step_values(cell: dict[str, Callable[[], pa.Array]], compat: bool) -> dict[
     """How to get a step's columns from its cells, as ``_typed`` has them; with ``compat`` the cost is left as text."""
 
     def step_id() -> pa.Array:
-        digits = pc.replace_substring_regex(pc.replace_substring_regex(cell["id"](), "[^0-9]", ""), "^0+([0-9])", r"\1")
-        n = pc.if_else(pc.less_equal(pc.binary_length(digits), 10), digits, None).cast(pa.int64())
+        digits = pc.ascii_ltrim(pc.ascii_trim(cell["id"](), "* \t\n\x0b\f\r"), "0")
+        n = pc.if_else(pc.less_equal(pc.binary_length(digits), 10), pc.if_else(pc.equal(digits, ""), "0", digits), None).cast(pa.int64())
         return pc.if_else(pc.less(n, 1 << 31), n, None).cast(pa.int32())
 
     def depth() -> pa.Array:
@@ -240,10 +246,9 @@ def _steps_of(path: pa.Array, content: pa.Array, heads: Sequence[str], names: Se
     x = _Lines(content)
     at, cells = x.steps()
     plans, begins = np.unique(x.plan[at], return_index=True)
-    of_plan = lambda d: pa.array([d.get(p) for p in plans.tolist()], pa.string())
     made = {
-        "sql_id": lambda: of_plan(x.found(~x.starting("|"), "SQL_ID", _SQL_ID, re.Pattern.match)),
-        "plan_hash_value": lambda: of_plan(x.found(True, "Plan hash value", _HASH, re.Pattern.search)),
+        "sql_id": lambda: x.found(plans, ~x.starting("|"), "SQL_ID", _SQL_ID_OF),
+        "plan_hash_value": lambda: x.found(plans, True, "Plan hash value", _HASH_OF),
     }
 
     def predicate() -> pa.Array:
